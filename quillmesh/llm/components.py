@@ -1,0 +1,28 @@
+"""Connected components of an edge table, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the least node of its component) for every node of edges (a, b); nulls and loops are ignored.
+
+    Every round is written to the shared folder; no vertex or label is collected. The number of rounds grows with the logarithm of the longest chain.
+    """
+    now = stored(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    seen = None
+    while True:
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == seen or not mark[0]:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()
+        seen = mark
+        both = now.union(now.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(down, "a")
+        now = stored(small.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(down.select("a", "m")).where("a != b").distinct(), "cc")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperlang, mixing, token_counts, token_files, toxicity
+from . import bpe, hyperlang, merkle, mixing, ngram_join, token_counts, token_files, toxicity
 from .common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -20,6 +20,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return merkle.fixity(pages, merkle.decayed(pages))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -42,6 +51,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_pareto_mix, op6_hyperdimensional_language, op7_token_files, op8_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_merkle_fixity, op3_ngram_jaccard, op4_pareto_mix, op6_hyperdimensional_language, op7_token_files, op8_token_counts, op10_byte_bpe)}
 
-ORACLE_SQL = {"op4_pareto_mix": mixing.MIX_SQL}
+ORACLE_SQL = {"op2_merkle_fixity": merkle.FIXITY_SQL, "op3_ngram_jaccard": ngram_join.JACCARD_SQL, "op4_pareto_mix": mixing.MIX_SQL}
