@@ -227,6 +227,11 @@ def code_digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
     return _coded(docs, ranks, pattern, id_col, text_col, "ids_sha256 string, decoded_sha256 string", lambda ids, back: (hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
 
 
+def coded(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Ids together with both digests."""
+    return _coded(docs, ranks, pattern, id_col, text_col, "ids binary, ids_sha256 string, decoded_sha256 string", lambda ids, back: (ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
+
+
 def _coded(docs: DataFrame, ranks: str, pattern: str, id_col: str, text_col: str, columns: str, digest) -> DataFrame:
     small_batches(docs.sparkSession)
     names = ["doc_id", "n_tokens", *(c.split()[0] for c in columns.split(", "))]
@@ -237,14 +242,12 @@ def _coded(docs: DataFrame, ranks: str, pattern: str, id_col: str, text_col: str
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            n, one_, two = [], [], []
+            n, rows = [], []
             for a, z in slices(texts):
                 for ids in c.encode(texts[a:z]):
-                    x, y = digest(ids, c.decode(ids))
                     n.append(len(ids) // 4)
-                    one_.append(x)
-                    two.append(y)
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one_, kinds[0]), pa.array(two, kinds[1])], names)
+                    rows.append(digest(ids, c.decode(ids)))
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
         return one
 

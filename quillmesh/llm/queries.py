@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperlang, merkle, mixing, ngram_join, token_counts, token_files, toxicity
+from . import bpe, flat_graph, hyperlang, merkle, mixing, multi_index, ngram_join, token_counts, token_files, toxicity
 from .common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -33,6 +33,10 @@ def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = hyperlang.predict_language(docs, hyperlang.fit_profiles(docs))
@@ -47,10 +51,24 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op9_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_graph.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_merkle_fixity, op3_ngram_jaccard, op4_pareto_mix, op6_hyperdimensional_language, op7_token_files, op8_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_merkle_fixity, op3_ngram_jaccard, op4_pareto_mix, op5_multi_index_hashing, op6_hyperdimensional_language, op7_token_files, op8_token_counts, op9_flat_graph, op10_byte_bpe)}
+
+NEAR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, least(vec_id, coalesce(least, vec_id)) = vec_id AS kept
+FROM v LEFT JOIN m ON m.a = vec_id LEFT JOIN k ON k.a = vec_id
+"""
 
-ORACLE_SQL = {"op2_merkle_fixity": merkle.FIXITY_SQL, "op3_ngram_jaccard": ngram_join.JACCARD_SQL, "op4_pareto_mix": mixing.MIX_SQL}
+ORACLE_SQL = {"op9_flat_graph": NEAR_SQL, "op2_merkle_fixity": merkle.FIXITY_SQL, "op3_ngram_jaccard": ngram_join.JACCARD_SQL, "op4_pareto_mix": mixing.MIX_SQL}
