@@ -127,7 +127,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
         yield pa.RecordBatch.from_pydict({"name": [name], "known": [known[0]], "first": [ids[0]], "n_docs": [len(ids)], "n_ids": [int(offsets[-1])], "width": [enc.dtype.itemsize]})
 
     ordered = docs.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col)
-    rows = ordered.mapInArrow(run, "name string, known boolean, first bigint, n_docs bigint, n_ids bigint, width int").collect()
+    rows = ordered.mapInArrow(run, "name string, known boolean, first bigint, n_docs bigint, n_ids bigint, width bigint").collect()
     manifest, base = [], 0
     for r in sorted(rows, key=lambda r: (r.known, r.first)):
         manifest.append(r.asDict() | {"folder": folder, "base": base})
@@ -157,7 +157,7 @@ class Shard:
 
 def read_shards(spark: SparkSession, manifest: list[dict], kind: str = "bigint") -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    schema = "folder string, name string, width int, n_docs bigint, base bigint"
+    schema = "folder string, name string, width bigint, n_docs bigint, base bigint"
     rows = [tuple(m[k] for k in ("folder", "name", "width", "n_docs", "base")) for m in manifest]
     shards = spark.createDataFrame(rows, schema)
     if len(rows) > 1:
