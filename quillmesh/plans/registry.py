@@ -2,5 +2,27 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.catalog import Catalog, sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, plan: Callable[[Catalog], DataFrame], body: str | None = None) -> None:
+    """Registers a plan over the catalog and the SQL that gives the same rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return plan(Catalog(spark, sf_dir))
+
+    QUERIES[name] = run
+    if body:
+        ORACLE_SQL[name] = sql(body)
+
+
+for _module in ("scan", "filter", "join", "aggregate", "rank", "text", "content", "graph", "stream"):
+    importlib.import_module(f"{__package__}.{_module}_queries")
