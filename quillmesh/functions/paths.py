@@ -30,10 +30,18 @@ LAYERS = [
 ]
 
 # Generated content by name, ending and directory.
-GENERATED_NAMES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "Pipfile.lock", "composer.lock", "Gemfile.lock", "go.sum"]
-GENERATED_ENDS = [".lock", ".min.js", ".min.css", ".generated.ts", "_pb2.py", ".pb.go"]
+GENERATED_NAMES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "Cargo.lock", "poetry.lock", "Pipfile.lock"]
+GENERATED_ENDS = [".d.ts", ".min.js", ".min.css", ".pb.go", "_pb2.py", ".generated.ts", ".generated.py"]
 GENERATED_DIRS = ["__generated__", "generated", "dist", "build"]
 
+# What change statistics leave out.
+NOISE_DIRS = [".git", "node_modules", "__pycache__", ".venv", "venv", "env", ".tox", ".pytest_cache", ".mypy_cache", ".ruff_cache", "htmlcov", "coverage", "dist", "build", "target", "out", "vendor"]
+NOISE_ENDS = [".lock", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".pdf", ".bin", ".ico", ".webp", ".mp4", ".mov"]
+
+# Marks of test files.
+TEST_DIRS = ["test", "tests", "spec", "specs", "__tests__"]
+TEST_STARTS, TEST_ENDS = ["test_", "tests_"], ["_test", "_spec", "_tests"]
+
 
 def glob_regex(pattern: str) -> str:
     """A Java regular expression that matches whole paths as the glob does; ``**/`` also matches no directory."""
@@ -97,10 +105,24 @@ def generated(path: Column) -> Column:
     return base_name(path).isin(*GENERATED_NAMES) | path.rlike(f"(?:{ends})$") | path.rlike(f"(?:^|/)(?:{dirs})(?:/|$)")
 
 
+def noise(path: Column) -> Column:
+    """Left out of change statistics: install and build folders, lock files, media."""
+    dirs, ends = "|".join(map(re.escape, NOISE_DIRS)), "|".join(map(re.escape, NOISE_ENDS))
+    return path.rlike(f"(?:^|/)(?:{dirs})(?:/|$)") | base_name(path).isin(*GENERATED_NAMES) | F.lower(path).rlike(f"(?:{ends})$")
+
+
+def stem(path: Column) -> Column:
+    return F.regexp_replace(base_name(path), r"\.[^.]*$", "")
+
+
 def test_file(path: Column) -> Column:
-    return path.rlike(r"(?:^|/)(?:tests?|__tests__|spec)/") | base_name(path).rlike(r"^test_|_test\.|\.test\.|\.spec\.")
+    low, dirs = F.lower(path), "|".join(TEST_DIRS)
+    return low.rlike(f"(?:^|/)(?:{dirs})/") | stem(low).rlike(f"^(?:{'|'.join(TEST_STARTS)})|(?:{'|'.join(TEST_ENDS)})$")
 
 
 def role(path: Column) -> Column:
-    low = F.lower(path)
-    return F.when(low.rlike(r"(?:^|/)(?:tests?|__tests__|spec)/"), "tests").when(low.rlike(r"(?:^|/)docs?/") | low.rlike(r"\.(?:md|rst|txt)$"), "docs").when(low.rlike(r"\.(?:py|ts|tsx|js|rs|go|java)$"), "code").otherwise("other")
+    low = F.concat(F.lit("/"), F.lower(path), F.lit("/"))
+    tests = low.rlike(r"/(?:tests?|__tests__|testing)/")
+    docs = low.rlike(r"\.(?:md|markdown|rst|txt)/$") | low.rlike(r"/(?:docs?|documentation|design|specs?|architecture|arch|adrs?|decisions?|rfcs?)/")
+    code = low.rlike(r"\.(?:py|jsx?|tsx?|go|rs|java|kts?|c|h|cc|cpp|hpp|cs|rb|php|swift|scala)/$") | low.rlike(r"/(?:src|lib|apps?|packages|pkg|server|client|ui|frontend|backend|cmd)/")
+    return F.when(tests, "tests").when(docs, "docs").when(code, "code").otherwise("other")

@@ -61,7 +61,7 @@ def context_tier(budget: Column) -> Column:
 
 
 def level_of_detail(score: Column, expanded: Column) -> Column:
-    return F.when(expanded, 4).when(score >= 0.85, 0).when(score >= 0.7, 2).when(score >= 0.5, 4).otherwise(5)
+    return F.when(expanded, 4).when(score >= 0.5, 0).when(score >= 0.35, 2).when(score >= 0.2, 4).otherwise(5)
 
 
 def drift(score: Column) -> Column:

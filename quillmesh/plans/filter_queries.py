@@ -22,11 +22,11 @@ query("flt_scope_mask", lambda c: c.files.withColumn("label", F.coalesce(F.when(
       r"SELECT CASE WHEN path LIKE 'src/api/%' THEN 'api' WHEN path LIKE 'tests/%' THEN 'role:testing' ELSE 'global' END AS label, count(*) AS n FROM files GROUP BY 1")
 query("flt_dlp", lambda c: op.blocked(c.files.withColumn("path", F.upper("path")), ["**/*.LOCK", "Deploy/**"]).select("doc_id", "path"),
       r"SELECT doc_id, upper(path) AS path FROM files WHERE lower(path) LIKE '%.lock' OR path LIKE 'deploy/%'")
-query("flt_noise_churn", lambda c: c.files.where(~(paths.generated(p) | p.rlike("(?:^|/)(?:node_modules|vendor)/"))).select("doc_id", "path"),
+query("flt_noise_churn", lambda c: c.files.where(~paths.noise(p)).select("doc_id", "path"),
       r"SELECT doc_id, path FROM files WHERE path NOT LIKE '%.lock' AND path NOT LIKE 'node_modules/%'")
-query("flt_generated", lambda c: c.files.where(paths.generated(p)).select("doc_id", "path"), "SELECT doc_id, path FROM files WHERE path LIKE '%.lock'")
+query("flt_generated", lambda c: c.files.where(paths.generated(F.regexp_replace("path", "^config/", "dist/"))).select("doc_id", "path"), "SELECT doc_id, path FROM files WHERE path LIKE 'config/%'")
 query("flt_test_file", lambda c: c.files.where(paths.test_file(p)).select("doc_id", "path"),
-      r"SELECT doc_id, path FROM files WHERE path LIKE 'tests/%' OR regexp_matches(path, '/test_[^/]*$') OR path LIKE '%.test.tsx'")
+      r"SELECT doc_id, path FROM files WHERE path LIKE 'tests/%' OR regexp_matches(path, '/test_[^/]*$')")
 query("flt_opportunities", lambda c: op.opportunities(c.items, ["quality", "security"], ["audit", "roadmap"], "P1").select("id", "priority", "severity", "category"),
       "SELECT id, priority, severity, category FROM items WHERE NOT dismissed AND category IN ('quality', 'security') AND source IN ('audit', 'roadmap') AND priority IN ('P0', 'P1')")
 query("flt_audit_query", lambda c: op.log_page(c.events, "view", "2024-01-05", "2024-01-20", 50, 10).select("event_id", "ts", "user_id"),
@@ -36,14 +36,14 @@ query("flt_min_score", lambda c: c.concepts.where("confidence >= 0.6").orderBy(F
 query("prj_node_normalize", lambda c: c.nodes.select("id", F.coalesce("name", F.lit("unnamed")).alias("name"), F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("language", F.lit("unknown")).alias("language")),
       "SELECT id, coalesce(name, 'unnamed') AS name, coalesce(size, 0) AS size, coalesce(language, 'unknown') AS language FROM nodes")
 query("prj_classify_path", lambda c: c.files.select("doc_id", paths.role(p).alias("role")),
-      r"SELECT doc_id, CASE WHEN path LIKE 'tests/%' THEN 'tests' WHEN path LIKE 'docs/%' OR path LIKE '%.md' THEN 'docs' WHEN regexp_matches(path, '\.(py|ts|tsx|rs)$') THEN 'code' ELSE 'other' END AS role FROM files")
+      r"SELECT doc_id, CASE WHEN path LIKE 'tests/%' THEN 'tests' WHEN path LIKE 'docs/%' OR path LIKE '%.md' THEN 'docs' WHEN regexp_matches(path, '\.(py|ts|tsx|rs)$') OR path LIKE 'src/%' OR path LIKE '%/lib/%' THEN 'code' ELSE 'other' END AS role FROM files")
 query("prj_language", lambda c: c.files.select("doc_id", paths.language(p).alias("language")),
       "SELECT doc_id, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts' OR path LIKE '%.tsx' THEN 'typescript' WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.rs' THEN 'rust' END AS language FROM files")
 query("prj_content_class", lambda c: c.files.select("doc_id", F.when(~p.endswith(".md"), "structured_code").when((F.regexp_count("text", F.lit(r"\.")) >= 3) & (F.size(F.split("text", "\n")) >= 5), "structured_docs").otherwise("unstructured_narrative").alias("class")),
       r"SELECT doc_id, CASE WHEN path NOT LIKE '%.md' THEN 'structured_code' WHEN length(text) - length(replace(text, '.', '')) >= 3 AND length(text) - length(replace(text, chr(10), '')) >= 4 THEN 'structured_docs' ELSE 'unstructured_narrative' END AS class FROM files")
 query("prj_context_tier", lambda c: c.items.select("id", op.context_tier(F.col("value")).alias("tier")), "SELECT id, CASE WHEN value >= 40000 THEN 1.0::DOUBLE WHEN value >= 22000 THEN 2.0::DOUBLE ELSE 2.5::DOUBLE END AS tier FROM items")
 query("prj_lod", lambda c: c.concepts.select("id", op.level_of_detail(F.col("confidence"), F.col("id") % 9 == 0).alias("lod")),
-      "SELECT id, CASE WHEN id % 9 = 0 THEN 4 WHEN confidence >= 0.85 THEN 0 WHEN confidence >= 0.7 THEN 2 WHEN confidence >= 0.5 THEN 4 ELSE 5 END AS lod FROM concepts")
+      "SELECT id, CASE WHEN id % 9 = 0 THEN 4 WHEN confidence >= 0.5 THEN 0 WHEN confidence >= 0.35 THEN 2 WHEN confidence >= 0.2 THEN 4 ELSE 5 END AS lod FROM concepts")
 query("prj_normalize_weights", lambda c: c.concepts.select(F.trim(F.regexp_replace(F.concat(F.lit(" /"), "a1", F.lit("/ ")), "(^[ /]+)|([ /]+$)", "")).alias("path"), F.round(F.least(F.greatest(F.col("confidence") * 3 - 0.5, F.lit(0.0)), F.lit(2.0)), 2).alias("weight")).groupBy("path").agg(F.max("weight").alias("weight")),
       "SELECT a1 AS path, max(round(least(greatest(confidence::DOUBLE * 3 - 0.5, 0.0), 2.0), 2))::DOUBLE AS weight FROM concepts GROUP BY a1")
 query("prj_priority", lambda c: op.finding_ids(c.items.select("id", "analyzer", "category", "severity", F.array("file_path", "source").alias("paths"))).select("id", "priority", "finding_id"),
