@@ -41,9 +41,9 @@ BANDS = VALUES // ROWS
 BLOCK = 512
 TOLERANCE = 1e-5
 #: Pairs compared at once.
-PAIRS = 400_000
-#: Bits of the filter of wanted ids: 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
+PAIRS = 100_000
+#: Bits of the filter of wanted ids: 1 MB, whatever the input.
+FILTER_BITS = 1 << 23
 
 find_words = re.compile(r"\w+").findall
 
@@ -185,7 +185,7 @@ def prune(cells: DataFrame) -> DataFrame:
     """Of each cell, the nodes that have a surviving pair: their slot in the cell and the slots of their later partners."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, group in whole_groups(batches, ["band", "bucket", "i", "j"], 20_000):
+        for t, group in whole_groups(batches, ["band", "bucket", "i", "j"], 4_000):
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, VALUES)
             band, part = t.column("band").to_numpy(), t.column("part").to_numpy()
             split = t.column("i").to_numpy() != t.column("j").to_numpy()
@@ -245,22 +245,25 @@ def verify(cells: DataFrame, threshold: float) -> DataFrame:
             digests, links, roots = [], [], []
             digest, texts, later, slot, n = (t.column(c).to_pylist() for c in ("digest", "text", "later", "slot", "n"))
             for rows in np.split(np.arange(len(group)), np.flatnonzero(np.diff(group)) + 1):
-                of: dict[int, int] = {}
+                of: set[int] = set()
                 sets, known = [], []
                 for r in rows:
                     w = words(texts[r])
                     if slot[r] not in of and xxhash.xxh3_128_digest(" ".join(w)) == digest[r]:
-                        of[slot[r]] = len(sets)
+                        of.add(slot[r])
                         sets.append(grams(w))
                         known.append(r)
+                order = np.argsort([slot[r] for r in known]) if known else np.zeros(0, int)
+                slots = np.asarray([slot[known[x]] for x in order], np.int64)
                 a, b = [], []
                 for x, r in enumerate(known):
-                    ys = [of[y] for y in np.frombuffer(later[r], "<u4").tolist() if y in of]
-                    a += [x] * len(ys)
-                    b += ys
-                if not a:
+                    ys = np.frombuffer(later[r], "<u4").astype(np.int64)
+                    at = np.minimum(np.searchsorted(slots, ys), len(slots) - 1)
+                    b.append(order[at[slots[at] == ys]])
+                    a.append(np.full(len(b[-1]), x))
+                a, b = np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64)
+                if not len(a):
                     continue
-                a, b = np.asarray(a), np.asarray(b)
                 size, both = np.asarray([len(s) for s in sets]), common_counts(sets, a, b)
                 keep = both >= threshold * (size[a] + size[b] - both) - 1e-9
                 a, b = a[keep], b[keep]
@@ -281,8 +284,9 @@ def bit_of(id_: Column) -> Column:
 
 
 def filter_of(ids: DataFrame) -> DataFrame:
-    """bucket, bits: a bitmap of hashed ids in rows of 4 kB, FILTER_BITS / 32768 rows at most."""
-    return ids.select(bit_of(F.col("id")).alias("k")).groupBy(F.expr("bitmap_bucket_number(k)").alias("__bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(k))").alias("__bits"))
+    """bucket, bits: a bitmap of hashed ids in rows of 4 kB, FILTER_BITS / 32768 rows at most. Ids meet by row first, so that a row is built once, not by every task."""
+    dealt = ids.select(bit_of(F.col("id")).alias("k")).withColumn("__bucket", F.expr("bitmap_bucket_number(k)")).repartition("__bucket")
+    return dealt.groupBy("__bucket").agg(F.expr("bitmap_construct_agg(bitmap_bit_position(k))").alias("__bits"))
 
 
 def marked(docs: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, str]:
