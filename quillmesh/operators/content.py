@@ -1,0 +1,74 @@
+"""Operators on the contents of files: links, chunks, symbols, levels of detail."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+
+# Tags by name ending, and by folder.
+END_TAGS = {
+    ".tsx": ["ui", "frontend", "react"], ".jsx": ["ui", "frontend", "react"], ".vue": ["ui", "frontend", "vue"], ".svelte": ["ui", "frontend", "svelte"], ".css": ["ui", "styling"], ".scss": ["ui", "styling"], ".html": ["ui", "frontend"],
+    ".py": ["backend", "python"], ".rs": ["backend", "systems"], ".go": ["backend", "go"], ".java": ["backend", "java"], ".kt": ["backend", "kotlin"], ".rb": ["backend", "ruby"], ".ts": ["backend", "typescript"], ".js": ["backend", "javascript"],
+    ".sql": ["database", "query"], ".prisma": ["database", "orm"], ".proto": ["api", "grpc"], ".graphql": ["api", "graphql"], ".yaml": ["config", "infrastructure"], ".yml": ["config", "infrastructure"], ".toml": ["config"], ".json": ["config", "data"],
+    ".tf": ["infrastructure", "terraform"], ".dockerfile": ["infrastructure", "docker"], ".md": ["documentation"], ".test.py": ["test", "backend"], ".test.ts": ["test", "frontend"], ".test.tsx": ["test", "frontend"], ".spec.ts": ["test", "frontend"], ".spec.tsx": ["test", "frontend"],
+}
+FOLDER_TAGS = {
+    "api": "api", "rest": "api", "graphql": "graphql", "auth": "auth", "security": "security", "test": "test", "tests": "test", "__tests__": "test", "deploy": "deploy", "infra": "infrastructure", "docker": "docker", "ci": "ci-cd", "config": "config", "settings": "config",
+    "ui": "ui", "frontend": "frontend", "components": "ui", "core": "core", "engine": "engine", "db": "database", "models": "database", "migration": "database", "seed": "database", "docs": "documentation", "scripts": "tooling", "cli": "cli",
+}
+
+
+def path_tags(path: Column) -> Column:
+    """Tags of the longest name ending that fits and of the folders, five at most."""
+    low, by_end = F.lower(path), None
+    for end in sorted(END_TAGS, key=lambda e: (-len(e), e)):
+        tags = F.array(*map(F.lit, END_TAGS[end]))
+        by_end = F.when(low.endswith(end), tags) if by_end is None else by_end.when(low.endswith(end), tags)
+    folder = F.create_map(*(F.lit(x) for kv in FOLDER_TAGS.items() for x in kv))
+    by_folder = F.filter(F.transform(F.split(low, "/"), lambda s: F.element_at(folder, s)), lambda x: x.isNotNull())
+    return F.slice(F.array_distinct(F.concat(by_end.otherwise(F.array().cast("array<string>")), by_folder)), 1, 5)
+
+
+@F.pandas_udf("string")
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def normalised(df: DataFrame, id_col: str) -> DataFrame:
+    """Compatibility forms folded; no built-in function does it."""
+    return df.select(id_col, _nfkc("text").alias("text"))
+
+
+def mentions(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, path) of the known paths that a text names, in backticks, links or bare."""
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"((?:[\w.@-]+/)+[\w.-]+\.\w{1,5})"), F.lit(1)))
+    return docs.select("doc_id", F.explode(found).alias("path")).join(known, "path", "left_semi").select("doc_id", "path")
+
+
+def mention_windows(docs: DataFrame, needle: str, around: int) -> DataFrame:
+    """The lines around the first that holds the needle: sliced from the row's own array, no join."""
+    lines = F.split("text", "\n")
+    at = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(F.contains(x, F.lit(needle)), i)), lambda x: x.isNotNull()))
+    part = F.slice(lines, F.greatest(at - around, F.lit(0)) + 1, at + around + 1 - F.greatest(at - around, F.lit(0)))
+    return docs.withColumn("excerpt", F.array_join(part, "\n")).where("excerpt IS NOT NULL").select("doc_id", "excerpt")
+
+
+def symbol_codes(files: DataFrame) -> DataFrame:
+    """A short code for each path; those that share one are numbered in path order."""
+    coded = files.withColumn("base", tx.stem_code(F.col("path"))).withColumn("__r", F.row_number().over(W.partitionBy("base").orderBy("path")))
+    return coded.select("path", F.concat("base", F.when(F.col("__r") > 1, F.col("__r").cast("string")).otherwise("")).alias("code"))
+
+
+def compressed(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """Texts with the known paths that they name replaced by codes: each text meets only its own paths."""
+    codes = symbol_codes(files)
+    own = mentions(docs, files).join(codes, "path").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("path")).alias("k"), "path", "code"))).alias("codes"))
+    joined = docs.join(own, "doc_id", "left")
+    text = F.aggregate(F.coalesce("codes", F.array().cast("array<struct<k:int,path:string,code:string>>")), F.col("text"), lambda acc, x: F.replace(acc, x["path"], x["code"]))
+    return joined.select("doc_id", text.alias("text"))
