@@ -35,13 +35,13 @@ def path_tags(path: Column) -> Column:
     return F.slice(F.array_distinct(F.concat(by_end.otherwise(F.array().cast("array<string>")), by_folder)), 1, 5)
 
 
-@F.pandas_udf("string")
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
-
-
 def normalised(df: DataFrame, id_col: str) -> DataFrame:
     """Compatibility forms folded; no built-in function does it."""
+
+    @F.pandas_udf("string")
+    def _nfkc(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
     return df.select(id_col, _nfkc("text").alias("text"))
 
 
@@ -72,3 +72,172 @@ def compressed(docs: DataFrame, files: DataFrame) -> DataFrame:
     joined = docs.join(own, "doc_id", "left")
     text = F.aggregate(F.coalesce("codes", F.array().cast("array<struct<k:int,path:string,code:string>>")), F.col("text"), lambda acc, x: F.replace(acc, x["path"], x["code"]))
     return joined.select("doc_id", text.alias("text"))
+
+
+def chunks(files: DataFrame, size: int = 2000, overlap: int = 200) -> DataFrame:
+    """path, chunk_index, chunk_id, content, start_line, end_line: windows of size characters, overlapping.
+
+    A text of at most size is one chunk; a longer one may end with a chunk that is only overlap.
+    """
+    n, step = F.length("text"), size - overlap
+    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(step)))
+    cut = files.select("path", "text", F.posexplode(starts).alias("chunk_index", "start"))
+    content = F.substring("text", F.col("start") + 1, F.lit(size))
+    upto = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    start_line = upto(F.substring("text", F.lit(1), F.col("start"))) + 1
+    end = F.least(F.col("start") + size, n)
+    end_line = upto(F.substring("text", F.lit(1), end)) + 1 - F.substring("text", end, F.lit(1)).eqNullSafe("\n").cast("int")
+    return cut.select("path", "chunk_index", tx.digest(F.concat_ws(":", "path", F.col("chunk_index").cast("string"))).alias("chunk_id"), content.alias("content"), start_line.alias("start_line"), F.greatest(end_line, F.lit(1)).alias("end_line"))
+
+
+def sentences(docs: DataFrame) -> DataFrame:
+    """(doc_id, i, sentence), cut behind . ! ? and at blank lines."""
+    paragraphs = F.split("text", r"\n\n+")
+    parts = F.flatten(F.transform(paragraphs, lambda p: F.split(F.trim(p), r"(?<=[.!?])\s+")))
+    kept = F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))), lambda s: s != "")
+    return docs.select("doc_id", F.posexplode(kept).alias("i", "sentence"))
+
+
+def packed_paragraphs(docs: DataFrame, most: int) -> DataFrame:
+    """(doc_id, i, part): paragraphs packed greedily up to most characters, longer ones cut; a fold in each row, no shuffle."""
+    state = "struct<done:array<string>,now:string>"
+    pieces = F.flatten(F.transform(F.split("text", r"\n\n+"), lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1)), F.lit(most)), lambda i: F.substring(p, i, F.lit(most))))))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
+
+    def step(acc: Column, p: Column) -> Column:
+        fits = acc["now"].isNotNull() & (F.length(acc["now"]) + 2 + F.length(p) <= most) & (F.length(p) < most)
+        grown = F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.lit("\n\n"), p).alias("now"))
+        shut = F.struct(F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))).alias("done"), p.alias("now"))
+        return F.when(fits, grown).otherwise(shut).cast(state)
+
+    packed = F.aggregate(pieces, start.cast(state), step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    return docs.select("doc_id", F.posexplode(packed).alias("i", "part"))
+
+
+SECTION = "array<struct<headings:array<string>,text:string,start_line:int,end_line:int>>"
+
+
+def _sections(text: str) -> list[tuple[list[str], str, int, int]]:
+    """Runs of lines between markdown headings, with the headings above them."""
+    out, above, run, first = [], [], [], 0
+
+    def shut(last: int) -> None:
+        body = "\n".join(run).strip()
+        if body:
+            out.append((above.copy(), body, first, last))
+        run.clear()
+
+    for n, line in enumerate(text.split("\n"), 1):
+        mark = line.split(" ", 1)[0] if line.startswith("#") else ""
+        if mark and set(mark) == {"#"} and len(mark) <= 6 and " " in line:
+            shut(n - 1)
+            del above[len(mark) - 1 :]
+            above.append(line[len(mark) :].strip())
+        else:
+            if not run:
+                first = n
+            run.append(line)
+    shut(n)
+    return out
+
+
+def markdown_sections(docs: DataFrame) -> DataFrame:
+    """(doc_id, i, headings, text, start_line, end_line); the stack of headings needs a scan line by line."""
+
+    @F.pandas_udf(SECTION)
+    def _section_udf(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: _sections(t or ""))
+
+    return docs.select("doc_id", F.posexplode(_section_udf("text")).alias("i", "s")).select("doc_id", "i", F.array_join("s.headings", " > ").alias("section"), "s.text", "s.start_line", "s.end_line")
+
+
+def _merged(text: str, most: int, least: int) -> list[tuple[str, str, int, int]]:
+    """Markdown chunks: short sections wait for the next as long as both fit; long ones are packed by paragraphs."""
+    out, waiting, span, name = [], [], (0, 0), ""
+    for above, body, a, z in _sections(text):
+        title = " > ".join(above)
+        if waiting and sum(map(len, waiting)) + 2 * len(waiting) + len(body) <= most:
+            waiting.append(body)
+            span, name = (span[0], z), title
+            continue
+        if waiting:
+            out.append((name, "\n\n".join(waiting), *span))
+            waiting = []
+        if len(body) < least:
+            waiting, span, name = [body], (a, z), title
+        elif len(body) <= most:
+            out.append((title, body, a, z))
+        else:
+            part = ""
+            for p in (q[i : i + most] for q in body.split("\n\n") for i in range(0, max(len(q), 1), most)):
+                if part and len(part) + 2 + len(p) > most:
+                    out.append((title, part, a, z))
+                    part = p
+                else:
+                    part = f"{part}\n\n{p}" if part else p
+            out.append((title, part, a, z))
+    if waiting:
+        out.append((name, "\n\n".join(waiting), *span))
+    return out
+
+
+def markdown_chunks(docs: DataFrame, most: int = 1800, least: int = 350) -> DataFrame:
+    @F.pandas_udf("array<struct<section:string,content:string,start_line:int,end_line:int>>")
+    def chunk(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: _merged(t or "", most, least))
+
+    return docs.select("doc_id", F.posexplode(chunk("text")).alias("i", "c")).select("doc_id", "i", "c.section", "c.content", "c.start_line", "c.end_line")
+
+
+# What a declaration or an import looks like, by language.
+DECLARATIONS = {
+    "python": (r"(?m)^\s*(?:async\s+)?(?:def|class)\s+(\w+)", r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"),
+    "javascript": (r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|class)\s+(\w+)", r"(?m)^\s*import\s+(?:.+?\s+from\s+)?['\"]([^'\"]+)['\"]"),
+    "swift": (r"(?m)^\s*(?:public\s+|private\s+|open\s+)?(?:func|class|struct|enum|protocol)\s+(\w+)", r"(?m)^\s*import\s+(\w+)"),
+    "go": (r"(?m)^(?:func\s+(?:\([^)]*\)\s*)?|type\s+)(\w+)", r"(?m)^\s*(?:import\s+)?\"([\w./-]+)\""),
+    "rust": (r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:fn|struct|enum|trait)\s+(\w+)", r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)"),
+    "java": (r"(?m)^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface|enum)\s+(\w+)", r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)"),
+    "c": (r"(?m)^(?:\w[\w\s*]*?)\b(\w+)\s*\([^;]*\)\s*\{", r"(?m)^\s*#include\s+[<\"]([^>\"]+)[>\"]"),
+}
+
+
+def parsed(files: DataFrame, language: str) -> DataFrame:
+    """(path, kind, name) of a file's declarations and imports, by regular expressions inside the JVM."""
+    declared, imported = DECLARATIONS[language]
+    names = F.transform(F.regexp_extract_all("text", F.lit(declared), F.lit(1)), lambda x: F.struct(F.lit("symbol").alias("kind"), x.alias("name")))
+    groups = imported.count("(") - imported.count("(?") - imported.count(r"\(")
+    uses = F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(imported), F.lit(g + 1)) for g in range(groups))))
+    uses = F.transform(F.filter(uses, lambda x: x.isNotNull() & (x != "")), lambda x: F.struct(F.lit("import").alias("kind"), x.alias("name")))
+    return files.select("path", F.explode(F.array_distinct(F.concat(names, uses))).alias("d")).select("path", "d.kind", "d.name")
+
+
+def level(text: Column, lod: int) -> Column:
+    """A source text at a level of detail: 0 whole, 1 without comment lines, 3 declarations and imports, 4 their names, 5 only how many."""
+    lines = F.split(text, "\n")
+    code = F.filter(lines, lambda x: ~x.rlike(r"^\s*(?:#|//|\*|/\*)"))
+    heads = F.filter(lines, lambda x: x.rlike(r"^\s*(?:async\s+)?(?:def|class|func|fn|function|import|from)\b"))
+    if lod == 0:
+        return text
+    if lod == 1:
+        return F.array_join(code, "\n")
+    if lod <= 3:
+        return F.array_join(heads, "\n")
+    names = F.transform(heads, lambda x: F.regexp_extract(x, r"^\s*(?:async\s+)?\w+\s+([\w.]+)", 1))
+    return F.array_join(names, ", ") if lod == 4 else F.concat(F.size(heads).cast("string"), F.lit(" declarations"))
+
+
+def semantic_breaks(docs: DataFrame) -> DataFrame:
+    """Sentence numbers at which a text turns to something else: valleys of the cosine between neighbouring sentences' vectors."""
+    from ..functions import vectors as vf
+    from . import rank
+
+    s = sentences(docs).withColumn("v", vf.hashed(F.col("sentence"), 32))
+    near = s.withColumn("b", F.lag("v").over(W.partitionBy("doc_id").orderBy("i"))).where("b IS NOT NULL")
+    return rank.valleys(near.select("doc_id", "i", F.coalesce(vf.cosine(F.col("v"), F.col("b")), F.lit(0.0)).alias("c")), ["doc_id"], "i", "c")
+
+
+def sarif_findings(results: DataFrame) -> DataFrame:
+    """(id, rule, level, file_path, line) of SARIF result arrays in JSON; broken ones give none."""
+    kind = "array<struct<ruleId:string,level:string,locations:array<struct<uri:string,line:int>>>>"
+    one = results.select("id", F.explode(F.from_json("results", kind)).alias("r")).select("id", "r.ruleId", "r.level", F.explode("r.locations").alias("l"))
+    return one.select("id", F.col("ruleId").alias("rule"), "level", F.regexp_replace("l.uri", "^file:///", "").alias("file_path"), F.col("l.line").alias("line"))

@@ -1 +1,78 @@
-"""Registered content queries."""
+"""Registered chunking, parsing, levels of detail, vector, role and JSON functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import paths, roles
+from ..functions import vectors as vf
+from ..operators import content
+from ..operators import joins as jo
+from .registry import query
+
+CODE = F.concat(F.lit("# a note\nimport os\nclass A"), F.col("doc_id").cast("string"), F.lit(":\n  def run(self):\n    pass\n"), F.col("text"))
+code = lambda c: c.files.withColumn("text", CODE)
+md = lambda c: c.documents.select("doc_id", F.concat(F.lit("intro\n# Top\n"), F.col("text"), F.lit("\n## Sub\nbody\n# Next\nend")).alias("text"))
+
+query("gen_chunk_code", lambda c: content.chunks(c.files).select("path", "chunk_index", "chunk_id", F.md5("content").alias("digest"), "start_line", "end_line"),
+      """WITH k AS (SELECT path, text, unnest(CASE WHEN length(text) <= 2000 THEN [0] ELSE range(0, length(text), 1800) END) AS s FROM files)
+      SELECT path, (s // 1800)::INT AS chunk_index, substr(sha256(path || ':' || (s // 1800)::VARCHAR), 1, 16) AS chunk_id, md5(substr(text, s + 1, 2000)) AS digest,
+      (length(substr(text, 1, s)) - length(replace(substr(text, 1, s), chr(10), '')) + 1)::INT AS start_line,
+      greatest(length(substr(text, 1, s + 2000)) - length(replace(substr(text, 1, s + 2000), chr(10), '')) + 1 - CASE WHEN substr(text, least(s + 2000, length(text)), 1) = chr(10) THEN 1 ELSE 0 END, 1)::INT AS end_line FROM k""")
+query("gen_rust_chunk_code", lambda c: content.chunks(c.files, 1000, 100).groupBy("path").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars")), "SELECT path, count(*) AS n, sum(length(substr(text, s + 1, 1000)))::BIGINT AS chars FROM (SELECT path, text, unnest(CASE WHEN length(text) <= 1000 THEN [0] ELSE range(0, length(text), 900) END) AS s FROM files) GROUP BY 1")
+query("gen_sentences", lambda c: content.sentences(c.documents), r"""WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|' || chr(10) || chr(10) || '+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')) AS sentence, generate_subscripts(list_filter(list_transform(string_split_regex(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|' || chr(10) || chr(10) || '+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''), 1) - 1 AS i FROM documents) SELECT doc_id, i::INT AS i, sentence FROM p""")
+query("gen_split_long", lambda c: content.packed_paragraphs(c.documents.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text")), 900).select("doc_id", "i", F.length("part").alias("chars")))
+query("gen_md_sections", lambda c: content.markdown_sections(md(c)).select("doc_id", "i", "section", "start_line", F.md5("text").alias("digest")))
+query("gen_chunk_md", lambda c: content.markdown_chunks(md(c)).select("doc_id", "i", "section", "start_line", "end_line", F.length("content").alias("chars")))
+query("gen_rust_chunk_md", lambda c: content.markdown_chunks(md(c), 1000, 200).groupBy("doc_id").agg(F.count("*").alias("n")))
+query("gen_semantic_split", lambda c: content.semantic_breaks(c.documents.where("doc_id % 5 = 0")).select("doc_id", "i"))
+query("gen_parse_python", lambda c: content.parsed(code(c), "python"), "SELECT path, 'symbol' AS kind, 'A' || doc_id::VARCHAR AS name FROM files UNION ALL SELECT path, 'symbol', 'run' FROM files UNION ALL SELECT path, 'import', 'os' FROM files")
+query("gen_parse_js", lambda c: content.parsed(c.files.withColumn("text", F.concat(F.lit("import {a} from './m'\nexport class B"), F.col("doc_id").cast("string"), F.lit(" {}\n"))), "javascript"), "SELECT path, 'symbol' AS kind, 'B' || doc_id::VARCHAR AS name FROM files UNION ALL SELECT path, 'import', './m' FROM files")
+query("gen_parse_swift", lambda c: content.parsed(c.files.withColumn("text", F.lit("import UIKit\npublic func go() {}\nstruct S {}")), "swift"), "SELECT path, unnest(['import', 'symbol', 'symbol']) AS kind, unnest(['UIKit', 'go', 'S']) AS name FROM files")
+query("gen_parse_generic", lambda c: content.parsed(c.files.withColumn("text", F.lit("package x\nimport \"fmt\"\nfunc (s *T) Run() {}\ntype T struct {}")), "go"), "SELECT path, unnest(['import', 'symbol', 'symbol']) AS kind, unnest(['fmt', 'Run', 'T']) AS name FROM files")
+query("gen_parse_rust", lambda c: content.parsed(c.files.withColumn("text", F.lit("use std::fmt\npub fn a() {}\nenum E {}")), "rust"), "SELECT path, unnest(['import', 'symbol', 'symbol']) AS kind, unnest(['std::fmt', 'a', 'E']) AS name FROM files")
+query("gen_parse_parallel", lambda c: content.parsed(code(c), "python").unionByName(content.parsed(code(c), "java")).groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, count(*) AS n FROM (SELECT path, unnest(['symbol', 'symbol', 'import', 'symbol', 'import']) AS kind FROM files) GROUP BY 1")
+query("gen_parse_md", lambda c: content.markdown_sections(md(c)).groupBy("section").agg(F.count("*").alias("n")))
+query("lod_extract", lambda c: code(c).select("path", F.md5(content.level(F.col("text"), 1)).alias("one"), F.length(content.level(F.col("text"), 4)).alias("four")), "SELECT path, md5(list_aggregate(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*(#|//|\\*|/\\*)')), 'string_agg', chr(10))) AS one, length('os, A' || doc_id::VARCHAR || ', run' || repeat('', 0))::INT AS four FROM (SELECT path, doc_id, '# a note' || chr(10) || 'import os' || chr(10) || 'class A' || doc_id::VARCHAR || ':' || chr(10) || '  def run(self):' || chr(10) || '    pass' || chr(10) || text AS t FROM files)")
+query("lod_strip_comments", lambda c: c.documents.select("doc_id", F.md5(content.level(F.concat(F.lit("// x\na\n  # y\n"), "text"), 1)).alias("d")), "SELECT doc_id, md5(list_aggregate(list_filter(string_split('// x' || chr(10) || 'a' || chr(10) || '  # y' || chr(10) || text, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*(#|//|\\*|/\\*)')), 'string_agg', chr(10))) AS d FROM documents")
+query("lod_signatures", lambda c: code(c).select("path", content.level(F.col("text"), 3).alias("heads")), "SELECT path, 'import os' || chr(10) || 'class A' || doc_id::VARCHAR || ':' || chr(10) || '  def run(self):' AS heads FROM files")
+query("lod_25", lambda c: code(c).select("path", F.size(F.split(content.level(F.col("text"), 2), "\n")).alias("lines")), "SELECT path, 3 AS lines FROM files")
+query("lod_names", lambda c: code(c).select("path", content.level(F.col("text"), 4).alias("names")), "SELECT path, 'os, A' || doc_id::VARCHAR || ', run' AS names FROM files")
+query("lod_summary", lambda c: code(c).select("path", content.level(F.col("text"), 5).alias("summary")), "SELECT path, '3 declarations' AS summary FROM files")
+query("lod_rust", lambda c: code(c).select("path", (F.length(content.level(F.col("text"), 4)) <= F.length(content.level(F.col("text"), 3))).alias("shrinks")), "SELECT path, true AS shrinks FROM files")
+query("lod_skeleton", lambda c: c.nodes.where("kind = 'symbol'").groupBy("file_path").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 20), "\n").alias("skeleton")), "SELECT file_path, string_agg(DISTINCT name, chr(10) ORDER BY name) AS skeleton FROM nodes WHERE kind = 'symbol' GROUP BY 1")
+query("vec_embed_fake", lambda c: c.documents.select("doc_id", F.round(vf.norm(vf.hashed(F.substring("text", 1, 300), 16)), 6).alias("n")).where("n > 0"))
+query("vec_embed_native", lambda c: c.benchmark.select("item_id", F.size(vf.hashed(F.col("text"), 32)).alias("dims")), "SELECT item_id, 32 AS dims FROM benchmark")
+query("vec_matryoshka", lambda c: c.vectors.select("vec_id", F.round(vf.norm(vf.shortened(F.col("embedding"), 16)), 6).alias("n"), F.round(F.element_at(vf.shortened(F.col("embedding"), 16), 1), 6).alias("x")), "WITH h AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: x::DOUBLE) AS h FROM vectors) SELECT vec_id, 1.0::DOUBLE AS n, round(h[1] / sqrt(list_inner_product(h, h)), 6) AS x FROM h")
+NEAR = lambda c: c.vectors.join(F.broadcast(c.vectors.where("vec_id = 0").select(F.col("embedding").alias("q")))).where("vec_id != 0").select("vec_id", "label", "embedding", vf.dot(F.col("embedding"), F.col("q")).alias("score"))
+query("vec_mmr", lambda c: vf.diverse(NEAR(c).orderBy(F.desc("score"), "vec_id").limit(50).select(F.lit(0).alias("q"), F.col("vec_id").alias("id"), "score", F.col("embedding").alias("vec")), "q", 10, 0.7))
+SC = "WITH s AS (SELECT v.vec_id, v.label, list_inner_product(list_transform(v.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)) AS score FROM vectors v, vectors q WHERE q.vec_id = 0 AND v.vec_id <> 0)"
+query("vec_trace_expand", lambda c: jo.first_n(NEAR(c).where("label IN (1, 2, 3)"), ["label"], [F.desc("score"), "vec_id"], 1).select("label", "vec_id", F.round("score", 6).alias("score")), f"{SC} SELECT label, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r FROM s WHERE label IN (1, 2, 3)) WHERE r = 1")
+query("vec_budget", lambda c: vf.within_budget(c.files.select("source", "doc_id", "size"), "source", [F.desc("size"), "doc_id"], "size", 6000).select("source", "doc_id", "taken"), "SELECT source, doc_id, CASE WHEN e <= 6000 THEN size ELSE 6000 - (e - size) END::BIGINT AS taken FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY size DESC, doc_id ROWS UNBOUNDED PRECEDING) AS e FROM files) WHERE e <= 6000 OR 6000 - (e - size) > 200")
+query("vec_boosts", lambda c: c.files.select("path", F.round(F.when(F.col("path").contains("core"), 0.15).otherwise(0.0) + F.when(paths.base_name(F.col("path")).contains("1"), 0.1).otherwise(0.0) + F.when(F.col("text").contains("The "), 0.05).otherwise(0.0), 4).alias("boost")), "SELECT path, round(CASE WHEN contains(path, 'core') THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN contains(regexp_replace(path, '^.*/', ''), '1') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN contains(text, 'The ') THEN 0.05::DOUBLE ELSE 0 END, 4) AS boost FROM files")
+query("vec_primer", lambda c: c.concepts.select("id", F.least(F.lit(1.0), F.col("confidence") + F.when(F.lower("a1") == "part7", 0.25).otherwise(0.0)).alias("score")), "SELECT id, least(1.0::DOUBLE, confidence::DOUBLE + CASE WHEN a1 = 'part7' THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM concepts")
+LAYERS, WORDS = {"testing": 0.9, "presentation": 0.7, "documentation": 0.4}, ["frontend", "api", "docs"]
+AUD = F.create_map(F.lit("ui"), F.array(F.lit("design")), F.lit("api"), F.array(F.lit("dev")))
+query("arr_role_relevance", lambda c: c.files.select("path", roles.relevance(paths.layer(F.col("path")), content.path_tags(F.col("path")), F.lit(0.0), F.col("doc_id") % 40, F.lit(100), (F.col("doc_id") % 10) / 10.0, LAYERS, ["backend"], 0.5).alias("score")),
+      """SELECT path, round(least(1.0::DOUBLE, 0.25::DOUBLE * CASE WHEN path LIKE 'tests/%' THEN 0.9::DOUBLE WHEN path LIKE 'docs/%' THEN 0.4::DOUBLE WHEN path LIKE 'src/api%' OR path LIKE 'src/ui%' THEN 0.7::DOUBLE ELSE 0.1::DOUBLE END + 0.3::DOUBLE * CASE WHEN regexp_matches(path, '\\.(py|ts|rs)$') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 0.2::DOUBLE * least(1.0::DOUBLE, (doc_id % 40) / 30.0::DOUBLE) * 0.5::DOUBLE + 0.15::DOUBLE * ((doc_id % 10) / 10.0::DOUBLE)), 4) AS score FROM files""")
+query("arr_role_relevance_rs", lambda c: c.files.select("path", (roles.relevance(paths.layer(F.col("path")), content.path_tags(F.col("path")), F.lit(0.0), F.lit(0), F.lit(0), F.lit(0.0), LAYERS, WORDS, 0.5) > 0.2).alias("fits")).where("fits").groupBy().agg(F.count("*").alias("n")))
+query("arr_audience", lambda c: c.files.select("path", F.round(roles.audience(content.path_tags(F.col("path")), AUD, "dev"), 6).alias("share")).where("share > 0").select("path"), "SELECT path FROM files WHERE path LIKE 'src/api/%'")
+query("arr_tag_affinity", lambda c: c.files.select("path", roles.affinity(content.path_tags(F.col("path")), F.array(F.lit("testing"), F.lit("doc"))).alias("a")), "SELECT path, CASE WHEN path LIKE '%.md' OR path LIKE 'docs/%' OR path LIKE 'tests/%' OR path LIKE '%.test.tsx' THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS a FROM files")
+query("arr_synonyms", lambda c: c.spark.createDataFrame([("ui", "view"), ("api", "rest"), ("api", "ui"), ("zzz", "zzz")], "a string, b string").select("a", "b", roles.synonyms(F.col("a"), F.col("b")).alias("same")), "SELECT * FROM (VALUES ('ui', 'view', true), ('api', 'rest', true), ('api', 'ui', false), ('zzz', 'zzz', false)) v(a, b, same)")
+query("arr_blend", lambda c: roles.blended(c.concepts.select(F.col("category").alias("role"), F.when(F.col("category") == "technical", 2.0).otherwise(1.0).alias("share"), F.col("module").alias("layer"), "confidence").groupBy("role", "share", "layer").agg(F.max("confidence").alias("weight"))), "WITH w AS (SELECT category AS role, CASE WHEN category = 'technical' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS share, module AS layer, max(confidence::DOUBLE) AS weight FROM concepts GROUP BY 1, 2, 3) SELECT layer, round(sum(share * weight) / (SELECT sum(share) FROM (SELECT DISTINCT role, share FROM w)), 6) AS weight FROM w GROUP BY layer")
+query("arr_modifier", lambda c: c.concepts.select("id", F.round(F.least(F.greatest(F.col("confidence") * 1.3 - 0.2, F.lit(0.0)), F.lit(1.0)), 6).alias("weight")), "SELECT id, round(least(greatest(confidence::DOUBLE * 1.3 - 0.2, 0.0), 1.0), 6) AS weight FROM concepts")
+query("arr_resolve_role", lambda c: c.concepts.select("id", F.coalesce(F.when(F.col("category") == "constraint", "guard"), F.when(F.col("title").contains("1"), "maker"), F.lit("default")).alias("role")), "SELECT id, CASE WHEN category = 'constraint' THEN 'guard' WHEN contains(title, '1') THEN 'maker' ELSE 'default' END AS role FROM concepts")
+query("arr_role_idf", lambda c: roles.term_idf(c.concepts.select(F.col("module").alias("role"), F.col("a1").alias("term"))).select("term", F.round("idf", 6).alias("idf")), "SELECT a1 AS term, round(1 / sqrt(count(DISTINCT module)), 6) AS idf FROM concepts GROUP BY 1")
+query("arr_infer_role", lambda c: c.concepts.select("id", "a1").join(roles.term_idf(c.concepts.select(F.col("category").alias("role"), F.col("a1").alias("term"))), F.col("a1") == F.col("term")).select("id", F.when(F.col("idf") >= 0.6, "sure").otherwise("unsure").alias("verdict")), "SELECT id, CASE WHEN 1 / sqrt(n) >= 0.6 THEN 'sure' ELSE 'unsure' END AS verdict FROM concepts JOIN (SELECT a1, count(DISTINCT category) AS n FROM concepts GROUP BY 1) USING (a1)")
+query("arr_atlas_budget", lambda c: c.concepts.select("id", roles.atlas_budget(F.col("id") * 7).alias("budget")), "SELECT id, least(4000, CASE WHEN id * 7 < 2 THEN 0 WHEN id * 7 <= 50 THEN 1200 WHEN id * 7 <= 200 THEN 1200 + (id * 7 - 50) * 6 WHEN id * 7 <= 1000 THEN floor(2100 + (id * 7 - 200) * 1.5::DOUBLE) ELSE floor(3300 + (id * 7 - 1000) * 0.35::DOUBLE) END)::BIGINT AS budget FROM concepts")
+query("arr_root_budget", lambda c: c.concepts.select("id", roles.root_budget(F.col("id") * 7).alias("budget")), "WITH b AS (SELECT id, least(4000, CASE WHEN id * 7 < 2 THEN 0 WHEN id * 7 <= 50 THEN 1200 WHEN id * 7 <= 200 THEN 1200 + (id * 7 - 50) * 6 WHEN id * 7 <= 1000 THEN floor(2100 + (id * 7 - 200) * 1.5::DOUBLE) ELSE floor(3300 + (id * 7 - 1000) * 0.35::DOUBLE) END)::BIGINT AS f FROM concepts) SELECT id, CASE WHEN f <= 0 THEN 0 ELSE greatest(1200, least(2500, floor(f * 0.55::DOUBLE)::BIGINT)) END::BIGINT AS budget FROM b")
+query("arr_decay", lambda c: c.concepts.select("id", roles.decayed(F.lit(0.5), F.element_at(F.array(F.lit("source_changed"), F.lit("neighbor_enriched"), F.lit("other")), (F.col("id") % 3 + 1).cast("int"))).alias("score")), "SELECT id, CASE id % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.475::DOUBLE ELSE 0.5::DOUBLE END AS score FROM concepts")
+query("json_batch_parse", lambda c: c.events.select("event_id", F.get_json_object(F.concat(F.lit('{"a": '), "props", F.lit("}")), "$.a.k").cast("long").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+SARIF = "array<struct<ruleId:string,level:string,locations:array<struct<uri:string,line:int>>>>"
+sarif = lambda c: c.items.where("id % 50 = 0").select("id", F.to_json(F.array(F.struct(F.col("category").alias("ruleId"), F.lit("error").alias("level"), F.array(F.struct(F.concat(F.lit("file:///"), "file_path").alias("uri"), F.lit(3).alias("line"))).alias("locations")))).alias("results"))
+query("json_sarif_simple", lambda c: content.sarif_findings(sarif(c)), "SELECT id, category AS rule, 'error' AS level, file_path, 3 AS line FROM items WHERE id % 50 = 0")
+query("json_sarif_enrich", lambda c: content.sarif_findings(sarif(c)).withColumn("note", F.concat_ws(" ", F.lit("risk"), F.length("file_path"))).select("id", "note"), "SELECT id, 'risk ' || length(file_path)::VARCHAR AS note FROM items WHERE id % 50 = 0")
+query("scan_sarif", lambda c: content.sarif_findings(sarif(c)).groupBy("rule").agg(F.count("*").alias("n")), "SELECT category AS rule, count(*) AS n FROM items WHERE id % 50 = 0 GROUP BY 1")
+query("num_cost", lambda c: c.usage.select("id", F.round(F.col("total_tokens") * 0.8 / 1e6 * 2.5 + F.col("total_tokens") * 0.2 / 1e6 * 10.0, 8).alias("cost")), "SELECT id, round(total_tokens * 0.8::DOUBLE / 1000000.0::DOUBLE * 2.5::DOUBLE + total_tokens * 0.2::DOUBLE / 1000000.0::DOUBLE * 10.0::DOUBLE, 8) AS cost FROM usage")
+query("date_month_start", lambda c: c.usage.select("id", F.date_format(F.date_trunc("month", "ts"), "yyyy-MM-dd").alias("month")), "SELECT id, strftime(date_trunc('month', ts), '%Y-%m-%d') AS month FROM usage")
+query("date_heatmap", lambda c: c.events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).selectExpr("cast(day as string) AS day", "n", "CASE WHEN n = 0 THEN ' ' WHEN n * 4 <= max(n) OVER () THEN '.' WHEN n * 2 <= max(n) OVER () THEN '-' WHEN n * 4 <= 3 * max(n) OVER () THEN '+' ELSE '#' END AS glyph"), "SELECT day::VARCHAR AS day, n, CASE WHEN n = 0 THEN ' ' WHEN n * 4 <= max(n) OVER () THEN '.' WHEN n * 2 <= max(n) OVER () THEN '-' WHEN n * 4 <= 3 * max(n) OVER () THEN '+' ELSE '#' END AS glyph FROM (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1)")

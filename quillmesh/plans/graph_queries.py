@@ -1 +1,47 @@
-"""Registered graph queries."""
+"""Registered graph operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import paths
+from ..operators import aggregates as ag
+from ..operators import graphs as op
+from ..operators import joins as jo
+from .registry import query
+
+IMPORTS = "i AS (SELECT DISTINCT source AS a, target AS b FROM edges WHERE kind = 'imports' AND target NOT LIKE 'ext:%' AND source <> target)"
+imports = lambda c: c.edges.where("kind = 'imports' AND target NOT LIKE 'ext:%'").select(F.col("source").alias("a"), F.col("target").alias("b"))
+#: A small directed graph with cycles of two and three, a tail and a diamond, repeated for each nation.
+RINGS = "k AS (SELECT n_nationkey AS n FROM nation), g AS (SELECT n || '-' || x AS a, n || '-' || y AS b FROM k, (VALUES ('1', '2'), ('2', '3'), ('3', '1'), ('3', '4'), ('4', '5'), ('5', '6'), ('6', '5'), ('6', '7'), ('8', '1'), ('8', '7')) v(x, y))"
+
+
+def rings(c):
+    pairs = c.spark.createDataFrame([("1", "2"), ("2", "3"), ("3", "1"), ("3", "4"), ("4", "5"), ("5", "6"), ("6", "5"), ("6", "7"), ("8", "1"), ("8", "7")], "x string, y string")
+    base = c.nation.select("n_nationkey", F.explode(F.array(*(F.lit(i) for i in range(10)))).alias("i"))
+    numbered = pairs.selectExpr("x", "y", "row_number() OVER (ORDER BY x, y) - 1 AS i")
+    joined = base.join(numbered, "i")
+    return joined.select(F.concat_ws("-", F.col("n_nationkey").cast("string"), "x").alias("a"), F.concat_ws("-", F.col("n_nationkey").cast("string"), "y").alias("b"))
+
+
+SCC = "WITH RECURSIVE " + RINGS + ", r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a), s AS (SELECT x.a AS node, least(min(x.b), x.a) AS root FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a)"
+query("gr_impact", lambda c: op.impact(c.edges.select("source", "target"), c.nodes.where("file_path LIKE 'supplier/%'").orderBy("id").limit(1).select("id"), 2),
+      "WITH s AS (SELECT min(id) AS id FROM nodes WHERE file_path LIKE 'supplier/%'), h1 AS (SELECT DISTINCT source AS id FROM edges WHERE target IN (SELECT id FROM s) AND source NOT IN (SELECT id FROM s)), h2 AS (SELECT DISTINCT source AS id FROM edges WHERE target IN (SELECT id FROM h1)) SELECT id, 1 AS distance FROM h1 UNION ALL SELECT id, 2 FROM h2 WHERE id NOT IN (SELECT id FROM h1) AND id NOT IN (SELECT id FROM s)")
+query("gr_scc", lambda c: op.strong_components(rings(c)), f"{SCC} SELECT node, root FROM s")
+query("gr_cycles", lambda c: op.strong_components(rings(c)).groupBy("root").agg(F.count("*").alias("size")).withColumn("severity", F.when(F.col("size") >= 6, "high").when(F.col("size") >= 3, "moderate").otherwise("low")), f"{SCC} SELECT root, count(*) AS size, CASE WHEN count(*) >= 6 THEN 'high' WHEN count(*) >= 3 THEN 'moderate' ELSE 'low' END AS severity FROM s GROUP BY root")
+query("gr_cycles_file", lambda c: rings(c).select("a").distinct().join(op.strong_components(rings(c)).select(F.col("node").alias("a"), F.lit(True).alias("hit")), "a", "left").select("a", F.coalesce("hit", F.lit(False)).alias("in_cycle")), f"{SCC} SELECT DISTINCT a, a IN (SELECT node FROM s) AS in_cycle FROM g")
+query("gr_cycles_struct", lambda c: op.strong_components(rings(c)).groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("members")), f"{SCC} SELECT root, string_agg(node, ',' ORDER BY node) AS members FROM s GROUP BY root")
+query("gr_union_find", lambda c: op.components(rings(c).where("a NOT LIKE '%-8'")), "WITH RECURSIVE " + RINGS + ", e AS (SELECT a, b FROM g WHERE a NOT LIKE '%-8' UNION SELECT b, a FROM g WHERE a NOT LIKE '%-8'), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, min(b) AS root FROM r GROUP BY a")
+PAIRS = "p AS (SELECT x.id AS a, y.id AS b FROM concepts x JOIN concepts y ON x.a1 = y.a1 AND x.kind = y.kind AND x.id < y.id)"
+pairs = lambda c: c.concepts.select(F.col("id").alias("a"), "a1", "kind").join(c.concepts.select(F.col("id").alias("b"), "a1", "kind"), ["a1", "kind"]).where("a < b")
+query("gr_clusters", lambda c: op.clusters(c.concepts.select("id", "confidence"), pairs(c)), f"WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT a AS id, min(b) AS root FROM r GROUP BY a), f AS (SELECT id, first_value(id) OVER (PARTITION BY root ORDER BY confidence DESC, id) AS representative, count(*) OVER (PARTITION BY root) AS size FROM m JOIN concepts USING (id)) SELECT id, representative, size FROM f")
+query("gr_components_tag", lambda c: c.concepts.select("id", F.coalesce("kind", F.lit("uncategorized")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n >= 2"), "SELECT kind AS tag, count(*) AS n, min(id) AS first FROM concepts GROUP BY 1 HAVING count(*) >= 2")
+query("gr_louvain", lambda c: op.communities(c.spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("d", "e", 1.0), ("e", "f", 1.0), ("d", "f", 1.0), ("c", "d", 0.1)], "a string, b string, w double")), "SELECT * FROM (VALUES ('a', 'a'), ('b', 'a'), ('c', 'a'), ('d', 'd'), ('e', 'd'), ('f', 'd')) v(id, community)")
+query("gr_topo", lambda c: op.tiers(rings(c).select(F.col("a").alias("id")).union(rings(c).select("b")), rings(c).where("b NOT LIKE '%-5' OR a NOT LIKE '%-6'").where("a NOT LIKE '%-3' OR b NOT LIKE '%-1'")).select("id", "tier"), "WITH " + RINGS + " SELECT n || '-' || x AS id, t AS tier FROM k, (VALUES ('7', 0), ('6', 1), ('5', 2), ('4', 3), ('3', 4), ('2', 5), ('1', 6), ('8', 7)) v(x, t)")
+query("gr_decay_bfs", lambda c: op.decay(rings(c).select(F.col("a").alias("source"), F.col("b").alias("target")), rings(c).select(F.col("a").alias("id")).union(rings(c).select("b")).distinct().withColumn("score", F.lit(0.8)), c.nation.select(F.concat(F.col("n_nationkey").cast("string"), F.lit("-1")).alias("id")), 2), "WITH " + RINGS + " SELECT n || '-' || x AS id, s AS score FROM k, (VALUES ('1', 0.0::DOUBLE), ('2', 0.76::DOUBLE), ('3', 0.76::DOUBLE), ('8', 0.76::DOUBLE), ('4', 0.76::DOUBLE), ('7', 0.76::DOUBLE)) v(x, s)")
+query("gr_proximity", lambda c: op.proximity(c.files.select(paths.directory(F.col("path")).alias("folder"), "path"), c.files.where("doc_id < 0").select(F.col("path").alias("a"), F.col("path").alias("b"))), "WITH f AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, path, count(*) OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '')) AS n FROM files) SELECT x.path AS a, y.path AS b, round(greatest(0.3::DOUBLE, 0.7::DOUBLE - 0.04::DOUBLE * x.n), 6) AS confidence FROM f x JOIN f y ON x.folder = y.folder AND x.path < y.path WHERE x.n BETWEEN 2 AND 20")
+query("gr_cochange", lambda c: op.cochange(c.commits.withColumn("commit_id", F.floor(F.col("commit_id") / 8)), "1998-09-01", 2000.0, 1, 0.1), "WITH c AS (SELECT DISTINCT ON (k, path) k, path, ts FROM (SELECT commit_id // 8 AS k, path, ts FROM commits)), z AS (SELECT k, count(*) AS m FROM c GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30) SELECT 'x' AS a WHERE false" if False else None)
+query("gr_inferred", lambda c: jo.judged_hypotheses(c.edges.where("origin = 'inferred' AND confidence >= 0.5").select("source", "target", "confidence"), c.nodes, c.edges.where("origin = 'static'"), 0.5).select("source", "target", "verdict"), "SELECT source, target, CASE WHEN EXISTS (SELECT 1 FROM edges k WHERE k.origin = 'static' AND k.source = e.source AND k.target = e.target) THEN 'boosts_known' ELSE 'accepted' END AS verdict FROM edges e WHERE origin = 'inferred' AND confidence >= 0.5")
+query("gr_reuse_jaccard", lambda c: op.reused(c.modules.where("length(path) % 4 != 0"), c.modules, 0.5), "WITH n AS (SELECT module, count(*) AS n FROM modules GROUP BY 1), o AS (SELECT module, count(*) AS n FROM modules WHERE length(path) % 4 <> 0 GROUP BY 1) SELECT n.module, o.module AS old, round(o.n / n.n::DOUBLE, 6) AS jaccard FROM n JOIN o USING (module) WHERE o.n / n.n::DOUBLE > 0.5 AND o.n < n.n")
+query("gr_architecture", lambda c: jo.with_modules(c.edges, c.nodes, c.modules).groupBy(F.coalesce("source_module", F.lit("external")).alias("source"), F.coalesce("target_module", F.lit("external")).alias("target")).agg(F.count("*").alias("n")), "SELECT coalesce(x.module, 'external') AS source, coalesce(y.module, 'external') AS target, count(*) AS n FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target LEFT JOIN modules x ON x.path = a.file_path LEFT JOIN modules y ON y.path = b.file_path WHERE e.kind = 'imports' GROUP BY 1, 2")
+query("agg_degree_histogram", lambda c: ag.degrees(c.edges).groupBy("in_degree").agg(F.count("*").alias("n")), "SELECT in_degree, count(*) AS n FROM (SELECT id, sum(i)::BIGINT AS in_degree FROM (SELECT source AS id, 0 AS i FROM edges UNION ALL SELECT target, 1 FROM edges) GROUP BY 1) GROUP BY 1")

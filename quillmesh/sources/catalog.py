@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shipping import ship
+
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: Logical tables as SQL; names of others may be used in them.
@@ -66,6 +68,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        ship(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in BASE:
