@@ -61,11 +61,16 @@ query("agg_large_files", lambda c: c.nodes.where("kind = 'file' AND size >= 4000
 query("agg_staleness", lambda c: c.files.where("doc_id % 9 = 0").select("path", F.lit("orphan").alias("kind")).join(c.files.where("doc_id % 2 = 0").select("path"), "path", "left_semi").unionByName(c.files.where("doc_id % 7 = 1").select("path", F.lit("gap").alias("kind")).join(c.files.where("doc_id % 2 = 0").select("path"), "path", "left_anti")), "SELECT path, 'orphan' AS kind FROM files WHERE doc_id % 9 = 0 AND doc_id % 2 = 0 UNION ALL SELECT path, 'gap' FROM files WHERE doc_id % 7 = 1 AND doc_id % 2 <> 0")
 query("agg_summary", lambda c: op.summary(c.items), "SELECT priority, category, source, analyzer, severity, count(*) AS n FROM items WHERE NOT dismissed GROUP BY GROUPING SETS ((priority), (category), (source), (analyzer), (severity))")
 GROUPED = "g AS (SELECT label, category, count(*) AS n, min(priority) AS p FROM k GROUP BY 1, 2) SELECT label, sum(n)::BIGINT AS n, min(p) AS priority, (SELECT category FROM g h WHERE h.label = g.label ORDER BY n DESC, category LIMIT 1) AS category FROM g GROUP BY label"
-label = F.when(F.col("category").isin("quality", "debt"), "Code Quality").otherwise(F.initcap("category"))
+
+
+def label():
+    return F.when(F.col("category").isin("quality", "debt"), "Code Quality").otherwise(F.initcap("category"))
+
+
 LABEL = "CASE WHEN category IN ('quality', 'debt') THEN 'Code Quality' ELSE upper(substr(category, 1, 1)) || substr(category, 2) END"
-query("agg_consolidate_cat", lambda c: op.consolidated(c.items, label), f"WITH k AS (SELECT *, {LABEL} AS label FROM items), {GROUPED}")
+query("agg_consolidate_cat", lambda c: op.consolidated(c.items, label()), f"WITH k AS (SELECT *, {LABEL} AS label FROM items), {GROUPED}")
 query("agg_consolidate_file", lambda c: op.by_root_file(c.items.where("id % 29 < 2")), f"WITH k AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY file_path) >= 2 THEN 'Improve: ' || replace(file_path, 'part/', '') ELSE category END AS label FROM items WHERE id % 29 < 2), {GROUPED}")
-query("agg_consolidate_sev", lambda c: op.consolidated(c.items, F.when(F.col("priority").isin("P0", "P1"), F.concat(F.lit("item-"), F.col("id").cast("string"))).otherwise(label)), f"WITH k AS (SELECT *, CASE WHEN priority IN ('P0', 'P1') THEN 'item-' || id::VARCHAR ELSE {LABEL} END AS label FROM items), {GROUPED}")
+query("agg_consolidate_sev", lambda c: op.consolidated(c.items, F.when(F.col("priority").isin("P0", "P1"), F.concat(F.lit("item-"), F.col("id").cast("string"))).otherwise(label())), f"WITH k AS (SELECT *, CASE WHEN priority IN ('P0', 'P1') THEN 'item-' || id::VARCHAR ELSE {LABEL} END AS label FROM items), {GROUPED}")
 query("agg_score_calibration", lambda c: op.node_scores(c.nodes.where("kind = 'file'").select("id", (F.col("size") % 1000 / 1000.0).alias("confidence"), (F.col("size") % 3 == 0).alias("validated"), (F.col("size") % 7).alias("refs")), c.edges, c.nodes.where("kind = 'file' AND size % 4000 = 0").select("id", (F.col("size") / 2000 % 5).cast("int").alias("depth"))),
       """WITH b AS (SELECT source AS s, target AS t FROM edges UNION SELECT target, source FROM edges), e AS (SELECT id, ((size / 2000) % 5)::INT AS depth FROM nodes WHERE kind = 'file' AND size % 4000 = 0),
       c3 AS (SELECT s AS id, count(e.id) / count(*)::DOUBLE AS c3 FROM b LEFT JOIN e ON e.id = b.t WHERE t LIKE 'file:%' GROUP BY 1)

@@ -10,8 +10,12 @@ from ..operators import content
 from ..operators import joins as jo
 from .registry import query
 
-CODE = F.concat(F.lit("# a note\nimport os\nclass A"), F.col("doc_id").cast("string"), F.lit(":\n  def run(self):\n    pass\n"), F.col("text"))
-code = lambda c: c.files.withColumn("text", CODE)
+
+def code_text():
+    return F.concat(F.lit("# a note\nimport os\nclass A"), F.col("doc_id").cast("string"), F.lit(":\n  def run(self):\n    pass\n"), F.col("text"))
+
+
+code = lambda c: c.files.withColumn("text", code_text())
 md = lambda c: c.documents.select("doc_id", F.concat(F.lit("intro\n# Top\n"), F.col("text"), F.lit("\n## Sub\nbody\n# Next\nend")).alias("text"))
 
 query("gen_chunk_code", lambda c: content.chunks(c.files).select("path", "chunk_index", "chunk_id", F.md5("content").alias("digest"), "start_line", "end_line"),
@@ -52,11 +56,16 @@ query("vec_budget", lambda c: vf.within_budget(c.files.select("source", "doc_id"
 query("vec_boosts", lambda c: c.files.select("path", F.round(F.when(F.col("path").contains("core"), 0.15).otherwise(0.0) + F.when(paths.base_name(F.col("path")).contains("1"), 0.1).otherwise(0.0) + F.when(F.col("text").contains("The "), 0.05).otherwise(0.0), 4).alias("boost")), "SELECT path, round(CASE WHEN contains(path, 'core') THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN contains(regexp_replace(path, '^.*/', ''), '1') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN contains(text, 'The ') THEN 0.05::DOUBLE ELSE 0 END, 4) AS boost FROM files")
 query("vec_primer", lambda c: c.concepts.select("id", F.least(F.lit(1.0), F.col("confidence") + F.when(F.lower("a1") == "part7", 0.25).otherwise(0.0)).alias("score")), "SELECT id, least(1.0::DOUBLE, confidence::DOUBLE + CASE WHEN a1 = 'part7' THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM concepts")
 LAYERS, WORDS = {"testing": 0.9, "presentation": 0.7, "documentation": 0.4}, ["frontend", "api", "docs"]
-AUD = F.create_map(F.lit("ui"), F.array(F.lit("design")), F.lit("api"), F.array(F.lit("dev")))
+
+
+def audiences():
+    return F.create_map(F.lit("ui"), F.array(F.lit("design")), F.lit("api"), F.array(F.lit("dev")))
+
+
 query("arr_role_relevance", lambda c: c.files.select("path", roles.relevance(paths.layer(F.col("path")), content.path_tags(F.col("path")), F.lit(0.0), F.col("doc_id") % 40, F.lit(100), (F.col("doc_id") % 10) / 10.0, LAYERS, ["backend"], 0.5).alias("score")),
       """SELECT path, round(least(1.0::DOUBLE, 0.25::DOUBLE * CASE WHEN path LIKE 'tests/%' THEN 0.9::DOUBLE WHEN path LIKE 'docs/%' THEN 0.4::DOUBLE WHEN path LIKE 'src/api%' OR path LIKE 'src/ui%' THEN 0.7::DOUBLE ELSE 0.1::DOUBLE END + 0.3::DOUBLE * CASE WHEN regexp_matches(path, '\\.(py|ts|rs)$') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 0.2::DOUBLE * least(1.0::DOUBLE, (doc_id % 40) / 30.0::DOUBLE) * 0.5::DOUBLE + 0.15::DOUBLE * ((doc_id % 10) / 10.0::DOUBLE)), 4) AS score FROM files""")
 query("arr_role_relevance_rs", lambda c: c.files.select("path", (roles.relevance(paths.layer(F.col("path")), content.path_tags(F.col("path")), F.lit(0.0), F.lit(0), F.lit(0), F.lit(0.0), LAYERS, WORDS, 0.5) > 0.2).alias("fits")).where("fits").groupBy().agg(F.count("*").alias("n")))
-query("arr_audience", lambda c: c.files.select("path", F.round(roles.audience(content.path_tags(F.col("path")), AUD, "dev"), 6).alias("share")).where("share > 0").select("path"), "SELECT path FROM files WHERE path LIKE 'src/api/%'")
+query("arr_audience", lambda c: c.files.select("path", F.round(roles.audience(content.path_tags(F.col("path")), audiences(), "dev"), 6).alias("share")).where("share > 0").select("path"), "SELECT path FROM files WHERE path LIKE 'src/api/%'")
 query("arr_tag_affinity", lambda c: c.files.select("path", roles.affinity(content.path_tags(F.col("path")), F.array(F.lit("testing"), F.lit("doc"))).alias("a")), "SELECT path, CASE WHEN path LIKE '%.md' OR path LIKE 'docs/%' OR path LIKE 'tests/%' OR path LIKE '%.test.tsx' THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS a FROM files")
 query("arr_synonyms", lambda c: c.spark.createDataFrame([("ui", "view"), ("api", "rest"), ("api", "ui"), ("zzz", "zzz")], "a string, b string").select("a", "b", roles.synonyms(F.col("a"), F.col("b")).alias("same")), "SELECT * FROM (VALUES ('ui', 'view', true), ('api', 'rest', true), ('api', 'ui', false), ('zzz', 'zzz', false)) v(a, b, same)")
 query("arr_blend", lambda c: roles.blended(c.concepts.select(F.col("category").alias("role"), F.when(F.col("category") == "technical", 2.0).otherwise(1.0).alias("share"), F.col("module").alias("layer"), "confidence").groupBy("role", "share", "layer").agg(F.max("confidence").alias("weight"))), "WITH w AS (SELECT category AS role, CASE WHEN category = 'technical' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS share, module AS layer, max(confidence::DOUBLE) AS weight FROM concepts GROUP BY 1, 2, 3) SELECT layer, round(sum(share * weight) / (SELECT sum(share) FROM (SELECT DISTINCT role, share FROM w)), 6) AS weight FROM w GROUP BY layer")

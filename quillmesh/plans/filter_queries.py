@@ -8,9 +8,7 @@ from ..functions import paths
 from ..operators import filters as op
 from .registry import query
 
-p = F.col("path")
-
-query("flt_glob_any", lambda c: c.files.where(paths.any_glob(p, ["**/*.py", "docs/**", "*.lock"])).select("doc_id", "path"),
+query("flt_glob_any", lambda c: c.files.where(paths.any_glob(F.col("path"), ["**/*.py", "docs/**", "*.lock"])).select("doc_id", "path"),
       r"SELECT doc_id, path FROM files WHERE path LIKE '%.py' OR path LIKE 'docs/%' OR path LIKE '%.lock'")
 query("flt_included", lambda c: op.by_globs(c.files, ["src/**"], ["**/*.lock", "**/test_*"]).select("doc_id", "path"),
       r"SELECT doc_id, path FROM files WHERE path LIKE 'src/%' AND path NOT LIKE '%.lock' AND NOT regexp_matches(path, '(^|/)test_[^/]*$')")
@@ -18,14 +16,14 @@ query("flt_relevant", lambda c: op.by_globs(c.files, ["*.ts", "**/*.rs"], ["node
       r"SELECT doc_id, path FROM files WHERE (path LIKE '%.ts' OR path LIKE '%.rs') AND path NOT LIKE 'node_modules/%'")
 query("flt_scope", lambda c: op.in_scopes(c.files, c.spark.createDataFrame([("src/core",), ("docs/src1",)], "scope string")).select("doc_id", "path"),
       r"SELECT doc_id, path FROM files WHERE path LIKE 'src/core/%' OR path = 'src/core' OR path LIKE 'docs/src1/%' OR path = 'docs/src1'")
-query("flt_scope_mask", lambda c: c.files.withColumn("label", F.coalesce(F.when(paths.under(p, F.lit("src/api")), "api"), F.when(paths.layer(p) == "testing", "role:testing"), F.lit("global"))).groupBy("label").agg(F.count("*").alias("n")),
+query("flt_scope_mask", lambda c: c.files.withColumn("label", F.coalesce(F.when(paths.under(F.col("path"), F.lit("src/api")), "api"), F.when(paths.layer(F.col("path")) == "testing", "role:testing"), F.lit("global"))).groupBy("label").agg(F.count("*").alias("n")),
       r"SELECT CASE WHEN path LIKE 'src/api/%' THEN 'api' WHEN path LIKE 'tests/%' THEN 'role:testing' ELSE 'global' END AS label, count(*) AS n FROM files GROUP BY 1")
 query("flt_dlp", lambda c: op.blocked(c.files.withColumn("path", F.upper("path")), ["**/*.LOCK", "Deploy/**"]).select("doc_id", "path"),
       r"SELECT doc_id, upper(path) AS path FROM files WHERE lower(path) LIKE '%.lock' OR path LIKE 'deploy/%'")
-query("flt_noise_churn", lambda c: c.files.where(~paths.noise(p)).select("doc_id", "path"),
+query("flt_noise_churn", lambda c: c.files.where(~paths.noise(F.col("path"))).select("doc_id", "path"),
       r"SELECT doc_id, path FROM files WHERE path NOT LIKE '%.lock' AND path NOT LIKE 'node_modules/%'")
 query("flt_generated", lambda c: c.files.where(paths.generated(F.regexp_replace("path", "^config/", "dist/"))).select("doc_id", "path"), "SELECT doc_id, path FROM files WHERE path LIKE 'config/%'")
-query("flt_test_file", lambda c: c.files.where(paths.test_file(p)).select("doc_id", "path"),
+query("flt_test_file", lambda c: c.files.where(paths.test_file(F.col("path"))).select("doc_id", "path"),
       r"SELECT doc_id, path FROM files WHERE path LIKE 'tests/%' OR regexp_matches(path, '/test_[^/]*$')")
 query("flt_opportunities", lambda c: op.opportunities(c.items, ["quality", "security"], ["audit", "roadmap"], "P1").select("id", "priority", "severity", "category"),
       "SELECT id, priority, severity, category FROM items WHERE NOT dismissed AND category IN ('quality', 'security') AND source IN ('audit', 'roadmap') AND priority IN ('P0', 'P1')")
@@ -35,11 +33,11 @@ query("flt_min_score", lambda c: c.concepts.where("confidence >= 0.6").orderBy(F
       "SELECT id, confidence::DOUBLE AS confidence FROM concepts WHERE p_score >= 0.6 ORDER BY confidence DESC, id LIMIT 25".replace("p_score", "confidence"))
 query("prj_node_normalize", lambda c: c.nodes.select("id", F.coalesce("name", F.lit("unnamed")).alias("name"), F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("language", F.lit("unknown")).alias("language")),
       "SELECT id, coalesce(name, 'unnamed') AS name, coalesce(size, 0) AS size, coalesce(language, 'unknown') AS language FROM nodes")
-query("prj_classify_path", lambda c: c.files.select("doc_id", paths.role(p).alias("role")),
+query("prj_classify_path", lambda c: c.files.select("doc_id", paths.role(F.col("path")).alias("role")),
       r"SELECT doc_id, CASE WHEN path LIKE 'tests/%' THEN 'tests' WHEN path LIKE 'docs/%' OR path LIKE '%.md' THEN 'docs' WHEN regexp_matches(path, '\.(py|ts|tsx|rs)$') OR path LIKE 'src/%' OR path LIKE '%/lib/%' THEN 'code' ELSE 'other' END AS role FROM files")
-query("prj_language", lambda c: c.files.select("doc_id", paths.language(p).alias("language")),
+query("prj_language", lambda c: c.files.select("doc_id", paths.language(F.col("path")).alias("language")),
       "SELECT doc_id, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts' OR path LIKE '%.tsx' THEN 'typescript' WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.rs' THEN 'rust' END AS language FROM files")
-query("prj_content_class", lambda c: c.files.select("doc_id", F.when(~p.endswith(".md"), "structured_code").when((F.regexp_count("text", F.lit(r"\.")) >= 3) & (F.size(F.split("text", "\n")) >= 5), "structured_docs").otherwise("unstructured_narrative").alias("class")),
+query("prj_content_class", lambda c: c.files.select("doc_id", F.when(~F.col("path").endswith(".md"), "structured_code").when((F.regexp_count("text", F.lit(r"\.")) >= 3) & (F.size(F.split("text", "\n")) >= 5), "structured_docs").otherwise("unstructured_narrative").alias("class")),
       r"SELECT doc_id, CASE WHEN path NOT LIKE '%.md' THEN 'structured_code' WHEN length(text) - length(replace(text, '.', '')) >= 3 AND length(text) - length(replace(text, chr(10), '')) >= 4 THEN 'structured_docs' ELSE 'unstructured_narrative' END AS class FROM files")
 query("prj_context_tier", lambda c: c.items.select("id", op.context_tier(F.col("value")).alias("tier")), "SELECT id, CASE WHEN value >= 40000 THEN 1.0::DOUBLE WHEN value >= 22000 THEN 2.0::DOUBLE ELSE 2.5::DOUBLE END AS tier FROM items")
 query("prj_lod", lambda c: c.concepts.select("id", op.level_of_detail(F.col("confidence"), F.col("id") % 9 == 0).alias("lod")),

@@ -40,7 +40,10 @@ query("gr_louvain", lambda c: op.communities(c.spark.createDataFrame([("a", "b",
 query("gr_topo", lambda c: op.tiers(rings(c).select(F.col("a").alias("id")).union(rings(c).select("b")), rings(c).where("b NOT LIKE '%-5' OR a NOT LIKE '%-6'").where("a NOT LIKE '%-3' OR b NOT LIKE '%-1'")).select("id", "tier"), "WITH " + RINGS + " SELECT n || '-' || x AS id, t AS tier FROM k, (VALUES ('7', 0), ('6', 1), ('5', 2), ('4', 3), ('3', 4), ('2', 5), ('1', 6), ('8', 7)) v(x, t)")
 query("gr_decay_bfs", lambda c: op.decay(rings(c).select(F.col("a").alias("source"), F.col("b").alias("target")), rings(c).select(F.col("a").alias("id")).union(rings(c).select("b")).distinct().withColumn("score", F.lit(0.8)), c.nation.select(F.concat(F.col("n_nationkey").cast("string"), F.lit("-1")).alias("id")), 2), "WITH " + RINGS + " SELECT n || '-' || x AS id, s AS score FROM k, (VALUES ('1', 0.0::DOUBLE), ('2', 0.76::DOUBLE), ('3', 0.76::DOUBLE), ('8', 0.76::DOUBLE), ('4', 0.76::DOUBLE), ('7', 0.76::DOUBLE)) v(x, s)")
 query("gr_proximity", lambda c: op.proximity(c.files.select(paths.directory(F.col("path")).alias("folder"), "path"), c.files.where("doc_id < 0").select(F.col("path").alias("a"), F.col("path").alias("b"))), "WITH f AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, path, count(*) OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '')) AS n FROM files) SELECT x.path AS a, y.path AS b, round(greatest(0.3::DOUBLE, 0.7::DOUBLE - 0.04::DOUBLE * x.n), 6) AS confidence FROM f x JOIN f y ON x.folder = y.folder AND x.path < y.path WHERE x.n BETWEEN 2 AND 20")
-query("gr_cochange", lambda c: op.cochange(c.commits.withColumn("commit_id", F.floor(F.col("commit_id") / 8)), "1998-09-01", 2000.0, 1, 0.1), "WITH c AS (SELECT DISTINCT ON (k, path) k, path, ts FROM (SELECT commit_id // 8 AS k, path, ts FROM commits)), z AS (SELECT k, count(*) AS m FROM c GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30) SELECT 'x' AS a WHERE false" if False else None)
+query("gr_cochange", lambda c: op.cochange(c.commits.groupBy(F.floor(F.col("commit_id") / 8).alias("commit_id"), "path").agg(F.min("ts").alias("ts")), "1998-09-01", 2000.0, 1, 0.1), """WITH r AS (SELECT commit_id // 8 AS k, path, min(ts) AS ts FROM commits GROUP BY 1, 2), z AS (SELECT k FROM r GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30),
+      w AS (SELECT r.k, path, exp(-ln(2.0::DOUBLE) * date_diff('day', ts::DATE, DATE '1998-09-01') / 2000.0::DOUBLE) AS w FROM r JOIN z ON z.k = r.k), t AS (SELECT path, sum(w) AS t FROM w GROUP BY 1),
+      b AS (SELECT x.path AS a, y.path AS b, sum(x.w) AS s FROM w x JOIN w y ON x.k = y.k AND x.path < y.path GROUP BY 1, 2)
+      SELECT a, b, round(s / (p.t + q.t - s), 6) AS jaccard, round(s, 6) AS support FROM b JOIN t p ON p.path = a JOIN t q ON q.path = b WHERE s / (p.t + q.t - s) >= 0.1 AND s >= 0.5""")
 query("gr_inferred", lambda c: jo.judged_hypotheses(c.edges.where("origin = 'inferred' AND confidence >= 0.5").select("source", "target", "confidence"), c.nodes, c.edges.where("origin = 'static'"), 0.5).select("source", "target", "verdict"), "SELECT source, target, CASE WHEN EXISTS (SELECT 1 FROM edges k WHERE k.origin = 'static' AND k.source = e.source AND k.target = e.target) THEN 'boosts_known' ELSE 'accepted' END AS verdict FROM edges e WHERE origin = 'inferred' AND confidence >= 0.5")
 query("gr_reuse_jaccard", lambda c: op.reused(c.modules.where("length(path) % 4 != 0"), c.modules, 0.5), "WITH n AS (SELECT module, count(*) AS n FROM modules GROUP BY 1), o AS (SELECT module, count(*) AS n FROM modules WHERE length(path) % 4 <> 0 GROUP BY 1) SELECT n.module, o.module AS old, round(o.n / n.n::DOUBLE, 6) AS jaccard FROM n JOIN o USING (module) WHERE o.n / n.n::DOUBLE > 0.5 AND o.n < n.n")
 query("gr_architecture", lambda c: jo.with_modules(c.edges, c.nodes, c.modules).groupBy(F.coalesce("source_module", F.lit("external")).alias("source"), F.coalesce("target_module", F.lit("external")).alias("target")).agg(F.count("*").alias("n")), "SELECT coalesce(x.module, 'external') AS source, coalesce(y.module, 'external') AS target, count(*) AS n FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target LEFT JOIN modules x ON x.path = a.file_path LEFT JOIN modules y ON y.path = b.file_path WHERE e.kind = 'imports' GROUP BY 1, 2")

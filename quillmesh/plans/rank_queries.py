@@ -31,12 +31,13 @@ query("win_dedup_file", lambda c: op.latest(c.commits.select("path", "commit_id"
 query("win_hub_chunk", lambda c: op.latest(c.concepts, ["module"], [F.when(F.col("kind").contains("PROMO"), 0).otherwise(1), F.desc("confidence"), "id"]).select("module", "id"), "SELECT module, id FROM (SELECT module, id, row_number() OVER (PARTITION BY module ORDER BY CASE WHEN contains(kind, 'PROMO') THEN 0 ELSE 1 END, confidence DESC, id) AS r FROM concepts) WHERE r = 1")
 query("top_search_nodes", lambda c: op.symbol_search(c.nodes, "12", 50).select("id", "score"), "SELECT id, score FROM (SELECT id, file_path, name, CASE WHEN lower(name) = '12' THEN 1.0::DOUBLE WHEN lower(name) LIKE '12%' THEN 0.8::DOUBLE WHEN lower(name) LIKE '%12%' THEN 0.6::DOUBLE WHEN lower(id) LIKE '%12%' THEN 0.4::DOUBLE END AS score FROM nodes) WHERE score IS NOT NULL ORDER BY score DESC, file_path, name, id LIMIT 50")
 DOT = "list_inner_product(list_transform(v.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE))"
-dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def dot():
+    return F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def scored(c):
     """Each vector's inner product with that of vec_id 0: a one-row broadcast."""
-    return c.vectors.join(F.broadcast(c.vectors.where("vec_id = 0").select(F.col("embedding").alias("q")))).where("vec_id != 0").select("vec_id", "label", dot.alias("score"))
+    return c.vectors.join(F.broadcast(c.vectors.where("vec_id = 0").select(F.col("embedding").alias("q")))).where("vec_id != 0").select("vec_id", "label", dot().alias("score"))
 
 
 query("top_knn", lambda c: scored(c).orderBy(F.desc("score"), "vec_id").limit(25).where("score >= 0.2").select("vec_id", F.round("score", 6).alias("score")), f"SELECT vec_id, round(score, 6) AS score FROM (SELECT v.vec_id, {DOT} AS score FROM vectors v, vectors q WHERE q.vec_id = 0 AND v.vec_id <> 0 ORDER BY score DESC, v.vec_id LIMIT 25) WHERE score >= 0.2")

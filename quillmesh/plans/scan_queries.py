@@ -1 +1,56 @@
-"""Registered scan queries."""
+"""Registered scans and extension points."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import paths
+from ..operators import aggregates as ag
+from ..operators import sinks
+from ..sources import files as op
+from .registry import query
+
+
+def written(c, df, kind: str) -> str:
+    path = sinks.shared_path(df, f"scan-{kind}")
+    df.write.format(kind).save(path)
+    return path
+
+
+query("scan_walk", lambda c: op.walk(c.spark, written(c, c.documents.select(F.col("text").alias("value")).limit(0).union(c.region.select("r_name")), "text"), ["**/*.txt"], [], 1 << 20).agg(F.sum("size").alias("bytes")), "SELECT sum(length(r_name) + 1)::BIGINT AS bytes FROM region")
+query("scan_source_files", lambda c: op.source_files(c.files, ["deploy/**"]).select("path"), "SELECT path FROM files WHERE path NOT LIKE 'node_modules/%' AND path NOT LIKE '%.lock' AND path NOT LIKE 'deploy/%'")
+query("scan_planning_docs", lambda c: op.planning_docs(c.files).select("path"), "SELECT path FROM files WHERE path LIKE '%.md'")
+query("scan_jsonl_keyed", lambda c: op.json_lines(c.spark, written(c, c.concepts.orderBy("id").coalesce(1).select("a1", "id"), "json"), "a1 string, id bigint", "a1"), "SELECT a1, max(id) AS id FROM concepts GROUP BY 1")
+query("scan_jsonl_list", lambda c: op.json_lines(c.spark, written(c, c.nation.select("n_nationkey", "n_name"), "json"), "n_nationkey int, n_name string"), "SELECT n_nationkey, n_name FROM nation")
+query("scan_filtered_nodes", lambda c: c.nodes.where(~paths.any_glob(F.col("file_path"), ["supplier/**"])).select("id", "kind"), "SELECT id, kind FROM nodes WHERE file_path NOT LIKE 'supplier/%'")
+query("scan_build_edges", lambda c: c.edges.groupBy("origin", "kind").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")), "SELECT origin, kind, count(*) AS n, sum(weight)::BIGINT AS weight FROM edges GROUP BY 1, 2")
+query("scan_trace_union", lambda c: c.edges.groupBy("source").agg(F.array_sort(F.collect_set("target")).alias("t")).select("source", F.size("t").alias("targets"), F.element_at("t", 1).alias("first")), "SELECT source, count(DISTINCT target)::INT AS targets, min(target) AS first FROM edges GROUP BY 1")
+query("scan_audit_context", lambda c: c.nodes.groupBy("kind", "language").agg(F.count("*").alias("n")).unionByName(c.edges.groupBy(F.col("kind"), F.lit("edge").alias("language")).agg(F.count("*").alias("n"))), "SELECT kind, language, count(*) AS n FROM nodes GROUP BY 1, 2 UNION ALL SELECT kind, 'edge', count(*) FROM edges GROUP BY 1")
+query("scan_git_numstat", lambda c: op.numstat(c.orders.select(F.col("o_orderkey").alias("block"), F.lit(0).alias("i"), F.concat(F.lit("COMMIT c"), "o_orderkey", F.lit("|a"), "o_custkey", F.lit("|x|y")).alias("line")).unionByName(c.lineitem.select(F.col("l_orderkey").alias("block"), F.col("l_linenumber").alias("i"), F.concat(F.when(F.col("l_linenumber") == 2, "-").otherwise(F.col("l_quantity").cast("int").cast("string")), F.lit("\t"), F.col("l_linenumber").cast("string"), F.lit("\tp"), F.col("l_partkey").cast("string")).alias("line")))),
+      "SELECT 'c' || o_orderkey::VARCHAR AS commit_id, 'a' || o_custkey::VARCHAR AS author, 'p' || l_partkey::VARCHAR AS path, CASE WHEN l_linenumber = 2 THEN 0 ELSE l_quantity::BIGINT END AS added, l_linenumber::BIGINT AS removed FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+query("scan_telemetry", lambda c: c.events.where("event_type = 'error' AND get_json_object(props, '$.k') >= 5").select("event_id"), "SELECT event_id FROM events WHERE event_type = 'error' AND CAST(json_extract_string(props, '$.k') AS BIGINT) >= 5")
+query("scan_todos", lambda c: op.todos(c.files.withColumn("text", F.concat(F.lit("x\n# TODO: fix "), F.col("doc_id").cast("string"), F.lit("\n// FIXME later\n"), "text"))).select("path", "line", "mark", "note", "id"), "SELECT path, 2::INT AS line, 'TODO' AS mark, 'fix ' || doc_id::VARCHAR AS note, substr(sha256(path || ':2:fix ' || doc_id::VARCHAR), 1, 12) AS id FROM files UNION ALL SELECT path, 3, 'FIXME', 'later', substr(sha256(path || ':3:later'), 1, 12) FROM files")
+query("scan_roadmap_keywords", lambda c: c.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"(?i)\b(?:idiot|licensed|password)\b")).groupBy("doc_id").agg(F.count("*").alias("n")), r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '(?i)\b(idiot|licensed|password)\b') GROUP BY 1")
+query("scan_vendor_dirs", lambda c: c.files.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("dir")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).withColumn("tier", F.when(F.col("dir").isin("node_modules", "vendor"), "vendor").when(F.col("files") > 25000, "large").otherwise("own")), "SELECT split_part(path, '/', 1) AS dir, count(*) AS files, sum(size)::BIGINT AS bytes, CASE WHEN split_part(path, '/', 1) = 'node_modules' THEN 'vendor' ELSE 'own' END AS tier FROM files GROUP BY 1")
+query("scan_sql_concepts", lambda c: c.concepts.where("status = 'seed' AND category = 'technical'").select("id", F.from_json(F.to_json(F.array("a1", "a2")), "array<string>").alias("anchors")).select("id", F.size("anchors").alias("n")), "SELECT id, 2 AS n FROM concepts WHERE status = 'seed' AND category = 'technical'")
+#: Extension point: analyzers are plans over the catalog with one finding schema.
+ANALYZERS = {
+    "unused": lambda c: c.nodes.where("kind = 'file'").join(c.edges.where("kind = 'imports'").select(F.col("target").alias("id")), "id", "left_anti").select(F.lit("unused").alias("analyzer"), F.lit("info").alias("severity"), F.col("file_path")),
+    "large": lambda c: c.nodes.where("kind = 'file' AND size >= 80000").select(F.lit("large").alias("analyzer"), F.lit("critical").alias("severity"), "file_path"),
+    "hubs": lambda c: ag.in_degrees(c.edges, ["imports"]).where("in_degree >= 15").join(c.nodes, "id").select(F.lit("hubs").alias("analyzer"), F.lit("warning").alias("severity"), "file_path"),
+}
+
+
+def audit(c, names=None):
+    out = None
+    for name in names or sorted(ANALYZERS):
+        df = ANALYZERS[name](c)
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+AUDIT = "f AS (SELECT 'unused' AS analyzer, 'info' AS severity, file_path FROM nodes WHERE kind = 'file' AND id NOT IN (SELECT target FROM edges WHERE kind = 'imports') UNION ALL SELECT 'large', 'critical', file_path FROM nodes WHERE kind = 'file' AND size >= 80000 UNION ALL SELECT 'hubs', 'warning', file_path FROM nodes JOIN (SELECT target FROM edges WHERE kind = 'imports' GROUP BY 1 HAVING count(*) >= 15) ON target = id)"
+query("udf_analyzer", lambda c: audit(c, ["large"]), f"WITH {AUDIT} SELECT * FROM f WHERE analyzer = 'large'")
+query("agg_audit", audit, f"WITH {AUDIT} SELECT * FROM f")
+query("agg_health_scan", lambda c: audit(c).groupBy("analyzer", "severity").agg(F.count("*").alias("n")), f"WITH {AUDIT} SELECT analyzer, severity, count(*) AS n FROM f GROUP BY 1, 2")
+query("agg_security_score", lambda c: c.documents.agg(F.count_if(F.col("text").rlike(r"(?i)password")).alias("bad"), F.count("*").alias("n")).select("bad", F.round(100.0 * (1 - F.col("bad") / F.col("n")), 2).alias("score")), "SELECT count(*) FILTER (regexp_matches(text, '(?i)password')) AS bad, round(100.0::DOUBLE * (1 - count(*) FILTER (regexp_matches(text, '(?i)password')) / count(*)::DOUBLE), 2) AS score FROM documents")
