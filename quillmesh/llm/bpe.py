@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, slices, small_batches
+from .common import arrow_map, claim, slices, small_batches
 
 NONE = np.int32(2**31 - 1)
 WIDE = 64
 #: Pieces a worker remembers; beyond it starts anew.
-MEMO = 500_000
+MEMO = 300_000
 
 
 class Vocabulary:
@@ -184,8 +184,8 @@ def encode_pieces(pieces: Iterable[bytes], v: Vocabulary) -> dict[bytes, bytes]:
         else:
             classes.setdefault(1 << (len(p) - 1).bit_length(), []).append(p)
     for width, of in classes.items():
-        for at in range(0, len(of), 8192):
-            part = of[at : at + 8192]
+        for at in range(0, len(of), 4096):
+            part = of[at : at + 4096]
             out |= {p: ids.tobytes() for p, ids in zip(part, merge_many(part, width, v), strict=True)}
     return out
 
@@ -239,6 +239,7 @@ def _coded(docs: DataFrame, ranks: str, pattern: str, id_col: str, text_col: str
 
     def make():
         c = codec(ranks, pattern)
+        claim("bpe", lambda: (codec.cache_clear(), c.memo.clear()))
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in b.column(1).to_pylist()]

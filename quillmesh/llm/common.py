@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
+
 #: Characters of text that one call into a tokenizer or feature loop sees at once.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,15 +35,31 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
+def stored(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
+    """Writes df once to the shared folder and reads it back, which cuts its lineage and survives lost executors.
+
+    small: what comes of an aggregation or a search, not the input's own rows; no more files than twice the cluster's cores.
+    """
     path = scratch_path(df.sparkSession, tag)
+    if small:
+        df = df.coalesce(max(2, 2 * df.sparkSession.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Called by an operator as its task begins in a worker: what other operators remember there is dropped first."""
+    for other in [k for k in _caches if k != name]:
+        _caches.pop(other)()
+    _caches[name] = clear
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds the rows and bytes of an Arrow batch, so that a run of very long texts can't fill a Python worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_fold, small_batches
+from .common import arrow_map, claim, crc_fold, small_batches
 
 DIM = 1024
 GRAM = 3
@@ -171,6 +171,7 @@ def fit_profiles(docs: DataFrame, fit_rows: int = FIT_ROWS, dim: int = DIM, n: i
     picked = known.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) < share * (1 << 20))
 
     def sums(batches):
+        claim("hyperlang", bundler.cache_clear)
         total: dict[str, np.ndarray] = {}
         for b in batches:
             texts, langs = b.column(1).to_pylist(), b.column(2).to_pylist()
@@ -197,6 +198,8 @@ def predict_language(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id"
     small_batches(docs.sparkSession)
 
     def make():
+        claim("hyperlang", bundler.cache_clear)
+
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             texts, langs, scores = b.column(1).to_pylist(), [], []
             for at in range(0, len(texts), BATCH):
@@ -217,6 +220,8 @@ def keep_identified(docs: DataFrame, profiles: Profiles, least: float, text_col:
     at = docs.columns.index(text_col)
 
     def make():
+        claim("hyperlang", bundler.cache_clear)
+
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             texts, keep = b.column(at).to_pylist(), []
             for i in range(0, len(texts), BATCH):

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, free_name, small_batches, stored
+from .common import arrow_map, claim, free_name, small_batches, stored
 from .components import components
 
 GRAM, THRESHOLD = 5, 0.8
@@ -107,6 +107,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def make():
+        claim("ngrams", lambda: None)
+
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             digest, sig = [], []
             for t in b.column(1).to_pylist():
