@@ -21,6 +21,7 @@ document ids come first; repeated rows each return.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import uuid
 import zlib
@@ -31,10 +32,44 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, scratch_path, slices, small_batches
+from .common import claim, scratch_path, slices, small_batches
 
 #: Words a worker remembers; beyond it starts anew.
-MEMO = 600_000
+MEMO = 1_500_000
+
+
+#: Marks that, behind a run of letters, are a piece of their own.
+MARKS = ".,;:!?"
+#: The pieces into which the tokenizer may part a text for the short way to hold.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte to character, as byte-level vocabularies write them: bytes without a print form follow from 256 on.
+BYTE_CHARS = {b: b for b in _kept} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_kept))}
+
+
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def bare(path: str):
+    """The merges alone, for lower-case letters already written as byte characters; None where the tokenizer is of another kind."""
+    from tokenizers import Tokenizer
+
+    with open(path) as f:
+        spec = json.load(f)
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    norms = (spec.get("normalizer") or {}).get("normalizers") or []
+    fits = (
+        spec["model"]["type"] == "BPE" and spec["model"].get("end_of_word_suffix") == "</w>" and [n["type"] for n in norms] == ["NFC", "Replace", "Lowercase"]
+        and [x.get("type") for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": PIECES} and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+    )
+    if not fits:
+        return None
+    return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None, "decoder": None}))
 
 
 class WordIds:
@@ -47,10 +82,45 @@ class WordIds:
         self.lib.no_padding()
         self.dtype = np.dtype("<u2" if max(self.lib.get_vocab().values()) < 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.ends = np.zeros(max(self.lib.get_vocab().values()) + 1, bool)
+        for token, i in self.lib.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         special = [i for i, t in sorted(self.lib.get_added_tokens_decoder().items()) if t.special and t.content.startswith("<|") and not t.normalized]
         self.mark = special[0] if special else None
 
+        self.bare = bare(path)
+
     def learn(self, words: list[str]) -> None:
+        """Words of letters, with or without marks behind them, go to the bare merges; the rest to the whole tokenizer."""
+        if self.bare is None:
+            return self.learn_whole(words)
+        memo, cores, marked, rest = self.memo, set(), [], []
+        for w in words:
+            c = w.rstrip(MARKS)
+            if c.isalpha() and (c.isascii() or latin(c)) and c.islower():
+                if c not in memo:
+                    cores.add(c)
+                if len(c) != len(w):
+                    marked.append((w, c, w[len(c) :]))
+            else:
+                rest.append(w)
+        self.learn_whole([*rest, *{t for _, _, t in marked if t not in memo}.difference(rest)])
+        for some in ([c for c in cores if c.isascii()], [c for c in cores if not c.isascii()]):
+            if not some:
+                continue
+            line = " ".join(some)
+            if not line.isascii():
+                line = " ".join(c.encode().decode("latin-1").translate(BYTE_CHARS) for c in some)
+            ids = np.asarray(self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int64)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+            packed, start = ids.astype(self.dtype).tobytes(), 0
+            for c, end in zip(some, ends, strict=True):
+                memo[c] = packed[start:end]
+                start = end
+        for w, c, t in marked:
+            memo[w] = memo[c] + memo[t]
+
+    def learn_whole(self, words: list[str]) -> None:
         """Encodes words as one text, parted by a special token, at which the library cuts a text before all else."""
         plain = [w for w in words if w and "<|" not in w] if self.mark is not None else []
         if plain:
@@ -59,7 +129,7 @@ class WordIds:
             packed, w = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
             starts, ends = [0, *((cuts + 1) * w).tolist()], [*(cuts * w).tolist(), len(packed)]
             self.memo.update((x, packed[a:b]) for x, a, b in zip(plain, starts, ends, strict=True))
-        rest = [w for w in words if w not in self.memo]
+        rest = [w for w in words if w not in self.memo] if plain else words
         for word, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.memo[word] = np.asarray(e.ids, self.dtype).tobytes()
 
@@ -79,11 +149,7 @@ def folded(text: str) -> str:
     """In lower case where that surely is what the tokenizer does: Latin-1 text that can't hold a special token."""
     if "<|" in text:
         return text
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
+    return text.lower() if latin(text) else text
 
 
 @functools.lru_cache(4)
@@ -103,6 +169,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, name = words(tokenizer), f"shard-{uuid.uuid4().hex}"
+        claim("words", words.cache_clear)
         end = np.asarray([end_id], enc.dtype).tobytes()
         sizes, ids, known, out = [], [], [], None
         fs, top = opened(folder)
