@@ -36,7 +36,9 @@ from .vectors import bounded_sample, matrix, usable
 
 BITS, PARTS = 256, 16
 WIDTH = BITS // PARTS
-FOUND = 320
+FOUND = 400
+#: Share of a shard's rows that probes may touch before its codes are compared directly, which finds the same rows.
+TOUCHED = 0.1
 SHARD, BLOCK = 8192, 2048
 FIT_ROWS = 16_384
 #: Queries whose probes are run together.
@@ -74,50 +76,60 @@ class Codes:
         return np.packbits((np.concatenate([q, np.zeros((len(q), 1))], 1) - self.mean) @ self.turn > 0, axis=1)
 
 
-def masks() -> list[np.ndarray]:
-    """Values of WIDTH bits by how many they have set."""
-    v = np.arange(1 << WIDTH, dtype=np.int64)
-    return [v[np.bitwise_count(v) == n] for n in range(WIDTH + 1)]
-
-
 class Tables:
-    """The substring tables of one shard."""
+    """The substring tables of one shard: the values that occur, in order, and the rows of each."""
 
     def __init__(self, codes: np.ndarray):
         self.words = np.ascontiguousarray(codes).view(np.uint64)
-        parts = np.ascontiguousarray(codes).view(">u2").astype(np.int64)
+        parts = np.ascontiguousarray(codes).view(">u2").astype(np.uint16)
         self.order = np.argsort(parts, axis=0, kind="stable")
-        self.start = [np.searchsorted(parts[self.order[:, j], j], np.arange((1 << WIDTH) + 1)) for j in range(PARTS)]
+        self.values, self.start = [], []
+        for j in range(PARTS):
+            value, first = np.unique(parts[self.order[:, j], j], return_index=True)
+            self.values.append(value)
+            self.start.append(np.append(first, len(parts)))
 
-    def within(self, codes: np.ndarray, found: int, masks_: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    def within(self, codes: np.ndarray, found: int) -> Iterator[tuple[int, np.ndarray]]:
         """For each query: its number and all rows within the least radius that holds found rows (all, if there are no more)."""
         n = len(self.words)
         q = np.ascontiguousarray(codes).view(np.uint64)
-        sub = np.ascontiguousarray(codes).view(">u2").astype(np.int64)
+        sub = np.ascontiguousarray(codes).view(">u2").astype(np.uint16)
         distance = np.full((len(q), n), BITS + 1, np.int16)
-        live = np.arange(len(q))
-        want = min(found, n)
+        near = np.zeros((len(q), BITS + 1), np.int32)  # rows found at each distance
+        apart = [np.bitwise_count(sub[:, j][:, None] ^ self.values[j][None, :]) for j in range(PARTS)]
+        live, want, touched = np.arange(len(q)), min(found, n), 0
         for r in range(WIDTH + 1):
+            if touched > TOUCHED * n * len(q):
+                break
             for j in range(PARTS):
-                values = sub[live, j][:, None] ^ masks_[r][None, :]
-                lo, hi = self.start[j][values], self.start[j][values + 1]
-                who, which = np.nonzero(hi > lo)
-                lo, count = lo[who, which], (hi - lo)[who, which]
+                who, which = np.nonzero(apart[j][live] == r)
+                lo = self.start[j][which]
+                count = self.start[j][which + 1] - lo
                 who = np.repeat(live[who], count)
                 spot = np.repeat(lo - np.concatenate([[0], count.cumsum()[:-1]]), count) + np.arange(count.sum())
                 row = self.order[spot, j]
+                touched += len(row)
                 new = distance[who, row] > BITS
                 who, row = who[new], row[new]
-                distance[who, row] = np.bitwise_count(q[who] ^ self.words[row]).sum(1, dtype=np.int16)
-                if r < 2 and j < PARTS - 1 and want > 64:
-                    continue  # so near, a radius hardly holds enough
+                d = np.bitwise_count(q[who] ^ self.words[row]).sum(1, dtype=np.int16)
+                distance[who, row] = d
+                near += np.bincount(who * (BITS + 1) + d, minlength=near.size).reshape(near.shape)
                 radius = PARTS * r + j
-                done = (distance[live] <= radius).sum(1) >= want
+                done = near[live, : radius + 1].sum(1) >= want
                 for i in live[done]:
                     yield int(i), np.flatnonzero(distance[i] <= radius)
                 live = live[~done]
                 if not len(live):
                     return
+        # wider probes would touch most rows, many of them often: the codes are compared as they lie
+        for a in range(0, len(live), 32):
+            some = live[a : a + 32]
+            apart_ = np.zeros((len(some), n), np.int16)
+            for w in range(self.words.shape[1]):
+                apart_ += np.bitwise_count(q[some, w][:, None] ^ self.words[:, w][None, :])
+            radius = np.partition(apart_, want - 1, axis=1)[:, want - 1]
+            for i, row, limit in zip(some, apart_, radius, strict=True):
+                yield int(i), np.flatnonzero(row <= limit)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, found: int = FOUND, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -139,7 +151,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, found: int = FOUN
     asked = rows.where("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), "id", "v")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_bits = masks()
         for t, group in whole_groups(batches, ["shard", "block"], 1):
             for at in np.unique(group):
                 rows_ = np.flatnonzero(group == at)
@@ -153,7 +164,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, found: int = FOUN
                 for a in range(0, len(ask), TOGETHER):
                     some = ask[a : a + TOGETHER]
                     q, them, s = [], [], []
-                    for i, near in tables.within(codes.of_queries(v[some]), found, of_bits):
+                    for i, near in tables.within(codes.of_queries(v[some]), found):
                         score = x[near] @ v[some[i]]
                         own_id = ids[some[i]]
                         ok = of[near] != own_id
