@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round is written to the shared folder; no vertex or label is collected. The number of rounds grows with the logarithm of the longest chain.
     """
-    now = stored(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    now = stored(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc", small=True)
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -25,4 +25,4 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a")
-        now = stored(small.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(down.select("a", "m")).where("a != b").distinct(), "cc")
+        now = stored(small.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(down.select("a", "m")).where("a != b").distinct(), "cc", small=True)

@@ -11,8 +11,8 @@ children's digests in order, each with its own number, so a missing child
 changes it.
 
 The audit compares roots; below, it opens only children of nodes that differ,
-level by level, and ends at the damaged records. Whole levels are never
-compared, and no level is collected: the driver sees one number a level.
+level by level, and ends at the damaged records. Where the roots are equal,
+nothing below them is read. No level is collected.
 
 Null urls and bodies are empty; null ids come first; rows that repeat an id
 keep their place by url and body. A record that a replica lacks is ``missing``,
@@ -68,12 +68,11 @@ def _joined(children: DataFrame, level: int) -> DataFrame:
 
 def tree(recs: DataFrame, ranges: DataFrame, last: int) -> DataFrame:
     """level, node, digest of levels 1 to last; ranges has id, turn, place and range of each record of the index."""
-    now = _joined(recs.join(ranges, ["id", "turn"]).select(F.col("range").alias("parent"), F.col("place").alias("child"), "digest"), 1)
-    out = now = stored(now, "merkle")
+    out = now = stored(_joined(recs.join(ranges, ["id", "turn"]).select(F.col("range").alias("parent"), F.col("place").alias("child"), "digest"), 1), "merkle-ranges")
     for level in range(2, last + 1):
-        now = stored(_joined(now.select(F.floor(F.col("node") / FANOUT).alias("parent"), F.col("node").alias("child"), "digest"), level), "merkle")
+        now = _joined(now.select(F.floor(F.col("node") / FANOUT).alias("parent"), F.col("node").alias("child"), "digest"), level)
         out = out.unionByName(now)
-    return out
+    return stored(out, "merkle-tree", small=True) if last > 1 else out
 
 
 class Archive:
@@ -102,9 +101,10 @@ class Archive:
                 parent = F.floor(F.col("node") / FANOUT)
                 a, b = a.join(open_, parent == F.col("parent"), "left_semi"), b.join(open_, parent == F.col("parent"), "left_semi")
             wrong = a.join(b, "node", "left").where(~F.col("digest").eqNullSafe(F.col("copy")))
-            open_ = stored(wrong.select(F.col("node").alias("parent")), "merkle-open")
-            if open_.isEmpty():
-                break
+            open_ = wrong.select(F.col("node").alias("parent"))
+            if level == self.last and open_.isEmpty():
+                break  # equal roots: nothing below is read
+        open_ = stored(open_, "merkle-open", small=True)
         spots = self.ranges.join(open_, F.col("range") == F.col("parent"), "left_semi").select("id", "turn", "place")
         mine = spots.join(self.records.select("id", "turn", "digest"), ["id", "turn"])
         pair = mine.join(theirs.select("id", "turn", F.col("digest").alias("copy")), ["id", "turn"], "left")

@@ -79,7 +79,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
     small = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("s"), words(F.col(text_col)).alias("size"), uniform(F.col(id_col)).alias("u"), weight.alias("weight")), "mix-sizes")
     sums = small.groupBy("s").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("weighed"))
     goal = targets(sums.select("s", "source_size"), weights, most)
-    sources = stored(goal.join(sums.select(F.col("s").alias("s2"), "weighed"), F.col("s").eqNullSafe(F.col("s2"))).select("s", "source_size", "target", F.when(F.col("weighed") > 0, F.col("target") / F.col("weighed")).alias("rate")), "mix-sources")
+    sources = stored(goal.join(sums.select(F.col("s").alias("s2"), "weighed"), F.col("s").eqNullSafe(F.col("s2"))).select("s", "source_size", "target", F.when(F.col("weighed") > 0, F.col("target") / F.col("weighed")).alias("rate")), "mix-sources", small=True)
     per = sources.select(F.col("s").alias("s2"), "target", "rate")
     rated = _rated(small.join(per, F.col("s").eqNullSafe(F.col("s2"))), most)
     place = F.col("key") / (1 + F.col("key"))
@@ -103,7 +103,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
     # of the rows at the cut: the first that is out, by the place of its middle word
     out = last.where(F.col("upto") - F.col("size") / 2 > F.col("left")).groupBy("s").agg(F.min(F.struct("key", "id")).alias("stop"))
     ends = spot.select(F.col("s3").alias("s"), "f").join(out.withColumnRenamed("s", "s3"), F.col("s").eqNullSafe(F.col("s3")), "left").select(F.col("s").alias("s4"), "f", "stop")
-    return stored(sources.join(ends, F.col("s").eqNullSafe(F.col("s4")), "left").drop("s4"), "mix-plan")
+    return stored(sources.join(ends, F.col("s").eqNullSafe(F.col("s4")), "left").drop("s4"), "mix-plan", small=True)
 
 
 def _with_copies(docs: DataFrame, plan_: DataFrame, most: float, id_col: str, source_col: str, weight_col: str | None) -> DataFrame:

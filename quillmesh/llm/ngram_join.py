@@ -313,10 +313,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     dealt = members.withColumn("part", F.pmod(F.xxhash64("digest"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = dealt.select("band", "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "digest", "rep", "n", "sig")
     cell = ["band", "bucket", "i", "j"]
-    left = stored(prune(cells.repartition(*cell).sortWithinPartitions(*cell)), "ngram-pruned")
+    left = stored(prune(cells.repartition(*cell).sortWithinPartitions(*cell)), "ngram-pruned", small=True)
     some, maybe = marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", left.select(F.col("rep").alias("id")).distinct())
     texts = some.where(maybe).select(F.col("id").alias("rep"), "text").join(left, "rep")
-    found = stored(verify(texts.select(*cell, "digest", "n", "slot", "later", "text").repartition(*cell).sortWithinPartitions(*cell), threshold), "ngram-links")
+    found = stored(verify(texts.select(*cell, "digest", "n", "slot", "later", "text").repartition(*cell).sortWithinPartitions(*cell), threshold), "ngram-links", small=True)
     roots = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
     linked = nodes.select("digest", "rep", "n").join(found.groupBy("digest").agg(F.sum("links").alias("links")), "digest", "left").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     named = linked.select("digest", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "digest").alias("root"))
@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows, all columns, of one document of each class: that of the least id. Rows that no decision touches are not shuffled."""
     classes = near_duplicates(docs, threshold, id_col, text_col)
-    fate = stored(classes.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(F.col("doc_id") == F.col("class_id")).alias("__keep")).where("__n > 1 or not __keep"), "ngram-fate")
+    fate = stored(classes.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(F.col("doc_id") == F.col("class_id")).alias("__keep")).where("__n > 1 or not __keep"), "ngram-fate", small=True)
     some, maybe = marked(docs, id_col, fate.select(F.col("__id").alias("id")))
     touched = some.where(maybe).join(fate, F.col(id_col) == F.col("__id"), "left")
     once = touched.where("__id is null").select(*docs.columns)
