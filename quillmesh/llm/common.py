@@ -73,14 +73,6 @@ def held_out(doc_id: Column) -> Column:
     return crc_fold(doc_id) == 2
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """wanted, lengthened until no column of df has it."""
-    have = {c.lower() for c in df.columns}
-    while wanted.lower() in have:
-        wanted = f"_{wanted}"
-    return wanted
-
-
 def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive runs of texts of about limit characters."""
     start = seen = 0

@@ -42,21 +42,21 @@ def payload(url: Column, body: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """id, turn (of rows that repeat an id), length and SHA-256 of each record; the bodies stay where they are read."""
+    """id, key (the id as text, so that null joins too), turn (of rows that repeat an id), length and SHA-256 of each record; the bodies stay where they are read."""
     raw = payload(F.col(url_col), F.col(body_col))
-    out = pages.select(F.col(id_col).alias("id"), F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("digest"))
-    return out.withColumn("turn", F.row_number().over(W.partitionBy("id").orderBy("digest")))
+    out = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"), F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("digest"))
+    return out.withColumn("turn", F.row_number().over(W.partitionBy("key").orderBy("digest")))
 
 
 def index(recs: DataFrame) -> DataFrame:
-    """id, turn, offset, length, place: offsets are sums by buckets of ids, then within each bucket."""
+    """id, key, turn, offset, length, place: offsets are sums by buckets of ids, then within each bucket."""
     with_bucket = recs.withColumn("bucket", F.floor(F.col("id").cast("double") / SPAN))
     sums = with_bucket.groupBy("bucket").agg(F.sum("length").alias("bytes"), F.count("*").alias("rows"))
     before = W.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
     bases = sums.select(F.col("bucket").alias("b"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("byte_base"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("row_base"))
     inside = W.partitionBy("bucket").orderBy(F.col("id").asc_nulls_first(), "turn").rowsBetween(W.unboundedPreceding, -1)
     run = with_bucket.withColumn("own", F.coalesce(F.sum("length").over(inside), F.lit(0))).withColumn("nth", F.count(F.lit(1)).over(inside))
-    return run.join(bases, F.col("bucket").eqNullSafe(F.col("b"))).select("id", "turn", (F.col("byte_base") + F.col("own")).alias("offset"), "length", (F.col("row_base") + F.col("nth")).alias("place"))
+    return run.join(bases, F.col("bucket").eqNullSafe(F.col("b"))).select("id", "key", "turn", (F.col("byte_base") + F.col("own")).alias("offset"), "length", (F.col("row_base") + F.col("nth")).alias("place"))
 
 
 def _joined(children: DataFrame, level: int) -> DataFrame:
@@ -67,8 +67,8 @@ def _joined(children: DataFrame, level: int) -> DataFrame:
 
 
 def tree(recs: DataFrame, ranges: DataFrame, last: int) -> DataFrame:
-    """level, node, digest of levels 1 to last; ranges has id, turn, place and range of each record of the index."""
-    out = now = stored(_joined(recs.join(ranges, ["id", "turn"]).select(F.col("range").alias("parent"), F.col("place").alias("child"), "digest"), 1), "merkle-ranges")
+    """level, node, digest of levels 1 to last; ranges has key, turn, place and range of each record of the index."""
+    out = now = stored(_joined(recs.join(ranges, ["key", "turn"]).select(F.col("range").alias("parent"), F.col("place").alias("child"), "digest"), 1), "merkle-ranges")
     for level in range(2, last + 1):
         now = _joined(now.select(F.floor(F.col("node") / FANOUT).alias("parent"), F.col("node").alias("child"), "digest"), level)
         out = out.unionByName(now)
@@ -86,11 +86,11 @@ class Archive:
         self.last = 1
         while top is not None and top // FANOUT ** (self.last - 1) > 0:
             self.last += 1
-        self.ranges = self.index.select("id", "turn", "place", "range")
+        self.ranges = self.index.select("id", "key", "turn", "place", "range")
         self.tree = tree(self.records, self.ranges, self.last)
 
     def audit(self, replica: DataFrame) -> DataFrame:
-        """id, turn, status of each record of a replica that isn't as in the primary."""
+        """id, key, turn, status of each record of a replica that isn't as in the primary."""
         theirs = stored(records(replica, **self.columns), "merkle-replica")
         other = tree(theirs, self.ranges, self.last)
         open_ = None
@@ -105,11 +105,11 @@ class Archive:
             if level == self.last and open_.isEmpty():
                 break  # equal roots: nothing below is read
         open_ = stored(open_, "merkle-open", small=True)
-        spots = self.ranges.join(open_, F.col("range") == F.col("parent"), "left_semi").select("id", "turn", "place")
-        mine = spots.join(self.records.select("id", "turn", "digest"), ["id", "turn"])
-        pair = mine.join(theirs.select("id", "turn", F.col("digest").alias("copy")), ["id", "turn"], "left")
-        bad = pair.where(~F.col("digest").eqNullSafe(F.col("copy"))).select("id", "turn", F.when(F.col("copy").isNull(), "missing").otherwise("corrupt").alias("status"))
-        extra = theirs.join(self.ranges, ["id", "turn"], "left_anti").select("id", "turn", F.lit("extra").alias("status"))
+        spots = self.ranges.join(open_, F.col("range") == F.col("parent"), "left_semi").select("id", "key", "turn")
+        mine = spots.join(self.records.select("key", "turn", "digest"), ["key", "turn"])
+        pair = mine.join(theirs.select("key", "turn", F.col("digest").alias("copy")), ["key", "turn"], "left")
+        bad = pair.where(~F.col("digest").eqNullSafe(F.col("copy"))).select("id", "key", "turn", F.when(F.col("copy").isNull(), "missing").otherwise("corrupt").alias("status"))
+        extra = theirs.join(self.ranges, ["key", "turn"], "left_anti").select("id", "key", "turn", F.lit("extra").alias("status"))
         return bad.unionByName(extra)
 
 
@@ -124,7 +124,7 @@ def fixity(pages: DataFrame, replica: DataFrame) -> DataFrame:
     """page_id, rec_offset, rec_length, range_id, digest and status (ok, corrupt, missing) of every record of the primary."""
     archive = Archive(pages)
     bad = archive.audit(replica).where("status != 'extra'")
-    out = archive.index.join(archive.records.select("id", "turn", "digest"), ["id", "turn"]).join(bad, ["id", "turn"], "left")
+    out = archive.index.join(archive.records.select("key", "turn", "digest"), ["key", "turn"]).join(bad.drop("id"), ["key", "turn"], "left")
     return out.select(F.col("id").alias("page_id"), F.col("offset").alias("rec_offset"), F.col("length").alias("rec_length"), F.col("range").alias("range_id"), "digest", F.coalesce("status", F.lit("ok")).alias("status"))
 
 

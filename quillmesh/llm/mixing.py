@@ -75,8 +75,7 @@ def _rated(rows: DataFrame, most: float) -> DataFrame:
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
     """One row a source: s, source_size, target, rate, and the key and id up to which an extra copy is taken."""
-    weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    small = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("s"), words(F.col(text_col)).alias("size"), uniform(F.col(id_col)).alias("u"), weight.alias("weight")), "mix-sizes")
+    small = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("s"), words(F.col(text_col)).alias("size"), uniform(F.col(id_col)).alias("u"), _weight(weight_col).alias("weight")), "mix-sizes")
     sums = small.groupBy("s").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("weighed"))
     goal = targets(sums.select("s", "source_size"), weights, most)
     sources = stored(goal.join(sums.select(F.col("s").alias("s2"), "weighed"), F.col("s").eqNullSafe(F.col("s2"))).select("s", "source_size", "target", F.when(F.col("weighed") > 0, F.col("target") / F.col("weighed")).alias("rate")), "mix-sources", small=True)
@@ -106,31 +105,36 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
     return stored(sources.join(ends, F.col("s").eqNullSafe(F.col("s4")), "left").drop("s4"), "mix-plan", small=True)
 
 
-def _with_copies(docs: DataFrame, plan_: DataFrame, most: float, id_col: str, source_col: str, weight_col: str | None) -> DataFrame:
-    per = plan_.select(F.struct("s", "source_size", "target", "rate", "f", "stop").alias("__mix"), F.col("s").alias("__s"))
-    base = docs.withColumn("__source", F.col(source_col)).join(per, F.col("__source").eqNullSafe(F.col("__s")))
-    expected = F.least(F.coalesce(F.col("__mix.rate") * (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)), F.lit(0.0)), F.lit(most))
+def _with_copies(rows: DataFrame, plan_: DataFrame, most: float) -> DataFrame:
+    """rows (id, s, weight and more) with what the plan has for their source (mix) and the copies to take."""
+    per = plan_.select(F.struct("s", "source_size", "target", "rate", "f", "stop").alias("mix"), F.col("s").alias("of"))
+    expected = F.least(F.coalesce(F.col("mix.rate") * F.col("weight"), F.lit(0.0)), F.lit(most))
     certain = F.floor(expected).cast("long")
     p = F.least(F.greatest(expected - certain, F.lit(1e-9)), F.lit(1 - 1e-9))
-    key = odds(uniform(F.col(id_col))) / odds(p)
+    key = odds(uniform(F.col("id"))) / odds(p)
     fine = F.floor(key / (1 + key) * (BINS * BINS)).cast("long")
-    null_first = F.struct(key.alias("key"), F.col(id_col).alias("id"))
-    within = F.when(F.col("__mix.f").isNull(), F.lit(True)).when(fine != F.col("__mix.f"), fine < F.col("__mix.f")).otherwise(F.col("__mix.stop").isNull() | (null_first < F.col("__mix.stop")))
+    before = F.struct(key.alias("key"), F.col("id")) < F.col("mix.stop")
+    within = F.when(F.col("mix.f").isNull(), F.lit(True)).when(fine != F.col("mix.f"), fine < F.col("mix.f")).otherwise(F.col("mix.stop").isNull() | before)
     extra = (expected > certain) & (certain + 1 <= most) & within
-    return base.withColumn("__copies", certain + extra.cast("long"))
+    return rows.join(per, F.col("s").eqNullSafe(F.col("of"))).withColumn("copies", certain + extra.cast("long"))
+
+
+def _weight(weight_col: str | None) -> Column:
+    return F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken (copies times size) of every document."""
-    need = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), *([F.col(weight_col).alias("weight")] if weight_col else []))
-    out = _with_copies(need, plan(docs, weights, most, id_col, text_col, source_col, weight_col), most, "doc_id", "source", "weight" if weight_col else None)
-    return out.select("doc_id", "size", F.col("__mix.source_size").alias("source_size"), F.col("__mix.target").alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * F.col("size")).alias("taken"))
+    rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("size"), F.col(source_col).alias("s"), _weight(weight_col).alias("weight"))
+    out = _with_copies(rows, plan(docs, weights, most, id_col, text_col, source_col, weight_col), most)
+    return out.select(F.col("id").alias("doc_id"), "size", "mix.source_size", "mix.target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
     """The mix itself: every document as often as it is taken, all its columns."""
-    out = _with_copies(docs, plan(docs, weights, most, id_col, text_col, source_col, weight_col), most, id_col, source_col, weight_col)
-    return out.where("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("s"), _weight(weight_col).alias("weight"), F.struct("*").alias("row"))
+    out = _with_copies(rows, plan(docs, weights, most, id_col, text_col, source_col, weight_col), most)
+    return out.where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 #: The same mix, document by document, with the plain order of all ranks in place of bins.

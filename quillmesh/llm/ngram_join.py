@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, claim, free_name, small_batches, stored
+from .common import arrow_map, claim, small_batches, stored
 from .components import components
 
 GRAM, THRESHOLD = 5, 0.8
@@ -291,14 +291,12 @@ def filter_of(ids: DataFrame) -> DataFrame:
     return dealt.groupBy("__bucket").agg(F.expr("bitmap_construct_agg(bitmap_bit_position(k))").alias("__bits"))
 
 
-def marked(docs: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a boolean column: the id may be one of ids (surely not, where false). The bitmap has a proven bound, so it is broadcast."""
-    name = free_name(docs, "__maybe")
-    k = bit_of(F.col(id_col))
-    with_k = docs.withColumn("__k", k).withColumn("__bucket", F.expr("bitmap_bucket_number(__k)")).withColumn("__at", F.expr("bitmap_bit_position(__k)"))
-    byte = F.conv(F.hex(F.substring("__bits", (F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0, F.lit(False))
-    return with_k.join(F.broadcast(filter_of(ids)), "__bucket", "left").withColumn(name, hit).drop("__k", "__bucket", "__at", "__bits"), name
+def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows, which have an id, with a boolean maybe: the id may be one of ids (surely not, where false). The bitmap has a proven bound, so it is broadcast."""
+    with_k = rows.withColumn("k", bit_of(F.col("id"))).withColumn("__bucket", F.expr("bitmap_bucket_number(k)")).withColumn("at", F.expr("bitmap_bit_position(k)"))
+    byte = F.conv(F.hex(F.substring("__bits", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0, F.lit(False))
+    return with_k.join(F.broadcast(filter_of(ids)), "__bucket", "left").select(*rows.columns, hit.alias("maybe"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,8 +312,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     cells = dealt.select("band", "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "digest", "rep", "n", "sig")
     cell = ["band", "bucket", "i", "j"]
     left = stored(prune(cells.repartition(*cell).sortWithinPartitions(*cell)), "ngram-pruned", small=True)
-    some, maybe = marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", left.select(F.col("rep").alias("id")).distinct())
-    texts = some.where(maybe).select(F.col("id").alias("rep"), "text").join(left, "rep")
+    some = marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), left.select(F.col("rep").alias("id")).distinct())
+    texts = some.where("maybe").select(F.col("id").alias("rep"), "text").join(left, "rep")
     found = stored(verify(texts.select(*cell, "digest", "n", "slot", "later", "text").repartition(*cell).sortWithinPartitions(*cell), threshold), "ngram-links", small=True)
     roots = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
     linked = nodes.select("digest", "rep", "n").join(found.groupBy("digest").agg(F.sum("links").alias("links")), "digest", "left").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
@@ -328,12 +326,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows, all columns, of one document of each class: that of the least id. Rows that no decision touches are not shuffled."""
     classes = near_duplicates(docs, threshold, id_col, text_col)
-    fate = stored(classes.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(F.col("doc_id") == F.col("class_id")).alias("__keep")).where("__n > 1 or not __keep"), "ngram-fate", small=True)
-    some, maybe = marked(docs, id_col, fate.select(F.col("__id").alias("id")))
-    touched = some.where(maybe).join(fate, F.col(id_col) == F.col("__id"), "left")
-    once = touched.where("__id is null").select(*docs.columns)
-    again = touched.where("__keep").dropDuplicates([id_col]).select(*docs.columns)
-    return some.where(~F.col(maybe)).select(*docs.columns).unionByName(once).unionByName(again)
+    fate = stored(classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("class_id")).alias("keep")).where("n > 1 or not keep"), "ngram-fate", small=True)
+    some = marked(docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row")), fate.select(F.col("doc_id").alias("id")))
+    touched = some.where("maybe").join(fate, F.col("id") == F.col("doc_id"), "left")
+    once = touched.where("doc_id is null").select("row")
+    again = touched.where("keep").dropDuplicates(["id"]).select("row")
+    return some.where("not maybe").select("row").unionByName(once).unionByName(again).select("row.*")
 
 
 #: The same by joining every word run to itself; for small tables.

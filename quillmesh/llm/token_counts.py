@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, slices, small_batches
+from .common import arrow_map, claim, slices, small_batches
 from .token_files import words
 
 HUGE_CHARS = 65_536
@@ -146,6 +146,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     small_batches(docs.sparkSession)
 
     def make():
+        claim("words", lambda: (words.cache_clear(), load.cache_clear()))
+
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = b.column(1).to_pylist()
             n = np.asarray(count_all(texts, tokenizer), np.int64)

@@ -7,7 +7,7 @@ and obfuscation (look-alike characters, stretched or spelled-out words).
 Null and empty texts have all-zero features and get the score those have.
 Labels come from at most ``fit_rows`` labelled documents outside fold 2, those
 of the least hash: one part teaches the lexicon, one the trees, one the
-calibration (in small samples the last two share). A document labelled more
+calibration (small samples calibrate on out-of-fold scores instead). A document labelled more
 than once is toxic if any label is. Unlabelled rows are scored like all others.
 """
 
@@ -25,6 +25,8 @@ from .boosting import Isotonic, Trees
 from .common import arrow_map, crc_fold, small_batches, stored
 
 FIT_ROWS = 24_000
+#: From so many labelled rows on, trees and calibration have parts of their own; below, the calibration sees out-of-fold scores.
+SEPARATE_ROWS = 8000
 LEARNED_WORDS = 300
 NEAR = 6
 WINDOW = 64
@@ -164,10 +166,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     y, part = got["toxic"].to_numpy(float), got["part"].to_numpy()
     order = np.lexsort((*x.T, y, part))  # whatever order the tasks ended in
     x, y, part = x[order], y[order], part[order]
-    small = len(y) < 4000
-    a, b = (part >= 4) & (part < 8 if not small else part < 10), part >= (8 if not small else 4)
-    trees = Trees().fit(x[a], y[a])
-    return Model(learned, trees, Isotonic().fit(trees.raw(x[b]) if b.any() else np.zeros(0), y[b]))
+    if len(y) >= SEPARATE_ROWS:
+        a, b = (part >= 4) & (part < 8), part >= 8
+        trees = Trees().fit(x[a], y[a])
+        return Model(learned, trees, Isotonic().fit(trees.raw(x[b]), y[b]))
+    x, y = x[part >= 4], y[part >= 4]
+    raw, turn = np.zeros(len(y)), np.arange(len(y)) % 5
+    for k in range(5):
+        raw[turn == k] = Trees().fit(x[turn != k], y[turn != k]).raw(x[turn == k])
+    return Model(learned, Trees().fit(x, y), Isotonic().fit(raw, y))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
