@@ -44,25 +44,25 @@ TEST_STARTS, TEST_ENDS = ["test_", "tests_"], ["_test", "_spec", "_tests"]
 
 
 def glob_regex(pattern: str) -> str:
-    """A Java regular expression that matches whole paths as the glob does; ``**/`` also matches no directory."""
+    """A Java regular expression for whole strings: a star also spans slashes, as in shell-style matching of plain strings."""
     out, i = "", 0
     while i < len(pattern):
-        if pattern.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif pattern.startswith("**", i):
-            out, i = out + ".*", i + 2
+        c, shut = pattern[i], pattern.find("]", i + 2)
+        if c == "[" and shut > 0:
+            body = pattern[i + 1 : shut].replace("\\", r"\\")
+            out, i = f"{out}[{'^' + body[1:] if body[0] == '!' else body}]", shut + 1
         else:
-            c = pattern[i]
-            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)), i + 1
-    return f"^{out}$"
+            out, i = out + {"*": ".*", "?": "."}.get(c, re.escape(c)), i + 1
+    return f"(?s)^(?:{out})$"
 
 
 def any_glob(path: Column, patterns: list[str]) -> Column:
-    """One regular expression for all globs; those without a slash match the base name."""
-    if not patterns:
+    """One regular expression for all globs, on the whole path and on the base name; ``**/`` in front may also stand for nothing."""
+    forms = [glob_regex(q) for p in patterns if p for q in ([p, p[3:]] if p.startswith("**/") else [p]) if q]
+    if not forms:
         return F.lit(False)
-    forms = [glob_regex(p if "/" in p else f"**/{p}") for p in patterns]
-    return path.rlike("|".join(f"(?:{f})" for f in forms))
+    every = "|".join(f"(?:{f})" for f in forms)
+    return path.rlike(every) | base_name(path).rlike(every)
 
 
 def included(path: Column, include: list[str], exclude: list[str]) -> Column:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..facade import Corpus, Registry
+from ..functions import paths, vectors
 from ..operators import aggregates as ag
-from ..operators import sinks
+from ..operators import content, sinks
 from ..sources import files as op
+from ..sources.paged import issues
+from ..streaming import flows
 from .registry import query
 
 
@@ -54,3 +57,19 @@ query("udf_analyzer", lambda c: audit(c, ["large"]), f"WITH {AUDIT} SELECT * FRO
 query("agg_audit", audit, f"WITH {AUDIT} SELECT * FROM f")
 query("agg_health_scan", lambda c: audit(c).groupBy("analyzer", "severity").agg(F.count("*").alias("n")), f"WITH {AUDIT} SELECT analyzer, severity, count(*) AS n FROM f GROUP BY 1, 2")
 query("agg_security_score", lambda c: c.documents.agg(F.count_if(F.col("text").rlike(r"(?i)password")).alias("bad"), F.count("*").alias("n")).select("bad", F.round(100.0 * (1 - F.col("bad") / F.col("n")), 2).alias("score")), "SELECT count(*) FILTER (regexp_matches(text, '(?i)password')) AS bad, round(100.0::DOUBLE * (1 - count(*) FILTER (regexp_matches(text, '(?i)password')) / count(*)::DOUBLE), 2) AS score FROM documents")
+
+
+PAGES = [[{"number": 1, "title": "a", "labels": ["bug", "high"]}, {"number": 2, "title": "b", "labels": []}], [{"number": 3, "title": "c", "labels": ["Security", "critical"], "state": "closed"}]]
+query("scan_github", lambda c: issues(c.spark, PAGES), "SELECT * FROM (VALUES (1::BIGINT, 'a', 'bug', 'P1', 'open'), (2, 'b', 'feature', 'P2', 'open'), (3, 'c', 'security', 'P0', 'closed')) v(number, title, category, priority, state)")
+EMBEDDERS = Registry(hashed=lambda col: vectors.hashed(col, 16))
+COMPRESSORS = Registry(codes=content.compressed)
+SARIF_ADAPTERS = Registry(default=content.sarif_findings)
+PARSERS = Registry(**{name: (lambda df, n=name: content.parsed(df, n)) for name in content.DECLARATIONS})
+WORKERS = Registry(embed=lambda now, before: flows.reuse_plan(now, before).where("action = 'embed'"))
+query("udf_embedder", lambda c: c.benchmark.select("item_id", F.size(EMBEDDERS.get("hashed")(F.col("text"))).alias("dims")), "SELECT item_id, 16 AS dims FROM benchmark")
+query("udf_compressor", lambda c: COMPRESSORS.get("codes")(c.files.where("doc_id < 20").select("doc_id", F.concat(F.lit("in "), F.col("path")).alias("text")), c.files.select("path")).select("doc_id", F.startswith("text", F.lit("in ")).alias("kept")), "SELECT doc_id, true AS kept FROM files WHERE doc_id < 20")
+query("udf_language", lambda c: PARSERS.get("python")(c.files.withColumn("text", F.lit("def go():\n  pass"))), "SELECT path, 'symbol' AS kind, 'go' AS name FROM files")
+query("udf_pyo3", lambda c: c.files.select("path", paths.language(F.col("path")).alias("language"), F.substring(F.sha2("text", 256), 1, 32).alias("hash")).where("language = 'rust'"), "SELECT path, 'rust' AS language, substr(sha256(text), 1, 32) AS hash FROM files WHERE path LIKE '%.rs'")
+query("udf_sarif_adapter", lambda c: SARIF_ADAPTERS.get("default")(c.items.where("id % 90 = 0").select("id", F.concat(F.lit('[{"ruleId":"r","level":"note","locations":[{"uri":"file:///'), "file_path", F.lit('","line":1}]}]')).alias("results"))).select("id", "rule", "file_path"), "SELECT id, 'r' AS rule, file_path FROM items WHERE id % 90 = 0")
+query("udf_worker", lambda c: WORKERS.get("embed")(c.files.select("path", "hash"), c.files.where("doc_id % 2 = 0").select("path", "hash")), "SELECT path, 'embed' AS action FROM files WHERE doc_id % 2 <> 0")
+query("udf_mcp", lambda c: Corpus(c.spark, c.dir).hubs(5), "SELECT f.id AS file_id, t.file_path, count(*) AS in_degree FROM edges e JOIN nodes t ON t.id = e.target JOIN nodes f ON f.file_path = t.file_path AND f.kind = 'file' WHERE origin <> 'external' GROUP BY 1, 2 ORDER BY in_degree DESC, file_path LIMIT 5")
