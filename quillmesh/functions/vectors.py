@@ -29,13 +29,26 @@ def shortened(v: Column, dims: int) -> Column:
 
 
 def hashed(text: Column, dims: int = 64) -> Column:
-    """A deterministic embedding: counts of hashed words with hashed signs, at unit length; a stand-in where no model is."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    zero = F.array_repeat(F.lit(0.0), dims)
-    spots = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dims)).alias("i"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(zero, lambda z, i: F.aggregate(F.filter(spots, lambda p: p["i"] == i), F.lit(0.0), lambda acc, p: acc + p["s"]))
-    n = norm(raw)
-    return F.when(n > 0, F.transform(raw, lambda x: x / n)).otherwise(raw)
+    """A deterministic embedding: counts of hashed words with hashed signs, at unit length; a stand-in where no model is.
+
+    A batch at a time in numpy: as nested column functions it would cost words times dims.
+    """
+    import re
+    from zlib import crc32
+
+    words = re.compile(r"[^\W_]+").findall
+
+    @F.pandas_udf("array<double>")
+    def embed(s: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[float]:
+            h = np.fromiter((crc32(w.encode()) for w in words((t or "").lower())), np.int64)
+            v = np.bincount(h % dims, np.where(h >> 20 & 1, 1.0, -1.0), dims)
+            n = np.linalg.norm(v)
+            return (v / n if n else v).tolist()
+
+        return s.map(one)
+
+    return embed(text)
 
 
 def fake(texts: pd.Series, dims: int = 384) -> pd.Series:

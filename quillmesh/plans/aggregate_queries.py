@@ -87,7 +87,7 @@ query("agg_cluster_hist", lambda c: op.size_histogram(c.commits.groupBy("author"
 query("agg_repo_profile", lambda c: c.files.groupBy(paths.extension(F.col("path")).alias("ext")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "SELECT regexp_extract(path, '(\\.[^.]+)$', 1) AS ext, count(*) AS n, sum(size)::BIGINT AS bytes FROM files GROUP BY 1")
 query("agg_rebuild_duration", lambda c: c.items.where("status = 'F'").groupBy("category").agg(F.max_by("value", F.struct("created_at", "id")).alias("last")).rollup("category").agg(F.round(F.sum("last"), 2).alias("seconds")), "SELECT category, round(sum(last), 2) AS seconds FROM (SELECT category, value AS last FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY created_at DESC, id DESC) AS r FROM items WHERE status = 'F') WHERE r = 1) GROUP BY ROLLUP (category)")
 query("agg_doc_score", lambda c: c.files.select("doc_id", F.round(op.document_score(F.col("doc_id") % 13, F.lit(12), F.col("path").endswith(".md"), F.when(F.col("path").startswith("docs/"), 0.7).otherwise(0.2), F.col("doc_id") % 11 == 0), 6).alias("score")), "SELECT doc_id, round(least(1.0::DOUBLE, 0.5 * (doc_id % 13) / 12.0::DOUBLE + CASE WHEN path LIKE '%.md' THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN path LIKE 'docs/%' THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN doc_id % 11 = 0 THEN 0.1::DOUBLE ELSE 0 END), 6) AS score FROM files")
-query("agg_role_overlap", lambda c: op.overlaps(c.commits.where("author < 60").select(F.concat(F.lit("r"), F.col("author") % 12).alias("role"), "path"), "role", "path", 0.1), "WITH m AS (SELECT DISTINCT 'r' || (author % 12)::VARCHAR AS role, path FROM commits WHERE author < 60), n AS (SELECT role, count(*) AS n FROM m GROUP BY 1), s AS (SELECT x.role AS a, y.role AS b, count(*) AS c FROM m x JOIN m y ON x.path = y.path AND x.role < y.role GROUP BY 1, 2) SELECT a, b, round(c / (p.n + q.n - c)::DOUBLE, 6) AS jaccard FROM s JOIN n p ON p.role = a JOIN n q ON q.role = b WHERE c / (p.n + q.n - c)::DOUBLE > 0.1")
+query("agg_role_overlap", lambda c: op.overlaps(c.commits.where("author < 60").select(F.concat(F.lit("r"), F.col("author") % 12).alias("role"), "path"), "role", "path", 0.01), "WITH m AS (SELECT DISTINCT 'r' || (author % 12)::VARCHAR AS role, path FROM commits WHERE author < 60), n AS (SELECT role, count(*) AS n FROM m GROUP BY 1), s AS (SELECT x.role AS a, y.role AS b, count(*) AS c FROM m x JOIN m y ON x.path = y.path AND x.role < y.role GROUP BY 1, 2) SELECT a, b, round(c / (p.n + q.n - c)::DOUBLE, 6) AS jaccard FROM s JOIN n p ON p.role = a JOIN n q ON q.role = b WHERE c / (p.n + q.n - c)::DOUBLE > 0.01")
 query("agg_hi_topics", lambda c: c.files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("path", F.lit("([a-z]+)"), F.lit(1)))).alias("word")).join(c.spark.createDataFrame([("testing", "tests"), ("testing", "unit"), ("testing", "test"), ("web", "api"), ("web", "ui"), ("web", "src")], "topic string, word string"), "word").groupBy("path", "topic").agg(F.count("*").alias("hits")).where("hits >= 2").groupBy("topic").agg(F.count("*").alias("files")), "WITH w AS (SELECT path, unnest(list_distinct(regexp_extract_all(path, '[a-z]+'))) AS word FROM files), t AS (SELECT * FROM (VALUES ('testing', 'tests'), ('testing', 'unit'), ('testing', 'test'), ('web', 'api'), ('web', 'ui'), ('web', 'src')) v(topic, word)) SELECT topic, count(*) AS files FROM (SELECT path, topic FROM w JOIN t USING (word) GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1")
 query("agg_role_fitness", lambda c: c.concepts.withColumn("r", F.expr("row_number() OVER (PARTITION BY category ORDER BY confidence DESC, id)")).where("r <= 30").groupBy("category").agg(F.round(0.6 * F.avg((F.col("status") == "active").cast("double")) + 0.2 + 0.2 * F.avg(F.when(F.col("r") <= 10, F.col("confidence"))), 6).alias("fitness")), "SELECT category, round(0.6::DOUBLE * avg((status = 'active')::INT) + 0.2::DOUBLE + 0.2::DOUBLE * avg(confidence::DOUBLE) FILTER (r <= 10), 6) AS fitness FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, id) AS r FROM concepts) WHERE r <= 30 GROUP BY 1")
 query("agg_role_fitness_fb", lambda c: c.concepts.groupBy("module").agg(F.round(0.5 * F.least(F.count_if(F.col("kind").contains("STEEL")) / F.count("*"), F.lit(0.3)) / 0.3 + 0.3 * F.least(F.count_if(F.col("title").contains("1")) / F.count("*"), F.lit(0.3)) / 0.3 + 0.2, 6).alias("fitness")), "SELECT module, round(0.5::DOUBLE * least(count(*) FILTER (contains(kind, 'STEEL')) / count(*)::DOUBLE, 0.3::DOUBLE) / 0.3::DOUBLE + 0.3::DOUBLE * least(count(*) FILTER (contains(title, '1')) / count(*)::DOUBLE, 0.3::DOUBLE) / 0.3::DOUBLE + 0.2::DOUBLE, 6) AS fitness FROM concepts GROUP BY 1")

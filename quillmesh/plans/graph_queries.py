@@ -39,7 +39,7 @@ query("gr_components_tag", lambda c: c.concepts.select("id", F.coalesce("kind",
 query("gr_louvain", lambda c: op.communities(c.spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("d", "e", 1.0), ("e", "f", 1.0), ("d", "f", 1.0), ("c", "d", 0.1)], "a string, b string, w double")), "SELECT * FROM (VALUES ('a', 'a'), ('b', 'a'), ('c', 'a'), ('d', 'd'), ('e', 'd'), ('f', 'd')) v(id, community)")
 query("gr_topo", lambda c: op.tiers(rings(c).select(F.col("a").alias("id")).union(rings(c).select("b")), rings(c).where("b NOT LIKE '%-5' OR a NOT LIKE '%-6'").where("a NOT LIKE '%-3' OR b NOT LIKE '%-1'")).select("id", "tier"), "WITH " + RINGS + " SELECT n || '-' || x AS id, t AS tier FROM k, (VALUES ('7', 0), ('6', 1), ('5', 2), ('4', 3), ('3', 4), ('2', 5), ('1', 6), ('8', 7)) v(x, t)")
 query("gr_decay_bfs", lambda c: op.decay(rings(c).select(F.col("a").alias("source"), F.col("b").alias("target")), rings(c).select(F.col("a").alias("id")).union(rings(c).select("b")).distinct().withColumn("score", F.lit(0.8)), c.nation.select(F.concat(F.col("n_nationkey").cast("string"), F.lit("-1")).alias("id")), 2), "WITH " + RINGS + " SELECT n || '-' || x AS id, s AS score FROM k, (VALUES ('1', 0.0::DOUBLE), ('2', 0.76::DOUBLE), ('3', 0.76::DOUBLE), ('8', 0.76::DOUBLE), ('4', 0.76::DOUBLE), ('7', 0.76::DOUBLE)) v(x, s)")
-query("gr_proximity", lambda c: op.proximity(c.files.select(paths.directory(F.col("path")).alias("folder"), "path"), c.files.where("doc_id < 0").select(F.col("path").alias("a"), F.col("path").alias("b"))), "WITH f AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, path, count(*) OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '')) AS n FROM files) SELECT x.path AS a, y.path AS b, round(greatest(0.3::DOUBLE, 0.7::DOUBLE - 0.04::DOUBLE * x.n), 6) AS confidence FROM f x JOIN f y ON x.folder = y.folder AND x.path < y.path WHERE x.n BETWEEN 2 AND 20")
+query("gr_proximity", lambda c: op.proximity(c.files.select(F.concat(paths.directory(F.col("path")), F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string")).alias("folder"), "path"), c.files.where("doc_id < 0").select(F.col("path").alias("a"), F.col("path").alias("b"))), "WITH d AS (SELECT regexp_replace(path, '/[^/]*$', '') || '/' || (doc_id // 100)::VARCHAR AS folder, path FROM files), f AS (SELECT *, count(*) OVER (PARTITION BY folder) AS n FROM d) SELECT x.path AS a, y.path AS b, round(greatest(0.3::DOUBLE, 0.7::DOUBLE - 0.04::DOUBLE * x.n), 6) AS confidence FROM f x JOIN f y ON x.folder = y.folder AND x.path < y.path WHERE x.n BETWEEN 2 AND 20")
 query("gr_cochange", lambda c: op.cochange(c.commits.groupBy(F.floor(F.col("commit_id") / 8).alias("commit_id"), "path").agg(F.min("ts").alias("ts")), "1998-09-01", 2000.0, 1, 0.1), """WITH r AS (SELECT commit_id // 8 AS k, path, min(ts) AS ts FROM commits GROUP BY 1, 2), z AS (SELECT k FROM r GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30),
       w AS (SELECT r.k, path, exp(-ln(2.0::DOUBLE) * date_diff('day', ts::DATE, DATE '1998-09-01') / 2000.0::DOUBLE) AS w FROM r JOIN z ON z.k = r.k), t AS (SELECT path, sum(w) AS t FROM w GROUP BY 1),
       b AS (SELECT x.path AS a, y.path AS b, sum(x.w) AS s FROM w x JOIN w y ON x.k = y.k AND x.path < y.path GROUP BY 1, 2)
