@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from .joins import first_n
-from .rank import average_rank_share
+from .rank import with_rank_share, with_share_below
+from .sinks import kept
 
 # Weights of the file score, its bands, and the weights of other scores.
 FILE_WEIGHTS = {"lines": 0.25, "fan_in": 0.20, "fan_out": 0.10, "symbols": 0.10, "circular": 0.10, "tech_debt": 0.15, "low_confidence": 0.10}
@@ -73,9 +74,9 @@ def summary(items: DataFrame) -> DataFrame:
 
 def file_scores(raw: DataFrame) -> DataFrame:
     """score and severity of rows path, lines, fan_in, fan_out, symbols, circular, tech_debt, confidence (null: 0.5); healthy files are left out."""
-    use = raw.withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
+    base = use = kept(raw.withColumn("confidence", F.coalesce("confidence", F.lit(0.5))), "file-scores")
     for c in ("lines", "fan_in", "fan_out", "symbols", "tech_debt", "confidence"):
-        use = use.withColumn(f"p_{c}", average_rank_share(F.col(c)))
+        use = with_rank_share(use, c, f"p_{c}", base)
     w = FILE_WEIGHTS
     score = w["lines"] * F.col("p_lines") + w["fan_in"] * F.col("p_fan_in") + w["fan_out"] * F.col("p_fan_out") + w["symbols"] * F.col("p_symbols") + w["circular"] * F.col("circular").cast("double") + w["tech_debt"] * F.col("p_tech_debt") + w["low_confidence"] * (1 - F.col("p_confidence"))
     scored = use.withColumn("score", F.round(score, 6))
@@ -101,9 +102,7 @@ def coupling_hotspots(degree: DataFrame, least_z: float = 2.0, least_degree: int
     use = degree.where(~paths.generated(F.col("file_path")))
     stats = use.agg(F.avg("in_degree").alias("mean"), F.stddev_samp("in_degree").alias("sd"), F.count("*").alias("n"))
     z = (F.col("in_degree") - F.col("mean")) / F.when(F.col("sd") > 1e-9, F.col("sd")).otherwise(1.0)
-    per = use.groupBy("in_degree").agg(F.count("*").alias("m"))
-    below = per.withColumn("below", F.coalesce(F.sum("m").over(W.orderBy("in_degree").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("in_degree", "below")
-    out = use.join(F.broadcast(stats)).where("n >= 2").join(below, "in_degree").withColumn("z", z).withColumn("percentile", F.col("below") / F.col("n"))
+    out = with_share_below(use, "in_degree", "percentile").join(F.broadcast(stats)).where("n >= 2").withColumn("z", z)
     hot = out.where((F.col("z") >= least_z) & (F.col("in_degree") >= least_degree))
     nothing = F.lit(False)
     return hot.select("file_path", "in_degree", F.round("z", 4).alias("z"), F.round(risk(F.col("percentile"), nothing, nothing, F.lit(0.0), F.lit(0.0)), 4).alias("risk"))

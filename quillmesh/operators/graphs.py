@@ -8,14 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import first_n
-from .sinks import shared_path
-
-
-def kept(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage by a table in the shared folder."""
-    path = shared_path(df, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .sinks import kept
 
 
 def impact(edges: DataFrame, start: DataFrame, hops: int = 2, most: int | None = None) -> DataFrame:

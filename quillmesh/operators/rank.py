@@ -6,12 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sinks import kept
 
-def average_rank_share(value: Column) -> Column:
-    """Average 0-based rank over n - 1, as a share: ties have the mean of their ranks, a single row 0.5."""
-    every = W.partitionBy()
-    n, ties = F.count(F.lit(1)).over(every), F.count(F.lit(1)).over(W.partitionBy(value))
-    return F.when(n == 1, F.lit(0.5)).otherwise((F.rank().over(W.partitionBy().orderBy(value)) - 1 + (ties - 1) / 2) / (n - 1))
+
+def _running(df: DataFrame, order: list, amount: Column, out: str) -> DataFrame:
+    """df with the sum of amount over all rows before each in the order: range partitions, their sums, then a window within each. No task sorts all rows."""
+    ranged = kept(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("__p").agg(F.sum(amount).alias("__s"))
+    bases = sums.select("__p", F.coalesce(F.sum("__s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    inside = W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    run = ranged.join(F.broadcast(bases), "__p")  # a row a partition
+    return run.withColumn(out, F.col("__base") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("__p", "__base")
+
+
+def numbered(df: DataFrame, order: list, out: str = "place") -> DataFrame:
+    """Rows numbered from 1 in the order, whose keys must be unique."""
+    return _running(df, order, F.lit(1), out).withColumn(out, (F.col(out) + 1).cast("int"))
+
+
+def value_ranks(df: DataFrame, value: str) -> DataFrame:
+    """Of each distinct value: below (rows with a smaller one), ties and n (all rows); counted before anything is ordered."""
+    counts = df.groupBy(value).agg(F.count("*").alias("ties"))
+    total = counts.agg(F.sum("ties").alias("n"))
+    return _running(counts, [F.col(value)], F.col("ties"), "below").join(F.broadcast(total))  # one row
+
+
+def with_rank_share(df: DataFrame, value: str, out: str, of: DataFrame | None = None) -> DataFrame:
+    """Average 0-based rank over n - 1, as a share: ties have the mean of their ranks, a single row 0.5. of: rows to rank among, those of df by default."""
+    share = F.when(F.col("n") == 1, F.lit(0.5)).otherwise((F.col("below") + (F.col("ties") - 1) / 2) / (F.col("n") - 1))
+    ranks = value_ranks(df if of is None else of, value).select(F.col(value).alias("__v"), share.alias(out))
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
+
+
+def with_share_below(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Share of rows with a smaller value."""
+    ranks = value_ranks(df, value).select(F.col(value).alias("__v"), (F.col("below") / F.col("n")).alias(out))
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
 
 
 def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:

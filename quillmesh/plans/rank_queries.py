@@ -11,8 +11,8 @@ from .registry import query
 
 APR = "CASE WHEN count(*) OVER () = 1 THEN 0.5::DOUBLE ELSE (rank() OVER (ORDER BY v) - 1 + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE) / (count(*) OVER () - 1) END"
 
-query("win_percentile_norm", lambda c: c.nodes.where("kind = 'file'").select("id", F.round(op.average_rank_share(F.col("size")), 8).alias("share")), f"SELECT id, round({APR}, 8) AS share FROM (SELECT id, size AS v FROM nodes WHERE kind = 'file')")
-query("win_hub_percentile", lambda c: c.commits.groupBy("path").agg(F.count("*").alias("n")).selectExpr("path", "round((rank() OVER (ORDER BY n) - 1) / count(*) OVER (), 8) AS below"), "SELECT path, round((rank() OVER (ORDER BY count(*)) - 1) / (count(*) OVER ())::DOUBLE, 8) AS below FROM commits GROUP BY path")
+query("win_percentile_norm", lambda c: op.with_rank_share(c.nodes.where("kind = 'file'"), "size", "share").select("id", F.round("share", 8).alias("share")), f"SELECT id, round({APR}, 8) AS share FROM (SELECT id, size AS v FROM nodes WHERE kind = 'file')")
+query("win_hub_percentile", lambda c: op.with_share_below(c.commits.groupBy("path").agg(F.count("*").alias("m")), "m", "share").select("path", F.round("share", 8).alias("below")), "SELECT path, round((rank() OVER (ORDER BY count(*)) - 1) / (count(*) OVER ())::DOUBLE, 8) AS below FROM commits GROUP BY path")
 query("win_latest_run", lambda c: op.latest(c.items, ["category", "source"], [F.desc("created_at"), F.desc("id")]).select("id", "category", "source"), "SELECT id, category, source FROM (SELECT *, row_number() OVER (PARTITION BY category, source ORDER BY created_at DESC, id DESC) AS r FROM items) WHERE r = 1")
 query("win_runs", lambda c: c.items.where("category = 'security' AND status = 'F'").orderBy(F.desc("created_at"), F.desc("id")).limit(20).select("id", "created_at"), "SELECT id, created_at FROM items WHERE category = 'security' AND status = 'F' ORDER BY created_at DESC, id DESC LIMIT 20")
 query("win_latest_events", lambda c: c.events.join(F.broadcast(c.events.agg(F.max("ts").alias("last"))), F.col("ts") >= F.expr("last - INTERVAL 12 HOURS")).select("event_id", "ts"), "SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR")
@@ -49,7 +49,7 @@ query("top_alerts", lambda c: op.alerts(c.events.selectExpr("user_id AS session"
       "SELECT session, rule, path, p::INT AS place, CASE WHEN p <= 3 THEN 'drained' ELSE 'queued' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY CASE rule WHEN 'error' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, rule, path) AS p FROM (SELECT DISTINCT user_id AS session, event_type AS rule, 'f' || (event_id % 5)::VARCHAR AS path FROM events))")
 query("top_hotspots", lambda c: c.part_paths.join(c.commits.groupBy("path").agg(F.countDistinct("author").alias("imports")), "path", "left").where("p_size * 20 > 900 OR imports > 32").select("path", "p_size", "imports"), "SELECT path, p_size, imports FROM part_paths LEFT JOIN (SELECT path, count(DISTINCT author) AS imports FROM commits GROUP BY 1) USING (path) WHERE p_size * 20 > 900 OR imports > 32")
 query("top_planning_docs", lambda c: c.files.where("path LIKE '%.md'").select("path", F.round(0.5 * (F.col("doc_id") % 13) / 12.0 + F.when(F.col("path").startswith("docs/"), 0.15).otherwise(0.0), 6).alias("score")).orderBy(F.desc("score"), "path").limit(30), "SELECT path, round(0.5::DOUBLE * (doc_id % 13) / 12.0::DOUBLE + CASE WHEN path LIKE 'docs/%' THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END, 6) AS score FROM files WHERE path LIKE '%.md' ORDER BY score DESC, path LIMIT 30")
-query("top_graph_sort", lambda c: c.nodes.selectExpr("id", "row_number() OVER (ORDER BY CASE kind WHEN 'file' THEN 0 WHEN 'symbol' THEN 1 ELSE 2 END, file_path, name, id) AS place"), "SELECT id, (row_number() OVER (ORDER BY CASE kind WHEN 'file' THEN 0 WHEN 'symbol' THEN 1 ELSE 2 END, file_path, name, id))::INT AS place FROM nodes")
+query("top_graph_sort", lambda c: op.numbered(c.nodes.select("id", "file_path", "name", F.when(F.col("kind") == "file", 0).when(F.col("kind") == "symbol", 1).otherwise(2).alias("k")), [F.col(x) for x in ("k", "file_path", "name", "id")]).select("id", "place"), "SELECT id, (row_number() OVER (ORDER BY CASE kind WHEN 'file' THEN 0 WHEN 'symbol' THEN 1 ELSE 2 END, file_path, name, id))::INT AS place FROM nodes")
 query("set_layer_merge", lambda c: jo.overlay(scored(c).where("vec_id % 2 = 0"), scored(c).where("vec_id % 3 = 0").withColumn("score", F.col("score") * 1.1), "vec_id").orderBy(F.desc("score"), "vec_id").limit(8).select("vec_id", F.round("score", 6).alias("score")), f"WITH s AS (SELECT v.vec_id, {DOT} AS score FROM vectors v, vectors q WHERE q.vec_id = 0 AND v.vec_id <> 0) SELECT vec_id, round(CASE WHEN vec_id % 3 = 0 THEN score * 1.1::DOUBLE ELSE score END, 6) AS score FROM s WHERE vec_id % 2 = 0 OR vec_id % 3 = 0 ORDER BY CASE WHEN vec_id % 3 = 0 THEN score * 1.1::DOUBLE ELSE score END DESC, vec_id LIMIT 8")
 query("set_effective_excludes", lambda c: c.concepts.where("id % 2 = 0").select("a1").union(c.concepts.where("id % 3 = 0").select("a2")).union(c.concepts.where("id % 5 = 0").select("module")).distinct().toDF("pattern"), "SELECT a1 AS pattern FROM concepts WHERE id % 2 = 0 UNION SELECT a2 FROM concepts WHERE id % 3 = 0 UNION SELECT module FROM concepts WHERE id % 5 = 0")
 STATUS = "CASE doc_id % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' WHEN 2 THEN 'unchanged' ELSE 'deleted' END"

@@ -34,8 +34,15 @@ def test_diversity_demotes_a_near_copy_and_keeps_order_at_one(spark):
 
 def test_average_ranks(spark):
     df = rows(spark, [(1,), (2,), (2,), (4,)], "v int")
-    assert [r.s for r in df.select("v", rank.average_rank_share(F.col("v")).alias("s")).orderBy("v", "s").collect()] == pytest.approx([0, 0.5, 0.5, 1])
-    assert rows(spark, [(7,)], "v int").select(rank.average_rank_share(F.col("v")).alias("s")).first().s == 0.5
+    assert [r.s for r in rank.with_rank_share(df, "v", "s").orderBy("v", "s").collect()] == pytest.approx([0, 0.5, 0.5, 1])
+    assert rank.with_rank_share(rows(spark, [(7,)], "v int"), "v", "s").first().s == 0.5
+    assert sorted(r.s for r in rank.with_share_below(df, "v", "s").collect()) == [0, 0.25, 0.25, 0.75]
+
+
+def test_numbering_over_partitions(spark):
+    df = spark.range(5000).selectExpr("id", "pmod(xxhash64(id), 7) AS k").repartition(9)
+    got = rank.numbered(df, [F.col("k"), F.col("id")]).orderBy("k", "id").collect()
+    assert [r.place for r in got] == list(range(1, 5001))
 
 
 def test_smooth_derivative_is_exact_on_cubics(spark):
