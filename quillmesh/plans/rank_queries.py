@@ -22,7 +22,7 @@ series = lambda c: c.events.selectExpr("user_id AS k", "row_number() OVER (PARTI
 SG = """n AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM s), d AS (SELECT a.k, a.i, a.v, a.n, (m2.v - 8 * m1.v + 8 * p1.v - p2.v) / 12.0::DOUBLE AS d FROM n a
 JOIN n m2 ON m2.k = a.k AND m2.i = CASE WHEN a.i - 2 < 1 THEN 2 - (a.i - 2) ELSE a.i - 2 END JOIN n m1 ON m1.k = a.k AND m1.i = CASE WHEN a.i - 1 < 1 THEN 2 - (a.i - 1) ELSE a.i - 1 END
 JOIN n p1 ON p1.k = a.k AND p1.i = CASE WHEN a.i + 1 > a.n THEN 2 * a.n - (a.i + 1) ELSE a.i + 1 END JOIN n p2 ON p2.k = a.k AND p2.i = CASE WHEN a.i + 2 > a.n THEN 2 * a.n - (a.i + 2) ELSE a.i + 2 END WHERE a.n >= 5)"""
-query("win_sg_derivative", lambda c: op.smooth_derivative(series(c), ["k"], "i", "v").where("derivative IS NOT NULL").select("k", "i", F.round("derivative", 6).alias("derivative")), f"WITH {SERIES}, {SG} SELECT k, i::INT AS i, round(d, 6) AS derivative FROM d")
+query("win_sg_derivative", lambda c: op.smooth_derivative(series(c), ["k"], "i", "v").where("derivative IS NOT NULL").select("k", "i", (F.round("derivative", 6) + 0.0).alias("derivative")), f"WITH {SERIES}, {SG} SELECT k, i::INT AS i, round(d, 6) + 0.0::DOUBLE AS derivative FROM d")
 query("win_boundaries", lambda c: op.valleys(series(c), ["k"], "i", "v", 0.3).select("k", "i"), f"WITH {SERIES}, {SG}, b AS (SELECT *, lag(d) OVER (PARTITION BY k ORDER BY i) AS before FROM d) SELECT k, i::INT AS i FROM b WHERE before < 0 AND d >= 0 AND v <= (SELECT quantile_cont(v, 0.3) FROM s WHERE s.k = b.k)")
 query("win_min_distance", lambda c: op.spaced(series(c), ["k"], "i", 3))
 query("win_adaptive_k", lambda c: op.adaptive_cut(c.concepts.select(F.col("module").alias("q"), "id", (F.col("confidence") * (F.col("id") % 3 + 1)).alias("score")), ["q"], "score", "id", 0.15, 10).select("q", "id", "rank"),
