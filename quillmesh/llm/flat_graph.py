@@ -174,42 +174,40 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     rows = vectors.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"), F.col(label_col).cast("string").alias("label"))
     rows = rows.withColumn("key", F.when(usable(F.col("v")) & F.col("label").isNotNull(), F.xxhash64("label", "v")))
     nodes = stored(rows.where("key is not null").groupBy("key", "label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("group", F.concat_ws("/", F.size("v"), "label")), "flat-nodes")
-    sizes = {r["group"]: (r["n"], r["d"]) for r in nodes.groupBy("group").agg(F.count("*").alias("n"), F.first(F.size("v")).alias("d")).collect()}
-    total = sum(n for n, _ in sizes.values())
-    sample = bounded_sample(nodes.select("key", "group", "v"), "key", FIT_ROWS).collect()
-    centroids: dict[str, np.ndarray] = {}
-    first: dict[str, int] = {}
-    by_group: dict[str, list] = {}
-    for r in sample:
-        by_group.setdefault(r["group"], []).append(r["v"])
+    total = nodes.count()
     share = max(SHARD, -(-total // MAX_CENTROIDS))
-    for g in sorted(sizes):
-        n, d = sizes[g]
-        x = np.asarray(by_group.get(g, []), np.float64).reshape(-1, d)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        k = max(1, min(-(-n // share), len(x)))
-        first[g] = sum(len(c) for c in centroids.values())
-        centroids[g] = spherical_means(x, k) if k > 1 else np.zeros((1, d))
+    # only groups of more than a shard need centroids: MAX_CENTROIDS of them at most, however many labels there are
+    large = {r["group"]: (r["n"], r["d"]) for r in nodes.groupBy("group").agg(F.count("*").alias("n"), F.first(F.size("v")).alias("d")).where(F.col("n") > share).collect()}
+    centroids: dict[str, np.ndarray] = {}
+    if large:
+        sample = bounded_sample(nodes.where(F.col("group").isin(list(large))).select("key", "group", "v"), "key", FIT_ROWS, max(d for _, d in large.values()))
+        of = np.asarray(sample.column("group").to_pylist())
+        for g, (n, d) in large.items():
+            x = matrix(sample.column("v").take(pa.array(np.flatnonzero(of == g))), d) if (of == g).any() else np.zeros((0, d))
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            k = min(-(-n // share), len(x))
+            if k > 1:
+                centroids[g] = spherical_means(x, k)
     reach = float(np.arccos(np.clip(least, -1, 1))) + 1e-6
 
     def deal():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             groups, lists = b.column(1).to_pylist(), b.column(2)
-            home, also = np.zeros(len(groups), np.int64), [None] * len(groups)
-            for g in set(groups):
+            home, also = np.zeros(len(groups), np.int64), [[0]] * len(groups)
+            for g in set(groups) & set(centroids):
                 at = [i for i, y in enumerate(groups) if y == g]
-                x = matrix(lists.take(pa.array(at)), sizes[g][1])
+                x = matrix(lists.take(pa.array(at)), centroids[g].shape[1])
                 angle = np.arccos(np.clip(x / np.linalg.norm(x, axis=1, keepdims=True) @ centroids[g].T, -1, 1))
                 near = angle.argmin(1)
                 inside = angle <= angle[np.arange(len(at)), near][:, None] + reach
                 for i, h, row in zip(at, near, inside, strict=True):
-                    home[i] = first[g] + h
-                    also[i] = (first[g] + np.flatnonzero(row)).tolist()
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(home), pa.array(also, pa.list_(pa.int64())), b.column(3)], ["key", "v", "home", "shards", "n"])
+                    home[i] = h
+                    also[i] = np.flatnonzero(row).tolist()
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(home), pa.array(also, pa.list_(pa.int64())), b.column(3), b.column(1)], ["key", "v", "home", "shards", "n", "group"])
 
         return one
 
-    members = stored(arrow_map(nodes.select("key", "group", "v", "n"), deal, "key bigint, v array<double>, home bigint, shards array<bigint>, n bigint").withColumn("shard", F.explode("shards")), "flat-members")
+    members = stored(arrow_map(nodes.select("key", "group", "v", "n"), deal, "key bigint, v array<double>, home bigint, shards array<bigint>, n bigint, group string").withColumn("shard", F.explode("shards")), "flat-members")
 
     def unit(t: pa.Table) -> np.ndarray:
         v = t.column("v").combine_chunks()
@@ -217,7 +215,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def graphs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, group in whole_groups(batches, ["shard"], 1):
+        for t, group in whole_groups(batches, ["group", "shard"], 1):
             for g in np.unique(group):
                 at = np.flatnonzero(group == g)
                 part = t.slice(int(at[0]), len(at))
@@ -229,12 +227,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
                 lists = np.split(keys[b], np.searchsorted(a, np.arange(1, len(keys))))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], ["key", "near"])
 
-    dealt = members.repartition("shard").sortWithinPartitions("shard", "key")
-    lists = dealt.select("shard", "key", "v").mapInArrow(graphs, "key bigint, near array<bigint>")
+    dealt = members.repartition("group", "shard").sortWithinPartitions("group", "shard", "key")
+    lists = dealt.select("group", "shard", "key", "v").mapInArrow(graphs, "key bigint, near array<bigint>")
     united = lists.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
     def searched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, group in whole_groups(batches, ["shard"], 1):
+        for t, group in whole_groups(batches, ["group", "shard"], 1):
             for g in np.unique(group):
                 at = np.flatnonzero(group == g)
                 part = t.slice(int(at[0]), len(at))
@@ -265,8 +263,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
                 used = np.unique(np.concatenate([a, b]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[used]), pa.array(count[used].astype(np.int64)), pa.array(keys[root[used]])], ["key", "links", "root"])
 
-    ready = members.join(united, "key").repartition("shard").sortWithinPartitions("shard", "key")
-    found = stored(ready.select("shard", "key", "v", "home", "shards", "n", "near").mapInArrow(searched, "key bigint, links bigint, root bigint"), "flat-links")
+    ready = members.join(united, "key").repartition("group", "shard").sortWithinPartitions("group", "shard", "key")
+    found = stored(ready.select("group", "shard", "key", "v", "home", "shards", "n", "near").mapInArrow(searched, "key bigint, links bigint, root bigint"), "flat-links")
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     per = nodes.select("key", "rep", "n").join(found.groupBy("key").agg(F.sum("links").alias("links")), "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
     named = per.select("key", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "root")

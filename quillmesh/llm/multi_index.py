@@ -143,7 +143,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, found: int = FOUN
         return spark.createDataFrame([], schema)
     dim = size["d"]
     rows = rows.where(F.size("v") == dim)
-    sample = np.asarray([r["v"] for r in bounded_sample(rows.select("id", "v"), "id", FIT_ROWS).collect()], np.float64).reshape(-1, dim)
+    sample = matrix(bounded_sample(rows.select("id", "v"), "id", FIT_ROWS, dim).column("v"), dim)
     codes = Codes(sample, float(np.sqrt(size["m"])))
     shards, blocks = -(-size["n"] // SHARD), -(-size["q"] // BLOCK)
     own = F.xxhash64("id")

@@ -21,6 +21,11 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """The rows rows of least id hash: the same for the same table."""
-    return df.withColumn("__h", F.xxhash64(F.col(id_col), F.lit("sample"))).orderBy("__h").limit(rows).drop("__h")
+#: Numbers that a sample brings to the driver at most: 32 MB.
+SAMPLE_VALUES = 1 << 22
+
+
+def bounded_sample(df: DataFrame, id_col: str, rows: int, dim: int) -> pa.Table:
+    """The rows rows of least id hash, fewer of long vectors: the same for the same table."""
+    most = max(1, min(rows, SAMPLE_VALUES // max(dim, 1)))
+    return df.withColumn("__h", F.xxhash64(F.col(id_col), F.lit("sample"))).orderBy("__h").limit(most).drop("__h").toArrow()
