@@ -27,7 +27,7 @@ from .common import arrow_map, claim, slices, small_batches
 NONE = np.int32(2**31 - 1)
 WIDE = 64
 #: Pieces a worker remembers; beyond it starts anew.
-MEMO = 300_000
+MEMO = 200_000
 
 
 class Vocabulary:
@@ -184,8 +184,8 @@ def encode_pieces(pieces: Iterable[bytes], v: Vocabulary) -> dict[bytes, bytes]:
         else:
             classes.setdefault(1 << (len(p) - 1).bit_length(), []).append(p)
     for width, of in classes.items():
-        for at in range(0, len(of), 4096):
-            part = of[at : at + 4096]
+        for at in range(0, len(of), 2048):
+            part = of[at : at + 2048]
             out |= {p: ids.tobytes() for p, ids in zip(part, merge_many(part, width, v), strict=True)}
     return out
 

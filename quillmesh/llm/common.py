@@ -14,6 +14,8 @@ from ..sources.shipping import ship
 
 #: Characters of text that one call into a tokenizer or feature loop sees at once.
 SLICE_CHARS = 1_000_000
+#: Bytes of a table, as the optimizer expects them, that one task may write.
+TASK_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,14 +37,21 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def few(df: DataFrame, times: int = 2) -> DataFrame:
+    """In no more partitions than a small multiple of the cluster's cores: for rows that are narrow or few."""
+    return df.coalesce(max(2, times * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def stored(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     """Writes df once to the shared folder and reads it back, which cuts its lineage and survives lost executors.
 
-    small: what comes of an aggregation or a search, not the input's own rows; no more files than twice the cluster's cores.
+    small: what comes of an aggregation or a search, not the input's own rows. Such tables, and those that the
+    optimizer expects to give every core's second task less than TASK_BYTES, are written in few files.
     """
     path = scratch_path(df.sparkSession, tag)
-    if small:
-        df = df.coalesce(max(2, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if small or expected <= TASK_BYTES * 2 * df.sparkSession.sparkContext.defaultParallelism:
+        df = few(df)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -264,7 +264,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
                 yield pa.RecordBatch.from_arrays([pa.array(keys[used]), pa.array(count[used].astype(np.int64)), pa.array(keys[root[used]])], ["key", "links", "root"])
 
     ready = members.join(united, "key").repartition("group", "shard").sortWithinPartitions("group", "shard", "key")
-    found = stored(ready.select("group", "shard", "key", "v", "home", "shards", "n", "near").mapInArrow(searched, "key bigint, links bigint, root bigint"), "flat-links")
+    found = stored(ready.select("group", "shard", "key", "v", "home", "shards", "n", "near").mapInArrow(searched, "key bigint, links bigint, root bigint"), "flat-links", small=True)
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     per = nodes.select("key", "rep", "n").join(found.groupBy("key").agg(F.sum("links").alias("links")), "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
     named = per.select("key", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "root")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, claim, small_batches, stored
+from .common import arrow_map, claim, few, small_batches, stored
 from .components import components
 
 GRAM, THRESHOLD = 5, 0.8
@@ -320,7 +320,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     named = linked.select("digest", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "digest").alias("root"))
     least = named.where("root != digest or n_links > 0").groupBy("root").agg(F.min("rep").alias("class_id"))
     per = named.join(least, "root", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"), "n_links")
-    return seen.select("id", "digest").join(per, "digest", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return few(seen.select("id", "digest").join(per, "digest", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), 4)
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,7 +331,7 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     touched = some.where("maybe").join(fate, F.col("id") == F.col("doc_id"), "left")
     once = touched.where("doc_id is null").select("row")
     again = touched.where("keep").dropDuplicates(["id"]).select("row")
-    return some.where("not maybe").select("row").unionByName(once).unionByName(again).select("row.*")
+    return some.where("not maybe").select("row").unionByName(few(once, 4)).unionByName(few(again, 4)).select("row.*")
 
 
 #: The same by joining every word run to itself; for small tables.

@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = known.where(crc_fold(F.col("__id")) != 2).withColumn("__h", F.xxhash64(F.col("__id").cast("string"))).orderBy("__h", "__id").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    sample = stored(rows.join(F.broadcast(picked), "__id").select(F.pmod("__h", F.lit(10)).alias("part"), "toxic", "text"), "toxic-sample")
+    sample = stored(rows.join(F.broadcast(picked), "__id").select(F.pmod("__h", F.lit(10)).alias("part"), "toxic", "text"), "toxic-sample", small=True)
     learned = learn_lexicon(sample.where("part < 4 and text is not null"))
 
     def make():
