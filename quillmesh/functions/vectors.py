@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from zlib import crc32
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,25 +31,26 @@ def shortened(v: Column, dims: int) -> Column:
     return F.transform(head, lambda x: x.cast("double") / norm(head))
 
 
+find_words = re.compile(r"[^\W_]+").findall
+
+
+def hashed_row(text: str | None, dims: int) -> np.ndarray:
+    """Counts of hashed words with hashed signs, at unit length; zeros where there is no word."""
+    h = np.fromiter((crc32(w.encode()) for w in find_words((text or "").lower())), np.int64)
+    v = np.bincount(h % dims, np.where(h >> 20 & 1, 1.0, -1.0), dims)
+    n = np.linalg.norm(v)
+    return v / n if n else v
+
+
 def hashed(text: Column, dims: int = 64) -> Column:
     """A deterministic embedding: counts of hashed words with hashed signs, at unit length; a stand-in where no model is.
 
     A batch at a time in numpy: as nested column functions it would cost words times dims.
     """
-    import re
-    from zlib import crc32
-
-    words = re.compile(r"[^\W_]+").findall
 
     @F.pandas_udf("array<double>")
     def embed(s: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[float]:
-            h = np.fromiter((crc32(w.encode()) for w in words((t or "").lower())), np.int64)
-            v = np.bincount(h % dims, np.where(h >> 20 & 1, 1.0, -1.0), dims)
-            n = np.linalg.norm(v)
-            return (v / n if n else v).tolist()
-
-        return s.map(one)
+        return s.map(lambda t: hashed_row(t, dims).tolist())
 
     return embed(text)
 

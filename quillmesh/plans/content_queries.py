@@ -29,7 +29,7 @@ query("gen_split_long", lambda c: content.packed_paragraphs(c.documents.select("
 query("gen_md_sections", lambda c: content.markdown_sections(md(c)).select("doc_id", "i", "section", "start_line", F.md5("text").alias("digest")))
 query("gen_chunk_md", lambda c: content.markdown_chunks(md(c)).select("doc_id", "i", "section", "start_line", "end_line", F.length("content").alias("chars")))
 query("gen_rust_chunk_md", lambda c: content.markdown_chunks(md(c), 1000, 200).groupBy("doc_id").agg(F.count("*").alias("n")))
-query("gen_semantic_split", lambda c: content.semantic_breaks(c.documents.where("doc_id % 5 = 0")).select("doc_id", "i"))
+query("gen_semantic_split", lambda c: content.semantic_parts(c.documents).select("doc_id", "i", F.length("part").alias("chars"), F.md5("part").alias("digest")))
 query("gen_parse_python", lambda c: content.parsed(code(c), "python"), "SELECT path, 'symbol' AS kind, 'A' || doc_id::VARCHAR AS name FROM files UNION ALL SELECT path, 'symbol', 'run' FROM files UNION ALL SELECT path, 'import', 'os' FROM files")
 query("gen_parse_js", lambda c: content.parsed(c.files.withColumn("text", F.concat(F.lit("import {a} from './m'\nexport class B"), F.col("doc_id").cast("string"), F.lit(" {}\n"))), "javascript"), "SELECT path, 'symbol' AS kind, 'B' || doc_id::VARCHAR AS name FROM files UNION ALL SELECT path, 'import', './m' FROM files")
 query("gen_parse_swift", lambda c: content.parsed(c.files.withColumn("text", F.lit("import UIKit\npublic func go() {}\nstruct S {}")), "swift"), "SELECT path, unnest(['import', 'symbol', 'symbol']) AS kind, unnest(['UIKit', 'go', 'S']) AS name FROM files")

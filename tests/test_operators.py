@@ -165,3 +165,74 @@ def test_as_of_takes_the_latest_not_after(spark):
     right = rows(spark, [("k", 2, "x"), ("k", 5, "y"), ("q", 10, "z")], "key string, at int, v string")
     got = joins.as_of(left, right, ["key"], "t", "at", ["v"]).collect()
     assert {(r.key, r.t): r.v for r in got} == {("k", 5): "y", ("k", 1): None, ("q", 9): None}
+
+
+def plain_split(text, most, least):
+    import re
+
+    said = [y.strip() for p in re.split(r"\n\n+", text) for y in re.split(r"(?<=[.!?])\s+", p.strip()) if y.strip()]
+    v = [vectors.hashed_row(y, 32) for y in said]
+    c = [round(float(sum(x * y for x, y in zip(p, q, strict=True))), 9) for p, q in zip(v, v[1:], strict=False)]
+    turns = []
+    if len(said) > 5:
+        c_at = lambda i: c[-i if i < 0 else 2 * len(c) - 2 - i if i >= len(c) else i]
+        d = [8 * (c_at(i + 1) - c_at(i - 1)) - (c_at(i + 2) - c_at(i - 2)) for i in range(len(c))]
+        turns = [i for i in range(1, len(c)) if d[i - 1] < 0 <= d[i] and c[i] <= np.percentile(c, 20)]
+    elif len(said) == 5:
+        turns = [i for i in range(4) if c[i] <= np.percentile(c, 20)]
+    cuts = []
+    for t in turns:
+        if not cuts or t - cuts[-1] >= 2:
+            cuts.append(t)
+    parts, waiting = [], None
+    for i, t in enumerate([*cuts, len(said) - 1] if cuts else []):
+        group = " ".join(said[cuts[i - 1] + 1 if i else 0 : t + 1])
+        if waiting and len(waiting) + 1 + len(group) <= most:
+            waiting += " " + group
+            continue
+        if waiting:
+            parts.append(waiting)
+        waiting = group if len(group) < least else None
+        if not waiting:
+            parts.append(group)
+    if waiting and parts and len(parts[-1]) + 1 + len(waiting) <= most:
+        parts[-1] += " " + waiting
+    elif waiting:
+        parts.append(waiting)
+    out = []
+    for p in parts or [text]:
+        if len(p) <= (1.5 * most if parts else most):
+            out.append(p)
+            continue
+        now = None
+        for q in re.split(r"\n\n+", p):
+            # the two of the blank line count behind every paragraph
+            if now is not None and len(now) + 2 + len(q) + 2 > most:
+                out.append(now)
+                now = None
+            if len(q) > most:
+                out += [q[k : k + most] for k in range(0, len(q), most)]
+            else:
+                now = q if now is None else now + "\n\n" + q
+        out += [now] if now is not None else []
+    return out
+
+
+@pytest.mark.parametrize(("most", "least"), [(1800, 350), (300, 120)])
+def test_semantic_split_of_every_document_equals_a_plain_one(spark, most, least):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = rows(spark, [(-1, "One. Two."), (-2, "x" * 40 + "\n\n" + "y" * 900), (-3, None), (-4, "Ab c. Ab d. Ef g. Ef h. Ef c.")], "doc_id bigint, text string")
+    docs = docs.where("doc_id IS NOT NULL").unionByName(odd)
+    got = {}
+    for r in content.semantic_parts(docs, most, least).orderBy("doc_id", "i").collect():
+        got.setdefault(r.doc_id, []).append(r.part)
+    want = {r.doc_id: plain_split(r.text, most, least) for r in docs.collect() if r.text is not None}
+    assert got == want and sum(len(p) > 1 for p in want.values()) > 20
+
+
+def test_semantic_split_query_reads_every_document(spark):
+    from quillmesh.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").distinct().collect()}
+    assert ids(registry.QUERIES["gen_semantic_split"](spark, sf)) == ids(spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL"))
