@@ -56,6 +56,7 @@ class Features:
     def __init__(self, learned: dict[str, float]):
         self.learned = learned
         self.memo: dict[str, int] = {}
+        self.lengths = sorted({len(w) for w in (*SEED, *learned) if len(w) >= 4})
 
     def kind(self, raw: str) -> int:
         word = raw.strip(EDGE)
@@ -109,12 +110,12 @@ class Features:
         return [math.log1p(len(words)), len(seeds) / n, math.log1p(len(seeds)), len(learned) / n, math.log1p(len(learned)), weight / n, near / n, math.log1p(near), len(second) / n, dense, dark / n, math.log1p(dark), int((k == MIXED).sum()) / n, upper / letters, c[33] / size, c[63] / size, marks / size, c[48:58].sum() / size, (upper + lower) / size, size / n]
 
     def spelled(self, words: list[str], singles: np.ndarray) -> int:
-        """Lexicon words spelled out letter by letter."""
+        """Lexicon words spelled out letter by letter, in the whole of each run of single letters."""
         found = 0
         for run in np.split(singles, np.flatnonzero(np.diff(singles) != 1) + 1) if len(singles) >= 4 else []:
             if len(run) >= 4:
-                joined = "".join(words[i].strip(EDGE) for i in run[:2000])
-                found += sum(joined[a : a + n] in SEED or joined[a : a + n] in self.learned for n in range(4, 13) for a in range(len(joined) - n + 1))
+                joined = "".join(words[i].strip(EDGE) for i in run)
+                found += sum(joined[a : a + n] in SEED or joined[a : a + n] in self.learned for n in self.lengths for a in range(len(joined) - n + 1))
         return found
 
     def matrix(self, texts: list[str | None]) -> np.ndarray:

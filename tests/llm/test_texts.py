@@ -166,6 +166,16 @@ def test_features_see(text, column):
     assert f.row("plain words of no harm")[toxicity.NAMES.index(column)] == 0
 
 
+@pytest.mark.parametrize("before", [0, 1990, 1998, 5000])
+def test_spelled_words_are_seen_anywhere_in_a_run(before):
+    f = toxicity.Features({"unbelievablezork": 2.0})
+    hits = lambda words: f.spelled(words, np.arange(len(words)))
+    assert hits(["x"] * before + list("idiot") + ["x"] * 9) == 1
+    assert hits(["x"] * before + list("unbelievablezork") + ["x"] * 9) == 1
+    assert hits(["x"] * (before + 9)) == 0
+    assert f.row(" ".join("x" * before + "idiot"))[toxicity.NAMES.index("hidden_hits")] > 0
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = queries.op1_toxicity(spark, d).join(table(spark, d, "labels"), "doc_id").where("held_out").toPandas()
