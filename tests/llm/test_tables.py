@@ -227,6 +227,19 @@ def test_search_alone_finds_nearly_all():
     assert got >= 0.99 * sum(len(a) for a, _ in flat_graph.exact(x, np.arange(1200), 0.93))
 
 
+def test_links_that_search_misses_are_found_for_every_node():
+    x = np.eye(100)
+    for a, b in ((1, 98), (4, 50)):  # pairs that no edge of the graph leads to
+        x[b] = 0.95 * x[a] + np.sqrt(1 - 0.95**2) * x[b]
+    asks = np.arange(100)
+    graph = np.full((100, 4), -1, np.int64)
+    pairs = lambda lots: sorted(z for p, q in lots for z in zip(p.tolist(), q.tolist(), strict=True))
+    want = pairs(flat_graph.exact(x, asks, 0.93))
+    assert want == [(1, 98), (4, 50), (50, 4), (98, 1)]
+    assert pairs(flat_graph.search(x, graph, asks, 0.93)) != want
+    assert pairs(flat_graph.linked(x, graph, asks, 0.93)) == want
+
+
 def test_pipeline_stages(spark, odd):
     sf = "/root/testdata/sf0.001"
     docs = table(spark, sf, "documents")
