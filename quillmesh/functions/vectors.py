@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
 import re
 from zlib import crc32
 
@@ -55,16 +57,20 @@ def hashed(text: Column, dims: int = 64) -> Column:
     return embed(text)
 
 
-def fake(texts: pd.Series, dims: int = 384) -> pd.Series:
-    """Seeded Gaussian unit vectors, for tests."""
-    import hashlib
+def fake_row(text: str | None, dims: int) -> np.ndarray:
+    r = random.Random(int(hashlib.sha256((text or "").encode()).hexdigest(), 16) % 2**31)
+    v = np.fromiter((r.gauss(0, 1) for _ in range(dims)), float, dims)
+    return v / np.linalg.norm(v)
 
-    def one(t: str) -> list[float]:
-        r = np.random.default_rng(int.from_bytes(hashlib.sha256((t or "").encode()).digest()[:8], "little"))
-        v = r.normal(size=dims)
-        return (v / np.linalg.norm(v)).tolist()
 
-    return texts.map(one)
+def fake(text: Column, dims: int = 384) -> Column:
+    """Gaussian unit vectors seeded by the sha256 of the whole text, for tests."""
+
+    @F.pandas_udf("array<double>")
+    def embed(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: fake_row(t, dims))
+
+    return embed(text)
 
 
 def diverse(df: DataFrame, group: str, k: int, lam: float) -> DataFrame:

@@ -45,7 +45,7 @@ query("lod_names", lambda c: code(c).select("path", content.level(F.col("text"),
 query("lod_summary", lambda c: code(c).select("path", content.level(F.col("text"), 5).alias("summary")), "SELECT path, '3 declarations' AS summary FROM files")
 query("lod_rust", lambda c: code(c).select("path", (F.length(content.level(F.col("text"), 4)) <= F.length(content.level(F.col("text"), 3))).alias("shrinks")), "SELECT path, true AS shrinks FROM files")
 query("lod_skeleton", lambda c: c.nodes.where("kind = 'symbol'").groupBy("file_path").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 20), "\n").alias("skeleton")), "SELECT file_path, string_agg(DISTINCT name, chr(10) ORDER BY name) AS skeleton FROM nodes WHERE kind = 'symbol' GROUP BY 1")
-query("vec_embed_fake", lambda c: c.documents.select("doc_id", F.round(vf.norm(vf.hashed(F.substring("text", 1, 300), 16)), 6).alias("n")).where("n > 0"))
+query("vec_embed_fake", lambda c: c.documents.select("doc_id", vf.fake(F.col("text")).alias("embedding")))
 query("vec_embed_native", lambda c: c.benchmark.select("item_id", F.size(vf.hashed(F.col("text"), 32)).alias("dims")), "SELECT item_id, 32 AS dims FROM benchmark")
 query("vec_matryoshka", lambda c: c.vectors.select("vec_id", F.round(vf.norm(vf.shortened(F.col("embedding"), 16)), 6).alias("n"), F.round(F.element_at(vf.shortened(F.col("embedding"), 16), 1), 6).alias("x")), "WITH h AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: x::DOUBLE) AS h FROM vectors) SELECT vec_id, 1.0::DOUBLE AS n, round(h[1] / sqrt(list_inner_product(h, h)), 6) AS x FROM h")
 NEAR = lambda c: c.vectors.join(F.broadcast(c.vectors.where("vec_id = 0").select(F.col("embedding").alias("q")))).where("vec_id != 0").select("vec_id", "label", "embedding", vf.dot(F.col("embedding"), F.col("q")).alias("score"))

@@ -236,3 +236,23 @@ def test_semantic_split_query_reads_every_document(spark):
     sf = "/root/testdata/sf0.001"
     ids = lambda df: {r.doc_id for r in df.select("doc_id").distinct().collect()}
     assert ids(registry.QUERIES["gen_semantic_split"](spark, sf)) == ids(spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL"))
+
+
+def test_seeded_vectors_read_whole_texts(spark):
+    import hashlib
+    import random
+
+    from quillmesh.plans import registry
+
+    def plain(text):
+        r = random.Random(int(hashlib.sha256(text.encode("utf-8")).hexdigest(), 16) % (2**31))
+        v = [r.gauss(0, 1) for _ in range(384)]
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n for x in v]
+
+    sf = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.embedding for r in registry.QUERIES["vec_embed_fake"](spark, sf).collect()}
+    assert got.keys() == text.keys() and all(np.allclose(got[k], plain(t)) for k, t in text.items())
+    long = rows(spark, [("a " * 400 + "b",), ("a " * 400 + "c",), ("...",)], "text string")
+    assert len({tuple(r.v) for r in long.select(vectors.fake(F.col("text")).alias("v")).collect()}) == 3
