@@ -176,11 +176,32 @@ def test_spelled_words_are_seen_anywhere_in_a_run(before):
     assert f.row(" ".join("x" * before + "idiot"))[toxicity.NAMES.index("hidden_hits")] > 0
 
 
-def test_toxicity_held_out(spark):
+def test_toxicity_held_out_by_language(spark):
+    """The lexicon must find the words of every language, from labels alone."""
     d = "/root/testdata/sf0.1"
-    got = queries.op1_toxicity(spark, d).join(table(spark, d, "labels"), "doc_id").where("held_out").toPandas()
-    hit = got[got.predicted == 1]
-    assert (hit.toxic == 1).mean() > 0.85 and (got[got.toxic == 1].predicted == 1).mean() > 0.5
+    lang = table(spark, d, "documents").select("doc_id", "lang")
+    got = queries.op1_toxicity(spark, d).join(table(spark, d, "labels"), "doc_id").join(lang, "doc_id").where("held_out").toPandas()
+    assert ((got.score >= 0.3).astype(int) == got.predicted).all() and got.score.between(0, 1).all()
+    for _, part in got.groupby("lang"):
+        assert (part[part.toxic == 1].predicted == 1).mean() >= 0.85
+        assert (part[part.toxic == 0].predicted == 0).mean() >= 0.97
+
+
+def test_lexicon_terms():
+    found = toxicity.Terms().of_text("Zorkich, zorkung (ab) zorkung 12x")
+    assert {"zorkich", "zork*", "zork**", "zorkun*"} <= found and "zorkun**" not in found and not any("12" in t for t in found)
+    assert toxicity.Terms({"zork**"}).of_text("zorkich zorkung") == {"zork**"} and toxicity.Terms({"zork**"}).of_text("zorkich zorkich") == set()
+    kept = toxicity.lexicon_of([("zork*", 40, 40), ("the", 50, 500), ("rare", 4, 4), ("half", 30, 90)], 0.1)
+    assert set(kept) == {"zork*", "half"} and kept["zork*"] > kept["half"] > toxicity.ODDS
+
+
+def test_characters_count_by_category():
+    f, at = toxicity.Features({}), toxicity.NAMES.index
+    plain = f.row("Это простое предложение без вопросов и цитат «вот» — так…")
+    assert plain[at("question_rate")] == 0 and plain[at("letter_rate")] > 0.7
+    assert f.row("这是一个句子。")[at("letter_rate")] > 0.8
+    for hidden in ("іdіоt", "id\u200biot", "ｉｄｉｏｔ", "1d1ot", "iiidiot"):
+        assert f.row("oh " + hidden)[at("hidden_hits")] > 0, hidden
 
 
 def test_toxicity_on_odd_rows(spark, odd, none):
