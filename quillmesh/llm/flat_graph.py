@@ -1,25 +1,33 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-1. Equal vectors of a label are one node, its copies counted.
-2. Each label gets centroids (spherical k-means on a bounded sample). A node's
-   home is its nearest centroid; it also joins every centroid within its home
-   angle plus the link angle. Of two nodes within the link angle, one then is
-   in the other's home shard, whatever the data.
-3. Each shard links its nodes to near ones, pruned for diversity (a neighbour
-   goes if a kept one is nearer to it by the factor ALPHA), plus a few long
-   links. The lists of a node are united over its shards, both directions.
-4. Each node searches its home shard: greedily with a beam from the medoids,
-   then widening from all it found (and itself) through every neighbour within
-   the link angle and some slack, until nothing new turns up.
-5. The links of every node in its home shard are counted exactly, in blocks; a
-   node whose search missed one is scanned exactly. Links are verified in
-   double precision.
-
-Links are counted where they are found and never leave a shard: only sums and
-stars of components do. Null, zero or non-finite vectors, those with null
-components and those without a label link with nothing; vectors of other
-dimensions link only with their own. Rows that repeat an id or a vector count
-as other vectors.
+1. Equal vectors of a label are one node, its copies counted; nodes are numbered.
+2. Each label of more than ``SHARD`` nodes gets centroids (spherical k-means on a
+   bounded sample). A node's home is its nearest centroid; it also joins every
+   centroid within its home angle plus the link angle. Of two nodes within the
+   link angle, one then is in the other's home shard, whatever the data.
+3. A shard's members are dealt to blocks of at most about ``BLOCK``. Each block
+   links its nodes to near ones, pruned for diversity (a neighbour goes if a
+   kept one is nearer to it by the factor ALPHA), both directions, pruned again
+   to DEGREE; the lists of a node are united over its shards.
+4. The home nodes of each block meet each block of their shard once. A meeting
+   prunes the united lists to DEGREE, adds a few long links, and searches for
+   every home node: greedily with a beam from the medoids, then widening from
+   all it found (and itself) through every neighbour within the link angle and
+   some slack, until nothing new turns up.
+5. Audit: each meeting counts every home node's links exactly, in lots. A node
+   whose search missed one takes them from that count. ``link_table`` returns
+   both numbers, so recall is a sum over it; every link is verified in double
+   precision.
+
+No task holds more than two blocks, however tight a group of near copies is;
+links are counted where they are found, and only sums and stars of components
+leave a meeting.
+
+Null, zero or non-finite vectors, those with null components and those without
+a label link with nothing; vectors of other dimensions link only with their
+own. Rows that repeat an id or a vector count as other vectors. Ties don't
+matter: every link counts. An empty table has no rows. Extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -36,13 +44,16 @@ from .components import components
 from .ngram_join import roots_of, whole_groups
 from .vectors import bounded_sample, matrix, usable
 
-SHARD = 4000
+#: Nodes that a centroid stands for, and nodes of a block.
+SHARD, BLOCK = 4000, 6000
 MAX_CENTROIDS = 4096
 FIT_ROWS = 40_000
 NEAR, DEGREE, LONG = 48, 24, 4
 ALPHA = 1.2
 BEAM, MEDOIDS = 24, 16
 SLACK = 0.04
+#: Asking rows of a lot, and pairs that are opened or compared at once.
+LOT, PAIRS = 256, 32_768
 
 
 def spherical_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -76,19 +87,43 @@ def robust_prune(x: np.ndarray, at: np.ndarray, near: np.ndarray) -> np.ndarray:
     return kept
 
 
+def pair_scores(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.einsum("nd,nd->n", x[a[i : i + PAIRS]], x[b[i : i + PAIRS]]) for i in range(0, len(a), PAIRS)] or [np.zeros(0)])
+
+
+def pruned(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At most DEGREE neighbours of each row out of the directed pairs a to b, -1 where there are fewer."""
+    n = len(x)
+    key = np.unique(a * n + b)
+    a, b = key // n, key % n
+    a, b = a[a != b], b[a != b]
+    order = np.lexsort((-pair_scores(x, a, b), a))
+    a, b = a[order], b[order]
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    a, b, place = a[place < NEAR], b[place < NEAR], place[place < NEAR]
+    near = np.tile(np.arange(n)[:, None], (1, NEAR))
+    near[a, place] = b
+    return np.concatenate([robust_prune(x, np.arange(i, min(n, i + 512)), near[i : i + 512]) for i in range(0, n, 512)])
+
+
 def build(x: np.ndarray) -> np.ndarray:
-    """Neighbours of each row, -1 where there are fewer."""
-    n, r = len(x), np.random.Generator(np.random.PCG64(5))
-    long = r.integers(0, n, (n, LONG))
-    out = np.full((n, DEGREE + LONG), -1, np.int64)
+    """Neighbours of each row in both directions, at most DEGREE, -1 where there are fewer."""
+    n = len(x)
+    out = np.full((n, DEGREE), -1, np.int64)
     c = min(NEAR, n)
     for a in range(0, n, 512):
         s = x[a : a + 512] @ x.T
         near = np.argpartition(-s, c - 1, axis=1)[:, :c]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
-        out[a : a + 512, :DEGREE] = robust_prune(x, np.arange(a, min(n, a + 512)), near)
-    out[:, DEGREE:] = long
-    return out
+        out[a : a + 512] = robust_prune(x, np.arange(a, min(n, a + 512)), near)
+    a, b = np.repeat(np.arange(n), DEGREE), out.reshape(-1)
+    a, b = a[b >= 0], b[b >= 0]
+    return pruned(x, np.concatenate([a, b]), np.concatenate([b, a]))
+
+
+def with_long_links(graph: np.ndarray) -> np.ndarray:
+    n = len(graph)
+    return np.concatenate([graph, np.random.Generator(np.random.PCG64(5)).integers(0, n, (n, LONG))], 1)
 
 
 def medoids(x: np.ndarray) -> np.ndarray:
@@ -101,106 +136,145 @@ def medoids(x: np.ndarray) -> np.ndarray:
     return np.asarray(picked)
 
 
-def search(x: np.ndarray, graph: np.ndarray, asks: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (asking row, found row) at or above least, in lots."""
+def search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, start: np.ndarray, least: float) -> np.ndarray:
+    """Which rows each asking row q reaches within the link angle and the slack."""
+    rows = np.arange(len(q))
+    seen = np.zeros((len(q), len(x)), bool)
+    seen[:, start] = True
+    pool, score = np.tile(start, (len(q), 1)), x[q] @ x[start].T
+    opened = np.zeros(pool.shape, bool)
+    reach = np.zeros_like(seen)
+    while True:
+        open_score = np.where(opened, -9.0, score)
+        best = open_score.argmax(1)
+        go = open_score[rows, best] > -9
+        if not go.any():
+            break
+        opened[rows, best] = True
+        to = np.where(go[:, None], graph[pool[rows, best]], -1)
+        new = (to >= 0) & ~seen[rows[:, None], to]
+        seen[rows[:, None], np.where(to >= 0, to, start[0])] = True
+        gained = np.where(new, np.einsum("nd,nkd->nk", x[q], x[to]), -9.0)
+        pool, score = np.concatenate([pool, to], 1), np.concatenate([score, gained], 1)
+        opened = np.concatenate([opened, ~new], 1)
+        if pool.shape[1] > BEAM:
+            top = np.argpartition(-score, BEAM - 1, axis=1)[:, :BEAM]
+            pool, score, opened = (np.take_along_axis(z, top, 1) for z in (pool, score, opened))
+    # widening: every pair within reach opens its neighbours, once
+    who, it = np.nonzero(score >= least - SLACK)
+    reach[who, pool[who, it]] = True
+    reach[rows, q] = True
+    waiting = [np.flatnonzero(reach)]
+    width = max(1, PAIRS // graph.shape[1])
+    while waiting:
+        key = waiting.pop()
+        if len(key) > width:
+            waiting.append(key[width:])
+        who, far = np.repeat(key[:width] // len(x), graph.shape[1]), graph[key[:width] % len(x)].reshape(-1)
+        who, far = who[far >= 0], far[far >= 0]
+        new = ~reach[who, far]
+        key = np.unique(who[new] * len(x) + far[new])
+        if len(key):
+            key = key[pair_scores(x, q[key // len(x)], key % len(x)) >= least - SLACK]
+        if len(key):
+            reach[key // len(x), key % len(x)] = True
+            waiting.append(key)
+    return reach
+
+
+def links(x: np.ndarray, graph: np.ndarray, asks: np.ndarray, have: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """In lots: pairs (asking row, row of have) at or above least, and how many of each asking row's pairs the search alone found.
+
+    have is a mask of rows. A row of asks whose exact count is higher than what its search found takes all pairs of that count.
+    """
     start = medoids(x)
-    for a in range(0, len(asks), 256):
-        q = asks[a : a + 256]
-        rows = np.arange(len(q))
-        seen = np.zeros((len(q), len(x)), bool)
-        seen[:, start] = True
-        pool, score = np.tile(start, (len(q), 1)), x[q] @ x[start].T
-        opened = np.zeros(pool.shape, bool)
-        while True:
-            open_score = np.where(opened, -9.0, score)
-            best = open_score.argmax(1)
-            go = open_score[rows, best] > -9
-            if not go.any():
-                break
-            opened[rows, best] = True
-            to = np.where(go[:, None], graph[pool[rows, best]], -1)
-            new = (to >= 0) & ~seen[rows[:, None], to]
-            seen[rows[:, None], np.where(to >= 0, to, start[0])] = True
-            gained = np.where(new, np.einsum("nd,nkd->nk", x[q], x[to]), -9.0)
-            pool, score = np.concatenate([pool, to], 1), np.concatenate([score, gained], 1)
-            opened = np.concatenate([opened, ~new], 1)
-            if pool.shape[1] > BEAM:
-                top = np.argpartition(-score, BEAM - 1, axis=1)[:, :BEAM]
-                pool, score, opened = (np.take_along_axis(z, top, 1) for z in (pool, score, opened))
-        # widening: every pair within reach opens its neighbours, once
-        close = score >= least - SLACK
-        who, it = np.nonzero(close)
-        reach = np.zeros_like(seen)
-        reach[who, pool[who, it]] = True
-        reach[rows, q] = True
-        who, it = np.nonzero(reach)
-        while len(who):
-            far = graph[it]
-            who_, far = np.repeat(who, far.shape[1]), far.reshape(-1)
-            ok = far >= 0
-            who_, far = who_[ok], far[ok]
-            ok = ~reach[who_, far]
-            key = np.unique(who_[ok] * len(x) + far[ok])
-            who, it = key // len(x), key % len(x)
-            ok = np.concatenate([np.einsum("nd,nd->n", x[q[who[b : b + 65536]]], x[it[b : b + 65536]]) for b in range(0, len(who), 65536)] or [np.zeros(0)]) >= least - SLACK
-            who, it = who[ok], it[ok]
-            reach[who, it] = True
-        who, it = np.nonzero(reach)
-        ok = (np.concatenate([np.einsum("nd,nd->n", x[q[who[b : b + 65536]]], x[it[b : b + 65536]]) for b in range(0, len(who), 65536)]) >= least) & (q[who] != it)
-        yield q[who[ok]], it[ok]
-
-
-def exact(x: np.ndarray, asks: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for a in range(0, len(asks), 256):
-        who, it = np.nonzero(x[asks[a : a + 256]] @ x.T >= least)
-        ok = asks[a : a + 256][who] != it
-        yield asks[a : a + 256][who][ok], it[ok]
-
-
-def exact_counts(x: np.ndarray, asks: np.ndarray, least: float) -> np.ndarray:
-    """How many other rows each asking row has at or above least."""
-    out = np.zeros(len(asks), np.int64)
-    for a in range(0, len(asks), 256):
-        q = asks[a : a + 256]
-        near = x[q] @ x.T >= least
-        near[np.arange(len(q)), q] = False
-        out[a : a + 256] = near.sum(1)
-    return out
-
-
-def linked(x: np.ndarray, graph: np.ndarray, asks: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The pairs that search finds; each asking row for which the exact count is higher is scanned exactly."""
-    found = list(search(x, graph, asks, least))
-    got = sum((np.bincount(a, minlength=len(x)) for a, _ in found), np.zeros(len(x), np.int64))
-    missed = got[asks] < exact_counts(x, asks, least)
-    if not missed.any():
-        return found
-    again = np.zeros(len(x), bool)
-    again[asks[missed]] = True
-    return [(a[~again[a]], b[~again[a]]) for a, b in found] + list(exact(x, asks[missed], least))
-
-
-def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row."""
-    spark = vectors.sparkSession
-    small_batches(spark)
-    rows = vectors.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"), F.col(label_col).cast("string").alias("label"))
-    rows = rows.withColumn("key", F.when(usable(F.col("v")) & F.col("label").isNotNull(), F.xxhash64("label", "v")))
-    nodes = stored(rows.where("key is not null").groupBy("key", "label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("group", F.concat_ws("/", F.size("v"), "label")), "flat-nodes")
-    total = nodes.count()
-    share = max(SHARD, -(-total // MAX_CENTROIDS))
-    # only groups of more than a shard need centroids: MAX_CENTROIDS of them at most, however many labels there are
+    for a in range(0, len(asks), LOT):
+        q = asks[a : a + LOT]
+        true = (x[q] @ x.T >= least) & have
+        true[np.arange(len(q)), q] = False
+        found = search(x, graph, q, start, least) & true
+        n = found.sum(1)
+        missed = n < true.sum(1)
+        found[missed] = true[missed]
+        who, it = np.nonzero(found)
+        yield q[who], it, n
+
+
+class Meeting:
+    """The home nodes of one block of a shard against another block of it (or its own)."""
+
+    def __init__(self, t: pa.Table):
+        column = {c: t.column(c).combine_chunks() for c in ("v", "near", "shards")}
+        x = matrix(column["v"], len(column["v"][0]))
+        self.x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        self.node, self.home, self.n, asker = (t.column(c).to_numpy() for c in ("node", "home", "n", "asker"))
+        self.shard, own = (t.column(c)[0].as_py() for c in ("shard", "own"))
+        self.have = ~asker
+        self.asks = np.flatnonzero(asker | (own & (self.home == self.shard)))
+        near, size = column["near"].flatten().to_numpy(zero_copy_only=False), column["near"].value_lengths().to_numpy()
+        spot = np.minimum(np.searchsorted(self.node, near), len(self.node) - 1)  # rows are sorted by node
+        here = self.node[spot] == near
+        self.pairs = np.repeat(np.arange(len(self.node)), size)[here], spot[here]
+        self.shards = column["shards"].flatten().to_numpy(zero_copy_only=False)
+        self.owner = np.repeat(np.arange(len(self.node)), column["shards"].value_lengths().to_numpy())
+
+    def counted(self, least: float) -> pa.RecordBatch:
+        """node, links, searched (those that search alone found) and root, of nodes with links."""
+        m = len(self.node)
+        graph = with_long_links(pruned(self.x, *self.pairs))
+        count, searched = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        star = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        homes = np.unique(self.home)
+        joined = np.zeros((m, len(homes)), bool)  # which of the homes that occur here each node is a member of
+        at = np.minimum(np.searchsorted(homes, self.shards), len(homes) - 1)
+        joined[self.owner[homes[at] == self.shards], at[homes[at] == self.shards]] = True
+        home_at = np.searchsorted(homes, self.home)
+        for lot, (a, b, n) in enumerate(links(self.x, graph, self.asks, self.have, least)):
+            count += np.bincount(a, self.n[b], m).astype(np.int64)
+            searched[self.asks[lot * LOT : lot * LOT + len(n)]] = n
+            # a found row that searches elsewhere, where the asking one isn't, counts it here
+            blind = (self.home[b] != self.shard) & ~joined[a, home_at[b]]
+            count += np.bincount(b[blind], self.n[a[blind]], m).astype(np.int64)
+            root = roots_of(m, np.concatenate([star[0], a]), np.concatenate([star[1], b]))
+            used = np.union1d(star[0], np.union1d(a, b))
+            star = used, root[used]
+        used, root = star
+        return pa.RecordBatch.from_arrays([pa.array(self.node[used]), pa.array(count[used]), pa.array(searched[used]), pa.array(self.node[root])], ["node", "links", "searched", "root"])
+
+
+def whole_parts(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """One table for each value of the keys, by which the input is sorted."""
+    for t, group in whole_groups(batches, keys, 1):
+        for g in np.unique(group):
+            at = np.flatnonzero(group == g)
+            yield t.slice(int(at[0]), len(at))
+
+
+def numbered_nodes(rows: DataFrame) -> DataFrame:
+    """node, label, v, rep (least id), n (copies) and group (label and dimension) of each distinct usable vector."""
+    per = rows.where("usable").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    return stored(per.withColumn("group", F.concat_ws("/", F.size("v"), "label")).withColumn("node", F.monotonically_increasing_id()), "flat-nodes")
+
+
+def fit_centroids(nodes: DataFrame) -> dict[str, np.ndarray]:
+    """For groups of more than a shard: MAX_CENTROIDS of them at most, however many labels there are."""
+    share = max(SHARD, -(-nodes.count() // MAX_CENTROIDS))
     large = {r["group"]: (r["n"], r["d"]) for r in nodes.groupBy("group").agg(F.count("*").alias("n"), F.first(F.size("v")).alias("d")).where(F.col("n") > share).collect()}
-    centroids: dict[str, np.ndarray] = {}
+    out: dict[str, np.ndarray] = {}
     if large:
-        sample = bounded_sample(nodes.where(F.col("group").isin(list(large))).select("key", "group", "v"), "key", FIT_ROWS, max(d for _, d in large.values()))
+        sample = bounded_sample(nodes.where(F.col("group").isin(list(large))).select("node", "group", "v"), "node", FIT_ROWS, max(d for _, d in large.values()))
         of = np.asarray(sample.column("group").to_pylist())
         for g, (n, d) in large.items():
             x = matrix(sample.column("v").take(pa.array(np.flatnonzero(of == g))), d) if (of == g).any() else np.zeros((0, d))
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            k = min(-(-n // share), len(x))
+            k = min(round(n / share), len(x))
             if k > 1:
-                centroids[g] = spherical_means(x, k)
+                out[g] = spherical_means(x, k)
+    return out
+
+
+def shard_members(nodes: DataFrame, centroids: dict[str, np.ndarray], least: float) -> DataFrame:
+    """node, v, home, shards, n, group, shard, block and blocks: a row for each shard of each node."""
     reach = float(np.arccos(np.clip(least, -1, 1))) + 1e-6
 
     def deal():
@@ -216,72 +290,67 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
                 for i, h, row in zip(at, near, inside, strict=True):
                     home[i] = h
                     also[i] = np.flatnonzero(row).tolist()
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(home), pa.array(also, pa.list_(pa.int64())), b.column(3), b.column(1)], ["key", "v", "home", "shards", "n", "group"])
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(home), pa.array(also, pa.list_(pa.int64())), b.column(3), b.column(1)], ["node", "v", "home", "shards", "n", "group"])
 
         return one
 
-    members = stored(arrow_map(nodes.select("key", "group", "v", "n"), deal, "key bigint, v array<double>, home bigint, shards array<bigint>, n bigint, group string").withColumn("shard", F.explode("shards")), "flat-members")
+    dealt = arrow_map(nodes.select("node", "group", "v", "n"), deal, "node bigint, v array<double>, home bigint, shards array<bigint>, n bigint, group string")
+    members = stored(dealt.withColumn("shard", F.explode("shards")), "flat-members")
+    sizes = members.groupBy("group", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return members.join(sizes, ["group", "shard"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
-    def unit(t: pa.Table) -> np.ndarray:
-        v = t.column("v").combine_chunks()
-        x = matrix(v, len(v[0]))
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+def united_lists(members: DataFrame) -> DataFrame:
+    """node and near: its neighbours in the graphs of all its blocks."""
 
     def graphs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, group in whole_groups(batches, ["group", "shard"], 1):
-            for g in np.unique(group):
-                at = np.flatnonzero(group == g)
-                part = t.slice(int(at[0]), len(at))
-                keys, near = part.column("key").to_numpy(), build(unit(part))
-                a, b = np.repeat(np.arange(len(keys)), near.shape[1]), near.reshape(-1)
-                a, b = a[b >= 0], b[b >= 0]
-                both = np.unique(np.concatenate([a * len(keys) + b, b * len(keys) + a]))
-                a, b = both // len(keys), both % len(keys)
-                lists = np.split(keys[b], np.searchsorted(a, np.arange(1, len(keys))))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], ["key", "near"])
-
-    dealt = members.repartition("group", "shard").sortWithinPartitions("group", "shard", "key")
-    lists = dealt.select("group", "shard", "key", "v").mapInArrow(graphs, "key bigint, near array<bigint>")
-    united = lists.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-
-    def searched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, group in whole_groups(batches, ["group", "shard"], 1):
-            for g in np.unique(group):
-                at = np.flatnonzero(group == g)
-                part = t.slice(int(at[0]), len(at))
-                x, keys, home, n = unit(part), part.column("key").to_numpy(), part.column("home").to_numpy(), part.column("n").to_numpy()
-                shard = int(part.column("shard")[0].as_py())
-                near = part.column("near").combine_chunks()
-                flat, size = near.flatten().to_numpy(zero_copy_only=False), near.value_lengths().to_numpy()
-                spot = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)  # rows are sorted by key
-                here = keys[spot] == flat
-                owner = np.repeat(np.arange(len(keys)), size)[here]
-                spot = spot[here]
-                width = int(np.bincount(owner, minlength=1).max()) if len(owner) else 1
-                graph = np.full((len(keys), width), -1, np.int64)
-                graph[owner, np.arange(len(owner)) - np.searchsorted(owner, owner)] = spot
-                asks = np.flatnonzero(home == shard)
-                if not len(asks):
-                    continue
-                pairs = linked(x, graph, asks, least)
-                a, b = np.concatenate([p for p, _ in pairs]), np.concatenate([p for _, p in pairs])
-                count = np.bincount(a, n[b], len(keys))
-                # a found row that searches elsewhere, where the asking one isn't, counts it here
-                shards = part.column("shards").to_pylist()
-                away = home[b] != shard
-                if away.any():
-                    blind = np.asarray([home[y] not in shards[z] for z, y in zip(a[away], b[away], strict=True)], bool)
-                    count += np.bincount(b[away][blind], n[a[away][blind]], len(keys))
-                root = roots_of(len(keys), a, b)
-                used = np.unique(np.concatenate([a, b]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[used]), pa.array(count[used].astype(np.int64)), pa.array(keys[root[used]])], ["key", "links", "root"])
-
-    ready = members.join(united, "key").repartition("group", "shard").sortWithinPartitions("group", "shard", "key")
-    found = stored(ready.select("group", "shard", "key", "v", "home", "shards", "n", "near").mapInArrow(searched, "key bigint, links bigint, root bigint"), "flat-links", small=True)
-    roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    per = nodes.select("key", "rep", "n").join(found.groupBy("key").agg(F.sum("links").alias("links")), "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    named = per.select("key", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "root")
-    least_id = named.where("root is not null").groupBy("root").agg(F.min("rep").alias("component_id"))
-    done = named.join(least_id, "root", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"), "n_links")
-    out = rows.select("id", "key").join(done, "key", "left").select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+        for t in whole_parts(batches, ["group", "shard", "block"]):
+            v = t.column("v").combine_chunks()
+            x, node = matrix(v, len(v[0])), t.column("node").to_numpy()
+            near = build(x / np.linalg.norm(x, axis=1, keepdims=True))
+            flat = pa.array(node[near[near >= 0]])
+            ends = np.concatenate([[0], (near >= 0).sum(1).cumsum()])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "near"])
+
+    blocks = ["group", "shard", "block"]
+    lists = members.select(*blocks, "node", "v").repartition(*blocks).sortWithinPartitions(*blocks, "node").mapInArrow(graphs, "node bigint, near array<bigint>")
+    return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+
+
+def link_table(nodes: DataFrame, least: float) -> DataFrame:
+    """node, links, searched and root, several rows a node; the sums of searched and links tell the recall of the search."""
+    members = shard_members(nodes, fit_centroids(nodes), least)
+    full = members.join(united_lists(members), "node")
+    each = F.sequence(F.lit(0), F.col("blocks") - 1)
+    columns = ["group", "shard", "ask", "have", "node", "v", "home", "shards", "n", "near", "asker", (F.col("ask") == F.col("have")).alias("own")]
+    offered = full.select("*", F.explode(each).alias("ask"), F.col("block").alias("have"), F.lit(False).alias("asker")).select(*columns)
+    asking = full.where("home = shard and blocks > 1").select("*", F.col("block").alias("ask"), F.explode(each).alias("have"), F.lit(True).alias("asker")).where("ask != have").select(*columns)
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_parts(batches, ["group", "shard", "ask", "have"]):
+            m = Meeting(t)
+            if len(m.asks):
+                yield m.counted(least)
+
+    keys = ["group", "shard", "ask", "have"]
+    met = offered.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(meet, "node bigint, links bigint, searched bigint, root bigint")
+    return stored(met, "flat-links", small=True)
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row."""
+    small_batches(vectors.sparkSession)
+    rows = vectors.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"), F.col(label_col).cast("string").alias("label"))
+    rows = rows.withColumn("usable", usable(F.col("v")) & F.col("label").isNotNull())
+    nodes = numbered_nodes(rows)
+    found = link_table(nodes, least)
+    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    per = nodes.select("node", "rep", "n").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(roots, "node", "left")
+    named = per.select("node", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    least_id = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    done = named.join(least_id, "root").select("node", F.coalesce("component_id", "rep").alias("component_id"), "n_links")
+    per_vector = nodes.select("node", "label", "v").join(done, "node").select(F.xxhash64("label", "v").alias("key"), "label", "v", "component_id", "n_links")
+    linked = rows.where("usable").withColumn("key", F.xxhash64("label", "v")).join(per_vector, ["key", "label", "v"])
+    alone = rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.select("id", "n_links", "component_id").unionByName(alone)
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -205,39 +205,67 @@ def clustered(r, n, dim, tight):
     return np.repeat(c, 20, 0) + tight * r.normal(size=(n, dim))
 
 
-@pytest.mark.parametrize("shard", [60, 4000])
-def test_flat_graph_links_equal_brute_force(spark, monkeypatch, shard):
-    monkeypatch.setattr(flat_graph, "SHARD", shard)
-    x = clustered(np.random.default_rng(2), 600, 16, 0.18)
-    df = spark.createDataFrame([(i, v.tolist(), i % 2, None) for i, v in enumerate(x)], VECTORS)
+def plain_links(x, label):
+    """n_links and the least row of each row's component, by comparing all."""
     x = np.array([np.float32(v).tolist() for v in x])
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    m = (u @ u.T >= 0.93) & (np.arange(600)[:, None] % 2 == np.arange(600) % 2)
+    m = (u @ u.T >= 0.93) & (label[:, None] == label)
     np.fill_diagonal(m, False)
-    root = flat_graph.roots_of(600, *np.nonzero(m))
+    return m.sum(1).tolist(), ngram_join.roots_of(len(x), *np.nonzero(m)).tolist()
+
+
+@pytest.mark.parametrize(("shard", "block"), [(60, 4000), (60, 50), (4000, 4000), (4000, 70)])
+def test_flat_graph_links_equal_brute_force(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(flat_graph, "SHARD", shard)
+    monkeypatch.setattr(flat_graph, "BLOCK", block)
+    x, label = clustered(np.random.default_rng(2), 600, 16, 0.18), np.arange(600) % 2
+    df = spark.createDataFrame([(i, v.tolist(), i % 2, None) for i, v in enumerate(x)], VECTORS)
     got = flat_graph.near_vectors(df).toPandas().sort_values("vec_id")
-    assert got.n_links.tolist() == m.sum(1).tolist() and got.component_id.tolist() == root.tolist()
+    assert (got.n_links.tolist(), got.component_id.tolist()) == plain_links(x, label)
+
+
+def test_flat_graph_of_one_tight_group(spark, monkeypatch):
+    """Five thousand near copies: every shard holds all of them, no task more than two blocks."""
+    monkeypatch.setattr(flat_graph, "SHARD", 2500)
+    monkeypatch.setattr(flat_graph, "BLOCK", 2000)
+    r = np.random.default_rng(8)
+    x = r.normal(size=64) + 0.22 * r.normal(size=(5000, 64))
+    df = spark.createDataFrame([(i, v.tolist(), 1, None) for i, v in enumerate(x)], VECTORS)
+    got = flat_graph.near_vectors(df).toPandas().sort_values("vec_id")
+    want = plain_links(x, np.ones(5000))
+    assert (got.n_links.tolist(), got.component_id.tolist()) == want and max(want[0]) > 4000
+    members = flat_graph.link_table(flat_graph.numbered_nodes(df.selectExpr("vec_id AS id", "transform(embedding, x -> double(x)) AS v", "string(label) AS label", "true AS usable")), 0.93)
+    sums = members.agg(F.sum("links").alias("l"), F.sum("searched").alias("s")).first()
+    assert sums.l == sum(want[0]) and sums.s > 0
+
+
+def test_graph_degree_is_bounded_around_a_hub():
+    r = np.random.default_rng(3)
+    x = np.concatenate([np.ones((1, 32)), np.ones((3000, 32)) + 0.3 * r.normal(size=(3000, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert flat_graph.build(x).shape == (3001, flat_graph.DEGREE)
+
+
+def found_by_search(x, graph):
+    every = np.arange(len(x))
+    return sum(int(n.sum()) for _, _, n in flat_graph.links(x, graph, every, np.ones(len(x), bool), 0.93))
 
 
 def test_search_alone_finds_nearly_all():
     x = clustered(np.random.default_rng(4), 1200, 16, 0.15)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    graph = flat_graph.build(x)
-    got = sum(len(a) for a, _ in flat_graph.search(x, graph, np.arange(1200), 0.93))
-    assert got >= 0.99 * sum(len(a) for a, _ in flat_graph.exact(x, np.arange(1200), 0.93))
+    graph = flat_graph.with_long_links(flat_graph.build(x))
+    assert found_by_search(x, graph) >= 0.99 * ((x @ x.T >= 0.93).sum() - len(x))
 
 
 def test_links_that_search_misses_are_found_for_every_node():
     x = np.eye(100)
     for a, b in ((1, 98), (4, 50)):  # pairs that no edge of the graph leads to
         x[b] = 0.95 * x[a] + np.sqrt(1 - 0.95**2) * x[b]
-    asks = np.arange(100)
     graph = np.full((100, 4), -1, np.int64)
-    pairs = lambda lots: sorted(z for p, q in lots for z in zip(p.tolist(), q.tolist(), strict=True))
-    want = pairs(flat_graph.exact(x, asks, 0.93))
-    assert want == [(1, 98), (4, 50), (50, 4), (98, 1)]
-    assert pairs(flat_graph.search(x, graph, asks, 0.93)) != want
-    assert pairs(flat_graph.linked(x, graph, asks, 0.93)) == want
+    lots = list(flat_graph.links(x, graph, np.arange(100), np.ones(100, bool), 0.93))
+    assert sorted(z for p, q, _ in lots for z in zip(p.tolist(), q.tolist(), strict=True)) == [(1, 98), (4, 50), (50, 4), (98, 1)]
+    assert found_by_search(x, graph) < 4
 
 
 def test_pipeline_stages(spark, odd):
