@@ -37,9 +37,11 @@ INTENTS = [
     (r"\b(?:example|usage|how to use|call sites|who uses|show me how)\b", "example", "high"),
     (r"\b(?:what'?s in|overview|modules|list all|browse|contents of|what files)\b", "discover", "high"),
     (r"^(?:where|find|locate|which file|path to|definition of|show me)\b", "locate", "high"),
-    (r"\b(?:find|locate|where is|definition)\b(?!.*\b(?:how|why|explain)\b)", "locate", "medium"),
+    (r"\b(?:find|locate|where is|definition)\b", "locate", "medium"),
     (r"\b(?:how does|what does|explain|walk me through|tell me about|describe)\b", "explain", "high"),
 ]
+# Fixed value: words, anywhere in a question, with which a locate intent of medium confidence doesn't hold.
+NOT_LOCATE = r"\b(?:how|why|explain)\b"
 # What each intent's question opens with.
 OPENINGS = {
     "locate": r"where is|find|locate|which file has|path to|definition of|show me",
@@ -93,18 +95,23 @@ def clean_query(q: Column, most: int = 300) -> Column:
     return F.when(F.length(bare) <= most, bare).when(whole, F.substring(cut, F.lit(1), last)).otherwise(cut)
 
 
-def intent(q: Column) -> Column:
+def first_intent(q: Column, what: int, default: str) -> Column:
+    """The name (1) or the confidence (2) of the first intent whose pattern a question has."""
     low, out = F.lower(F.trim(q)), None
-    for pattern, name, _ in INTENTS:
-        out = F.when(low.rlike(pattern), name) if out is None else out.when(low.rlike(pattern), name)
-    return out.otherwise("explain")
+    for entry in INTENTS:
+        hit = low.rlike(entry[0])
+        if entry[1:] == ("locate", "medium"):
+            hit = hit & ~low.rlike(NOT_LOCATE)
+        out = F.when(hit, entry[what]) if out is None else out.when(hit, entry[what])
+    return out.otherwise(default)
+
+
+def intent(q: Column) -> Column:
+    return first_intent(q, 1, "explain")
 
 
 def intent_confidence(q: Column) -> Column:
-    low, out = F.lower(F.trim(q)), None
-    for pattern, _, sure in INTENTS:
-        out = F.when(low.rlike(pattern), sure) if out is None else out.when(low.rlike(pattern), sure)
-    return out.otherwise("low")
+    return first_intent(q, 2, "low")
 
 
 def rewritten_query(q: Column, kind: Column) -> Column:

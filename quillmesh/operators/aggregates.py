@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..sources.scratch import kept
 from .joins import first_n
 from .rank import with_rank_share, with_share_below
-from .sinks import kept
 
 # Weights of the file score, its bands, and the weights of other scores.
 FILE_WEIGHTS = {"lines": 0.25, "fan_in": 0.20, "fan_out": 0.10, "symbols": 0.10, "circular": 0.10, "tech_debt": 0.15, "low_confidence": 0.10}

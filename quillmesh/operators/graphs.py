@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
 from .joins import first_n
-from .sinks import kept
 
 
 def impact(edges: DataFrame, start: DataFrame, hops: int = 2, most: int | None = None) -> DataFrame:
@@ -26,8 +26,12 @@ def impact(edges: DataFrame, start: DataFrame, hops: int = 2, most: int | None =
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) by large and small stars over edges (a, b)."""
-    now = kept(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    """node, root (the least node of its component) for every node of edges (a, b), by alternating large and small stars; nulls and loops are ignored.
+
+    Every round is written to the shared folder, and the number of rounds grows with the logarithm of the longest chain. The centre of a star has one row
+    in the table of least neighbours, which is dealt anew before each join: so both sides are shuffled for the join alone, and Spark may split a hot centre.
+    """
+    now = kept(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars", small=True)
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -35,11 +39,11 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()
         seen = mark
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("m")
+        large = kept(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "stars", small=True)
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        now = kept(small.union(down.select("a", "m")).where("a != b").distinct(), "stars")
+        small = large.join(down.repartition("m"), "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        now = kept(small.union(down.select("a", "m")).where("a != b").distinct(), "stars", small=True)
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:

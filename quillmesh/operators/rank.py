@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .sinks import kept
+from ..sources.scratch import kept
 
 
 def _running(df: DataFrame, order: list, amount: Column, out: str) -> DataFrame:

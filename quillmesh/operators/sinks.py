@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def shared_path(df: DataFrame, tag: str) -> str:
-    """A new path in the folder that executors share; only a session without one gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not top:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillmesh-"))
-        top = sc.getCheckpointDir()
-    return f"{top.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage by a table in the shared folder."""
-    path = shared_path(df, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.scratch import scratch_path
 
 
 def round_trip(df: DataFrame, kind: str) -> DataFrame:
     """Writes with the committer's all-or-nothing rename and reads back with the same schema."""
-    path = shared_path(df, f"sink-{kind}")
+    path = scratch_path(df.sparkSession, f"sink-{kind}")
     df.write.format(kind).save(path)
     return df.sparkSession.read.schema(df.schema).format(kind).load(path)
 

@@ -10,12 +10,13 @@ from ..operators import aggregates as ag
 from ..operators import content, sinks
 from ..sources import files as op
 from ..sources.paged import issues
+from ..sources.scratch import scratch_path
 from ..streaming import flows
 from .registry import query
 
 
 def written(c, df, kind: str) -> str:
-    path = sinks.shared_path(df, f"scan-{kind}")
+    path = scratch_path(df.sparkSession, f"scan-{kind}")
     df.write.format(kind).save(path)
     return path
 

@@ -20,7 +20,29 @@ INTENT = "CASE doc_id % 7 WHEN 0 THEN 'locate' WHEN 1 THEN 'rationale' WHEN 2 TH
 
 query("txt_preprocess_query", lambda c: c.documents.select("doc_id", tx.clean_query(question()).alias("q")),
       f"WITH b AS (SELECT doc_id, trim({CLEAN} || substr(text, 1, 500)) AS b FROM documents), k AS (SELECT *, substr(b, 1, 300) AS cut FROM b), l AS (SELECT *, length(cut) - strpos(reverse(cut), ' ') AS last FROM k) SELECT doc_id, CASE WHEN length(b) <= 300 THEN b WHEN strpos(cut, ' ') > 0 AND last > 150 THEN substr(cut, 1, last) ELSE cut END AS q FROM l")
-query("txt_intent", lambda c: c.benchmark.select("item_id", tx.intent(F.concat(F.lit("where "), "text")).alias("a"), tx.intent(F.lit("plain words")).alias("b"), tx.intent_confidence(F.concat(F.lit("why "), "text")).alias("c")), "SELECT item_id, 'locate' AS a, 'explain' AS b, 'high' AS c FROM benchmark")
+QUESTIONS = [
+    "who imports", "why", "between this and", "usage of", "overview:", "find", "please find", "how do i find", "explain the definition of", "describe", "plain",
+    "chose", "path to", "compare", "could someone say where is",
+]
+query(
+    "txt_intent",
+    lambda c: c.benchmark.select("item_id", F.concat(F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.col("item_id") % len(QUESTIONS) + 1).cast("int")), F.lit(" "), "text").alias("q"))
+    .select("item_id", tx.intent(F.col("q")).alias("intent"), tx.intent_confidence(F.col("q")).alias("confidence")),
+    f"""
+    WITH q AS (SELECT item_id, lower({QUESTIONS!r}[item_id % {len(QUESTIONS)} + 1] || ' ' || text) AS q FROM benchmark),
+    k AS (SELECT item_id, CASE
+        WHEN regexp_matches(q, '\\b(what calls|who calls|who imports|who uses|dependents|dependencies|callers|importers|imported by)\\b') THEN 'trace high'
+        WHEN regexp_matches(q, '^(why|reason|rationale|motivation|decision behind)\\b') THEN 'rationale high'
+        WHEN regexp_matches(q, '\\b(instead of|rather than|chose|decision|trade.?off)\\b') THEN 'rationale medium'
+        WHEN regexp_matches(q, '\\b(difference|compare|vs\\.?|versus)\\b') OR regexp_matches(q, '\\bbetween [^\\n]+ and\\b') THEN 'compare high'
+        WHEN regexp_matches(q, '\\b(example|usage|how to use|call sites|who uses|show me how)\\b') THEN 'example high'
+        WHEN regexp_matches(q, '\\b(what''?s in|overview|modules|list all|browse|contents of|what files)\\b') THEN 'discover high'
+        WHEN regexp_matches(q, '^(where|find|locate|which file|path to|definition of|show me)\\b') THEN 'locate high'
+        WHEN regexp_matches(q, '\\b(find|locate|where is|definition)\\b') AND NOT regexp_matches(q, '\\b(how|why|explain)\\b') THEN 'locate medium'
+        WHEN regexp_matches(q, '\\b(how does|what does|explain|walk me through|tell me about|describe)\\b') THEN 'explain high'
+        ELSE 'explain low' END AS k FROM q)
+    SELECT item_id, split_part(k, ' ', 1) AS intent, split_part(k, ' ', 2) AS confidence FROM k""",
+)
 query("txt_rewrite_query", lambda c: c.benchmark.select("item_id", tx.rewritten_query(F.concat(F.lit("Where is "), "text"), F.lit("locate")).alias("a"), tx.rewritten_query(F.concat(F.lit("how does "), "text"), F.lit("explain")).alias("b")), "SELECT item_id, trim(text) AS a, trim(text) AS b FROM benchmark")
 query("txt_signals", lambda c: c.nodes.where("kind = 'symbol'").select("id", tx.query_symbols(F.concat(F.lit("see "), F.regexp_replace("name", "#", "_"), F.lit(" and fooBar FooBar snake_case"))).alias("symbols")), "SELECT id, ['FooBar', 'snake_case'] AS symbols FROM nodes WHERE kind = 'symbol'")
 query("txt_coverage", lambda c: c.documents.select("doc_id", F.round(tx.coverage(tx.query_keywords(F.lit("Explain the thion inger and der file")), F.col("text")), 6).alias("share")), "SELECT doc_id, round(((contains(lower(text), 'thion'))::INT + (contains(lower(text), 'inger'))::INT + (contains(lower(text), 'der'))::INT) / 3.0::DOUBLE, 6) AS share FROM documents")

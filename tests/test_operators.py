@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import paths, roles, vectors
 from quillmesh.functions import text as tx
 from quillmesh.operators import aggregates, content, filters, graphs, joins, rank
+from quillmesh.streaming import flows
 
 
 def one(spark, column, **values):
@@ -256,3 +260,34 @@ def test_seeded_vectors_read_whole_texts(spark):
     assert got.keys() == text.keys() and all(np.allclose(got[k], plain(t)) for k, t in text.items())
     long = rows(spark, [("a " * 400 + "b",), ("a " * 400 + "c",), ("...",)], "text string")
     assert len({tuple(r.v) for r in long.select(vectors.fake(F.col("text")).alias("v")).collect()}) == 3
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3)]
+    got = {r.node: r.root for r in graphs.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert {got[i] for i in range(61)} == {0} and {got[100 + i] for i in range(50)} == {100}
+    assert graphs.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_intents(spark):
+    """One question for each rung of the ladder, and those that a word elsewhere takes off it."""
+    want = {
+        "Who imports the parser": ("trace", "high"), "why is it so": ("rationale", "high"), "they chose maps": ("rationale", "medium"), "between a map and a list": ("compare", "high"),
+        "an example please": ("example", "high"), "what's in here": ("discover", "high"), "where is it": ("locate", "high"), "please find the parser": ("locate", "medium"),
+        "how do i find the parser": ("explain", "low"), "can someone explain the definition": ("explain", "high"), "find out how": ("locate", "high"), "tell me about it": ("explain", "high"), "parser": ("explain", "low"),
+    }
+    rows = spark.createDataFrame([(q,) for q in want], "q string").select("q", tx.intent(F.col("q")).alias("i"), tx.intent_confidence(F.col("q")).alias("c")).collect()
+    assert {r.q: (r.i, r.c) for r in rows} == want
+
+
+def test_update_flow_keeps_keys_of_earlier_batches(spark, tmp_path):
+    """Two files, one a batch: a key seen in the first only, one in both, one in the second only."""
+    day = 86_400
+    for n, rows in enumerate([[("a", 0, 1), ("a", 5, 2), ("b", 10, 4)], [("b", 20, 8), ("b", 3 * day, 16), ("b", 3 * day + 1, 32), ("c", 3 * day, 64)]]):
+        at = [(k, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s), x) for k, s, x in rows]
+        spark.createDataFrame(at, "k string, ts timestamp, x long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if n == 0:
+            time.sleep(1.1)
+    read = spark.readStream.schema("k string, ts timestamp, x long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r.k: (r.opened - 1_704_067_200_000_000, r.total) for r in flows.drain(flows.budgets(read, "k", "x", day), "update", ["k"]).collect()}
+    assert got == {"a": (0, 3), "b": (3 * day * 1_000_000, 48), "c": (3 * day * 1_000_000, 64)}
