@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import few, kept, scratch_path, shared_dir  # noqa: F401  for the operators here
 from ..sources.shipping import ship
 
 #: Characters of text that one call into a tokenizer or feature loop sees at once.
 SLICE_CHARS = 1_000_000
 #: Bytes of a table, as the optimizer expects them, that one task may write.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,37 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a session without one (a local test) gets a folder of its own."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillmesh-"))
-        found = sc.getCheckpointDir()
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def few(df: DataFrame, times: int = 2) -> DataFrame:
-    """In no more partitions than a small multiple of the cluster's cores: for rows that are narrow or few."""
-    return df.coalesce(max(2, times * df.sparkSession.sparkContext.defaultParallelism))
-
-
 def stored(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
-    """Writes df once to the shared folder and reads it back, which cuts its lineage and survives lost executors.
+    """A table in the shared folder, which cuts the lineage and survives lost executors.
 
     small: what comes of an aggregation or a search, not the input's own rows. Such tables, and those that the
     optimizer expects to give every core's second task less than TASK_BYTES, are written in few files.
     """
-    path = scratch_path(df.sparkSession, tag)
     expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if small or expected <= TASK_BYTES * 2 * df.sparkSession.sparkContext.defaultParallelism:
-        df = few(df)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept(df, tag, small or expected <= TASK_BYTES * 2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 _caches: dict[str, Callable[[], None]] = {}

@@ -39,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import components
 from .common import arrow_map, small_batches, stored
-from .components import components
 from .ngram_join import roots_of, whole_groups
 from .vectors import bounded_sample, matrix, usable
 

@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import components
 from .common import arrow_map, claim, few, small_batches, stored
-from .components import components
 
 GRAM, THRESHOLD = 5, 0.8
 VALUES, ROWS, STEP = 120, 5, 15

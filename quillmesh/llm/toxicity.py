@@ -276,37 +276,35 @@ class Model:
 
 
 def term_counts(sample: DataFrame, among: set[str] | None = None) -> DataFrame:
-    """term, part, toxic texts a, texts n, of texts that don't share a sketch with one before; among: of these terms only.
+    """term, part, toxic texts a, texts n; among: of these terms only.
 
-    sample has sketch, h, part, toxic and text. Each task adds up its own texts first; the sample is bounded, and so are its terms.
+    sample has part, toxic and text. Each task adds up its own texts first; the sample is bounded, and so are its terms.
     """
-    tasks = max(2, 2 * sample.sparkSession.sparkContext.defaultParallelism)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: tuple[Counter, Counter] = Counter(), Counter()
-        reader, last = Terms(among), None
+        reader = Terms(among)
         for b in batches:
-            for s, part, toxic, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if s != last:
-                    found = [(t, part) for t in reader.of_text(text)]
-                    sums[0].update(found)
-                    if toxic:
-                        sums[1].update(found)
-                last = s
+            for part, toxic, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                found = [(t, part) for t in reader.of_text(text)]
+                sums[0].update(found)
+                if toxic:
+                    sums[1].update(found)
         keys = list(sums[0])
         columns = [pa.array([t for t, _ in keys]), pa.array([p for _, p in keys], pa.int64()), pa.array([sums[1][k] for k in keys], pa.int64()), pa.array([sums[0][k] for k in keys], pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array([], pa.string()) if not keys else columns[0], *columns[1:]], ["term", "part", "a", "n"])
 
-    dealt = sample.select("sketch", "part", "toxic", "text", "h").repartition(tasks, "sketch").sortWithinPartitions("sketch", "h")
-    return dealt.mapInArrow(count, "term string, part bigint, a bigint, n bigint").groupBy("term", "part").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    return sample.select("part", "toxic", "text").mapInArrow(count, "term string, part bigint, a bigint, n bigint").groupBy("term", "part").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
 
 
 def learn_lexicons(sample: DataFrame) -> tuple[dict[str, float], list[dict[str, float]]]:
-    """The lexicon of all parts, and for each part that of the other ones.
+    """The lexicon of all parts, and for each part that of the other ones, from one text of each sketch, that of the least hash.
 
-    A first count, over the toxic texts and as many others, finds the terms worth counting over the whole sample.
+    A first count, over the toxic texts and as many others, finds the terms worth counting over the whole sample. The
+    hashes of the texts, bounded as the sample is, are broadcast.
     """
     sample = sample.where("text is not null")
+    sample = sample.join(F.broadcast(sample.groupBy("sketch").agg(F.min("h").alias("h")).select("h")), "h", "left_semi")
     sizes = {r["part"]: (r["n"], r["t"]) for r in sample.groupBy("part").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()}
     n, toxic = sum(x for x, _ in sizes.values()), sum(x for _, x in sizes.values())
     if not toxic or toxic == n:

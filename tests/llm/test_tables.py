@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmesh.llm import components, flat_graph, merkle, mixing, multi_index, ngram_join, queries
+from quillmesh.llm import flat_graph, merkle, mixing, multi_index, ngram_join, queries
 from quillmesh.llm.common import table
 
 
@@ -82,13 +82,6 @@ def test_pruning_rarely_drops_a_pair_at_the_threshold():
     assert lost.mean() < 1e-3 and dropped.mean() > 0.999
 
 
-def test_components_of_chains_and_stars(spark):
-    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert {got[i] for i in range(61)} == {0} and {got[100 + i] for i in range(50)} == {100}
-    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
-
-
 def test_mix_targets_fill_up_and_stop(spark):
     rows = spark.createDataFrame([("a", 100), ("b", 10), ("c", 1000), (None, 5)], "s string, source_size bigint")
     t = {r.s: r.target for r in mixing.targets(rows).collect()}
