@@ -39,10 +39,10 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()
         seen = mark
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("m")
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition(F.xxhash64("a"))
         large = kept(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "stars", small=True)
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down.repartition("m"), "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        small = large.join(down.repartition(F.xxhash64("a")), "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         now = kept(small.union(down.select("a", "m")).where("a != b").distinct(), "stars", small=True)
 
 
