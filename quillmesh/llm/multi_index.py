@@ -1,23 +1,27 @@
 """Nearest neighbours by multi-index hashing.
 
-Vectors get codes of 256 bits from learned rotations (iterative quantisation on
-a bounded sample). Each code is split into 16 substrings of 16 bits, each with
-a table of its own. Probing all values within distance r of a query's first
-j + 1 substrings, and r - 1 of the rest, finds every code within Hamming
-distance 16 r + j (pigeonhole). The radius grows until ``FOUND`` codes of the
-shard lie within it, all of them are retrieved, and their vectors reranked by
-inner product in double precision. Every row is indexed; there is no cap on a
-bucket.
+Vectors get codes of 640 bits from learned rotations (iterative quantisation on
+a bounded sample). Each code is split into 40 substrings of 16 bits, and each
+shard of rows has an index from substring number and value to its rows, built
+once. A query probes all values within distance r of each of its substrings;
+by the pigeonhole principle that retrieves every code within Hamming distance
+40 (r + 1) - 1, and many beyond. r grows from 0 until ``FOUND`` codes lie
+within that distance, or, from ``RADIUS`` on, until so many rows (all, if there
+are fewer) have been retrieved. Every retrieved row is reranked by inner
+product in double precision. Nothing but probes retrieves rows; every row is
+indexed, and there is no cap on a bucket.
 
 Vectors of unequal length are mapped so that angles order them as inner
 products do: one more coordinate lifts each to the largest length.
 
-Rows are dealt to shards, queries to blocks, and each shard meets each block
-once; of each meeting only the nearest k stay.
+Rows are dealt to shards once, each query visits each shard once, and of each
+visit only the nearest k stay. Queries stream past the shard's index.
 
 Vectors that are null, zero or hold null or non-finite components, those of a
 null id, and those whose dimension isn't the commonest take no part. Rows that
-repeat an id are never neighbours of each other. An empty table has no result.
+repeat an id are never neighbours of each other, and count once, with their
+best score, as neighbours of others. Ties go to the smaller id. An empty table
+has no result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,19 +34,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
-from .ngram_join import whole_groups
+from .common import small_batches
 from .vectors import bounded_sample, matrix, usable
 
-BITS, PARTS = 256, 16
-WIDTH = BITS // PARTS
-FOUND = 400
-#: Share of a shard's rows that probes may touch before its codes are compared directly, which finds the same rows.
-TOUCHED = 0.1
-SHARD, BLOCK = 8192, 2048
+PARTS, WIDTH = 40, 16
+BITS = PARTS * WIDTH
+#: Codes within the pigeonhole distance that end a query's probes; from RADIUS on, retrieved rows that do.
+FOUND, RADIUS = 1000, 3
+SHARD = 8192
 FIT_ROWS = 16_384
 #: Queries whose probes are run together.
-TOGETHER = 128
+TOGETHER = 64
+VALUES = 1 << WIDTH
+#: All masks of a substring, those of fewer bits first, and where those of each number of bits end.
+MASKS = np.argsort(np.bitwise_count(np.arange(VALUES, dtype=np.uint32)), kind="stable").astype(np.uint16)
+ENDS = np.bincount(np.bitwise_count(np.arange(VALUES, dtype=np.uint32)), minlength=WIDTH + 1).cumsum()
 
 
 class Codes:
@@ -77,59 +83,59 @@ class Codes:
 
 
 class Tables:
-    """The substring tables of one shard: the values that occur, in order, and the rows of each."""
+    """The index of one shard: for each substring number, the rows in order of their value, and where each value's rows begin."""
 
     def __init__(self, codes: np.ndarray):
         self.words = np.ascontiguousarray(codes).view(np.uint64)
-        parts = np.ascontiguousarray(codes).view(">u2").astype(np.uint16)
-        self.order = np.argsort(parts, axis=0, kind="stable")
-        self.values, self.start = [], []
+        parts = np.ascontiguousarray(codes).view(np.uint16)
+        self.rows = np.stack([np.argsort(parts[:, j], kind="stable") for j in range(PARTS)])
+        self.start = np.stack([np.concatenate([[0], np.bincount(parts[:, j], minlength=VALUES).cumsum()]) for j in range(PARTS)])
+
+    def probe(self, sub: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, row) of which a substring differs in exactly r bits; some more than once."""
+        masks = MASKS[ENDS[r - 1] if r else 0 : ENDS[r]]
+        who, row = [], []
         for j in range(PARTS):
-            value, first = np.unique(parts[self.order[:, j], j], return_index=True)
-            self.values.append(value)
-            self.start.append(np.append(first, len(parts)))
-
-    def within(self, codes: np.ndarray, found: int) -> Iterator[tuple[int, np.ndarray]]:
-        """For each query: its number and all rows within the least radius that holds found rows (all, if there are no more)."""
-        n = len(self.words)
-        q = np.ascontiguousarray(codes).view(np.uint64)
-        sub = np.ascontiguousarray(codes).view(">u2").astype(np.uint16)
-        distance = np.full((len(q), n), BITS + 1, np.int16)
-        near = np.zeros((len(q), BITS + 1), np.int32)  # rows found at each distance
-        apart = [np.bitwise_count(sub[:, j][:, None] ^ self.values[j][None, :]) for j in range(PARTS)]
-        live, want, touched = np.arange(len(q)), min(found, n), 0
+            value = sub[:, j][:, None] ^ masks[None, :]
+            lo = self.start[j][value]
+            q, m = np.nonzero(self.start[j][value.astype(np.int64) + 1] > lo)
+            lo, hi = lo[q, m], self.start[j][value[q, m].astype(np.int64) + 1]
+            count = hi - lo
+            who.append(np.repeat(q, count))
+            row.append(self.rows[j][np.repeat(lo - (count.cumsum() - count), count) + np.arange(count.sum())])
+        return np.concatenate(who), np.concatenate(row)
+
+    def retrieve(self, codes: np.ndarray, found: int = FOUND, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+        """For each query: a mask of the retrieved rows, and the r at which its probes ended."""
+        n, q = len(self.words), np.ascontiguousarray(codes).view(np.uint64)
+        sub = np.ascontiguousarray(codes).view(np.uint16)
+        hit, ended = np.zeros((len(q), n), bool), np.full(len(q), WIDTH)
+        near = np.zeros(len(q), np.int64)
+        live, want = np.arange(len(q)), min(found, n)
         for r in range(WIDTH + 1):
-            if touched > TOUCHED * n * len(q):
+            who, row = self.probe(sub[live], r)
+            fresh = np.unique((live[who] * n + row)[~hit[live[who], row]])
+            who, row = fresh // n, fresh % n
+            hit[who, row] = True
+            # what lies within the distance that the probes now cover: of the new rows, and of the old ones
+            near[live] = 0
+            sure = PARTS * (r + 1) - 1
+            for a in live:
+                rows = np.flatnonzero(hit[a])
+                near[a] = int((np.bitwise_count(q[a] ^ self.words[rows]).sum(1) <= sure).sum()) if len(rows) >= want else 0
+            done = (near[live] >= want) | ((r >= radius) & (hit[live].sum(1) >= want))
+            ended[live[done]] = r
+            live = live[~done]
+            if not len(live):
                 break
-            for j in range(PARTS):
-                who, which = np.nonzero(apart[j][live] == r)
-                lo = self.start[j][which]
-                count = self.start[j][which + 1] - lo
-                who = np.repeat(live[who], count)
-                spot = np.repeat(lo - np.concatenate([[0], count.cumsum()[:-1]]), count) + np.arange(count.sum())
-                row = self.order[spot, j]
-                touched += len(row)
-                new = distance[who, row] > BITS
-                who, row = who[new], row[new]
-                d = np.bitwise_count(q[who] ^ self.words[row]).sum(1, dtype=np.int16)
-                distance[who, row] = d
-                near += np.bincount(who * (BITS + 1) + d, minlength=near.size).reshape(near.shape)
-                radius = PARTS * r + j
-                done = near[live, : radius + 1].sum(1) >= want
-                for i in live[done]:
-                    yield int(i), np.flatnonzero(distance[i] <= radius)
-                live = live[~done]
-                if not len(live):
-                    return
-        # wider probes would touch most rows, many of them often: the codes are compared as they lie
-        for a in range(0, len(live), 32):
-            some = live[a : a + 32]
-            apart_ = np.zeros((len(some), n), np.int16)
-            for w in range(self.words.shape[1]):
-                apart_ += np.bitwise_count(q[some, w][:, None] ^ self.words[:, w][None, :])
-            radius = np.partition(apart_, want - 1, axis=1)[:, want - 1]
-            for i, row, limit in zip(some, apart_, radius, strict=True):
-                yield int(i), np.flatnonzero(row <= limit)
+        return hit, ended
+
+
+def best_rows(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best, ties to the smaller id, each id once."""
+    order = np.lexsort((ids, -score))
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, found: int = FOUND, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -145,36 +151,45 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, found: int = FOUN
     rows = rows.where(F.size("v") == dim)
     sample = matrix(bounded_sample(rows.select("id", "v"), "id", FIT_ROWS, dim).column("v"), dim)
     codes = Codes(sample, float(np.sqrt(size["m"])))
-    shards, blocks = -(-size["n"] // SHARD), -(-size["q"] // BLOCK)
-    own = F.xxhash64("id")
-    index = rows.select(F.pmod(own, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), "id", "v")
-    asked = rows.where("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), "id", "v")
+    shards = -(-size["n"] // SHARD)
+    index = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "id", "v")
+    asked = rows.where("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
+
+    def visits(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Tables, np.ndarray, np.ndarray]]:
+        """Each shard's rows come first and are held; its queries follow, batch by batch."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        shard, tables, x, of = None, None, None, None
+        for b in batches:
+            at, kind, ids, v = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), matrix(b.column(3), dim)
+            cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(kind) != 0)) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(at)], strict=True):
+                if kind[lo] == 0:
+                    if at[lo] != shard:
+                        shard, held = at[lo], []
+                    held.append((ids[lo:hi], v[lo:hi]))
+                    tables = None
+                elif at[lo] == shard:  # else no row of this shard
+                    if tables is None:
+                        of, x = np.concatenate([i for i, _ in held]), np.concatenate([y for _, y in held])
+                        tables = Tables(codes.of_rows(x))
+                    yield of, x, tables, ids[lo:hi], v[lo:hi]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, group in whole_groups(batches, ["shard", "block"], 1):
-            for at in np.unique(group):
-                rows_ = np.flatnonzero(group == at)
-                part = t.slice(int(rows_[0]), len(rows_))
-                kind, ids, v = part.column("kind").to_numpy(), part.column("id").to_numpy(), matrix(part.column("v"), dim)
-                have, ask = kind == 0, np.flatnonzero(kind == 1)
-                if not have.any() or not len(ask):
-                    continue
-                x, of = v[have], ids[have]
-                tables = Tables(codes.of_rows(x))
-                for a in range(0, len(ask), TOGETHER):
-                    some = ask[a : a + TOGETHER]
-                    q, them, s = [], [], []
-                    for i, near in tables.within(codes.of_queries(v[some]), found):
-                        score = x[near] @ v[some[i]]
-                        own_id = ids[some[i]]
-                        ok = of[near] != own_id
-                        near, score = near[ok], score[ok]
-                        best = np.lexsort((of[near], -score))[:k]
-                        q.append(np.full(len(best), own_id))
-                        them.append(of[near][best])
-                        s.append(score[best])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(them)), pa.array(np.concatenate(s))], ["query_id", "vec_id", "score"])
-
-    met = index.unionByName(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+        for of, x, tables, ids, v in visits(batches):
+            for a in range(0, len(ids), TOGETHER):
+                q, them, s = [], [], []
+                hit, _ = tables.retrieve(codes.of_queries(v[a : a + TOGETHER]), found)
+                for i, row in enumerate(hit):
+                    near = np.flatnonzero(row)
+                    near = near[of[near] != ids[a + i]]
+                    score = x[near] @ v[a + i]
+                    best = best_rows(of[near], score, k)
+                    q.append(np.full(len(best), ids[a + i]))
+                    them.append(of[near][best])
+                    s.append(score[best])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(them)), pa.array(np.concatenate(s))], ["query_id", "vec_id", "score"])
+
+    met = index.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    once = met.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.dense_rank().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").distinct()
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

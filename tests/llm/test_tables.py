@@ -157,16 +157,33 @@ def test_vectors_that_take_no_part(spark):
     assert multi_index.nearest(empty, F.col("vec_id") % 20 == 0).count() == 0 and flat_graph.near_vectors(empty).count() == 0
 
 
-def test_pigeonhole_probing_finds_every_code_within_the_radius(monkeypatch):
-    r = np.random.default_rng(5)
-    codes = r.integers(0, 256, (900, 32)).astype(np.uint8)
-    for share in (0.0, 100.0):  # direct comparison, probes alone
-        monkeypatch.setattr(multi_index, "TOUCHED", share)
-        q = codes[:8].copy()
-        q[:, 0] ^= 3
-        for i, rows in multi_index.Tables(codes).within(q, 5):
-            d = np.unpackbits(codes ^ q[i], axis=1).sum(1)
-            assert set(rows) == set(np.flatnonzero(d <= d[rows].max())) and len(rows) >= 5
+@pytest.mark.parametrize("r", [0, 1, 2, 3])
+def test_pigeonhole_probing_finds_every_code_within_the_distance(r):
+    g = np.random.default_rng(5)
+    codes = g.integers(0, 256, (900, multi_index.BITS // 8)).astype(np.uint8)
+    for i in range(300):  # near codes at all distances up to what r covers
+        codes[i] = codes[899]
+        flips = g.choice(multi_index.BITS, g.integers(0, multi_index.PARTS * (r + 1)), replace=False)
+        np.bitwise_xor.at(codes[i], flips // 8, (1 << (flips % 8)).astype(np.uint8))
+    hit, ended = multi_index.Tables(codes).retrieve(codes[899:], 300, 99)
+    d = np.unpackbits(codes ^ codes[899], axis=1).sum(1)
+    assert ended[0] <= r and hit[0][d < multi_index.PARTS * (ended[0] + 1)].all() and hit[0].sum() >= 300
+
+
+def test_a_shard_of_few_rows_is_retrieved_whole():
+    codes = np.random.default_rng(6).integers(0, 256, (50, multi_index.BITS // 8)).astype(np.uint8)
+    assert multi_index.Tables(codes).retrieve(codes[:3])[0].all()
+
+
+def brute_recall(x, ids, got, k=20):
+    hit = n = 0
+    for q, g in got.groupby("query_id"):
+        at = int(np.flatnonzero(ids == q)[0])
+        s = x @ x[at]
+        s[at] = -np.inf
+        hit += len(set(ids[np.lexsort((ids, -s))[:k]]) & set(g.vec_id))
+        n += k
+    return hit / n
 
 
 def test_recall_against_brute_force(spark):
@@ -174,13 +191,20 @@ def test_recall_against_brute_force(spark):
     rows = table(spark, d, "embeddings").toPandas()
     x, ids = np.array(rows.embedding.tolist(), float), rows.vec_id.to_numpy()
     got = queries.op5_multi_index_hashing(spark, d).toPandas()
-    hit = n = 0
-    for q, g in got.groupby("query_id"):
-        s = x @ x[np.flatnonzero(ids == q)[0]]
-        s[ids == q] = -np.inf
-        hit += len(set(ids[np.lexsort((ids, -s))[:20]]) & set(g.vec_id))
-        n += 20
-    assert hit / n >= 0.95
+    assert brute_recall(x, ids, got) >= 0.95 and (got.groupby("query_id").size() == 20).all() and len(got) == 20 * (ids % 20 == 0).sum()
+    score = {(r.query_id, r.vec_id): r.score for r in got.itertuples()}
+    assert all(abs(s - x[ids == a][0] @ x[ids == b][0]) < 1e-12 for (a, b), s in score.items())
+
+
+def test_search_over_many_shards_with_repeated_ids_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "SHARD", 100)
+    x = clustered(np.random.default_rng(9), 800, 16, 0.1)
+    x[5:9] = x[1]  # ties, beside rows that repeat an id
+    rows = [(i, v.tolist(), 0, None) for i, v in enumerate(x)] + [(7, x[1].tolist(), 0, None)] * 3
+    got = multi_index.nearest(spark.createDataFrame(rows, VECTORS), F.col("vec_id") == 1, k=4).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [5, 6, 7, 8]
+    got = multi_index.nearest(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0).toPandas()
+    assert brute_recall(np.array([np.float32(v).tolist() for v in x]), np.arange(800), got) >= 0.95
 
 
 def test_inner_products_of_unequal_lengths(spark):
