@@ -133,18 +133,27 @@ class WordIds:
         for word, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.memo[word] = np.asarray(e.ids, self.dtype).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        parts = [folded(t).replace("\n", " ").split(" ") for t in texts]
+    def remember(self, parts: list[list[str]]) -> None:
+        """Sees to it that memo has all words of these lists."""
         wanted = set().union(*parts)
         if len(self.memo) + len(wanted) > MEMO:
             self.memo.clear()
         missing = [w for w in wanted if w not in self.memo]
         for at in range(0, len(missing), 50_000):
             self.learn(missing[at : at + 50_000])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        parts = [parted(t) for t in texts]
+        self.remember(parts)
         return [b"".join(map(self.memo.__getitem__, p)) for p in parts]
 
 
+def parted(text: str) -> list[str]:
+    """The words between single spaces or line ends; each keeps its length, but for case."""
+    return folded(text).replace("\n", " ").split(" ")
+
+
 def folded(text: str) -> str:
     """In lower case where that surely is what the tokenizer does: Latin-1 text that can't hold a special token."""
     if "<|" in text:

@@ -199,6 +199,7 @@ def test_recall_against_brute_force(spark):
 def test_search_over_many_shards_with_repeated_ids_and_ties(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "SHARD", 100)
     x = clustered(np.random.default_rng(9), 800, 16, 0.1)
+    x[1] *= 3
     x[5:9] = x[1]  # ties, beside rows that repeat an id
     rows = [(i, v.tolist(), 0, None) for i, v in enumerate(x)] + [(7, x[1].tolist(), 0, None)] * 3
     got = multi_index.nearest(spark.createDataFrame(rows, VECTORS), F.col("vec_id") == 1, k=4).orderBy("rank").collect()

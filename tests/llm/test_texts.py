@@ -70,18 +70,48 @@ def test_word_ids_equal_the_library(parts):
 @given(st.lists(st.sampled_from(["word", "don't", "x1", "日本", "é!", "aaaaaaaaaaaaaaaaaaaa", " ", "\n", "'s"]), min_size=1, max_size=120))
 def test_overlaps_resynchronise(parts):
     text = "".join(parts)
-    assert token_counts.load(WORD).count_huge(text, 40, 4) == len(whole(text))
+    assert token_counts.load(WORD).count_long(text, 40, 4)[0] == len(whole(text))
 
 
 @pytest.mark.parametrize("text", ["a" * 9000, "'s" * 4000, "日本" * 4000, "x1 " * 3000, "<|endoftext|>" * 700, "é!é " * 2000, "word " * 9])
 def test_overlaps_widen_until_they_align(text):
-    assert token_counts.load(WORD).count_huge(text, 900, 8) == len(whole(text))
+    assert token_counts.load(WORD).count_long(text, 900, 8)[0] == len(whole(text))
 
 
-def test_piece_model_counts():
+@pytest.mark.parametrize("text", ["several words in a row and more of them " * 400, "é à ü ñ  two   spaces\n" * 300, "日本語 " * 900, "x" * 5000, "▁ a▁b " * 700, "ﬁ ½ ① word " * 500])
+def test_piece_model_splices(text):
     lib = token_counts.load(PIECE)
-    text = "several words in a row and more of them " * 400
-    assert lib.count_huge(text, 500, 16) == lib.counts([text])[0]
+    got, splices, _ = lib.count_long(text, 500, 16)
+    assert got == lib.counts([text])[0] and (splices > 1 or text[0] in "x▁")
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(["a", "word", "naïve", " ", "  ", "\n", "x1", "...", "日本", "\u200b", "½"]), max_size=300).map("".join))
+def test_piece_model_splices_random_texts(text):
+    lib = token_counts.load(PIECE)
+    assert lib.count_long(text + " end", 40, 4)[0] == lib.counts([text + " end"])[0]
+
+
+@pytest.mark.parametrize("path", [WORD, PIECE])
+def test_documents_are_counted_through_splices(spark, path):
+    """Every text of documents, and most of their characters through the splice path."""
+    rows = table(spark, "/root/testdata/sf0.01", "documents").collect()
+    lib = token_counts.load(path)
+    spliced = chars = widened = 0
+    for r in rows if path == WORD else rows[::4]:
+        want = len(whole(r.text)) if path == WORD else lib.counts([r.text])[0]
+        got, splices, wide = lib.count_long(r.text)
+        assert got == want == token_counts.count_all([r.text], path)[0], r.doc_id
+        spliced += len(r.text) * (splices > 0)
+        chars, widened = chars + len(r.text), widened + wide
+    assert spliced > 0.3 * chars and widened < 50
+
+
+def test_query_counts_every_document(spark):
+    d = "/root/testdata/sf0.001"
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op8_token_counts(spark, d).collect()}
+    want = {r.doc_id: (len((r.text or "").encode()), n := len(whole(r.text)), n > 2048) for r in table(spark, d, "documents").collect()}
+    assert got == want
 
 
 def test_counts_on_odd_rows(odd, none):
