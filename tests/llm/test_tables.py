@@ -105,6 +105,30 @@ def test_mix_with_unequal_weights_prefers_them(spark):
     assert c[3.0] > 1.5 * c[1.0]
 
 
+def test_rates_share_again_what_the_bound_cuts(spark):
+    """Two weights, target 2.5 times the size: the heavier documents stop at 3, the lighter ones take the rest."""
+    per = spark.createDataFrame([("a", 1.0, 100), ("a", 2.0, 100), (None, 1.0, 10), ("z", 1.0, 0)], "s string, weight double, x long")
+    goal = spark.createDataFrame([("a", 200, 500.0), (None, 10, 30.0), ("z", 0, 0.0)], "s string, source_size long, target double")
+    got = {r.s: r.rate for r in mixing.rates(per, goal, 3.0).collect()}
+    assert got == {"a": 2.0, None: 3.0, "z": None}
+
+
+def test_mix_of_one_hot_source_without_ids(spark):
+    docs = spark.createDataFrame([(None, f"w{i} " * (i % 700 + 1), "a" if i % 3 else "b") for i in range(900)], "doc_id long, text string, source string")
+    got = mixing.mix(docs).toPandas()
+    for _, g in got.groupby("source_size"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max()
+    assert (got.copies <= 3).all() and got[got.source_size == got.source_size.max()].copies.nunique() > 1
+
+
+def test_longer_texts_of_a_source_are_likelier(spark):
+    docs = spark.createDataFrame([(i, "w " * (50 if i % 2 else 800), "a" if i % 3 else "b") for i in range(3000)], "doc_id long, text string, source string")
+    got = mixing.mix(docs).toPandas()
+    for _, g in got[got.target < 3 * got.source_size].groupby("source_size"):
+        means = g.groupby("size").copies.mean()
+        assert 1.5 < means[800] / means[50] < 2.0
+
+
 def test_mix_on_odd_rows(odd, none):
     got = mixing.mix(odd).collect()
     assert len(got) == odd.count() and {r.size for r in got if r.doc_id in (4, 5, 6)} == {0}
