@@ -9,26 +9,27 @@ from pyspark.sql import functions as F
 from ..sources.scratch import kept
 
 
-def _running(df: DataFrame, order: list, amount: Column, out: str) -> DataFrame:
-    """df with the sum of amount over all rows before each in the order: range partitions, their sums, then a window within each. No task sorts all rows."""
+def running_sums(df: DataFrame, order: list, amounts: dict[str, Column]) -> DataFrame:
+    """df with the sums of amounts over all rows before each in the order, under their names: range partitions, their sums, then a window within each. No task sorts all rows."""
     ranged = kept(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")
-    sums = ranged.groupBy("__p").agg(F.sum(amount).alias("__s"))
-    bases = sums.select("__p", F.coalesce(F.sum("__s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    sums = ranged.groupBy("__p").agg(*(F.sum(x).alias(f"__{name}") for name, x in amounts.items()))
+    before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select("__p", *(F.coalesce(F.sum(f"__{name}").over(before), F.lit(0)).alias(f"__{name}") for name in amounts))
     inside = W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     run = ranged.join(F.broadcast(bases), "__p")  # a row a partition
-    return run.withColumn(out, F.col("__base") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("__p", "__base")
+    return run.select(*df.columns, *((F.col(f"__{name}") + F.coalesce(F.sum(x).over(inside), F.lit(0))).alias(name) for name, x in amounts.items()))
 
 
 def numbered(df: DataFrame, order: list, out: str = "place") -> DataFrame:
     """Rows numbered from 1 in the order, whose keys must be unique."""
-    return _running(df, order, F.lit(1), out).withColumn(out, (F.col(out) + 1).cast("int"))
+    return running_sums(df, order, {out: F.lit(1)}).withColumn(out, (F.col(out) + 1).cast("int"))
 
 
 def value_ranks(df: DataFrame, value: str) -> DataFrame:
     """Of each distinct value: below (rows with a smaller one), ties and n (all rows); counted before anything is ordered."""
     counts = df.groupBy(value).agg(F.count("*").alias("ties"))
     total = counts.agg(F.sum("ties").alias("n"))
-    return _running(counts, [F.col(value)], F.col("ties"), "below").join(F.broadcast(total))  # one row
+    return running_sums(counts, [F.col(value)], {"below": F.col("ties")}).join(F.broadcast(total))  # one row
 
 
 def with_rank_share(df: DataFrame, value: str, out: str, of: DataFrame | None = None) -> DataFrame:
