@@ -14,10 +14,17 @@ The audit compares roots; below, it opens only children of nodes that differ,
 level by level, and ends at the damaged records. Where the roots are equal,
 nothing below them is read. No level is collected.
 
-Null urls and bodies are empty; null ids come first; rows that repeat an id
-keep their place by url and body. A record that a replica lacks is ``missing``,
-one with other bytes ``corrupt``; the replica's rows that the index doesn't
-know are ``extra``. An empty archive has no root and nothing to report.
+A replica is audited against the index of the primary: its records take the
+places that the index gives them, whatever its own bytes are, so that damage
+that moves all later offsets is still found where it is.
+
+Null urls and bodies are empty; null ids come first, in order of their urls;
+rows that repeat an id keep their place by url and digest, so damage to one of
+two rows with equal id and url may be reported for the other. A record that a
+replica lacks is ``missing``, one with other bytes ``corrupt``; the replica's
+rows that the index doesn't know are ``extra``. Very long bodies are hashed
+where they are read and never shuffled. An empty archive has no root and
+nothing to report. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,12 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.rank import running_sums
 from .common import stored
 
 RANGE_BYTES = 1 << 16
 FANOUT = 16
-#: Ids to a bucket when offsets are summed up.
-SPAN = 1024
 
 
 def payload(url: Column, body: Column) -> Column:
@@ -42,21 +48,18 @@ def payload(url: Column, body: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """id, key (the id as text, so that null joins too), turn (of rows that repeat an id), length and SHA-256 of each record; the bodies stay where they are read."""
+    """id, key (the id as text; of a null id the url, so that such rows are told apart and join too), turn (of rows that repeat a key), length and SHA-256 of each record; the bodies stay where they are read."""
     raw = payload(F.col(url_col), F.col(body_col))
-    out = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"), F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("digest"))
-    return out.withColumn("turn", F.row_number().over(W.partitionBy("key").orderBy("digest")))
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.coalesce(F.col(url_col), F.lit(""))))
+    out = pages.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("digest"))
+    return out.withColumn("turn", F.row_number().over(W.partitionBy("key").orderBy("url", "digest"))).drop("url")
 
 
 def index(recs: DataFrame) -> DataFrame:
-    """id, key, turn, offset, length, place: offsets are sums by buckets of ids, then within each bucket."""
-    with_bucket = recs.withColumn("bucket", F.floor(F.col("id").cast("double") / SPAN))
-    sums = with_bucket.groupBy("bucket").agg(F.sum("length").alias("bytes"), F.count("*").alias("rows"))
-    before = W.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
-    bases = sums.select(F.col("bucket").alias("b"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("byte_base"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("row_base"))
-    inside = W.partitionBy("bucket").orderBy(F.col("id").asc_nulls_first(), "turn").rowsBetween(W.unboundedPreceding, -1)
-    run = with_bucket.withColumn("own", F.coalesce(F.sum("length").over(inside), F.lit(0))).withColumn("nth", F.count(F.lit(1)).over(inside))
-    return run.join(bases, F.col("bucket").eqNullSafe(F.col("b"))).select("id", "key", "turn", (F.col("byte_base") + F.col("own")).alias("offset"), "length", (F.col("row_base") + F.col("nth")).alias("place"))
+    """id, key, turn, offset, length, place: offsets and places are running sums over range partitions of the ids."""
+    order = [F.col("id").asc_nulls_first(), F.col("key"), F.col("turn")]
+    run = running_sums(recs.select("id", "key", "turn", "length"), order, {"offset": F.col("length"), "place": F.lit(1)})
+    return run.select("id", "key", "turn", "offset", "length", "place")
 
 
 def _joined(children: DataFrame, level: int) -> DataFrame:

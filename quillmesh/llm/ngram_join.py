@@ -15,8 +15,12 @@ when the Jaccard similarity of their sets is at least 0.8.
 5. What is left is verified on the whole sets. A cell returns sums of links and
    a star of each of its components, never the pairs.
 
-Documents without words link with nothing and are a class of their own. A row
-per document comes back: repeated rows too, each counting the others as links.
+Null and empty texts and those without words link with nothing and are a class
+of their own. A row per document comes back: repeated rows too, each counting
+the others as links. Null ids link like others; a class has a null class id
+only if all its ids are null. Very long texts are read whole. Of a class with
+ties for the least id, the text with the least digest stays. An empty table has
+no rows. ``deduplicated`` returns all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +35,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..operators.graphs import components
-from .common import arrow_map, claim, few, small_batches, stored
+from .common import arrow_map, claim, small_batches, stored
 
 GRAM, THRESHOLD = 5, 0.8
 VALUES, ROWS, STEP = 120, 5, 15
@@ -102,8 +107,13 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """By which a row is found again: the hash of its id, of its text where that is null. Rows that share one are told apart by their digests."""
+    return F.when(id_.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(id_))
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, digest of the words (null: none) and signature of every row."""
+    """id, key, digest of the words (null: none) and signature of every row."""
     small_batches(docs.sparkSession)
 
     def make():
@@ -111,16 +121,16 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             digest, sig = [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 w = words(t)
                 digest.append(xxhash.xxh3_128_digest(" ".join(w)) if w else None)
                 sig.append(signature(grams(w)).tobytes() if w else None)
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["id", "digest", "sig"])
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["id", "key", "digest", "sig"])
 
         return one
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(id_col, text_col), make, f"id {kind}, digest binary, sig binary")
+    return arrow_map(docs.select(id_col, row_key(F.col(id_col), F.col(text_col)), text_col), make, f"id {kind}, key bigint, digest binary, sig binary")
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -204,10 +214,10 @@ def prune(cells: DataFrame) -> DataFrame:
             left, right = left[order], right[order]
             lo, hi = np.searchsorted(left, used), np.searchsorted(left, used, "right")
             packed = right.astype("<u4")
-            out = t.select(["band", "bucket", "i", "j", "digest", "rep", "n"]).take(pa.array(used))
+            out = t.select(["band", "bucket", "i", "j", "digest", "key", "n"]).take(pa.array(used))
             yield from out.append_column("slot", pa.array(used.astype(np.int64))).append_column("later", pa.array([packed[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary())).combine_chunks().to_batches()
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema if f.name in ("band", "bucket", "i", "j", "digest", "rep", "n"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema if f.name in ("band", "bucket", "i", "j", "digest", "key", "n"))
     return cells.mapInArrow(run, f"{schema}, slot bigint, later binary")
 
 
@@ -281,57 +291,80 @@ def verify(cells: DataFrame, threshold: float) -> DataFrame:
     return cells.mapInArrow(run, "digest binary, links bigint, root binary")
 
 
-def bit_of(id_: Column) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(FILTER_BITS)) + 1
+def bit_of(key: Column) -> Column:
+    return F.pmod(key, F.lit(FILTER_BITS)) + 1
 
 
-def filter_of(ids: DataFrame) -> DataFrame:
-    """bucket, bits: a bitmap of hashed ids in rows of 4 kB, FILTER_BITS / 32768 rows at most. Ids meet by row first, so that a row is built once, not by every task."""
-    dealt = ids.select(bit_of(F.col("id")).alias("k")).withColumn("__bucket", F.expr("bitmap_bucket_number(k)")).repartition("__bucket")
+def filter_of(keys: DataFrame) -> DataFrame:
+    """bucket, bits: a bitmap of keys, which are hashes, in rows of 4 kB, FILTER_BITS / 32768 rows at most. Keys meet by row first, so that a row is built once, not by every task."""
+    dealt = keys.select(bit_of(F.col("key")).alias("k")).withColumn("__bucket", F.expr("bitmap_bucket_number(k)")).repartition("__bucket")
     return dealt.groupBy("__bucket").agg(F.expr("bitmap_construct_agg(bitmap_bit_position(k))").alias("__bits"))
 
 
-def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows, which have an id, with a boolean maybe: the id may be one of ids (surely not, where false). The bitmap has a proven bound, so it is broadcast."""
-    with_k = rows.withColumn("k", bit_of(F.col("id"))).withColumn("__bucket", F.expr("bitmap_bucket_number(k)")).withColumn("at", F.expr("bitmap_bit_position(k)"))
+def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows, which have a key, with a boolean maybe: the key may be one of keys (surely not, where false). The bitmap has a proven bound, so it is broadcast."""
+    with_k = rows.withColumn("k", bit_of(F.col("key"))).withColumn("__bucket", F.expr("bitmap_bucket_number(k)")).withColumn("at", F.expr("bitmap_bit_position(k)"))
     byte = F.conv(F.hex(F.substring("__bits", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0, F.lit(False))
-    return with_k.join(F.broadcast(filter_of(ids)), "__bucket", "left").select(*rows.columns, hit.alias("maybe"))
+    return with_k.join(F.broadcast(filter_of(keys)), "__bucket", "left").select(*rows.columns, hit.alias("maybe"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (least id of its connected class) and n_links (other documents linked directly) of every row."""
+def classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sketch of every row, and of each node its digest, rep (least id), n, n_links, class_id and whether it is the one its class keeps."""
     seen = stored(sketch(docs, id_col, text_col), "ngram-sketch")
-    nodes = stored(seen.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig")), "ngram-nodes")
+    nodes = stored(seen.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.count("*").alias("n"), F.first("sig").alias("sig")), "ngram-nodes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 2 * ROWS + 1, F.lit(2 * ROWS))))
     banded = nodes.select("digest", F.posexplode(keys).alias("band", "bucket"))
     crowded = banded.groupBy("band", "bucket").agg(F.count("*").alias("m")).where("m > 1")
     members = banded.join(crowded, ["band", "bucket"]).join(nodes, "digest")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = members.withColumn("part", F.pmod(F.xxhash64("digest"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = dealt.select("band", "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "digest", "rep", "n", "sig")
+    cells = dealt.select("band", "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "digest", "key", "n", "sig")
     cell = ["band", "bucket", "i", "j"]
     left = stored(prune(cells.repartition(*cell).sortWithinPartitions(*cell)), "ngram-pruned", small=True)
-    some = marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), left.select(F.col("rep").alias("id")).distinct())
-    texts = some.where("maybe").select(F.col("id").alias("rep"), "text").join(left, "rep")
+    some = marked(docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")), left.select("key").distinct())
+    texts = some.where("maybe").select("key", "text").join(left, "key")
     found = stored(verify(texts.select(*cell, "digest", "n", "slot", "later", "text").repartition(*cell).sortWithinPartitions(*cell), threshold), "ngram-links", small=True)
     roots = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
     linked = nodes.select("digest", "rep", "n").join(found.groupBy("digest").agg(F.sum("links").alias("links")), "digest", "left").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
-    named = linked.select("digest", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "digest").alias("root"))
-    least = named.where("root != digest or n_links > 0").groupBy("root").agg(F.min("rep").alias("class_id"))
-    per = named.join(least, "root", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"), "n_links")
-    return few(seen.select("id", "digest").join(per, "digest", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), 4)
+    named = linked.select("digest", "rep", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "digest").alias("root"))
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest")).alias("first"))
+    per = named.join(least, "root").select("digest", "rep", "n", "n_links", F.col("first.rep").alias("class_id"), (F.col("digest") == F.col("first.digest")).alias("keeper"))
+    return seen, per
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (least id of its connected class) and n_links (other documents linked directly) of every row."""
+    seen, per = classes(docs, threshold, id_col, text_col)
+    worded = seen.where("digest is not null").select("id", "digest").join(per.select("digest", "class_id", "n_links"), "digest")
+    return worded.select(F.col("id").alias("doc_id"), "class_id", "n_links").unionByName(seen.where("digest is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def digested(rows: DataFrame) -> DataFrame:
+    """Adds the digest of their words (null: none) to rows that have a text."""
+    small_batches(rows.sparkSession)
+    at = rows.columns.index("text")
+
+    def make():
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
+            digest = [xxhash.xxh3_128_digest(" ".join(w)) if (w := words(t)) else None for t in b.column(at).to_pylist()]
+            return pa.RecordBatch.from_arrays([*b.columns, pa.array(digest, pa.binary())], [*b.schema.names, "digest"])
+
+        return one
+
+    return arrow_map(rows, make, StructType([*rows.schema, StructField("digest", BinaryType())]))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows, all columns, of one document of each class: that of the least id. Rows that no decision touches are not shuffled."""
-    classes = near_duplicates(docs, threshold, id_col, text_col)
-    fate = stored(classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("class_id")).alias("keep")).where("n > 1 or not keep"), "ngram-fate", small=True)
-    some = marked(docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row")), fate.select(F.col("doc_id").alias("id")))
-    touched = some.where("maybe").join(fate, F.col("id") == F.col("doc_id"), "left")
-    once = touched.where("doc_id is null").select("row")
-    again = touched.where("keep").dropDuplicates(["id"]).select("row")
-    return some.where("not maybe").select("row").unionByName(few(once, 4)).unionByName(few(again, 4)).select("row.*")
+    """Rows, all columns, of one document of each class: that of the least id, any one of rows equal in id and words. Rows that no decision touches are not shuffled."""
+    seen, per = classes(docs, threshold, id_col, text_col)
+    fate = stored(per.where("n > 1 or n_links >= n").select("digest", "rep", "keeper"), "ngram-fate", small=True)
+    keys = seen.where("digest is not null").join(fate.select("digest"), "digest").select("key").distinct()
+    some = marked(docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.struct("*").alias("row")), keys)
+    touched = digested(some.where("maybe").select("id", F.col("row")[text_col].alias("text"), "row")).drop("text").join(fate, "digest", "left")
+    once = touched.where("keeper is null").select("row")
+    again = touched.where(F.col("keeper") & F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["digest"]).select("row")
+    return some.where("not maybe").select("row").unionByName(once).unionByName(again).select("row.*")
 
 
 #: The same by joining every word run to itself; for small tables.
