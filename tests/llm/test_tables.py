@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 
@@ -11,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmesh.llm import flat_graph, merkle, mixing, multi_index, ngram_join, queries
-from quillmesh.llm.common import table
+from quillmesh.llm import flat_graph, hyperlang, merkle, mixing, multi_index, ngram_join, queries, toxicity
+from quillmesh.llm.common import stored, table
 
 
 def same(spark, name, sf):
@@ -310,17 +311,51 @@ def test_links_that_search_misses_are_found_for_every_node():
     assert found_by_search(x, graph) < 4
 
 
-def test_pipeline_stages(spark, odd):
+def test_deduplicated_decides_by_row(spark):
+    """One id with two unrelated texts, copies without ids, near copies of a text whose id is null."""
+    words = [f"word{i}" for i in range(60)]
+    near = " ".join([*words[:59], "other"])
+    rows = [(1, "one text about a thing or two and more"), (1, "quite another text that shares not one run of words"), (None, " ".join(words)), (None, " ".join(words)), (None, near), (5, "no copy of any other row in this small table"), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text) for r in ngram_join.deduplicated(docs).collect())
+    assert [k for k in kept if k[0]] == sorted(r for r in rows if r[0]) and len(kept) == 5 and (0, "") in kept
+    links = sorted((r.doc_id or 0, r.n_links) for r in ngram_join.near_duplicates(docs).collect())
+    assert links == [(0, 0), (0, 2), (0, 2), (0, 2), (1, 0), (1, 0), (5, 0)]
+
+
+def test_pipeline_stages_equal_plain_versions(spark):
+    """Each stage on what its predecessor kept, against a plain version of it."""
     sf = "/root/testdata/sf0.001"
     docs = table(spark, sf, "documents")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns, name
-    got = corpus_pipeline.run(spark, sf)
-    n = {r.doc_id for r in got.collect()}
-    assert n and n <= {r.doc_id for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["language_id", "toxicity", "ngram_jaccard_join", "source_mix", "byte_bpe"]
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+
+    first = stored(stages["language_id"](spark, docs, sf), "t1")
+    found = hyperlang.predict_language(docs, hyperlang.fit_profiles(docs)).collect()
+    assert first.schema == docs.schema and ids(first) == sorted(r.doc_id for r in found if r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_COSINE)
+
+    second = stored(stages["toxicity"](spark, first, sf), "t2")
+    scores = toxicity.score_documents(first, toxicity.fit(first, table(spark, sf, "labels"))).collect()
+    assert second.schema == docs.schema and ids(second) == sorted(r.doc_id for r in scores if r.score < 0.3)
+
+    third = stored(stages["ngram_jaccard_join"](spark, second, sf), "t3")
+    rows = [(r.doc_id, r.text) for r in second.orderBy("doc_id").collect()]
+    pairs = np.array(jaccard(rows)).reshape(-1, 2)
+    root = ngram_join.roots_of(len(rows), pairs[:, 0], pairs[:, 1])
+    assert third.schema == docs.schema and ids(third) == [d for i, (d, _) in enumerate(rows) if root[i] == i] and third.count() < len(rows)
+
+    fourth = stored(stages["source_mix"](spark, third, sf), "t4")
+    con = duckdb.connect()
+    con.register("documents", third.toArrow())
+    copies = {r[0]: r[1] for r in con.sql(f"SELECT doc_id, copies FROM ({mixing.MIX_SQL})").fetchall()}
+    assert fourth.schema == docs.schema and ids(fourth) == sorted(d for d, k in copies.items() for _ in range(k))
+
+    last = stages["byte_bpe"](spark, fourth, sf).collect()
+    text = {r.doc_id: r.text for r in fourth.collect()}
+    assert sorted(r.doc_id for r in last) == ids(fourth)
+    assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in last)
+    assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, sf).collect()) == sorted((r.doc_id, r.ids_sha256) for r in last)
 
 
 def test_pipeline_stages_survive_odd_rows(spark, odd, none):
