@@ -147,19 +147,73 @@ def cochange(commits: DataFrame, now: str, half_life: float = 90.0, least_commit
     return j.where((weight >= least) & (F.col("shared") >= least_commits * 0.5)).select("a", "b", F.round(weight, 6).alias("jaccard"), F.round("shared", 6).alias("support"))
 
 
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, community) by label propagation on weighted undirected edges (a, b, w): the heaviest label around wins, ties to the least, and a node moves only to a lesser label when tied with its own."""
-    near = kept(edges.select("a", "b", "w").union(edges.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("w")), "lpa")
-    label = kept(near.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")), "lpa")
-    for _ in range(rounds):
-        votes = near.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.sum("w").alias("w"))
-        own = label.select("id", "community", F.lit(1e-6).alias("w"))
-        best = votes.unionByName(own).groupBy("id", "community").agg(F.sum("w").alias("w"))
-        new = kept(first_n(best, ["id"], [F.desc("w"), "community"], 1).select("id", "community"), "lpa")
-        if new.join(label.withColumnRenamed("community", "old"), "id").where("community != old").isEmpty():
-            return new
-        label = new
-    return label
+def moved_labels(near: DataFrame, weight: DataFrame, whole: float, resolution: float, rounds: int) -> DataFrame:
+    """(id, community) after rounds of local moves: a node goes to the community around it of the highest modularity gain, ties to the least.
+
+    near has (a, b, w) in both directions without loops, weight (id, k) the degrees, whole their sum. In each round a hash picks the half of the nodes that may move, so that neighbours don't swap places for ever.
+    """
+    label = kept(weight.select("id", "k", F.col("id").alias("community")), "louvain")
+    still = 0
+    for turn in range(rounds):
+        totals = label.groupBy("community").agg(F.sum("k").alias("total"))
+        around = near.join(label.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.sum("w").alias("w"))
+        offers = around.unionByName(label.select("id", "community", F.lit(0.0).alias("w"))).groupBy("id", "community").agg(F.sum("w").alias("w"))
+        rated = offers.join(totals, "community").join(label.select("id", "k", F.col("community").alias("own")), "id")
+        here = F.col("community") == F.col("own")
+        gain = F.col("w") - F.lit(resolution) * F.col("k") * (F.col("total") - F.when(here, F.col("k")).otherwise(0.0)) / whole
+        best = rated.groupBy("id", "own", "k").agg(F.min(F.struct((-F.round(gain, 9)).alias("loss"), (~here).alias("away"), "community")).alias("best"))
+        may = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
+        new = kept(best.select("id", "k", F.when(may, F.col("best.community")).otherwise(F.col("own")).alias("community"), (may & (F.col("best.community") != F.col("own"))).alias("moved")), "louvain")
+        still = still + 1 if new.where("moved").isEmpty() else 0
+        label = new.drop("moved")
+        if still == 3:
+            break
+    return label.select("id", "community")
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, levels: int = 4) -> DataFrame:
+    """(id, community) of high modularity on weighted undirected edges (a, b, w): rounds of local moves, then the same on the graph of communities, level by level.
+
+    A community is named by its least member. Loops, nulls and weights that aren't positive are left out.
+    """
+    fine = edges.where("a is not null and b is not null and a != b and w > 0")
+    near = kept(fine.select("a", "b", "w").union(fine.select("b", "a", "w")).groupBy("a", "b").agg(F.sum(F.col("w").cast("double")).alias("w")), "louvain")
+    whole = near.agg(F.sum("w")).first()[0]
+    found = near.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id"))
+    if not whole:
+        return found
+    weight = near.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k"))
+    found = kept(found, "louvain")
+    for _ in range(levels):
+        label = moved_labels(near, weight, whole, resolution, rounds)
+        step = kept(label, "louvain")
+        if step.where("id != community").isEmpty():
+            break
+        found = kept(found.join(step.select(F.col("id").alias("community"), F.col("community").alias("next")), "community").select("id", F.col("next").alias("community")), "louvain")
+        of = lambda side: step.select(F.col("id").alias(side), F.col("community").alias(f"c{side}"))
+        weight = kept(weight.join(step, "id").groupBy(F.col("community").alias("id")).agg(F.sum("k").alias("k")), "louvain")
+        near = kept(near.join(of("a"), "a").join(of("b"), "b").where("ca != cb").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "louvain")
+    least = found.groupBy("community").agg(F.min("id").alias("name"))
+    return found.join(least, "community").select("id", F.col("name").alias("community"))
+
+
+def modularity(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """One row: the modularity q of a labelling (id, community) on weighted undirected edges (a, b, w)."""
+    ends = edges.join(label.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(label.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
+    inside = ends.agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("all"))
+    total = ends.select(F.col("ca").alias("c"), "w").union(ends.select("cb", "w")).groupBy("c").agg(F.sum("w").alias("t"))
+    return total.agg(F.sum(F.col("t") * F.col("t")).alias("squares")).join(inside).select((F.col("inside") / F.col("all") - F.col("squares") / (4 * F.col("all") * F.col("all"))).alias("q"))
+
+
+def tag_clusters(entries: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
+    """(id, tag, cluster) of entries (id, tag): each tag's entries split by edges (a, b) between them; parts under least, and entries without a tag, are uncategorized."""
+    tags = entries.select("id", F.coalesce("tag", F.lit("uncategorized")).alias("tag"))
+    inside = edges.join(tags.select(F.col("id").alias("a"), F.col("tag").alias("ta")), "a").join(tags.select(F.col("id").alias("b"), F.col("tag").alias("tb")), "b").where("ta = tb")
+    roots = components(inside.select("a", "b"))
+    rows = tags.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    size = rows.groupBy("tag", "root").agg(F.count("*").alias("n"))
+    large = (F.col("n") >= least) & (F.col("tag") != "uncategorized")
+    return rows.join(size, ["tag", "root"]).select("id", F.when(large, F.col("tag")).otherwise("uncategorized").alias("tag"), F.when(large, F.col("root")).alias("cluster"))
 
 
 def clusters(concepts: DataFrame, pairs: DataFrame) -> DataFrame:

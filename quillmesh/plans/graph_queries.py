@@ -12,33 +12,80 @@ from .registry import query
 
 IMPORTS = "i AS (SELECT DISTINCT source AS a, target AS b FROM edges WHERE kind = 'imports' AND target NOT LIKE 'ext:%' AND source <> target)"
 imports = lambda c: c.edges.where("kind = 'imports' AND target NOT LIKE 'ext:%'").select(F.col("source").alias("a"), F.col("target").alias("b"))
-#: A small directed graph with cycles of two and three, a tail and a diamond, repeated for each nation.
-RINGS = "k AS (SELECT n_nationkey AS n FROM nation), g AS (SELECT n || '-' || x AS a, n || '-' || y AS b FROM k, (VALUES ('1', '2'), ('2', '3'), ('3', '1'), ('3', '4'), ('4', '5'), ('5', '6'), ('6', '5'), ('6', '7'), ('8', '1'), ('8', '7')) v(x, y))"
+#: Strong components of the import graph, in which suppliers import parts and parts suppliers: those of the suppliers first, by all ways over one part, then the parts between them.
+SCC = f"""WITH RECURSIVE {IMPORTS},
+    o AS (SELECT DISTINCT x.a, y.b FROM i x JOIN i y ON y.a = x.b WHERE x.a LIKE 'file:supplier/%'),
+    r AS (SELECT a, b FROM o UNION SELECT r.a, o.b FROM r JOIN o ON r.b = o.a),
+    m AS (SELECT x.a, x.b FROM r x JOIN r y ON y.a = x.b AND y.b = x.a),
+    n AS (SELECT a, min(b) AS c FROM m GROUP BY a),
+    t AS (SELECT a AS node, c FROM n UNION SELECT x.b, n.c FROM n JOIN i x ON x.a = n.a JOIN i y ON y.a = x.b JOIN n z ON z.a = y.b AND z.c = n.c),
+    s AS (SELECT node, min(node) OVER (PARTITION BY c) AS root FROM t)"""
+JOINED = f"""WITH RECURSIVE {IMPORTS},
+    u AS (SELECT a AS s, b AS p FROM i WHERE a LIKE 'file:supplier/%' UNION SELECT b, a FROM i WHERE b LIKE 'file:supplier/%'),
+    o AS (SELECT DISTINCT x.s AS a, y.s AS b FROM u x JOIN u y USING (p)),
+    r AS (SELECT a, b FROM o UNION SELECT r.a, o.b FROM r JOIN o ON r.b = o.a),
+    n AS (SELECT a, min(b) AS c FROM r GROUP BY a),
+    t AS (SELECT a AS node, c FROM n UNION SELECT p, c FROM u JOIN n ON n.a = u.s)"""
+#: What depends on what without cycles: suppliers on the parts they import, parts on their symbols.
+LAYERED = "kind = 'contains' OR (kind = 'imports' AND origin = 'static')"
 
-
-def rings(c):
-    pairs = c.spark.createDataFrame([("1", "2"), ("2", "3"), ("3", "1"), ("3", "4"), ("4", "5"), ("5", "6"), ("6", "5"), ("6", "7"), ("8", "1"), ("8", "7")], "x string, y string")
-    base = c.nation.select("n_nationkey", F.explode(F.array(*(F.lit(i) for i in range(10)))).alias("i"))
-    numbered = pairs.selectExpr("x", "y", "row_number() OVER (ORDER BY x, y) - 1 AS i")
-    joined = base.join(numbered, "i")
-    return joined.select(F.concat_ws("-", F.col("n_nationkey").cast("string"), "x").alias("a"), F.concat_ws("-", F.col("n_nationkey").cast("string"), "y").alias("b"))
-
-
-SCC = "WITH RECURSIVE " + RINGS + ", r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a), s AS (SELECT x.a AS node, least(min(x.b), x.a) AS root FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a)"
 query("gr_impact", lambda c: op.impact(c.edges.select("source", "target"), c.nodes.where("file_path LIKE 'supplier/%'").orderBy("id").limit(1).select("id"), 2),
       "WITH s AS (SELECT min(id) AS id FROM nodes WHERE file_path LIKE 'supplier/%'), h1 AS (SELECT DISTINCT source AS id FROM edges WHERE target IN (SELECT id FROM s) AND source NOT IN (SELECT id FROM s)), h2 AS (SELECT DISTINCT source AS id FROM edges WHERE target IN (SELECT id FROM h1)) SELECT id, 1 AS distance FROM h1 UNION ALL SELECT id, 2 FROM h2 WHERE id NOT IN (SELECT id FROM h1) AND id NOT IN (SELECT id FROM s)")
-query("gr_scc", lambda c: op.strong_components(rings(c)), f"{SCC} SELECT node, root FROM s")
-query("gr_cycles", lambda c: op.strong_components(rings(c)).groupBy("root").agg(F.count("*").alias("size")).withColumn("severity", F.when(F.col("size") >= 6, "high").when(F.col("size") >= 3, "moderate").otherwise("low")), f"{SCC} SELECT root, count(*) AS size, CASE WHEN count(*) >= 6 THEN 'high' WHEN count(*) >= 3 THEN 'moderate' ELSE 'low' END AS severity FROM s GROUP BY root")
-query("gr_cycles_file", lambda c: rings(c).select("a").distinct().join(op.strong_components(rings(c)).select(F.col("node").alias("a"), F.lit(True).alias("hit")), "a", "left").select("a", F.coalesce("hit", F.lit(False)).alias("in_cycle")), f"{SCC} SELECT DISTINCT a, a IN (SELECT node FROM s) AS in_cycle FROM g")
-query("gr_cycles_struct", lambda c: op.strong_components(rings(c)).groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("members")), f"{SCC} SELECT root, string_agg(node, ',' ORDER BY node) AS members FROM s GROUP BY root")
-query("gr_union_find", lambda c: op.components(rings(c).where("a NOT LIKE '%-8'")), "WITH RECURSIVE " + RINGS + ", e AS (SELECT a, b FROM g WHERE a NOT LIKE '%-8' UNION SELECT b, a FROM g WHERE a NOT LIKE '%-8'), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, min(b) AS root FROM r GROUP BY a")
+query("gr_scc", lambda c: op.strong_components(imports(c)), f"{SCC} SELECT node, root FROM s")
+query(
+    "gr_cycles",
+    lambda c: op.strong_components(imports(c)).groupBy("root").agg(F.count("*").alias("size"))
+    .withColumn("severity", F.when(F.col("size") >= 6, "high").when(F.col("size") >= 3, "moderate").otherwise("low")),
+    f"{SCC} SELECT root, count(*) AS size, CASE WHEN count(*) >= 6 THEN 'high' WHEN count(*) >= 3 THEN 'moderate' ELSE 'low' END AS severity FROM s GROUP BY root",
+)
+query(
+    "gr_cycles_file",
+    lambda c: c.nodes.where("kind = 'file'").select("id").join(op.strong_components(imports(c)).select(F.col("node").alias("id"), F.lit(True).alias("hit")), "id", "left")
+    .select("id", F.coalesce("hit", F.lit(False)).alias("in_cycle")),
+    f"{SCC} SELECT id, id IN (SELECT node FROM s) AS in_cycle FROM nodes WHERE kind = 'file'",
+)
+query(
+    "gr_cycles_struct",
+    lambda c: op.strong_components(imports(c)).groupBy("root").agg(F.md5(F.array_join(F.array_sort(F.collect_set("node")), ",")).alias("members"), F.count("*").alias("size")),
+    f"{SCC} SELECT root, md5(string_agg(node, ',' ORDER BY node)) AS members, count(*) AS size FROM s GROUP BY root",
+)
+query("gr_union_find", lambda c: op.components(imports(c)), f"{JOINED} SELECT node, min(node) OVER (PARTITION BY c) AS root FROM t")
 PAIRS = "p AS (SELECT x.id AS a, y.id AS b FROM concepts x JOIN concepts y ON x.a1 = y.a1 AND x.kind = y.kind AND x.id < y.id)"
 pairs = lambda c: c.concepts.select(F.col("id").alias("a"), "a1", "kind").join(c.concepts.select(F.col("id").alias("b"), "a1", "kind"), ["a1", "kind"]).where("a < b")
 query("gr_clusters", lambda c: op.clusters(c.concepts.select("id", "confidence"), pairs(c)), f"WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT a AS id, min(b) AS root FROM r GROUP BY a), f AS (SELECT id, first_value(id) OVER (PARTITION BY root ORDER BY confidence DESC, id) AS representative, count(*) OVER (PARTITION BY root) AS size FROM m JOIN concepts USING (id)) SELECT id, representative, size FROM f")
-query("gr_components_tag", lambda c: c.concepts.select("id", F.coalesce("kind", F.lit("uncategorized")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n >= 2"), "SELECT kind AS tag, count(*) AS n, min(id) AS first FROM concepts GROUP BY 1 HAVING count(*) >= 2")
-query("gr_louvain", lambda c: op.communities(c.spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("d", "e", 1.0), ("e", "f", 1.0), ("d", "f", 1.0), ("c", "d", 0.1)], "a string, b string, w double")), "SELECT * FROM (VALUES ('a', 'a'), ('b', 'a'), ('c', 'a'), ('d', 'd'), ('e', 'd'), ('f', 'd')) v(id, community)")
-query("gr_topo", lambda c: op.tiers(rings(c).select(F.col("a").alias("id")).union(rings(c).select("b")), rings(c).where("b NOT LIKE '%-5' OR a NOT LIKE '%-6'").where("a NOT LIKE '%-3' OR b NOT LIKE '%-1'")).select("id", "tier"), "WITH " + RINGS + " SELECT n || '-' || x AS id, t AS tier FROM k, (VALUES ('7', 0), ('6', 1), ('5', 2), ('4', 3), ('3', 4), ('2', 5), ('1', 6), ('8', 7)) v(x, t)")
-query("gr_decay_bfs", lambda c: op.decay(rings(c).select(F.col("a").alias("source"), F.col("b").alias("target")), rings(c).select(F.col("a").alias("id")).union(rings(c).select("b")).distinct().withColumn("score", F.lit(0.8)), c.nation.select(F.concat(F.col("n_nationkey").cast("string"), F.lit("-1")).alias("id")), 2), "WITH " + RINGS + " SELECT n || '-' || x AS id, s AS score FROM k, (VALUES ('1', 0.0::DOUBLE), ('2', 0.76::DOUBLE), ('3', 0.76::DOUBLE), ('8', 0.76::DOUBLE), ('4', 0.76::DOUBLE), ('7', 0.76::DOUBLE)) v(x, s)")
+SHARED = "e AS (SELECT x.id AS a, y.id AS b FROM concepts x JOIN concepts y ON x.a1 = y.a1 AND x.kind = y.kind AND x.id <> y.id UNION SELECT x.id, y.id FROM concepts x JOIN concepts y ON x.a2 = y.a2 AND x.kind = y.kind AND x.id <> y.id)"
+
+
+def shared(c):
+    """Pairs of concepts of one kind that share an anchor."""
+    rows = c.concepts.select("id", "kind", F.explode(F.array("a1", "a2")).alias("anchor"))
+    return rows.withColumnRenamed("id", "a").join(rows.withColumnRenamed("id", "b"), ["kind", "anchor"]).where("a < b").select("a", "b").distinct()
+
+
+query(
+    "gr_components_tag",
+    lambda c: op.tag_clusters(c.concepts.select("id", F.col("kind").alias("tag")), shared(c)),
+    f"""WITH RECURSIVE {SHARED}, r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    k AS (SELECT id, kind, least(id, coalesce((SELECT min(b) FROM r WHERE a = id), id)) AS root FROM concepts),
+    n AS (SELECT *, count(*) OVER (PARTITION BY kind, root) AS n FROM k)
+    SELECT id, CASE WHEN n >= 2 THEN kind ELSE 'uncategorized' END AS tag, CASE WHEN n >= 2 THEN root END AS cluster FROM n""",
+)
+query("gr_louvain", lambda c: op.communities(c.edges.where("origin IN ('static', 'inferred')").select(F.col("source").alias("a"), F.col("target").alias("b"), (F.col("weight") * F.col("confidence")).alias("w"))))
+query(
+    "gr_topo",
+    lambda c: op.tiers(c.nodes.select("id"), c.edges.where(LAYERED).select(F.col("source").alias("a"), F.col("target").alias("b"))),
+    f"""WITH e AS (SELECT source, target FROM edges WHERE {LAYERED}), s AS (SELECT DISTINCT source FROM e WHERE target LIKE 'sym:%'),
+    t AS (SELECT id, CASE WHEN id IN (SELECT source FROM s) THEN 1 ELSE 0 END AS tier FROM nodes WHERE id NOT LIKE 'file:supplier/%')
+    SELECT id, tier FROM t UNION ALL SELECT id, coalesce((SELECT max(t.tier) + 1 FROM e JOIN t ON t.id = e.target WHERE e.source = n.id), 0) AS tier FROM nodes n WHERE id LIKE 'file:supplier/%'""",
+)
+query(
+    "gr_decay_bfs",
+    lambda c: op.decay(c.edges, c.nodes.select("id", F.lit(0.8).alias("score")), c.nodes.where("kind = 'symbol' AND file_path LIKE 'part/Brand1%'").select("id"), 2),
+    """WITH e AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), k AS (SELECT a, b FROM e WHERE a IN (SELECT id FROM nodes) AND b IN (SELECT id FROM nodes)),
+    h0 AS (SELECT id FROM nodes WHERE kind = 'symbol' AND file_path LIKE 'part/Brand1%'), h1 AS (SELECT DISTINCT b AS id FROM k WHERE a IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h0)),
+    h2 AS (SELECT DISTINCT b AS id FROM k WHERE a IN (SELECT id FROM h1) AND b NOT IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h1))
+    SELECT id, 0.0::DOUBLE AS score FROM h0 UNION ALL SELECT id, 0.76::DOUBLE FROM h1 UNION ALL SELECT id, 0.76::DOUBLE FROM h2""",
+)
 query("gr_proximity", lambda c: op.proximity(c.files.select(F.concat(paths.directory(F.col("path")), F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string")).alias("folder"), "path"), c.files.where("doc_id < 0").select(F.col("path").alias("a"), F.col("path").alias("b"))), "WITH d AS (SELECT regexp_replace(path, '/[^/]*$', '') || '/' || (doc_id // 100)::VARCHAR AS folder, path FROM files), f AS (SELECT *, count(*) OVER (PARTITION BY folder) AS n FROM d) SELECT x.path AS a, y.path AS b, round(greatest(0.3::DOUBLE, 0.7::DOUBLE - 0.04::DOUBLE * x.n), 6) AS confidence FROM f x JOIN f y ON x.folder = y.folder AND x.path < y.path WHERE x.n BETWEEN 2 AND 20")
 query("gr_cochange", lambda c: op.cochange(c.commits.groupBy(F.floor(F.col("commit_id") / 8).alias("commit_id"), "path").agg(F.min("ts").alias("ts")), "1998-09-01", 2000.0, 1, 0.1), """WITH r AS (SELECT commit_id // 8 AS k, path, min(ts) AS ts FROM commits GROUP BY 1, 2), z AS (SELECT k FROM r GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30),
       w AS (SELECT r.k, path, exp(-ln(2.0::DOUBLE) * date_diff('day', ts::DATE, DATE '1998-09-01') / 2000.0::DOUBLE) AS w FROM r JOIN z ON z.k = r.k), t AS (SELECT path, sum(w) AS t FROM w GROUP BY 1),

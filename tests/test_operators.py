@@ -291,3 +291,34 @@ def test_update_flow_keeps_keys_of_earlier_batches(spark, tmp_path):
     read = spark.readStream.schema("k string, ts timestamp, x long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {r.k: (r.opened - 1_704_067_200_000_000, r.total) for r in flows.drain(flows.budgets(read, "k", "x", day), "update", ["k"]).collect()}
     assert got == {"a": (0, 3), "b": (3 * day * 1_000_000, 48), "c": (3 * day * 1_000_000, 64)}
+
+
+def brute_modularity(edges, label):
+    whole = sum(w for _, _, w in edges)
+    inside = sum(w for a, b, w in edges if label[a] == label[b])
+    total = {}
+    for a, b, w in edges:
+        total[label[a]] = total.get(label[a], 0) + w
+        total[label[b]] = total.get(label[b], 0) + w
+    return inside / whole - sum(t * t for t in total.values()) / (4 * whole * whole)
+
+
+def test_communities_of_triangles_and_of_planted_groups(spark):
+    two = [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("d", "e", 1.0), ("e", "f", 1.0), ("d", "f", 1.0), ("c", "d", 0.1), ("a", "a", 9.0)]
+    got = {r.id: r.community for r in graphs.communities(rows(spark, two, "a string, b string, w double")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "d"}
+    r = np.random.default_rng(4)
+    edges = [(f"n{i:02}", f"n{j:02}", 1.0) for i in range(60) for j in range(i) if r.random() < (0.5 if i % 4 == j % 4 else 0.03)]
+    df = rows(spark, edges, "a string, b string, w double")
+    label = graphs.communities(df)
+    got = {x.id: x.community for x in label.collect()}
+    planted = {n: int(n[1:]) % 4 for n in got}
+    q = brute_modularity(edges, got)
+    assert q >= 0.97 * brute_modularity(edges, planted) and abs(graphs.modularity(df, label).first().q - q) < 1e-9
+
+
+def test_tag_clusters_split_by_edges(spark):
+    entries = rows(spark, [(1, "t"), (2, "t"), (3, "t"), (4, "u"), (5, None), (6, "t")], "id int, tag string")
+    edges = rows(spark, [(1, 2), (3, 4), (6, 3)], "a int, b int")
+    got = {r.id: (r.tag, r.cluster) for r in graphs.tag_clusters(entries, edges).collect()}
+    assert got == {1: ("t", 1), 2: ("t", 1), 3: ("t", 3), 6: ("t", 3), 4: ("uncategorized", None), 5: ("uncategorized", None)}
