@@ -52,6 +52,8 @@ OPENINGS = {
     "compare": r"compare|difference between",
     "discover": r"what'?s in|overview of|list all|contents of",
 }
+# Fixed value: the endings by which a word of a question is a file.
+SUFFIX = r"\.(?:py|ts|tsx|js|jsx|rs|go|java|kt|rb|c|cpp|h|hpp|cs|swift|scala|sh|yaml|yml|toml|json|md)"
 # Words that no search is about.
 QUERY_STOP = "the how does what where when why which this that with from for and not but can will just about into file files code function class method work works look explain show find get use uses handle handles module modules".split()
 
@@ -129,6 +131,21 @@ def query_symbols(q: Column) -> Column:
     return F.concat(camel, snake)
 
 
+def query_signals(q: Column) -> Column:
+    """paths, names, symbols and keywords of a question; what is a path, a name or a symbol is no keyword."""
+    found = F.regexp_extract_all(q, F.lit(rf"(?:^|\s)((?:[\w.@-]+/)+[\w.-]+{SUFFIX})(?:\s|$)"), F.lit(1))
+    bare = F.regexp_extract_all(q, F.lit(rf"(?:^|\s)([\w.-]+{SUFFIX})(?:\s|$)"), F.lit(1))
+    names = F.filter(bare, lambda n: ~F.exists(found, lambda p: F.endswith(p, n)))
+    files = F.concat(found, names)
+    parts = F.flatten(F.transform(files, lambda p: F.split(p, "[/.]")))
+    symbols = F.filter(query_symbols(q), lambda x: ~F.array_contains(parts, x))
+    humps = F.flatten(F.transform(symbols, lambda x: F.split(F.trim(F.lower(F.regexp_replace(x, "([A-Z])", " $1"))), r"\s+")))
+    pieces = F.flatten(F.transform(symbols, lambda x: F.split(F.lower(x), "_")))
+    captured = F.concat(F.flatten(F.transform(files, lambda p: F.split(p, "[/._-]"))), humps, pieces)
+    keywords = F.filter(query_keywords(q), lambda w: ~F.array_contains(captured, w))
+    return F.struct(found.alias("paths"), names.alias("names"), symbols.alias("symbols"), keywords.alias("keywords"))
+
+
 def query_keywords(q: Column) -> Column:
     found = F.array_distinct(F.transform(F.regexp_extract_all(q, F.lit(r"([A-Za-z]{3,})"), F.lit(1)), F.lower))
     return F.filter(found, lambda w: ~w.isin(QUERY_STOP))
@@ -157,6 +174,18 @@ def hits(text: Column, patterns: dict[str, str]) -> Column:
     return F.filter(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in patterns.items())), lambda x: x.isNotNull())
 
 
+def warnings(text: Column, patterns: dict[str, str], around: int = 20) -> Column:
+    """(name, context) of each pattern found: its first match with so many characters on both sides."""
+
+    def one(name: str, pattern: str) -> Column:
+        at = F.regexp_instr(text, F.lit(pattern)) - 1
+        start = F.greatest(at - around, F.lit(0))
+        context = F.substring(text, start + 1, at + F.length(F.regexp_extract(text, pattern, 0)) + around - start)
+        return F.when(text.rlike(pattern), F.struct(F.lit(name).alias("name"), context.alias("context")))
+
+    return F.filter(F.array(*(one(n, p) for n, p in patterns.items())), lambda x: x.isNotNull())
+
+
 def redacted(text: Column, patterns: list[str]) -> Column:
     for p in patterns:
         text = F.regexp_replace(text, p, "[REDACTED]")
@@ -233,3 +262,17 @@ def stem_code(path: Column) -> Column:
     parts = F.filter(F.split(name, r"[_\-]"), lambda x: x != "")
     initials = F.upper(F.array_join(F.transform(F.slice(parts, 1, 3), lambda x: F.substring(x, 1, 1)), ""))
     return F.when(F.size(parts) >= 3, initials).otherwise(F.rpad(F.upper(F.substring(name, 1, 3)), 3, "X"))
+
+
+def fires(kind: str, hit: Column, text: Column, dependents: Column, pattern: str = "", most: int = 0) -> Column:
+    """Whether a rule's trigger fires for a changed file; hit tells whether the file is one that the rule is about."""
+    if kind in ("file_modified", "file_created"):
+        return hit
+    if kind == "import_added":
+        lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+        return hit & F.exists(lines, lambda x: x.rlike("^(?:import|from) ") & x.rlike(pattern)) & F.lit(bool(pattern))
+    if kind == "pattern_match":
+        return hit & text.rlike(pattern) & F.lit(bool(pattern))
+    if kind == "coupling_threshold":
+        return hit & (dependents > most) & F.lit(most > 0)
+    return F.lit(False)

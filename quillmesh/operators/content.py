@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.scratch import kept
+from .rank import numbered
 from ..functions import vectors as vf
 
 # Tags by name ending, and by folder.
@@ -55,18 +57,27 @@ def mentions(docs: DataFrame, known: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(found).alias("path")).join(known, "path", "left_semi").select("doc_id", "path")
 
 
-def mention_windows(docs: DataFrame, needle: str, around: int) -> DataFrame:
-    """The lines around the first that holds the needle: sliced from the row's own array, no join."""
+def mention_windows(docs: DataFrame, needle: str | Column, around: int, most: int = 500, by_section: bool = False) -> DataFrame:
+    """The lines around the first that holds the needle, at most so many characters: sliced from the row's own array, no join. by_section: not beyond the heading above and the next one."""
     lines = F.split("text", "\n")
-    at = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(F.contains(x, F.lit(needle)), i)), lambda x: x.isNotNull()))
-    part = F.slice(lines, F.greatest(at - around, F.lit(0)) + 1, at + around + 1 - F.greatest(at - around, F.lit(0)))
-    return docs.withColumn("excerpt", F.array_join(part, "\n")).where("excerpt IS NOT NULL").select("doc_id", "excerpt")
+    needle = F.lit(needle) if isinstance(needle, str) else needle
+    at = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(F.contains(x, needle), i)), lambda x: x.isNotNull()))
+    some = docs.withColumn("__at", at).where("__at IS NOT NULL")
+    heads = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike("^#{1,6} "), i)), lambda x: x.isNotNull())
+    low, high = F.lit(0), F.size(lines) - 1
+    if by_section:
+        low = F.coalesce(F.array_max(F.filter(heads, lambda i: i <= F.col("__at"))), low)
+        high = F.coalesce(F.array_min(F.filter(heads, lambda i: i > F.col("__at"))) - 1, high)
+    start, end = F.greatest(F.col("__at") - around, low), F.least(F.col("__at") + around, high)
+    return some.select("doc_id", F.substring(F.array_join(F.slice(lines, start + 1, end - start + 1), "\n"), 1, most).alias("excerpt"))
 
 
 def symbol_codes(files: DataFrame) -> DataFrame:
-    """A short code for each path; those that share one are numbered in path order."""
-    coded = files.withColumn("base", tx.stem_code(F.col("path"))).withColumn("__r", F.row_number().over(W.partitionBy("base").orderBy("path")))
-    return coded.select("path", F.concat("base", F.when(F.col("__r") > 1, F.col("__r").cast("string")).otherwise("")).alias("code"))
+    """A short code for each path; those that share one are numbered in path order, which no task sorts whole."""
+    placed = kept(numbered(files.select("path").distinct().withColumn("base", tx.stem_code(F.col("path"))), [F.col("base"), F.col("path")]), "codes")
+    first = placed.groupBy("base").agg(F.min("place").alias("first"))
+    turn = F.col("place") - F.col("first") + 1
+    return placed.join(first, "base").select("path", F.concat("base", F.when(turn > 1, turn.cast("string")).otherwise("")).alias("code"))
 
 
 def compressed(docs: DataFrame, files: DataFrame) -> DataFrame:
@@ -314,3 +325,10 @@ def sarif_findings(results: DataFrame) -> DataFrame:
     kind = "array<struct<ruleId:string,level:string,locations:array<struct<uri:string,line:int>>>>"
     one = results.select("id", F.explode(F.from_json("results", kind)).alias("r")).select("id", "r.ruleId", "r.level", F.explode("r.locations").alias("l"))
     return one.select("id", F.col("ruleId").alias("rule"), "level", F.regexp_replace("l.uri", "^file:///", "").alias("file_path"), F.col("l.line").alias("line"))
+
+
+def enriched_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings with their file's module, degree and the risk that the degree means; files has file_path, module, degree."""
+    degree = F.coalesce("degree", F.lit(0))
+    risk = F.when(degree >= 20, "critical").when(degree >= 10, "high").otherwise("normal")
+    return findings.join(files, "file_path", "left").select("id", "rule", "file_path", "module", degree.alias("degree"), risk.alias("risk"))

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..sources.scratch import kept
+from .rank import numbered
 
 
 def first_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
@@ -85,21 +87,34 @@ def tested_sources(files: DataFrame) -> DataFrame:
     return tests.join(sources, "stem").select("test", "source")
 
 
-def jaccard_pairs(sets: DataFrame, least: float, strict: bool = False) -> DataFrame:
-    """a, b, jaccard of pairs of rows (id, tokens) by prefix filtering.
+def jaccard_pairs(sets: DataFrame, least: float, strict: bool = False, apart: str | None = None, most: int | None = None) -> DataFrame:
+    """a, b, jaccard of pairs of rows (id, tokens) by prefix filtering; apart: a column in which both must differ; most: that many of the surest pairs only.
 
-    Tokens are ordered rarest first; a pair at the threshold shares one of the first size - ceil(least * size) + 1, so only those are joined.
+    Equal sets are one, compared once. Tokens are numbered rarest first, so a set is a sorted array of integers. A pair at the
+    threshold shares one of its first size - ceil(least * size) + 1 tokens, its sizes differ by the threshold at most, and behind
+    the shared token enough tokens are left; only such pairs are compared whole.
     """
     one = sets.select("id", F.explode(F.array_distinct("tokens")).alias("t"))
-    rare = one.groupBy("t").agg(F.count("*").alias("df"))
-    ordered = one.join(rare, "t").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("tokens"))
-    keep = F.size("tokens") - F.ceil(F.size("tokens") * least).cast("int") + 1
-    heads = ordered.select("id", F.explode(F.slice("tokens", F.lit(1), keep)).alias("t"))
-    pairs = heads.select(F.col("id").alias("a"), "t").join(heads.select(F.col("id").alias("b"), "t"), "t").where("a < b").select("a", "b").distinct()
-    both = pairs.join(ordered.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(ordered.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+    number = numbered(one.groupBy("t").agg(F.count("*").alias("df")), [F.col("df"), F.col("t")], "r").select("t", "r")
+    rows = one.join(number, "t").groupBy("id").agg(F.sort_array(F.collect_list("r")).alias("x"))
+    rows = kept(rows.withColumn("set", F.md5(F.array_join("x", ",").cast("binary"))), "jaccard")
+    distinct = kept(rows.groupBy("set").agg(F.first("x").alias("x")).withColumn("n", F.size("x")), "jaccard")
+    heads = distinct.select("set", "n", F.posexplode(F.slice("x", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("at", "r"))
+    left, right = (heads.select("r", F.col("set").alias(k), F.col("n").alias(f"n{k}"), F.col("at").alias(f"p{k}")) for k in "uv")
+    need = F.ceil((F.col("nu") + F.col("nv")) * (least / (1 + least)) - 1e-9)
+    bound = F.least("pu", "pv") + F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv"))
+    fits = (F.col("u") < F.col("v")) & (F.least("nu", "nv") >= F.greatest("nu", "nv") * least - 1e-9) & (bound >= need)
+    pairs = left.join(right, "r").where(fits).select("u", "v").distinct()
+    both = pairs.join(distinct.select(F.col("set").alias("u"), "x"), "u").join(distinct.select(F.col("set").alias("v"), F.col("x").alias("y")), "v")
     shared = F.size(F.array_intersect("x", "y"))
-    out = both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("jaccard"))
-    return out.where(F.col("jaccard") > least) if strict else out.where(F.col("jaccard") >= least)
+    found = both.select("u", "v", (shared / (F.size("x") + F.size("y") - shared)).alias("jaccard")).where(F.col("jaccard") > least if strict else F.col("jaccard") >= least)
+    same = rows.groupBy("set").agg(F.count("*").alias("m")).where("m > 1").select(F.col("set").alias("u"), F.col("set").alias("v"), F.lit(1.0).alias("jaccard"))
+    found = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"), "jaccard")).unionByName(same.where(F.lit(not strict or least < 1)))
+    member = rows.select("id", "set") if apart is None else rows.select("id", "set").join(sets.select("id", F.col(apart).alias("side")), "id")
+    ends = [member.select(F.col("id").alias(k), F.col("set").alias(s), *([F.col("side").alias(f"side_{k}")] if apart else [])) for k, s in (("a", "u"), ("b", "v"))]
+    out = found.join(ends[0], "u").join(ends[1], "v").where("a < b")
+    out = (out.where("side_a != side_b") if apart else out).select("a", "b", "jaccard")
+    return out.orderBy(F.desc("jaccard"), "a", "b").limit(most) if most else out
 
 
 def anchor_pairs(anchors: DataFrame, titles: DataFrame, least_shared: int = 2, title_jaccard: float = 0.6, hub: int | None = None) -> DataFrame:

@@ -69,13 +69,23 @@ def label():
 
 LABEL = "CASE WHEN category IN ('quality', 'debt') THEN 'Code Quality' ELSE upper(substr(category, 1, 1)) || substr(category, 2) END"
 query("agg_consolidate_cat", lambda c: op.consolidated(c.items, label()), f"WITH k AS (SELECT *, {LABEL} AS label FROM items), {GROUPED}")
-query("agg_consolidate_file", lambda c: op.by_root_file(c.items.where("id % 29 < 2")), f"WITH k AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY file_path) >= 2 THEN 'Improve: ' || replace(file_path, 'part/', '') ELSE category END AS label FROM items WHERE id % 29 < 2), {GROUPED}")
+query(
+    "agg_consolidate_file",
+    lambda c: op.by_root_file(c.items),
+    f"WITH k AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY file_path) >= 2 THEN 'Improve: ' || replace(file_path, 'part/', '') ELSE category END AS label FROM items), {GROUPED}",
+)
 query("agg_consolidate_sev", lambda c: op.consolidated(c.items, F.when(F.col("priority").isin("P0", "P1"), F.concat(F.lit("item-"), F.col("id").cast("string"))).otherwise(label())), f"WITH k AS (SELECT *, CASE WHEN priority IN ('P0', 'P1') THEN 'item-' || id::VARCHAR ELSE {LABEL} END AS label FROM items), {GROUPED}")
 query("agg_score_calibration", lambda c: op.node_scores(c.nodes.where("kind = 'file'").select("id", (F.col("size") % 1000 / 1000.0).alias("confidence"), (F.col("size") % 3 == 0).alias("validated"), (F.col("size") % 7).alias("refs")), c.edges, c.nodes.where("kind = 'file' AND size % 4000 = 0").select("id", (F.col("size") / 2000 % 5).cast("int").alias("depth"))),
       """WITH b AS (SELECT source AS s, target AS t FROM edges UNION SELECT target, source FROM edges), e AS (SELECT id, ((size / 2000) % 5)::INT AS depth FROM nodes WHERE kind = 'file' AND size % 4000 = 0),
       c3 AS (SELECT s AS id, count(e.id) / count(*)::DOUBLE AS c3 FROM b LEFT JOIN e ON e.id = b.t WHERE t LIKE 'file:%' GROUP BY 1)
       SELECT n.id, round(0.2353::DOUBLE * coalesce((size % 1000) / 1000.0::DOUBLE, 0) + 0.1765::DOUBLE * CASE WHEN depth IS NOT NULL THEN 1.0::DOUBLE WHEN size % 3 = 0 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END + 0.2353::DOUBLE * coalesce(c3, 0.5::DOUBLE) + 0.1765::DOUBLE * least(1.0::DOUBLE, (size % 7) / 4.0::DOUBLE) + 0.1764::DOUBLE * CASE WHEN depth IS NULL THEN 0.0::DOUBLE WHEN depth >= 4 THEN 1.0::DOUBLE WHEN depth >= 3 THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END, 3) AS composite FROM nodes n LEFT JOIN c3 USING (id) LEFT JOIN e USING (id) WHERE kind = 'file'""")
-query("agg_convergence", lambda c: op.convergence(c.concepts.where("id % 4 != 0").select("id", (F.col("confidence") * 0.9).alias("score")), c.concepts.select("id", F.col("confidence").alias("score")), 0.6), "SELECT round(avg((confidence >= 0.6)::INT), 6) AS settled_ratio, round(avg(confidence::DOUBLE), 6) AS mean, round(max(CASE WHEN id % 4 <> 0 THEN abs(confidence::DOUBLE - confidence::DOUBLE * 0.9::DOUBLE) ELSE confidence::DOUBLE END), 6) AS max_residual FROM concepts")
+query(
+    "agg_convergence",
+    lambda c: op.convergence(
+        c.concepts.where("status = 'active'").select("id", (F.col("confidence") * 0.9).alias("score")), c.concepts.select("id", F.col("confidence").alias("score")), 0.6),
+    """SELECT round(avg((confidence >= 0.6)::INT), 6) AS settled_ratio, round(avg(confidence::DOUBLE), 6) AS mean,
+    round(max(CASE WHEN status = 'active' THEN abs(confidence::DOUBLE - confidence::DOUBLE * 0.9::DOUBLE) ELSE confidence::DOUBLE END), 6) AS max_residual FROM concepts""",
+)
 query("agg_segments", lambda c: op.segments(c.files, 26), "SELECT CASE WHEN n >= 26 THEN s ELSE 'root' END AS segment, sum(n)::BIGINT AS n FROM (SELECT split_part(path, '/', 1) AS s, count(*) AS n FROM files GROUP BY 1) GROUP BY 1")
 query("agg_routing_desc", lambda c: op.segment_descriptors(c.part_paths.select(F.col("p_brand").alias("segment"), F.col("p_type").alias("tag")), c.commits.groupBy("path").agg(F.count("*").alias("degree")).join(c.modules, "path").select(F.col("module").alias("segment"), "path", "degree")),
       "WITH t AS (SELECT p_brand AS segment, p_type AS tag, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS r FROM part_paths GROUP BY 1, 2), h AS (SELECT module AS segment, path, row_number() OVER (PARTITION BY module ORDER BY count(*) DESC, path) AS r FROM commits JOIN modules USING (path) GROUP BY 1, 2) SELECT coalesce(a.segment, b.segment) AS segment, tags, hubs FROM (SELECT segment, string_agg(tag, ',' ORDER BY r) AS tags FROM t WHERE r <= 3 GROUP BY 1) a FULL JOIN (SELECT segment, string_agg(path, ',' ORDER BY r) AS hubs FROM h WHERE r <= 2 GROUP BY 1) b ON a.segment = b.segment")
@@ -87,7 +97,13 @@ query("agg_cluster_hist", lambda c: op.size_histogram(c.commits.groupBy("author"
 query("agg_repo_profile", lambda c: c.files.groupBy(paths.extension(F.col("path")).alias("ext")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "SELECT regexp_extract(path, '(\\.[^.]+)$', 1) AS ext, count(*) AS n, sum(size)::BIGINT AS bytes FROM files GROUP BY 1")
 query("agg_rebuild_duration", lambda c: c.items.where("status = 'F'").groupBy("category").agg(F.max_by("value", F.struct("created_at", "id")).alias("last")).rollup("category").agg(F.round(F.sum("last"), 2).alias("seconds")), "SELECT category, round(sum(last), 2) AS seconds FROM (SELECT category, value AS last FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY created_at DESC, id DESC) AS r FROM items WHERE status = 'F') WHERE r = 1) GROUP BY ROLLUP (category)")
 query("agg_doc_score", lambda c: c.files.select("doc_id", F.round(op.document_score(F.col("doc_id") % 13, F.lit(12), F.col("path").endswith(".md"), F.when(F.col("path").startswith("docs/"), 0.7).otherwise(0.2), F.col("doc_id") % 11 == 0), 6).alias("score")), "SELECT doc_id, round(least(1.0::DOUBLE, 0.5 * (doc_id % 13) / 12.0::DOUBLE + CASE WHEN path LIKE '%.md' THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN path LIKE 'docs/%' THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN doc_id % 11 = 0 THEN 0.1::DOUBLE ELSE 0 END), 6) AS score FROM files")
-query("agg_role_overlap", lambda c: op.overlaps(c.commits.where("author < 60").select(F.concat(F.lit("r"), F.col("author") % 12).alias("role"), "path"), "role", "path", 0.01), "WITH m AS (SELECT DISTINCT 'r' || (author % 12)::VARCHAR AS role, path FROM commits WHERE author < 60), n AS (SELECT role, count(*) AS n FROM m GROUP BY 1), s AS (SELECT x.role AS a, y.role AS b, count(*) AS c FROM m x JOIN m y ON x.path = y.path AND x.role < y.role GROUP BY 1, 2) SELECT a, b, round(c / (p.n + q.n - c)::DOUBLE, 6) AS jaccard FROM s JOIN n p ON p.role = a JOIN n q ON q.role = b WHERE c / (p.n + q.n - c)::DOUBLE > 0.01")
+query(
+    "agg_role_overlap",
+    lambda c: op.overlaps(c.commits.select(F.concat(F.lit("r"), F.col("author") % 12).alias("role"), "path"), "role", "path", 0.01),
+    """WITH m AS (SELECT DISTINCT 'r' || (author % 12)::VARCHAR AS role, path FROM commits), n AS (SELECT role, count(*) AS n FROM m GROUP BY 1),
+    s AS (SELECT x.role AS a, y.role AS b, count(*) AS c FROM m x JOIN m y ON x.path = y.path AND x.role < y.role GROUP BY 1, 2)
+    SELECT a, b, round(c / (p.n + q.n - c)::DOUBLE, 6) AS jaccard FROM s JOIN n p ON p.role = a JOIN n q ON q.role = b WHERE c / (p.n + q.n - c)::DOUBLE > 0.01""",
+)
 query("agg_hi_topics", lambda c: c.files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("path", F.lit("([a-z]+)"), F.lit(1)))).alias("word")).join(c.spark.createDataFrame([("testing", "tests"), ("testing", "unit"), ("testing", "test"), ("web", "api"), ("web", "ui"), ("web", "src")], "topic string, word string"), "word").groupBy("path", "topic").agg(F.count("*").alias("hits")).where("hits >= 2").groupBy("topic").agg(F.count("*").alias("files")), "WITH w AS (SELECT path, unnest(list_distinct(regexp_extract_all(path, '[a-z]+'))) AS word FROM files), t AS (SELECT * FROM (VALUES ('testing', 'tests'), ('testing', 'unit'), ('testing', 'test'), ('web', 'api'), ('web', 'ui'), ('web', 'src')) v(topic, word)) SELECT topic, count(*) AS files FROM (SELECT path, topic FROM w JOIN t USING (word) GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1")
 query("agg_role_fitness", lambda c: c.concepts.withColumn("r", F.expr("row_number() OVER (PARTITION BY category ORDER BY confidence DESC, id)")).where("r <= 30").groupBy("category").agg(F.round(0.6 * F.avg((F.col("status") == "active").cast("double")) + 0.2 + 0.2 * F.avg(F.when(F.col("r") <= 10, F.col("confidence"))), 6).alias("fitness")), "SELECT category, round(0.6::DOUBLE * avg((status = 'active')::INT) + 0.2::DOUBLE + 0.2::DOUBLE * avg(confidence::DOUBLE) FILTER (r <= 10), 6) AS fitness FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, id) AS r FROM concepts) WHERE r <= 30 GROUP BY 1")
 query("agg_role_fitness_fb", lambda c: c.concepts.groupBy("module").agg(F.round(0.5 * F.least(F.count_if(F.col("kind").contains("STEEL")) / F.count("*"), F.lit(0.3)) / 0.3 + 0.3 * F.least(F.count_if(F.col("title").contains("1")) / F.count("*"), F.lit(0.3)) / 0.3 + 0.2, 6).alias("fitness")), "SELECT module, round(0.5::DOUBLE * least(count(*) FILTER (contains(kind, 'STEEL')) / count(*)::DOUBLE, 0.3::DOUBLE) / 0.3::DOUBLE + 0.3::DOUBLE * least(count(*) FILTER (contains(title, '1')) / count(*)::DOUBLE, 0.3::DOUBLE) / 0.3::DOUBLE + 0.2::DOUBLE, 6) AS fitness FROM concepts GROUP BY 1")

@@ -78,10 +78,16 @@ query("arr_root_budget", lambda c: c.concepts.select("id", roles.root_budget(F.c
 query("arr_decay", lambda c: c.concepts.select("id", roles.decayed(F.lit(0.5), F.element_at(F.array(F.lit("source_changed"), F.lit("neighbor_enriched"), F.lit("other")), (F.col("id") % 3 + 1).cast("int"))).alias("score")), "SELECT id, CASE id % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.475::DOUBLE ELSE 0.5::DOUBLE END AS score FROM concepts")
 query("json_batch_parse", lambda c: c.events.select("event_id", F.get_json_object(F.concat(F.lit('{"a": '), "props", F.lit("}")), "$.a.k").cast("long").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 SARIF = "array<struct<ruleId:string,level:string,locations:array<struct<uri:string,line:int>>>>"
-sarif = lambda c: c.items.where("id % 50 = 0").select("id", F.to_json(F.array(F.struct(F.col("category").alias("ruleId"), F.lit("error").alias("level"), F.array(F.struct(F.concat(F.lit("file:///"), "file_path").alias("uri"), F.lit(3).alias("line"))).alias("locations")))).alias("results"))
-query("json_sarif_simple", lambda c: content.sarif_findings(sarif(c)), "SELECT id, category AS rule, 'error' AS level, file_path, 3 AS line FROM items WHERE id % 50 = 0")
-query("json_sarif_enrich", lambda c: content.sarif_findings(sarif(c)).withColumn("note", F.concat_ws(" ", F.lit("risk"), F.length("file_path"))).select("id", "note"), "SELECT id, 'risk ' || length(file_path)::VARCHAR AS note FROM items WHERE id % 50 = 0")
-query("scan_sarif", lambda c: content.sarif_findings(sarif(c)).groupBy("rule").agg(F.count("*").alias("n")), "SELECT category AS rule, count(*) AS n FROM items WHERE id % 50 = 0 GROUP BY 1")
+sarif = lambda c: c.items.select("id", F.to_json(F.array(F.struct(F.col("category").alias("ruleId"), F.lit("error").alias("level"), F.array(F.struct(F.concat(F.lit("file:///"), "file_path").alias("uri"), F.lit(3).alias("line"))).alias("locations")))).alias("results"))
+query("json_sarif_simple", lambda c: content.sarif_findings(sarif(c)), "SELECT id, category AS rule, 'error' AS level, file_path, 3 AS line FROM items")
+query(
+    "json_sarif_enrich",
+    lambda c: content.enriched_findings(content.sarif_findings(sarif(c)), c.part_paths.select(F.concat(F.lit("part/"), "p_partkey", F.lit(".py")).alias("file_path"), F.col("p_brand").alias("module"), F.col("p_size").alias("degree"))),
+    """SELECT i.id, i.category AS rule, i.file_path, p_brand AS module, coalesce(p_size, 0)::INT AS degree,
+    CASE WHEN coalesce(p_size, 0) >= 20 THEN 'critical' WHEN coalesce(p_size, 0) >= 10 THEN 'high' ELSE 'normal' END AS risk
+    FROM items i LEFT JOIN part_paths ON i.file_path = 'part/' || p_partkey::VARCHAR || '.py'""",
+)
+query("scan_sarif", lambda c: content.sarif_findings(sarif(c)).groupBy("rule").agg(F.count("*").alias("n")), "SELECT category AS rule, count(*) AS n FROM items GROUP BY 1")
 query("num_cost", lambda c: c.usage.select("id", F.round(F.col("total_tokens") * 0.8 / 1e6 * 2.5 + F.col("total_tokens") * 0.2 / 1e6 * 10.0, 8).alias("cost")), "SELECT id, round(total_tokens * 0.8::DOUBLE / 1000000.0::DOUBLE * 2.5::DOUBLE + total_tokens * 0.2::DOUBLE / 1000000.0::DOUBLE * 10.0::DOUBLE, 8) AS cost FROM usage")
 query("date_month_start", lambda c: c.usage.select("id", F.date_format(F.date_trunc("month", "ts"), "yyyy-MM-dd").alias("month")), "SELECT id, strftime(date_trunc('month', ts), '%Y-%m-%d') AS month FROM usage")
 query("date_heatmap", lambda c: c.events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).selectExpr("cast(day as string) AS day", "n", "CASE WHEN n = 0 THEN ' ' WHEN n * 4 <= max(n) OVER () THEN '.' WHEN n * 2 <= max(n) OVER () THEN '-' WHEN n * 4 <= 3 * max(n) OVER () THEN '+' ELSE '#' END AS glyph"), "SELECT day::VARCHAR AS day, n, CASE WHEN n = 0 THEN ' ' WHEN n * 4 <= max(n) OVER () THEN '.' WHEN n * 2 <= max(n) OVER () THEN '-' WHEN n * 4 <= 3 * max(n) OVER () THEN '+' ELSE '#' END AS glyph FROM (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1)")

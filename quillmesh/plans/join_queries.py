@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..functions import text as tx
 from ..operators import joins as op
 from .registry import query
@@ -72,10 +73,17 @@ pairs AS (SELECT a.path AS test, b.path AS source FROM t a JOIN t b ON regexp_re
 query("join_test_source", lambda c: op.tested_sources(paired(c)), f"WITH {TESTED} SELECT test, source FROM pairs")
 query("join_test_edges", lambda c: op.with_untested(paired(c), op.tested_sources(paired(c))),
       f"WITH {TESTED} SELECT split_part(path, '/', 1) AS module, count(*) AS files, count(*) FILTER (path IN (SELECT source FROM pairs)) AS tested, round(100.0::DOUBLE * count(*) FILTER (path IN (SELECT source FROM pairs)) / count(*), 2) AS pct FROM t WHERE NOT is_test GROUP BY 1")
-query("join_duplicate_pairs", lambda c: op.jaccard_pairs(c.documents.select(F.col("doc_id").alias("id"), tx.identifier_tokens(F.col("text")).alias("tokens")), 0.65).select("a", "b", F.round("jaccard", 6).alias("jaccard")),
-      r"""WITH t AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'this', 'that', 'with', 'from', 'are', 'was', 'not'))) AS w FROM documents),
-      u AS (SELECT id, unnest(w) AS g FROM t), p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM u x JOIN u y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
-      SELECT a, b, round(c / (len(x.w) + len(y.w) - c)::DOUBLE, 6) AS jaccard FROM p JOIN t x ON x.id = a JOIN t y ON y.id = b WHERE c / (len(x.w) + len(y.w) - c)::DOUBLE >= 0.65""")
+query(
+    "join_duplicate_pairs",
+    lambda c: op.jaccard_pairs(
+        c.files.select(F.col("doc_id").alias("id"), paths.directory(F.col("path")).alias("folder"), tx.identifier_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= 3), 0.65, apart="folder"
+    ).select("a", "b", F.round("jaccard", 6).alias("jaccard")),
+    r"""WITH t AS (SELECT doc_id AS id, regexp_replace(path, '/[^/]*$', '') AS folder,
+        list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'this', 'that', 'with', 'from', 'are', 'was', 'not'))) AS w FROM files),
+    u AS (SELECT id, unnest(w) AS g FROM t WHERE len(w) >= 3), p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM u x JOIN u y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
+    SELECT a, b, round(c / (len(x.w) + len(y.w) - c)::DOUBLE, 6) AS jaccard FROM p JOIN t x ON x.id = a JOIN t y ON y.id = b
+    WHERE c / (len(x.w) + len(y.w) - c)::DOUBLE >= 0.65 AND x.folder <> y.folder""",
+)
 ANCH = "SELECT id, a1 AS anchor FROM concepts UNION SELECT id, a2 FROM concepts UNION SELECT id, module FROM concepts WHERE id % 3 = 0"
 
 
@@ -90,8 +98,12 @@ query("join_anchor_overlap", lambda c: op.anchor_pairs(anchors(c), c.concepts.se
       SELECT a, b, shared, round(CASE WHEN u > 0 THEN i / u::DOUBLE ELSE 0.0::DOUBLE END, 6) AS title_jaccard FROM j WHERE shared >= 2 OR (u > 0 AND i / u::DOUBLE >= 0.6)""")
 query("join_conflicts", lambda c: op.concept_conflicts(c.concepts.select("id", "status", "category", F.col("a1").alias("anchor"), (F.col("id") % 17).alias("created"))),
       "SELECT a1 AS anchor, w AS winner, id AS loser FROM (SELECT id, a1, first_value(id) OVER (PARTITION BY a1 ORDER BY id % 17, id) AS w FROM concepts WHERE status = 'active' AND category IN ('constraint', 'architecture')) WHERE w <> id")
-query("join_agent_conflicts", lambda c: op.agent_conflicts(c.observations.where("agent <= 12")),
-      "WITH l AS (SELECT file_path, agent, id AS last FROM (SELECT *, row_number() OVER (PARTITION BY file_path, agent ORDER BY created_at DESC, id DESC) AS r FROM observations WHERE agent <= 12) WHERE r = 1) SELECT x.file_path, x.agent AS a, x.last AS last_a, y.agent AS b, y.last AS last_b FROM l x JOIN l y ON x.file_path = y.file_path AND x.agent < y.agent")
+query(
+    "join_agent_conflicts",
+    lambda c: op.agent_conflicts(c.observations),
+    """WITH l AS (SELECT file_path, agent, id AS last FROM (SELECT *, row_number() OVER (PARTITION BY file_path, agent ORDER BY created_at DESC, id DESC) AS r FROM observations) WHERE r = 1)
+    SELECT x.file_path, x.agent AS a, x.last AS last_a, y.agent AS b, y.last AS last_b FROM l x JOIN l y ON x.file_path = y.file_path AND x.agent < y.agent""",
+)
 query("join_asof_snapshot", lambda c: op.as_of(c.events.where("event_type = 'error'").select("event_id", "user_id", "ts"), c.events.where("event_type = 'view'").select("user_id", F.col("ts").alias("seen_at"), F.col("event_id").alias("seen_id")).groupBy("user_id", "seen_at").agg(F.max("seen_id").alias("seen_id")).withColumn("at", F.col("seen_at")), ["user_id"], "ts", "at", ["seen_at", "seen_id"]),
       "SELECT e.event_id, e.user_id, e.ts, v.seen_at, v.seen_id FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT user_id, ts AS seen_at, max(event_id) AS seen_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) v ON e.user_id = v.user_id AND e.ts >= v.seen_at")
 query("join_hub_diff", lambda c: op.ranking_diff(hubs(c, HALF), hubs(c, "timestamp_ntz'2100-01-01'"), "path"),

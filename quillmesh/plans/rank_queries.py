@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as jo
 from ..operators import rank as op
 from ..operators import sinks
+from ..sources.scratch import scratch_path
 from .registry import query
 
 APR = "CASE WHEN count(*) OVER () = 1 THEN 0.5::DOUBLE ELSE (rank() OVER (ORDER BY v) - 1 + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE) / (count(*) OVER () - 1) END"
@@ -66,16 +67,63 @@ query("set_upsert_antibody", lambda c: sinks.upsert(c.concepts.where("id % 2 = 0
 query("set_role_overrides", lambda c: c.concepts.where("id % 4 = 0").select(F.col("id").alias("role"), F.col("a1").alias("override")).join(c.concepts.where("id % 6 = 0").select(F.col("id").alias("role"), F.col("a2").alias("pin")), "role", "full_outer"), "SELECT id AS role, CASE WHEN id % 4 = 0 THEN a1 END AS override, CASE WHEN id % 6 = 0 THEN a2 END AS pin FROM concepts WHERE id % 4 = 0 OR id % 6 = 0")
 query("set_pins_reverse", lambda c: c.concepts.select("id", F.array("a1", "a2").alias("pins")).where(F.array_contains("pins", "area7")).select("id"), "SELECT id FROM concepts WHERE a1 = 'area7' OR a2 = 'area7'")
 query("sink_prune_orphans", lambda c: sinks.prune(c.files.select("path", "size"), c.files.where("doc_id % 3 != 1").select("path"), "path"), "SELECT path, size FROM files WHERE doc_id % 3 <> 1")
-query("sink_prune_jsonl", lambda c: c.files.select("path", F.when(F.col("doc_id") % 5 == 2, 1).otherwise(0).alias("gone")).groupBy("gone").agg(F.count("*").alias("n")), "SELECT CASE WHEN doc_id % 5 = 2 THEN 1 ELSE 0 END AS gone, count(*) AS n FROM files GROUP BY 1")
-query("sink_prune_knowledge", lambda c: sinks.prune(c.vectors.select(F.col("vec_id").alias("id"), F.size("embedding").alias("dim")), c.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id")), "id"), "SELECT vec_id AS id, len(embedding)::INT AS dim FROM vectors WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+query(
+    "sink_prune_jsonl",
+    lambda c: sinks.round_trip(sinks.prune(sinks.round_trip(c.observations.select("id", "file_path", "content"), "json"), c.observations.where("NOT stale").select("file_path").distinct(), "file_path"), "json"),
+    "SELECT id, file_path, content FROM observations WHERE file_path IN (SELECT file_path FROM observations WHERE NOT stale)",
+)
+query(
+    "sink_prune_knowledge",
+    lambda c: sinks.prune(c.vectors.select(F.col("vec_id").alias("id"), F.size("embedding").alias("dim"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("x")), c.documents.where("lang = 'en'").select(F.col("doc_id").alias("id")), "id"),
+    "SELECT vec_id AS id, len(embedding)::INT AS dim, round(embedding[1]::DOUBLE, 6) AS x FROM vectors WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')",
+)
 query("sink_prune_stale_delta", lambda c: c.files.where("doc_id % 2 = 0").select("path").join(c.files.where("doc_id % 6 = 0").select("path"), "path", "left_anti"), "SELECT path FROM files WHERE doc_id % 2 = 0 AND doc_id % 6 <> 0")
 query("sink_history", lambda c: sinks.upsert(c.items.where("id % 2 = 0").select("id", "status"), c.items.where("id % 4 = 0").select("id", F.lit("done").alias("status")), "id"), "SELECT id, CASE WHEN id % 4 = 0 THEN 'done' ELSE status END AS status FROM items WHERE id % 2 = 0")
 query("sink_evict", lambda c: sinks.evict(c.observations, 50).select("id", "project_id"), "SELECT id, project_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY stale, created_at DESC, id DESC) AS r FROM observations) WHERE r <= 50")
 query("sink_purge", lambda c: c.events.where("ts >= timestamp_ntz'2024-01-20'").select("event_id"), "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
-query("sink_graph_atomic", lambda c: sinks.round_trip(c.nodes.orderBy("id"), "json"), "SELECT id, kind, name, file_path, language, size FROM nodes")
-query("sink_manifest", lambda c: sinks.manifest(c.nodes, "graph"), "SELECT 'graph' AS name, count(*) AS n, sum(size)::BIGINT AS bytes FROM nodes")
-query("sink_vector_index", lambda c: sinks.round_trip(c.vectors.select("vec_id", "label"), "parquet"), "SELECT vec_id, label FROM vectors")
+def graph_files(c):
+    """Nodes and edges, each written whole and read back, as kind and row in JSON."""
+    rows = lambda df, kind: sinks.round_trip(df, "json").select(F.lit(kind).alias("part"), F.concat_ws("|", *df.columns).alias("row"))
+    nodes = c.nodes.select("id", "kind", "name", "file_path", "language", F.coalesce(F.col("size").cast("string"), F.lit("-")).alias("size"))
+    return rows(nodes, "node").unionByName(rows(c.edges.select("source", "target", "kind", "origin", "weight"), "edge"))
+
+
+query(
+    "sink_graph_atomic",
+    graph_files,
+    """SELECT 'node' AS part, concat_ws('|', id, kind, name, file_path, language, coalesce(size::VARCHAR, '-')) AS row FROM nodes
+    UNION ALL SELECT 'edge', concat_ws('|', source, target, kind, origin, weight::VARCHAR) FROM edges""",
+)
+query(
+    "sink_manifest",
+    lambda c: sinks.round_trip(sinks.manifest(c.nodes, "nodes").unionByName(sinks.manifest(c.files, "files")).unionByName(sinks.manifest(c.edges.withColumn("size", F.col("weight")), "edges")), "json"),
+    """SELECT 'nodes' AS name, count(*) AS n, sum(size)::BIGINT AS bytes FROM nodes UNION ALL SELECT 'files', count(*), sum(size)::BIGINT FROM files
+    UNION ALL SELECT 'edges', count(*), sum(weight)::BIGINT FROM edges""",
+)
+def vector_index(c):
+    """Full, then incremental over an index in which a third of the hashes are old and some rows are gone."""
+    hashed = lambda salt: c.vectors.select("vec_id", "embedding", F.md5(F.concat(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), salt).cast("binary")).alias("hash"))
+    first = sinks.vectors_mode(c.spark, scratch_path(c.spark, "index"), hashed(F.when(F.col("label") % 3 == 0, "old").otherwise("")).where("label != 1"), None).drop("mode")
+    return sinks.vectors_mode(c.spark, scratch_path(c.spark, "index"), hashed(F.lit("")).where("label != 2"), first)
+
+
+query(
+    "sink_vector_index",
+    lambda c: vector_index(c).select("vec_id", F.size("embedding").alias("dims"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("x"), "mode"),
+    "SELECT vec_id, len(embedding)::INT AS dims, round(embedding[1]::DOUBLE, 6) AS x, 'incremental' AS mode FROM vectors WHERE label <> 2",
+)
 query("sink_export_csv", lambda c: sinks.round_trip(c.items.select("id", "priority", "category", "file_path"), "csv"), "SELECT id, priority, category, file_path FROM items")
-query("sink_export_md", lambda c: sinks.markdown(c.items.where("NOT dismissed AND priority = 'P0'"), 3), "SELECT category, '## ' || category || chr(10) || string_agg('- ' || id::VARCHAR || ' ' || file_path, chr(10) ORDER BY id) AS text FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) AS r FROM items WHERE NOT dismissed AND priority = 'P0') WHERE r <= 3 GROUP BY category")
-query("sink_export_sarif", lambda c: sinks.sarif(c.items.where("priority = 'P0'")))
+query(
+    "sink_export_md",
+    lambda c: sinks.markdown(c.items.where("NOT dismissed"), 3),
+    """SELECT category, '## ' || category || chr(10) || string_agg('- ' || id::VARCHAR || ' ' || file_path, chr(10) ORDER BY id) AS text
+    FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) AS r FROM items WHERE NOT dismissed) WHERE r <= 3 GROUP BY category""",
+)
+query(
+    "sink_export_sarif",
+    lambda c: sinks.sarif_document(c.spark, scratch_path(c.spark, "sarif"), sinks.sarif(c.items), "audit").select("part", F.ltrim(F.col("line"), F.lit(",")).alias("line")),
+    """SELECT '1-head' AS part, '{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"audit"}},"results":[' AS line UNION ALL SELECT '3-tail', ']}]}' UNION ALL
+    SELECT '2-results', '{"ruleId":"rule/' || category || '","level":"' || CASE severity WHEN 'critical' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END || '","message":{"text":"' || analyzer || ' ' || category
+    || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || file_path || '"}}}]}' FROM items""",
+)
 query("sink_audit_csv", lambda c: sinks.round_trip(c.events.select("event_id", "event_type", "user_id"), "csv"), "SELECT event_id, event_type, user_id FROM events")

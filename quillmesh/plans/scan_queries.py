@@ -68,9 +68,22 @@ SARIF_ADAPTERS = Registry(default=content.sarif_findings)
 PARSERS = Registry(**{name: (lambda df, n=name: content.parsed(df, n)) for name in content.DECLARATIONS})
 WORKERS = Registry(embed=lambda now, before: flows.reuse_plan(now, before).where("action = 'embed'"))
 query("udf_embedder", lambda c: c.benchmark.select("item_id", F.size(EMBEDDERS.get("hashed")(F.col("text"))).alias("dims")), "SELECT item_id, 16 AS dims FROM benchmark")
-query("udf_compressor", lambda c: COMPRESSORS.get("codes")(c.files.where("doc_id < 20").select("doc_id", F.concat(F.lit("in "), F.col("path")).alias("text")), c.files.select("path")).select("doc_id", F.startswith("text", F.lit("in ")).alias("kept")), "SELECT doc_id, true AS kept FROM files WHERE doc_id < 20")
+query(
+    "udf_compressor",
+    lambda c: COMPRESSORS.get("codes")(c.files.select("doc_id", F.concat("text", F.lit(" in "), "path").alias("text")), c.files.select("path")).select("doc_id", F.length("text").alias("chars")),
+    """WITH k AS (SELECT path, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', '') AS name FROM files),
+    b AS (SELECT path, CASE WHEN name LIKE 'test_doc_%' THEN 'TD' || substr(split_part(name, '_', 3), 1, 1) ELSE upper(substr(name, 1, 3)) END AS base FROM k),
+    n AS (SELECT path, base, row_number() OVER (PARTITION BY base ORDER BY path) AS r FROM b)
+    SELECT doc_id, (length(text) + 4 + length(base || CASE WHEN r > 1 THEN r::VARCHAR ELSE '' END))::INT AS chars FROM files JOIN n USING (path)""",
+)
 query("udf_language", lambda c: PARSERS.get("python")(c.files.withColumn("text", F.lit("def go():\n  pass"))), "SELECT path, 'symbol' AS kind, 'go' AS name FROM files")
 query("udf_pyo3", lambda c: c.files.select("path", paths.language(F.col("path")).alias("language"), F.substring(F.sha2("text", 256), 1, 32).alias("hash")).where("language = 'rust'"), "SELECT path, 'rust' AS language, substr(sha256(text), 1, 32) AS hash FROM files WHERE path LIKE '%.rs'")
-query("udf_sarif_adapter", lambda c: SARIF_ADAPTERS.get("default")(c.items.where("id % 90 = 0").select("id", F.concat(F.lit('[{"ruleId":"r","level":"note","locations":[{"uri":"file:///'), "file_path", F.lit('","line":1}]}]')).alias("results"))).select("id", "rule", "file_path"), "SELECT id, 'r' AS rule, file_path FROM items WHERE id % 90 = 0")
+query(
+    "udf_sarif_adapter",
+    lambda c: SARIF_ADAPTERS.get("default")(
+        c.items.select("id", F.concat(F.lit('[{"ruleId":"'), "category", F.lit('","level":"note","locations":[{"uri":"file:///'), "file_path", F.lit('","line":'), F.col("id") % 90, F.lit("}]}]")).alias("results"))
+    ).select("id", "rule", "file_path", "line"),
+    "SELECT id, category AS rule, file_path, (id % 90)::INT AS line FROM items",
+)
 query("udf_worker", lambda c: WORKERS.get("embed")(c.files.select("path", "hash"), c.files.where("doc_id % 2 = 0").select("path", "hash")), "SELECT path, 'embed' AS action FROM files WHERE doc_id % 2 <> 0")
 query("udf_mcp", lambda c: Corpus(c.spark, c.dir).hubs(5), "SELECT f.id AS file_id, t.file_path, count(*) AS in_degree FROM edges e JOIN nodes t ON t.id = e.target JOIN nodes f ON f.file_path = t.file_path AND f.kind = 'file' WHERE origin <> 'external' GROUP BY 1, 2 ORDER BY in_degree DESC, file_path LIMIT 5")
