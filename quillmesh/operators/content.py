@@ -332,3 +332,11 @@ def enriched_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
     degree = F.coalesce("degree", F.lit(0))
     risk = F.when(degree >= 20, "critical").when(degree >= 10, "high").otherwise("normal")
     return findings.join(files, "file_path", "left").select("id", "rule", "file_path", "module", degree.alias("degree"), risk.alias("risk"))
+
+
+def linked(declared: DataFrame) -> DataFrame:
+    """Nodes and edges (part, path, name, target, kind) of declarations (path, kind, name): symbols are nodes, and the file has an edge to each symbol and import."""
+    d = declared.distinct()
+    nodes = d.where("kind = 'symbol'").select(F.lit("node").alias("part"), "path", "name", F.lit(None).cast("string").alias("target"), "kind")
+    edges = d.select(F.lit("edge").alias("part"), "path", F.lit("").alias("name"), F.col("name").alias("target"), F.when(F.col("kind") == "symbol", "contains").otherwise("imports").alias("kind"))
+    return nodes.unionByName(edges)

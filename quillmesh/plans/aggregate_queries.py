@@ -55,10 +55,25 @@ query("agg_coupling", lambda c: op.coupling_hotspots(degree(c).join(c.nodes.wher
 query("agg_risk", lambda c: c.concepts.select("id", F.round(op.risk(F.col("confidence"), F.col("category") == "constraint", F.col("category") == "architecture", (F.col("id") % 10) / 10.0, (F.col("id") % 4) / 4.0), 6).alias("risk")), "SELECT id, round(least(1.0::DOUBLE, 0.4 * confidence::DOUBLE + 0.3 * CASE category WHEN 'constraint' THEN 1.0::DOUBLE WHEN 'architecture' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END + 0.2 * (id % 10) / 10.0::DOUBLE + 0.1 * (id % 4) / 4.0::DOUBLE), 6) AS risk FROM concepts")
 query("agg_structural", lambda c: op.best_findings([degree(c).select(F.lit("coupling").alias("finding_type"), F.col("id").alias("file_path"), F.round(F.col("in_degree") / 200.0, 4).alias("risk")), c.commits.groupBy("path").agg(F.count("*").alias("n")).select(F.lit("churn").alias("finding_type"), F.col("path").alias("file_path"), F.round(F.col("n") / 300.0, 4).alias("risk"))]),
       "SELECT finding_type, file_path, risk FROM (SELECT 'coupling' AS finding_type, target AS file_path, round(count(*) / 200.0::DOUBLE, 4) AS risk FROM edges WHERE kind = 'imports' GROUP BY 2 UNION ALL SELECT 'churn', path, round(count(*) / 300.0::DOUBLE, 4) FROM commits GROUP BY 2) ORDER BY risk DESC, finding_type, file_path LIMIT 20")
-query("agg_api_surface", lambda c: c.concepts.groupBy("module").agg(F.count("*").alias("public"), F.count_if(F.col("id") % 3 != 0).alias("documented"), F.round(100.0 * F.count_if(F.col("id") % 3 != 0) / F.count("*"), 2).alias("pct")), "SELECT module, count(*) AS public, count(*) FILTER (id % 3 <> 0) AS documented, round(100.0::DOUBLE * count(*) FILTER (id % 3 <> 0) / count(*), 2) AS pct FROM concepts GROUP BY 1")
-query("agg_tech_debt", lambda c: c.concepts.select("module", F.explode(F.array_repeat(F.lit("debt"), (F.col("id") % 4).cast("int"))).alias("item")).groupBy("module").agg(F.count("*").alias("items")).where("items >= 3"), "SELECT module, sum(id % 4)::BIGINT AS items FROM concepts GROUP BY 1 HAVING sum(id % 4) >= 3")
+query(
+    "agg_api_surface",
+    lambda c: c.concepts.groupBy("module").agg(F.count("*").alias("public"), F.count_if(F.col("status") == "active").alias("documented"), F.round(100.0 * F.count_if(F.col("status") == "active") / F.count("*"), 2).alias("pct")),
+    """SELECT module, count(*) AS public, count(*) FILTER (status = 'active') AS documented,
+    round(100.0::DOUBLE * count(*) FILTER (status = 'active') / count(*), 2) AS pct FROM concepts GROUP BY 1""",
+)
+query(
+    "agg_tech_debt",
+    lambda c: c.items.where("category = 'debt' AND NOT dismissed").groupBy(F.col("file_path").alias("module")).agg(F.count("*").alias("items")).where("items >= 3"),
+    "SELECT file_path AS module, count(*) AS items FROM items WHERE category = 'debt' AND NOT dismissed GROUP BY 1 HAVING count(*) >= 3",
+)
 query("agg_large_files", lambda c: c.nodes.where("kind = 'file' AND size >= 40000").select("id", F.when(F.col("size") >= 80000, "critical").otherwise("warning").alias("severity")), "SELECT id, CASE WHEN size >= 80000 THEN 'critical' ELSE 'warning' END AS severity FROM nodes WHERE kind = 'file' AND size >= 40000")
-query("agg_staleness", lambda c: c.files.where("doc_id % 9 = 0").select("path", F.lit("orphan").alias("kind")).join(c.files.where("doc_id % 2 = 0").select("path"), "path", "left_semi").unionByName(c.files.where("doc_id % 7 = 1").select("path", F.lit("gap").alias("kind")).join(c.files.where("doc_id % 2 = 0").select("path"), "path", "left_anti")), "SELECT path, 'orphan' AS kind FROM files WHERE doc_id % 9 = 0 AND doc_id % 2 = 0 UNION ALL SELECT path, 'gap' FROM files WHERE doc_id % 7 = 1 AND doc_id % 2 <> 0")
+query(
+    "agg_staleness",
+    lambda c: c.vectors.select(F.col("vec_id").alias("doc_id")).join(c.documents, "doc_id", "left_anti").select(F.col("doc_id").cast("string").alias("path"), F.lit("orphan").alias("kind"))
+    .unionByName(c.files.join(c.vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("path", F.lit("gap").alias("kind"))),
+    """SELECT vec_id::VARCHAR AS path, 'orphan' AS kind FROM vectors WHERE vec_id NOT IN (SELECT doc_id FROM documents)
+    UNION ALL SELECT path, 'gap' FROM files WHERE doc_id NOT IN (SELECT vec_id FROM vectors)""",
+)
 query("agg_summary", lambda c: op.summary(c.items), "SELECT priority, category, source, analyzer, severity, count(*) AS n FROM items WHERE NOT dismissed GROUP BY GROUPING SETS ((priority), (category), (source), (analyzer), (severity))")
 GROUPED = "g AS (SELECT label, category, count(*) AS n, min(priority) AS p FROM k GROUP BY 1, 2) SELECT label, sum(n)::BIGINT AS n, min(p) AS priority, (SELECT category FROM g h WHERE h.label = g.label ORDER BY n DESC, category LIMIT 1) AS category FROM g GROUP BY label"
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, roles
 from ..functions import vectors as vf
-from ..operators import content
+from ..operators import content, parsing
 from ..operators import joins as jo
 from .registry import query
 
@@ -18,6 +18,24 @@ def code_text():
 code = lambda c: c.files.withColumn("text", code_text())
 md = lambda c: c.documents.select("doc_id", F.concat(F.lit("intro\n# Top\n"), F.col("text"), F.lit("\n## Sub\nbody\n# Next\nend")).alias("text"))
 
+def module_text():
+    """A Python module a document, its text as comments at the end."""
+    n = F.col("doc_id").cast("string")
+    head = ['"""Module ', n, '."""\nimport os\nfrom pkg.m', (F.col("doc_id") % 5).cast("string"), " import thing\nLIMIT = 3\nclass A", n, '(Base):\n    """Class doc."""\n    def run(self, x):\n        """Runs."""\n        y = helper', n]
+    tail = ["(x)\n        return y\ndef helper", n, "(v):\n    return os.path.join(v)\n# "]
+    return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in [*head, *tail]), F.regexp_replace("text", r"[\n\r\f\x0b\x1c-\x1e\x85\u2028\u2029]", "\n# "))
+
+
+modules = lambda c: c.files.withColumn("text", module_text())
+#: The same module as DuckDB writes its rows: part, kind, name, target, start_line, end_line.
+MODULE_ROWS = """(VALUES ('edge', 'imports', '', 'os', 2, NULL), ('edge', 'imports', '', 'pkg.m' || (doc_id % 5), 3, NULL), ('node', 'class', 'A' || doc_id, NULL, 5, 10), ('edge', 'contains', '', 'A' || doc_id, 5, NULL),
+    ('edge', 'inherits', 'A' || doc_id, 'Base', 5, NULL), ('node', 'method', 'A' || doc_id || '.run', NULL, 7, 10), ('edge', 'contains', 'A' || doc_id, 'A' || doc_id || '.run', 7, NULL),
+    ('edge', 'calls', 'A' || doc_id || '.run', 'helper' || doc_id, 9, NULL), ('node', 'function', 'helper' || doc_id, NULL, 11, 12), ('edge', 'contains', '', 'helper' || doc_id, 11, NULL),
+    ('edge', 'calls', 'helper' || doc_id, 'os.path.join', 12, NULL)) v(part, kind, name, target, start_line, end_line)"""
+HEAD2 = """'\"\"\"Module ' || doc_id || '.\"\"\"' || chr(10) || 'import os' || chr(10) || 'from pkg.m' || (doc_id % 5) || ' import thing'"""
+CLASS2 = """'class A' || doc_id || '(Base):' || chr(10) || '    \"\"\"Class doc.\"\"\"' || chr(10) || '    def run(self, x):' || chr(10) || '        \"\"\"Runs.\"\"\"' || chr(10) || '        ...'"""
+BARE = """regexp_replace(text, '[\\n\\r\\f\\x0b\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]', chr(10) || '# ', 'g')"""
+
 query("gen_chunk_code", lambda c: content.chunks(c.files).select("path", "chunk_index", "chunk_id", F.md5("content").alias("digest"), "start_line", "end_line"),
       """WITH k AS (SELECT path, text, unnest(CASE WHEN length(text) <= 2000 THEN [0] ELSE range(0, length(text), 1800) END) AS s FROM files)
       SELECT path, (s // 1800)::INT AS chunk_index, substr(sha256(path || ':' || (s // 1800)::VARCHAR), 1, 16) AS chunk_id, md5(substr(text, s + 1, 2000)) AS digest,
@@ -30,20 +48,71 @@ query("gen_md_sections", lambda c: content.markdown_sections(md(c)).select("doc_
 query("gen_chunk_md", lambda c: content.markdown_chunks(md(c)).select("doc_id", "i", "section", "start_line", "end_line", F.length("content").alias("chars")))
 query("gen_rust_chunk_md", lambda c: content.markdown_chunks(md(c), 1000, 200).groupBy("doc_id").agg(F.count("*").alias("n")))
 query("gen_semantic_split", lambda c: content.semantic_parts(c.documents).select("doc_id", "i", F.length("part").alias("chars"), F.md5("part").alias("digest")))
-query("gen_parse_python", lambda c: content.parsed(code(c), "python"), "SELECT path, 'symbol' AS kind, 'A' || doc_id::VARCHAR AS name FROM files UNION ALL SELECT path, 'symbol', 'run' FROM files UNION ALL SELECT path, 'import', 'os' FROM files")
-query("gen_parse_js", lambda c: content.parsed(c.files.withColumn("text", F.concat(F.lit("import {a} from './m'\nexport class B"), F.col("doc_id").cast("string"), F.lit(" {}\n"))), "javascript"), "SELECT path, 'symbol' AS kind, 'B' || doc_id::VARCHAR AS name FROM files UNION ALL SELECT path, 'import', './m' FROM files")
-query("gen_parse_swift", lambda c: content.parsed(c.files.withColumn("text", F.lit("import UIKit\npublic func go() {}\nstruct S {}")), "swift"), "SELECT path, unnest(['import', 'symbol', 'symbol']) AS kind, unnest(['UIKit', 'go', 'S']) AS name FROM files")
-query("gen_parse_generic", lambda c: content.parsed(c.files.withColumn("text", F.lit("package x\nimport \"fmt\"\nfunc (s *T) Run() {}\ntype T struct {}")), "go"), "SELECT path, unnest(['import', 'symbol', 'symbol']) AS kind, unnest(['fmt', 'Run', 'T']) AS name FROM files")
-query("gen_parse_rust", lambda c: content.parsed(c.files.withColumn("text", F.lit("use std::fmt\npub fn a() {}\nenum E {}")), "rust"), "SELECT path, unnest(['import', 'symbol', 'symbol']) AS kind, unnest(['std::fmt', 'a', 'E']) AS name FROM files")
-query("gen_parse_parallel", lambda c: content.parsed(code(c), "python").unionByName(content.parsed(code(c), "java")).groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, count(*) AS n FROM (SELECT path, unnest(['symbol', 'symbol', 'import', 'symbol', 'import']) AS kind FROM files) GROUP BY 1")
+query(
+    "gen_parse_python",
+    lambda c: parsing.python_graph(modules(c)),
+    f"SELECT path, part, kind, name, target, start_line::INT AS start_line, end_line::INT AS end_line FROM files, LATERAL (SELECT * FROM {MODULE_ROWS})",
+)
+query(
+    "gen_parse_js",
+    lambda c: parsing.script_imports(
+        c.files.where("path LIKE '%.ts'").select("path", F.concat(F.lit("import {a} from './doc_"), "doc_id", F.lit("'\nconst b = require(\"../../core/src0/doc_0.py\")\nimport c from '@/api/src3/doc_3'\nimport React from 'react'\n"), "text").alias("text")),
+        c.files, {"@/": "src/"}),
+    """WITH i AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir, unnest(['./doc_' || doc_id, '../../core/src0/doc_0.py', '@/api/src3/doc_3', 'react']) AS specifier, doc_id FROM files WHERE path LIKE '%.ts'),
+    p AS (SELECT path, specifier, CASE WHEN specifier LIKE './%' THEN dir || '/doc_' || doc_id WHEN specifier LIKE '..%' THEN regexp_replace(dir, '/[^/]*/[^/]*$|^[^/]*/[^/]*$', '') || '/core/src0/doc_0.py'
+        WHEN specifier LIKE '@/%' THEN 'src/api/src3/doc_3' END AS place FROM i),
+    t AS (SELECT p.path, specifier, f.path AS target FROM p JOIN files f ON f.path = trim(place, '/') OR f.path = trim(place, '/') || '.ts' OR f.path = trim(place, '/') || '.tsx')
+    SELECT p.path, p.specifier, min(t.target) AS target FROM p LEFT JOIN t ON t.path = p.path AND t.specifier = p.specifier GROUP BY 1, 2""",
+)
+def linked_sql(rows: str) -> str:
+    """Declarations as nodes, with an edge from the file to each."""
+    return f"""WITH d AS (SELECT DISTINCT path, {rows} FROM files)
+    SELECT 'node' AS part, path, name, NULL AS target, kind FROM d WHERE kind = 'symbol' UNION ALL SELECT 'edge', path, '', name, CASE kind WHEN 'symbol' THEN 'contains' ELSE 'imports' END FROM d"""
+
+
+query(
+    "gen_parse_swift",
+    lambda c: content.linked(content.parsed(c.files.withColumn("text", F.concat(F.lit("import UIKit"), F.lit("\nimport Lib"), F.col("doc_id") % 4, F.lit("\npublic func go"), "doc_id", F.lit("() {}\nstruct S"), "doc_id", F.lit(" {}\n// "), F.regexp_replace("text", "\n", "\n// "))), "swift")),
+    linked_sql("unnest(['import', 'import', 'symbol', 'symbol']) AS kind, unnest(['UIKit', 'Lib' || (doc_id % 4), 'go' || doc_id, 'S' || doc_id]) AS name"),
+)
+query(
+    "gen_parse_generic",
+    lambda c: content.linked(content.parsed(c.files.withColumn("text", F.concat(F.lit("package x\nimport \"fmt\"\nfunc (s *T) Run"), "doc_id", F.lit("() {}\ntype T"), "doc_id", F.lit(" struct {}\n// "), F.regexp_replace("text", "\n", "\n// "))), "go")),
+    linked_sql("unnest(['import', 'symbol', 'symbol']) AS kind, unnest(['fmt', 'Run' || doc_id, 'T' || doc_id]) AS name"),
+)
+query(
+    "gen_parse_rust",
+    lambda c: content.linked(content.parsed(c.files.withColumn("text", F.concat(F.lit("use std::fmt\npub fn a"), "doc_id", F.lit("() {}\nenum E"), "doc_id", F.lit(" {}\n// "), F.regexp_replace("text", "\n", "\n// "))), "rust")),
+    linked_sql("unnest(['import', 'symbol', 'symbol']) AS kind, unnest(['std::fmt', 'a' || doc_id, 'E' || doc_id]) AS name"),
+)
+query(
+    "gen_parse_parallel",
+    lambda c: parsing.python_graph(modules(c).where("path LIKE '%.py'")).select("path", "part", "kind", "name", "target").unionByName(content.linked(content.parsed(code(c).where("path LIKE '%.ts'"), "java"))).groupBy("part", "kind").agg(F.count("*").alias("n")),
+    f"""SELECT part, kind, count(*) AS n FROM (SELECT part, kind FROM files, LATERAL (SELECT * FROM {MODULE_ROWS}) WHERE path LIKE '%.py'
+    UNION ALL SELECT unnest(['node', 'edge', 'edge']), unnest(['symbol', 'contains', 'imports']) FROM files WHERE path LIKE '%.ts') GROUP BY 1, 2""",
+)
 query("gen_parse_md", lambda c: content.markdown_sections(md(c)).groupBy("section").agg(F.count("*").alias("n")))
-query("lod_extract", lambda c: code(c).select("path", F.md5(content.level(F.col("text"), 1)).alias("one"), F.length(content.level(F.col("text"), 4)).alias("four")), "SELECT path, md5(list_aggregate(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*(#|//|\\*|/\\*)')), 'string_agg', chr(10))) AS one, length('os, A' || doc_id::VARCHAR || ', run' || repeat('', 0))::INT AS four FROM (SELECT path, doc_id, '# a note' || chr(10) || 'import os' || chr(10) || 'class A' || doc_id::VARCHAR || ':' || chr(10) || '  def run(self):' || chr(10) || '    pass' || chr(10) || text AS t FROM files)")
+query("lod_extract", lambda c: parsing.skeletons(modules(c), "3").select("path", F.md5("skeleton").alias("digest")),
+      f"SELECT path, md5({HEAD2} || chr(10) || 'LIMIT = 3' || chr(10) || {CLASS2} || chr(10) || '# ' || {BARE}) AS digest FROM files")
 query("lod_strip_comments", lambda c: c.documents.select("doc_id", F.md5(content.level(F.concat(F.lit("// x\na\n  # y\n"), "text"), 1)).alias("d")), "SELECT doc_id, md5(list_aggregate(list_filter(string_split('// x' || chr(10) || 'a' || chr(10) || '  # y' || chr(10) || text, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*(#|//|\\*|/\\*)')), 'string_agg', chr(10))) AS d FROM documents")
-query("lod_signatures", lambda c: code(c).select("path", content.level(F.col("text"), 3).alias("heads")), "SELECT path, 'import os' || chr(10) || 'class A' || doc_id::VARCHAR || ':' || chr(10) || '  def run(self):' AS heads FROM files")
-query("lod_25", lambda c: code(c).select("path", F.size(F.split(content.level(F.col("text"), 2), "\n")).alias("lines")), "SELECT path, 3 AS lines FROM files")
-query("lod_names", lambda c: code(c).select("path", content.level(F.col("text"), 4).alias("names")), "SELECT path, 'os, A' || doc_id::VARCHAR || ', run' AS names FROM files")
-query("lod_summary", lambda c: code(c).select("path", content.level(F.col("text"), 5).alias("summary")), "SELECT path, '3 declarations' AS summary FROM files")
-query("lod_rust", lambda c: code(c).select("path", (F.length(content.level(F.col("text"), 4)) <= F.length(content.level(F.col("text"), 3))).alias("shrinks")), "SELECT path, true AS shrinks FROM files")
+query("lod_signatures", lambda c: parsing.skeletons(modules(c), "2").select("path", F.md5("skeleton").alias("digest")),
+      f"SELECT path, md5({HEAD2} || chr(10) || 'LIMIT = 3' || chr(10) || {CLASS2} || chr(10) || 'def helper' || doc_id || '(v):' || chr(10) || '    ...' || chr(10) || '# ' || {BARE}) AS digest FROM files")
+query("lod_25", lambda c: parsing.skeletons(modules(c), "2.5"),
+      f"SELECT path, 'import os' || chr(10) || 'from pkg.m' || (doc_id % 5) || ' import thing' || chr(10) || {CLASS2} || chr(10) || 'def helper' || doc_id || '(v):' || chr(10) || '    ...' AS skeleton FROM files")
+query(
+    "lod_names",
+    lambda c: parsing.skeletons(modules(c), "4"),
+    """SELECT path, 'import os' || chr(10) || 'from pkg.m' || (doc_id % 5) || ' import thing' || chr(10) || 'class A' || doc_id || '(Base):' || chr(10) || '    def run(self, x):' || chr(10)
+    || 'def helper' || doc_id || '(v):' AS skeleton FROM files""",
+)
+query(
+    "lod_summary",
+    lambda c: parsing.summaries(parsing.python_graph(modules(c)), c.files.select("path", F.concat(F.lit("about "), "source").alias("summary"), F.when(F.col("lang") == "en", "english").alias("role"))),
+    """SELECT path, '# ' || path || chr(10) || '## about ' || source || CASE WHEN lang = 'en' THEN chr(10) || 'Role: english' ELSE '' END || chr(10)
+    || 'Exports: A' || doc_id || ', A' || doc_id || '.run, helper' || doc_id AS summary FROM files""",
+)
+query("lod_rust", lambda c: code(c).select("path", content.level(F.col("text"), 3).alias("heads"), content.level(F.col("text"), 4).alias("names")),
+      "SELECT path, 'import os' || chr(10) || 'class A' || doc_id::VARCHAR || ':' || chr(10) || '  def run(self):' AS heads, 'os, A' || doc_id::VARCHAR || ', run' AS names FROM files")
 query("lod_skeleton", lambda c: c.nodes.where("kind = 'symbol'").groupBy("file_path").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 20), "\n").alias("skeleton")), "SELECT file_path, string_agg(DISTINCT name, chr(10) ORDER BY name) AS skeleton FROM nodes WHERE kind = 'symbol' GROUP BY 1")
 query("vec_embed_fake", lambda c: c.documents.select("doc_id", vf.fake(F.col("text")).alias("embedding")))
 query("vec_embed_native", lambda c: c.benchmark.select("item_id", F.size(vf.hashed(F.col("text"), 32)).alias("dims")), "SELECT item_id, 32 AS dims FROM benchmark")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..facade import Corpus, Registry
 from ..functions import paths, vectors
-from ..operators import aggregates as ag
 from ..operators import content, sinks
 from ..sources import files as op
 from ..sources.paged import issues
@@ -37,29 +36,6 @@ query("scan_todos", lambda c: op.todos(c.files.withColumn("text", F.concat(F.lit
 query("scan_roadmap_keywords", lambda c: c.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"(?i)\b(?:idiot|licensed|password)\b")).groupBy("doc_id").agg(F.count("*").alias("n")), r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '(?i)\b(idiot|licensed|password)\b') GROUP BY 1")
 query("scan_vendor_dirs", lambda c: c.files.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("dir")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).withColumn("tier", F.when(F.col("dir").isin("node_modules", "vendor"), "vendor").when(F.col("files") > 25000, "large").otherwise("own")), "SELECT split_part(path, '/', 1) AS dir, count(*) AS files, sum(size)::BIGINT AS bytes, CASE WHEN split_part(path, '/', 1) = 'node_modules' THEN 'vendor' ELSE 'own' END AS tier FROM files GROUP BY 1")
 query("scan_sql_concepts", lambda c: c.concepts.where("status = 'seed' AND category = 'technical'").select("id", F.from_json(F.to_json(F.array("a1", "a2")), "array<string>").alias("anchors")).select("id", F.size("anchors").alias("n")), "SELECT id, 2 AS n FROM concepts WHERE status = 'seed' AND category = 'technical'")
-#: Extension point: analyzers are plans over the catalog with one finding schema.
-ANALYZERS = {
-    "unused": lambda c: c.nodes.where("kind = 'file'").join(c.edges.where("kind = 'imports'").select(F.col("target").alias("id")), "id", "left_anti").select(F.lit("unused").alias("analyzer"), F.lit("info").alias("severity"), F.col("file_path")),
-    "large": lambda c: c.nodes.where("kind = 'file' AND size >= 80000").select(F.lit("large").alias("analyzer"), F.lit("critical").alias("severity"), "file_path"),
-    "hubs": lambda c: ag.in_degrees(c.edges, ["imports"]).where("in_degree >= 15").join(c.nodes, "id").select(F.lit("hubs").alias("analyzer"), F.lit("warning").alias("severity"), "file_path"),
-}
-
-
-def audit(c, names=None):
-    out = None
-    for name in names or sorted(ANALYZERS):
-        df = ANALYZERS[name](c)
-        out = df if out is None else out.unionByName(df)
-    return out
-
-
-AUDIT = "f AS (SELECT 'unused' AS analyzer, 'info' AS severity, file_path FROM nodes WHERE kind = 'file' AND id NOT IN (SELECT target FROM edges WHERE kind = 'imports') UNION ALL SELECT 'large', 'critical', file_path FROM nodes WHERE kind = 'file' AND size >= 80000 UNION ALL SELECT 'hubs', 'warning', file_path FROM nodes JOIN (SELECT target FROM edges WHERE kind = 'imports' GROUP BY 1 HAVING count(*) >= 15) ON target = id)"
-query("udf_analyzer", lambda c: audit(c, ["large"]), f"WITH {AUDIT} SELECT * FROM f WHERE analyzer = 'large'")
-query("agg_audit", audit, f"WITH {AUDIT} SELECT * FROM f")
-query("agg_health_scan", lambda c: audit(c).groupBy("analyzer", "severity").agg(F.count("*").alias("n")), f"WITH {AUDIT} SELECT analyzer, severity, count(*) AS n FROM f GROUP BY 1, 2")
-query("agg_security_score", lambda c: c.documents.agg(F.count_if(F.col("text").rlike(r"(?i)password")).alias("bad"), F.count("*").alias("n")).select("bad", F.round(100.0 * (1 - F.col("bad") / F.col("n")), 2).alias("score")), "SELECT count(*) FILTER (regexp_matches(text, '(?i)password')) AS bad, round(100.0::DOUBLE * (1 - count(*) FILTER (regexp_matches(text, '(?i)password')) / count(*)::DOUBLE), 2) AS score FROM documents")
-
-
 PAGES = [[{"number": 1, "title": "a", "labels": ["bug", "high"]}, {"number": 2, "title": "b", "labels": []}], [{"number": 3, "title": "c", "labels": ["Security", "critical"], "state": "closed"}]]
 query("scan_github", lambda c: issues(c.spark, PAGES), "SELECT * FROM (VALUES (1::BIGINT, 'a', 'bug', 'P1', 'open'), (2, 'b', 'feature', 'P2', 'open'), (3, 'c', 'security', 'P0', 'closed')) v(number, title, category, priority, state)")
 EMBEDDERS = Registry(hashed=lambda col: vectors.hashed(col, 16))
