@@ -84,3 +84,18 @@ def atlas_budget(files: Column) -> Column:
 def root_budget(files: Column) -> Column:
     full = atlas_budget(files)
     return F.when(full <= 0, 0).otherwise(F.greatest(F.lit(1200), F.least(F.lit(2500), F.floor(full * 0.55)))).cast("long")
+
+
+def modified(weight: Column, key: str, modifiers: dict[str, tuple[float, float]]) -> Column:
+    """weight scaled and shifted by what its row's key asks for, within 0 and 1."""
+    out = F.when(F.lit(False), weight)
+    for name, (scale, shift) in modifiers.items():
+        out = out.when(F.col(key) == name, weight * scale + shift)
+    return F.least(F.greatest(out.otherwise(weight), F.lit(0.0)), F.lit(1.0))
+
+
+def resolved(items: DataFrame, by_anchor: DataFrame, by_module: DataFrame, default: str = "default") -> DataFrame:
+    """(id, role, by) of items (id, a1, module): the role of the anchor goes before that of the module, and both before the default."""
+    both = items.join(by_anchor.withColumnRenamed("role", "ra"), "a1", "left").join(by_module.withColumnRenamed("role", "rm"), "module", "left")
+    by = F.when(F.col("ra").isNotNull(), "anchor").when(F.col("rm").isNotNull(), "module").otherwise("default")
+    return both.select("id", F.coalesce("ra", "rm", F.lit(default)).alias("role"), by.alias("by"))

@@ -145,9 +145,15 @@ def convergence(before: DataFrame, now: DataFrame, settled: float = 0.95) -> Dat
     return both.agg(F.round(F.avg((F.col("score") >= settled).cast("double")), 6).alias("settled_ratio"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0)))), 6).alias("max_residual"))
 
 
-def segments(files: DataFrame, least: int = 10, most: int = 15) -> DataFrame:
-    """Files by top folder; small groups join ``root``, and so do those beyond the most largest."""
-    n = files.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("segment")).agg(F.count("*").alias("n"))
+def segments(files: DataFrame, least: int = 10, most: int = 15, share: float = 0.25) -> DataFrame:
+    """Files by top folder, a folder with more than a share of all files by its subfolders; small groups join ``root``, and so do those beyond the most largest.
+
+    Only folders are ranked, not files.
+    """
+    top, sub = F.split_part("path", F.lit("/"), F.lit(1)), F.array_join(F.slice(F.split("path", "/"), 1, 2), "/")
+    n = files.groupBy(top.alias("top"), sub.alias("sub")).agg(F.count("*").alias("n"))
+    deep = F.sum("n").over(W.partitionBy("top")) > share * F.sum("n").over(W.partitionBy())
+    n = n.withColumn("segment", F.when(deep, F.col("sub")).otherwise(F.col("top"))).groupBy("segment").agg(F.sum("n").alias("n"))
     ranked = n.withColumn("__r", F.row_number().over(W.orderBy(F.desc("n"), "segment")))
     keep = F.when((F.col("n") >= least) & (F.col("__r") <= most), F.col("segment")).otherwise("root")
     return ranked.groupBy(keep.alias("segment")).agg(F.sum("n").alias("n"))
@@ -196,3 +202,13 @@ def integrity(before: DataFrame, after: DataFrame) -> DataFrame:
     ratio = F.col("new") / F.greatest(F.col("old"), F.lit(1))
     state = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "deleted").when((F.col("old") > 0) & (F.col("new") == 0), "catastrophic").when(ratio < 0.5, "major_shrink").when(ratio > 1.5, "growth").otherwise("ok")
     return both.withColumn("state", state)
+
+
+def audit_context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """What analyzers know of each file: its node, symbols, imports and importers."""
+    files = nodes.where("kind = 'file'").select("id", "file_path", "language", "size")
+    symbols = nodes.where("kind = 'symbol'").groupBy("file_path").agg(F.count("*").alias("symbols"))
+    used = edges.where("kind = 'imports'")
+    out, back = (used.groupBy(F.col(end).alias("id")).agg(F.count("*").alias(name)) for end, name in (("source", "imports"), ("target", "importers")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return files.join(symbols, "file_path", "left").join(out, "id", "left").join(back, "id", "left").select("id", "file_path", "language", "size", zero("symbols"), zero("imports"), zero("importers"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import paths
 from ..sources.scratch import kept
@@ -145,15 +148,21 @@ def agent_conflicts(observations: DataFrame) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, key: list[str], left_ts: str, right_ts: str, take: list[str], days: int = 32) -> DataFrame:
-    """Each left row with the latest right row of its key not after it: one union, one sort per key, no range join.
+    """Each left row with the latest right row of its key not after it, by buckets of days, so that a hot key is many groups.
 
-    Keys are expected to be of modest size each; for a hot key, add a coarser time bucket to it.
+    Inside a bucket one union is sorted by time; what a bucket starts with is the last right row of the buckets before it, found among one row a key and bucket.
     """
-    a = left.withColumn("__ts", F.col(left_ts)).withColumn("__side", F.lit(1)).withColumn("__take", F.lit(None).cast(right.select(F.struct(*take)).schema[0].dataType))
-    b = right.select(*key, F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), F.struct(*take).alias("__take"))
-    w = W.partitionBy(*key).orderBy("__ts", "__side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("__take", F.last("__take", ignorenulls=True).over(w))
-    return both.where("__side = 1").select(*left.columns, *(F.col(f"__take.{t}").alias(t) for t in take))
+    number = isinstance(left.schema[left_ts].dataType, NumericType)  # numbers are seconds
+    bucket = lambda ts: F.floor(F.col(ts) / (days * 86_400) if number else F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) / days)
+    a = left.withColumn("__b", bucket(left_ts)).withColumn("__ts", F.col(left_ts)).withColumn("__side", F.lit(1))
+    b = right.select(*key, bucket(right_ts).alias("__b"), F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), F.struct(*take).alias("__take"))
+    ends = a.select(*key, "__b").distinct().join(b.groupBy(*key, "__b").agg(F.max_by("__take", "__ts").alias("__last")), [*key, "__b"], "full_outer")
+    before = W.partitionBy(*key).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    starts = ends.withColumn("__start", F.last("__last", ignorenulls=True).over(before)).drop("__last")
+    w = W.partitionBy(*key, "__b").orderBy("__ts", "__side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__take", F.last("__take", ignorenulls=True).over(w)).where("__side = 1")
+    out = both.join(starts, [*key, "__b"], "left").withColumn("__take", F.coalesce("__take", "__start"))
+    return out.select(*left.columns, *(F.col(f"__take.{t}").alias(t) for t in take))
 
 
 def ranking_diff(old: DataFrame, new: DataFrame, key: str, rank: str = "rank") -> DataFrame:
@@ -226,10 +235,16 @@ def rule_hits(changed: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
     return changed.select("path", F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("h")).select("path", "h.rule", "h.severity")
 
 
+def _equals(term: str) -> Callable[[Column], Column]:
+    return lambda x: x == F.lit(term)
+
+
 def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id and BM25 score of documents that hold any of the terms: only their postings are counted."""
+    """id and BM25 score of documents that hold any of the terms. Texts are read once, for their lengths and the few words that are asked for."""
+    terms = list(dict.fromkeys(terms))
     words = F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    tokens = docs.select(id_col, words.alias("w")).select(id_col, F.size("w").alias("len"), *(F.size(F.filter("w", lambda x: x == F.lit(t))).alias(f"__{i}") for i, t in enumerate(terms)))
+    read = docs.select(id_col, F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("len"), F.filter(w, lambda x: x.isin(terms)).alias("hits")))[0].alias("__r"))
+    tokens = kept(read.select(id_col, "__r.len", *(F.size(F.filter("__r.hits", _equals(t))).alias(f"__{i}") for i, t in enumerate(terms))), "postings")
     stats = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.sum(F.when(F.col(f"__{i}") > 0, 1).otherwise(0)).alias(f"__df{i}") for i in range(len(terms))))
     joined = tokens.where(reduce(lambda x, y: x | y, [F.col(f"__{i}") > 0 for i in range(len(terms))])).join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -239,6 +254,20 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, id
     return joined.select(id_col, F.round(score, 6).alias("score"))
 
 
+def search_notes(notes: DataFrame, question: str, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """id and score of notes by BM25 of a question's words; if none has any, those that hold the question as it stands, at 0."""
+    terms = [w for w in re.findall(r"[^\W_]+", question.lower()) if w] or ["\x00"]
+    found = bm25(notes, terms, id_col=id_col, text_col=text_col)
+    if not found.isEmpty():
+        return found
+    return notes.where(F.contains(text_col, F.lit(question))).select(id_col, F.lit(0.0).alias("score"))
+
+
+def missing_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, missing) of nodes with edges to what isn't there, and how many."""
+    return edges.join(nodes.select(F.col("id").alias("target")), "target", "left_anti").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("missing"))
+
+
 def with_untested(files: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per top folder: files that aren't tests, those that a test names, and the share."""
     sources = files.where(~paths.test_file(F.col("path"))).join(pairs.select(F.col("source").alias("path"), F.lit(1).alias("hit")).distinct(), "path", "left")

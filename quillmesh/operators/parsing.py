@@ -146,3 +146,16 @@ def summaries(graph: DataFrame, notes: DataFrame) -> DataFrame:
     public = graph.where("part = 'node' AND name NOT LIKE '\\_%' AND name NOT LIKE '%.\\_%'").groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
     lines = F.array(F.concat(F.lit("# "), "path"), F.concat(F.lit("## "), "summary"), F.concat(F.lit("Role: "), "role"), F.concat(F.lit("Exports: "), "names"))
     return notes.join(public, "path", "left").select("path", F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n").alias("summary"))
+
+
+def synopses(files: DataFrame, most: int = 1500) -> DataFrame:
+    """(path, synopsis): the file, its purpose, its classes with the first line of their docstrings, its functions; column functions only."""
+    quoted = r"""(?:'''|\"\"\")(.+?)(?:'''|\"\"\")"""
+    first = lambda doc: F.trim(F.split_part(F.trim(doc), F.lit("\n"), F.lit(1)))
+    purpose = first(F.regexp_extract("text", r"(?s)\A\s*" + quoted, 1))
+    head = r"(?ms)^class\s+(\w+)[^:]*:\s*\n\s*" + quoted
+    classes = F.zip_with(F.regexp_extract_all("text", F.lit(head), F.lit(1)), F.regexp_extract_all("text", F.lit(head), F.lit(2)), lambda n, d: F.when(first(d) != "", F.concat(n, F.lit(" — "), first(d))).otherwise(n))
+    functions = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?m)^\s*def\s+([a-zA-Z]\w*)\s*\("), F.lit(1))))
+    part = lambda name, text: F.when(text != "", F.concat(F.lit(f"{name}: "), text))
+    lines = F.array(part("File", F.col("path")), part("Purpose", purpose), part("Classes", F.array_join(classes, "; ")), part("Functions", F.array_join(functions, ", ")))
+    return files.select("path", F.substring(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n"), 1, most).alias("synopsis"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,9 +89,21 @@ def valleys(df: DataFrame, keys: list[str], order: str, value: str, share: float
 
 
 def spaced(df: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
-    """Greedily from the first, positions at least gap apart: a fold over each group's sorted positions."""
-    kept = F.aggregate(F.array_sort(F.collect_list(at)), F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(x.cast("long")))).otherwise(acc))
-    return df.groupBy(*keys).agg(kept.alias("kept")).select(*keys, F.explode("kept").alias(at))
+    """Greedily from the first, positions at least gap apart: one pass over each group in order, which holds no more than the last position taken."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for b in batches:
+            keep = []
+            for *k, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                take = k != key or x - last >= gap
+                if take:
+                    key, last = k, x
+                keep.append(take)
+            yield b.filter(pa.array(keep))
+
+    rows = df.select(*keys, F.col(at).cast("long").alias(at)).where(F.col(at).isNotNull())
+    return rows.repartition(*keys).sortWithinPartitions(*keys, at).mapInArrow(run, rows.schema)
 
 
 def adaptive_cut(df: DataFrame, keys: list[str], score: str, id_col: str, ratio: float, k: int) -> DataFrame:

@@ -101,7 +101,14 @@ query(
     """SELECT round(avg((confidence >= 0.6)::INT), 6) AS settled_ratio, round(avg(confidence::DOUBLE), 6) AS mean,
     round(max(CASE WHEN status = 'active' THEN abs(confidence::DOUBLE - confidence::DOUBLE * 0.9::DOUBLE) ELSE confidence::DOUBLE END), 6) AS max_residual FROM concepts""",
 )
-query("agg_segments", lambda c: op.segments(c.files, 26), "SELECT CASE WHEN n >= 26 THEN s ELSE 'root' END AS segment, sum(n)::BIGINT AS n FROM (SELECT split_part(path, '/', 1) AS s, count(*) AS n FROM files GROUP BY 1) GROUP BY 1")
+query(
+    "agg_segments",
+    lambda c: op.segments(c.files, 26, 5, 0.2),
+    """WITH f AS (SELECT split_part(path, '/', 1) AS top, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS sub FROM files),
+    g AS (SELECT CASE WHEN count(*) OVER (PARTITION BY top) > 0.2 * count(*) OVER () THEN sub ELSE top END AS s FROM f), n AS (SELECT s, count(*) AS n FROM g GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (ORDER BY n DESC, s) AS r FROM n)
+    SELECT CASE WHEN n >= 26 AND r <= 5 THEN s ELSE 'root' END AS segment, sum(n)::BIGINT AS n FROM r GROUP BY 1""",
+)
 query("agg_routing_desc", lambda c: op.segment_descriptors(c.part_paths.select(F.col("p_brand").alias("segment"), F.col("p_type").alias("tag")), c.commits.groupBy("path").agg(F.count("*").alias("degree")).join(c.modules, "path").select(F.col("module").alias("segment"), "path", "degree")),
       "WITH t AS (SELECT p_brand AS segment, p_type AS tag, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS r FROM part_paths GROUP BY 1, 2), h AS (SELECT module AS segment, path, row_number() OVER (PARTITION BY module ORDER BY count(*) DESC, path) AS r FROM commits JOIN modules USING (path) GROUP BY 1, 2) SELECT coalesce(a.segment, b.segment) AS segment, tags, hubs FROM (SELECT segment, string_agg(tag, ',' ORDER BY r) AS tags FROM t WHERE r <= 3 GROUP BY 1) a FULL JOIN (SELECT segment, string_agg(path, ',' ORDER BY r) AS hubs FROM h WHERE r <= 2 GROUP BY 1) b ON a.segment = b.segment")
 query("agg_exec_tags", lambda c: c.files.select(F.explode(F.array("lang", "source")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(8), "SELECT tag, count(*) AS n FROM (SELECT lang AS tag FROM files UNION ALL SELECT source FROM files) GROUP BY 1 ORDER BY n DESC, tag LIMIT 8")

@@ -70,7 +70,7 @@ CHECKS = {
     "stale_knowledge": ("agg_obs_stats", "stale > fresh", 0),
     "shrunken_files": ("agg_integrity", "state IN ('catastrophic', 'major_shrink') AND n > 0", 0),
     "links_in_output": ("txt_strip_urls", "contains(text, 'https://')", 0),
-    "unlinked_references": ("join_missing_refs", "kind = 'calls'", 0),
+    "unlinked_references": ("join_missing_refs", "missing > 5", 0),
     "rejected_links": ("gr_inferred", "verdict = 'rejected'", 0),
     "conflicting_rules": ("join_conflicts", "true", 100),
     "agents_in_conflict": ("join_agent_conflicts", "a = b", 0),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions import text as tx
+from ..operators import graphs as gr
 from ..operators import joins as op
 from .registry import query
 
@@ -36,12 +37,16 @@ query("join_edge_nodes", lambda c: op.neighbours(c.edges, c.nodes, c.nodes.where
       """SELECT probe, direction, neighbour, kind, file_path FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY direction, neighbour, kind) AS r FROM (
       SELECT source AS probe, 'out' AS direction, target AS neighbour, kind FROM edges WHERE kind = 'imports' UNION ALL SELECT target, 'in', source, kind FROM edges WHERE kind = 'imports') e
       JOIN nodes ON nodes.id = e.neighbour WHERE probe IN (SELECT id FROM nodes WHERE language = 'typescript' AND kind = 'file')) WHERE r <= 20""".replace("SELECT *, row_number()", "SELECT e.*, file_path, row_number()").replace("ORDER BY direction, neighbour, kind)", "ORDER BY direction, neighbour, e.kind)"))
-query("join_fts_obs", lambda c: op.bm25(c.documents, ["the", "idiot", "der"], id_col="doc_id"),
-      r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-      k AS (SELECT doc_id, len(w) AS l, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'idiot')) AS b, len(list_filter(w, lambda x: x = 'der')) AS d FROM t),
-      s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (a > 0) AS fa, count(*) FILTER (b > 0) AS fb, count(*) FILTER (d > 0) AS fd FROM k)
-      SELECT doc_id, round(ln(1 + (n - fa + 0.5::DOUBLE) / (fa + 0.5::DOUBLE)) * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)) + ln(1 + (n - fb + 0.5::DOUBLE) / (fb + 0.5::DOUBLE)) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)) + ln(1 + (n - fd + 0.5::DOUBLE) / (fd + 0.5::DOUBLE)) * d * 2.2::DOUBLE / (d + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)), 6) AS score
-      FROM k, s WHERE a + b + d > 0""")
+query(
+    "join_fts_obs",
+    lambda c: op.search_notes(c.observations, "any error or purchase").withColumn("leg", F.lit("words")).unionByName(op.search_notes(c.observations, "nup se").withColumn("leg", F.lit("whole"))),
+    r"""WITH t AS (SELECT id, content, list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM observations),
+    k AS (SELECT id, len(w) AS l, len(list_filter(w, lambda x: x = 'error')) AS a, len(list_filter(w, lambda x: x = 'purchase')) AS b FROM t),
+    s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (a > 0) AS fa, count(*) FILTER (b > 0) AS fb FROM k)
+    SELECT id, round(ln(1 + (n - fa + 0.5::DOUBLE) / (fa + 0.5::DOUBLE)) * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m))
+        + ln(1 + (n - fb + 0.5::DOUBLE) / (fb + 0.5::DOUBLE)) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)), 6) AS score, 'words' AS leg
+    FROM k, s WHERE a + b > 0 UNION ALL SELECT id, 0.0::DOUBLE, 'whole' FROM t WHERE contains(content, 'nup se')""",
+)
 query("join_enrich_findings", lambda c: op.enriched_findings(c.items.select("id", "file_path", "severity"), c.commits.groupBy(F.concat(F.lit("part/"), F.col("author") % 30, F.lit(".py")).alias("file_path")).agg((F.count("*") % 25).alias("dependents"))),
       "SELECT id, i.file_path, severity, coalesce(d, 0) AS dependents, round(least(CASE severity WHEN 'critical' THEN 1.0::DOUBLE WHEN 'warning' THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END * (1 + coalesce(d, 0) / 20.0::DOUBLE), 1.0::DOUBLE), 4) AS risk FROM items i LEFT JOIN (SELECT 'part/' || (author % 30)::VARCHAR || '.py' AS file_path, count(*) % 25 AS d FROM commits GROUP BY 1) x ON i.file_path = x.file_path")
 MOD = "m AS (SELECT id, file_path, coalesce(module, CASE WHEN file_path LIKE 'supplier/%' THEN 'supplier' || (length(file_path) % 5)::VARCHAR END) AS module FROM nodes LEFT JOIN modules ON path = file_path)"
@@ -127,8 +132,20 @@ query("join_doc_segment", lambda c: op.documents_of_segments(c.commits.select(F.
       "SELECT segment, doc_id, overlap FROM (SELECT module AS segment, author AS doc_id, count(DISTINCT path) AS overlap, row_number() OVER (PARTITION BY module ORDER BY count(DISTINCT path) DESC, author) AS r FROM commits JOIN modules USING (path) GROUP BY 1, 2) WHERE r <= 5")
 query("join_docs_module", lambda c: c.commits.join(c.modules.where("module = 'Brand#1' OR module LIKE '%2'"), "path", "left_semi").groupBy("author").agg(F.countDistinct("path").alias("overlap")),
       "SELECT author, count(DISTINCT path) AS overlap FROM commits WHERE path IN (SELECT path FROM modules WHERE module = 'Brand#1' OR module LIKE '%2') GROUP BY author")
-query("join_missing_refs", lambda c: c.edges.join(c.nodes.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target", "kind"), "SELECT source, target, kind FROM edges WHERE target NOT IN (SELECT id FROM nodes)")
-query("join_edge_closure", lambda c: op.valid_edges(c.edges, c.nodes.where("size > 20000 OR language = 'typescript'")).select("source", "target", "kind"), "SELECT DISTINCT source, target, kind FROM edges WHERE source IN (SELECT id FROM nodes WHERE size > 20000 OR language = 'typescript') AND target IN (SELECT id FROM nodes WHERE size > 20000 OR language = 'typescript')")
+query(
+    "join_missing_refs",
+    lambda c: gr.decay(c.edges, c.nodes.select("id", F.lit(0.8).alias("score")), op.missing_references(c.edges, c.nodes).select("id"), 1).join(op.missing_references(c.edges, c.nodes), "id", "left")
+    .select("id", "score", F.coalesce("missing", F.lit(0)).alias("missing")),
+    """WITH m AS (SELECT source AS id, count(*) AS missing FROM edges WHERE target NOT IN (SELECT id FROM nodes) GROUP BY 1),
+    k AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), h AS (SELECT DISTINCT b AS id FROM k WHERE a IN (SELECT id FROM m) AND b IN (SELECT id FROM nodes) AND b NOT IN (SELECT id FROM m))
+    SELECT id, 0.0::DOUBLE AS score, missing FROM m UNION ALL SELECT id, 0.76::DOUBLE, 0 FROM h""",
+)
+query(
+    "join_edge_closure",
+    lambda c: op.valid_edges(c.edges, c.nodes.where("size > 20000 OR language = 'typescript'")).select("source", "target", "kind").orderBy("source", "target", "kind").limit(300),
+    """SELECT DISTINCT source, target, kind FROM edges WHERE source IN (SELECT id FROM nodes WHERE size > 20000 OR language = 'typescript')
+    AND target IN (SELECT id FROM nodes WHERE size > 20000 OR language = 'typescript') ORDER BY source, target, kind LIMIT 300""",
+)
 query("join_validate_edges", lambda c: op.valid_edges(c.edges, c.nodes).groupBy("kind", "origin").agg(F.count("*").alias("n")), "SELECT kind, origin, count(*) AS n FROM (SELECT DISTINCT source, target, kind, origin FROM edges WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)) GROUP BY 1, 2")
 query("join_replace_origin", lambda c: op.replace_origin(c.edges.select("source", "target", "kind", "origin"), c.edges.where("origin IN ('static', 'inferred') AND weight > 1").select("source", "target", "kind", "origin").drop("origin"), "inferred"),
       "SELECT source, target, kind, origin FROM edges WHERE origin <> 'inferred' UNION ALL SELECT source, target, kind, 'inferred' FROM edges e WHERE origin IN ('static', 'inferred') AND weight > 1 AND NOT EXISTS (SELECT 1 FROM edges r WHERE r.origin <> 'inferred' AND r.source = e.source AND r.target = e.target AND r.kind = e.kind)")

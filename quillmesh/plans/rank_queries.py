@@ -24,8 +24,19 @@ SG = """n AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM s), d AS (SELEC
 JOIN n m2 ON m2.k = a.k AND m2.i = CASE WHEN a.i - 2 < 1 THEN 2 - (a.i - 2) ELSE a.i - 2 END JOIN n m1 ON m1.k = a.k AND m1.i = CASE WHEN a.i - 1 < 1 THEN 2 - (a.i - 1) ELSE a.i - 1 END
 JOIN n p1 ON p1.k = a.k AND p1.i = CASE WHEN a.i + 1 > a.n THEN 2 * a.n - (a.i + 1) ELSE a.i + 1 END JOIN n p2 ON p2.k = a.k AND p2.i = CASE WHEN a.i + 2 > a.n THEN 2 * a.n - (a.i + 2) ELSE a.i + 2 END WHERE a.n >= 5)"""
 query("win_sg_derivative", lambda c: op.smooth_derivative(series(c), ["k"], "i", "v").where("derivative IS NOT NULL").select("k", "i", (F.round("derivative", 6) + 0.0).alias("derivative")), f"WITH {SERIES}, {SG} SELECT k, i::INT AS i, round(d, 6) + 0.0::DOUBLE AS derivative FROM d")
-query("win_boundaries", lambda c: op.valleys(series(c), ["k"], "i", "v", 0.3).select("k", "i"), f"WITH {SERIES}, {SG}, b AS (SELECT *, lag(d) OVER (PARTITION BY k ORDER BY i) AS before FROM d) SELECT k, i::INT AS i FROM b WHERE before < 0 AND d >= 0 AND v <= (SELECT quantile_cont(v, 0.3) FROM s WHERE s.k = b.k)")
-query("win_min_distance", lambda c: op.spaced(series(c), ["k"], "i", 3))
+query(
+    "win_boundaries",
+    lambda c: op.spaced(op.valleys(series(c), ["k"], "i", "v", 0.3).select("k", "i"), ["k"], "i", 3),
+    f"""WITH RECURSIVE {SERIES}, {SG}, b AS (SELECT *, lag(d) OVER (PARTITION BY k ORDER BY i) AS before FROM d),
+    p AS (SELECT k, i FROM b WHERE before < 0 AND d >= 0 AND v <= (SELECT quantile_cont(v, 0.3) FROM s WHERE s.k = b.k)),
+    r AS (SELECT k, min(i) AS i FROM p GROUP BY 1 UNION ALL SELECT r.k, min(p.i) FROM r JOIN p ON p.k = r.k AND p.i >= r.i + 3 GROUP BY r.k, r.i) SELECT k, i FROM r""",
+)
+query(
+    "win_min_distance",
+    lambda c: op.spaced(c.events.select(F.col("user_id").alias("k"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("i")).distinct(), ["k"], "i", 50_000),
+    """WITH RECURSIVE p AS (SELECT DISTINCT user_id AS k, floor(epoch(ts))::BIGINT AS i FROM events),
+    r AS (SELECT k, min(i) AS i FROM p GROUP BY 1 UNION ALL SELECT r.k, min(p.i) FROM r JOIN p ON p.k = r.k AND p.i >= r.i + 50000 GROUP BY r.k, r.i) SELECT k, i FROM r""",
+)
 query("win_adaptive_k", lambda c: op.adaptive_cut(c.concepts.select(F.col("module").alias("q"), "id", (F.col("confidence") * (F.col("id") % 3 + 1)).alias("score")), ["q"], "score", "id", 0.15, 10).select("q", "id", "rank"),
       "WITH r AS (SELECT module AS q, id, confidence::DOUBLE * (id % 3 + 1) AS score FROM concepts), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM r), d AS (SELECT *, lag(score) OVER (PARTITION BY q ORDER BY rank) - score > 0.15 * first_value(score) OVER (PARTITION BY q ORDER BY rank) AS g FROM k WHERE rank <= 10) SELECT q, id, rank::INT AS rank FROM (SELECT *, max(coalesce(g, false)::INT) OVER (PARTITION BY q ORDER BY rank) AS gone FROM d) WHERE gone = 0")
 query("win_dedup_file", lambda c: op.latest(c.commits.select("path", "commit_id", "added"), ["path"], [F.desc("added"), "commit_id"]), "SELECT path, commit_id, added FROM (SELECT path, commit_id, added, row_number() OVER (PARTITION BY path ORDER BY added DESC, commit_id) AS r FROM commits) WHERE r = 1")
@@ -58,7 +69,13 @@ status = lambda c: c.files.select("path", F.expr(STATUS).alias("status"))  # noq
 query("set_all_known", lambda c: status(c).where("status != 'deleted'").select("path"), f"SELECT path FROM files WHERE {STATUS} <> 'deleted'")
 query("set_should_process", lambda c: c.files.select("path", "size").join(status(c).where("status IN ('added', 'modified')"), "path", "left_semi"), f"SELECT path, size FROM files WHERE {STATUS} IN ('added', 'modified')")
 query("set_scope_membership", lambda c: c.files.where("path LIKE 'src/%'").select("path").union(c.files.where("doc_id % 3 = 0").select("path")).distinct(), "SELECT path FROM files WHERE path LIKE 'src/%' OR doc_id % 3 = 0")
-query("set_dedupe_swarm", lambda c: op.latest(c.concepts, ["a1"], [F.desc("confidence"), F.desc(F.length("title")), "id"]).select("a1", "id"), "SELECT a1, id FROM (SELECT a1, id, row_number() OVER (PARTITION BY a1 ORDER BY confidence DESC, length(title) DESC, id) AS r FROM concepts) WHERE r = 1")
+query(
+    "set_dedupe_swarm",
+    lambda c: op.latest(c.concepts.withColumn("tier", F.expr("CASE category WHEN 'constraint' THEN 2 WHEN 'architecture' THEN 1 ELSE 0 END")).withColumn("anchors", F.size(F.array_distinct(F.array("a1", "a2")))),
+                        ["a1", "kind"], [F.desc("tier"), F.desc("anchors"), F.desc(F.length("title")), "id"]).select("a1", "kind", "id"),
+    """SELECT a1, kind, id FROM (SELECT *, row_number() OVER (PARTITION BY a1, kind ORDER BY CASE category WHEN 'constraint' THEN 2 WHEN 'architecture' THEN 1 ELSE 0 END DESC,
+    CASE WHEN a1 = a2 THEN 1 ELSE 2 END DESC, length(title) DESC, id) AS r FROM concepts) WHERE r = 1""",
+)
 query("set_sanitize_graph", lambda c: jo.valid_edges(c.edges.unionByName(c.edges), c.nodes.where("file_path NOT LIKE '%:%'")).groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, count(*) AS n FROM (SELECT DISTINCT source, target, kind FROM edges WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)) GROUP BY 1")
 query("set_merge_opportunities", lambda c: op.merge_kept_state(c.items.where("id % 2 = 0").select("id", "value", "dismissed"), c.items.where("id % 3 = 0").select("id", (F.col("value") + 1).alias("value")), "id", "dismissed"), "SELECT id, CASE WHEN id % 3 = 0 THEN value + 1 ELSE value END AS value, CASE WHEN id % 2 = 0 THEN dismissed ELSE false END AS dismissed FROM items WHERE id % 2 = 0 OR id % 3 = 0")
 query("set_rationale_scope", lambda c: c.concepts.where(F.col("category").isin("constraint", "technical")).select("id", "category"), "SELECT id, category FROM concepts WHERE category IN ('constraint', 'technical')")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions import text as tx
-from ..operators import content
+from ..operators import content, parsing
 from .registry import query
 
 
@@ -77,7 +77,11 @@ query("txt_ids", lambda c: c.edges.select(tx.edge_id(F.col("kind"), F.col("sourc
 query("txt_hash_fast", lambda c: c.files.select("path", F.substring(F.sha2("text", 256), 1, 32).alias("hash"), F.lit("sha256").alias("algo")), "SELECT path, substr(sha256(text), 1, 32) AS hash, 'sha256' AS algo FROM files")
 query("txt_surrogates", lambda c: c.documents.select("doc_id", F.is_valid_utf8(F.col("text")).alias("valid")), "SELECT doc_id, true AS valid FROM documents")
 query("txt_model_family", lambda c: c.usage.select("id", tx.model_family(F.concat(F.lit("native:Embed-"), "model", F.lit("-v1.5:latest"))).alias("family")), "SELECT id, 'embed-' || model AS family FROM usage")
-query("txt_synopsis", lambda c: c.files.select("path", F.substring(F.concat(F.lit("File: "), F.col("path"), F.lit("\nFunctions: "), F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.concat(F.lit("def b(x):\ndef a(y):\n"), F.col("text")), F.lit(r"(?m)^\s*def\s+([a-zA-Z]\w*)\s*\("), F.lit(1)))), ", ")), 1, 1500).alias("synopsis")), "SELECT path, 'File: ' || path || chr(10) || 'Functions: a, b' AS synopsis FROM files")
+query(
+    "txt_synopsis",
+    lambda c: parsing.synopses(c.files.withColumn("text", F.concat(F.lit('"""Makes doc '), "doc_id", F.lit(' new.\nMore."""\nclass A'), "doc_id", F.lit(':\n    """Holds it."""\n    def run(self):\n        pass\ndef b'), "doc_id", F.lit("(x):\n    pass\n# "), F.regexp_replace("text", "\n", "\n# ")))),
+    """SELECT path, 'File: ' || path || chr(10) || 'Purpose: Makes doc ' || doc_id || ' new.' || chr(10) || 'Classes: A' || doc_id || ' — Holds it.' || chr(10) || 'Functions: b' || doc_id || ', run' AS synopsis FROM files""",
+)
 query("txt_excerpt", lambda c: c.documents.select("doc_id", tx.excerpt(F.regexp_replace("text", "\n", "\n\n"), 400).alias("e")), "WITH x AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents), y AS (SELECT *, substr(t, 1, 400) AS cut FROM x), z AS (SELECT *, regexp_extract(cut, '(?s)^(.*)\n\n', 1) AS whole FROM y) SELECT doc_id, CASE WHEN length(t) <= 400 THEN t WHEN whole <> '' THEN whole ELSE cut END AS e FROM z")
 query("txt_headings", lambda c: c.documents.select("doc_id", F.array_join(tx.headings(F.concat(F.lit("# A b\n"), "text", F.lit("\n### C\n#### D"))), "|").alias("h")), "SELECT doc_id, 'A b|C' AS h FROM documents")
 query("txt_md_links", lambda c: content.mentions(c.documents.select("doc_id", F.concat("text", F.lit(" see `src/m"), F.col("doc_id") % 5, F.lit("/a.py` and [x](docs/y"), F.col("doc_id") % 3, F.lit(".md)")).alias("text")), c.spark.createDataFrame([("src/m1/a.py",), ("docs/y2.md",)], "path string")), "SELECT doc_id, 'src/m1/a.py' AS path FROM documents WHERE doc_id % 5 = 1 UNION ALL SELECT doc_id, 'docs/y2.md' FROM documents WHERE doc_id % 3 = 2")
@@ -111,7 +115,11 @@ query(
     UNION ALL SELECT path, 'pattern_match' FROM files WHERE path LIKE '%.py' AND regexp_matches(text, '\bthe\b')
     UNION ALL SELECT path, 'coupling_threshold' FROM files WHERE path LIKE '%.rs' AND doc_id % 30 > 20""",
 )
-query("txt_concept_from_obs", lambda c: c.documents.select("doc_id", tx.title_of(F.col("text")).alias("title")), "WITH f AS (SELECT doc_id, text, trim(split_part(text, '.', 1), ' ') AS f FROM documents) SELECT doc_id, CASE WHEN f = '' THEN substr(text, 1, 80) WHEN length(f) > 80 THEN substr(f, 1, 77) || '...' ELSE f END AS title FROM f")
+query(
+    "txt_concept_from_obs",
+    lambda c: c.observations.select("id", tx.title_of(F.concat("content", F.lit(" by agent "), "agent", F.lit(". Then the rest. "), F.repeat(F.lit("x"), 90))).alias("title")),
+    "SELECT id, content || ' by agent ' || agent AS title FROM observations",
+)
 query("txt_compress_symbols", lambda c: content.compressed(c.files.select("doc_id", F.concat(F.lit("x "), F.col("path"), F.lit(" y "), F.col("path")).alias("text")), c.files.select("path")))
 query("txt_chunk_ids", lambda c: c.files.select("path", tx.digest(F.concat(F.col("path"), F.lit(":0"))).alias("id")), "SELECT path, substr(sha256(path || ':0'), 1, 16) AS id FROM files")
 query("txt_symbol_code", lambda c: content.symbol_codes(c.files.select("path")), "WITH n AS (SELECT path, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', '') AS n FROM files), k AS (SELECT path, CASE WHEN len(string_split_regex(n, '[_-]')) >= 3 THEN upper(substr(string_split_regex(n, '[_-]')[1], 1, 1) || substr(string_split_regex(n, '[_-]')[2], 1, 1) || substr(string_split_regex(n, '[_-]')[3], 1, 1)) ELSE rpad(upper(substr(n, 1, 3)), 3, 'X') END AS b FROM n) SELECT path, b || CASE WHEN r > 1 THEN r::VARCHAR ELSE '' END AS code FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY path) AS r FROM k)")

@@ -10,6 +10,12 @@ from ..functions import paths
 
 # Never scanned, whatever else is excluded.
 BASELINE = ["**/.git/**", "**/node_modules/**", "**/__pycache__/**", "**/dist/**", "**/build/**", "**/*.lock"]
+# Folders that package managers install into, and files that mark build output.
+INSTALL_DIRS = [
+    "node_modules", "bower_components", "jspm_packages", ".venv", "venv", "__pycache__", ".tox", ".nox", ".pytest_cache", ".mypy_cache", ".ruff_cache", "site-packages", "target", "vendor", "Pods", "Carthage", ".build", "DerivedData",
+    ".gradle", ".bundle", "bazel-bin", "bazel-out", "third_party",
+]
+BUILD_MARKS = ["CMakeCache.txt", "build.ninja"]
 # Marks of work left to do, with what they are about.
 MARKS = {"TODO": "feature", "FIXME": "bug", "HACK": "debt", "XXX": "debt", "OPTIMIZE": "performance", "PERF": "performance", "BUG": "bug"}
 
@@ -61,3 +67,18 @@ def todos(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     hits = lines.where(F.col("text").rlike(mark)).select("path", (F.col("n") + 1).alias("line"), F.regexp_extract("text", mark, 1).alias("mark"), F.trim(F.regexp_extract("text", mark, 2)).alias("note"))
     out = hits.withColumn("id", F.substring(F.sha2(F.concat_ws(":", "path", "line", "note"), 256), 1, 12))
     return out.join(known, "id", "left_anti") if known is not None else out
+
+
+def vendor_folders(files: DataFrame, ignored: list[str], members: list[str], most_bytes: int = 500 << 20, most_files: int = 25_000) -> DataFrame:
+    """(folder, files, bytes, tier, reason) of the top folders of files (path, size) that look vendored: auto by name, by the ignore list or by marks of build output; proposed for a repository of its own or by sheer size. Members of the workspace are the user's own."""
+    folder, rest = F.split_part("path", F.lit("/"), F.lit(1)), F.regexp_replace("path", "^[^/]*/", "")
+    inside = files.where(F.col("path").contains("/")).select(folder.alias("folder"), rest.alias("rest"), "size")
+    per = inside.groupBy("folder").agg(
+        F.count("*").alias("files"), F.sum("size").alias("bytes"), F.max(F.col("rest").isin(BUILD_MARKS)).alias("built"), F.max(F.col("rest").startswith(".git/") | (F.col("rest") == ".git")).alias("nested")
+    )
+    name = F.col("folder")
+    reason = F.when(name.isin(INSTALL_DIRS), "install folder").when(name.isin(ignored), "ignored").when(F.col("built"), "build output").when(F.col("nested"), "repository inside")
+    reason = reason.when((F.col("bytes") > most_bytes) | (F.col("files") > most_files), "size")
+    own = name.isin(members) | (name.startswith(".") & ~name.isin(INSTALL_DIRS))
+    found = per.withColumn("reason", reason).where(F.col("reason").isNotNull() & ~own)
+    return found.select("folder", "files", "bytes", F.when(F.col("reason").isin("repository inside", "size"), "propose").otherwise("auto").alias("tier"), "reason")

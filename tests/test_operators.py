@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import datetime
+import json
 import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.functions import paths, roles, vectors
+from quillmesh.functions import paths, replies, roles, vectors
 from quillmesh.functions import text as tx
-from quillmesh.operators import aggregates, content, filters, graphs, joins, rank
+from quillmesh.operators import aggregates, content, filters, graphs, joins, parsing, rank
+from quillmesh.sources import files as source
 from quillmesh.streaming import flows
 
 
@@ -322,3 +324,63 @@ def test_tag_clusters_split_by_edges(spark):
     edges = rows(spark, [(1, 2), (3, 4), (6, 3)], "a int, b int")
     got = {r.id: (r.tag, r.cluster) for r in graphs.tag_clusters(entries, edges).collect()}
     assert got == {1: ("t", 1), 2: ("t", 1), 3: ("t", 3), 6: ("t", 3), 4: ("uncategorized", None), 5: ("uncategorized", None)}
+
+
+def test_watch_debounces_spaces_and_backs_off():
+    w = flows.Watch(None, 5.0, 20.0, 300.0)
+    fired = []
+    for at, path, fails in [(0, "a", False), (3, "b", False), (10, "c", False), (40, "d", True), (41, "e", False)]:
+        w = flows.Watch(w.state(), 5.0, 20.0, 300.0)
+        fired += w.until(at)
+        w.saw(at, path, fails)
+    fired += w.until(1000)
+    # a and b together at 8, c not before 28, d and e at 48 with a failure, put back for 68 (the least gap is longer than the wait)
+    assert fired == [(8.0, 2, False), (28.0, 1, False), (48.0, 2, True), (68.0, 2, False)] and w.due() is None
+    assert [flows.backoff(n) for n in (1, 2, 5, 20)] == [1.0, 2.0, 16.0, 300.0]
+
+
+@pytest.mark.parametrize(("reply", "want"), [
+    ('{"results": [{"a": 1}, {"a": 2}]}', [1, 2]), ('[{"a": 1}]', [1]), ('{"a": 1}\n{"a": 2}', [1, 2]), ('Sure: {"a": 1} or {"a": 2}.', [1, 2]), ('```json\n[{"a": 3}]\n```', [3]),
+    ("<think>{}</think>[{\"a\": 4}]", [4]), ('{"results": [{"a": 5}, {"a": 6', [5]), ('[{"a": 7, "b": [1, 2', [7]), ("no items", []), ("", []), (None, []), ('{"results": [{"a": {"b": "}"}}]}', [{"b": "}"}]),
+])
+def test_items_of_replies(reply, want):
+    assert [json.loads(x)["a"] for x in replies.items(reply)] == want
+
+
+def test_levels_of_detail_by_spans(spark):
+    text = '"""M."""\nimport os\nX = 1\n\nclass A:\n    """Doc."""\n\n    @property\n    def p(self):\n        """P."""\n        return 1\n\n    def q(self,\n          x):\n        y = x\n        return y\n\ndef f(): return 2\n\ndef g(a):\n    def inner():\n        return a\n    return inner\n'
+    got = {lod: parsing.skeleton(text, lod) for lod in ("2", "2.5", "3", "4")}
+    assert "return y" not in got["2"] and "X = 1" in got["2"] and '"""P."""' in got["2"] and "    def q(self,\n          x):\n        ..." in got["2"] and "def f(): return 2" in got["2"]
+    assert "X = 1" not in got["2.5"] and "import os" in got["2.5"]
+    assert "def g" not in got["3"] and "def q" in got["3"] and "class A" in got["3"]
+    assert got["4"].splitlines()[0] == "import os" and "class A:" in got["4"] and "y = x" not in got["4"]
+    assert parsing.skeleton("not python (", "2") == "not python ("
+
+
+def test_hybrid_context(spark):
+    from quillmesh.facade import Corpus
+
+    corpus = Corpus(spark, "/root/testdata/sf0.001")
+    vector = corpus.tables.vectors.where("vec_id = 7").first().embedding
+    got = corpus.context("where is the idiot", list(vector), k=5, budget=20_000).collect()
+    assert got and sum(r.taken for r in got) <= 20_000 and {r.why for r in got} <= {"found", "neighbour"} and 7 in {r.doc_id for r in got}
+
+
+def test_vendor_folders(spark):
+    files = rows(spark, [("node_modules/a.js", 1), ("src/CMakeCache.txt", 1), ("lib/.git/HEAD", 1), ("big/x", 900), ("own/.git/HEAD", 5), (".hidden/x", 999), ("plain/x", 1), ("gen/x", 1), ("top.py", 999)], "path string, size long")
+    got = {r.folder: (r.tier, r.reason) for r in source.vendor_folders(files, ["gen"], ["own"], 500, 99).collect()}
+    assert got == {"node_modules": ("auto", "install folder"), "src": ("auto", "build output"), "lib": ("propose", "repository inside"), "big": ("propose", "size"), "gen": ("auto", "ignored")}
+
+
+def test_as_of_across_buckets(spark):
+    left = rows(spark, [(1, "2024-03-01"), (1, "2024-01-02"), (2, "2024-01-01")], "k int, d string").select("k", F.col("d").cast("timestamp").alias("ts"))
+    right = rows(spark, [(1, "2024-01-01", "x"), (1, "2024-01-20", "y"), (2, "2024-02-01", "z")], "k int, d string, v string").select("k", F.col("d").cast("timestamp").alias("at"), "v")
+    got = {(r.k, r.ts.month): r.v for r in joins.as_of(left, right, ["k"], "ts", "at", ["v"], 5).collect()}
+    assert got == {(1, 3): "y", (1, 1): "x", (2, 1): None}
+
+
+def test_equal_sets_are_paired_apart(spark):
+    sets = rows(spark, [(1, "a", ["x", "y", "z"]), (2, "b", ["z", "y", "x"]), (3, "a", ["x", "y", "z"]), (4, "c", ["x", "y", "z", "w"]), (5, "c", ["q"])], "id int, folder string, tokens array<string>")
+    assert {(r.a, r.b) for r in joins.jaccard_pairs(sets, 0.65).collect()} == {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)}
+    assert {(r.a, r.b) for r in joins.jaccard_pairs(sets, 0.65, apart="folder").collect()} == {(1, 2), (2, 3), (1, 4), (2, 4), (3, 4)}
+    assert [(r.a, r.b) for r in joins.jaccard_pairs(sets, 0.65, most=2).collect()] == [(1, 2), (1, 3)]
