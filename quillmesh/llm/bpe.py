@@ -8,7 +8,12 @@ left neighbour) and their paths: logarithmic work each.
 
 Pieces up to WIDE bytes are merged many at a time, one tree per row of an
 array; longer ones one by one. Pieces that are themselves in the vocabulary
-are one token. Null texts are empty: no ids.
+are one token. Equal ranks merge leftmost first.
+
+Null and empty texts have no ids, and the digest of none. Very long texts are
+encoded whole, in lots of pieces; a single piece of many megabytes is one tree
+in flat arrays. Rows that repeat each return. An empty table has no rows. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -62,21 +68,28 @@ class Vocabulary:
         return np.where(self.pairs[at] == key, self.pair_rank[at], NONE)
 
 
+def packed(kind: str, values: np.ndarray) -> array:
+    out = array(kind)
+    out.frombytes(np.ascontiguousarray(values, np.dtype(kind)).tobytes())
+    return out
+
+
 class Tree:
-    """One piece of any length."""
+    """One piece of any length, in flat arrays: some 30 bytes for each of the piece's."""
 
     def __init__(self, piece: bytes, v: Vocabulary):
         n = len(piece)
         self.width = 1 << max(1, (n - 1).bit_length())
-        self.v, self.token = v, [int(v.byte[x]) for x in piece]
-        self.next, self.prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        self.n = n
-        none = int(NONE)
-        self.least = [none] * (2 * self.width)
-        for i in range(n - 1):
-            self.least[self.width + i] = v.of_pair.get(self.token[i] << 32 | self.token[i + 1], none)
-        for i in range(self.width - 1, 0, -1):
-            self.least[i] = min(self.least[2 * i], self.least[2 * i + 1])
+        token = v.byte[np.frombuffer(piece, np.uint8)].astype(np.int64)
+        least = np.full(2 * self.width, NONE, np.int32)
+        least[self.width : self.width + n - 1] = v.rank(token[:-1], token[1:])
+        level = self.width
+        while level > 1:
+            np.minimum(least[level : 2 * level : 2], least[level + 1 : 2 * level : 2], out=least[level // 2 : level])
+            level //= 2
+        self.v, self.n = v, n
+        self.token, self.least = packed("i", token), packed("i", least)
+        self.next, self.prev = packed("q", np.arange(1, n + 1)), packed("q", np.arange(-1, n - 1))
 
     def put(self, i: int, rank: int) -> None:
         least, i = self.least, i + self.width

@@ -10,7 +10,10 @@ Runs of characters that are no letters count as one gap, letter zero; case is
 folded. Texts that are null or hold no letter are ``und`` with score 0. Equal
 cosines go to the language that sorts first. Prototypes are fitted on at most
 ``fit_rows`` labelled documents, those of the least hash; n-gram counts cover
-each whole text.
+each whole text, in parts of bounded length. Rows that repeat each return. With
+an empty table or no labels, every text is ``und``; an empty table has no rows.
+Columns beside id, text and the label are never read; ``keep_identified``
+returns them, whatever their names.
 """
 
 from __future__ import annotations

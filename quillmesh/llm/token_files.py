@@ -14,8 +14,11 @@ over the manifest (one row a shard).
 
 Words between spaces and line ends are encoded once and remembered: the
 tokenizer collapses white space and its words never span it, so a text's ids
-are those of its parts. Null texts are empty and hold just the end id; null
-document ids come first; repeated rows each return.
+are those of its parts. Null and empty texts hold just the end id; null
+document ids come first; repeated rows each return, and documents of equal id
+lie beside each other in no fixed order unless their texts are equal too. Very
+long texts are written whole; a shard is as long as its documents. An empty
+table has no files and no rows. Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -164,6 +164,78 @@ def test_language_held_out_accuracy(spark, sf):
     assert (got.lang_pred == got.lang).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def test_one_piece_of_megabytes():
+    """A run of letters is one piece; it must fit a worker, and equal the library's ids where that can still do it."""
+    c = bpe.codec(BYTE, public_tokenizers.PATTERN)
+    short = "abcdefghij" * 300 + "x" * 2000
+    assert np.frombuffer(c.encode([short])[0], "<u4").tolist() == TIK.encode_ordinary(short)
+    long = "abcxyz" * 50_000
+    ids = c.encode([long])[0]
+    assert c.decode(ids) == long.encode()
+
+
+def test_language_query_equals_a_plain_version(spark):
+    """Every text's trigrams bound letter by letter, bundled and compared, without tables or batches."""
+    d = "/root/testdata/sf0.001"
+    docs = table(spark, d, "documents")
+    profiles = hyperlang.fit_profiles(docs)
+    got = {r.doc_id: (r.lang_pred, r.score, r.held_out) for r in queries.op6_hyperdimensional_language(spark, d).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    plain = hyperlang.Bundler(hyperlang.DIM, hyperlang.GRAM)
+    for r in rows[::9]:
+        g, c, _ = hyperlang.gram_counts(r.text)
+        v = np.zeros(hyperlang.DIM)
+        for gram, n in zip(g.tolist(), c.tolist(), strict=True):
+            v += n * plain.bind(np.array([gram]))[0].astype(float)
+        cosine = profiles.vectors @ v / np.linalg.norm(v) / np.linalg.norm(profiles.vectors, axis=1)
+        lang, score, held = got[r.doc_id]
+        assert lang == profiles.langs[int(cosine.argmax())] and abs(score - max(0.0, cosine.max())) < 1e-4
+        assert held == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_toxicity_query_equals_a_plain_version(spark):
+    """Each text's features, the sum of its leaves and the calibration, one text at a time."""
+    d = "/root/testdata/sf0.001"
+    docs = table(spark, d, "documents")
+    model = toxicity.fit(docs, table(spark, d, "labels"))
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in queries.op1_toxicity(spark, d).collect()}
+    for r in docs.collect():
+        x = model.features.row(r.text)
+        f = model.trees.base
+        for feature, cut, value in zip(model.trees.feature, model.trees.cut, model.trees.value, strict=True):
+            node = 0
+            for _ in range(model.trees.depth):
+                place = int(np.searchsorted(model.trees.edges[feature[node]], x[feature[node]], "left"))
+                node = 2 * node + 1 + (place > cut[node])
+            f += value[node - (2**model.trees.depth - 1)]
+        score = float(np.clip(np.interp(f, model.scale.x, model.scale.y), 0, 1))
+        assert abs(got[r.doc_id][0] - score) < 1e-9 and got[r.doc_id][1] == (got[r.doc_id][0] >= 0.3) and got[r.doc_id][2] == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    assert len(got) == docs.count()
+
+
+def test_byte_bpe_query_equals_the_library_on_every_document(spark):
+    d = "/root/testdata/sf0.001"
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op10_byte_bpe(spark, d).collect()}
+    rows = table(spark, d, "documents").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        ids = TIK.encode_ordinary(r.text or "")
+        assert got[r.doc_id] == (len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+
+
+def test_token_file_query_equals_the_library_on_every_document(spark):
+    d = "/root/testdata/sf0.001"
+    got = sorted(queries.op7_token_files(spark, d).collect(), key=lambda r: r.doc_id)
+    rows = sorted(table(spark, d, "documents").collect(), key=lambda r: r.doc_id)
+    assert len(got) == len(rows)
+    start = 0
+    for g, r in zip(got, rows, strict=True):
+        ids = [*whole(r.text), 2]
+        assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (r.doc_id, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_language_on_odd_rows(odd, none):
     p = hyperlang.fit_profiles(odd)
     got = {(r.doc_id, r.lang_pred): r.score for r in hyperlang.predict_language(odd, p).collect()}
