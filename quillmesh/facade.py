@@ -42,7 +42,8 @@ class Corpus:
 
     def similar(self, vector: list[float], k: int = 50) -> DataFrame:
         """(doc_id, score, embedding) of the k documents whose vectors are nearest by inner product."""
-        scored = self.tables.vectors.select(F.col("vec_id").alias("doc_id"), vectors.dot(F.col("embedding"), F.array(*map(F.lit, vector))).alias("score"), "embedding")
+        scored = self.tables.vectors.select(F.col("vec_id").alias("doc_id"), vectors.dot(F.col("embedding"), F.array(*map(F.lit, vector))).alias("score"),
+            "embedding")
         return scored.orderBy(F.desc("score"), "doc_id").limit(k)
 
     def context(self, question: str, vector: list[float], k: int = 10, budget: int = 6000, ratio: float = 0.4, balance: float = 0.7) -> DataFrame:
@@ -50,18 +51,22 @@ class Corpus:
 
         doc_id, place, score, why (found or neighbour) and taken (characters). What is searched is every document; only the k * 5 best of each leg go on.
         """
-        legs = self.search(question, 5 * k).select("doc_id").withColumn("leg", F.lit("words")).withColumn("r", F.row_number().over(W.orderBy(F.monotonically_increasing_id())))
+        legs = self.search(question, 5 * k).select("doc_id").withColumn("leg", F.lit("words")).withColumn("r",
+            F.row_number().over(W.orderBy(F.monotonically_increasing_id())))
         near = self.similar(vector, 5 * k)
         ranked = near.select("doc_id", F.lit("vectors").alias("leg"), F.row_number().over(W.orderBy(F.desc("score"), "doc_id")).alias("r"))
         fused = legs.unionByName(ranked).groupBy("doc_id").agg(F.sum(1.0 / (60 + F.col("r"))).alias("score"))
         kept_ = rank.adaptive_cut(fused.withColumn("q", F.lit(0)), ["q"], "score", "doc_id", ratio, 3 * k)
-        rows = kept_.join(self.tables.vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id").select("q", F.col("doc_id").alias("id"), "score", "vec")
+        rows = kept_.join(self.tables.vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id").select("q",
+            F.col("doc_id").alias("id"), "score", "vec")
         found = vectors.diverse(rows, "q", k, balance).select(F.col("id").alias("doc_id"), "place").join(fused, "doc_id").withColumn("why", F.lit("found"))
         side = self.tables.files.join(found.select("doc_id"), "doc_id").select("source", F.col("doc_id").alias("of"))
-        beside = self.tables.files.select("doc_id", "source").join(side, "source").where("doc_id != of AND abs(doc_id - of) <= 1").select("doc_id").distinct().join(found.select("doc_id"), "doc_id", "left_anti")
+        beside = self.tables.files.select("doc_id", "source").join(side,
+            "source").where("doc_id != of AND abs(doc_id - of) <= 1").select("doc_id").distinct().join(found.select("doc_id"), "doc_id", "left_anti")
         whole = found.unionByName(beside.select("doc_id", F.lit(k + 1).alias("place"), F.lit(0.0).alias("score"), F.lit("neighbour").alias("why")))
         sized = whole.join(self.tables.files.select("doc_id", "size"), "doc_id").withColumn("q", F.lit(0))
-        return vectors.within_budget(sized, "q", ["place", "doc_id"], "size", budget).select("doc_id", "place", F.round("score", 6).alias("score"), "why", "taken")
+        return vectors.within_budget(sized, "q", ["place", "doc_id"], "size", budget).select("doc_id", "place", F.round("score", 6).alias("score"), "why",
+            "taken")
 
     def consensus(self, least: int = 2) -> DataFrame:
         return aggregates.consensus(self.tables.observations, least)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 # File name endings and their languages.
 LANGUAGES = {
-    ".py": "python", ".pyi": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".go": "go", ".rs": "rust", ".java": "java", ".kt": "kotlin", ".swift": "swift",
-    ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp", ".rb": "ruby", ".php": "php", ".cs": "csharp", ".scala": "scala", ".md": "markdown", ".sh": "shell", ".sql": "sql",
+    ".py": "python", ".pyi": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".go": "go",
+        ".rs": "rust", ".java": "java", ".kt": "kotlin", ".swift": "swift",
+    ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp", ".rb": "ruby", ".php": "php", ".cs": "csharp", ".scala": "scala", ".md": "markdown",
+        ".sh": "shell", ".sql": "sql",
 }
 
 # Directory names that place a file in a layer; the first that matches wins.
@@ -35,7 +37,8 @@ GENERATED_ENDS = [".d.ts", ".min.js", ".min.css", ".pb.go", "_pb2.py", ".generat
 GENERATED_DIRS = ["__generated__", "generated", "dist", "build"]
 
 # What change statistics leave out.
-NOISE_DIRS = [".git", "node_modules", "__pycache__", ".venv", "venv", "env", ".tox", ".pytest_cache", ".mypy_cache", ".ruff_cache", "htmlcov", "coverage", "dist", "build", "target", "out", "vendor"]
+NOISE_DIRS = [".git", "node_modules", "__pycache__", ".venv", "venv", "env", ".tox", ".pytest_cache", ".mypy_cache", ".ruff_cache", "htmlcov", "coverage",
+    "dist", "build", "target", "out", "vendor"]
 NOISE_ENDS = [".lock", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".pdf", ".bin", ".ico", ".webp", ".mp4", ".mov"]
 
 # Marks of test files.

@@ -52,18 +52,22 @@ def audience(tags: Column, of_tag: Column, role: str) -> Column:
     return F.when(F.size(tags) == 0, 0.0).otherwise(n / F.size(tags))
 
 
-def relevance(layer: Column, tags: Column, audience_: Column, degree: Column, most: Column, confidence: Column, layers: dict[str, float], words: list[str], centrality: float) -> Column:
+def relevance(layer: Column, tags: Column, audience_: Column, degree: Column, most: Column, confidence: Column, layers: dict[str, float], words: list[str],
+    centrality: float) -> Column:
     weights = F.create_map(*(F.lit(x) for kv in layers.items() for x in kv))
     central = F.when(most > 0, F.least(F.lit(1.0), degree / F.greatest(F.lit(1.0), most * 0.3))).otherwise(0.0) * centrality
     w = ROLE_WEIGHTS
-    total = w["layer"] * F.coalesce(F.element_at(weights, layer), F.lit(0.1)) + w["tags"] * affinity(tags, F.array(*map(F.lit, words))) + w["audience"] * audience_ + w["centrality"] * central + w["confidence"] * F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
+    total = w["layer"] * F.coalesce(F.element_at(weights, layer), F.lit(0.1)) + w["tags"] * affinity(tags,
+        F.array(*map(F.lit, words))) + w["audience"] * audience_ + w["centrality"] * central + w["confidence"] * F.greatest(F.lit(0.0),
+        F.least(F.lit(1.0), confidence))
     return F.round(F.least(F.lit(1.0), total), 4)
 
 
 def blended(weights: DataFrame) -> DataFrame:
     """Weighted means per layer of role vectors (role, share, layer, weight); layers a role lacks count as zero."""
     total = weights.select("role", "share").distinct().agg(F.sum("share").alias("all"))
-    return weights.groupBy("layer").agg(F.sum(F.col("share") * F.col("weight")).alias("s")).join(F.broadcast(total)).select("layer", F.round(F.col("s") / F.col("all"), 6).alias("weight"))
+    return weights.groupBy("layer").agg(F.sum(F.col("share") * F.col("weight")).alias("s")).join(F.broadcast(total)).select("layer",
+        F.round(F.col("s") / F.col("all"), 6).alias("weight"))
 
 
 def term_idf(terms: DataFrame) -> DataFrame:
@@ -77,7 +81,8 @@ def decayed(score: Column, event: Column) -> Column:
 
 
 def atlas_budget(files: Column) -> Column:
-    ramp = F.when(files < 2, 0).when(files <= 50, 1200).when(files <= 200, 1200 + (files - 50) * 6).when(files <= 1000, F.floor(2100 + (files - 200) * 1.5)).otherwise(F.floor(3300 + (files - 1000) * 0.35))
+    ramp = F.when(files < 2, 0).when(files <= 50, 1200).when(files <= 200, 1200 + (files - 50) * 6).when(files <= 1000,
+        F.floor(2100 + (files - 200) * 1.5)).otherwise(F.floor(3300 + (files - 1000) * 0.35))
     return F.least(F.lit(4000), ramp).cast("long")
 
 

@@ -219,7 +219,8 @@ def model_family(name: Column) -> Column:
 def naming(name: Column) -> Column:
     low, up = F.lower(name), F.upper(name)
     upper_first, under = name.rlike(r"^\p{Lu}"), name.contains("_")
-    return F.when(under & (name == low), "snake_case").when(under & (name == up), "UPPER_SNAKE").when(upper_first & ~under, "PascalCase").when(name.rlike(r"^\p{Ll}") & ~under & name.rlike(r"\p{Lu}"), "camelCase").when(name == low, "lowercase").otherwise("mixed")
+    return F.when(under & (name == low), "snake_case").when(under & (name == up), "UPPER_SNAKE").when(upper_first & ~under,
+        "PascalCase").when(name.rlike(r"^\p{Ll}") & ~under & name.rlike(r"\p{Lu}"), "camelCase").when(name == low, "lowercase").otherwise("mixed")
 
 
 def naming_violation(name: Column, kind: Column, language: Column) -> Column:

@@ -106,5 +106,6 @@ def within_budget(df: DataFrame, group: str, order: list, length: str, most: int
 
 def expanded(seeds: DataFrame, links: DataFrame, factor: float = 0.5) -> DataFrame:
     """(id, score, why) of seeds (id, score) and what links (a, b) lead to from them, at a factor of the best seed's score."""
-    near = links.select(F.col("a").alias("id"), "b").join(seeds, "id").groupBy(F.col("b").alias("id")).agg((F.max("score") * factor).alias("score")).join(seeds.select("id"), "id", "left_anti")
+    near = links.select(F.col("a").alias("id"), "b").join(seeds,
+        "id").groupBy(F.col("b").alias("id")).agg((F.max("score") * factor).alias("score")).join(seeds.select("id"), "id", "left_anti")
     return seeds.select("id", "score", F.lit("found").alias("why")).unionByName(near.select("id", "score", F.lit("neighbour").alias("why")))

@@ -26,7 +26,8 @@ def in_degrees(edges: DataFrame, kinds: list[str] | None = None, origins: list[s
 
 def degrees(edges: DataFrame) -> DataFrame:
     """In and out degree of every end, from one pass over the edges."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")),
+        F.struct(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
     return ends.groupBy("e.id").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"))
 
 
@@ -42,7 +43,9 @@ def hub_files(nodes: DataFrame, edges: DataFrame, k: int = 10, scope: str | None
 
 
 def churn(commits: DataFrame, since: str) -> DataFrame:
-    return commits.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz")).groupBy("path").agg(F.countDistinct("commit_id").alias("commits"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.countDistinct("author").alias("authors"))
+    return commits.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz")).groupBy("path").agg(F.countDistinct("commit_id").alias("commits"),
+        F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
+        F.countDistinct("author").alias("authors"))
 
 
 def hot_zones(commits: DataFrame, depth: int = 3, least: int = 10, groups: int = 3, top: int = 5) -> DataFrame:
@@ -63,7 +66,8 @@ def consensus(observations: DataFrame, least: int = 2) -> DataFrame:
 
 def usage_sets(usage: DataFrame) -> DataFrame:
     """Tokens by provider, by model, by task and in all, in one pass of grouping sets."""
-    return usage.groupingSets([[F.col("provider")], [F.col("model")], [F.col("task_id")], []], F.col("provider"), F.col("model"), F.col("task_id")).agg(F.sum("total_tokens").alias("tokens"), F.count("*").alias("n"))
+    return usage.groupingSets([[F.col("provider")], [F.col("model")], [F.col("task_id")], []], F.col("provider"), F.col("model"),
+        F.col("task_id")).agg(F.sum("total_tokens").alias("tokens"), F.count("*").alias("n"))
 
 
 def summary(items: DataFrame) -> DataFrame:
@@ -80,7 +84,8 @@ def file_scores(raw: DataFrame) -> DataFrame:
     w = FILE_WEIGHTS
     score = w["lines"] * F.col("p_lines") + w["fan_in"] * F.col("p_fan_in") + w["fan_out"] * F.col("p_fan_out") + w["symbols"] * F.col("p_symbols") + w["circular"] * F.col("circular").cast("double") + w["tech_debt"] * F.col("p_tech_debt") + w["low_confidence"] * (1 - F.col("p_confidence"))
     scored = use.withColumn("score", F.round(score, 6))
-    severity = F.when(F.col("score") >= FILE_BANDS["critical"], "critical").when(F.col("score") >= FILE_BANDS["warning"], "warning").when(F.col("score") >= FILE_BANDS["info"], "info")
+    severity = F.when(F.col("score") >= FILE_BANDS["critical"], "critical").when(F.col("score") >= FILE_BANDS["warning"],
+        "warning").when(F.col("score") >= FILE_BANDS["info"], "info")
     return scored.withColumn("severity", severity).where("severity IS NOT NULL").select("path", "score", "severity")
 
 
@@ -105,7 +110,8 @@ def coupling_hotspots(degree: DataFrame, least_z: float = 2.0, least_degree: int
     out = with_share_below(use, "in_degree", "percentile").join(F.broadcast(stats)).where("n >= 2").withColumn("z", z)
     hot = out.where((F.col("z") >= least_z) & (F.col("in_degree") >= least_degree))
     nothing = F.lit(False)
-    return hot.select("file_path", "in_degree", F.round("z", 4).alias("z"), F.round(risk(F.col("percentile"), nothing, nothing, F.lit(0.0), F.lit(0.0)), 4).alias("risk"))
+    return hot.select("file_path", "in_degree", F.round("z", 4).alias("z"),
+        F.round(risk(F.col("percentile"), nothing, nothing, F.lit(0.0), F.lit(0.0)), 4).alias("risk"))
 
 
 def best_findings(findings: list[DataFrame], top: int = 20) -> DataFrame:
@@ -119,30 +125,35 @@ def best_findings(findings: list[DataFrame], top: int = 20) -> DataFrame:
 def consolidated(items: DataFrame, label: Column) -> DataFrame:
     """Groups of items by label: size, most urgent priority, commonest category (ties to the first by name)."""
     n = items.withColumn("label", label).groupBy("label", "category").agg(F.count("*").alias("n"), F.min("priority").alias("p"))
-    return n.groupBy("label").agg(F.sum("n").alias("n"), F.min("p").alias("priority"), F.min(F.struct((-F.col("n")).alias("k"), "category")).alias("top")).select("label", "n", "priority", F.col("top.category").alias("category"))
+    return n.groupBy("label").agg(F.sum("n").alias("n"), F.min("p").alias("priority"),
+        F.min(F.struct((-F.col("n")).alias("k"), "category")).alias("top")).select("label", "n", "priority", F.col("top.category").alias("category"))
 
 
 def by_root_file(items: DataFrame) -> DataFrame:
     """Files with two items or more are a group; the rest go by category."""
     n = items.groupBy("file_path").agg(F.count("*").alias("__n"))
-    return consolidated(items.join(n, "file_path", "left"), F.when(F.col("__n") >= 2, F.concat(F.lit("Improve: "), paths.base_name(F.col("file_path")))).otherwise(F.col("category")))
+    return consolidated(items.join(n, "file_path", "left"), F.when(F.col("__n") >= 2, F.concat(F.lit("Improve: "), paths.base_name(F.col("file_path"))))
+        .otherwise(F.col("category")))
 
 
 def node_scores(nodes: DataFrame, edges: DataFrame, enriched: DataFrame) -> DataFrame:
     """Composite of five components for nodes (id, confidence, validated, refs); enriched has id and depth."""
     both = edges.select("source", "target").union(edges.select("target", "source")).distinct().where(F.col("target").startswith("file:"))
-    near = both.join(enriched.select(F.col("id").alias("target"), F.lit(1).alias("hit")), "target", "left").groupBy(F.col("source").alias("id")).agg((F.count("hit") / F.count("*")).alias("c3"))
+    near = both.join(enriched.select(F.col("id").alias("target"), F.lit(1).alias("hit")), "target",
+        "left").groupBy(F.col("source").alias("id")).agg((F.count("hit") / F.count("*")).alias("c3"))
     joined = nodes.join(near, "id", "left").join(enriched, "id", "left")
     c2 = F.when(F.col("depth").isNotNull(), 1.0).when(F.col("validated"), 0.6).otherwise(0.0)
     c5 = F.when(F.col("depth").isNull(), 0.0).when(F.col("depth") >= 4, 1.0).when(F.col("depth") >= 3, 0.75).otherwise(0.5)
     w = NODE_WEIGHTS
-    composite = w["summary"] * F.coalesce("confidence", F.lit(0.0)) + w["validation"] * c2 + w["neighbours"] * F.coalesce("c3", F.lit(0.5)) + w["references"] * F.least(F.lit(1.0), F.col("refs") / 4.0) + w["depth"] * c5
+    composite = w["summary"] * F.coalesce("confidence", F.lit(0.0)) + w["validation"] * c2 + w["neighbours"] * F.coalesce("c3",
+        F.lit(0.5)) + w["references"] * F.least(F.lit(1.0), F.col("refs") / 4.0) + w["depth"] * c5
     return joined.select("id", F.round(composite, 3).alias("composite"))
 
 
 def convergence(before: DataFrame, now: DataFrame, settled: float = 0.95) -> DataFrame:
     both = now.join(before.withColumnRenamed("score", "old"), "id", "left")
-    return both.agg(F.round(F.avg((F.col("score") >= settled).cast("double")), 6).alias("settled_ratio"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0)))), 6).alias("max_residual"))
+    return both.agg(F.round(F.avg((F.col("score") >= settled).cast("double")), 6).alias("settled_ratio"), F.round(F.avg("score"), 6).alias("mean"),
+        F.round(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0)))), 6).alias("max_residual"))
 
 
 def segments(files: DataFrame, least: int = 10, most: int = 15, share: float = 0.25) -> DataFrame:
@@ -161,36 +172,46 @@ def segments(files: DataFrame, least: int = 10, most: int = 15, share: float = 0
 
 def segment_descriptors(tags: DataFrame, hubs: DataFrame, most_tags: int = 3, most_hubs: int = 2) -> DataFrame:
     """Per segment its commonest tags and its hubs, each in order."""
-    t = first_n(tags.groupBy("segment", "tag").agg(F.count("*").alias("n")), ["segment"], [F.desc("n"), "tag"], most_tags).groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "tag"))), lambda x: x["tag"]), ",").alias("tags"))
-    h = first_n(hubs, ["segment"], [F.desc("degree"), "path"], most_hubs).groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("degree")).alias("k"), "path"))), lambda x: x["path"]), ",").alias("hubs"))
+    t = first_n(tags.groupBy("segment", "tag").agg(F.count("*").alias("n")), ["segment"], [F.desc("n"), "tag"],
+        most_tags).groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "tag"))),
+        lambda x: x["tag"]), ",").alias("tags"))
+    h = first_n(hubs, ["segment"], [F.desc("degree"), "path"],
+        most_hubs).groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("degree")).alias("k"), "path"))),
+        lambda x: x["path"]), ",").alias("hubs"))
     return t.join(h, "segment", "full_outer")
 
 
 def velocity(done: DataFrame, end: str, days: int = 14, windows: int = 6) -> DataFrame:
     """Completed items per window before end, the latest first; windows without any count as zero."""
     at = F.lit(end).cast("timestamp_ntz")
-    inside = done.withColumn("window", F.when(F.unix_micros(F.col("completed_at").cast("timestamp")) < F.unix_micros(at.cast("timestamp")), F.floor((F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("completed_at").cast("timestamp")) - 1) / (days * 86_400_000_000)))).where(F.col("window") < windows)
-    n = inside.groupBy("window").agg(F.count("*").alias("completed"), F.count_if(F.col("priority") == "P0").alias("p0"), F.count_if(F.col("priority") == "P1").alias("p1"))
+    inside = done.withColumn("window",
+        F.when(F.unix_micros(F.col("completed_at").cast("timestamp")) < F.unix_micros(at.cast("timestamp")),
+        F.floor((F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("completed_at").cast("timestamp")) - 1) / (days * 86_400_000_000)))).where(F.col("window") < windows)
+    n = inside.groupBy("window").agg(F.count("*").alias("completed"), F.count_if(F.col("priority") == "P0").alias("p0"),
+        F.count_if(F.col("priority") == "P1").alias("p1"))
     calendar = done.sparkSession.range(windows).withColumnRenamed("id", "window")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return calendar.join(n, "window", "left").select("window", zero("completed"), zero("p0"), zero("p1"))
 
 
 def size_histogram(sizes: DataFrame) -> DataFrame:
-    band = F.when(F.col("n") <= 1, "1").when(F.col("n") == 2, "2").when(F.col("n") <= 5, "3-5").when(F.col("n") <= 10, "6-10").when(F.col("n") <= 25, "11-25").otherwise("26+")
+    band = F.when(F.col("n") <= 1, "1").when(F.col("n") == 2, "2").when(F.col("n") <= 5, "3-5").when(F.col("n") <= 10, "6-10").when(F.col("n") <= 25,
+        "11-25").otherwise("26+")
     return sizes.groupBy(band.alias("band")).agg(F.count("*").alias("clusters"))
 
 
 def document_score(links: Column, most_links: Column, convention: Column, folder_ratio: Column, agent_dir: Column) -> Column:
     ratio = F.when(most_links > 0, links / most_links).otherwise(0.0)
-    return F.least(F.lit(1.0), 0.5 * ratio + F.when(convention, 0.25).otherwise(0.0) + F.when(folder_ratio >= 0.6, 0.15).otherwise(0.0) + F.when(agent_dir, 0.10).otherwise(0.0))
+    return F.least(F.lit(1.0), 0.5 * ratio + F.when(convention, 0.25).otherwise(0.0) + F.when(folder_ratio >= 0.6, 0.15)
+        .otherwise(0.0) + F.when(agent_dir, 0.10).otherwise(0.0))
 
 
 def overlaps(members: DataFrame, key: str, item: str, least: float) -> DataFrame:
     """Pairs of groups by the Jaccard similarity of their items: shared counts and sizes, no sets in memory."""
     sizes = members.groupBy(key).agg(F.countDistinct(item).alias("n"))
     m = members.select(key, item).distinct()
-    shared = m.select(F.col(key).alias("a"), item).join(m.select(F.col(key).alias("b"), item), item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    shared = m.select(F.col(key).alias("a"), item).join(m.select(F.col(key).alias("b"), item), item).where("a < b").groupBy("a",
+        "b").agg(F.count("*").alias("shared"))
     both = shared.join(sizes.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
     j = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
     return both.where(j > least).select("a", "b", F.round(j, 6).alias("jaccard"))
@@ -200,7 +221,8 @@ def integrity(before: DataFrame, after: DataFrame) -> DataFrame:
     """State of each file's record count after a run, against that before."""
     both = before.withColumnRenamed("n", "old").join(after.withColumnRenamed("n", "new"), "name", "full_outer")
     ratio = F.col("new") / F.greatest(F.col("old"), F.lit(1))
-    state = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "deleted").when((F.col("old") > 0) & (F.col("new") == 0), "catastrophic").when(ratio < 0.5, "major_shrink").when(ratio > 1.5, "growth").otherwise("ok")
+    state = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "deleted").when((F.col("old") > 0) & (F.col("new") == 0),
+        "catastrophic").when(ratio < 0.5, "major_shrink").when(ratio > 1.5, "growth").otherwise("ok")
     return both.withColumn("state", state)
 
 
@@ -211,4 +233,5 @@ def audit_context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     used = edges.where("kind = 'imports'")
     out, back = (used.groupBy(F.col(end).alias("id")).agg(F.count("*").alias(name)) for end, name in (("source", "imports"), ("target", "importers")))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return files.join(symbols, "file_path", "left").join(out, "id", "left").join(back, "id", "left").select("id", "file_path", "language", "size", zero("symbols"), zero("imports"), zero("importers"))
+    return files.join(symbols, "file_path", "left").join(out, "id", "left").join(back, "id", "left").select("id", "file_path", "language", "size",
+        zero("symbols"), zero("imports"), zero("importers"))

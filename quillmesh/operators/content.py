@@ -19,14 +19,20 @@ from ..functions import vectors as vf
 
 # Tags by name ending, and by folder.
 END_TAGS = {
-    ".tsx": ["ui", "frontend", "react"], ".jsx": ["ui", "frontend", "react"], ".vue": ["ui", "frontend", "vue"], ".svelte": ["ui", "frontend", "svelte"], ".css": ["ui", "styling"], ".scss": ["ui", "styling"], ".html": ["ui", "frontend"],
-    ".py": ["backend", "python"], ".rs": ["backend", "systems"], ".go": ["backend", "go"], ".java": ["backend", "java"], ".kt": ["backend", "kotlin"], ".rb": ["backend", "ruby"], ".ts": ["backend", "typescript"], ".js": ["backend", "javascript"],
-    ".sql": ["database", "query"], ".prisma": ["database", "orm"], ".proto": ["api", "grpc"], ".graphql": ["api", "graphql"], ".yaml": ["config", "infrastructure"], ".yml": ["config", "infrastructure"], ".toml": ["config"], ".json": ["config", "data"],
-    ".tf": ["infrastructure", "terraform"], ".dockerfile": ["infrastructure", "docker"], ".md": ["documentation"], ".test.py": ["test", "backend"], ".test.ts": ["test", "frontend"], ".test.tsx": ["test", "frontend"], ".spec.ts": ["test", "frontend"], ".spec.tsx": ["test", "frontend"],
+    ".tsx": ["ui", "frontend", "react"], ".jsx": ["ui", "frontend", "react"], ".vue": ["ui", "frontend", "vue"], ".svelte": ["ui", "frontend", "svelte"],
+        ".css": ["ui", "styling"], ".scss": ["ui", "styling"], ".html": ["ui", "frontend"],
+    ".py": ["backend", "python"], ".rs": ["backend", "systems"], ".go": ["backend", "go"], ".java": ["backend", "java"], ".kt": ["backend", "kotlin"],
+        ".rb": ["backend", "ruby"], ".ts": ["backend", "typescript"], ".js": ["backend", "javascript"],
+    ".sql": ["database", "query"], ".prisma": ["database", "orm"], ".proto": ["api", "grpc"], ".graphql": ["api", "graphql"],
+        ".yaml": ["config", "infrastructure"], ".yml": ["config", "infrastructure"], ".toml": ["config"], ".json": ["config", "data"],
+    ".tf": ["infrastructure", "terraform"], ".dockerfile": ["infrastructure", "docker"], ".md": ["documentation"], ".test.py": ["test", "backend"],
+        ".test.ts": ["test", "frontend"], ".test.tsx": ["test", "frontend"], ".spec.ts": ["test", "frontend"], ".spec.tsx": ["test", "frontend"],
 }
 FOLDER_TAGS = {
-    "api": "api", "rest": "api", "graphql": "graphql", "auth": "auth", "security": "security", "test": "test", "tests": "test", "__tests__": "test", "deploy": "deploy", "infra": "infrastructure", "docker": "docker", "ci": "ci-cd", "config": "config", "settings": "config",
-    "ui": "ui", "frontend": "frontend", "components": "ui", "core": "core", "engine": "engine", "db": "database", "models": "database", "migration": "database", "seed": "database", "docs": "documentation", "scripts": "tooling", "cli": "cli",
+    "api": "api", "rest": "api", "graphql": "graphql", "auth": "auth", "security": "security", "test": "test", "tests": "test", "__tests__": "test",
+        "deploy": "deploy", "infra": "infrastructure", "docker": "docker", "ci": "ci-cd", "config": "config", "settings": "config",
+    "ui": "ui", "frontend": "frontend", "components": "ui", "core": "core", "engine": "engine", "db": "database", "models": "database",
+        "migration": "database", "seed": "database", "docs": "documentation", "scripts": "tooling", "cli": "cli",
 }
 
 
@@ -83,9 +89,11 @@ def symbol_codes(files: DataFrame) -> DataFrame:
 def compressed(docs: DataFrame, files: DataFrame) -> DataFrame:
     """Texts with the known paths that they name replaced by codes: each text meets only its own paths."""
     codes = symbol_codes(files)
-    own = mentions(docs, files).join(codes, "path").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("path")).alias("k"), "path", "code"))).alias("codes"))
+    own = mentions(docs, files).join(codes,
+        "path").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("path")).alias("k"), "path", "code"))).alias("codes"))
     joined = docs.join(own, "doc_id", "left")
-    text = F.aggregate(F.coalesce("codes", F.array().cast("array<struct<k:int,path:string,code:string>>")), F.col("text"), lambda acc, x: F.replace(acc, x["path"], x["code"]))
+    text = F.aggregate(F.coalesce("codes", F.array().cast("array<struct<k:int,path:string,code:string>>")), F.col("text"), lambda acc,
+        x: F.replace(acc, x["path"], x["code"]))
     return joined.select("doc_id", text.alias("text"))
 
 
@@ -102,7 +110,8 @@ def chunks(files: DataFrame, size: int = 2000, overlap: int = 200) -> DataFrame:
     start_line = upto(F.substring("text", F.lit(1), F.col("start"))) + 1
     end = F.least(F.col("start") + size, n)
     end_line = upto(F.substring("text", F.lit(1), end)) + 1 - F.substring("text", end, F.lit(1)).eqNullSafe("\n").cast("int")
-    return cut.select("path", "chunk_index", tx.digest(F.concat_ws(":", "path", F.col("chunk_index").cast("string"))).alias("chunk_id"), content.alias("content"), start_line.alias("start_line"), F.greatest(end_line, F.lit(1)).alias("end_line"))
+    return cut.select("path", "chunk_index", tx.digest(F.concat_ws(":", "path", F.col("chunk_index").cast("string"))).alias("chunk_id"),
+        content.alias("content"), start_line.alias("start_line"), F.greatest(end_line, F.lit(1)).alias("end_line"))
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -116,7 +125,8 @@ def sentences(docs: DataFrame) -> DataFrame:
 def packed_paragraphs(docs: DataFrame, most: int) -> DataFrame:
     """(doc_id, i, part): paragraphs packed greedily up to most characters, longer ones cut; a fold in each row, no shuffle."""
     state = "struct<done:array<string>,now:string>"
-    pieces = F.flatten(F.transform(F.split("text", r"\n\n+"), lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1)), F.lit(most)), lambda i: F.substring(p, i, F.lit(most))))))
+    pieces = F.flatten(F.transform(F.split("text", r"\n\n+"), lambda p: F.when(F.length(p) <= most, F.array(p))
+        .otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1)), F.lit(most)), lambda i: F.substring(p, i, F.lit(most))))))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -163,7 +173,8 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     def _section_udf(s: pd.Series) -> pd.Series:
         return s.map(lambda t: _sections(t or ""))
 
-    return docs.select("doc_id", F.posexplode(_section_udf("text")).alias("i", "s")).select("doc_id", "i", F.array_join("s.headings", " > ").alias("section"), "s.text", "s.start_line", "s.end_line")
+    return docs.select("doc_id", F.posexplode(_section_udf("text")).alias("i", "s")).select("doc_id", "i", F.array_join("s.headings", " > ").alias("section"),
+        "s.text", "s.start_line", "s.end_line")
 
 
 def _merged(text: str, most: int, least: int) -> list[tuple[str, str, int, int]]:
@@ -324,7 +335,8 @@ def sarif_findings(results: DataFrame) -> DataFrame:
     """(id, rule, level, file_path, line) of SARIF result arrays in JSON; broken ones give none."""
     kind = "array<struct<ruleId:string,level:string,locations:array<struct<uri:string,line:int>>>>"
     one = results.select("id", F.explode(F.from_json("results", kind)).alias("r")).select("id", "r.ruleId", "r.level", F.explode("r.locations").alias("l"))
-    return one.select("id", F.col("ruleId").alias("rule"), "level", F.regexp_replace("l.uri", "^file:///", "").alias("file_path"), F.col("l.line").alias("line"))
+    return one.select("id", F.col("ruleId").alias("rule"), "level", F.regexp_replace("l.uri", "^file:///", "").alias("file_path"),
+        F.col("l.line").alias("line"))
 
 
 def enriched_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -338,5 +350,6 @@ def linked(declared: DataFrame) -> DataFrame:
     """Nodes and edges (part, path, name, target, kind) of declarations (path, kind, name): symbols are nodes, and the file has an edge to each symbol and import."""
     d = declared.distinct()
     nodes = d.where("kind = 'symbol'").select(F.lit("node").alias("part"), "path", "name", F.lit(None).cast("string").alias("target"), "kind")
-    edges = d.select(F.lit("edge").alias("part"), "path", F.lit("").alias("name"), F.col("name").alias("target"), F.when(F.col("kind") == "symbol", "contains").otherwise("imports").alias("kind"))
+    edges = d.select(F.lit("edge").alias("part"), "path", F.lit("").alias("name"), F.col("name").alias("target"), F.when(F.col("kind") == "symbol", "contains")
+        .otherwise("imports").alias("kind"))
     return nodes.unionByName(edges)

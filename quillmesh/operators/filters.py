@@ -33,7 +33,8 @@ def severity_rank(severity: Column) -> Column:
     return F.when(severity == "critical", 0).when(severity == "warning", 1).when(severity == "info", 2).otherwise(9)
 
 
-def opportunities(items: DataFrame, categories: list[str] | None = None, sources: list[str] | None = None, least_priority: str | None = None, dismissed: bool = False) -> DataFrame:
+def opportunities(items: DataFrame, categories: list[str] | None = None, sources: list[str] | None = None, least_priority: str | None = None,
+    dismissed: bool = False) -> DataFrame:
     out = items if dismissed else items.where(~F.col("dismissed"))
     if categories:
         out = out.where(F.col("category").isin(categories))

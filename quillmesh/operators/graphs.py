@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     Every round is written to the shared folder, and the number of rounds grows with the logarithm of the longest chain. The centre of a star has one row
     in the table of least neighbours, which is dealt anew before each join: so both sides are shuffled for the join alone, and Spark may split a hot centre.
     """
-    now = kept(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars", small=True)
+    now = kept(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
+        "stars", small=True)
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -75,11 +76,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
             colour = new.select("id", "c")
             if moved:
                 break
-        same = kept(left.join(colour.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").select("a", "b", F.col("ca").alias("c")), "same")
+        same = kept(left.join(colour.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a")
+            .join(colour.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").select("a", "b", F.col("ca").alias("c")), "same")
         reach = kept(colour.where("id = c"), "reach")
         front = reach
         while True:
-            front = kept(same.select("a", F.col("b").alias("id")).join(front.select("id"), "id").select(F.col("a").alias("id")).distinct().join(reach.select("id"), "id", "left_anti").join(colour, "id"), "reach")
+            front = kept(same.select("a", F.col("b").alias("id")).join(front.select("id"), "id").select(F.col("a").alias("id")).distinct()
+                .join(reach.select("id"), "id", "left_anti").join(colour, "id"), "reach")
             if front.isEmpty():
                 break
             reach = kept(reach.unionByName(front), "reach")
@@ -119,7 +122,8 @@ def decay(edges: DataFrame, scores: DataFrame, stale: DataFrame, hops: int = 3,
     seen = kept(stale.select("id", F.lit(0).alias("hop")), "decay")
     front = seen
     for hop in range(1, hops + 1):
-        front = kept(near.join(front.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)), "decay")
+        front = kept(near.join(front.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+            .withColumn("hop", F.lit(hop)), "decay")
         if front.isEmpty():
             break
         seen = kept(seen.unionByName(front), "decay")
@@ -139,12 +143,16 @@ def cochange(commits: DataFrame, now: str, half_life: float = 90.0, least_commit
     """Pairs of files changed together in commits of 2 to basket files, weighted by age: weighted Jaccard and support."""
     size = commits.select("commit_id", "path").distinct().groupBy("commit_id").agg(F.count("*").alias("m")).where(f"m BETWEEN 2 AND {basket}")
     age = F.datediff(F.lit(now).cast("date"), F.col("ts").cast("date"))
-    rows = commits.select("commit_id", "path", "ts").dropDuplicates(["commit_id", "path"]).join(size, "commit_id").withColumn("w", F.exp(-F.log(F.lit(2.0)) * age / half_life))
+    rows = commits.select("commit_id", "path", "ts").dropDuplicates(["commit_id", "path"]).join(size, "commit_id").withColumn("w",
+        F.exp(-F.log(F.lit(2.0)) * age / half_life))
     alone = rows.groupBy("path").agg(F.sum("w").alias("total"))
-    both = rows.select("commit_id", "w", F.col("path").alias("a")).join(rows.select("commit_id", F.col("path").alias("b")), "commit_id").where("a < b").groupBy("a", "b").agg(F.sum("w").alias("shared"))
-    j = both.join(alone.select(F.col("path").alias("a"), F.col("total").alias("ta")), "a").join(alone.select(F.col("path").alias("b"), F.col("total").alias("tb")), "b")
+    both = rows.select("commit_id", "w", F.col("path").alias("a")).join(rows.select("commit_id", F.col("path").alias("b")),
+        "commit_id").where("a < b").groupBy("a", "b").agg(F.sum("w").alias("shared"))
+    j = both.join(alone.select(F.col("path").alias("a"), F.col("total").alias("ta")),
+        "a").join(alone.select(F.col("path").alias("b"), F.col("total").alias("tb")), "b")
     weight = F.col("shared") / (F.col("ta") + F.col("tb") - F.col("shared"))
-    return j.where((weight >= least) & (F.col("shared") >= least_commits * 0.5)).select("a", "b", F.round(weight, 6).alias("jaccard"), F.round("shared", 6).alias("support"))
+    return j.where((weight >= least) & (F.col("shared") >= least_commits * 0.5)).select("a", "b", F.round(weight, 6).alias("jaccard"),
+        F.round("shared", 6).alias("support"))
 
 
 def moved_labels(near: DataFrame, weight: DataFrame, whole: float, resolution: float, rounds: int) -> DataFrame:
@@ -163,7 +171,8 @@ def moved_labels(near: DataFrame, weight: DataFrame, whole: float, resolution: f
         gain = F.col("w") - F.lit(resolution) * F.col("k") * (F.col("total") - F.when(here, F.col("k")).otherwise(0.0)) / whole
         best = rated.groupBy("id", "own", "k").agg(F.min(F.struct((-F.round(gain, 9)).alias("loss"), (~here).alias("away"), "community")).alias("best"))
         may = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
-        new = kept(best.select("id", "k", F.when(may, F.col("best.community")).otherwise(F.col("own")).alias("community"), (may & (F.col("best.community") != F.col("own"))).alias("moved")), "louvain")
+        new = kept(best.select("id", "k", F.when(may, F.col("best.community")).otherwise(F.col("own")).alias("community"),
+            (may & (F.col("best.community") != F.col("own"))).alias("moved")), "louvain")
         still = still + 1 if new.where("moved").isEmpty() else 0
         label = new.drop("moved")
         if still == 3:
@@ -189,17 +198,20 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, lev
         step = kept(label, "louvain")
         if step.where("id != community").isEmpty():
             break
-        found = kept(found.join(step.select(F.col("id").alias("community"), F.col("community").alias("next")), "community").select("id", F.col("next").alias("community")), "louvain")
+        found = kept(found.join(step.select(F.col("id").alias("community"), F.col("community").alias("next")), "community")
+            .select("id", F.col("next").alias("community")), "louvain")
         of = lambda side: step.select(F.col("id").alias(side), F.col("community").alias(f"c{side}"))
         weight = kept(weight.join(step, "id").groupBy(F.col("community").alias("id")).agg(F.sum("k").alias("k")), "louvain")
-        near = kept(near.join(of("a"), "a").join(of("b"), "b").where("ca != cb").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "louvain")
+        near = kept(near.join(of("a"), "a").join(of("b"), "b").where("ca != cb").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            .agg(F.sum("w").alias("w")), "louvain")
     least = found.groupBy("community").agg(F.min("id").alias("name"))
     return found.join(least, "community").select("id", F.col("name").alias("community"))
 
 
 def modularity(edges: DataFrame, label: DataFrame) -> DataFrame:
     """One row: the modularity q of a labelling (id, community) on weighted undirected edges (a, b, w)."""
-    ends = edges.join(label.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(label.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
+    ends = edges.join(label.select(F.col("id").alias("a"), F.col("community").alias("ca")),
+        "a").join(label.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
     inside = ends.agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("all"))
     total = ends.select(F.col("ca").alias("c"), "w").union(ends.select("cb", "w")).groupBy("c").agg(F.sum("w").alias("t"))
     return total.agg(F.sum(F.col("t") * F.col("t")).alias("squares")).join(inside).select((F.col("inside") / F.col("all") - F.col("squares") / (4 * F.col("all") * F.col("all"))).alias("q"))
@@ -208,12 +220,14 @@ def modularity(edges: DataFrame, label: DataFrame) -> DataFrame:
 def tag_clusters(entries: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
     """(id, tag, cluster) of entries (id, tag): each tag's entries split by edges (a, b) between them; parts under least, and entries without a tag, are uncategorized."""
     tags = entries.select("id", F.coalesce("tag", F.lit("uncategorized")).alias("tag"))
-    inside = edges.join(tags.select(F.col("id").alias("a"), F.col("tag").alias("ta")), "a").join(tags.select(F.col("id").alias("b"), F.col("tag").alias("tb")), "b").where("ta = tb")
+    inside = edges.join(tags.select(F.col("id").alias("a"), F.col("tag").alias("ta")), "a").join(tags.select(F.col("id").alias("b"), F.col("tag").alias("tb")),
+        "b").where("ta = tb")
     roots = components(inside.select("a", "b"))
     rows = tags.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     size = rows.groupBy("tag", "root").agg(F.count("*").alias("n"))
     large = (F.col("n") >= least) & (F.col("tag") != "uncategorized")
-    return rows.join(size, ["tag", "root"]).select("id", F.when(large, F.col("tag")).otherwise("uncategorized").alias("tag"), F.when(large, F.col("root")).alias("cluster"))
+    return rows.join(size, ["tag", "root"]).select("id", F.when(large, F.col("tag")).otherwise("uncategorized").alias("tag"),
+        F.when(large, F.col("root")).alias("cluster"))
 
 
 def clusters(concepts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -227,7 +241,8 @@ def clusters(concepts: DataFrame, pairs: DataFrame) -> DataFrame:
 def reused(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
     """Each new module with the old one that overlaps it most, above least and short of all."""
     n, o = new.groupBy("module").agg(F.count("*").alias("nn")), old.groupBy(F.col("module").alias("old")).agg(F.count("*").alias("no"))
-    both = new.join(old.select(F.col("module").alias("old"), "path"), "path").groupBy("module", "old").agg(F.count("*").alias("c")).join(n, "module").join(o, "old")
+    both = new.join(old.select(F.col("module").alias("old"), "path"), "path").groupBy("module", "old").agg(F.count("*").alias("c")).join(n, "module").join(o,
+        "old")
     j = both.withColumn("jaccard", F.round(F.col("c") / (F.col("nn") + F.col("no") - F.col("c")), 6)).where(f"jaccard > {least} AND jaccard < 1")
     return first_n(j.select("module", "old", "jaccard"), ["module"], [F.desc("jaccard"), "old"], 1)
 

@@ -24,8 +24,10 @@ def first_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
 def neighbours(edges: DataFrame, nodes: DataFrame, of: DataFrame, kinds: list[str] | None = None, most: int = 50) -> DataFrame:
     """probe, direction, neighbour, kind of up to most neighbours of each node id of ``of`` (column id), both directions, each edge with its own node."""
     use = edges.where(F.col("kind").isin(kinds)) if kinds else edges
-    out = use.join(of.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("source").alias("probe"), F.lit("out").alias("direction"), F.col("target").alias("neighbour"), "kind")
-    into = use.join(of.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("target").alias("probe"), F.lit("in").alias("direction"), F.col("source").alias("neighbour"), "kind")
+    out = use.join(of.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("source").alias("probe"), F.lit("out").alias("direction"),
+        F.col("target").alias("neighbour"), "kind")
+    into = use.join(of.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("target").alias("probe"), F.lit("in").alias("direction"),
+        F.col("source").alias("neighbour"), "kind")
     known = out.unionByName(into).join(nodes.select(F.col("id").alias("neighbour"), "file_path"), "neighbour")
     return first_n(known, ["probe"], ["direction", "neighbour", "kind"], most)
 
@@ -34,7 +36,8 @@ def enriched_findings(findings: DataFrame, context: DataFrame) -> DataFrame:
     """Findings with the structural context of their file, and a risk from both."""
     joined = findings.join(context, "file_path", "left")
     base = F.when(F.col("severity") == "critical", 1.0).when(F.col("severity") == "warning", 0.6).otherwise(0.3)
-    return joined.withColumn("dependents", F.coalesce("dependents", F.lit(0))).withColumn("risk", F.round(F.least(base * (1 + F.col("dependents") / 20), F.lit(1.0)), 4))
+    return joined.withColumn("dependents", F.coalesce("dependents", F.lit(0))).withColumn("risk",
+        F.round(F.least(base * (1 + F.col("dependents") / 20), F.lit(1.0)), 4))
 
 
 def with_modules(edges: DataFrame, nodes: DataFrame, modules: DataFrame) -> DataFrame:
@@ -49,15 +52,19 @@ def cross_module(edges: DataFrame, nodes: DataFrame, modules: DataFrame, least:
     """Pairs of modules with at least least imports across, and the file most of them go to."""
     across = with_modules(edges, nodes, modules).where("source_module != target_module")
     per_file = across.groupBy("source_module", "target_module", "target_path").agg(F.count("*").alias("n"))
-    pairs = per_file.groupBy("source_module", "target_module").agg(F.sum("n").alias("imports"), F.min(F.struct((-F.col("n")).alias("k"), "target_path")).alias("top"))
+    pairs = per_file.groupBy("source_module", "target_module").agg(F.sum("n").alias("imports"),
+        F.min(F.struct((-F.col("n")).alias("k"), "target_path")).alias("top"))
     n, top = F.col("imports"), -F.col("top.k")
     bottleneck = (top > n * 0.6) & (top >= 3)
     severity = F.when(bottleneck, F.when(top >= 5, "critical").otherwise("warning")).when(n >= 10, "warning").otherwise("info")
-    return pairs.where(n >= least).select("source_module", "target_module", "imports", F.col("top.target_path").alias("bottleneck"), top.alias("bottleneck_imports"), severity.alias("severity"))
+    return pairs.where(n >= least).select("source_module", "target_module", "imports", F.col("top.target_path").alias("bottleneck"),
+        top.alias("bottleneck_imports"), severity.alias("severity"))
 
 
 def module_edges(edges: DataFrame, nodes: DataFrame, modules: DataFrame) -> DataFrame:
-    return with_modules(edges, nodes, modules).where("source_module IS NOT NULL AND target_module IS NOT NULL AND source_module != target_module").groupBy("source_module", "target_module").agg(F.count("*").alias("n"))
+    return with_modules(edges, nodes,
+        modules).where("source_module IS NOT NULL AND target_module IS NOT NULL AND source_module != target_module").groupBy("source_module",
+        "target_module").agg(F.count("*").alias("n"))
 
 
 def unused_files(nodes: DataFrame, edges: DataFrame, entry_marks: str = "main|index|app|cli|server|setup|conftest") -> DataFrame:
@@ -71,7 +78,8 @@ def unused_files(nodes: DataFrame, edges: DataFrame, entry_marks: str = "main|in
 def isolated_modules(modules: DataFrame, links: DataFrame) -> DataFrame:
     """Modules of more than one file that no module edge touches."""
     size = modules.groupBy("module").agg(F.count("*").alias("files")).where("files > 1")
-    return size.join(links.select(F.col("source_module").alias("module")), "module", "left_anti").join(links.select(F.col("target_module").alias("module")), "module", "left_anti")
+    return size.join(links.select(F.col("source_module").alias("module")), "module", "left_anti").join(links.select(F.col("target_module").alias("module")),
+        "module", "left_anti")
 
 
 def overlay(base: DataFrame, delta: DataFrame, key: str, gone: DataFrame | None = None) -> DataFrame:
@@ -114,7 +122,8 @@ def jaccard_pairs(sets: DataFrame, least: float, strict: bool = False, apart: st
     same = rows.groupBy("set").agg(F.count("*").alias("m")).where("m > 1").select(F.col("set").alias("u"), F.col("set").alias("v"), F.lit(1.0).alias("jaccard"))
     found = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"), "jaccard")).unionByName(same.where(F.lit(not strict or least < 1)))
     member = rows.select("id", "set") if apart is None else rows.select("id", "set").join(sets.select("id", F.col(apart).alias("side")), "id")
-    ends = [member.select(F.col("id").alias(k), F.col("set").alias(s), *([F.col("side").alias(f"side_{k}")] if apart else [])) for k, s in (("a", "u"), ("b", "v"))]
+    ends = [member.select(F.col("id").alias(k), F.col("set").alias(s), *([F.col("side").alias(f"side_{k}")] if apart else [])) for k,
+        s in (("a", "u"), ("b", "v"))]
     out = found.join(ends[0], "u").join(ends[1], "v").where("a < b")
     out = (out.where("side_a != side_b") if apart else out).select("a", "b", "jaccard")
     return out.orderBy(F.desc("jaccard"), "a", "b").limit(most) if most else out
@@ -125,9 +134,11 @@ def anchor_pairs(anchors: DataFrame, titles: DataFrame, least_shared: int = 2, t
     use = anchors.distinct()
     if hub:
         use = use.join(use.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") <= hub), "anchor").drop("m")
-    shared = use.select(F.col("id").alias("a"), "anchor").join(use.select(F.col("id").alias("b"), "anchor"), "anchor").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    shared = use.select(F.col("id").alias("a"), "anchor").join(use.select(F.col("id").alias("b"), "anchor"), "anchor").where("a < b").groupBy("a",
+        "b").agg(F.count("*").alias("shared"))
     t = titles.select("id", "tokens")
-    both = shared.join(t.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(t.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+    both = shared.join(t.select(F.col("id").alias("a"), F.col("tokens").alias("x")),
+        "a").join(t.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     n = F.size(F.array_intersect("x", "y"))
     union = F.size(F.array_union("x", "y"))
     similar = F.when(union > 0, n / union).otherwise(0.0)
@@ -144,7 +155,8 @@ def concept_conflicts(concepts: DataFrame) -> DataFrame:
 def agent_conflicts(observations: DataFrame) -> DataFrame:
     """Pairs of agents that saw the same file, with the last observation of each."""
     last = observations.groupBy("file_path", "agent").agg(F.max_by("id", F.struct("created_at", "id")).alias("last"))
-    return last.select("file_path", F.col("agent").alias("a"), F.col("last").alias("last_a")).join(last.select("file_path", F.col("agent").alias("b"), F.col("last").alias("last_b")), "file_path").where("a < b")
+    return last.select("file_path", F.col("agent").alias("a"),
+        F.col("last").alias("last_a")).join(last.select("file_path", F.col("agent").alias("b"), F.col("last").alias("last_b")), "file_path").where("a < b")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: list[str], left_ts: str, right_ts: str, take: list[str], days: int = 32) -> DataFrame:
@@ -168,7 +180,8 @@ def as_of(left: DataFrame, right: DataFrame, key: list[str], left_ts: str, right
 def ranking_diff(old: DataFrame, new: DataFrame, key: str, rank: str = "rank") -> DataFrame:
     """new, removed and rank_changed (by more than one) entries of two rankings."""
     o, n = old.select(key, F.col(rank).alias("old_rank")), new.select(key, F.col(rank).alias("new_rank"))
-    change = F.when(F.col("old_rank").isNull(), "new").when(F.col("new_rank").isNull(), "removed").when(F.abs(F.col("old_rank") - F.col("new_rank")) > 1, "rank_changed")
+    change = F.when(F.col("old_rank").isNull(), "new").when(F.col("new_rank").isNull(), "removed").when(F.abs(F.col("old_rank") - F.col("new_rank")) > 1,
+        "rank_changed")
     return o.join(n, key, "full_outer").withColumn("change", change).where("change IS NOT NULL")
 
 
@@ -181,7 +194,8 @@ def size_diff(old: DataFrame, new: DataFrame, key: str, share: float = 0.2) -> D
 
 def changeset(old: DataFrame, new: DataFrame, comparable: bool = True) -> DataFrame:
     """path and status of two (path, hash) snapshots; where hashes can't be compared, common paths count as unchanged."""
-    both = old.select("path", F.col("hash").alias("h0"), F.lit(True).alias("had")).join(new.select("path", F.col("hash").alias("h1"), F.lit(True).alias("has")), "path", "full_outer")
+    both = old.select("path", F.col("hash").alias("h0"),
+        F.lit(True).alias("had")).join(new.select("path", F.col("hash").alias("h1"), F.lit(True).alias("has")), "path", "full_outer")
     same = F.col("h0").eqNullSafe(F.col("h1")) if comparable else F.lit(True)
     status = F.when(F.col("had").isNull(), "added").when(F.col("has").isNull(), "deleted").when(same, "unchanged").otherwise("modified")
     return both.select("path", status.alias("status"))
@@ -189,14 +203,17 @@ def changeset(old: DataFrame, new: DataFrame, comparable: bool = True) -> DataFr
 
 def coverage(files: DataFrame, changes: DataFrame, embedded: DataFrame, excluded: list[str]) -> DataFrame:
     """traced, pending, stale, untraced or excluded for every file."""
-    state = F.when(paths.any_glob(F.col("path"), excluded), "excluded").when(F.col("done").isNotNull() & (F.col("status") == "modified"), "stale").when(F.col("done").isNotNull(), "traced").when(F.col("status").isin("added", "modified"), "pending").otherwise("untraced")
-    return files.select("path").join(changes, "path", "left").join(embedded.select("path", F.lit(True).alias("done")), "path", "left").select("path", state.alias("state"))
+    state = F.when(paths.any_glob(F.col("path"), excluded), "excluded").when(F.col("done").isNotNull() & (F.col("status") == "modified"),
+        "stale").when(F.col("done").isNotNull(), "traced").when(F.col("status").isin("added", "modified"), "pending").otherwise("untraced")
+    return files.select("path").join(changes, "path", "left").join(embedded.select("path", F.lit(True).alias("done")), "path", "left").select("path",
+        state.alias("state"))
 
 
 def longest_prefix(items: DataFrame, prefixes: DataFrame, path: str = "path") -> DataFrame:
     """Each path with the longest of the prefixes (prefix, value) that it lies in or equals: its ancestors are joined by equality."""
     parts = F.split(path, "/")
-    up = items.select(path, F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth")).withColumn("prefix", F.array_join(F.slice(F.split(path, "/"), F.lit(1), F.col("depth")), "/"))
+    up = items.select(path, F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth")).withColumn("prefix",
+        F.array_join(F.slice(F.split(path, "/"), F.lit(1), F.col("depth")), "/"))
     best = up.join(prefixes, "prefix").groupBy(path).agg(F.max_by(F.struct("prefix", "value"), "depth").alias("best"))
     return items.join(best.select(path, "best.prefix", "best.value"), path, "left")
 
@@ -210,7 +227,8 @@ def documents_of_segments(mentions: DataFrame, segments: DataFrame, most: int =
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of known ends, each once."""
     ids = nodes.select("id")
-    return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").dropDuplicates(["source", "target", "kind"])
+    return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target",
+        "left_semi").dropDuplicates(["source", "target", "kind"])
 
 
 def replace_origin(edges: DataFrame, new: DataFrame, origin: str) -> DataFrame:
@@ -225,7 +243,8 @@ def judged_hypotheses(guesses: DataFrame, nodes: DataFrame, known: DataFrame, le
     a = nodes.select(F.col("id").alias("source"), F.lit(1).alias("has_source"))
     b = nodes.select(F.col("id").alias("target"), F.lit(1).alias("has_target"))
     k = known.select("source", "target", F.lit(1).alias("is_known")).distinct()
-    verdict = F.when(F.col("has_source").isNull(), "missing_source").when(F.col("has_target").isNull(), "missing_target").when(F.col("confidence") < least, "low_confidence").when(F.col("is_known") == 1, "boosts_known").otherwise("accepted")
+    verdict = F.when(F.col("has_source").isNull(), "missing_source").when(F.col("has_target").isNull(), "missing_target").when(F.col("confidence") < least,
+        "low_confidence").when(F.col("is_known") == 1, "boosts_known").otherwise("accepted")
     return guesses.join(a, "source", "left").join(b, "target", "left").join(k, ["source", "target"], "left").withColumn("verdict", verdict)
 
 
@@ -243,9 +262,11 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, id
     """id and BM25 score of documents that hold any of the terms. Texts are read once, for their lengths and the few words that are asked for."""
     terms = list(dict.fromkeys(terms))
     words = F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    read = docs.select(id_col, F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("len"), F.filter(w, lambda x: x.isin(terms)).alias("hits")))[0].alias("__r"))
+    read = docs.select(id_col, F.transform(F.array(words),
+        lambda w: F.struct(F.size(w).alias("len"), F.filter(w, lambda x: x.isin(terms)).alias("hits")))[0].alias("__r"))
     tokens = kept(read.select(id_col, "__r.len", *(F.size(F.filter("__r.hits", _equals(t))).alias(f"__{i}") for i, t in enumerate(terms))), "postings")
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.sum(F.when(F.col(f"__{i}") > 0, 1).otherwise(0)).alias(f"__df{i}") for i in range(len(terms))))
+    stats = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("mean"),
+        *(F.sum(F.when(F.col(f"__{i}") > 0, 1).otherwise(0)).alias(f"__df{i}") for i in range(len(terms))))
     joined = tokens.where(reduce(lambda x, y: x | y, [F.col(f"__{i}") > 0 for i in range(len(terms))])).join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -271,4 +292,5 @@ def missing_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def with_untested(files: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per top folder: files that aren't tests, those that a test names, and the share."""
     sources = files.where(~paths.test_file(F.col("path"))).join(pairs.select(F.col("source").alias("path"), F.lit(1).alias("hit")).distinct(), "path", "left")
-    return sources.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("module")).agg(F.count("*").alias("files"), F.count("hit").alias("tested"), F.round(100.0 * F.count("hit") / F.count("*"), 2).alias("pct"))
+    return sources.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("module")).agg(F.count("*").alias("files"), F.count("hit").alias("tested"),
+        F.round(100.0 * F.count("hit") / F.count("*"), 2).alias("pct"))

@@ -66,7 +66,8 @@ def python_graph(files: DataFrame) -> DataFrame:
             rows = [(p, *r) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in python_rows(t)]
             types = [pa.string()] * 5 + [pa.int32()] * 2
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["path", "part", "kind", "name", "target", "start_line", "end_line"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                ["path", "part", "kind", "name", "target", "start_line", "end_line"])
 
     return files.select("path", "text").mapInArrow(run, GRAPH)
 
@@ -75,7 +76,8 @@ def normal_path(path: Column) -> Column:
     """Without . and .. steps."""
     empty = F.array().cast("array<string>")
     up = lambda done: F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)
-    steps = F.aggregate(F.split(path, "/"), empty, lambda done, x: F.when((x == ".") | (x == ""), done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))))
+    steps = F.aggregate(F.split(path, "/"), empty, lambda done, x: F.when((x == ".") | (x == ""), done).when(x == "..", up(done))
+        .otherwise(F.concat(done, F.array(x))))
     return F.array_join(steps, "/")
 
 
@@ -88,7 +90,8 @@ def script_imports(files: DataFrame, known: DataFrame, aliases: dict[str, str])
         place = place.when(F.col("specifier").startswith(alias), F.concat(F.lit(folder), F.substring("specifier", len(alias) + 1, 1 << 20)))
     rows = rows.withColumn("place", normal_path(place))
     tails = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
-    tries = rows.where("place IS NOT NULL").select("path", "specifier", F.posexplode(F.array(*(F.concat("place", F.lit(t)) for t in tails))).alias("at", "target"))
+    tries = rows.where("place IS NOT NULL").select("path", "specifier",
+        F.posexplode(F.array(*(F.concat("place", F.lit(t)) for t in tails))).alias("at", "target"))
     met = tries.join(known.select(F.col("path").alias("target")), "target").groupBy("path", "specifier").agg(F.min_by("target", "at").alias("target"))
     return rows.select("path", "specifier").join(met, ["path", "specifier"], "left")
 
@@ -136,7 +139,8 @@ def skeletons(files: DataFrame, lod: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else skeleton(t, lod) for t in b.column(1).to_pylist()], pa.string())], ["path", "skeleton"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else skeleton(t, lod) for t in b.column(1).to_pylist()], pa.string())],
+                ["path", "skeleton"])
 
     return files.select("path", "text").mapInArrow(run, "path string, skeleton string")
 
@@ -154,8 +158,10 @@ def synopses(files: DataFrame, most: int = 1500) -> DataFrame:
     first = lambda doc: F.trim(F.split_part(F.trim(doc), F.lit("\n"), F.lit(1)))
     purpose = first(F.regexp_extract("text", r"(?s)\A\s*" + quoted, 1))
     head = r"(?ms)^class\s+(\w+)[^:]*:\s*\n\s*" + quoted
-    classes = F.zip_with(F.regexp_extract_all("text", F.lit(head), F.lit(1)), F.regexp_extract_all("text", F.lit(head), F.lit(2)), lambda n, d: F.when(first(d) != "", F.concat(n, F.lit(" — "), first(d))).otherwise(n))
+    classes = F.zip_with(F.regexp_extract_all("text", F.lit(head), F.lit(1)), F.regexp_extract_all("text", F.lit(head), F.lit(2)), lambda n,
+        d: F.when(first(d) != "", F.concat(n, F.lit(" — "), first(d))).otherwise(n))
     functions = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?m)^\s*def\s+([a-zA-Z]\w*)\s*\("), F.lit(1))))
     part = lambda name, text: F.when(text != "", F.concat(F.lit(f"{name}: "), text))
-    lines = F.array(part("File", F.col("path")), part("Purpose", purpose), part("Classes", F.array_join(classes, "; ")), part("Functions", F.array_join(functions, ", ")))
+    lines = F.array(part("File", F.col("path")), part("Purpose", purpose), part("Classes", F.array_join(classes, "; ")),
+        part("Functions", F.array_join(functions, ", ")))
     return files.select("path", F.substring(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n"), 1, most).alias("synopsis"))

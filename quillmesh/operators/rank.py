@@ -54,7 +54,8 @@ def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def burndown(opened: DataFrame, closed: DataFrame) -> DataFrame:
     """Open items at the end of each day: daily sums first, then a running sum over days alone."""
-    days = opened.select(F.col("day"), F.lit(1).alias("d")).unionByName(closed.select("day", F.lit(-1).alias("d"))).groupBy("day").agg(F.sum("d").alias("change"))
+    days = opened.select(F.col("day"),
+        F.lit(1).alias("d")).unionByName(closed.select("day", F.lit(-1).alias("d"))).groupBy("day").agg(F.sum("d").alias("change"))
     return days.withColumn("open", F.sum("change").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, W.currentRow)))
 
 

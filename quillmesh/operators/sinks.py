@@ -47,7 +47,8 @@ def sarif(items: DataFrame) -> DataFrame:
     """One SARIF result a row, as JSON."""
     level = F.when(F.col("severity") == "critical", "error").when(F.col("severity") == "warning", "warning").otherwise("note")
     place = F.array(F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
-    result = F.struct(F.concat(F.lit("rule/"), "category").alias("ruleId"), level.alias("level"), F.struct(F.concat_ws(" ", "analyzer", "category").alias("text")).alias("message"), place.alias("locations"))
+    result = F.struct(F.concat(F.lit("rule/"), "category").alias("ruleId"), level.alias("level"),
+        F.struct(F.concat_ws(" ", "analyzer", "category").alias("text")).alias("message"), place.alias("locations"))
     return items.select("id", F.to_json(result).alias("result"))
 
 
@@ -56,7 +57,8 @@ def sarif_document(spark: SparkSession, path: str, results: DataFrame, tool: str
     head = f'{{"version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{tool}"}}}},"results":['
     first = results.agg(F.min("id")).first()[0]
     body = results.orderBy("id").select(F.concat(F.when(F.col("id") == first, "").otherwise(","), "result").alias("line"))
-    for part, rows in (("1-head", spark.createDataFrame([(head,)], "line string")), ("2-results", body), ("3-tail", spark.createDataFrame([("]}]}",)], "line string"))):
+    for part, rows in (("1-head", spark.createDataFrame([(head,)], "line string")), ("2-results", body),
+        ("3-tail", spark.createDataFrame([("]}]}",)], "line string"))):
         rows.write.text(f"{path}/part={part}")
     return spark.read.schema("value string, part string").text(path).select("part", F.col("value").alias("line"))
 
@@ -69,6 +71,7 @@ def vectors_mode(spark: SparkSession, path: str, now: DataFrame, before: DataFra
         changed = now.join(before.select("vec_id", F.col("hash").alias("old")), "vec_id", "left").where(~F.col("hash").eqNullSafe(F.col("old"))).drop("old")
         gone = before.join(now.select("vec_id"), "vec_id", "left_anti")
         mode = "noop" if changed.isEmpty() and gone.isEmpty() else "incremental"
-        out = before if mode == "noop" else before.join(now.select("vec_id"), "vec_id", "left_semi").join(changed.select("vec_id"), "vec_id", "left_anti").unionByName(changed)
+        out = before if mode == "noop" else before.join(now.select("vec_id"), "vec_id", "left_semi").join(changed.select("vec_id"), "vec_id",
+            "left_anti").unionByName(changed)
     out.withColumn("mode", F.lit(mode)).write.parquet(path)
     return spark.read.parquet(path)

@@ -8,7 +8,8 @@ from ..functions import paths
 from ..operators import aggregates as op
 from .registry import query
 
-APR = lambda v: f"CASE WHEN count(*) OVER () = 1 THEN 0.5::DOUBLE ELSE (rank() OVER (ORDER BY {v}) - 1 + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0::DOUBLE) / (count(*) OVER () - 1) END"
+APR = lambda v: f"""CASE WHEN count(*) OVER () = 1 THEN 0.5::DOUBLE
+    ELSE (rank() OVER (ORDER BY {v}) - 1 + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0::DOUBLE) / (count(*) OVER () - 1) END"""
 RAW_SQL = """deg AS (SELECT target AS id, count(*) AS n FROM edges WHERE kind = 'imports' GROUP BY 1), outs AS (SELECT source AS id, count(*) AS n FROM edges WHERE kind = 'imports' GROUP BY 1), syms AS (SELECT file_path, count(*) AS n FROM nodes WHERE kind = 'symbol' GROUP BY 1),
 raw AS (SELECT file_path AS path, size // 40 AS lines, coalesce(deg.n, 0) AS fan_in, coalesce(outs.n, 0) AS fan_out, coalesce(syms.n, 0) AS symbols, language = 'typescript' AS circular, size // 10000 AS tech_debt, CASE WHEN length(file_path) % 3 > 0 THEN (size % 7000) / 7000.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM nodes LEFT JOIN deg USING (id) LEFT JOIN outs USING (id) LEFT JOIN syms USING (file_path) WHERE kind = 'file' AND size >= 2000)"""
 
@@ -19,63 +20,117 @@ def raw(c):
     ins, outs = imports.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("fan_in")), imports.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("fan_out"))
     syms = c.nodes.where("kind = 'symbol'").groupBy("file_path").agg(F.count("*").alias("symbols"))
     zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
-    return files.join(ins, "id", "left").join(outs, "id", "left").join(syms, "file_path", "left").select(F.col("file_path").alias("path"), F.floor(F.col("size") / 40).alias("lines"), zero("fan_in"), zero("fan_out"), zero("symbols"), (F.col("language") == "typescript").alias("circular"), F.floor(F.col("size") / 10000).alias("tech_debt"), F.when(F.length("file_path") % 3 > 0, (F.col("size") % 7000) / 7000.0).alias("confidence"))
+    return files.join(ins, "id", "left").join(outs, "id", "left").join(syms, "file_path", "left").select(F.col("file_path").alias("path"),
+        F.floor(F.col("size") / 40).alias("lines"), zero("fan_in"), zero("fan_out"), zero("symbols"), (F.col("language") == "typescript").alias("circular"),
+        F.floor(F.col("size") / 10000).alias("tech_debt"), F.when(F.length("file_path") % 3 > 0, (F.col("size") % 7000) / 7000.0).alias("confidence"))
 
 
 def degree(c):
     return op.in_degrees(c.edges, ["imports"])
 
 
-query("agg_in_degree", lambda c: op.in_degrees(c.edges, origins=["static", "inferred"]), "SELECT target AS id, count(*) AS in_degree FROM edges WHERE origin IN ('static', 'inferred') GROUP BY target")
-query("agg_node_degree", lambda c: op.degrees(c.edges), "SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT source AS id, 0 AS i, 1 AS o FROM edges UNION ALL SELECT target, 1, 0 FROM edges) GROUP BY id")
-query("agg_hub_files", lambda c: op.hub_files(c.nodes, c.edges), "SELECT f.id AS file_id, t.file_path, count(*) AS in_degree FROM edges e JOIN nodes t ON t.id = e.target JOIN nodes f ON f.file_path = t.file_path AND f.kind = 'file' WHERE origin <> 'external' GROUP BY 1, 2 ORDER BY in_degree DESC, file_path LIMIT 10")
-query("agg_churn", lambda c: op.churn(c.commits, "1996-01-01"), "SELECT path, count(DISTINCT commit_id) AS commits, sum(added)::BIGINT AS added, sum(removed)::BIGINT AS removed, min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT author) AS authors FROM commits WHERE ts >= TIMESTAMP '1996-01-01' GROUP BY path")
-query("agg_hot_zones", lambda c: op.hot_zones(c.commits), "SELECT zone, commits FROM (SELECT *, count(*) OVER () AS n FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS zone, count(DISTINCT commit_id) AS commits FROM commits GROUP BY 1 HAVING count(DISTINCT commit_id) >= 10)) WHERE n >= 3 ORDER BY commits DESC, zone LIMIT 5")
-query("agg_consensus", lambda c: op.consensus(c.observations, 2), "SELECT o.project_id, file_path, count(DISTINCT agent) AS agents, count(*) AS n, any_value(all_agents) AS all_agents, round(count(DISTINCT agent) / any_value(all_agents)::DOUBLE, 6) AS score FROM observations o JOIN (SELECT project_id, count(DISTINCT agent) AS all_agents FROM observations WHERE NOT stale GROUP BY 1) t ON t.project_id = o.project_id WHERE NOT stale GROUP BY 1, 2 HAVING count(DISTINCT agent) >= 2")
-query("agg_obs_stats", lambda c: c.observations.groupBy("project_id", "category").agg(F.count("*").alias("total"), F.count_if("stale").alias("stale"), F.count_if(~F.col("stale")).alias("fresh")), "SELECT project_id, category, count(*) AS total, count(*) FILTER (stale) AS stale, count(*) FILTER (NOT stale) AS fresh FROM observations GROUP BY 1, 2")
-query("agg_token_usage", lambda c: c.usage.where("ts >= timestamp_ntz'2024-01-10'").groupBy("task_id").agg(F.sum("prompt_tokens").alias("prompt"), F.sum("completion_tokens").alias("completion"), F.sum("total_tokens").alias("total")), "SELECT task_id, sum(prompt_tokens)::BIGINT AS prompt, sum(completion_tokens)::BIGINT AS completion, sum(total_tokens)::BIGINT AS total FROM usage WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1")
-query("agg_audit_tokens", lambda c: op.usage_sets(c.usage), "SELECT provider, model, task_id, sum(total_tokens)::BIGINT AS tokens, count(*) AS n FROM usage GROUP BY GROUPING SETS ((provider), (model), (task_id), ())")
-query("agg_audit_count", lambda c: c.events.where("event_type = 'click' AND ts >= timestamp_ntz'2024-01-03'").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-03'")
+query("agg_in_degree", lambda c: op.in_degrees(c.edges, origins=["static", "inferred"]),
+    "SELECT target AS id, count(*) AS in_degree FROM edges WHERE origin IN ('static', 'inferred') GROUP BY target")
+query("agg_node_degree", lambda c: op.degrees(c.edges), """SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT source AS id, 0 AS i, 1 AS o FROM edges UNION ALL SELECT target, 1, 0
+    FROM edges) GROUP BY id""")
+query("agg_hub_files", lambda c: op.hub_files(c.nodes, c.edges), """SELECT f.id AS file_id, t.file_path, count(*) AS in_degree FROM edges e JOIN nodes t ON t.id = e.target JOIN nodes f ON f.file_path = t.file_path
+    AND f.kind = 'file' WHERE origin <> 'external' GROUP BY 1, 2 ORDER BY in_degree DESC, file_path LIMIT 10""")
+query("agg_churn", lambda c: op.churn(c.commits, "1996-01-01"), """SELECT path, count(DISTINCT commit_id) AS commits, sum(added)::BIGINT AS added, sum(removed)::BIGINT AS removed, min(ts) AS first_seen,
+    max(ts) AS last_seen, count(DISTINCT author) AS authors FROM commits WHERE ts >= TIMESTAMP '1996-01-01' GROUP BY path""")
+query("agg_hot_zones", lambda c: op.hot_zones(c.commits), """SELECT zone, commits FROM (SELECT *, count(*) OVER () AS n
+    FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS zone, count(DISTINCT commit_id) AS commits FROM commits GROUP BY 1
+    HAVING count(DISTINCT commit_id) >= 10)) WHERE n >= 3 ORDER BY commits DESC, zone LIMIT 5""")
+query("agg_consensus", lambda c: op.consensus(c.observations, 2), """SELECT o.project_id, file_path, count(DISTINCT agent) AS agents, count(*) AS n, any_value(all_agents) AS all_agents,
+    round(count(DISTINCT agent) / any_value(all_agents)::DOUBLE, 6) AS score FROM observations o
+    JOIN (SELECT project_id, count(DISTINCT agent) AS all_agents FROM observations WHERE NOT stale GROUP BY 1) t ON t.project_id = o.project_id
+    WHERE NOT stale GROUP BY 1, 2 HAVING count(DISTINCT agent) >= 2""")
+query("agg_obs_stats", lambda c: c.observations.groupBy("project_id", "category")
+    .agg(F.count("*").alias("total"), F.count_if("stale").alias("stale"), F.count_if(~F.col("stale")).alias("fresh")),
+    "SELECT project_id, category, count(*) AS total, count(*) FILTER (stale) AS stale, count(*) FILTER (NOT stale) AS fresh FROM observations GROUP BY 1, 2")
+query("agg_token_usage", lambda c: c.usage.where("ts >= timestamp_ntz'2024-01-10'").groupBy("task_id").agg(F.sum("prompt_tokens").alias("prompt"), F.sum("completion_tokens").alias("completion"), F.sum("total_tokens").alias("total")), """SELECT task_id, sum(prompt_tokens)::BIGINT AS prompt, sum(completion_tokens)::BIGINT AS completion, sum(total_tokens)::BIGINT AS total FROM usage
+    WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1""")
+query("agg_audit_tokens", lambda c: op.usage_sets(c.usage),
+    "SELECT provider, model, task_id, sum(total_tokens)::BIGINT AS tokens, count(*) AS n FROM usage GROUP BY GROUPING SETS ((provider), (model), (task_id), ())")
+query("agg_audit_count", lambda c: c.events.where("event_type = 'click' AND ts >= timestamp_ntz'2024-01-03'").agg(F.count("*").alias("n")),
+    "SELECT count(*) AS n FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-03'")
 PRICES = [("model0", 0.15, 0.6), ("model1", 2.5, 10.0), ("model2", 0.0, 0.0)]
-query("agg_cost", lambda c: c.usage.groupBy("model").agg(F.sum("prompt_tokens").alias("p"), F.sum("completion_tokens").alias("q")).join(c.spark.createDataFrame(PRICES, "model string, a double, b double"), "model", "left").select("model", F.round(F.col("p") / 1e6 * F.col("a") + F.col("q") / 1e6 * F.col("b"), 6).alias("cost")),
-      "SELECT model, round(p / 1000000.0::DOUBLE * a + q / 1000000.0::DOUBLE * b, 6) AS cost FROM (SELECT model, sum(prompt_tokens) AS p, sum(completion_tokens) AS q FROM usage GROUP BY 1) LEFT JOIN (VALUES ('model0', 0.15::DOUBLE, 0.6::DOUBLE), ('model1', 2.5::DOUBLE, 10.0::DOUBLE), ('model2', 0.0::DOUBLE, 0.0::DOUBLE)) v(model, a, b) USING (model)")
-query("agg_budget", lambda c: c.usage.where("date_trunc('month', ts) = timestamp'2024-01-01'").groupBy("project_id").agg(F.sum("total_tokens").alias("used")).select("project_id", "used", F.when(F.col("used") >= 40000, "blocked").when(F.col("used") >= 32000, "warning").otherwise("ok").alias("state")), "SELECT project_id, sum(total_tokens)::BIGINT AS used, CASE WHEN sum(total_tokens) >= 40000 THEN 'blocked' WHEN sum(total_tokens) >= 32000 THEN 'warning' ELSE 'ok' END AS state FROM usage WHERE date_trunc('month', ts) = TIMESTAMP '2024-01-01' GROUP BY 1")
-query("agg_quality", lambda c: c.concepts.withColumn("ok", F.when(F.col("id") % 6 != 0, F.col("confidence"))).groupBy("category").agg(F.count("*").alias("total"), F.count("ok").alias("valid"), F.round(F.count("ok") / F.count("*"), 3).alias("success_rate"), F.round(F.avg("ok"), 3).alias("mean"), F.round(F.min("ok"), 3).alias("low"), F.round(F.max("ok"), 3).alias("high")),
-      "SELECT category, count(*) AS total, count(ok) AS valid, round(count(ok) / count(*)::DOUBLE, 3) AS success_rate, round(avg(ok), 3) AS mean, round(min(ok), 3) AS low, round(max(ok), 3) AS high FROM (SELECT category, CASE WHEN id % 6 <> 0 THEN confidence::DOUBLE END AS ok FROM concepts) GROUP BY 1")
-query("agg_epistemic_quality", lambda c: c.concepts.where("status = 'active'").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 3).alias("mean")), "SELECT count(*) AS n, round(avg(confidence::DOUBLE), 3) AS mean FROM concepts WHERE status = 'active'")
-query("agg_models", lambda c: c.usage.groupBy("model", "provider").agg(F.count("*").alias("n")), "SELECT model, provider, count(*) AS n FROM usage GROUP BY 1, 2")
-query("agg_throughput", lambda c: c.usage.groupBy("task_id").agg(F.count("*").alias("n"), F.sum("total_tokens").alias("tokens"), ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6).alias("s")).select("task_id", F.round(F.try_divide("n", "s"), 8).alias("items_per_s"), F.round(F.try_divide("tokens", "s"), 6).alias("tokens_per_s")),
-      "SELECT task_id, round(n / s, 8) AS items_per_s, round(t / s, 6) AS tokens_per_s FROM (SELECT task_id, count(*) AS n, sum(total_tokens)::DOUBLE AS t, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE AS s FROM usage GROUP BY 1)")
+query("agg_cost", lambda c: c.usage.groupBy("model").agg(F.sum("prompt_tokens").alias("p"), F.sum("completion_tokens").alias("q"))
+    .join(c.spark.createDataFrame(PRICES, "model string, a double, b double"), "model", "left")
+    .select("model", F.round(F.col("p") / 1e6 * F.col("a") + F.col("q") / 1e6 * F.col("b"), 6).alias("cost")),
+      """SELECT model, round(p / 1000000.0::DOUBLE * a + q / 1000000.0::DOUBLE * b, 6) AS cost
+          FROM (SELECT model, sum(prompt_tokens) AS p, sum(completion_tokens) AS q FROM usage GROUP BY 1) LEFT
+          JOIN (VALUES ('model0', 0.15::DOUBLE, 0.6::DOUBLE), ('model1', 2.5::DOUBLE, 10.0::DOUBLE), ('model2', 0.0::DOUBLE, 0.0::DOUBLE)) v(model, a,
+          b) USING (model)""")
+query("agg_budget", lambda c: c.usage.where("date_trunc('month', ts) = timestamp'2024-01-01'").groupBy("project_id").agg(F.sum("total_tokens").alias("used")).select("project_id", "used", F.when(F.col("used") >= 40000, "blocked").when(F.col("used") >= 32000, "warning").otherwise("ok").alias("state")), """SELECT project_id, sum(total_tokens)::BIGINT AS used, CASE WHEN sum(total_tokens) >= 40000 THEN 'blocked'
+    WHEN sum(total_tokens) >= 32000 THEN 'warning' ELSE 'ok' END AS state FROM usage WHERE date_trunc('month', ts) = TIMESTAMP '2024-01-01' GROUP BY 1""")
+query("agg_quality", lambda c: c.concepts.withColumn("ok", F.when(F.col("id") % 6 != 0, F.col("confidence"))).groupBy("category")
+    .agg(F.count("*").alias("total"), F.count("ok").alias("valid"), F.round(F.count("ok") / F.count("*"), 3).alias("success_rate"),
+    F.round(F.avg("ok"), 3).alias("mean"), F.round(F.min("ok"), 3).alias("low"), F.round(F.max("ok"), 3).alias("high")),
+      """SELECT category, count(*) AS total, count(ok) AS valid, round(count(ok) / count(*)::DOUBLE, 3) AS success_rate, round(avg(ok), 3) AS mean,
+          round(min(ok), 3) AS low, round(max(ok), 3) AS high FROM (SELECT category, CASE WHEN id % 6 <> 0 THEN confidence::DOUBLE END AS ok
+          FROM concepts) GROUP BY 1""")
+query("agg_epistemic_quality", lambda c: c.concepts.where("status = 'active'").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 3).alias("mean")),
+    "SELECT count(*) AS n, round(avg(confidence::DOUBLE), 3) AS mean FROM concepts WHERE status = 'active'")
+query("agg_models", lambda c: c.usage.groupBy("model", "provider").agg(F.count("*").alias("n")),
+    "SELECT model, provider, count(*) AS n FROM usage GROUP BY 1, 2")
+query("agg_throughput", lambda c: c.usage.groupBy("task_id")
+    .agg(F.count("*").alias("n"), F.sum("total_tokens").alias("tokens"),
+    ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6).alias("s"))
+    .select("task_id", F.round(F.try_divide("n", "s"), 8).alias("items_per_s"), F.round(F.try_divide("tokens", "s"), 6).alias("tokens_per_s")),
+      """SELECT task_id, round(n / s, 8) AS items_per_s, round(t / s, 6) AS tokens_per_s
+          FROM (SELECT task_id, count(*) AS n, sum(total_tokens)::DOUBLE AS t, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE AS s
+          FROM usage GROUP BY 1)""")
 query("agg_spaghetti", lambda c: op.file_scores(raw(c)),
       f"WITH {RAW_SQL}, s AS (SELECT path, round(0.25 * {APR('lines')} + 0.20 * {APR('fan_in')} + 0.10 * {APR('fan_out')} + 0.10 * {APR('symbols')} + 0.10 * circular::INT + 0.15 * {APR('tech_debt')} + 0.10 * (1 - {APR('confidence')}), 6) AS score FROM raw) SELECT path, score, CASE WHEN score >= 0.75 THEN 'critical' WHEN score >= 0.5 THEN 'warning' ELSE 'info' END AS severity FROM s WHERE score >= 0.45")
 query("agg_hub_zscore", lambda c: op.hub_outliers(degree(c), 1.5, 3),
-      "WITH d AS (SELECT target AS id, count(*) AS in_degree FROM edges WHERE kind = 'imports' GROUP BY 1), s AS (SELECT avg(in_degree) AS m, stddev_samp(in_degree) AS sd, count(*) AS n FROM d) SELECT id, in_degree, round((in_degree - m) / CASE WHEN sd > 1e-9 THEN sd ELSE 1 END, 4) AS z FROM d, s WHERE n >= 5 AND (in_degree - m) / CASE WHEN sd > 1e-9 THEN sd ELSE 1 END >= 1.5 AND in_degree >= 3")
+      """WITH d AS (SELECT target AS id, count(*) AS in_degree FROM edges WHERE kind = 'imports'
+          GROUP BY 1), s AS (SELECT avg(in_degree) AS m, stddev_samp(in_degree) AS sd, count(*) AS n FROM d)
+          SELECT id, in_degree, round((in_degree - m) / CASE WHEN sd > 1e-9 THEN sd ELSE 1 END, 4) AS z FROM d, s WHERE n >= 5 AND (in_degree - m) / CASE
+          WHEN sd > 1e-9 THEN sd ELSE 1 END >= 1.5 AND in_degree >= 3""")
 query("agg_coupling", lambda c: op.coupling_hotspots(degree(c).join(c.nodes.where("kind = 'file'"), "id").select("file_path", "in_degree"), 1.0, 3),
-      "WITH d AS (SELECT file_path, count(*) AS in_degree FROM edges JOIN nodes ON nodes.id = target WHERE edges.kind = 'imports' AND nodes.kind = 'file' GROUP BY 1), s AS (SELECT avg(in_degree) AS m, stddev_samp(in_degree) AS sd, count(*) AS n FROM d), k AS (SELECT *, (in_degree - m) / CASE WHEN sd > 1e-9 THEN sd ELSE 1 END AS z, (rank() OVER (ORDER BY in_degree) - 1) / n::DOUBLE AS p FROM d, s) SELECT file_path, in_degree, round(z, 4) AS z, round(least(1.0::DOUBLE, 0.4::DOUBLE * p), 4) AS risk FROM k WHERE z >= 1 AND in_degree >= 3")
-query("agg_risk", lambda c: c.concepts.select("id", F.round(op.risk(F.col("confidence"), F.col("category") == "constraint", F.col("category") == "architecture", (F.col("id") % 10) / 10.0, (F.col("id") % 4) / 4.0), 6).alias("risk")), "SELECT id, round(least(1.0::DOUBLE, 0.4 * confidence::DOUBLE + 0.3 * CASE category WHEN 'constraint' THEN 1.0::DOUBLE WHEN 'architecture' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END + 0.2 * (id % 10) / 10.0::DOUBLE + 0.1 * (id % 4) / 4.0::DOUBLE), 6) AS risk FROM concepts")
-query("agg_structural", lambda c: op.best_findings([degree(c).select(F.lit("coupling").alias("finding_type"), F.col("id").alias("file_path"), F.round(F.col("in_degree") / 200.0, 4).alias("risk")), c.commits.groupBy("path").agg(F.count("*").alias("n")).select(F.lit("churn").alias("finding_type"), F.col("path").alias("file_path"), F.round(F.col("n") / 300.0, 4).alias("risk"))]),
-      "SELECT finding_type, file_path, risk FROM (SELECT 'coupling' AS finding_type, target AS file_path, round(count(*) / 200.0::DOUBLE, 4) AS risk FROM edges WHERE kind = 'imports' GROUP BY 2 UNION ALL SELECT 'churn', path, round(count(*) / 300.0::DOUBLE, 4) FROM commits GROUP BY 2) ORDER BY risk DESC, finding_type, file_path LIMIT 20")
+      """WITH d AS (SELECT file_path, count(*) AS in_degree FROM edges JOIN nodes ON nodes.id = target WHERE edges.kind = 'imports'
+          AND nodes.kind = 'file' GROUP BY 1), s AS (SELECT avg(in_degree) AS m, stddev_samp(in_degree) AS sd, count(*) AS n
+          FROM d), k AS (SELECT *, (in_degree - m) / CASE WHEN sd > 1e-9 THEN sd ELSE 1 END AS z, (rank() OVER (ORDER BY in_degree) - 1) / n::DOUBLE AS p
+          FROM d, s) SELECT file_path, in_degree, round(z, 4) AS z, round(least(1.0::DOUBLE, 0.4::DOUBLE * p), 4) AS risk FROM k WHERE z >= 1 AND in_degree >= 3""")
+query("agg_risk", lambda c: c.concepts.select("id", F.round(op.risk(F.col("confidence"), F.col("category") == "constraint", F.col("category") == "architecture", (F.col("id") % 10) / 10.0, (F.col("id") % 4) / 4.0), 6).alias("risk")), """SELECT id, round(least(1.0::DOUBLE, 0.4 * confidence::DOUBLE + 0.3 * CASE category WHEN 'constraint' THEN 1.0::DOUBLE
+    WHEN 'architecture' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END + 0.2 * (id % 10) / 10.0::DOUBLE + 0.1 * (id % 4) / 4.0::DOUBLE), 6) AS risk FROM concepts""")
+query("agg_structural", lambda c: op.best_findings([degree(c)
+    .select(F.lit("coupling").alias("finding_type"), F.col("id").alias("file_path"), F.round(F.col("in_degree") / 200.0, 4).alias("risk")),
+    c.commits.groupBy("path").agg(F.count("*").alias("n"))
+    .select(F.lit("churn").alias("finding_type"), F.col("path").alias("file_path"), F.round(F.col("n") / 300.0, 4).alias("risk"))]),
+      """SELECT finding_type, file_path, risk FROM (SELECT 'coupling' AS finding_type, target AS file_path, round(count(*) / 200.0::DOUBLE, 4) AS risk
+          FROM edges WHERE kind = 'imports' GROUP BY 2 UNION ALL SELECT 'churn', path, round(count(*) / 300.0::DOUBLE, 4) FROM commits GROUP BY 2)
+          ORDER BY risk DESC, finding_type, file_path LIMIT 20""")
 query(
     "agg_api_surface",
-    lambda c: c.concepts.groupBy("module").agg(F.count("*").alias("public"), F.count_if(F.col("status") == "active").alias("documented"), F.round(100.0 * F.count_if(F.col("status") == "active") / F.count("*"), 2).alias("pct")),
+    lambda c: c.concepts.groupBy("module")
+        .agg(F.count("*").alias("public"), F.count_if(F.col("status") == "active").alias("documented"),
+        F.round(100.0 * F.count_if(F.col("status") == "active") / F.count("*"), 2).alias("pct")),
     """SELECT module, count(*) AS public, count(*) FILTER (status = 'active') AS documented,
     round(100.0::DOUBLE * count(*) FILTER (status = 'active') / count(*), 2) AS pct FROM concepts GROUP BY 1""",
 )
 query(
     "agg_tech_debt",
-    lambda c: c.items.where("category = 'debt' AND NOT dismissed").groupBy(F.col("file_path").alias("module")).agg(F.count("*").alias("items")).where("items >= 3"),
+    lambda c: c.items.where("category = 'debt' AND NOT dismissed").groupBy(F.col("file_path").alias("module")).agg(F.count("*").alias("items"))
+        .where("items >= 3"),
     "SELECT file_path AS module, count(*) AS items FROM items WHERE category = 'debt' AND NOT dismissed GROUP BY 1 HAVING count(*) >= 3",
 )
-query("agg_large_files", lambda c: c.nodes.where("kind = 'file' AND size >= 40000").select("id", F.when(F.col("size") >= 80000, "critical").otherwise("warning").alias("severity")), "SELECT id, CASE WHEN size >= 80000 THEN 'critical' ELSE 'warning' END AS severity FROM nodes WHERE kind = 'file' AND size >= 40000")
+query("agg_large_files", lambda c: c.nodes.where("kind = 'file' AND size >= 40000")
+    .select("id", F.when(F.col("size") >= 80000, "critical").otherwise("warning").alias("severity")),
+    "SELECT id, CASE WHEN size >= 80000 THEN 'critical' ELSE 'warning' END AS severity FROM nodes WHERE kind = 'file' AND size >= 40000")
 query(
     "agg_staleness",
-    lambda c: c.vectors.select(F.col("vec_id").alias("doc_id")).join(c.documents, "doc_id", "left_anti").select(F.col("doc_id").cast("string").alias("path"), F.lit("orphan").alias("kind"))
+    lambda c: c.vectors.select(F.col("vec_id").alias("doc_id")).join(c.documents, "doc_id", "left_anti")
+        .select(F.col("doc_id").cast("string").alias("path"), F.lit("orphan").alias("kind"))
     .unionByName(c.files.join(c.vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("path", F.lit("gap").alias("kind"))),
     """SELECT vec_id::VARCHAR AS path, 'orphan' AS kind FROM vectors WHERE vec_id NOT IN (SELECT doc_id FROM documents)
     UNION ALL SELECT path, 'gap' FROM files WHERE doc_id NOT IN (SELECT vec_id FROM vectors)""",
 )
-query("agg_summary", lambda c: op.summary(c.items), "SELECT priority, category, source, analyzer, severity, count(*) AS n FROM items WHERE NOT dismissed GROUP BY GROUPING SETS ((priority), (category), (source), (analyzer), (severity))")
-GROUPED = "g AS (SELECT label, category, count(*) AS n, min(priority) AS p FROM k GROUP BY 1, 2) SELECT label, sum(n)::BIGINT AS n, min(p) AS priority, (SELECT category FROM g h WHERE h.label = g.label ORDER BY n DESC, category LIMIT 1) AS category FROM g GROUP BY label"
+query("agg_summary", lambda c: op.summary(c.items), """SELECT priority, category, source, analyzer, severity, count(*) AS n FROM items WHERE NOT dismissed
+    GROUP BY GROUPING SETS ((priority), (category), (source), (analyzer), (severity))""")
+GROUPED = """g AS (SELECT label, category, count(*) AS n, min(priority) AS p FROM k GROUP BY 1, 2)
+    SELECT label, sum(n)::BIGINT AS n, min(p) AS priority, (SELECT category FROM g h WHERE h.label = g.label ORDER BY n DESC, category LIMIT 1) AS category
+    FROM g GROUP BY label"""
 
 
 def label():
@@ -87,17 +142,23 @@ query("agg_consolidate_cat", lambda c: op.consolidated(c.items, label()), f"WITH
 query(
     "agg_consolidate_file",
     lambda c: op.by_root_file(c.items),
-    f"WITH k AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY file_path) >= 2 THEN 'Improve: ' || replace(file_path, 'part/', '') ELSE category END AS label FROM items), {GROUPED}",
+    f"""WITH k AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY file_path) >= 2 THEN 'Improve: ' || replace(file_path, 'part/', '')
+        ELSE category END AS label FROM items), {GROUPED}""",
 )
-query("agg_consolidate_sev", lambda c: op.consolidated(c.items, F.when(F.col("priority").isin("P0", "P1"), F.concat(F.lit("item-"), F.col("id").cast("string"))).otherwise(label())), f"WITH k AS (SELECT *, CASE WHEN priority IN ('P0', 'P1') THEN 'item-' || id::VARCHAR ELSE {LABEL} END AS label FROM items), {GROUPED}")
-query("agg_score_calibration", lambda c: op.node_scores(c.nodes.where("kind = 'file'").select("id", (F.col("size") % 1000 / 1000.0).alias("confidence"), (F.col("size") % 3 == 0).alias("validated"), (F.col("size") % 7).alias("refs")), c.edges, c.nodes.where("kind = 'file' AND size % 4000 = 0").select("id", (F.col("size") / 2000 % 5).cast("int").alias("depth"))),
+query("agg_consolidate_sev", lambda c: op.consolidated(c.items,
+    F.when(F.col("priority").isin("P0", "P1"), F.concat(F.lit("item-"), F.col("id").cast("string"))).otherwise(label())),
+    f"WITH k AS (SELECT *, CASE WHEN priority IN ('P0', 'P1') THEN 'item-' || id::VARCHAR ELSE {LABEL} END AS label FROM items), {GROUPED}")
+query("agg_score_calibration", lambda c: op.node_scores(c.nodes.where("kind = 'file'")
+    .select("id", (F.col("size") % 1000 / 1000.0).alias("confidence"), (F.col("size") % 3 == 0).alias("validated"), (F.col("size") % 7).alias("refs")),
+    c.edges, c.nodes.where("kind = 'file' AND size % 4000 = 0").select("id", (F.col("size") / 2000 % 5).cast("int").alias("depth"))),
       """WITH b AS (SELECT source AS s, target AS t FROM edges UNION SELECT target, source FROM edges), e AS (SELECT id, ((size / 2000) % 5)::INT AS depth FROM nodes WHERE kind = 'file' AND size % 4000 = 0),
       c3 AS (SELECT s AS id, count(e.id) / count(*)::DOUBLE AS c3 FROM b LEFT JOIN e ON e.id = b.t WHERE t LIKE 'file:%' GROUP BY 1)
       SELECT n.id, round(0.2353::DOUBLE * coalesce((size % 1000) / 1000.0::DOUBLE, 0) + 0.1765::DOUBLE * CASE WHEN depth IS NOT NULL THEN 1.0::DOUBLE WHEN size % 3 = 0 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END + 0.2353::DOUBLE * coalesce(c3, 0.5::DOUBLE) + 0.1765::DOUBLE * least(1.0::DOUBLE, (size % 7) / 4.0::DOUBLE) + 0.1764::DOUBLE * CASE WHEN depth IS NULL THEN 0.0::DOUBLE WHEN depth >= 4 THEN 1.0::DOUBLE WHEN depth >= 3 THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END, 3) AS composite FROM nodes n LEFT JOIN c3 USING (id) LEFT JOIN e USING (id) WHERE kind = 'file'""")
 query(
     "agg_convergence",
     lambda c: op.convergence(
-        c.concepts.where("status = 'active'").select("id", (F.col("confidence") * 0.9).alias("score")), c.concepts.select("id", F.col("confidence").alias("score")), 0.6),
+        c.concepts.where("status = 'active'").select("id", (F.col("confidence") * 0.9).alias("score")),
+            c.concepts.select("id", F.col("confidence").alias("score")), 0.6),
     """SELECT round(avg((confidence >= 0.6)::INT), 6) AS settled_ratio, round(avg(confidence::DOUBLE), 6) AS mean,
     round(max(CASE WHEN status = 'active' THEN abs(confidence::DOUBLE - confidence::DOUBLE * 0.9::DOUBLE) ELSE confidence::DOUBLE END), 6) AS max_residual FROM concepts""",
 )
@@ -109,16 +170,33 @@ query(
     r AS (SELECT *, row_number() OVER (ORDER BY n DESC, s) AS r FROM n)
     SELECT CASE WHEN n >= 26 AND r <= 5 THEN s ELSE 'root' END AS segment, sum(n)::BIGINT AS n FROM r GROUP BY 1""",
 )
-query("agg_routing_desc", lambda c: op.segment_descriptors(c.part_paths.select(F.col("p_brand").alias("segment"), F.col("p_type").alias("tag")), c.commits.groupBy("path").agg(F.count("*").alias("degree")).join(c.modules, "path").select(F.col("module").alias("segment"), "path", "degree")),
-      "WITH t AS (SELECT p_brand AS segment, p_type AS tag, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS r FROM part_paths GROUP BY 1, 2), h AS (SELECT module AS segment, path, row_number() OVER (PARTITION BY module ORDER BY count(*) DESC, path) AS r FROM commits JOIN modules USING (path) GROUP BY 1, 2) SELECT coalesce(a.segment, b.segment) AS segment, tags, hubs FROM (SELECT segment, string_agg(tag, ',' ORDER BY r) AS tags FROM t WHERE r <= 3 GROUP BY 1) a FULL JOIN (SELECT segment, string_agg(path, ',' ORDER BY r) AS hubs FROM h WHERE r <= 2 GROUP BY 1) b ON a.segment = b.segment")
-query("agg_exec_tags", lambda c: c.files.select(F.explode(F.array("lang", "source")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(8), "SELECT tag, count(*) AS n FROM (SELECT lang AS tag FROM files UNION ALL SELECT source FROM files) GROUP BY 1 ORDER BY n DESC, tag LIMIT 8")
-query("agg_velocity", lambda c: op.velocity(c.items.where("status = 'F'").select("priority", F.col("created_at").alias("completed_at")), "1996-01-01"), "SELECT w AS window, count(p) AS completed, count(*) FILTER (p = 'P0') AS p0, count(*) FILTER (p = 'P1') AS p1 FROM range(6) g(w) LEFT JOIN (SELECT priority AS p, (epoch_us(TIMESTAMP '1996-01-01') - epoch_us(created_at) - 1) // (14 * 86400000000) AS k FROM items WHERE status = 'F' AND created_at < TIMESTAMP '1996-01-01') ON k = w GROUP BY 1")
-query("agg_avg_velocity", lambda c: op.velocity(c.items.where("status = 'F'").select("priority", F.col("created_at").alias("completed_at")), "1996-01-01", windows=4).agg(F.avg("completed").alias("velocity")), "SELECT count(*) / 4.0::DOUBLE AS velocity FROM items WHERE status = 'F' AND created_at < TIMESTAMP '1996-01-01' AND created_at >= TIMESTAMP '1996-01-01' - INTERVAL 56 DAY")
-query("agg_concept_coverage", lambda c: c.modules.select("module").distinct().join(c.concepts.where("confidence > 0.97").select("module").distinct().withColumn("hit", F.lit(1)), "module", "left").agg(F.round(100.0 * F.count("hit") / F.count("*"), 2).alias("pct")), "SELECT round(100.0::DOUBLE * count(DISTINCT CASE WHEN confidence > 0.97 THEN module END) / count(DISTINCT module), 2) AS pct FROM concepts")
-query("agg_cluster_hist", lambda c: op.size_histogram(c.commits.groupBy("author").agg(F.countDistinct("commit_id").alias("n"))), "SELECT CASE WHEN n <= 1 THEN '1' WHEN n = 2 THEN '2' WHEN n <= 5 THEN '3-5' WHEN n <= 10 THEN '6-10' WHEN n <= 25 THEN '11-25' ELSE '26+' END AS band, count(*) AS clusters FROM (SELECT author, count(DISTINCT commit_id) AS n FROM commits GROUP BY 1) GROUP BY 1")
-query("agg_repo_profile", lambda c: c.files.groupBy(paths.extension(F.col("path")).alias("ext")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "SELECT regexp_extract(path, '(\\.[^.]+)$', 1) AS ext, count(*) AS n, sum(size)::BIGINT AS bytes FROM files GROUP BY 1")
-query("agg_rebuild_duration", lambda c: c.items.where("status = 'F'").groupBy("category").agg(F.max_by("value", F.struct("created_at", "id")).alias("last")).rollup("category").agg(F.round(F.sum("last"), 2).alias("seconds")), "SELECT category, round(sum(last), 2) AS seconds FROM (SELECT category, value AS last FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY created_at DESC, id DESC) AS r FROM items WHERE status = 'F') WHERE r = 1) GROUP BY ROLLUP (category)")
-query("agg_doc_score", lambda c: c.files.select("doc_id", F.round(op.document_score(F.col("doc_id") % 13, F.lit(12), F.col("path").endswith(".md"), F.when(F.col("path").startswith("docs/"), 0.7).otherwise(0.2), F.col("doc_id") % 11 == 0), 6).alias("score")), "SELECT doc_id, round(least(1.0::DOUBLE, 0.5 * (doc_id % 13) / 12.0::DOUBLE + CASE WHEN path LIKE '%.md' THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN path LIKE 'docs/%' THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN doc_id % 11 = 0 THEN 0.1::DOUBLE ELSE 0 END), 6) AS score FROM files")
+query("agg_routing_desc", lambda c: op.segment_descriptors(c.part_paths.select(F.col("p_brand").alias("segment"), F.col("p_type").alias("tag")),
+    c.commits.groupBy("path").agg(F.count("*").alias("degree")).join(c.modules, "path").select(F.col("module").alias("segment"), "path", "degree")),
+      """WITH t AS (SELECT p_brand AS segment, p_type AS tag, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS r
+          FROM part_paths GROUP BY 1, 2), h AS (SELECT module AS segment, path, row_number() OVER (PARTITION BY module ORDER BY count(*) DESC, path) AS r
+          FROM commits JOIN modules USING (path) GROUP BY 1, 2) SELECT coalesce(a.segment, b.segment) AS segment, tags, hubs
+          FROM (SELECT segment, string_agg(tag, ',' ORDER BY r) AS tags FROM t WHERE r <= 3 GROUP BY 1) a FULL
+          JOIN (SELECT segment, string_agg(path, ',' ORDER BY r) AS hubs FROM h WHERE r <= 2 GROUP BY 1) b ON a.segment = b.segment""")
+query("agg_exec_tags", lambda c: c.files.select(F.explode(F.array("lang", "source")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    .orderBy(F.desc("n"), "tag").limit(8),
+    "SELECT tag, count(*) AS n FROM (SELECT lang AS tag FROM files UNION ALL SELECT source FROM files) GROUP BY 1 ORDER BY n DESC, tag LIMIT 8")
+query("agg_velocity", lambda c: op.velocity(c.items.where("status = 'F'").select("priority", F.col("created_at").alias("completed_at")), "1996-01-01"), """SELECT w AS window, count(p) AS completed, count(*) FILTER (p = 'P0') AS p0, count(*) FILTER (p = 'P1') AS p1 FROM range(6) g(w) LEFT
+    JOIN (SELECT priority AS p, (epoch_us(TIMESTAMP '1996-01-01') - epoch_us(created_at) - 1) // (14 * 86400000000) AS k FROM items WHERE status = 'F'
+    AND created_at < TIMESTAMP '1996-01-01') ON k = w GROUP BY 1""")
+query("agg_avg_velocity", lambda c: op.velocity(c.items.where("status = 'F'").select("priority", F.col("created_at").alias("completed_at")), "1996-01-01", windows=4).agg(F.avg("completed").alias("velocity")), """SELECT count(*) / 4.0::DOUBLE AS velocity FROM items WHERE status = 'F' AND created_at < TIMESTAMP '1996-01-01'
+    AND created_at >= TIMESTAMP '1996-01-01' - INTERVAL 56 DAY""")
+query("agg_concept_coverage", lambda c: c.modules.select("module").distinct()
+    .join(c.concepts.where("confidence > 0.97").select("module").distinct().withColumn("hit", F.lit(1)), "module", "left")
+    .agg(F.round(100.0 * F.count("hit") / F.count("*"), 2).alias("pct")),
+    "SELECT round(100.0::DOUBLE * count(DISTINCT CASE WHEN confidence > 0.97 THEN module END) / count(DISTINCT module), 2) AS pct FROM concepts")
+query("agg_cluster_hist", lambda c: op.size_histogram(c.commits.groupBy("author").agg(F.countDistinct("commit_id").alias("n"))), """SELECT CASE WHEN n <= 1 THEN '1' WHEN n = 2 THEN '2' WHEN n <= 5 THEN '3-5' WHEN n <= 10 THEN '6-10' WHEN n <= 25 THEN '11-25'
+    ELSE '26+' END AS band, count(*) AS clusters FROM (SELECT author, count(DISTINCT commit_id) AS n FROM commits GROUP BY 1) GROUP BY 1""")
+query("agg_repo_profile", lambda c: c.files.groupBy(paths.extension(F.col("path")).alias("ext")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")),
+    "SELECT regexp_extract(path, '(\\.[^.]+)$', 1) AS ext, count(*) AS n, sum(size)::BIGINT AS bytes FROM files GROUP BY 1")
+query("agg_rebuild_duration", lambda c: c.items.where("status = 'F'").groupBy("category").agg(F.max_by("value", F.struct("created_at", "id")).alias("last")).rollup("category").agg(F.round(F.sum("last"), 2).alias("seconds")), """SELECT category, round(sum(last), 2) AS seconds FROM (SELECT category, value AS last FROM (SELECT *, row_number() OVER (PARTITION BY category
+    ORDER BY created_at DESC, id DESC) AS r FROM items WHERE status = 'F') WHERE r = 1) GROUP BY ROLLUP (category)""")
+query("agg_doc_score", lambda c: c.files.select("doc_id", F.round(op.document_score(F.col("doc_id") % 13, F.lit(12), F.col("path").endswith(".md"), F.when(F.col("path").startswith("docs/"), 0.7).otherwise(0.2), F.col("doc_id") % 11 == 0), 6).alias("score")), """SELECT doc_id, round(least(1.0::DOUBLE, 0.5 * (doc_id % 13) / 12.0::DOUBLE + CASE WHEN path LIKE '%.md' THEN 0.25::DOUBLE ELSE 0 END + CASE
+    WHEN path LIKE 'docs/%' THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN doc_id % 11 = 0 THEN 0.1::DOUBLE ELSE 0 END), 6) AS score FROM files""")
 query(
     "agg_role_overlap",
     lambda c: op.overlaps(c.commits.select(F.concat(F.lit("r"), F.col("author") % 12).alias("role"), "path"), "role", "path", 0.01),
@@ -126,10 +204,23 @@ query(
     s AS (SELECT x.role AS a, y.role AS b, count(*) AS c FROM m x JOIN m y ON x.path = y.path AND x.role < y.role GROUP BY 1, 2)
     SELECT a, b, round(c / (p.n + q.n - c)::DOUBLE, 6) AS jaccard FROM s JOIN n p ON p.role = a JOIN n q ON q.role = b WHERE c / (p.n + q.n - c)::DOUBLE > 0.01""",
 )
-query("agg_hi_topics", lambda c: c.files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("path", F.lit("([a-z]+)"), F.lit(1)))).alias("word")).join(c.spark.createDataFrame([("testing", "tests"), ("testing", "unit"), ("testing", "test"), ("web", "api"), ("web", "ui"), ("web", "src")], "topic string, word string"), "word").groupBy("path", "topic").agg(F.count("*").alias("hits")).where("hits >= 2").groupBy("topic").agg(F.count("*").alias("files")), "WITH w AS (SELECT path, unnest(list_distinct(regexp_extract_all(path, '[a-z]+'))) AS word FROM files), t AS (SELECT * FROM (VALUES ('testing', 'tests'), ('testing', 'unit'), ('testing', 'test'), ('web', 'api'), ('web', 'ui'), ('web', 'src')) v(topic, word)) SELECT topic, count(*) AS files FROM (SELECT path, topic FROM w JOIN t USING (word) GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1")
-query("agg_role_fitness", lambda c: c.concepts.withColumn("r", F.expr("row_number() OVER (PARTITION BY category ORDER BY confidence DESC, id)")).where("r <= 30").groupBy("category").agg(F.round(0.6 * F.avg((F.col("status") == "active").cast("double")) + 0.2 + 0.2 * F.avg(F.when(F.col("r") <= 10, F.col("confidence"))), 6).alias("fitness")), "SELECT category, round(0.6::DOUBLE * avg((status = 'active')::INT) + 0.2::DOUBLE + 0.2::DOUBLE * avg(confidence::DOUBLE) FILTER (r <= 10), 6) AS fitness FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, id) AS r FROM concepts) WHERE r <= 30 GROUP BY 1")
-query("agg_role_fitness_fb", lambda c: c.concepts.groupBy("module").agg(F.round(0.5 * F.least(F.count_if(F.col("kind").contains("STEEL")) / F.count("*"), F.lit(0.3)) / 0.3 + 0.3 * F.least(F.count_if(F.col("title").contains("1")) / F.count("*"), F.lit(0.3)) / 0.3 + 0.2, 6).alias("fitness")), "SELECT module, round(0.5::DOUBLE * least(count(*) FILTER (contains(kind, 'STEEL')) / count(*)::DOUBLE, 0.3::DOUBLE) / 0.3::DOUBLE + 0.3::DOUBLE * least(count(*) FILTER (contains(title, '1')) / count(*)::DOUBLE, 0.3::DOUBLE) / 0.3::DOUBLE + 0.2::DOUBLE, 6) AS fitness FROM concepts GROUP BY 1")
-query("agg_provenance", lambda c: c.items.groupBy("category").agg(F.max("created_at").alias("latest"), F.max_by("id", F.struct("created_at", "id")).alias("run")).select("category", "run", F.datediff(F.lit("2000-01-01").cast("date"), F.col("latest").cast("date")).alias("age_days")), "SELECT category, run, date_diff('day', l::DATE, DATE '2000-01-01')::INT AS age_days FROM (SELECT category, id AS run, created_at AS l, row_number() OVER (PARTITION BY category ORDER BY created_at DESC, id DESC) AS r FROM items) WHERE r = 1")
-query("agg_integrity", lambda c: op.integrity(c.events.where("ts < timestamp_ntz'2024-01-15' AND user_id % 5 != 0").groupBy(F.concat(F.lit("u"), F.col("user_id")).alias("name")).agg(F.count("*").alias("n")), c.events.where("ts >= timestamp_ntz'2024-01-15' AND user_id % 7 != 0").groupBy(F.concat(F.lit("u"), F.col("user_id")).alias("name")).agg(F.count("*").alias("n"))).groupBy("state").agg(F.count("*").alias("n")), "WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-15' AND user_id % 5 <> 0 GROUP BY 1), b AS (SELECT user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND user_id % 7 <> 0 GROUP BY 1) SELECT CASE WHEN a.n IS NULL THEN 'new' WHEN b.n IS NULL THEN 'deleted' WHEN b.n / a.n::DOUBLE < 0.5 THEN 'major_shrink' WHEN b.n / a.n::DOUBLE > 1.5 THEN 'growth' ELSE 'ok' END AS state, count(*) AS n FROM a FULL JOIN b USING (user_id) GROUP BY 1")
-query("agg_jsonl_count", lambda c: c.documents.select(F.explode(F.split("text", "\n")).alias("line")).where("length(trim(line)) > 0").agg(F.count("*").alias("lines")), "SELECT count(*) AS lines FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line)) > 0")
-query("agg_doc_folder_ratio", lambda c: c.files.groupBy(paths.directory(F.col("path")).alias("folder")).agg(F.round(F.avg(F.col("path").endswith(".md").cast("double")), 6).alias("md_ratio")), "SELECT regexp_replace(path, '/[^/]*$', '') AS folder, round(avg((path LIKE '%.md')::INT), 6) AS md_ratio FROM files GROUP BY 1")
+query("agg_hi_topics", lambda c: c.files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("path", F.lit("([a-z]+)"), F.lit(1)))).alias("word")).join(c.spark.createDataFrame([("testing", "tests"), ("testing", "unit"), ("testing", "test"), ("web", "api"), ("web", "ui"), ("web", "src")], "topic string, word string"), "word").groupBy("path", "topic").agg(F.count("*").alias("hits")).where("hits >= 2").groupBy("topic").agg(F.count("*").alias("files")), """WITH w AS (SELECT path, unnest(list_distinct(regexp_extract_all(path, '[a-z]+'))) AS word FROM files), t AS (SELECT *
+    FROM (VALUES ('testing', 'tests'), ('testing', 'unit'), ('testing', 'test'), ('web', 'api'), ('web', 'ui'), ('web', 'src')) v(topic, word))
+    SELECT topic, count(*) AS files FROM (SELECT path, topic FROM w JOIN t USING (word) GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1""")
+query("agg_role_fitness", lambda c: c.concepts.withColumn("r", F.expr("row_number() OVER (PARTITION BY category ORDER BY confidence DESC, id)")).where("r <= 30").groupBy("category").agg(F.round(0.6 * F.avg((F.col("status") == "active").cast("double")) + 0.2 + 0.2 * F.avg(F.when(F.col("r") <= 10, F.col("confidence"))), 6).alias("fitness")), """SELECT category, round(0.6::DOUBLE * avg((status = 'active')::INT) + 0.2::DOUBLE + 0.2::DOUBLE * avg(confidence::DOUBLE) FILTER (r <= 10),
+    6) AS fitness FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, id) AS r FROM concepts) WHERE r <= 30 GROUP BY 1""")
+query("agg_role_fitness_fb", lambda c: c.concepts.groupBy("module").agg(F.round(0.5 * F.least(F.count_if(F.col("kind").contains("STEEL")) / F.count("*"), F.lit(0.3)) / 0.3 + 0.3 * F.least(F.count_if(F.col("title").contains("1")) / F.count("*"), F.lit(0.3)) / 0.3 + 0.2, 6).alias("fitness")), """SELECT module, round(0.5::DOUBLE * least(count(*) FILTER (contains(kind, 'STEEL')) / count(*)::DOUBLE,
+    0.3::DOUBLE) / 0.3::DOUBLE + 0.3::DOUBLE * least(count(*) FILTER (contains(title, '1')) / count(*)::DOUBLE, 0.3::DOUBLE) / 0.3::DOUBLE + 0.2::DOUBLE,
+    6) AS fitness FROM concepts GROUP BY 1""")
+query("agg_provenance", lambda c: c.items.groupBy("category").agg(F.max("created_at").alias("latest"), F.max_by("id", F.struct("created_at", "id")).alias("run")).select("category", "run", F.datediff(F.lit("2000-01-01").cast("date"), F.col("latest").cast("date")).alias("age_days")), """SELECT category, run, date_diff('day', l::DATE, DATE '2000-01-01')::INT AS age_days
+    FROM (SELECT category, id AS run, created_at AS l, row_number() OVER (PARTITION BY category ORDER BY created_at DESC, id DESC) AS r FROM items) WHERE r = 1""")
+query("agg_integrity", lambda c: op.integrity(c.events.where("ts < timestamp_ntz'2024-01-15' AND user_id % 5 != 0").groupBy(F.concat(F.lit("u"), F.col("user_id")).alias("name")).agg(F.count("*").alias("n")), c.events.where("ts >= timestamp_ntz'2024-01-15' AND user_id % 7 != 0").groupBy(F.concat(F.lit("u"), F.col("user_id")).alias("name")).agg(F.count("*").alias("n"))).groupBy("state").agg(F.count("*").alias("n")), """WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-15' AND user_id % 5 <> 0
+    GROUP BY 1), b AS (SELECT user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND user_id % 7 <> 0 GROUP BY 1) SELECT CASE
+    WHEN a.n IS NULL THEN 'new' WHEN b.n IS NULL THEN 'deleted' WHEN b.n / a.n::DOUBLE < 0.5 THEN 'major_shrink' WHEN b.n / a.n::DOUBLE > 1.5 THEN 'growth'
+    ELSE 'ok' END AS state, count(*) AS n FROM a FULL JOIN b USING (user_id) GROUP BY 1""")
+query("agg_jsonl_count", lambda c: c.documents.select(F.explode(F.split("text", "\n")).alias("line")).where("length(trim(line)) > 0")
+    .agg(F.count("*").alias("lines")),
+    "SELECT count(*) AS lines FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line)) > 0")
+query("agg_doc_folder_ratio", lambda c: c.files.groupBy(paths.directory(F.col("path")).alias("folder"))
+    .agg(F.round(F.avg(F.col("path").endswith(".md").cast("double")), 6).alias("md_ratio")),
+    "SELECT regexp_replace(path, '/[^/]*$', '') AS folder, round(avg((path LIKE '%.md')::INT), 6) AS md_ratio FROM files GROUP BY 1")

@@ -33,7 +33,8 @@ def findings(c: Catalog, names: list[str] | None = None) -> DataFrame:
     def one(name: str) -> DataFrame:
         source, severity, category, subject, value = ANALYZERS[name]
         rows = registry.QUERIES[source](c.spark, c.dir)
-        return rows.selectExpr(f"'{name}' AS analyzer", f"{severity} AS severity", f"'{category}' AS category", f"{subject} AS subject", f"round(cast({value} AS double), 4) AS value")
+        return rows.selectExpr(f"'{name}' AS analyzer", f"{severity} AS severity", f"'{category}' AS category", f"{subject} AS subject",
+            f"round(cast({value} AS double), 4) AS value")
 
     return reduce(DataFrame.unionByName, map(one, names or sorted(ANALYZERS)))
 
@@ -41,7 +42,8 @@ def findings(c: Catalog, names: list[str] | None = None) -> DataFrame:
 def findings_sql(names: list[str] | None = None) -> str:
     def one(name: str) -> str:
         source, severity, category, subject, value = ANALYZERS[name]
-        return f"SELECT '{name}' AS analyzer, {severity} AS severity, '{category}' AS category, {subject} AS subject, round(cast({value} AS DOUBLE), 4) AS value FROM ({registry.ORACLE_SQL[source]})"
+        return f"""SELECT '{name}' AS analyzer, {severity} AS severity, '{category}' AS category, {subject} AS subject, round(cast({value} AS DOUBLE), 4) AS value
+            FROM ({registry.ORACLE_SQL[source]})"""
 
     return "SELECT * FROM (" + " UNION ALL ".join(map(one, names or sorted(ANALYZERS))) + ")"
 
@@ -83,7 +85,8 @@ def checks(c: Catalog) -> DataFrame:
     def one(name: str) -> DataFrame:
         source, against, most = CHECKS[name]
         bad: Column = F.count_if(F.expr(against))
-        return registry.QUERIES[source](c.spark, c.dir).agg(bad.alias("found")).select(F.lit(name).alias("name"), "found", (F.col("found") <= most).alias("passed"))
+        return registry.QUERIES[source](c.spark, c.dir).agg(bad.alias("found")).select(F.lit(name).alias("name"), "found",
+            (F.col("found") <= most).alias("passed"))
 
     return reduce(DataFrame.unionByName, map(one, sorted(CHECKS)))
 
@@ -91,6 +94,7 @@ def checks(c: Catalog) -> DataFrame:
 CHECKS_SQL = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) FILTER ({against}) AS found, count(*) FILTER ({against}) <= {most} AS passed FROM ({registry.ORACLE_SQL[source]})" for n, (source, against, most) in sorted(CHECKS.items()))
 query(
     "agg_security_score",
-    lambda c: checks(c).unionByName(checks(c).agg(F.round(100.0 * F.avg(F.col("passed").cast("double"))).cast("long").alias("found")).select(F.lit("score").alias("name"), "found", (F.col("found") >= 70).alias("passed"))),
+    lambda c: checks(c).unionByName(checks(c).agg(F.round(100.0 * F.avg(F.col("passed").cast("double"))).cast("long").alias("found"))
+        .select(F.lit("score").alias("name"), "found", (F.col("found") >= 70).alias("passed"))),
     f"WITH k AS ({CHECKS_SQL}) SELECT * FROM k UNION ALL SELECT 'score', round(100.0 * avg(passed::INT))::BIGINT, round(100.0 * avg(passed::INT)) >= 70 FROM k",
 )

@@ -30,30 +30,41 @@ JOINED = f"""WITH RECURSIVE {IMPORTS},
 LAYERED = "kind = 'contains' OR (kind = 'imports' AND origin = 'static')"
 
 query("gr_impact", lambda c: op.impact(c.edges.select("source", "target"), c.nodes.where("file_path LIKE 'supplier/%'").orderBy("id").limit(1).select("id"), 2),
-      "WITH s AS (SELECT min(id) AS id FROM nodes WHERE file_path LIKE 'supplier/%'), h1 AS (SELECT DISTINCT source AS id FROM edges WHERE target IN (SELECT id FROM s) AND source NOT IN (SELECT id FROM s)), h2 AS (SELECT DISTINCT source AS id FROM edges WHERE target IN (SELECT id FROM h1)) SELECT id, 1 AS distance FROM h1 UNION ALL SELECT id, 2 FROM h2 WHERE id NOT IN (SELECT id FROM h1) AND id NOT IN (SELECT id FROM s)")
+      """WITH s AS (SELECT min(id) AS id FROM nodes WHERE file_path LIKE 'supplier/%'), h1 AS (SELECT DISTINCT source AS id FROM edges
+          WHERE target IN (SELECT id FROM s) AND source NOT IN (SELECT id FROM s)), h2 AS (SELECT DISTINCT source AS id FROM edges
+          WHERE target IN (SELECT id FROM h1)) SELECT id, 1 AS distance FROM h1 UNION ALL SELECT id, 2 FROM h2 WHERE id NOT IN (SELECT id FROM h1)
+          AND id NOT IN (SELECT id FROM s)""")
 query("gr_scc", lambda c: op.strong_components(imports(c)), f"{SCC} SELECT node, root FROM s")
 query(
     "gr_cycles",
     lambda c: op.strong_components(imports(c)).groupBy("root").agg(F.count("*").alias("size"))
     .withColumn("severity", F.when(F.col("size") >= 6, "high").when(F.col("size") >= 3, "moderate").otherwise("low")),
-    f"{SCC} SELECT root, count(*) AS size, CASE WHEN count(*) >= 6 THEN 'high' WHEN count(*) >= 3 THEN 'moderate' ELSE 'low' END AS severity FROM s GROUP BY root",
+    f"""{SCC} SELECT root, count(*) AS size, CASE WHEN count(*) >= 6 THEN 'high' WHEN count(*) >= 3 THEN 'moderate' ELSE 'low' END AS severity FROM s
+        GROUP BY root""",
 )
 query(
     "gr_cycles_file",
-    lambda c: c.nodes.where("kind = 'file'").select("id").join(op.strong_components(imports(c)).select(F.col("node").alias("id"), F.lit(True).alias("hit")), "id", "left")
+    lambda c: c.nodes.where("kind = 'file'").select("id")
+        .join(op.strong_components(imports(c)).select(F.col("node").alias("id"), F.lit(True).alias("hit")), "id", "left")
     .select("id", F.coalesce("hit", F.lit(False)).alias("in_cycle")),
     f"{SCC} SELECT id, id IN (SELECT node FROM s) AS in_cycle FROM nodes WHERE kind = 'file'",
 )
 query(
     "gr_cycles_struct",
-    lambda c: op.strong_components(imports(c)).groupBy("root").agg(F.md5(F.array_join(F.array_sort(F.collect_set("node")), ",")).alias("members"), F.count("*").alias("size")),
+    lambda c: op.strong_components(imports(c)).groupBy("root")
+        .agg(F.md5(F.array_join(F.array_sort(F.collect_set("node")), ",")).alias("members"), F.count("*").alias("size")),
     f"{SCC} SELECT root, md5(string_agg(node, ',' ORDER BY node)) AS members, count(*) AS size FROM s GROUP BY root",
 )
 query("gr_union_find", lambda c: op.components(imports(c)), f"{JOINED} SELECT node, min(node) OVER (PARTITION BY c) AS root FROM t")
 PAIRS = "p AS (SELECT x.id AS a, y.id AS b FROM concepts x JOIN concepts y ON x.a1 = y.a1 AND x.kind = y.kind AND x.id < y.id)"
-pairs = lambda c: c.concepts.select(F.col("id").alias("a"), "a1", "kind").join(c.concepts.select(F.col("id").alias("b"), "a1", "kind"), ["a1", "kind"]).where("a < b")
-query("gr_clusters", lambda c: op.clusters(c.concepts.select("id", "confidence"), pairs(c)), f"WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT a AS id, min(b) AS root FROM r GROUP BY a), f AS (SELECT id, first_value(id) OVER (PARTITION BY root ORDER BY confidence DESC, id) AS representative, count(*) OVER (PARTITION BY root) AS size FROM m JOIN concepts USING (id)) SELECT id, representative, size FROM f")
-SHARED = "e AS (SELECT x.id AS a, y.id AS b FROM concepts x JOIN concepts y ON x.a1 = y.a1 AND x.kind = y.kind AND x.id <> y.id UNION SELECT x.id, y.id FROM concepts x JOIN concepts y ON x.a2 = y.a2 AND x.kind = y.kind AND x.id <> y.id)"
+pairs = lambda c: c.concepts.select(F.col("id").alias("a"), "a1", "kind").join(c.concepts.select(F.col("id").alias("b"), "a1", "kind"),
+    ["a1", "kind"]).where("a < b")
+query("gr_clusters", lambda c: op.clusters(c.concepts.select("id", "confidence"), pairs(c)), f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r
+    JOIN e ON r.b = e.a), m AS (SELECT a AS id, min(b) AS root FROM r GROUP BY a), f AS (SELECT id, first_value(id) OVER (PARTITION BY root
+    ORDER BY confidence DESC, id) AS representative, count(*) OVER (PARTITION BY root) AS size FROM m JOIN concepts USING (id))
+    SELECT id, representative, size FROM f""")
+SHARED = """e AS (SELECT x.id AS a, y.id AS b FROM concepts x JOIN concepts y ON x.a1 = y.a1 AND x.kind = y.kind AND x.id <> y.id UNION SELECT x.id, y.id
+    FROM concepts x JOIN concepts y ON x.a2 = y.a2 AND x.kind = y.kind AND x.id <> y.id)"""
 
 
 def shared(c):
@@ -70,7 +81,8 @@ query(
     n AS (SELECT *, count(*) OVER (PARTITION BY kind, root) AS n FROM k)
     SELECT id, CASE WHEN n >= 2 THEN kind ELSE 'uncategorized' END AS tag, CASE WHEN n >= 2 THEN root END AS cluster FROM n""",
 )
-query("gr_louvain", lambda c: op.communities(c.edges.where("origin IN ('static', 'inferred')").select(F.col("source").alias("a"), F.col("target").alias("b"), (F.col("weight") * F.col("confidence")).alias("w"))))
+query("gr_louvain", lambda c: op.communities(c.edges.where("origin IN ('static', 'inferred')")
+    .select(F.col("source").alias("a"), F.col("target").alias("b"), (F.col("weight") * F.col("confidence")).alias("w"))))
 query(
     "gr_topo",
     lambda c: op.tiers(c.nodes.select("id"), c.edges.where(LAYERED).select(F.col("source").alias("a"), F.col("target").alias("b"))),
@@ -80,18 +92,28 @@ query(
 )
 query(
     "gr_decay_bfs",
-    lambda c: op.decay(c.edges, c.nodes.select("id", F.lit(0.8).alias("score")), c.nodes.where("kind = 'symbol' AND file_path LIKE 'part/Brand1%'").select("id"), 2),
+    lambda c: op.decay(c.edges, c.nodes.select("id", F.lit(0.8).alias("score")), c.nodes.where("kind = 'symbol' AND file_path LIKE 'part/Brand1%'")
+        .select("id"), 2),
     """WITH e AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), k AS (SELECT a, b FROM e WHERE a IN (SELECT id FROM nodes) AND b IN (SELECT id FROM nodes)),
     h0 AS (SELECT id FROM nodes WHERE kind = 'symbol' AND file_path LIKE 'part/Brand1%'), h1 AS (SELECT DISTINCT b AS id FROM k WHERE a IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h0)),
     h2 AS (SELECT DISTINCT b AS id FROM k WHERE a IN (SELECT id FROM h1) AND b NOT IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h1))
     SELECT id, 0.0::DOUBLE AS score FROM h0 UNION ALL SELECT id, 0.76::DOUBLE FROM h1 UNION ALL SELECT id, 0.76::DOUBLE FROM h2""",
 )
-query("gr_proximity", lambda c: op.proximity(c.files.select(F.concat(paths.directory(F.col("path")), F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string")).alias("folder"), "path"), c.files.where("doc_id < 0").select(F.col("path").alias("a"), F.col("path").alias("b"))), "WITH d AS (SELECT regexp_replace(path, '/[^/]*$', '') || '/' || (doc_id // 100)::VARCHAR AS folder, path FROM files), f AS (SELECT *, count(*) OVER (PARTITION BY folder) AS n FROM d) SELECT x.path AS a, y.path AS b, round(greatest(0.3::DOUBLE, 0.7::DOUBLE - 0.04::DOUBLE * x.n), 6) AS confidence FROM f x JOIN f y ON x.folder = y.folder AND x.path < y.path WHERE x.n BETWEEN 2 AND 20")
+query("gr_proximity", lambda c: op.proximity(c.files.select(F.concat(paths.directory(F.col("path")), F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string")).alias("folder"), "path"), c.files.where("doc_id < 0").select(F.col("path").alias("a"), F.col("path").alias("b"))), """WITH d AS (SELECT regexp_replace(path, '/[^/]*$', '') || '/' || (doc_id // 100)::VARCHAR AS folder, path
+    FROM files), f AS (SELECT *, count(*) OVER (PARTITION BY folder) AS n FROM d)
+    SELECT x.path AS a, y.path AS b, round(greatest(0.3::DOUBLE, 0.7::DOUBLE - 0.04::DOUBLE * x.n), 6) AS confidence FROM f x
+    JOIN f y ON x.folder = y.folder AND x.path < y.path WHERE x.n BETWEEN 2 AND 20""")
 query("gr_cochange", lambda c: op.cochange(c.commits.groupBy(F.floor(F.col("commit_id") / 8).alias("commit_id"), "path").agg(F.min("ts").alias("ts")), "1998-09-01", 2000.0, 1, 0.1), """WITH r AS (SELECT commit_id // 8 AS k, path, min(ts) AS ts FROM commits GROUP BY 1, 2), z AS (SELECT k FROM r GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30),
       w AS (SELECT r.k, path, exp(-ln(2.0::DOUBLE) * date_diff('day', ts::DATE, DATE '1998-09-01') / 2000.0::DOUBLE) AS w FROM r JOIN z ON z.k = r.k), t AS (SELECT path, sum(w) AS t FROM w GROUP BY 1),
       b AS (SELECT x.path AS a, y.path AS b, sum(x.w) AS s FROM w x JOIN w y ON x.k = y.k AND x.path < y.path GROUP BY 1, 2)
       SELECT a, b, round(s / (p.t + q.t - s), 6) AS jaccard, round(s, 6) AS support FROM b JOIN t p ON p.path = a JOIN t q ON q.path = b WHERE s / (p.t + q.t - s) >= 0.1 AND s >= 0.5""")
-query("gr_inferred", lambda c: jo.judged_hypotheses(c.edges.where("origin = 'inferred' AND confidence >= 0.5").select("source", "target", "confidence"), c.nodes, c.edges.where("origin = 'static'"), 0.5).select("source", "target", "verdict"), "SELECT source, target, CASE WHEN EXISTS (SELECT 1 FROM edges k WHERE k.origin = 'static' AND k.source = e.source AND k.target = e.target) THEN 'boosts_known' ELSE 'accepted' END AS verdict FROM edges e WHERE origin = 'inferred' AND confidence >= 0.5")
-query("gr_reuse_jaccard", lambda c: op.reused(c.modules.where("length(path) % 4 != 0"), c.modules, 0.5), "WITH n AS (SELECT module, count(*) AS n FROM modules GROUP BY 1), o AS (SELECT module, count(*) AS n FROM modules WHERE length(path) % 4 <> 0 GROUP BY 1) SELECT n.module, o.module AS old, round(o.n / n.n::DOUBLE, 6) AS jaccard FROM n JOIN o USING (module) WHERE o.n / n.n::DOUBLE > 0.5 AND o.n < n.n")
-query("gr_architecture", lambda c: jo.with_modules(c.edges, c.nodes, c.modules).groupBy(F.coalesce("source_module", F.lit("external")).alias("source"), F.coalesce("target_module", F.lit("external")).alias("target")).agg(F.count("*").alias("n")), "SELECT coalesce(x.module, 'external') AS source, coalesce(y.module, 'external') AS target, count(*) AS n FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target LEFT JOIN modules x ON x.path = a.file_path LEFT JOIN modules y ON y.path = b.file_path WHERE e.kind = 'imports' GROUP BY 1, 2")
-query("agg_degree_histogram", lambda c: ag.degrees(c.edges).groupBy("in_degree").agg(F.count("*").alias("n")), "SELECT in_degree, count(*) AS n FROM (SELECT id, sum(i)::BIGINT AS in_degree FROM (SELECT source AS id, 0 AS i FROM edges UNION ALL SELECT target, 1 FROM edges) GROUP BY 1) GROUP BY 1")
+query("gr_inferred", lambda c: jo.judged_hypotheses(c.edges.where("origin = 'inferred' AND confidence >= 0.5").select("source", "target", "confidence"), c.nodes, c.edges.where("origin = 'static'"), 0.5).select("source", "target", "verdict"), """SELECT source, target, CASE WHEN EXISTS (SELECT 1 FROM edges k WHERE k.origin = 'static' AND k.source = e.source
+    AND k.target = e.target) THEN 'boosts_known' ELSE 'accepted' END AS verdict FROM edges e WHERE origin = 'inferred' AND confidence >= 0.5""")
+query("gr_reuse_jaccard", lambda c: op.reused(c.modules.where("length(path) % 4 != 0"), c.modules, 0.5), """WITH n AS (SELECT module, count(*) AS n FROM modules GROUP BY 1), o AS (SELECT module, count(*) AS n FROM modules WHERE length(path) % 4 <> 0
+    GROUP BY 1) SELECT n.module, o.module AS old, round(o.n / n.n::DOUBLE, 6) AS jaccard FROM n JOIN o USING (module) WHERE o.n / n.n::DOUBLE > 0.5
+    AND o.n < n.n""")
+query("gr_architecture", lambda c: jo.with_modules(c.edges, c.nodes, c.modules).groupBy(F.coalesce("source_module", F.lit("external")).alias("source"), F.coalesce("target_module", F.lit("external")).alias("target")).agg(F.count("*").alias("n")), """SELECT coalesce(x.module, 'external') AS source, coalesce(y.module, 'external') AS target, count(*) AS n FROM edges e JOIN nodes a ON a.id = e.source
+    JOIN nodes b ON b.id = e.target LEFT JOIN modules x ON x.path = a.file_path LEFT JOIN modules y ON y.path = b.file_path WHERE e.kind = 'imports'
+    GROUP BY 1, 2""")
+query("agg_degree_histogram", lambda c: ag.degrees(c.edges).groupBy("in_degree").agg(F.count("*").alias("n")), """SELECT in_degree, count(*) AS n FROM (SELECT id, sum(i)::BIGINT AS in_degree FROM (SELECT source AS id, 0 AS i FROM edges UNION ALL SELECT target, 1
+    FROM edges) GROUP BY 1) GROUP BY 1""")

@@ -23,18 +23,25 @@ def written(c, df, kind: str) -> str:
 
 query(
     "scan_walk",
-    lambda c: op.walk(c.spark, written(c, c.documents.select(F.col("text").alias("value")), "text"), ["**/*.txt"], [], 1 << 40).agg(F.sum("size").alias("bytes")),
+    lambda c: op.walk(c.spark, written(c, c.documents.select(F.col("text").alias("value")), "text"), ["**/*.txt"], [], 1 << 40)
+        .agg(F.sum("size").alias("bytes")),
     "SELECT sum(strlen(text) + 1)::BIGINT AS bytes FROM documents",
 )
-query("scan_source_files", lambda c: op.source_files(c.files, ["deploy/**"]).select("path"), "SELECT path FROM files WHERE path NOT LIKE 'node_modules/%' AND path NOT LIKE '%.lock' AND path NOT LIKE 'deploy/%'")
+query("scan_source_files", lambda c: op.source_files(c.files, ["deploy/**"]).select("path"),
+    "SELECT path FROM files WHERE path NOT LIKE 'node_modules/%' AND path NOT LIKE '%.lock' AND path NOT LIKE 'deploy/%'")
 query("scan_planning_docs", lambda c: op.planning_docs(c.files).select("path"), "SELECT path FROM files WHERE path LIKE '%.md'")
-query("scan_jsonl_keyed", lambda c: op.json_lines(c.spark, written(c, c.concepts.orderBy("id").coalesce(1).select("a1", "id"), "json"), "a1 string, id bigint", "a1"), "SELECT a1, max(id) AS id FROM concepts GROUP BY 1")
-query("scan_jsonl_list", lambda c: op.json_lines(c.spark, written(c, c.nation.select("n_nationkey", "n_name"), "json"), "n_nationkey int, n_name string"), "SELECT n_nationkey, n_name FROM nation")
-query("scan_filtered_nodes", lambda c: c.nodes.where(~paths.any_glob(F.col("file_path"), ["supplier/**"])).select("id", "kind"), "SELECT id, kind FROM nodes WHERE file_path NOT LIKE 'supplier/%'")
-query("scan_build_edges", lambda c: c.edges.groupBy("origin", "kind").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")), "SELECT origin, kind, count(*) AS n, sum(weight)::BIGINT AS weight FROM edges GROUP BY 1, 2")
+query("scan_jsonl_keyed", lambda c: op.json_lines(c.spark, written(c, c.concepts.orderBy("id").coalesce(1).select("a1", "id"), "json"), "a1 string, id bigint",
+    "a1"), "SELECT a1, max(id) AS id FROM concepts GROUP BY 1")
+query("scan_jsonl_list", lambda c: op.json_lines(c.spark, written(c, c.nation.select("n_nationkey", "n_name"), "json"), "n_nationkey int, n_name string"),
+    "SELECT n_nationkey, n_name FROM nation")
+query("scan_filtered_nodes", lambda c: c.nodes.where(~paths.any_glob(F.col("file_path"), ["supplier/**"])).select("id", "kind"),
+    "SELECT id, kind FROM nodes WHERE file_path NOT LIKE 'supplier/%'")
+query("scan_build_edges", lambda c: c.edges.groupBy("origin", "kind").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")),
+    "SELECT origin, kind, count(*) AS n, sum(weight)::BIGINT AS weight FROM edges GROUP BY 1, 2")
 query(
     "scan_trace_union",
-    lambda c: c.edges.select(F.col("source").alias("id"), F.lit("out").alias("way"), F.col("target").alias("other")).union(c.edges.select("target", F.lit("in"), "source")).distinct()
+    lambda c: c.edges.select(F.col("source").alias("id"), F.lit("out").alias("way"), F.col("target").alias("other"))
+        .union(c.edges.select("target", F.lit("in"), "source")).distinct()
     .groupBy("id", "way").agg(F.count("*").alias("n"), F.min("other").alias("first"), F.max("other").alias("last")),
     """SELECT id, way, count(*) AS n, min(other) AS first, max(other) AS last FROM (SELECT source AS id, 'out' AS way, target AS other FROM edges UNION SELECT target, 'in', source FROM edges) GROUP BY 1, 2""",
 )
@@ -46,46 +53,67 @@ query(
     SELECT f.id, f.file_path, f.language, f.size, coalesce(symbols, 0) AS symbols, coalesce(o.n, 0) AS imports, coalesce(i.n, 0) AS importers
     FROM nodes f LEFT JOIN s ON s.file_path = f.file_path LEFT JOIN o ON o.id = f.id LEFT JOIN i ON i.id = f.id WHERE kind = 'file'""",
 )
-query("scan_git_numstat", lambda c: op.numstat(c.orders.select(F.col("o_orderkey").alias("block"), F.lit(0).alias("i"), F.concat(F.lit("COMMIT c"), "o_orderkey", F.lit("|a"), "o_custkey", F.lit("|x|y")).alias("line")).unionByName(c.lineitem.select(F.col("l_orderkey").alias("block"), F.col("l_linenumber").alias("i"), F.concat(F.when(F.col("l_linenumber") == 2, "-").otherwise(F.col("l_quantity").cast("int").cast("string")), F.lit("\t"), F.col("l_linenumber").cast("string"), F.lit("\tp"), F.col("l_partkey").cast("string")).alias("line")))),
-      "SELECT 'c' || o_orderkey::VARCHAR AS commit_id, 'a' || o_custkey::VARCHAR AS author, 'p' || l_partkey::VARCHAR AS path, CASE WHEN l_linenumber = 2 THEN 0 ELSE l_quantity::BIGINT END AS added, l_linenumber::BIGINT AS removed FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-query("scan_telemetry", lambda c: c.events.where("event_type = 'error' AND get_json_object(props, '$.k') >= 5").select("event_id"), "SELECT event_id FROM events WHERE event_type = 'error' AND CAST(json_extract_string(props, '$.k') AS BIGINT) >= 5")
-query("scan_todos", lambda c: op.todos(c.files.withColumn("text", F.concat(F.lit("x\n# TODO: fix "), F.col("doc_id").cast("string"), F.lit("\n// FIXME later\n"), "text"))).select("path", "line", "mark", "note", "id"), "SELECT path, 2::INT AS line, 'TODO' AS mark, 'fix ' || doc_id::VARCHAR AS note, substr(sha256(path || ':2:fix ' || doc_id::VARCHAR), 1, 12) AS id FROM files UNION ALL SELECT path, 3, 'FIXME', 'later', substr(sha256(path || ':3:later'), 1, 12) FROM files")
-query("scan_roadmap_keywords", lambda c: c.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"(?i)\b(?:idiot|licensed|password)\b")).groupBy("doc_id").agg(F.count("*").alias("n")), r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '(?i)\b(idiot|licensed|password)\b') GROUP BY 1")
+query("scan_git_numstat", lambda c: op.numstat(c.orders.select(F.col("o_orderkey").alias("block"), F.lit(0).alias("i"),
+    F.concat(F.lit("COMMIT c"), "o_orderkey", F.lit("|a"), "o_custkey", F.lit("|x|y")).alias("line"))
+    .unionByName(c.lineitem.select(F.col("l_orderkey").alias("block"), F.col("l_linenumber").alias("i"),
+    F.concat(F.when(F.col("l_linenumber") == 2, "-").otherwise(F.col("l_quantity").cast("int").cast("string")), F.lit("\t"),
+    F.col("l_linenumber").cast("string"), F.lit("\tp"), F.col("l_partkey").cast("string")).alias("line")))),
+      """SELECT 'c' || o_orderkey::VARCHAR AS commit_id, 'a' || o_custkey::VARCHAR AS author, 'p' || l_partkey::VARCHAR AS path, CASE
+          WHEN l_linenumber = 2 THEN 0 ELSE l_quantity::BIGINT END AS added, l_linenumber::BIGINT AS removed FROM lineitem
+          JOIN orders ON l_orderkey = o_orderkey""")
+query("scan_telemetry", lambda c: c.events.where("event_type = 'error' AND get_json_object(props, '$.k') >= 5").select("event_id"),
+    "SELECT event_id FROM events WHERE event_type = 'error' AND CAST(json_extract_string(props, '$.k') AS BIGINT) >= 5")
+query("scan_todos", lambda c: op.todos(c.files.withColumn("text", F.concat(F.lit("x\n# TODO: fix "), F.col("doc_id").cast("string"), F.lit("\n// FIXME later\n"), "text"))).select("path", "line", "mark", "note", "id"), """SELECT path, 2::INT AS line, 'TODO' AS mark, 'fix ' || doc_id::VARCHAR AS note, substr(sha256(path || ':2:fix ' || doc_id::VARCHAR), 1, 12) AS id
+    FROM files UNION ALL SELECT path, 3, 'FIXME', 'later', substr(sha256(path || ':3:later'), 1, 12) FROM files""")
+query("scan_roadmap_keywords", lambda c: c.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"(?i)\b(?:idiot|licensed|password)\b")).groupBy("doc_id").agg(F.count("*").alias("n")), r"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+    WHERE regexp_matches(line, '(?i)\b(idiot|licensed|password)\b') GROUP BY 1""")
 query(
     "scan_vendor_dirs",
     lambda c: op.vendor_folders(
-        c.files.select("path", "size").unionByName(c.files.select(F.concat("source", F.lit("/"), F.element_at(F.array(F.lit("CMakeCache.txt"), F.lit(".git/HEAD"), F.lit("a.py")), (F.col("doc_id") % 3 + 1).cast("int"))).alias("path"), "size")),
+        c.files.select("path", "size").unionByName(c.files.select(F.concat("source", F.lit("/"),
+            F.element_at(F.array(F.lit("CMakeCache.txt"), F.lit(".git/HEAD"), F.lit("a.py")), (F.col("doc_id") % 3 + 1).cast("int"))).alias("path"), "size")),
         ["deploy"], ["docs"], 1 << 40, 10),
     """WITH a AS (SELECT path, size FROM files UNION ALL SELECT source || '/' || ['CMakeCache.txt', '.git/HEAD', 'a.py'][doc_id % 3 + 1], size FROM files),
     d AS (SELECT split_part(path, '/', 1) AS folder, count(*) AS files, sum(size)::BIGINT AS bytes, bool_or(path LIKE '%/CMakeCache.txt') AS built, bool_or(path LIKE '%/.git/%') AS nested FROM a GROUP BY 1),
     r AS (SELECT *, CASE WHEN folder = 'node_modules' THEN 'install folder' WHEN folder = 'deploy' THEN 'ignored' WHEN built THEN 'build output' WHEN nested THEN 'repository inside' WHEN files > 10 THEN 'size' END AS reason FROM d)
     SELECT folder, files, bytes, CASE WHEN reason IN ('repository inside', 'size') THEN 'propose' ELSE 'auto' END AS tier, reason FROM r WHERE reason IS NOT NULL AND folder <> 'docs'""",
 )
-query("scan_sql_concepts", lambda c: c.concepts.where("status = 'seed' AND category = 'technical'").select("id", F.from_json(F.to_json(F.array("a1", "a2")), "array<string>").alias("anchors")).select("id", F.size("anchors").alias("n")), "SELECT id, 2 AS n FROM concepts WHERE status = 'seed' AND category = 'technical'")
-PAGES = [[{"number": 1, "title": "a", "labels": ["bug", "high"]}, {"number": 2, "title": "b", "labels": []}], [{"number": 3, "title": "c", "labels": ["Security", "critical"], "state": "closed"}]]
-query("scan_github", lambda c: issues(c.spark, PAGES), "SELECT * FROM (VALUES (1::BIGINT, 'a', 'bug', 'P1', 'open'), (2, 'b', 'feature', 'P2', 'open'), (3, 'c', 'security', 'P0', 'closed')) v(number, title, category, priority, state)")
+query("scan_sql_concepts", lambda c: c.concepts.where("status = 'seed' AND category = 'technical'")
+    .select("id", F.from_json(F.to_json(F.array("a1", "a2")), "array<string>").alias("anchors")).select("id", F.size("anchors").alias("n")),
+    "SELECT id, 2 AS n FROM concepts WHERE status = 'seed' AND category = 'technical'")
+PAGES = [[{"number": 1, "title": "a", "labels": ["bug", "high"]}, {"number": 2, "title": "b", "labels": []}],
+    [{"number": 3, "title": "c", "labels": ["Security", "critical"], "state": "closed"}]]
+query("scan_github", lambda c: issues(c.spark, PAGES), """SELECT * FROM (VALUES (1::BIGINT, 'a', 'bug', 'P1', 'open'), (2, 'b', 'feature', 'P2', 'open'), (3, 'c', 'security', 'P0', 'closed')) v(number, title,
+    category, priority, state)""")
 EMBEDDERS = Registry(hashed=lambda col: vectors.hashed(col, 16))
 COMPRESSORS = Registry(codes=content.compressed)
 SARIF_ADAPTERS = Registry(default=content.sarif_findings)
 PARSERS = Registry(**{name: (lambda df, n=name: content.parsed(df, n)) for name in content.DECLARATIONS})
 WORKERS = Registry(embed=lambda now, before: flows.reuse_plan(now, before).where("action = 'embed'"))
-query("udf_embedder", lambda c: c.benchmark.select("item_id", F.size(EMBEDDERS.get("hashed")(F.col("text"))).alias("dims")), "SELECT item_id, 16 AS dims FROM benchmark")
+query("udf_embedder", lambda c: c.benchmark.select("item_id", F.size(EMBEDDERS.get("hashed")(F.col("text"))).alias("dims")),
+    "SELECT item_id, 16 AS dims FROM benchmark")
 query(
     "udf_compressor",
-    lambda c: COMPRESSORS.get("codes")(c.files.select("doc_id", F.concat("text", F.lit(" in "), "path").alias("text")), c.files.select("path")).select("doc_id", F.length("text").alias("chars")),
+    lambda c: COMPRESSORS.get("codes")(c.files.select("doc_id", F.concat("text", F.lit(" in "), "path").alias("text")), c.files.select("path"))
+        .select("doc_id", F.length("text").alias("chars")),
     """WITH k AS (SELECT path, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', '') AS name FROM files),
     b AS (SELECT path, CASE WHEN name LIKE 'test_doc_%' THEN 'TD' || substr(split_part(name, '_', 3), 1, 1) ELSE upper(substr(name, 1, 3)) END AS base FROM k),
     n AS (SELECT path, base, row_number() OVER (PARTITION BY base ORDER BY path) AS r FROM b)
     SELECT doc_id, (length(text) + 4 + length(base || CASE WHEN r > 1 THEN r::VARCHAR ELSE '' END))::INT AS chars FROM files JOIN n USING (path)""",
 )
-query("udf_language", lambda c: PARSERS.get("python")(c.files.withColumn("text", F.lit("def go():\n  pass"))), "SELECT path, 'symbol' AS kind, 'go' AS name FROM files")
-query("udf_pyo3", lambda c: c.files.select("path", paths.language(F.col("path")).alias("language"), F.substring(F.sha2("text", 256), 1, 32).alias("hash")).where("language = 'rust'"), "SELECT path, 'rust' AS language, substr(sha256(text), 1, 32) AS hash FROM files WHERE path LIKE '%.rs'")
+query("udf_language", lambda c: PARSERS.get("python")(c.files.withColumn("text", F.lit("def go():\n  pass"))),
+    "SELECT path, 'symbol' AS kind, 'go' AS name FROM files")
+query("udf_pyo3", lambda c: c.files.select("path", paths.language(F.col("path")).alias("language"), F.substring(F.sha2("text", 256), 1, 32).alias("hash"))
+    .where("language = 'rust'"), "SELECT path, 'rust' AS language, substr(sha256(text), 1, 32) AS hash FROM files WHERE path LIKE '%.rs'")
 query(
     "udf_sarif_adapter",
     lambda c: SARIF_ADAPTERS.get("default")(
-        c.items.select("id", F.concat(F.lit('[{"ruleId":"'), "category", F.lit('","level":"note","locations":[{"uri":"file:///'), "file_path", F.lit('","line":'), F.col("id") % 90, F.lit("}]}]")).alias("results"))
+        c.items.select("id", F.concat(F.lit('[{"ruleId":"'), "category", F.lit('","level":"note","locations":[{"uri":"file:///'), "file_path",
+            F.lit('","line":'), F.col("id") % 90, F.lit("}]}]")).alias("results"))
     ).select("id", "rule", "file_path", "line"),
     "SELECT id, category AS rule, file_path, (id % 90)::INT AS line FROM items",
 )
-query("udf_worker", lambda c: WORKERS.get("embed")(c.files.select("path", "hash"), c.files.where("doc_id % 2 = 0").select("path", "hash")), "SELECT path, 'embed' AS action FROM files WHERE doc_id % 2 <> 0")
-query("udf_mcp", lambda c: Corpus(c.spark, c.dir).hubs(5), "SELECT f.id AS file_id, t.file_path, count(*) AS in_degree FROM edges e JOIN nodes t ON t.id = e.target JOIN nodes f ON f.file_path = t.file_path AND f.kind = 'file' WHERE origin <> 'external' GROUP BY 1, 2 ORDER BY in_degree DESC, file_path LIMIT 5")
+query("udf_worker", lambda c: WORKERS.get("embed")(c.files.select("path", "hash"), c.files.where("doc_id % 2 = 0").select("path", "hash")),
+    "SELECT path, 'embed' AS action FROM files WHERE doc_id % 2 <> 0")
+query("udf_mcp", lambda c: Corpus(c.spark, c.dir).hubs(5), """SELECT f.id AS file_id, t.file_path, count(*) AS in_degree FROM edges e JOIN nodes t ON t.id = e.target JOIN nodes f ON f.file_path = t.file_path
+    AND f.kind = 'file' WHERE origin <> 'external' GROUP BY 1, 2 ORDER BY in_degree DESC, file_path LIMIT 5""")

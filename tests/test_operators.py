@@ -25,7 +25,9 @@ def rows(spark, data, schema):
     return spark.createDataFrame(data, schema)
 
 
-@pytest.mark.parametrize(("scores", "ratio", "k", "left"), [([0.85, 0.82, 0.79, 0.31, 0.28], 0.4, 10, 3), ([0.85, 0.83, 0.81, 0.79, 0.77], 0.4, 10, 5), ([0.5], 0.4, 10, 1), ([0.9, 0.2, 0.18, 0.15], 0.4, 10, 1), ([0.9, 0.88, 0.86, 0.84, 0.82], 0.4, 3, 3), ([0.8, 0.8, 0.8, 0.3], 0.4, 10, 3), ([0.0, 0.0, 0.0], 0.4, 10, 1), ([0.5, 0.47, 0.44, 0.41, 0.38], 0.4, 10, 5)])
+@pytest.mark.parametrize(("scores", "ratio", "k", "left"),
+    [([0.85, 0.82, 0.79, 0.31, 0.28], 0.4, 10, 3), ([0.85, 0.83, 0.81, 0.79, 0.77], 0.4, 10, 5), ([0.5], 0.4, 10, 1), ([0.9, 0.2, 0.18, 0.15], 0.4, 10, 1),
+    ([0.9, 0.88, 0.86, 0.84, 0.82], 0.4, 3, 3), ([0.8, 0.8, 0.8, 0.3], 0.4, 10, 3), ([0.0, 0.0, 0.0], 0.4, 10, 1), ([0.5, 0.47, 0.44, 0.41, 0.38], 0.4, 10, 5)])
 def test_adaptive_cut(spark, scores, ratio, k, left):
     df = rows(spark, [(1, i, s) for i, s in enumerate(scores)], "q int, id int, score double")
     assert rank.adaptive_cut(df, ["q"], "score", "id", ratio, k).count() == left
@@ -84,12 +86,16 @@ def test_markdown(spark):
     assert [r.content for r in content.markdown_chunks(df, 1800, 350).collect()] == ["intro\n\none\n\ntwo\n\nthree"]
 
 
-@pytest.mark.parametrize(("path", "glob", "hit"), [("a/b.py", "**/*.py", True), ("b.py", "**/*.py", True), ("src/x/y.ts", "src/**", True), ("lib/src", "src/**", False), ("a/b.lock", "*.lock", True), ("a/b.py", "?.py", True), ("ab.py", "?.py", False), ("src/x/y.py", "src/*.py", True), ("a1.py", "a[0-9].py", True), ("ab.py", "a[!b].py", False)])
+@pytest.mark.parametrize(("path", "glob", "hit"),
+    [("a/b.py", "**/*.py", True), ("b.py", "**/*.py", True), ("src/x/y.ts", "src/**", True), ("lib/src", "src/**", False), ("a/b.lock", "*.lock", True),
+    ("a/b.py", "?.py", True), ("ab.py", "?.py", False), ("src/x/y.py", "src/*.py", True), ("a1.py", "a[0-9].py", True), ("ab.py", "a[!b].py", False)])
 def test_globs(spark, path, glob, hit):
     assert one(spark, paths.any_glob(F.col("p"), [glob]), p=path) is hit
 
 
-@pytest.mark.parametrize(("q", "intent"), [("Where is the parser", "locate"), ("why does it fail", "rationale"), ("what calls foo", "trace"), ("compare a and b", "compare"), ("example of use", "example"), ("overview of it", "discover"), ("how does it work", "explain"), ("foo", "explain")])
+@pytest.mark.parametrize(("q", "intent"),
+    [("Where is the parser", "locate"), ("why does it fail", "rationale"), ("what calls foo", "trace"), ("compare a and b", "compare"),
+    ("example of use", "example"), ("overview of it", "discover"), ("how does it work", "explain"), ("foo", "explain")])
 def test_intents(spark, q, intent):
     assert one(spark, tx.intent(F.col("q")), q=q) == intent
 
@@ -274,11 +280,15 @@ def test_components_of_chains_and_stars(spark):
 def test_intents(spark):
     """One question for each rung of the ladder, and those that a word elsewhere takes off it."""
     want = {
-        "Who imports the parser": ("trace", "high"), "why is it so": ("rationale", "high"), "they chose maps": ("rationale", "medium"), "between a map and a list": ("compare", "high"),
-        "an example please": ("example", "high"), "what's in here": ("discover", "high"), "where is it": ("locate", "high"), "please find the parser": ("locate", "medium"),
-        "how do i find the parser": ("explain", "low"), "can someone explain the definition": ("explain", "high"), "find out how": ("locate", "high"), "tell me about it": ("explain", "high"), "parser": ("explain", "low"),
+        "Who imports the parser": ("trace", "high"), "why is it so": ("rationale", "high"), "they chose maps": ("rationale", "medium"),
+            "between a map and a list": ("compare", "high"),
+        "an example please": ("example", "high"), "what's in here": ("discover", "high"), "where is it": ("locate", "high"),
+            "please find the parser": ("locate", "medium"),
+        "how do i find the parser": ("explain", "low"), "can someone explain the definition": ("explain", "high"), "find out how": ("locate", "high"),
+            "tell me about it": ("explain", "high"), "parser": ("explain", "low"),
     }
-    rows = spark.createDataFrame([(q,) for q in want], "q string").select("q", tx.intent(F.col("q")).alias("i"), tx.intent_confidence(F.col("q")).alias("c")).collect()
+    rows = spark.createDataFrame([(q,) for q in want], "q string").select("q", tx.intent(F.col("q")).alias("i"),
+        tx.intent_confidence(F.col("q")).alias("c")).collect()
     assert {r.q: (r.i, r.c) for r in rows} == want
 
 
@@ -340,8 +350,10 @@ def test_watch_debounces_spaces_and_backs_off():
 
 
 @pytest.mark.parametrize(("reply", "want"), [
-    ('{"results": [{"a": 1}, {"a": 2}]}', [1, 2]), ('[{"a": 1}]', [1]), ('{"a": 1}\n{"a": 2}', [1, 2]), ('Sure: {"a": 1} or {"a": 2}.', [1, 2]), ('```json\n[{"a": 3}]\n```', [3]),
-    ("<think>{}</think>[{\"a\": 4}]", [4]), ('{"results": [{"a": 5}, {"a": 6', [5]), ('[{"a": 7, "b": [1, 2', [7]), ("no items", []), ("", []), (None, []), ('{"results": [{"a": {"b": "}"}}]}', [{"b": "}"}]),
+    ('{"results": [{"a": 1}, {"a": 2}]}', [1, 2]), ('[{"a": 1}]', [1]), ('{"a": 1}\n{"a": 2}', [1, 2]), ('Sure: {"a": 1} or {"a": 2}.', [1, 2]),
+        ('```json\n[{"a": 3}]\n```', [3]),
+    ("<think>{}</think>[{\"a\": 4}]", [4]), ('{"results": [{"a": 5}, {"a": 6', [5]), ('[{"a": 7, "b": [1, 2', [7]), ("no items", []), ("", []), (None, []),
+        ('{"results": [{"a": {"b": "}"}}]}', [{"b": "}"}]),
 ])
 def test_items_of_replies(reply, want):
     assert [json.loads(x)["a"] for x in replies.items(reply)] == want
@@ -367,20 +379,24 @@ def test_hybrid_context(spark):
 
 
 def test_vendor_folders(spark):
-    files = rows(spark, [("node_modules/a.js", 1), ("src/CMakeCache.txt", 1), ("lib/.git/HEAD", 1), ("big/x", 900), ("own/.git/HEAD", 5), (".hidden/x", 999), ("plain/x", 1), ("gen/x", 1), ("top.py", 999)], "path string, size long")
+    files = rows(spark, [("node_modules/a.js", 1), ("src/CMakeCache.txt", 1), ("lib/.git/HEAD", 1), ("big/x", 900), ("own/.git/HEAD", 5), (".hidden/x", 999),
+        ("plain/x", 1), ("gen/x", 1), ("top.py", 999)], "path string, size long")
     got = {r.folder: (r.tier, r.reason) for r in source.vendor_folders(files, ["gen"], ["own"], 500, 99).collect()}
-    assert got == {"node_modules": ("auto", "install folder"), "src": ("auto", "build output"), "lib": ("propose", "repository inside"), "big": ("propose", "size"), "gen": ("auto", "ignored")}
+    assert got == {"node_modules": ("auto", "install folder"), "src": ("auto", "build output"), "lib": ("propose", "repository inside"),
+        "big": ("propose", "size"), "gen": ("auto", "ignored")}
 
 
 def test_as_of_across_buckets(spark):
     left = rows(spark, [(1, "2024-03-01"), (1, "2024-01-02"), (2, "2024-01-01")], "k int, d string").select("k", F.col("d").cast("timestamp").alias("ts"))
-    right = rows(spark, [(1, "2024-01-01", "x"), (1, "2024-01-20", "y"), (2, "2024-02-01", "z")], "k int, d string, v string").select("k", F.col("d").cast("timestamp").alias("at"), "v")
+    right = rows(spark, [(1, "2024-01-01", "x"), (1, "2024-01-20", "y"), (2, "2024-02-01", "z")], "k int, d string, v string").select("k",
+        F.col("d").cast("timestamp").alias("at"), "v")
     got = {(r.k, r.ts.month): r.v for r in joins.as_of(left, right, ["k"], "ts", "at", ["v"], 5).collect()}
     assert got == {(1, 3): "y", (1, 1): "x", (2, 1): None}
 
 
 def test_equal_sets_are_paired_apart(spark):
-    sets = rows(spark, [(1, "a", ["x", "y", "z"]), (2, "b", ["z", "y", "x"]), (3, "a", ["x", "y", "z"]), (4, "c", ["x", "y", "z", "w"]), (5, "c", ["q"])], "id int, folder string, tokens array<string>")
+    sets = rows(spark, [(1, "a", ["x", "y", "z"]), (2, "b", ["z", "y", "x"]), (3, "a", ["x", "y", "z"]), (4, "c", ["x", "y", "z", "w"]), (5, "c", ["q"])],
+        "id int, folder string, tokens array<string>")
     assert {(r.a, r.b) for r in joins.jaccard_pairs(sets, 0.65).collect()} == {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)}
     assert {(r.a, r.b) for r in joins.jaccard_pairs(sets, 0.65, apart="folder").collect()} == {(1, 2), (2, 3), (1, 4), (2, 4), (3, 4)}
     assert [(r.a, r.b) for r in joins.jaccard_pairs(sets, 0.65, most=2).collect()] == [(1, 2), (1, 3)]
