@@ -237,12 +237,14 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
 
 def code_digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same with lowercase hex SHA-256 of ids and decoded bytes in their place."""
-    return _coded(docs, ranks, pattern, id_col, text_col, "ids_sha256 string, decoded_sha256 string", lambda ids, back: (hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
+    return _coded(docs, ranks, pattern, id_col, text_col, "ids_sha256 string, decoded_sha256 string", lambda ids,
+        back: (hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
 
 
 def coded(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids together with both digests."""
-    return _coded(docs, ranks, pattern, id_col, text_col, "ids binary, ids_sha256 string, decoded_sha256 string", lambda ids, back: (ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
+    return _coded(docs, ranks, pattern, id_col, text_col, "ids binary, ids_sha256 string, decoded_sha256 string", lambda ids,
+        back: (ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
 
 
 def _coded(docs: DataFrame, ranks: str, pattern: str, id_col: str, text_col: str, columns: str, digest) -> DataFrame:
@@ -261,7 +263,8 @@ def _coded(docs: DataFrame, ranks: str, pattern: str, id_col: str, text_col: str
                 for ids in c.encode(texts[a:z]):
                     n.append(len(ids) // 4)
                     rows.append(digest(ids, c.decode(ids)))
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()),
+                *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
         return one
 

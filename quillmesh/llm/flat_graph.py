@@ -239,7 +239,8 @@ class Meeting:
             used = np.union1d(star[0], np.union1d(a, b))
             star = used, root[used]
         used, root = star
-        return pa.RecordBatch.from_arrays([pa.array(self.node[used]), pa.array(count[used]), pa.array(searched[used]), pa.array(self.node[root])], ["node", "links", "searched", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(self.node[used]), pa.array(count[used]), pa.array(searched[used]), pa.array(self.node[root])],
+            ["node", "links", "searched", "root"])
 
 
 def whole_parts(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -259,7 +260,8 @@ def numbered_nodes(rows: DataFrame) -> DataFrame:
 def fit_centroids(nodes: DataFrame) -> dict[str, np.ndarray]:
     """For groups of more than a shard: MAX_CENTROIDS of them at most, however many labels there are."""
     share = max(SHARD, -(-nodes.count() // MAX_CENTROIDS))
-    large = {r["group"]: (r["n"], r["d"]) for r in nodes.groupBy("group").agg(F.count("*").alias("n"), F.first(F.size("v")).alias("d")).where(F.col("n") > share).collect()}
+    large = {r["group"]: (r["n"], r["d"]) for r in nodes.groupBy("group").agg(F.count("*").alias("n"), F.first(F.size("v")).alias("d"))
+        .where(F.col("n") > share).collect()}
     out: dict[str, np.ndarray] = {}
     if large:
         sample = bounded_sample(nodes.where(F.col("group").isin(list(large))).select("node", "group", "v"), "node", FIT_ROWS, max(d for _, d in large.values()))
@@ -290,7 +292,8 @@ def shard_members(nodes: DataFrame, centroids: dict[str, np.ndarray], least: flo
                 for i, h, row in zip(at, near, inside, strict=True):
                     home[i] = h
                     also[i] = np.flatnonzero(row).tolist()
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(home), pa.array(also, pa.list_(pa.int64())), b.column(3), b.column(1)], ["node", "v", "home", "shards", "n", "group"])
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(home), pa.array(also, pa.list_(pa.int64())), b.column(3), b.column(1)],
+                ["node", "v", "home", "shards", "n", "group"])
 
         return one
 
@@ -313,7 +316,8 @@ def united_lists(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "near"])
 
     blocks = ["group", "shard", "block"]
-    lists = members.select(*blocks, "node", "v").repartition(*blocks).sortWithinPartitions(*blocks, "node").mapInArrow(graphs, "node bigint, near array<bigint>")
+    lists = members.select(*blocks, "node", "v").repartition(*blocks).sortWithinPartitions(*blocks, "node").mapInArrow(graphs,
+        "node bigint, near array<bigint>")
     return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
@@ -324,7 +328,8 @@ def link_table(nodes: DataFrame, least: float) -> DataFrame:
     each = F.sequence(F.lit(0), F.col("blocks") - 1)
     columns = ["group", "shard", "ask", "have", "node", "v", "home", "shards", "n", "near", "asker", (F.col("ask") == F.col("have")).alias("own")]
     offered = full.select("*", F.explode(each).alias("ask"), F.col("block").alias("have"), F.lit(False).alias("asker")).select(*columns)
-    asking = full.where("home = shard and blocks > 1").select("*", F.col("block").alias("ask"), F.explode(each).alias("have"), F.lit(True).alias("asker")).where("ask != have").select(*columns)
+    asking = full.where("home = shard and blocks > 1").select("*", F.col("block").alias("ask"), F.explode(each).alias("have"),
+        F.lit(True).alias("asker")).where("ask != have").select(*columns)
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_parts(batches, ["group", "shard", "ask", "have"]):
@@ -333,14 +338,16 @@ def link_table(nodes: DataFrame, least: float) -> DataFrame:
                 yield m.counted(least)
 
     keys = ["group", "shard", "ask", "have"]
-    met = offered.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(meet, "node bigint, links bigint, searched bigint, root bigint")
+    met = offered.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(meet,
+        "node bigint, links bigint, searched bigint, root bigint")
     return stored(met, "flat-links", small=True)
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     small_batches(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"), F.col(label_col).cast("string").alias("label"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"),
+        F.col(label_col).cast("string").alias("label"))
     rows = rows.withColumn("usable", usable(F.col("v")) & F.col("label").isNotNull())
     nodes = numbered_nodes(rows)
     found = link_table(nodes, least)

@@ -160,13 +160,15 @@ class Profiles:
         return [self.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], score
 
 
-def fit_profiles(docs: DataFrame, fit_rows: int = FIT_ROWS, dim: int = DIM, n: int = GRAM, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
+def fit_profiles(docs: DataFrame, fit_rows: int = FIT_ROWS, dim: int = DIM, n: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
+    lang_col: str = "lang") -> Profiles:
     """Prototypes from labelled documents of folds 0, 1 and 3, at most fit_rows of each language in expectation.
 
     What leaves an executor is one vector a language and partition.
     """
     small_batches(docs.sparkSession)
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("id")) != 2))
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+        F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("id")) != 2))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return Profiles([], np.zeros((0, dim)), n)

@@ -43,7 +43,8 @@ FANOUT = 16
 def payload(url: Column, body: Column) -> Column:
     """The bytes of a record, two line ends after it included."""
     text = F.coalesce(body, F.lit("")).cast("binary")
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(text).cast("string"), F.lit("\r\n\r\n"))
+    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
+        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(text).cast("string"), F.lit("\r\n\r\n"))
     return F.concat(head.cast("binary"), text, F.lit("\r\n\r\n").cast("binary"))
 
 
@@ -51,7 +52,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     """id, key (the id as text; of a null id the url, so that such rows are told apart and join too), turn (of rows that repeat a key), length and SHA-256 of each record; the bodies stay where they are read."""
     raw = payload(F.col(url_col), F.col(body_col))
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.coalesce(F.col(url_col), F.lit(""))))
-    out = pages.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("digest"))
+    out = pages.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(F.col(url_col), F.lit("")).alias("url"),
+        F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("digest"))
     return out.withColumn("turn", F.row_number().over(W.partitionBy("key").orderBy("url", "digest"))).drop("url")
 
 
@@ -66,12 +68,14 @@ def _joined(children: DataFrame, level: int) -> DataFrame:
     """Nodes (level, node, digest) from children (parent, child, digest)."""
     ordered = F.array_sort(F.collect_list(F.struct("child", "digest")))
     text = F.concat_ws("|", F.transform(ordered, lambda c: F.concat_ws(":", c["child"], c["digest"])))
-    return children.groupBy("parent").agg(F.sha2(text.cast("binary"), 256).alias("digest")).select(F.lit(level).alias("level"), F.col("parent").alias("node"), "digest")
+    return children.groupBy("parent").agg(F.sha2(text.cast("binary"), 256).alias("digest")).select(F.lit(level).alias("level"), F.col("parent").alias("node"),
+        "digest")
 
 
 def tree(recs: DataFrame, ranges: DataFrame, last: int) -> DataFrame:
     """level, node, digest of levels 1 to last; ranges has key, turn, place and range of each record of the index."""
-    out = now = stored(_joined(recs.join(ranges, ["key", "turn"]).select(F.col("range").alias("parent"), F.col("place").alias("child"), "digest"), 1), "merkle-ranges")
+    out = now = stored(_joined(recs.join(ranges, ["key", "turn"]).select(F.col("range").alias("parent"), F.col("place").alias("child"), "digest"), 1),
+        "merkle-ranges")
     for level in range(2, last + 1):
         now = _joined(now.select(F.floor(F.col("node") / FANOUT).alias("parent"), F.col("node").alias("child"), "digest"), level)
         out = out.unionByName(now)
@@ -111,7 +115,8 @@ class Archive:
         spots = self.ranges.join(open_, F.col("range") == F.col("parent"), "left_semi").select("id", "key", "turn")
         mine = spots.join(self.records.select("key", "turn", "digest"), ["key", "turn"])
         pair = mine.join(theirs.select("key", "turn", F.col("digest").alias("copy")), ["key", "turn"], "left")
-        bad = pair.where(~F.col("digest").eqNullSafe(F.col("copy"))).select("id", "key", "turn", F.when(F.col("copy").isNull(), "missing").otherwise("corrupt").alias("status"))
+        bad = pair.where(~F.col("digest").eqNullSafe(F.col("copy"))).select("id", "key", "turn", F.when(F.col("copy").isNull(), "missing")
+            .otherwise("corrupt").alias("status"))
         extra = theirs.join(self.ranges, ["key", "turn"], "left_anti").select("id", "key", "turn", F.lit("extra").alias("status"))
         return bad.unionByName(extra)
 
@@ -128,7 +133,8 @@ def fixity(pages: DataFrame, replica: DataFrame) -> DataFrame:
     archive = Archive(pages)
     bad = archive.audit(replica).where("status != 'extra'")
     out = archive.index.join(archive.records.select("key", "turn", "digest"), ["key", "turn"]).join(bad.drop("id"), ["key", "turn"], "left")
-    return out.select(F.col("id").alias("page_id"), F.col("offset").alias("rec_offset"), F.col("length").alias("rec_length"), F.col("range").alias("range_id"), "digest", F.coalesce("status", F.lit("ok")).alias("status"))
+    return out.select(F.col("id").alias("page_id"), F.col("offset").alias("rec_offset"), F.col("length").alias("rec_length"), F.col("range").alias("range_id"),
+        "digest", F.coalesce("status", F.lit("ok")).alias("status"))
 
 
 FIXITY_SQL = r"""

@@ -92,7 +92,8 @@ def rates(per_weight: DataFrame, goal: DataFrame, most: float) -> DataFrame:
     both = per_weight.join(to, F.col("s").eqNullSafe(F.col("s2"))).withColumn("before", before).withColumn("rest", rest)
     both = both.withColumn("level", F.when(F.col("rest") > 0, (F.col("target") - F.lit(most) * F.col("before")) / F.col("rest")))
     free = F.when(F.col("level") * F.col("weight") <= most, F.col("weight"))
-    found = both.groupBy("s").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.max_by("level", free).alias("level"), (F.lit(most) / F.min("weight")).alias("full"))
+    found = both.groupBy("s").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.max_by("level", free).alias("level"),
+        (F.lit(most) / F.min("weight")).alias("full"))
     return found.select("s", "source_size", "target", F.when(F.col("source_size") > 0, F.coalesce("level", "full")).alias("rate"))
 
 
@@ -101,7 +102,8 @@ def ranked(rows: DataFrame, most: float) -> DataFrame:
     expected = F.least(F.coalesce(F.col("rate") * F.col("weight"), F.lit(0.0)), F.lit(most))
     certain = F.floor(expected).cast("long")
     key = odds(F.col("u")) / odds(expected - certain)
-    return rows.withColumn("certain", certain).withColumn("key", F.when((certain + 1 <= most) & (expected > certain), key)).withColumn("fine", F.floor(F.col("key") / (1 + F.col("key")) * (BINS * BINS)).cast("long"))
+    return rows.withColumn("certain", certain).withColumn("key", F.when((certain + 1 <= most) & (expected > certain), key)).withColumn("fine",
+        F.floor(F.col("key") / (1 + F.col("key")) * (BINS * BINS)).cast("long"))
 
 
 def _weight(weight_col: str | None, size: Column) -> Column:
@@ -111,21 +113,26 @@ def _weight(weight_col: str | None, size: Column) -> Column:
     return F.round(F.least(F.greatest(own, F.lit(1 / 64)), F.lit(64.0)) * 64) / 64
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weight_col: str | None = None) -> DataFrame:
     """One row a source: s, source_size, target, rate, and the finer bin and key up to which an extra copy is taken."""
     text, size = F.col(text_col), words(F.col(text_col))
-    small = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("s"), size.alias("size"), uniform(F.col(id_col), text).alias("u"), _weight(weight_col, size).alias("weight")), "mix-sizes")
+    small = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("s"), size.alias("size"), uniform(F.col(id_col), text).alias("u"),
+        _weight(weight_col, size).alias("weight")), "mix-sizes")
     per_weight = small.groupBy("s", "weight").agg(F.sum("size").alias("x"))
     goal = targets(per_weight.groupBy("s").agg(F.sum("x").alias("source_size")), weights, most)
     sources = stored(rates(per_weight, goal, most), "mix-sources", small=True)
     per = sources.select(F.col("s").alias("s2"), "target", "rate")
-    rated = ranked(small.join(per, F.col("s").eqNullSafe(F.col("s2"))), most).withColumn("bin", F.floor(F.col("fine") / BINS).cast("long")).select("s", "id", "size", "certain", "key", "bin", "fine", "target")
-    bins = rated.groupBy("s", "target", "bin").agg(F.sum(F.when(F.col("key").isNotNull(), F.col("size")).otherwise(0)).alias("x"), F.sum(F.col("size") * F.col("certain")).alias("sure"))
+    rated = ranked(small.join(per, F.col("s").eqNullSafe(F.col("s2"))), most).withColumn("bin", F.floor(F.col("fine") / BINS).cast("long")).select("s", "id",
+        "size", "certain", "key", "bin", "fine", "target")
+    bins = rated.groupBy("s", "target", "bin").agg(F.sum(F.when(F.col("key").isNotNull(), F.col("size")).otherwise(0)).alias("x"),
+        F.sum(F.col("size") * F.col("certain")).alias("sure"))
     by_s = W.partitionBy("s")
     run = by_s.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
     left = F.col("target") - F.sum("sure").over(by_s)
     coarse = bins.withColumn("left", left).withColumn("upto", F.sum("x").over(run))
-    holds = coarse.where(F.col("bin").isNotNull() & (F.col("upto") >= F.col("left"))).groupBy("s").agg(F.min(F.struct("bin", (F.col("upto") - F.col("x")).alias("before"), "left")).alias("c"))
+    holds = coarse.where(F.col("bin").isNotNull() & (F.col("upto") >= F.col("left"))).groupBy("s").agg(F.min(F.struct("bin",
+        (F.col("upto") - F.col("x")).alias("before"), "left")).alias("c"))
     holds = holds.select(F.col("s").alias("s3"), F.col("c.bin").alias("b"), F.col("c.before").alias("before"), F.col("c.left").alias("left"))
     same = F.col("s").eqNullSafe(F.col("s3"))
     inside = rated.join(holds, same & (F.col("bin") == F.col("b"))).drop("s3")
@@ -133,12 +140,14 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
     fine = fine.withColumn("upto", F.col("before") + F.sum("x").over(by_s.orderBy("fine").rowsBetween(W.unboundedPreceding, W.currentRow)))
     spot = fine.where(F.col("upto") >= F.col("left")).groupBy("s").agg(F.min(F.struct("fine", (F.col("upto") - F.col("x")).alias("before"), "left")).alias("c"))
     spot = spot.select(F.col("s").alias("s3"), F.col("c.fine").alias("f"), F.col("c.before").alias("before"), F.col("c.left").alias("left"))
-    last = rated.join(spot, same & (F.col("fine") == F.col("f"))).groupBy("s", "key", "id", "size").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("left").alias("left"))
+    last = rated.join(spot, same & (F.col("fine") == F.col("f"))).groupBy("s", "key", "id", "size").agg(F.count("*").alias("n"),
+        F.first("before").alias("before"), F.first("left").alias("left"))
     order = by_s.orderBy("key", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     last = last.withColumn("upto", F.col("before") + F.sum(F.col("size") * F.col("n")).over(order))
     # of the ranks at the cut: the first that is out, by the place of its middle word
     out = last.where(F.col("upto") - F.col("size") * F.col("n") / 2 > F.col("left")).groupBy("s").agg(F.min(F.struct("key", "id", "size")).alias("stop"))
-    ends = spot.select(F.col("s3").alias("s"), "f").join(out.withColumnRenamed("s", "s3"), F.col("s").eqNullSafe(F.col("s3")), "left").select(F.col("s").alias("s4"), "f", "stop")
+    ends = spot.select(F.col("s3").alias("s"), "f").join(out.withColumnRenamed("s", "s3"), F.col("s").eqNullSafe(F.col("s3")),
+        "left").select(F.col("s").alias("s4"), "f", "stop")
     return stored(sources.join(ends, F.col("s").eqNullSafe(F.col("s4")), "left").drop("s4"), "mix-plan", small=True)
 
 
@@ -147,25 +156,30 @@ def _with_copies(rows: DataFrame, plan_: DataFrame, most: float) -> DataFrame:
     per = plan_.select(F.struct("s", "source_size", "target", "f", "stop").alias("mix"), "rate", F.col("s").alias("of"))
     both = ranked(rows.join(per, F.col("s").eqNullSafe(F.col("of"))), most)
     before = F.struct("key", "id", "size") < F.col("mix.stop")
-    within = F.when(F.col("mix.f").isNull(), F.lit(True)).when(F.col("fine") != F.col("mix.f"), F.col("fine") < F.col("mix.f")).otherwise(F.col("mix.stop").isNull() | before)
+    within = F.when(F.col("mix.f").isNull(), F.lit(True)).when(F.col("fine") != F.col("mix.f"),
+        F.col("fine") < F.col("mix.f")).otherwise(F.col("mix.stop").isNull() | before)
     return both.withColumn("copies", F.col("certain") + (F.col("key").isNotNull() & within).cast("long"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weight_col: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken (copies times size) of every document."""
     out = _with_copies(_read(docs, id_col, text_col, source_col, weight_col), plan(docs, weights, most, id_col, text_col, source_col, weight_col), most)
     return out.select(F.col("id").alias("doc_id"), "size", "mix.source_size", "mix.target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, id_col: str = "doc_id", text_col: str = "text",
+    source_col: str = "source", weight_col: str | None = None) -> DataFrame:
     """The mix itself: every document as often as it is taken, all its columns."""
-    out = _with_copies(_read(docs, id_col, text_col, source_col, weight_col, F.struct("*").alias("row")), plan(docs, weights, most, id_col, text_col, source_col, weight_col), most)
+    out = _with_copies(_read(docs, id_col, text_col, source_col, weight_col, F.struct("*").alias("row")),
+        plan(docs, weights, most, id_col, text_col, source_col, weight_col), most)
     return out.where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None, *more: Column) -> DataFrame:
     text, size = F.col(text_col), words(F.col(text_col))
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("s"), size.alias("size"), uniform(F.col(id_col), text).alias("u"), _weight(weight_col, size).alias("weight"), *more)
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("s"), size.alias("size"), uniform(F.col(id_col), text).alias("u"),
+        _weight(weight_col, size).alias("weight"), *more)
 
 
 #: The same mix, document by document, with the plain order of all ranks in place of bins.

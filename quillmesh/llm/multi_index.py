@@ -143,8 +143,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, found: int = FOUN
     spark = vectors.sparkSession
     small_batches(spark)
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(usable(F.col("v")) & F.col("id").isNotNull())
-    size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy(F.desc("n"), "d").first()
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"),
+        F.coalesce(is_query, F.lit(False)).alias("asks")).where(usable(F.col("v")) & F.col("id").isNotNull())
+    size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q"),
+        F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy(F.desc("n"), "d").first()
     if size is None or not size["q"]:
         return spark.createDataFrame([], schema)
     dim = size["d"]
@@ -153,7 +155,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, found: int = FOUN
     codes = Codes(sample, float(np.sqrt(size["m"])))
     shards = -(-size["n"] // SHARD)
     index = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "id", "v")
-    asked = rows.where("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
+    asked = rows.where("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"),
+        "id", "v")
 
     def visits(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Tables, np.ndarray, np.ndarray]]:
         """Each shard's rows come first and are held; its queries follow, batch by batch."""
@@ -187,9 +190,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, found: int = FOUN
                     q.append(np.full(len(best), ids[a + i]))
                     them.append(of[near][best])
                     s.append(score[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(them)), pa.array(np.concatenate(s))], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(them)), pa.array(np.concatenate(s))],
+                    ["query_id", "vec_id", "score"])
 
-    met = index.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    met = index.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run,
+        "query_id bigint, vec_id bigint, score double")
     once = met.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -125,7 +125,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 w = words(t)
                 digest.append(xxhash.xxh3_128_digest(" ".join(w)) if w else None)
                 sig.append(signature(grams(w)).tobytes() if w else None)
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["id", "key", "digest", "sig"])
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())],
+                ["id", "key", "digest", "sig"])
 
         return one
 
@@ -215,7 +216,8 @@ def prune(cells: DataFrame) -> DataFrame:
             lo, hi = np.searchsorted(left, used), np.searchsorted(left, used, "right")
             packed = right.astype("<u4")
             out = t.select(["band", "bucket", "i", "j", "digest", "key", "n"]).take(pa.array(used))
-            yield from out.append_column("slot", pa.array(used.astype(np.int64))).append_column("later", pa.array([packed[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary())).combine_chunks().to_batches()
+            yield from out.append_column("slot", pa.array(used.astype(np.int64))).append_column("later",
+                pa.array([packed[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary())).combine_chunks().to_batches()
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema if f.name in ("band", "bucket", "i", "j", "digest", "key", "n"))
     return cells.mapInArrow(run, f"{schema}, slot bigint, later binary")
@@ -286,7 +288,8 @@ def verify(cells: DataFrame, threshold: float) -> DataFrame:
                     digests.append(digest[known[x]])
                     links.append(int(total[x]))
                     roots.append(digest[known[root[x]]])
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(links, pa.int64()), pa.array(roots, pa.binary())], ["digest", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(links, pa.int64()), pa.array(roots, pa.binary())],
+                ["digest", "links", "root"])
 
     return cells.mapInArrow(run, "digest binary, links bigint, root binary")
 
@@ -303,7 +306,8 @@ def filter_of(keys: DataFrame) -> DataFrame:
 
 def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """rows, which have a key, with a boolean maybe: the key may be one of keys (surely not, where false). The bitmap has a proven bound, so it is broadcast."""
-    with_k = rows.withColumn("k", bit_of(F.col("key"))).withColumn("__bucket", F.expr("bitmap_bucket_number(k)")).withColumn("at", F.expr("bitmap_bit_position(k)"))
+    with_k = rows.withColumn("k", bit_of(F.col("key"))).withColumn("__bucket", F.expr("bitmap_bucket_number(k)")).withColumn("at",
+        F.expr("bitmap_bit_position(k)"))
     byte = F.conv(F.hex(F.substring("__bits", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0, F.lit(False))
     return with_k.join(F.broadcast(filter_of(keys)), "__bucket", "left").select(*rows.columns, hit.alias("maybe"))
@@ -312,7 +316,8 @@ def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The sketch of every row, and of each node its digest, rep (least id), n, n_links, class_id and whether it is the one its class keeps."""
     seen = stored(sketch(docs, id_col, text_col), "ngram-sketch")
-    nodes = stored(seen.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.count("*").alias("n"), F.first("sig").alias("sig")), "ngram-nodes")
+    nodes = stored(seen.where("digest is not null").groupBy("digest")
+        .agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.count("*").alias("n"), F.first("sig").alias("sig")), "ngram-nodes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 2 * ROWS + 1, F.lit(2 * ROWS))))
     banded = nodes.select("digest", F.posexplode(keys).alias("band", "bucket"))
     crowded = banded.groupBy("band", "bucket").agg(F.count("*").alias("m")).where("m > 1")
@@ -324,12 +329,15 @@ def classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tu
     left = stored(prune(cells.repartition(*cell).sortWithinPartitions(*cell)), "ngram-pruned", small=True)
     some = marked(docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")), left.select("key").distinct())
     texts = some.where("maybe").select("key", "text").join(left, "key")
-    found = stored(verify(texts.select(*cell, "digest", "n", "slot", "later", "text").repartition(*cell).sortWithinPartitions(*cell), threshold), "ngram-links", small=True)
+    found = stored(verify(texts.select(*cell, "digest", "n", "slot", "later", "text").repartition(*cell).sortWithinPartitions(*cell), threshold),
+        "ngram-links", small=True)
     roots = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
-    linked = nodes.select("digest", "rep", "n").join(found.groupBy("digest").agg(F.sum("links").alias("links")), "digest", "left").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+    linked = nodes.select("digest", "rep", "n").join(found.groupBy("digest").agg(F.sum("links").alias("links")), "digest",
+        "left").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     named = linked.select("digest", "rep", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "digest").alias("root"))
     least = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest")).alias("first"))
-    per = named.join(least, "root").select("digest", "rep", "n", "n_links", F.col("first.rep").alias("class_id"), (F.col("digest") == F.col("first.digest")).alias("keeper"))
+    per = named.join(least, "root").select("digest", "rep", "n", "n_links", F.col("first.rep").alias("class_id"),
+        (F.col("digest") == F.col("first.digest")).alias("keeper"))
     return seen, per
 
 
@@ -337,7 +345,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     """doc_id, class_id (least id of its connected class) and n_links (other documents linked directly) of every row."""
     seen, per = classes(docs, threshold, id_col, text_col)
     worded = seen.where("digest is not null").select("id", "digest").join(per.select("digest", "class_id", "n_links"), "digest")
-    return worded.select(F.col("id").alias("doc_id"), "class_id", "n_links").unionByName(seen.where("digest is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    return worded.select(F.col("id").alias("doc_id"), "class_id", "n_links").unionByName(seen.where("digest is null")
+        .select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def digested(rows: DataFrame) -> DataFrame:

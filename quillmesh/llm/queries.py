@@ -59,7 +59,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_merkle_fixity, op3_ngram_jaccard, op4_pareto_mix, op5_multi_index_hashing, op6_hyperdimensional_language, op7_token_files, op8_token_counts, op9_flat_graph, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_merkle_fixity, op3_ngram_jaccard, op4_pareto_mix, op5_multi_index_hashing, op6_hyperdimensional_language,
+    op7_token_files, op8_token_counts, op9_flat_graph, op10_byte_bpe)}
 
 NEAR_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),

@@ -68,11 +68,13 @@ def bare(path: str):
     norms = (spec.get("normalizer") or {}).get("normalizers") or []
     fits = (
         spec["model"]["type"] == "BPE" and spec["model"].get("end_of_word_suffix") == "</w>" and [n["type"] for n in norms] == ["NFC", "Replace", "Lowercase"]
-        and [x.get("type") for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": PIECES} and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+        and [x.get("type") for x in parts] == ["Split",
+            "ByteLevel"] and parts[0]["pattern"] == {"Regex": PIECES} and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
     )
     if not fits:
         return None
-    return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None, "decoder": None}))
+    return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None,
+        "decoder": None}))
 
 
 class WordIds:
@@ -203,7 +205,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
             f.write(offsets.tobytes())
         with fs.open_output_stream(f"{top}/{name}.doc") as f:
             f.write(np.asarray(ids, "<i8").tobytes() + np.asarray(known, np.uint8).tobytes())
-        yield pa.RecordBatch.from_pydict({"name": [name], "known": [known[0]], "first": [ids[0]], "n_docs": [len(ids)], "n_ids": [int(offsets[-1])], "width": [enc.dtype.itemsize]})
+        yield pa.RecordBatch.from_pydict({"name": [name], "known": [known[0]], "first": [ids[0]], "n_docs": [len(ids)], "n_ids": [int(offsets[-1])],
+            "width": [enc.dtype.itemsize]})
 
     ordered = docs.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col)
     rows = ordered.mapInArrow(run, "name string, known boolean, first bigint, n_docs bigint, n_ids bigint, width bigint").collect()
@@ -250,7 +253,8 @@ def read_shards(spark: SparkSession, manifest: list[dict], kind: str = "bigint")
                     some = range(at, min(m["n_docs"], at + 10_000))
                     crc = np.fromiter((zlib.crc32(s.document(i).astype("<u4").tobytes()) for i in some), np.int64)
                     part = slice(at, some.stop)
-                    yield pa.RecordBatch.from_arrays([pa.array(s.docs[part], mask=~s.known[part]), pa.array(s.offsets[:-1][part] + m["base"]), pa.array(np.diff(s.offsets[at : some.stop + 1])), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(s.docs[part], mask=~s.known[part]), pa.array(s.offsets[:-1][part] + m["base"]),
+                        pa.array(np.diff(s.offsets[at : some.stop + 1])), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 

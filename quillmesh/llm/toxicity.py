@@ -73,8 +73,10 @@ ALIKE = str.maketrans("013457@$!|" + "асеорхуіѕј" + "αορτνικυ
 EDGE = ".,;:!?\"'()[]{}<>«»„“”…*_-~#%&/\\"
 LONG = re.compile(r"(.)\1{2,}")
 NAMES = [
-    "log_words", "seed_rate", "seed_hits", "learned_rate", "learned_hits", "learned_weight", "strong_rate", "strong_hits", "near_rate", "near_hits", "second_rate",
-    "window_hits", "hidden_rate", "hidden_hits", "mixed_rate", "unseen_rate", "upper_rate", "bang_rate", "question_rate", "mark_rate", "digit_rate", "letter_rate", "word_length",
+    "log_words", "seed_rate", "seed_hits", "learned_rate", "learned_hits", "learned_weight", "strong_rate", "strong_hits", "near_rate", "near_hits",
+        "second_rate",
+    "window_hits", "hidden_rate", "hidden_hits", "mixed_rate", "unseen_rate", "upper_rate", "bang_rate", "question_rate", "mark_rate", "digit_rate",
+        "letter_rate", "word_length",
     "repeat_weight", "repeat_hits", "repeat_rate",
 ]
 
@@ -249,8 +251,10 @@ class Features:
             odds[stem] = v
         repeated = [(odds[s], len(f)) for s, f in forms.items() if len(f) > 1]
         return [
-            math.log1p(len(words)), len(seeds) / n, math.log1p(len(seeds)), len(learned) / n, math.log1p(len(learned)), weight / n, len(strong) / n, math.log1p(len(strong)), near / n, math.log1p(near), len(second) / n,
-            dense, dark / n, math.log1p(dark), int((k == MIXED).sum()) / n, c[UNSEEN] / size, c[UPPER] / max(letters, 1), c[BANG] / size, c[QUESTION] / size, c[MARK] / size, c[DIGIT] / size, letters / size, size / n,
+            math.log1p(len(words)), len(seeds) / n, math.log1p(len(seeds)), len(learned) / n, math.log1p(len(learned)), weight / n, len(strong) / n,
+                math.log1p(len(strong)), near / n, math.log1p(near), len(second) / n,
+            dense, dark / n, math.log1p(dark), int((k == MIXED).sum()) / n, c[UNSEEN] / size, c[UPPER] / max(letters, 1), c[BANG] / size, c[QUESTION] / size,
+                c[MARK] / size, c[DIGIT] / size, letters / size, size / n,
             max((v for v, _ in repeated), default=0.0), sum(f for _, f in repeated), sum(f for _, f in repeated) / n,
         ]
 
@@ -291,10 +295,12 @@ def term_counts(sample: DataFrame, among: set[str] | None = None) -> DataFrame:
                 if toxic:
                     sums[1].update(found)
         keys = list(sums[0])
-        columns = [pa.array([t for t, _ in keys]), pa.array([p for _, p in keys], pa.int64()), pa.array([sums[1][k] for k in keys], pa.int64()), pa.array([sums[0][k] for k in keys], pa.int64())]
+        columns = [pa.array([t for t, _ in keys]), pa.array([p for _, p in keys], pa.int64()), pa.array([sums[1][k] for k in keys], pa.int64()),
+            pa.array([sums[0][k] for k in keys], pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array([], pa.string()) if not keys else columns[0], *columns[1:]], ["term", "part", "a", "n"])
 
-    return sample.select("part", "toxic", "text").mapInArrow(count, "term string, part bigint, a bigint, n bigint").groupBy("term", "part").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    return sample.select("part", "toxic", "text").mapInArrow(count, "term string, part bigint, a bigint, n bigint").groupBy("term",
+        "part").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
 
 
 def learn_lexicons(sample: DataFrame) -> tuple[dict[str, float], list[dict[str, float]]]:
@@ -311,7 +317,8 @@ def learn_lexicons(sample: DataFrame) -> tuple[dict[str, float], list[dict[str,
         return {}, [{}] * PARTS
     share = F.lit(min(1.0, toxic / (n - toxic)))
     look = sample.where((F.col("toxic") == 1) | (F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share * (1 << 20)))
-    first = term_counts(look).groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).where((F.col("a") >= LEAST_TEXTS) & (F.col("a") >= 2 * (F.col("n") - F.col("a"))))
+    first = term_counts(look).groupBy("term").agg(F.sum("a").alias("a"),
+        F.sum("n").alias("n")).where((F.col("a") >= LEAST_TEXTS) & (F.col("a") >= 2 * (F.col("n") - F.col("a"))))
     among = {r["term"] for r in first.orderBy(F.desc(2 * F.col("a") - F.col("n")), "term").limit(CANDIDATES).collect()}
     counts: dict[str, list[tuple[int, int]]] = {}
     for r in term_counts(sample, among).collect():
@@ -335,7 +342,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     rows = rows.select("h", F.pmod("h", F.lit(PARTS)).alias("part"), "toxic", "text").repartition(tasks, "h")
 
     def sketched():
-        return lambda b: pa.RecordBatch.from_arrays([*b.columns, pa.array([sketch(t or "") for t in b.column(3).to_pylist()], pa.int64())], ["h", "part", "toxic", "text", "sketch"])
+        return lambda b: pa.RecordBatch.from_arrays([*b.columns, pa.array([sketch(t or "") for t in b.column(3).to_pylist()], pa.int64())],
+            ["h", "part", "toxic", "text", "sketch"])
 
     sample = stored(arrow_map(rows, sketched, "h bigint, part bigint, toxic int, text string, sketch bigint"), "toxic-sample", small=True)
     learned, others = learn_lexicons(sample)

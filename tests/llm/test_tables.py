@@ -90,7 +90,8 @@ def test_mix_targets_fill_up_and_stop(spark):
 
 
 def test_mix_meets_targets(spark):
-    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 17 + 1).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 17 + 1).cast("int")).alias("text"),
+        F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
     got = mixing.mix(docs).toPandas()
     for _, g in got.groupby("target"):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= 9
@@ -100,8 +101,10 @@ def test_mix_meets_targets(spark):
 
 
 def test_mix_with_unequal_weights_prefers_them(spark):
-    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"), F.when(F.col("id") % 8 < 4, 3.0).otherwise(1.0).alias("quality"))
-    got = mixing.mix(docs, weight_col="quality").join(docs.select("doc_id", "quality", "source"), "doc_id").where("source = 's3'").groupBy("quality").agg(F.avg("copies").alias("c")).collect()
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"),
+        F.when(F.col("id") % 8 < 4, 3.0).otherwise(1.0).alias("quality"))
+    got = mixing.mix(docs, weight_col="quality").join(docs.select("doc_id", "quality", "source"),
+        "doc_id").where("source = 's3'").groupBy("quality").agg(F.avg("copies").alias("c")).collect()
     c = {r.quality: r.c for r in got}
     assert c[3.0] > 1.5 * c[1.0]
 
@@ -172,12 +175,15 @@ VECTORS = "vec_id bigint, embedding array<float>, label int, score double"
 
 def test_vectors_that_take_no_part(spark):
     nan = float("nan")
-    rows = [(0, [1.0, 0.0], 1, 0.1), (1, [1.0, 0.01], 1, None), (20, [1.0, 0.0], 1, None), (2, [0.0, 0.0], 1, None), (3, None, 1, None), (4, [nan, 1.0], 1, None), (5, [None, 1.0], 1, None), (6, [1.0, 0.0], None, None), (40, [0.0, 1.0], 2, None), (7, [1.0, 0.0, 0.0], 1, None), (1, [1.0, 0.01], 1, None)]
+    rows = [(0, [1.0, 0.0], 1, 0.1), (1, [1.0, 0.01], 1, None), (20, [1.0, 0.0], 1, None), (2, [0.0, 0.0], 1, None), (3, None, 1, None),
+        (4, [nan, 1.0], 1, None), (5, [None, 1.0], 1, None), (6, [1.0, 0.0], None, None), (40, [0.0, 1.0], 2, None), (7, [1.0, 0.0, 0.0], 1, None),
+        (1, [1.0, 0.01], 1, None)]
     df = spark.createDataFrame(rows, VECTORS)
     near = {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 4)) for r in multi_index.nearest(df, F.col("vec_id") % 20 == 0).collect()}
     assert near[0, 1] == (1, 1.0) and near[0, 2] == (6, 1.0) and near[0, 3] == (20, 1.0) and near[0, 4] == (40, 0.0)
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in flat_graph.near_vectors(df).collect())
-    assert got == [(0, 3, 0, True), (1, 3, 0, False), (1, 3, 0, False), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (20, 3, 0, False), (40, 0, 40, True)]
+    assert got == [(0, 3, 0, True), (1, 3, 0, False), (1, 3, 0, False), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True),
+        (7, 0, 7, True), (20, 3, 0, False), (40, 0, 40, True)]
     empty = df.limit(0)
     assert multi_index.nearest(empty, F.col("vec_id") % 20 == 0).count() == 0 and flat_graph.near_vectors(empty).count() == 0
 
@@ -277,7 +283,8 @@ def test_flat_graph_of_one_tight_group(spark, monkeypatch):
     got = flat_graph.near_vectors(df).toPandas().sort_values("vec_id")
     want = plain_links(x, np.ones(5000))
     assert (got.n_links.tolist(), got.component_id.tolist()) == want and max(want[0]) > 4000
-    members = flat_graph.link_table(flat_graph.numbered_nodes(df.selectExpr("vec_id AS id", "transform(embedding, x -> double(x)) AS v", "string(label) AS label", "true AS usable")), 0.93)
+    members = flat_graph.link_table(flat_graph.numbered_nodes(df.selectExpr("vec_id AS id", "transform(embedding, x -> double(x)) AS v",
+        "string(label) AS label", "true AS usable")), 0.93)
     sums = members.agg(F.sum("links").alias("l"), F.sum("searched").alias("s")).first()
     assert sums.l == sum(want[0]) and sums.s > 0
 
@@ -315,7 +322,8 @@ def test_deduplicated_decides_by_row(spark):
     """One id with two unrelated texts, copies without ids, near copies of a text whose id is null."""
     words = [f"word{i}" for i in range(60)]
     near = " ".join([*words[:59], "other"])
-    rows = [(1, "one text about a thing or two and more"), (1, "quite another text that shares not one run of words"), (None, " ".join(words)), (None, " ".join(words)), (None, near), (5, "no copy of any other row in this small table"), (None, "")]
+    rows = [(1, "one text about a thing or two and more"), (1, "quite another text that shares not one run of words"), (None, " ".join(words)),
+        (None, " ".join(words)), (None, near), (5, "no copy of any other row in this small table"), (None, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((r.doc_id or 0, r.text) for r in ngram_join.deduplicated(docs).collect())
     assert [k for k in kept if k[0]] == sorted(r for r in rows if r[0]) and len(kept) == 5 and (0, "") in kept

@@ -78,7 +78,8 @@ def test_overlaps_widen_until_they_align(text):
     assert token_counts.load(WORD).count_long(text, 900, 8)[0] == len(whole(text))
 
 
-@pytest.mark.parametrize("text", ["several words in a row and more of them " * 400, "é à ü ñ  two   spaces\n" * 300, "日本語 " * 900, "x" * 5000, "▁ a▁b " * 700, "ﬁ ½ ① word " * 500])
+@pytest.mark.parametrize("text",
+    ["several words in a row and more of them " * 400, "é à ü ñ  two   spaces\n" * 300, "日本語 " * 900, "x" * 5000, "▁ a▁b " * 700, "ﬁ ½ ① word " * 500])
 def test_piece_model_splices(text):
     lib = token_counts.load(PIECE)
     got, splices, _ = lib.count_long(text, 500, 16)
@@ -160,7 +161,8 @@ def test_bundle_is_the_sum_of_bound_vectors():
 
 
 def test_language_held_out_accuracy(spark, sf):
-    got = queries.op6_hyperdimensional_language(spark, "/root/testdata/sf0.01").alias("p").join(table(spark, "/root/testdata/sf0.01", "documents"), "doc_id").where("held_out").toPandas()
+    got = queries.op6_hyperdimensional_language(spark, "/root/testdata/sf0.01").alias("p").join(table(spark, "/root/testdata/sf0.01", "documents"),
+        "doc_id").where("held_out").toPandas()
     assert (got.lang_pred == got.lang).mean() > 0.95 and got.score.between(0, 1).all()
 
 
@@ -261,7 +263,9 @@ def test_trees_learn_a_rule():
     assert ((t.raw(x) > 0) == (y > 0)).mean() > 0.97
 
 
-@pytest.mark.parametrize(("text", "column"), [("you are an idiot", "near_hits"), ("what an 1d1ot", "hidden_hits"), ("an i d i o t here", "hidden_hits"), ("such an iiidiiiot", "hidden_hits"), ("moron", "seed_hits")])
+@pytest.mark.parametrize(("text", "column"),
+    [("you are an idiot", "near_hits"), ("what an 1d1ot", "hidden_hits"), ("an i d i o t here", "hidden_hits"), ("such an iiidiiiot", "hidden_hits"),
+    ("moron", "seed_hits")])
 def test_features_see(text, column):
     f = toxicity.Features({"zork": 2.0})
     assert f.row(text)[toxicity.NAMES.index(column)] > 0
