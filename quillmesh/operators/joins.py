@@ -105,7 +105,8 @@ def jaccard_pairs(sets: DataFrame, least: float, strict: bool = False, apart: st
     threshold shares one of its first size - ceil(least * size) + 1 tokens, its sizes differ by the threshold at most, and behind
     the shared token enough tokens are left; only such pairs are compared whole.
     """
-    one = sets.select("id", F.explode(F.array_distinct("tokens")).alias("t"))
+    sets = kept(sets.select("id", F.array_distinct("tokens").alias("tokens"), *([apart] if apart else [])), "sets")  # texts are cut into tokens once
+    one = sets.select("id", F.explode("tokens").alias("t"))
     number = numbered(one.groupBy("t").agg(F.count("*").alias("df")), [F.col("df"), F.col("t")], "r").select("t", "r")
     rows = one.join(number, "t").groupBy("id").agg(F.sort_array(F.collect_list("r")).alias("x"))
     rows = kept(rows.withColumn("set", F.md5(F.array_join("x", ",").cast("binary"))), "jaccard")
