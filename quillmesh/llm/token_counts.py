@@ -3,7 +3,9 @@
 Texts of more than a chunk are cut into chunks that overlap; each chunk is
 encoded with offsets, and neighbours are spliced at a boundary that both
 encodings share and that is proven stable: the end of a word of the left chunk,
-far enough from its cut, at which a word of the right chunk ends too. The
+far enough from its cut, at which a word of the right chunk ends too, with as
+many pieces of that end (a character that lower case or composition expands may
+end several), all of which go to the left. The
 tokenizer's words never look back, so the tokens of the right chunk from there
 on are those of the whole text. When an overlap has no such boundary, it is
 doubled until one is found or the text ends. Texts of a chunk or less are
@@ -55,10 +57,12 @@ def splice(left: Chunk, right: Chunk, cut: int, left_end: int, base: int) -> tup
     """Pieces of left before, and of right up to, the first proven common boundary behind the cut."""
     ok = left.sure & (left.ends > cut) & (left.ends <= left_end - GUARD_CHARS)
     ok[:base] = False
-    for i in np.flatnonzero(ok):
-        j = int(np.searchsorted(right.ends, left.ends[i], "right"))
-        if j and right.ends[j - 1] == left.ends[i] and right.sure[j - 1]:
-            return int(i) + 1, j
+    for end in np.unique(left.ends[ok]):
+        # a character that the normaliser expands gives several pieces of one end: all of them, or the boundary isn't common
+        a, i = np.searchsorted(left.ends, end, "left"), np.searchsorted(left.ends, end, "right")
+        b, j = np.searchsorted(right.ends, end, "left"), np.searchsorted(right.ends, end, "right")
+        if i - a == j - b and left.sure[i - 1] and right.sure[j - 1]:
+            return int(i), int(j)
     return None
 
 

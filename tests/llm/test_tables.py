@@ -239,6 +239,19 @@ def test_search_over_many_shards_with_repeated_ids_and_ties(spark, monkeypatch):
     assert brute_recall(np.array([np.float32(v).tolist() for v in x]), np.arange(800), got) >= 0.95
 
 
+@pytest.mark.parametrize("dim", [64, 384])
+def test_copies_are_ordered_by_id(spark, monkeypatch, dim):
+    """Hundreds of copies of five vectors over several shards: equal scores, ids in order."""
+    monkeypatch.setattr(multi_index, "SHARD", 256)
+    five = np.random.default_rng(2).normal(size=(5, dim)).astype(np.float32)
+    rows = [(i, five[(i * 7 + i // 11) % 5].tolist()) for i in range(1000)]
+    got = multi_index.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 20 == 0).toPandas()
+    assert len(got) == 1000
+    for q, g in got.sort_values("rank").groupby("query_id"):
+        copies = [i for i, v in rows if v == rows[q][1] and i != q]
+        assert g.vec_id.tolist() == copies[:20] and g.score.nunique() == 1
+
+
 def test_inner_products_of_unequal_lengths(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(600, 8)) * r.uniform(0.1, 4, (600, 1))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -115,6 +117,15 @@ def test_query_counts_every_document(spark):
     assert got == want
 
 
+def test_characters_that_the_normaliser_expands_keep_their_tokens():
+    """Each of them gives several tokens of one end offset; unspaced runs of them are spliced inside."""
+    odd = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and max(len(unicodedata.normalize("NFC", chr(c))), len(chr(c).lower())) > 1]
+    lib, r = Tokenizer.from_file(WORD), random.Random(1)
+    texts = [(unit * 9001)[:n] for c in odd for unit, n in ((c, 5000), ("a" + c, 9001))] + ["İstanbul" * 1200]
+    texts += ["".join(r.choice([*odd, *"abcé"]) for _ in range(n)) for n in (5000, 9001) for _ in range(10)]
+    assert len(odd) > 80 and token_counts.count_all(texts, WORD) == [len(e.ids) for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_counts_on_odd_rows(odd, none):
     got = {(r.doc_id, r.n_bytes): (r.n_tokens, r.over_limit) for r in token_counts.token_counts(odd, WORD).collect()}
     for r in odd.collect():
