@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flat_graph, hyperlang, merkle, mixing, multi_index, ngram_join, token_counts, token_files, toxicity
+from . import bpe, collocations, flat_graph, hyperlang, merkle, mixing, multi_index, ngram_join, token_counts, token_files, toxicity
 from .common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -59,8 +59,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
+def op11_hat_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_merkle_fixity, op3_ngram_jaccard, op4_pareto_mix, op5_multi_index_hashing, op6_hyperdimensional_language,
-    op7_token_files, op8_token_counts, op9_flat_graph, op10_byte_bpe)}
+    op7_token_files, op8_token_counts, op9_flat_graph, op10_byte_bpe, op11_hat_trie_collocations)}
 
 NEAR_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
@@ -72,4 +76,5 @@ SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, least(vec_id, coalesce(least,
 FROM v LEFT JOIN m ON m.a = vec_id LEFT JOIN k ON k.a = vec_id
 """
 
-ORACLE_SQL = {"op9_flat_graph": NEAR_SQL, "op2_merkle_fixity": merkle.FIXITY_SQL, "op3_ngram_jaccard": ngram_join.JACCARD_SQL, "op4_pareto_mix": mixing.MIX_SQL}
+ORACLE_SQL = {"op9_flat_graph": NEAR_SQL, "op2_merkle_fixity": merkle.FIXITY_SQL, "op3_ngram_jaccard": ngram_join.JACCARD_SQL, "op4_pareto_mix": mixing.MIX_SQL,
+    "op11_hat_trie_collocations": collocations.COLLOCATIONS_SQL}
