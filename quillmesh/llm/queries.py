@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, flat_graph, hyperlang, merkle, mixing, multi_index, ngram_join, token_counts, token_files, toxicity
+from . import bpe, collocations, flat_graph, hard_negatives, hyperlang, merkle, mixing, multi_index, ngram_join, sharding, token_counts, token_files, toxicity
 from .common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -63,8 +63,18 @@ def op11_hat_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_fagin_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every, label = F.col("vec_id"), F.col("label")
+    label = F.when(every % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), every % 50 == 0, label)
+
+
+def op13_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_merkle_fixity, op3_ngram_jaccard, op4_pareto_mix, op5_multi_index_hashing, op6_hyperdimensional_language,
-    op7_token_files, op8_token_counts, op9_flat_graph, op10_byte_bpe, op11_hat_trie_collocations)}
+    op7_token_files, op8_token_counts, op9_flat_graph, op10_byte_bpe, op11_hat_trie_collocations, op12_fagin_hard_negatives, op13_stratified_sharding)}
 
 NEAR_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
@@ -77,4 +87,5 @@ FROM v LEFT JOIN m ON m.a = vec_id LEFT JOIN k ON k.a = vec_id
 """
 
 ORACLE_SQL = {"op9_flat_graph": NEAR_SQL, "op2_merkle_fixity": merkle.FIXITY_SQL, "op3_ngram_jaccard": ngram_join.JACCARD_SQL, "op4_pareto_mix": mixing.MIX_SQL,
-    "op11_hat_trie_collocations": collocations.COLLOCATIONS_SQL}
+    "op11_hat_trie_collocations": collocations.COLLOCATIONS_SQL, "op12_fagin_hard_negatives": hard_negatives.HARD_NEGATIVES_SQL,
+    "op13_stratified_sharding": sharding.SHARDING_SQL}
