@@ -71,41 +71,6 @@ query(
     t AS (SELECT p.path, specifier, f.path AS target FROM p JOIN files f ON f.path = trim(place, '/') OR f.path = trim(place, '/') || '.ts' OR f.path = trim(place, '/') || '.tsx')
     SELECT p.path, p.specifier, min(t.target) AS target FROM p LEFT JOIN t ON t.path = p.path AND t.specifier = p.specifier GROUP BY 1, 2""",
 )
-def linked_sql(rows: str) -> str:
-    """Declarations as nodes, with an edge from the file to each."""
-    return f"""WITH d AS (SELECT DISTINCT path, {rows} FROM files)
-    SELECT 'node' AS part, path, name, NULL AS target, kind FROM d WHERE kind = 'symbol' UNION ALL SELECT 'edge', path, '', name, CASE kind WHEN 'symbol' THEN 'contains' ELSE 'imports' END FROM d"""
-
-
-query(
-    "gen_parse_swift",
-    lambda c: content.linked(content.parsed(c.files.withColumn("text",
-        F.concat(F.lit("import UIKit"), F.lit("\nimport Lib"), F.col("doc_id") % 4, F.lit("\npublic func go"), "doc_id", F.lit("() {}\nstruct S"), "doc_id",
-        F.lit(" {}\n// "), F.regexp_replace("text", "\n", "\n// "))), "swift")),
-    linked_sql("unnest(['import', 'import', 'symbol', 'symbol']) AS kind, unnest(['UIKit', 'Lib' || (doc_id % 4), 'go' || doc_id, 'S' || doc_id]) AS name"),
-)
-query(
-    "gen_parse_generic",
-    lambda c: content.linked(content.parsed(c.files.withColumn("text",
-        F.concat(F.lit("package x\nimport \"fmt\"\nfunc (s *T) Run"), "doc_id", F.lit("() {}\ntype T"), "doc_id", F.lit(" struct {}\n// "),
-        F.regexp_replace("text", "\n", "\n// "))), "go")),
-    linked_sql("unnest(['import', 'symbol', 'symbol']) AS kind, unnest(['fmt', 'Run' || doc_id, 'T' || doc_id]) AS name"),
-)
-query(
-    "gen_parse_rust",
-    lambda c: content.linked(content.parsed(c.files.withColumn("text",
-        F.concat(F.lit("use std::fmt\npub fn a"), "doc_id", F.lit("() {}\nenum E"), "doc_id", F.lit(" {}\n// "), F.regexp_replace("text", "\n", "\n// "))),
-        "rust")),
-    linked_sql("unnest(['import', 'symbol', 'symbol']) AS kind, unnest(['std::fmt', 'a' || doc_id, 'E' || doc_id]) AS name"),
-)
-query(
-    "gen_parse_parallel",
-    lambda c: parsing.python_graph(modules(c).where("path LIKE '%.py'")).select("path", "part", "kind", "name", "target")
-        .unionByName(content.linked(content.parsed(code(c).where("path LIKE '%.ts'"), "java"))).groupBy("part", "kind").agg(F.count("*").alias("n")),
-    f"""SELECT part, kind, count(*) AS n FROM (SELECT part, kind FROM files, LATERAL (SELECT * FROM {MODULE_ROWS}) WHERE path LIKE '%.py'
-    UNION ALL SELECT unnest(['node', 'edge', 'edge']), unnest(['symbol', 'contains', 'imports']) FROM files WHERE path LIKE '%.ts') GROUP BY 1, 2""",
-)
-query("gen_parse_md", lambda c: content.markdown_sections(md(c)).groupBy("section").agg(F.count("*").alias("n")))
 query("lod_extract", lambda c: parsing.skeletons(modules(c), "3").select("path", F.md5("skeleton").alias("digest")),
       f"SELECT path, md5({HEAD2} || chr(10) || 'LIMIT = 3' || chr(10) || {CLASS2} || chr(10) || '# ' || {BARE}) AS digest FROM files")
 query("lod_strip_comments", lambda c: c.documents.select("doc_id", F.md5(content.level(F.concat(F.lit("// x\na\n  # y\n"), "text"), 1)).alias("d")), """SELECT doc_id, md5(list_aggregate(list_filter(string_split('// x' || chr(10) || 'a' || chr(10) || '  # y' || chr(10) || text, chr(10)),
@@ -127,9 +92,6 @@ query(
     """SELECT path, '# ' || path || chr(10) || '## about ' || source || CASE WHEN lang = 'en' THEN chr(10) || 'Role: english' ELSE '' END || chr(10)
     || 'Exports: A' || doc_id || ', A' || doc_id || '.run, helper' || doc_id AS summary FROM files""",
 )
-query("lod_rust", lambda c: code(c).select("path", content.level(F.col("text"), 3).alias("heads"), content.level(F.col("text"), 4).alias("names")),
-      """SELECT path, 'import os' || chr(10) || 'class A' || doc_id::VARCHAR || ':' || chr(10) || '  def run(self):' AS heads,
-          'os, A' || doc_id::VARCHAR || ', run' AS names FROM files""")
 query("lod_skeleton", lambda c: c.nodes.where("kind = 'symbol'").groupBy("file_path")
     .agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 20), "\n").alias("skeleton")),
     "SELECT file_path, string_agg(DISTINCT name, chr(10) ORDER BY name) AS skeleton FROM nodes WHERE kind = 'symbol' GROUP BY 1")

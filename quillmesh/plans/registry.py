@@ -24,5 +24,5 @@ def query(name: str, plan: Callable[[Catalog], DataFrame], body: str | None = No
         ORACLE_SQL[name] = sql(body)
 
 
-for _module in ("scan", "filter", "join", "aggregate", "rank", "text", "content", "graph", "stream", "audit"):
+for _module in ("scan", "filter", "join", "aggregate", "rank", "text", "content", "parse", "graph", "stream", "audit"):
     importlib.import_module(f"{__package__}.{_module}_queries")
