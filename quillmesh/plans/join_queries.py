@@ -170,15 +170,6 @@ query("join_segment_prefix", lambda c: op.longest_prefix(c.files.select("path"),
     f"WITH {PRE_SQL} SELECT f.path, prefix FROM files f LEFT JOIN best ON best.path = f.path")
 query("join_path_weight", lambda c: op.longest_prefix(c.files.select("path"), prefixes(c)).select("path", F.coalesce("value", F.lit(1.0)).alias("weight")),
     f"WITH {PRE_SQL} SELECT f.path, coalesce(value, 1.0::DOUBLE) AS weight FROM files f LEFT JOIN best ON best.path = f.path")
-query("join_doc_segment", lambda c: op.documents_of_segments(c.commits.select(F.col("author").alias("doc_id"), "path"),
-    c.modules.select(F.col("module").alias("segment"), "path")),
-      """SELECT segment, doc_id, overlap FROM (SELECT module AS segment, author AS doc_id, count(DISTINCT path) AS overlap,
-          row_number() OVER (PARTITION BY module ORDER BY count(DISTINCT path) DESC, author) AS r FROM commits JOIN modules USING (path) GROUP BY 1, 2)
-          WHERE r <= 5""")
-query("join_docs_module", lambda c: c.commits.join(c.modules.where("module = 'Brand#1' OR module LIKE '%2'"), "path", "left_semi").groupBy("author")
-    .agg(F.countDistinct("path").alias("overlap")),
-      """SELECT author, count(DISTINCT path) AS overlap FROM commits WHERE path IN (SELECT path FROM modules
-          WHERE module = 'Brand#1' OR module LIKE '%2') GROUP BY author""")
 query(
     "join_missing_refs",
     lambda c: gr.decay(c.edges, c.nodes.select("id", F.lit(0.8).alias("score")), op.missing_references(c.edges, c.nodes).select("id"), 1)

@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import braces, parsing
+from ..operators import braces, markdown, parsing
+from ..operators import joins as jo
 from .content_queries import MODULE_ROWS, modules
 from .registry import query
 
@@ -192,3 +193,69 @@ query(
             "go": {2: [1, 2, 3, 4, 5, 11, 12], 3: [1, 2, 3, 4, 5, 11], 4: [2, 4, 5, 12]}}.items())
         for level, lines in by_level.items()),
 )
+
+
+def notes(c) -> DataFrame:
+    """Every document as a guide with sections, references and links of its own before its text."""
+    head = ["See `src/core/a.py`, `1.5`, `x y` and [the [next]](../api/b.md)\n# Guide ", "\n## Part one ✅ ⏳\n[self](./doc_", ".md) [web](http://a.b/c.md) `util.rs`\n### Deep\n**Status**: done ** x\n",
+        "# Other\n#### Far\n`part/x.py` ```a.py```\n## Part two\n"]
+    n = F.col("doc_id").cast("string")
+    return c.files.select("path", F.concat(F.lit(head[0]), n, F.lit(head[1]), n, F.lit(head[2]), F.lit(head[3]), "text").alias("text"))
+
+
+#: Lines of the same documents, and what each holds, by DuckDB's own functions.
+NOTES_SQL = r"""
+n AS (SELECT path, 'See `src/core/a.py`, `1.5`, `x y` and [the [next]](../api/b.md)' || chr(10) || '# Guide ' || doc_id || chr(10) || '## Part one ✅ ⏳' || chr(10) || '[self](./doc_' || doc_id
+      || '.md) [web](http://a.b/c.md) `util.rs`' || chr(10) || '### Deep' || chr(10) || '**Status**: done ** x' || chr(10) || '# Other' || chr(10) || '#### Far' || chr(10) || '`part/x.py` ```a.py```' || chr(10)
+      || '## Part two' || chr(10) || text AS text FROM files),
+l AS (SELECT path, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM n),
+h AS (SELECT path, line, length(regexp_extract(x, '^\s*(#{1,6}) +(.*?\S)\s*$', 1))::INT AS depth, regexp_extract(x, '^\s*(#{1,6}) +(.*?\S)\s*$', 2) AS name FROM l WHERE regexp_matches(x, '^\s*(#{1,6}) +(.*?\S)\s*$')),
+k AS (SELECT *, 'sec:' || lower(regexp_replace(name, '[^\p{L}\p{N}_-]', '_', 'g')) || '@' || path || ':' || line AS id FROM h),
+t AS (SELECT path, line, 'references' AS kind, NULL AS text, unnest(regexp_extract_all(split_part(x, '```', 1), '`([^`]*)`', 1)) AS target FROM l
+      UNION ALL SELECT path, line, 'links_to', unnest(regexp_extract_all(x, '\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\(([^)]*)\)', 1)), unnest(regexp_extract_all(x, '\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\(([^)]*)\)', 2)) FROM l),
+v AS (SELECT path, line, kind, text, regexp_replace(trim(target), '^\./', '') AS target, CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir FROM t
+      WHERE length(trim(target)) <= 200 AND regexp_matches(trim(target), '\.[\p{L}\p{N}]{1,10}$') AND NOT regexp_matches(trim(target), '^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$')
+      AND NOT (trim(target) LIKE '% %' AND NOT regexp_matches(trim(target), '[/\\]')) AND NOT (kind = 'links_to' AND starts_with(trim(target), 'http'))),
+r AS (SELECT path, line, kind, text, CASE WHEN starts_with(target, '../') THEN regexp_replace(dir, '/?[^/]*$', '') || '/' || substr(target, 4) WHEN target LIKE '%/%' THEN target ELSE dir || '/' || target END AS target FROM v),
+s AS (SELECT path, line, 'mark' AS kind, unnest(list_filter(['✅', '⏳', '❌', '⚠', '🚧', CASE WHEN trim(split_part(regexp_extract(x, '(?i)\*\*status\*\*[^:]*:(.*)$', 1), '**', 1)) <> ''
+      THEN 'status:' || trim(split_part(regexp_extract(x, '(?i)\*\*status\*\*[^:]*:(.*)$', 1), '**', 1)) END], lambda m: m IS NOT NULL AND (contains(x, m) OR starts_with(m, 'status:')))) AS text FROM l),
+i AS (SELECT m.*, max_by(k.id, k.line) AS section FROM (SELECT path, line, kind, text FROM r UNION ALL SELECT path, line, kind, text FROM s) m JOIN k ON k.path = m.path AND k.line <= m.line GROUP BY ALL)
+"""
+query(
+    "gen_parse_md",
+    lambda c: markdown.sections(notes(c)).withColumn("marks", F.array_join("marks", ",")),
+    f"""WITH {NOTES_SQL} SELECT a.path, a.id, a.name, a.depth, (SELECT max_by(b.id, b.line) FROM k b WHERE b.path = a.path AND b.line < a.line AND b.depth < a.depth) AS parent, a.line AS start_line,
+    coalesce((SELECT min(b.line) - 1 FROM k b WHERE b.path = a.path AND b.line > a.line), (SELECT max(line) FROM l WHERE l.path = a.path))::INT AS end_line,
+    coalesce((SELECT min(b.line) - 1 FROM k b WHERE b.path = a.path AND b.line > a.line AND b.depth <= a.depth), (SELECT max(line) FROM l WHERE l.path = a.path))::INT AS tree_end,
+    (SELECT count(*) FROM r WHERE r.path = a.path AND (SELECT max_by(b.id, b.line) FROM k b WHERE b.path = r.path AND b.line <= r.line) = a.id AND kind = 'references') AS refs,
+    (SELECT count(*) FROM r WHERE r.path = a.path AND (SELECT max_by(b.id, b.line) FROM k b WHERE b.path = r.path AND b.line <= r.line) = a.id AND kind = 'links_to') AS links,
+    coalesce((SELECT string_agg(DISTINCT text, ',' ORDER BY text) FROM i WHERE i.section = a.id AND i.kind = 'mark'), '') AS marks FROM k a""",
+)
+query(
+    "gen_md_edges",
+    lambda c: markdown.edges(notes(c), c.files),
+    f"""WITH {NOTES_SQL} SELECT 'contains' AS kind, 'file:' || a.path AS source, (SELECT max_by(b.id, b.line) FROM k b WHERE b.path = a.path AND b.line < a.line AND b.depth < a.depth) AS section, a.id AS target, a.line, NULL AS text, true AS known FROM k a
+    UNION ALL SELECT kind, 'file:' || path, (SELECT max_by(b.id, b.line) FROM k b WHERE b.path = r.path AND b.line <= r.line), 'file:' || target, line, text, target IN (SELECT path FROM files) FROM r""",
+)
+
+
+def guides(c) -> DataFrame:
+    """Documents that name files of modules in backticks, by their ids."""
+    keys = F.array_distinct(F.array(*(F.col("doc_id") % n + 1 for n in (97, 53, 31))))
+    used = c.files.select("path", F.explode(keys).alias("key")).join(c.part_paths.select(F.col("p_partkey").alias("key"), F.col("path").alias("used")), "key")
+    lists = used.groupBy("path").agg(F.array_join(F.transform(F.collect_list("used"), lambda p: F.concat(F.lit("`"), p, F.lit("`"))), " and ").alias("used"))
+    return c.files.join(lists, "path").select("path", F.concat("text", F.lit("\nUses "), "used", F.lit(".\n")).alias("text"))
+
+
+GUIDES_SQL = """d AS (SELECT DISTINCT f.path AS doc, p.path FROM (SELECT path, unnest([doc_id % 97 + 1, doc_id % 53 + 1, doc_id % 31 + 1]) AS key FROM files) f JOIN part_paths p ON p.p_partkey = key)"""
+query(
+    "join_doc_segment",
+    lambda c: jo.documents_of_segments(markdown.mentions(guides(c), c.modules).withColumnRenamed("doc", "doc_id"), c.modules.withColumnRenamed("module", "segment")),
+    f"""WITH {GUIDES_SQL} SELECT segment, doc_id, overlap FROM (SELECT module AS segment, doc AS doc_id, count(DISTINCT path) AS overlap, row_number() OVER (PARTITION BY module ORDER BY count(DISTINCT path) DESC, doc) AS r
+    FROM d JOIN modules USING (path) GROUP BY 1, 2) WHERE r <= 5""",
+)
+query(
+    "join_docs_module",
+    lambda c: markdown.documents_of_module(markdown.mentions(guides(c), c.modules), c.modules.where("module LIKE '%2'")),
+    f"WITH {GUIDES_SQL} SELECT doc, count(DISTINCT path) AS overlap FROM d WHERE path IN (SELECT path FROM modules WHERE module LIKE '%2') GROUP BY 1",
+)

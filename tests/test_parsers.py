@@ -61,3 +61,30 @@ def test_levels_of_files_without_symbols(spark):
     files = spark.createDataFrame([("a.rs", "rust", "let x = 1;\n// y"), ("b.rs", "rust", None)], "path string, language string, text string")
     got = {r.path: r.skeleton for r in braces.details(files, braces.graph(files), 2).collect()}
     assert got == {"a.rs": "let x = 1;\n// y", "b.rs": None}
+
+
+DOC = """# A
+`x/y.py` then [z](../z.md)
+### C
+## B ❌
+**Status**: half ** done
+    # D [n](http://a.b/n.md)
+`1.2` `a b` `a b/c.d` `two.py`, ``three.py``
+##no heading
+```a.py``` `late.py`
+"""
+
+
+def test_sections_nest_and_hold_what_is_in_them(spark):
+    from quillmesh.operators import markdown
+
+    docs = spark.createDataFrame([("docs/a.md", DOC), ("b.md", None), ("c.md", ""), ("d.md", "no heading `q.py`")], "path string, text string")
+    got = {r.name: (r.depth, r.parent, r.start_line, r.end_line, r.tree_end, r.refs, r.links, r.marks) for r in markdown.sections(docs).collect()}
+    assert got == {"A": (1, None, 1, 2, 5, 1, 1, []), "C": (3, "sec:a@docs/a.md:1", 3, 3, 3, 0, 0, []), "B ❌": (2, "sec:a@docs/a.md:1", 4, 5, 5, 0, 0, ["status:half", "❌"]),
+        "D [n](http://a.b/n.md)": (1, None, 6, 10, 10, 2, 0, [])}
+    files = spark.createDataFrame([("x/y.py",), ("docs/two.py",)], "path string")
+    out = {(r.target, r.section, r.known) for r in markdown.edges(docs, files).where("kind <> 'contains'").collect()}
+    d = "sec:d__n__http___a_b_n_md_@docs/a.md:6"
+    assert out == {("file:x/y.py", "sec:a@docs/a.md:1", True), ("file:z.md", "sec:a@docs/a.md:1", False), ("file:a b/c.d", d, False), ("file:docs/two.py", d, True),
+        ("file:q.py", None, False)}
+    assert [tuple(r) for r in markdown.mentions(docs, files).orderBy("path").collect()] == [("docs/a.md", "docs/two.py"), ("docs/a.md", "x/y.py")]
