@@ -249,12 +249,6 @@ def judged_hypotheses(guesses: DataFrame, nodes: DataFrame, known: DataFrame, le
     return guesses.join(a, "source", "left").join(b, "target", "left").join(k, ["source", "target"], "left").withColumn("verdict", verdict)
 
 
-def rule_hits(changed: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Changed paths under each rule (id, glob, severity): one pass, a column a rule, no join."""
-    hit = F.array(*(F.when(paths.any_glob(F.col("path"), [glob]), F.struct(F.lit(i).alias("rule"), F.lit(s).alias("severity"))) for i, glob, s in rules))
-    return changed.select("path", F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("h")).select("path", "h.rule", "h.severity")
-
-
 def _equals(term: str) -> Callable[[Column], Column]:
     return lambda x: x == F.lit(term)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions import text as tx
 from ..operators import graphs as gr
+from ..operators import globs
 from ..operators import joins as op
 from .registry import query
 
@@ -200,6 +201,35 @@ query("join_inferred_validate",
           WHEN confidence < 0.3 THEN 'low_confidence' WHEN EXISTS (SELECT 1 FROM edges k WHERE k.origin = 'static' AND k.source = e.source
           AND k.target = e.target) THEN 'boosts_known' ELSE 'accepted' END AS verdict, count(*) AS n FROM edges e
           WHERE origin IN ('inferred', 'external') GROUP BY 1""")
-query("join_antibody", lambda c: op.rule_hits(c.files.select("path"), [("r1", "src/**", "warn"), ("r2", "**/*.lock", "review"), ("r3", "docs/**", "inform")]),
-      """SELECT path, 'r1' AS rule, 'warn' AS severity FROM files WHERE path LIKE 'src/%' UNION ALL SELECT path, 'r2', 'review' FROM files
-          WHERE path LIKE '%.lock' UNION ALL SELECT path, 'r3', 'inform' FROM files WHERE path LIKE 'docs/%'""")
+#: Rules of all kinds, one a part: kind and target by its keys and size.
+RULE_COLUMNS = [
+    "p_partkey AS rule",
+    "CASE p_partkey % 5 WHEN 0 THEN 'file_modified' WHEN 1 THEN 'file_created' WHEN 2 THEN 'import_added' WHEN 3 THEN 'pattern_match' ELSE 'coupling_threshold' END AS kind",
+    "CASE p_partkey % 7 WHEN 0 THEN 'src/core/src' || (p_size % 20) || '/' WHEN 1 THEN 'docs/src' || (p_size % 20) || '/*' WHEN 2 THEN '*doc_' || p_size || '.*y' WHEN 3 THEN 'src/api/src' || (p_size % 20) "
+    "WHEN 4 THEN '*' || p_size || '.rs' WHEN 5 THEN '*/src' || (p_size % 20) || '/*' ELSE 'config/src' || (p_size % 20) || '/doc_' || p_size || '.json' END AS target",
+    "CASE p_partkey % 5 WHEN 2 THEN 'mod' || (p_size % 9) || '$' WHEN 3 THEN (p_size % 10) || ' [a-z]+' ELSE '' END AS pattern",
+    "p_size % 7 AS max_dependents", "CASE WHEN p_size > 25 THEN 'warn' ELSE 'review' END AS severity", "CASE WHEN p_partkey % 11 = 0 THEN 'testing' ELSE 'active' END AS status",
+]
+RULES = f"SELECT {', '.join(RULE_COLUMNS)} FROM part"
+#: A path against a target, as DuckDB writes it.
+MET = """(path = target OR (target LIKE '%/' AND starts_with(path, target)) OR (target LIKE '%*%' AND path GLOB target)
+      OR (target NOT LIKE '%*%' AND target LIKE '%/%' AND regexp_replace(target, '^.*/', '') NOT LIKE '%.%' AND starts_with(path, target || '/')))"""
+rules = lambda c: c.part.selectExpr(*RULE_COLUMNS)
+
+
+def changed_files(c):
+    """Files with an import of their own, and the files of their folder as those that depend on them."""
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    many = c.files.groupBy(folder.alias("folder")).agg(F.count("*").alias("dependents"))
+    text = F.concat(F.lit("import mod"), F.col("doc_id") % 9, F.lit("\n"), "text")
+    return c.files.withColumn("folder", folder).join(many, "folder").select("path", text.alias("text"), "dependents")
+
+
+query(
+    "join_antibody",
+    lambda c: globs.hits(changed_files(c), rules(c)),
+    f"""WITH r AS ({RULES}), f AS (SELECT path, 'import mod' || (doc_id % 9) || chr(10) || text AS text, count(*) OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '')) AS dependents FROM files),
+    m AS (SELECT * FROM f JOIN r ON status = 'active' AND {MET})
+    SELECT path, rule, severity FROM m WHERE kind IN ('file_modified', 'file_created') OR (kind = 'coupling_threshold' AND max_dependents > 0 AND dependents > max_dependents)
+    OR (kind = 'pattern_match' AND regexp_matches(text, pattern)) OR (kind = 'import_added' AND len(list_filter(string_split(text, chr(10)), lambda x: (starts_with(trim(x), 'import ') OR starts_with(trim(x), 'from ')) AND regexp_matches(trim(x), pattern))) > 0)""",
+)

@@ -9,6 +9,7 @@ from ..functions import paths, vectors
 from ..operators import aggregates as ag
 from ..operators import content, sinks
 from ..sources import files as op
+from ..sources import ignore
 from ..sources.paged import issues
 from ..sources.scratch import scratch_path
 from ..streaming import flows
@@ -21,11 +22,23 @@ def written(c, df, kind: str) -> str:
     return path
 
 
+def with_ignore_files(c):
+    """All files with three kinds of ignore files beside them: at the root, in a folder, and in each source's folder."""
+    kept = c.files.select("path", "size", "text")
+    root = "# top\n*.lock\n!doc_1*.lock\nnode_modules/\n/deploy/**/doc_*5.json\n"
+    fixed = c.spark.createDataFrame([(".gitignore", root), ("src/.gitignore", "test_*\n!test_doc_*6.py\ncore/src3/\n")], "path string, text string")
+    own = c.documents.select(F.concat(F.lit("src/api/"), "source", F.lit("/.gitignore")).alias("path"), F.lit("doc_*5.rs\n").alias("text")).distinct()
+    return kept.unionByName(fixed.unionByName(own).select("path", F.octet_length("text").cast("long").alias("size"), "text"))
+
+
 query(
     "scan_walk",
-    lambda c: op.walk(c.spark, written(c, c.documents.select(F.col("text").alias("value")), "text"), ["**/*.txt"], [], 1 << 40)
-        .agg(F.sum("size").alias("bytes")),
-    "SELECT sum(strlen(text) + 1)::BIGINT AS bytes FROM documents",
+    lambda c: ignore.walked(with_ignore_files(c), [], ["config/**", ".gitignore"], 15_000, 100_000),
+    """WITH f AS (SELECT *, regexp_replace(path, '^.*/', '') AS base FROM files)
+    SELECT path, size, substr(sha256(text), 1, 32) AS hash FROM f WHERE size <= 15000 AND path NOT LIKE 'config/%' AND path NOT LIKE 'node_modules/%' AND path NOT LIKE 'src/core/src3/%'
+    AND NOT (path LIKE 'deploy/%' AND regexp_matches(base, '^doc_.*5[.]json$')) AND NOT (path LIKE 'src/api/%' AND regexp_matches(base, '^doc_.*5[.]rs$'))
+    AND NOT (path LIKE 'src/%' AND base LIKE 'test\\_%' ESCAPE '\\' AND NOT regexp_matches(base, '^test_doc_.*6[.]py$'))
+    AND NOT (base LIKE '%.lock' AND NOT regexp_matches(base, '^doc_1.*[.]lock$'))""".replace("\\\\", "\\"),
 )
 query("scan_source_files", lambda c: op.source_files(c.files, ["deploy/**"]).select("path"),
     "SELECT path FROM files WHERE path NOT LIKE 'node_modules/%' AND path NOT LIKE '%.lock' AND path NOT LIKE 'deploy/%'")
