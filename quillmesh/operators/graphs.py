@@ -249,3 +249,42 @@ def reused(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
 
 def every(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def architecture(edges: DataFrame) -> DataFrame:
+    """All layers of folders at once, from edges between files (source, target: paths): layer, way, source, target, n.
+
+    An edge is inside the lowest folder that holds both its ends, between that folder's two members; for every folder below that on either side it
+    leaves or enters, towards the other end's member of the common folder. Drilling into a folder is a filter on layer.
+    """
+    a, b = F.split("source", "/"), F.split("target", "/")
+    most = F.least(F.size(a), F.size(b)) - 1
+    # folders that both paths share
+    same = F.size(F.filter(F.sequence(F.lit(0), F.greatest(most, F.lit(1)) - 1), lambda i: (i < most) & (F.slice(a, F.lit(1), i + 1) == F.slice(b, F.lit(1), i + 1))))
+    part = lambda p, k: F.array_join(F.slice(p, F.lit(1), k), "/")
+    rows = edges.where("source <> target").withColumn("same", same)
+    k = F.col("same")
+    row = lambda layer, way, x, y: F.struct(layer.alias("layer"), F.lit(way).alias("way"), x.alias("source"), y.alias("target"))
+    inside = F.array(row(part(a, k), "inside", part(a, k + 1), part(b, k + 1)))
+
+    def below(p, way: str, other):
+        deeper = F.filter(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda i: (i > k) & (i < F.size(p)))
+        member = lambda i: (part(p, i + 1), other) if way == "leaves" else (other, part(p, i + 1))
+        return F.transform(deeper, lambda i: row(part(p, i), way, *member(i)))
+
+    every = rows.select(F.explode(F.concat(inside, below(a, "leaves", part(b, k + 1)), below(b, "enters", part(a, k + 1)))).alias("e"))
+    return every.groupBy("e.layer", "e.way", "e.source", "e.target").agg(F.count("*").alias("n"))
+
+
+def members(files: DataFrame) -> DataFrame:
+    """(layer, member): each folder and what lies in it, folders and files, from paths; the top layer is ''."""
+    parts = F.split("path", "/")
+    step = lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i - 1), "/").alias("layer"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("member"))
+    return files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), step)).alias("m")).select("m.layer", "m.member").distinct()
+
+
+def orphans(files: DataFrame, layers: DataFrame) -> DataFrame:
+    """(layer, member) of the members of folders that no edge touches in their layer."""
+    own = layers.select("layer", F.explode(F.when(F.col("way") == "leaves", F.array("source")).when(F.col("way") == "enters", F.array("target")).otherwise(F.array("source",
+        "target"))).alias("member")).distinct()
+    return members(files).join(own, ["layer", "member"], "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import aggregates as op
+from ..operators import patterns, semi
 from .registry import query
 
 APR = lambda v: f"""CASE WHEN count(*) OVER () = 1 THEN 0.5::DOUBLE
@@ -63,12 +64,16 @@ query("agg_cost", lambda c: c.usage.groupBy("model").agg(F.sum("prompt_tokens").
           b) USING (model)""")
 query("agg_budget", lambda c: c.usage.where("date_trunc('month', ts) = timestamp'2024-01-01'").groupBy("project_id").agg(F.sum("total_tokens").alias("used")).select("project_id", "used", F.when(F.col("used") >= 40000, "blocked").when(F.col("used") >= 32000, "warning").otherwise("ok").alias("state")), """SELECT project_id, sum(total_tokens)::BIGINT AS used, CASE WHEN sum(total_tokens) >= 40000 THEN 'blocked'
     WHEN sum(total_tokens) >= 32000 THEN 'warning' ELSE 'ok' END AS state FROM usage WHERE date_trunc('month', ts) = TIMESTAMP '2024-01-01' GROUP BY 1""")
-query("agg_quality", lambda c: c.concepts.withColumn("ok", F.when(F.col("id") % 6 != 0, F.col("confidence"))).groupBy("category")
-    .agg(F.count("*").alias("total"), F.count("ok").alias("valid"), F.round(F.count("ok") / F.count("*"), 3).alias("success_rate"),
-    F.round(F.avg("ok"), 3).alias("mean"), F.round(F.min("ok"), 3).alias("low"), F.round(F.max("ok"), 3).alias("high")),
-      """SELECT category, count(*) AS total, count(ok) AS valid, round(count(ok) / count(*)::DOUBLE, 3) AS success_rate, round(avg(ok), 3) AS mean,
-          round(min(ok), 3) AS low, round(max(ok), 3) AS high FROM (SELECT category, CASE WHEN id % 6 <> 0 THEN confidence::DOUBLE END AS ok
-          FROM concepts) GROUP BY 1""")
+#: A concept's score in six shapes of JSON, one of them broken, one of them text.
+SHAPES = """CASE id % 7 WHEN 0 THEN '{"quality": {"confidence": ' || score || '}}' WHEN 1 THEN '{"id": ' || id || ', "meta": {"confidence": ' || score || '}}'
+    WHEN 2 THEN '{"quality": null, "b": {"confidence": "high"}, "c": {"confidence": ' || score || '}}' WHEN 3 THEN '{"quality": {"confidence": "' || score || '"}}' WHEN 4 THEN '{"quality": {"confidence": ' || score
+    WHEN 5 THEN '{"quality": 3, "meta": {"confidence": ' || score || '}}' ELSE '{"quality": {"confidence": null, "other": 1}, "z": {"confidence": true}}' END AS line"""
+query(
+    "agg_quality",
+    lambda c: semi.quality(c.concepts.selectExpr("category", "id", "cast(cast(confidence as decimal(4, 2)) as string) AS score").selectExpr("category", SHAPES), "quality.confidence", ["category"]),
+    """SELECT category, count(*) AS total, count(ok) AS valid, count(*) - count(ok) AS parse_errors, round(count(ok) / count(*)::DOUBLE, 3) AS success_rate, round(avg(ok), 3) AS mean, round(min(ok), 3) AS low, round(max(ok), 3) AS high
+    FROM (SELECT category, CASE WHEN id % 7 IN (0, 1, 2) THEN confidence::DECIMAL(4, 2)::DOUBLE WHEN id % 7 = 6 THEN 1.0::DOUBLE END AS ok FROM concepts) GROUP BY 1""",
+)
 query("agg_epistemic_quality", lambda c: c.concepts.where("status = 'active'").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 3).alias("mean")),
     "SELECT count(*) AS n, round(avg(confidence::DOUBLE), 3) AS mean FROM concepts WHERE status = 'active'")
 query("agg_models", lambda c: c.usage.groupBy("model", "provider").agg(F.count("*").alias("n")),
@@ -204,9 +209,26 @@ query(
     s AS (SELECT x.role AS a, y.role AS b, count(*) AS c FROM m x JOIN m y ON x.path = y.path AND x.role < y.role GROUP BY 1, 2)
     SELECT a, b, round(c / (p.n + q.n - c)::DOUBLE, 6) AS jaccard FROM s JOIN n p ON p.role = a JOIN n q ON q.role = b WHERE c / (p.n + q.n - c)::DOUBLE > 0.01""",
 )
-query("agg_hi_topics", lambda c: c.files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("path", F.lit("([a-z]+)"), F.lit(1)))).alias("word")).join(c.spark.createDataFrame([("testing", "tests"), ("testing", "unit"), ("testing", "test"), ("web", "api"), ("web", "ui"), ("web", "src")], "topic string, word string"), "word").groupBy("path", "topic").agg(F.count("*").alias("hits")).where("hits >= 2").groupBy("topic").agg(F.count("*").alias("files")), """WITH w AS (SELECT path, unnest(list_distinct(regexp_extract_all(path, '[a-z]+'))) AS word FROM files), t AS (SELECT *
-    FROM (VALUES ('testing', 'tests'), ('testing', 'unit'), ('testing', 'test'), ('web', 'api'), ('web', 'ui'), ('web', 'src')) v(topic, word))
-    SELECT topic, count(*) AS files FROM (SELECT path, topic FROM w JOIN t USING (word) GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1""")
+TOPIC_WORDS = [w for words in patterns.TOPICS.values() for w in words]
+
+
+def topic_files(c):
+    """Files named after two words of topics."""
+    words = F.array(*map(F.lit, TOPIC_WORDS))
+    pick = lambda n: F.element_at(words, (F.col("doc_id") * n % len(TOPIC_WORDS) + 1).cast("int"))
+    return c.documents.select(F.concat(F.lit("src/"), "source", F.lit("/"), pick(7), F.lit("_"), F.initcap(pick(11)), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"))
+
+
+query(
+    "agg_hi_topics",
+    lambda c: patterns.topics(topic_files(c)),
+    f"""WITH k AS (SELECT {TOPIC_WORDS!r} AS w), t AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}', '{w}')" for i, (t, ws) in enumerate(patterns.TOPICS.items()) for w in ws)}) v(place, topic, word)),
+    f AS (SELECT 'src/' || source || '/' || w[doc_id * 7 % len(w) + 1] || '_' || upper(substr(w[doc_id * 11 % len(w) + 1], 1, 1)) || substr(w[doc_id * 11 % len(w) + 1], 2) || doc_id || '.py' AS path FROM documents, k),
+    m AS (SELECT DISTINCT path, place, topic, word FROM (SELECT path, lower(unnest(regexp_extract_all(regexp_replace(regexp_replace(path, '^.*/', ''), '[.][^.]*$', ''), '[a-z]+|[A-Z][a-z]*|\\d+'))) AS word FROM f) JOIN t USING (word) WHERE length(word) > 1)
+    SELECT topic, count(DISTINCT word)::INT AS matches, string_agg(DISTINCT word, ' ' ORDER BY word) AS words,
+    (SELECT string_agg(regexp_replace(path, '^.*/', ''), ' ' ORDER BY path) FROM (SELECT DISTINCT path FROM m b WHERE b.place = m.place ORDER BY path LIMIT 8)) AS files
+    FROM m GROUP BY place, topic HAVING count(DISTINCT word) >= 2 ORDER BY matches DESC, place LIMIT 5""",
+)
 query("agg_role_fitness", lambda c: c.concepts.withColumn("r", F.expr("row_number() OVER (PARTITION BY category ORDER BY confidence DESC, id)")).where("r <= 30").groupBy("category").agg(F.round(0.6 * F.avg((F.col("status") == "active").cast("double")) + 0.2 + 0.2 * F.avg(F.when(F.col("r") <= 10, F.col("confidence"))), 6).alias("fitness")), """SELECT category, round(0.6::DOUBLE * avg((status = 'active')::INT) + 0.2::DOUBLE + 0.2::DOUBLE * avg(confidence::DOUBLE) FILTER (r <= 10),
     6) AS fitness FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, id) AS r FROM concepts) WHERE r <= 30 GROUP BY 1""")
 query("agg_role_fitness_fb", lambda c: c.concepts.groupBy("module").agg(F.round(0.5 * F.least(F.count_if(F.col("kind").contains("STEEL")) / F.count("*"), F.lit(0.3)) / 0.3 + 0.3 * F.least(F.count_if(F.col("title").contains("1")) / F.count("*"), F.lit(0.3)) / 0.3 + 0.2, 6).alias("fitness")), """SELECT module, round(0.5::DOUBLE * least(count(*) FILTER (contains(kind, 'STEEL')) / count(*)::DOUBLE,

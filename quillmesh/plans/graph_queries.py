@@ -112,8 +112,32 @@ query("gr_inferred", lambda c: jo.judged_hypotheses(c.edges.where("origin = 'inf
 query("gr_reuse_jaccard", lambda c: op.reused(c.modules.where("length(path) % 4 != 0"), c.modules, 0.5), """WITH n AS (SELECT module, count(*) AS n FROM modules GROUP BY 1), o AS (SELECT module, count(*) AS n FROM modules WHERE length(path) % 4 <> 0
     GROUP BY 1) SELECT n.module, o.module AS old, round(o.n / n.n::DOUBLE, 6) AS jaccard FROM n JOIN o USING (module) WHERE o.n / n.n::DOUBLE > 0.5
     AND o.n < n.n""")
-query("gr_architecture", lambda c: jo.with_modules(c.edges, c.nodes, c.modules).groupBy(F.coalesce("source_module", F.lit("external")).alias("source"), F.coalesce("target_module", F.lit("external")).alias("target")).agg(F.count("*").alias("n")), """SELECT coalesce(x.module, 'external') AS source, coalesce(y.module, 'external') AS target, count(*) AS n FROM edges e JOIN nodes a ON a.id = e.source
-    JOIN nodes b ON b.id = e.target LEFT JOIN modules x ON x.path = a.file_path LEFT JOIN modules y ON y.path = b.file_path WHERE e.kind = 'imports'
-    GROUP BY 1, 2""")
+
+
+def file_links(c):
+    """Edges between files, one for each edge between what is in them; ends outside of the files keep their id."""
+    own = lambda end: c.nodes.select(F.col("id").alias(end), F.col("file_path").alias(f"{end}_path"))
+    both = c.edges.where("kind <> 'contains'").join(own("source"), "source", "left").join(own("target"), "target", "left")
+    return both.select(F.coalesce("source_path", "source").alias("source"), F.coalesce("target_path", "target").alias("target"))
+
+
+def layers(c):
+    found = op.architecture(file_links(c))
+    alone = op.orphans(c.nodes.where("kind = 'file'").select(F.col("file_path").alias("path")), found)
+    return found.unionByName(alone.select("layer", F.lit("orphan").alias("way"), F.col("member").alias("source"), F.lit(None).cast("string").alias("target"), F.lit(0).cast("long").alias("n")))
+
+
+query(
+    "gr_architecture",
+    layers,
+    """WITH l AS (SELECT string_split(coalesce(x.file_path, e.source), '/') AS a, string_split(coalesce(y.file_path, e.target), '/') AS b FROM edges e LEFT JOIN nodes x ON x.id = e.source LEFT JOIN nodes y ON y.id = e.target WHERE e.kind <> 'contains'),
+    s AS (SELECT a, b, len(list_filter(range(1, least(len(a), len(b))), lambda i: a[1:i] = b[1:i])) AS k FROM l WHERE a <> b),
+    e AS (SELECT array_to_string(a[1:k], '/') AS layer, 'inside' AS way, array_to_string(a[1:k + 1], '/') AS source, array_to_string(b[1:k + 1], '/') AS target FROM s
+      UNION ALL SELECT array_to_string(a[1:i], '/'), 'leaves', array_to_string(a[1:i + 1], '/'), array_to_string(b[1:k + 1], '/') FROM (SELECT *, unnest(range(k + 1, len(a))) AS i FROM s)
+      UNION ALL SELECT array_to_string(b[1:i], '/'), 'enters', array_to_string(a[1:k + 1], '/'), array_to_string(b[1:i + 1], '/') FROM (SELECT *, unnest(range(k + 1, len(b))) AS i FROM s)),
+    g AS (SELECT layer, way, source, target, count(*) AS n FROM e GROUP BY ALL),
+    m AS (SELECT DISTINCT array_to_string(p[1:i - 1], '/') AS layer, array_to_string(p[1:i], '/') AS member FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT string_split(file_path, '/') AS p FROM nodes WHERE kind = 'file')))
+    SELECT * FROM g UNION ALL SELECT layer, 'orphan', member, NULL, 0 FROM m WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.layer = m.layer AND ((way <> 'enters' AND g.source = member) OR (way <> 'leaves' AND g.target = member)))""",
+)
 query("agg_degree_histogram", lambda c: ag.degrees(c.edges).groupBy("in_degree").agg(F.count("*").alias("n")), """SELECT in_degree, count(*) AS n FROM (SELECT id, sum(i)::BIGINT AS in_degree FROM (SELECT source AS id, 0 AS i FROM edges UNION ALL SELECT target, 1
     FROM edges) GROUP BY 1) GROUP BY 1""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..facade import Corpus, Registry
 from ..functions import paths, vectors
 from ..operators import aggregates as ag
-from ..operators import content, sinks
+from ..operators import content, patterns, rank, sinks
 from ..sources import files as op
 from ..sources import ignore
 from ..sources.paged import issues
@@ -78,8 +78,34 @@ query("scan_telemetry", lambda c: c.events.where("event_type = 'error' AND get_j
     "SELECT event_id FROM events WHERE event_type = 'error' AND CAST(json_extract_string(props, '$.k') AS BIGINT) >= 5")
 query("scan_todos", lambda c: op.todos(c.files.withColumn("text", F.concat(F.lit("x\n# TODO: fix "), F.col("doc_id").cast("string"), F.lit("\n// FIXME later\n"), "text"))).select("path", "line", "mark", "note", "id"), """SELECT path, 2::INT AS line, 'TODO' AS mark, 'fix ' || doc_id::VARCHAR AS note, substr(sha256(path || ':2:fix ' || doc_id::VARCHAR), 1, 12) AS id
     FROM files UNION ALL SELECT path, 3, 'FIXME', 'later', substr(sha256(path || ':3:later'), 1, 12) FROM files""")
-query("scan_roadmap_keywords", lambda c: c.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"(?i)\b(?:idiot|licensed|password)\b")).groupBy("doc_id").agg(F.count("*").alias("n")), r"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-    WHERE regexp_matches(line, '(?i)\b(idiot|licensed|password)\b') GROUP BY 1""")
+#: Pairs of words beside each other in the benchmark's items, numbered in their order.
+PAIRS = """w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark), p AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS words FROM w),
+    k AS (SELECT row_number() OVER (ORDER BY words) AS pattern, words FROM p WHERE split_part(words, ' ', 1) <> split_part(words, ' ', 2))"""
+
+
+def pairs(c):
+    w = c.benchmark.select(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)).alias("w")).where("size(w) > 1")
+    two = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, F.lit(2)), " "))
+    some = w.select(F.explode(two).alias("words")).distinct().where("split_part(words, ' ', 1) <> split_part(words, ' ', 2)")
+    return rank.numbered(some, [F.col("words")], "pattern")
+
+
+query(
+    "scan_roadmap_keywords",
+    lambda c: patterns.mined(c.files.where("path LIKE '%.md'"), pairs(c)),
+    f"""WITH {PAIRS}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files WHERE path LIKE '%.md'),
+    h AS (SELECT path, line, x, pattern, words FROM l JOIN k ON contains(lower(x), words)), f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY path ORDER BY line, pattern) = 1)
+    SELECT 'RM-' || substr(sha256('mine:keyword:' || path || ':' || words), 1, 8) AS id, path, line::INT AS line, words AS keyword, 'Review: ' || words || ' in ' || regexp_replace(path, '^.*/', '') AS title,
+    substr(trim(x), 1, 200) AS note FROM f ORDER BY path LIMIT 20""",
+)
+query(
+    "scan_pattern_hits",
+    lambda c: patterns.occurrences(c.documents, pairs(c)).select("doc_id", "pattern", "n"),
+    # words apart by two spaces, marks by a space on either side: each hit has a space of its own before and behind it
+    f"""WITH {PAIRS}, d AS (SELECT doc_id, lower(text) AS low, ' ' || regexp_replace(replace(lower(text), ' ', '  '), '[^\\p{{L}}\\p{{N}}_ ]', ' # ', 'g') || ' ' AS text FROM documents),
+    m AS (SELECT doc_id, pattern, text, ' ' || replace(words, ' ', '  ') || ' ' AS words FROM d JOIN k ON contains(low, words))
+    SELECT doc_id, pattern, ((length(text) - length(replace(text, words, ''))) // length(words))::BIGINT AS n FROM m WHERE contains(text, words)""",
+)
 query(
     "scan_vendor_dirs",
     lambda c: op.vendor_folders(
