@@ -6,18 +6,23 @@
    centroid within its home angle plus the link angle. Of two nodes within the
    link angle, one then is in the other's home shard, whatever the data.
 3. A shard's members are dealt to blocks of at most about ``BLOCK``. Each block
-   links its nodes to near ones, pruned for diversity (a neighbour goes if a
-   kept one is nearer to it by the factor ALPHA), both directions, pruned again
-   to DEGREE; the lists of a node are united over its shards.
+   finds its nodes' NEAR nearest, and keeps those that pruning for diversity
+   leaves (a neighbour goes if a kept one is nearer to it by the factor ALPHA),
+   in both directions, DEGREE at most, and besides all within the link angle,
+   if they are fewer than NEAR. A node with more of them is crowded: its list
+   may have lost some. The lists of a node are united over its shards.
 4. The home nodes of each block meet each block of their shard once. A meeting
-   prunes the united lists to DEGREE, adds a few long links, and searches for
-   every home node: greedily with a beam from the medoids, then widening from
-   all it found (and itself) through every neighbour within the link angle and
-   some slack, until nothing new turns up.
-5. Audit: each meeting counts every home node's links exactly, in lots. A node
-   whose search missed one takes them from that count. ``link_table`` returns
-   both numbers, so recall is a sum over it; every link is verified in double
-   precision.
+   prunes the united lists in the same way, adds a few long links, and searches
+   for every home node: greedily with a beam from the medoids, then widening
+   from all it found (and itself) through every neighbour within the link angle
+   and some slack, until nothing new turns up. Links are what was searched and
+   verified in double precision. A node that isn't crowded has every link of its
+   own block in its list, so its search there is complete.
+5. Where that isn't so (a crowded node, or one that meets another block of its
+   shard), the search's links are kept and the rest is counted exactly. One node
+   in ``AUDIT`` is counted exactly whatever its list: if its search missed a link,
+   the whole meeting is counted. ``link_table`` returns how many links the search
+   found, how many a count added, and for audited nodes what was there.
 
 No task holds more than two blocks, however tight a group of near copies is;
 links are counted where they are found, and only sums and stars of components
@@ -52,6 +57,8 @@ NEAR, DEGREE, LONG = 48, 24, 4
 ALPHA = 1.2
 BEAM, MEDOIDS = 24, 16
 SLACK = 0.04
+#: One node in so many is audited.
+AUDIT = 64
 #: Asking rows of a lot, and pairs that are opened or compared at once.
 LOT, PAIRS = 256, 32_768
 
@@ -91,34 +98,44 @@ def pair_scores(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([np.einsum("nd,nd->n", x[a[i : i + PAIRS]], x[b[i : i + PAIRS]]) for i in range(0, len(a), PAIRS)] or [np.zeros(0)])
 
 
-def pruned(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """At most DEGREE neighbours of each row out of the directed pairs a to b, -1 where there are fewer."""
+def pruned(x: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Neighbours of each row out of the directed pairs a to b, -1 where there are fewer: at most DEGREE by pruning, and all at or above least, if fewer than NEAR."""
     n = len(x)
     key = np.unique(a * n + b)
     a, b = key // n, key % n
     a, b = a[a != b], b[a != b]
-    order = np.lexsort((-pair_scores(x, a, b), a))
-    a, b = a[order], b[order]
+    score = pair_scores(x, a, b)
+    order = np.lexsort((-score, a))
+    a, b, score = a[order], b[order], score[order]
     place = np.arange(len(a)) - np.searchsorted(a, a)
+    linked = score >= least
+    few = linked & (np.bincount(a[linked], minlength=n) < NEAR)[a]
+    direct = np.full((n, NEAR), -1, np.int64)
+    direct[a[few], place[few]] = b[few]
     a, b, place = a[place < NEAR], b[place < NEAR], place[place < NEAR]
     near = np.tile(np.arange(n)[:, None], (1, NEAR))
     near[a, place] = b
-    return np.concatenate([robust_prune(x, np.arange(i, min(n, i + 512)), near[i : i + 512]) for i in range(0, n, 512)])
+    kept = np.concatenate([robust_prune(x, np.arange(i, min(n, i + 512)), near[i : i + 512]) for i in range(0, n, 512)])
+    return np.concatenate([kept, direct], 1)
 
 
-def build(x: np.ndarray) -> np.ndarray:
-    """Neighbours of each row in both directions, at most DEGREE, -1 where there are fewer."""
+def build(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours of each row, -1 where there are fewer, and which rows are crowded: NEAR others or more are at or above least."""
     n = len(x)
-    out = np.full((n, DEGREE), -1, np.int64)
-    c = min(NEAR, n)
+    c = min(NEAR + 1, n)  # a row is its own nearest
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    crowded = np.zeros(n, bool)
     for a in range(0, n, 512):
         s = x[a : a + 512] @ x.T
+        at = np.arange(a, min(n, a + 512))
+        crowded[at] = (s >= least).sum(1) > NEAR
         near = np.argpartition(-s, c - 1, axis=1)[:, :c]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
-        out[a : a + 512] = robust_prune(x, np.arange(a, min(n, a + 512)), near)
-    a, b = np.repeat(np.arange(n), DEGREE), out.reshape(-1)
-    a, b = a[b >= 0], b[b >= 0]
-    return pruned(x, np.concatenate([a, b]), np.concatenate([b, a]))
+        own = robust_prune(x, at, near[:, :NEAR])
+        who, k = np.nonzero((np.take_along_axis(s, near, 1) >= least) & ~crowded[at][:, None])
+        pairs += [(np.repeat(at, DEGREE)[own.ravel() >= 0], own.ravel()[own.ravel() >= 0]), (at[who], near[who, k])]
+    a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+    return pruned(x, np.concatenate([a, b]), np.concatenate([b, a]), least), crowded
 
 
 def with_long_links(graph: np.ndarray) -> np.ndarray:
@@ -182,22 +199,43 @@ def search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, start: np.ndarray, l
     return reach
 
 
-def links(x: np.ndarray, graph: np.ndarray, asks: np.ndarray, have: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """In lots: pairs (asking row, row of have) at or above least, and how many of each asking row's pairs the search alone found.
+def links(x: np.ndarray, graph: np.ndarray, asks: np.ndarray, have: np.ndarray, open_: np.ndarray, audit: np.ndarray,
+    least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """In lots: pairs (asking row, row of have) at or above least, how many of each asking row's the search found, and how many an audited row has (else -1).
 
-    have is a mask of rows. A row of asks whose exact count is higher than what its search found takes all pairs of that count.
+    have, open_ and audit are masks of rows. A row's pairs are those of its search, each verified; only rows of open_ take what a count of all adds.
     """
-    start = medoids(x)
-    for a in range(0, len(asks), LOT):
-        q = asks[a : a + LOT]
-        true = (x[q] @ x.T >= least) & have
-        true[np.arange(len(q)), q] = False
-        found = search(x, graph, q, start, least) & true
-        n = found.sum(1)
-        missed = n < true.sum(1)
-        found[missed] = true[missed]
-        who, it = np.nonzero(found)
-        yield q[who], it, n
+    start, exact = medoids(x), False
+    lots = [asks[a : a + LOT] for a in range(0, len(asks), LOT)]
+    searched = []
+    for q in lots:
+        who, it = np.nonzero(search(x, graph, q, start, least) & have)
+        ok = (pair_scores(x, q[who], it) >= least) & (q[who] != it)
+        searched.append((who[ok], it[ok]))
+        at = np.flatnonzero(audit[q] & ~open_[q])
+        exact |= bool(len(at)) and bool((np.bincount(who[ok], minlength=len(q))[at] < counted_rows(x, q[at], have, least).sum(1)).any())
+    for q, (who, it) in zip(lots, searched, strict=True):
+        n = np.bincount(who, minlength=len(q))
+        again = np.flatnonzero(open_[q] | audit[q] | exact)
+        there = np.full(len(q), -1)
+        if len(again):
+            true = counted_rows(x, q[again], have, least)
+            there[again] = true.sum(1)
+            found = np.zeros_like(true)
+            spot = np.full(len(q), -1)
+            spot[again] = np.arange(len(again))
+            mine = spot[who] >= 0
+            found[spot[who[mine]], it[mine]] = True
+            more, far = np.nonzero(true & ~found & (open_[q[again]] | exact)[:, None])
+            who, it = np.concatenate([who, again[more]]), np.concatenate([it, far])
+        yield q[who], it, n, np.where(audit[q], there, -1)
+
+
+def counted_rows(x: np.ndarray, q: np.ndarray, have: np.ndarray, least: float) -> np.ndarray:
+    """All rows of have at or above least of each row of q."""
+    true = (x[q] @ x.T >= least) & have
+    true[np.arange(len(q)), q] = False
+    return true
 
 
 class Meeting:
@@ -211,6 +249,7 @@ class Meeting:
         self.shard, own = (t.column(c)[0].as_py() for c in ("shard", "own"))
         self.have = ~asker
         self.asks = np.flatnonzero(asker | (own & (self.home == self.shard)))
+        self.open = asker | t.column("crowded").to_numpy()
         near, size = column["near"].flatten().to_numpy(zero_copy_only=False), column["near"].value_lengths().to_numpy()
         spot = np.minimum(np.searchsorted(self.node, near), len(self.node) - 1)  # rows are sorted by node
         here = self.node[spot] == near
@@ -219,28 +258,31 @@ class Meeting:
         self.owner = np.repeat(np.arange(len(self.node)), column["shards"].value_lengths().to_numpy())
 
     def counted(self, least: float) -> pa.RecordBatch:
-        """node, links, searched (those that search alone found) and root, of nodes with links."""
+        """node, links, searched (those that search alone found), root, and of audited nodes the links there are, of nodes with links and audited ones."""
         m = len(self.node)
-        graph = with_long_links(pruned(self.x, *self.pairs))
-        count, searched = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        graph = with_long_links(pruned(self.x, *self.pairs, least))
+        count, searched, there = np.zeros(m, np.int64), np.zeros(m, np.int64), np.full(m, -1)
         star = np.zeros(0, np.int64), np.zeros(0, np.int64)
         homes = np.unique(self.home)
         joined = np.zeros((m, len(homes)), bool)  # which of the homes that occur here each node is a member of
         at = np.minimum(np.searchsorted(homes, self.shards), len(homes) - 1)
         joined[self.owner[homes[at] == self.shards], at[homes[at] == self.shards]] = True
         home_at = np.searchsorted(homes, self.home)
-        for lot, (a, b, n) in enumerate(links(self.x, graph, self.asks, self.have, least)):
+        for lot, (a, b, n, audited) in enumerate(links(self.x, graph, self.asks, self.have, self.open, self.node % AUDIT == 0, least)):
             count += np.bincount(a, self.n[b], m).astype(np.int64)
             searched[self.asks[lot * LOT : lot * LOT + len(n)]] = n
+            there[self.asks[lot * LOT : lot * LOT + len(n)]] = audited
             # a found row that searches elsewhere, where the asking one isn't, counts it here
             blind = (self.home[b] != self.shard) & ~joined[a, home_at[b]]
             count += np.bincount(b[blind], self.n[a[blind]], m).astype(np.int64)
             root = roots_of(m, np.concatenate([star[0], a]), np.concatenate([star[1], b]))
             used = np.union1d(star[0], np.union1d(a, b))
             star = used, root[used]
-        used, root = star
-        return pa.RecordBatch.from_arrays([pa.array(self.node[used]), pa.array(count[used]), pa.array(searched[used]), pa.array(self.node[root])],
-            ["node", "links", "searched", "root"])
+        roots = np.arange(m)
+        roots[star[0]] = star[1]
+        used = np.union1d(star[0], np.flatnonzero(there >= 0))
+        return pa.RecordBatch.from_arrays([pa.array(self.node[used]), pa.array(count[used]), pa.array(searched[used]), pa.array(self.node[roots[used]]),
+            pa.array(there[used], mask=there[used] < 0)], ["node", "links", "searched", "root", "audited"])
 
 
 def whole_parts(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -303,30 +345,31 @@ def shard_members(nodes: DataFrame, centroids: dict[str, np.ndarray], least: flo
     return members.join(sizes, ["group", "shard"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
-def united_lists(members: DataFrame) -> DataFrame:
-    """node and near: its neighbours in the graphs of all its blocks."""
+def united_lists(members: DataFrame, least: float) -> DataFrame:
+    """node, near (its neighbours in the graphs of all its blocks) and crowded (in any of them)."""
 
     def graphs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_parts(batches, ["group", "shard", "block"]):
             v = t.column("v").combine_chunks()
             x, node = matrix(v, len(v[0])), t.column("node").to_numpy()
-            near = build(x / np.linalg.norm(x, axis=1, keepdims=True))
+            near, crowded = build(x / np.linalg.norm(x, axis=1, keepdims=True), least)
             flat = pa.array(node[near[near >= 0]])
             ends = np.concatenate([[0], (near >= 0).sum(1).cumsum()])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(crowded)],
+                ["node", "near", "crowded"])
 
     blocks = ["group", "shard", "block"]
     lists = members.select(*blocks, "node", "v").repartition(*blocks).sortWithinPartitions(*blocks, "node").mapInArrow(graphs,
-        "node bigint, near array<bigint>")
-    return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        "node bigint, near array<bigint>, crowded boolean")
+    return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.bool_or("crowded").alias("crowded"))
 
 
 def link_table(nodes: DataFrame, least: float) -> DataFrame:
-    """node, links, searched and root, several rows a node; the sums of searched and links tell the recall of the search."""
+    """node, links, searched, root and audited, several rows a node; the sums of searched and links tell what the search found, those of audited rows its recall."""
     members = shard_members(nodes, fit_centroids(nodes), least)
-    full = members.join(united_lists(members), "node")
+    full = members.join(united_lists(members, least), "node")
     each = F.sequence(F.lit(0), F.col("blocks") - 1)
-    columns = ["group", "shard", "ask", "have", "node", "v", "home", "shards", "n", "near", "asker", (F.col("ask") == F.col("have")).alias("own")]
+    columns = ["group", "shard", "ask", "have", "node", "v", "home", "shards", "n", "near", "crowded", "asker", (F.col("ask") == F.col("have")).alias("own")]
     offered = full.select("*", F.explode(each).alias("ask"), F.col("block").alias("have"), F.lit(False).alias("asker")).select(*columns)
     asking = full.where("home = shard and blocks > 1").select("*", F.col("block").alias("ask"), F.explode(each).alias("have"),
         F.lit(True).alias("asker")).where("ask != have").select(*columns)
@@ -339,8 +382,8 @@ def link_table(nodes: DataFrame, least: float) -> DataFrame:
 
     keys = ["group", "shard", "ask", "have"]
     met = offered.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(meet,
-        "node bigint, links bigint, searched bigint, root bigint")
-    return stored(met, "flat-links", small=True)
+        "node bigint, links bigint, searched bigint, root bigint, audited bigint")
+    return stored(met, "flat-links")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
