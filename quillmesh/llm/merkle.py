@@ -4,23 +4,29 @@ A page becomes a WARC response record; records lie one after another in the
 order of their ids, so each has an offset. The index of the archive (id,
 offset, length, place) is what its replicas share.
 
-Leaves are digests of records. Level 1 joins the records whose offsets fall
-into one range of ``range_bytes``; every further level joins ``FANOUT``
-neighbouring nodes, up to a root. A node's digest is the SHA-256 of its
-children's digests in order, each with its own number, so a missing child
-changes it.
-
-The audit compares roots; below, it opens only children of nodes that differ,
-level by level, and ends at the damaged records. Where the roots are equal,
-nothing below them is read. No level is collected.
+Leaves are digests of records with their offset and length. Level 1 joins the
+records whose offsets fall into one range of ``range_bytes``; every further
+level joins ``FANOUT`` neighbouring nodes; the root joins all that is left. A
+node's digest is the SHA-256 of its children's digests in order, each with its
+own number, so a missing child changes it.
 
 A replica is audited against the index of the primary: its records take the
 places that the index gives them, whatever its own bytes are, so that damage
-that moves all later offsets is still found where it is.
+that moves all later offsets is still found where it is. Records that the index
+doesn't know form a range of their own, ``UNKNOWN``, which the root joins too:
+equal roots prove equal archives.
 
-Null urls and bodies are empty; null ids come first, in order of their urls;
-rows that repeat an id keep their place by url and digest, so damage to one of
-two rows with equal id and url may be reported for the other. A record that a
+The audit compares roots; below, it opens only children of nodes that differ,
+level by level, and ends at the damaged records. Where the roots are equal,
+nothing below them is read. Leaves lie in order of their range; those of open
+ranges alone are read, the rest is left out by the files' own statistics. No
+level is collected; a few hundred numbers of open ranges are, or their bounds.
+
+Null urls and bodies are empty; null ids come first, in order of their urls,
+and of their digests where they have none (damage to such a record shows as a
+missing and an extra one); rows that repeat an id keep their place by url and
+digest, so damage to one of two rows with equal id and url may be reported for
+the other. A record that a
 replica lacks is ``missing``, one with other bytes ``corrupt``; the replica's
 rows that the index doesn't know are ``extra``. Very long bodies are hashed
 where they are read and never shuffled. An empty archive has no root and
@@ -38,6 +44,10 @@ from .common import stored
 
 RANGE_BYTES = 1 << 16
 FANOUT = 16
+#: The range of a replica's records that the index doesn't know.
+UNKNOWN = -1
+#: Open ranges up to which a read names each of them; beyond, their bounds.
+NAMED = 256
 
 
 def payload(url: Column, body: Column) -> Column:
@@ -49,9 +59,9 @@ def payload(url: Column, body: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """id, key (the id as text; of a null id the url, so that such rows are told apart and join too), turn (of rows that repeat a key), length and SHA-256 of each record; the bodies stay where they are read."""
+    """id, key (the id as text; of a null id the url, or else the digest, so that such rows are told apart and join too), turn (of rows that repeat a key), length and SHA-256 of each record; the bodies stay where they are read."""
     raw = payload(F.col(url_col), F.col(body_col))
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.coalesce(F.col(url_col), F.lit(""))))
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.coalesce(F.col(url_col), F.sha2(raw, 256))))
     out = pages.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(F.col(url_col), F.lit("")).alias("url"),
         F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("digest"))
     return out.withColumn("turn", F.row_number().over(W.partitionBy("key").orderBy("url", "digest"))).drop("url")
@@ -72,53 +82,69 @@ def _joined(children: DataFrame, level: int) -> DataFrame:
         "digest")
 
 
-def tree(recs: DataFrame, ranges: DataFrame, last: int) -> DataFrame:
-    """level, node, digest of levels 1 to last; ranges has key, turn, place and range of each record of the index."""
-    out = now = stored(_joined(recs.join(ranges, ["key", "turn"]).select(F.col("range").alias("parent"), F.col("place").alias("child"), "digest"), 1),
-        "merkle-ranges")
-    for level in range(2, last + 1):
-        now = _joined(now.select(F.floor(F.col("node") / FANOUT).alias("parent"), F.col("node").alias("child"), "digest"), level)
+def placed(recs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The leaves: records with what the index gives them, in order of their range."""
+    out = recs.withColumnRenamed("id", "own").join(ranges, ["key", "turn"], "left").withColumn("range", F.coalesce("range", F.lit(UNKNOWN).cast("long")))
+    out = out.withColumn("id", F.coalesce("id", "own")).select("id", "key", "turn", "offset", "length", "place", "range", "digest")
+    return stored(out.repartitionByRange("range", "key").sortWithinPartitions("range"), "merkle-leaves")
+
+
+def tree(leaves: DataFrame, last: int) -> DataFrame:
+    """level, node, digest of levels 1 to last, and of the root above them, node 0 of level last + 1."""
+    child = F.coalesce(F.col("place").cast("string"), F.concat_ws(" ", "key", "turn"))
+    leaf = F.concat_ws("+", F.coalesce(F.col("offset"), F.lit(-1)), "length", "digest")
+    out = now = stored(_joined(leaves.select(F.col("range").alias("parent"), child.alias("child"), leaf.alias("digest")), 1), "merkle-ranges")
+    for level in range(2, last + 2):
+        parent = F.floor(F.col("node") / FANOUT) if level <= last else F.lit(0).cast("long")
+        now = _joined(now.select(parent.alias("parent"), F.col("node").alias("child"), "digest"), level)
         out = out.unionByName(now)
-    return stored(out, "merkle-tree", small=True) if last > 1 else out
+    return stored(out, "merkle-tree")
+
+
+def under(leaves: DataFrame, open_: DataFrame) -> DataFrame:
+    """The leaves of open ranges (parent), by a filter that their files' statistics answer, then exactly."""
+    if (some := open_.limit(NAMED + 1).collect()) and len(some) <= NAMED:
+        return leaves.where(F.col("range").isin([r.parent for r in some]))
+    low, high = open_.agg(F.min("parent"), F.max("parent")).first()
+    return leaves.where(F.col("range").between(low, high)).join(open_, F.col("range") == F.col("parent"), "left_semi")
 
 
 class Archive:
-    """The records, index and tree of a primary; its replicas are audited against them."""
+    """The leaves and the tree of a primary; its replicas are audited against them."""
 
     def __init__(self, pages: DataFrame, range_bytes: int = RANGE_BYTES, **columns: str):
         self.columns = columns
-        self.records = stored(records(pages, **columns), "merkle-records")
-        self.index = stored(index(self.records).withColumn("range", F.floor(F.col("offset") / range_bytes)), "merkle-index")
+        recs = stored(records(pages, **columns), "merkle-records")
+        self.index = stored(index(recs).withColumn("range", F.floor(F.col("offset") / range_bytes)), "merkle-index")
         top = self.index.agg(F.max("range")).first()[0]
         self.last = 1
         while top is not None and top // FANOUT ** (self.last - 1) > 0:
             self.last += 1
-        self.ranges = self.index.select("id", "key", "turn", "place", "range")
-        self.tree = tree(self.records, self.ranges, self.last)
+        self.ranges = self.index.select("id", "key", "turn", "offset", "place", "range")
+        self.leaves = placed(recs, self.ranges)
+        self.tree = tree(self.leaves, self.last)
 
     def audit(self, replica: DataFrame) -> DataFrame:
         """id, key, turn, status of each record of a replica that isn't as in the primary."""
-        theirs = stored(records(replica, **self.columns), "merkle-replica")
-        other = tree(theirs, self.ranges, self.last)
+        theirs = placed(stored(records(replica, **self.columns), "merkle-replica"), self.ranges)
+        other = tree(theirs, self.last)
         open_ = None
-        for level in range(self.last, 0, -1):
+        for level in range(self.last + 1, 0, -1):
             a = self.tree.where(F.col("level") == level).select("node", "digest")
             b = other.where(F.col("level") == level).select("node", F.col("digest").alias("copy"))
             if open_ is not None:
-                parent = F.floor(F.col("node") / FANOUT)
+                parent = F.floor(F.col("node") / FANOUT) if level < self.last else F.lit(0).cast("long")
                 a, b = a.join(open_, parent == F.col("parent"), "left_semi"), b.join(open_, parent == F.col("parent"), "left_semi")
-            wrong = a.join(b, "node", "left").where(~F.col("digest").eqNullSafe(F.col("copy")))
+            wrong = a.join(b, "node", "full").where(~F.col("digest").eqNullSafe(F.col("copy")))
             open_ = wrong.select(F.col("node").alias("parent"))
-            if level == self.last and open_.isEmpty():
-                break  # equal roots: nothing below is read
-        open_ = stored(open_, "merkle-open", small=True)
-        spots = self.ranges.join(open_, F.col("range") == F.col("parent"), "left_semi").select("id", "key", "turn")
-        mine = spots.join(self.records.select("key", "turn", "digest"), ["key", "turn"])
-        pair = mine.join(theirs.select("key", "turn", F.col("digest").alias("copy")), ["key", "turn"], "left")
-        bad = pair.where(~F.col("digest").eqNullSafe(F.col("copy"))).select("id", "key", "turn", F.when(F.col("copy").isNull(), "missing")
-            .otherwise("corrupt").alias("status"))
-        extra = theirs.join(self.ranges, ["key", "turn"], "left_anti").select("id", "key", "turn", F.lit("extra").alias("status"))
-        return bad.unionByName(extra)
+            if level > self.last and open_.isEmpty():  # equal roots: nothing below is read
+                return replica.sparkSession.createDataFrame([], self.index.select("id", "key", "turn", F.lit("").alias("status")).schema)
+        open_ = stored(open_, "merkle-open")
+        mine = under(self.leaves, open_).select("id", "key", "turn", "digest")
+        copies = under(theirs, open_).select(F.col("id").alias("id2"), "key", "turn", F.col("digest").alias("copy"))
+        pair = mine.join(copies, ["key", "turn"], "full").where(~F.col("digest").eqNullSafe(F.col("copy")))
+        status = F.when(F.col("copy").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("corrupt")
+        return pair.select(F.when(F.col("digest").isNull(), F.col("id2")).otherwise(F.col("id")).alias("id"), "key", "turn", status.alias("status"))
 
 
 def decayed(pages: DataFrame) -> DataFrame:
@@ -132,7 +158,7 @@ def fixity(pages: DataFrame, replica: DataFrame) -> DataFrame:
     """page_id, rec_offset, rec_length, range_id, digest and status (ok, corrupt, missing) of every record of the primary."""
     archive = Archive(pages)
     bad = archive.audit(replica).where("status != 'extra'")
-    out = archive.index.join(archive.records.select("key", "turn", "digest"), ["key", "turn"]).join(bad.drop("id"), ["key", "turn"], "left")
+    out = archive.leaves.join(bad.drop("id"), ["key", "turn"], "left")
     return out.select(F.col("id").alias("page_id"), F.col("offset").alias("rec_offset"), F.col("length").alias("rec_length"), F.col("range").alias("range_id"),
         "digest", F.coalesce("status", F.lit("ok")).alias("status"))
 

@@ -164,6 +164,28 @@ def test_audit_finds_just_the_damage(spark):
         at += r.rec_length
 
 
+def test_equal_roots_prove_equal_archives(spark, monkeypatch):
+    """A record that only the replica has changes the root; an intact replica's leaves aren't compared at all."""
+    rows = [(i, f"u{i}", "x" * i, None) for i in range(50)] + [(None, None, "a", None), (None, None, "a", None), (None, None, None, None)]
+    a = merkle.Archive(pages(spark, rows), range_bytes=500)
+    root = lambda x: x.tree.where(F.col("level") == x.last + 1).collect()
+    more = pages(spark, [*rows, (51, "u51", "y", None)])
+    theirs = merkle.tree(merkle.placed(merkle.records(more), a.ranges), a.last).where(F.col("level") == a.last + 1).collect()
+    assert len(root(a)) == 1 and len(theirs) == 1 and root(a)[0].digest != theirs[0].digest
+    assert [(r.id, r.status) for r in a.audit(more).collect()] == [(51, "extra")]
+    bad = pages(spark, [*rows[:-2], (None, None, "b", None), rows[-1]])
+    assert sorted((r.id, r.status) for r in a.audit(bad).collect()) == [(None, "extra"), (None, "missing")]
+    read = []
+    monkeypatch.setattr(merkle, "under", lambda *x: read.append(x))
+    assert a.audit(pages(spark, rows).repartition(3)).count() == 0 and not read
+
+
+def test_leaves_outside_of_open_ranges_are_not_read(spark):
+    a = merkle.Archive(pages(spark, [(i, f"u{i}", "x" * 300, None) for i in range(400)]), range_bytes=1000)
+    plan = merkle.under(a.leaves, a.leaves.where("range = 7").select(F.col("range").alias("parent")).distinct())._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(range), EqualTo(range,7)]" in plan or "In(range, [7])" in plan
+
+
 def test_audit_of_empty_archives(spark):
     none = pages(spark, [])
     assert merkle.fixity(none, none).count() == 0
