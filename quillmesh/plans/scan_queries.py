@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..facade import Corpus, Registry
+from .. import surface
+from ..facade import Registry
 from ..functions import paths, vectors
 from ..operators import aggregates as ag
-from ..operators import content, patterns, rank, sinks
+from ..operators import braces, content, patterns, rank, sinks
 from ..sources import files as op
 from ..sources import ignore
 from ..sources.paged import issues
 from ..sources.scratch import scratch_path
 from ..streaming import flows
+from .parse_queries import coded, rows_sql
 from .registry import query
 
 
@@ -127,7 +131,7 @@ query("scan_github", lambda c: issues(c.spark, PAGES), """SELECT * FROM (VALUES
 EMBEDDERS = Registry(hashed=lambda col: vectors.hashed(col, 16))
 COMPRESSORS = Registry(codes=content.compressed)
 SARIF_ADAPTERS = Registry(default=content.sarif_findings)
-PARSERS = Registry(**{name: (lambda df, n=name: content.parsed(df, n)) for name in content.DECLARATIONS})
+PARSERS = Registry(**{name: (lambda df, n=name: braces.graph(df.where(F.col("language") == n))) for name in braces.LANGUAGES})
 WORKERS = Registry(embed=lambda now, before: flows.reuse_plan(now, before).where("action = 'embed'"))
 query("udf_embedder", lambda c: c.benchmark.select("item_id", F.size(EMBEDDERS.get("hashed")(F.col("text"))).alias("dims")),
     "SELECT item_id, 16 AS dims FROM benchmark")
@@ -140,8 +144,16 @@ query(
     n AS (SELECT path, base, row_number() OVER (PARTITION BY base ORDER BY path) AS r FROM b)
     SELECT doc_id, (length(text) + 4 + length(base || CASE WHEN r > 1 THEN r::VARCHAR ELSE '' END))::INT AS chars FROM files JOIN n USING (path)""",
 )
-query("udf_language", lambda c: PARSERS.get("python")(c.files.withColumn("text", F.lit("def go():\n  pass"))),
-    "SELECT path, 'symbol' AS kind, 'go' AS name FROM files")
+
+
+def by_language(c):
+    """Each file by the parser of its own language, looked up by name."""
+    files = coded(c, ["typescript", "c", "swift"])
+    parts = [PARSERS.get(lang)(files.where(F.col("language") == lang)).where("part = 'node'").select("path", "language", "kind", "name", "start_line", "end_line") for lang in ("typescript", "c", "swift")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+query("udf_language", by_language, f"SELECT path, language, kind, name, start_line, end_line FROM ({rows_sql(['typescript', 'c', 'swift'], 'path, language, part, kind, name, start_line, end_line')}) WHERE part = 'node'")
 query("udf_pyo3", lambda c: c.files.select("path", paths.language(F.col("path")).alias("language"), F.substring(F.sha2("text", 256), 1, 32).alias("hash"))
     .where("language = 'rust'"), "SELECT path, 'rust' AS language, substr(sha256(text), 1, 32) AS hash FROM files WHERE path LIKE '%.rs'")
 query(
@@ -154,5 +166,30 @@ query(
 )
 query("udf_worker", lambda c: WORKERS.get("embed")(c.files.select("path", "hash"), c.files.where("doc_id % 2 = 0").select("path", "hash")),
     "SELECT path, 'embed' AS action FROM files WHERE doc_id % 2 <> 0")
-query("udf_mcp", lambda c: Corpus(c.spark, c.dir).hubs(5), """SELECT f.id AS file_id, t.file_path, count(*) AS in_degree FROM edges e JOIN nodes t ON t.id = e.target JOIN nodes f ON f.file_path = t.file_path
-    AND f.kind = 'file' WHERE origin <> 'external' GROUP BY 1, 2 ORDER BY in_degree DESC, file_path LIMIT 5""")
+
+
+def asked(c):
+    """Each question once, in SQL alone, over this folder's views; parsed code by the language of each file."""
+    p = f"s{uuid.uuid4().hex[:8]}_"
+    surface.register(c.spark, c.dir, p)
+    coded(c, ["rust", "go", "java"]).createOrReplaceTempView(f"{p}coded")
+    return c.spark.sql(f"""SELECT 'hub' AS what, file_path AS name, in_degree AS n FROM {p}hubs(5)
+        UNION ALL SELECT 'impact', id, hops FROM {p}impact('file:part/Brand13/0.py')
+        UNION ALL SELECT 'concept', title, id FROM {p}concepts_of('active', 0.8D)
+        UNION ALL SELECT 'node', concat(path, ' ', name), start_line FROM {p}coded, LATERAL {p}parse_code(text, language) WHERE part = 'node' AND kind = 'method'
+        UNION ALL SELECT 'finding', path, line FROM (SELECT path, concat('x\n# TODO ', source, '\n', text) AS text FROM {p}files), LATERAL {p}audit_text(text) WHERE line = 2
+        UNION ALL SELECT 'interval', concat(user_id, ' ', event_type), unix_micros(cast(valid_to AS timestamp)) - unix_micros(cast(valid_from AS timestamp))
+          FROM {p}validity(TABLE(SELECT user_id, ts, event_type FROM {p}events), 'ts', 'event_type', 'user_id')""")
+
+
+query(
+    "udf_mcp",
+    asked,
+    f"""WITH h AS (SELECT t.file_path AS name, count(*) AS n FROM edges e JOIN nodes t ON t.id = e.target WHERE origin <> 'external' GROUP BY 1 ORDER BY n DESC, name LIMIT 5),
+    i AS (SELECT source AS id, 1 AS hops FROM edges WHERE target = 'file:part/Brand13/0.py' UNION ALL SELECT b.source, 2 FROM edges a JOIN edges b ON b.target = a.source WHERE a.target = 'file:part/Brand13/0.py'),
+    e AS (SELECT user_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), k AS (SELECT * FROM e WHERE before IS NULL OR before <> event_type),
+    r AS ({rows_sql(["rust", "go", "java"], "path, part, kind, name, start_line")})
+    SELECT 'hub' AS what, name, n FROM h UNION ALL SELECT 'impact', id, min(hops) FROM i WHERE id <> 'file:part/Brand13/0.py' GROUP BY id
+    UNION ALL SELECT 'concept', title, id FROM concepts WHERE status = 'active' AND confidence::DOUBLE >= 0.8 UNION ALL SELECT 'node', path || ' ' || name, start_line FROM r WHERE part = 'node' AND kind = 'method'
+    UNION ALL SELECT 'finding', path, 2 FROM files UNION ALL SELECT 'interval', user_id || ' ' || event_type, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) FROM k""",
+)
