@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..sources.files import INSTALL_DIRS
 from ..sources.scratch import kept
 from .joins import first_n
-from .rank import with_rank_share, with_share_below
+from .rank import running_sums, with_share_below
 
 # Weights of the file score, its bands, and the weights of other scores.
 FILE_WEIGHTS = {"lines": 0.25, "fan_in": 0.20, "fan_out": 0.10, "symbols": 0.10, "circular": 0.10, "tech_debt": 0.15, "low_confidence": 0.10}
@@ -77,18 +78,44 @@ def summary(items: DataFrame) -> DataFrame:
 
 
 def file_scores(raw: DataFrame) -> DataFrame:
-    """score and severity of rows path, lines, fan_in, fan_out, symbols, circular, tech_debt, confidence (null: 0.5); healthy files are left out."""
-    base = use = kept(raw.withColumn("confidence", F.coalesce("confidence", F.lit(0.5))), "file-scores")
-    for c in ("lines", "fan_in", "fan_out", "symbols", "tech_debt", "confidence"):
-        use = with_rank_share(use, c, f"p_{c}", base)
-    w = FILE_WEIGHTS
-    score = w["lines"] * F.col("p_lines") + w["fan_in"] * F.col("p_fan_in") + w["fan_out"] * F.col("p_fan_out") + w["symbols"] * F.col("p_symbols") + w["circular"] * F.col("circular").cast("double") + w["tech_debt"] * F.col("p_tech_debt") + w["low_confidence"] * (1 - F.col("p_confidence"))
-    scored = use.withColumn("score", F.round(score, 6))
+    """score and severity of rows path, lines, fan_in, fan_out, symbols, circular, tech_debt, confidence (null: 0.5); healthy files are left out.
+
+    One pass ranks all six signals: rows of (signal, value) are counted, values put in order once, and each row takes the mean rank of its value's ties.
+    """
+    base = kept(raw.withColumn("confidence", F.coalesce("confidence", F.lit(0.5))), "file-scores")
+    signals, w = ["lines", "fan_in", "fan_out", "symbols", "tech_debt", "confidence"], FILE_WEIGHTS
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("signal"), F.col(c).cast("double").alias("value")) for c in signals)))
+    rows = base.select("path", each.alias("s")).select("path", "s.signal", "s.value")
+    counts = rows.groupBy("signal", "value").agg(F.count("*").alias("ties"))
+    placed = kept(running_sums(counts, [F.col("signal"), F.col("value")], {"before": F.col("ties")}), "file-ranks")
+    of = placed.groupBy("signal").agg(F.min("before").alias("first"), F.sum("ties").alias("n"))  # six rows
+    below = F.col("before") - F.col("first")
+    share = F.when(F.col("n") == 1, F.lit(0.5)).otherwise((below + (F.col("ties") - 1) / 2) / (F.col("n") - 1))
+    ranks = placed.join(F.broadcast(of), "signal").select("signal", F.col("value").alias("v"), share.alias("share"))
+    weight = F.create_map(*(F.lit(x) for c in signals[:5] for x in (c, w[c])))
+    part = F.when(F.col("signal") == "confidence", w["low_confidence"] * (1 - F.col("share"))).otherwise(F.element_at(weight, F.col("signal")) * F.col("share"))
+    own = rows.withColumnRenamed("signal", "s").join(ranks, (F.col("s") == F.col("signal")) & F.col("value").eqNullSafe(F.col("v")))
+    sums = own.groupBy("path").agg(F.sum(part).alias("sum"))
+    scored = base.select("path", "circular").join(sums, "path").withColumn("score", F.round(F.col("sum") + w["circular"] * F.col("circular").cast("double"), 6))
     severity = F.when(F.col("score") >= FILE_BANDS["critical"], "critical").when(F.col("score") >= FILE_BANDS["warning"],
         "warning").when(F.col("score") >= FILE_BANDS["info"], "info")
     return scored.withColumn("severity", severity).where("severity IS NOT NULL").select("path", "score", "severity")
 
 
+def repository_profile(files: DataFrame, depth: int = 4, most: int = 5000) -> DataFrame:
+    """kind, name, value of a repository by the first most of its paths, not deeper than depth: languages and globs to include with their files, install folders to exclude with theirs, and the weight of each role."""
+    shown = files.where(F.size(F.split("path", "/")) <= depth).orderBy("path").limit(most)
+    install = F.array_intersect(F.split("path", "/"), F.array(*map(F.lit, INSTALL_DIRS)))
+    rows = shown.select("path", paths.language(F.col("path")).alias("language"), paths.extension(F.col("path")).alias("ext"), F.get(install, F.lit(0)).alias("folder"), paths.role(F.col("path")).alias("role"))
+    fact = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    own = F.col("folder").isNull() & F.col("language").isNotNull()
+    facts = F.array(F.when(own, fact("language", F.col("language"))), F.when(own, fact("include", F.concat(F.lit("**/*"), "ext"))),
+        F.when(F.col("folder").isNotNull(), fact("exclude", F.concat(F.lit("**/"), "folder", F.lit("/**")))), fact("role", F.col("role")))
+    counted = rows.select(F.explode(F.filter(facts, lambda x: x.isNotNull())).alias("f")).groupBy("f.kind", "f.name").agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*").alias("total"))
+    return counted.join(F.broadcast(total)).select("kind", "name", F.when(F.col("kind") == "role", F.round(F.col("n") / F.col("total"), 6)).otherwise(F.col("n").cast("double")).alias("value"))
+
+
 def hub_outliers(degree: DataFrame, least_z: float = 2.0, least_degree: int = 8, least_files: int = 5) -> DataFrame:
     """Files whose positive in-degree stands out by the sample deviation; the statistics are one row, joined to all."""
     stats = degree.where("in_degree > 0").agg(F.avg("in_degree").alias("mean"), F.stddev_samp("in_degree").alias("sd"), F.count("*").alias("n"))

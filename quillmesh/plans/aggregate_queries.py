@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import aggregates as op
-from ..operators import patterns, semi
+from ..operators import content, markdown, patterns, semi
 from .registry import query
+from .text_queries import TAGS_SQL
 
 APR = lambda v: f"""CASE WHEN count(*) OVER () = 1 THEN 0.5::DOUBLE
     ELSE (rank() OVER (ORDER BY {v}) - 1 + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0::DOUBLE) / (count(*) OVER () - 1) END"""
@@ -182,9 +183,9 @@ query("agg_routing_desc", lambda c: op.segment_descriptors(c.part_paths.select(F
           FROM commits JOIN modules USING (path) GROUP BY 1, 2) SELECT coalesce(a.segment, b.segment) AS segment, tags, hubs
           FROM (SELECT segment, string_agg(tag, ',' ORDER BY r) AS tags FROM t WHERE r <= 3 GROUP BY 1) a FULL
           JOIN (SELECT segment, string_agg(path, ',' ORDER BY r) AS hubs FROM h WHERE r <= 2 GROUP BY 1) b ON a.segment = b.segment""")
-query("agg_exec_tags", lambda c: c.files.select(F.explode(F.array("lang", "source")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
-    .orderBy(F.desc("n"), "tag").limit(8),
-    "SELECT tag, count(*) AS n FROM (SELECT lang AS tag FROM files UNION ALL SELECT source FROM files) GROUP BY 1 ORDER BY n DESC, tag LIMIT 8")
+query("agg_exec_tags", lambda c: c.files.orderBy(F.desc("size"), "path").limit(50).select(F.explode(content.path_tags(F.col("path"))).alias("tag")).groupBy("tag")
+    .agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(8), f"""WITH t AS (SELECT path, tags FROM ({TAGS_SQL})), f AS (SELECT path FROM files ORDER BY size DESC, path LIMIT 50)
+    SELECT tag, count(*) AS n FROM (SELECT unnest(list_filter(string_split(tags, ','), lambda x: x <> '')) AS tag FROM f JOIN t USING (path)) GROUP BY 1 ORDER BY n DESC, tag LIMIT 8""")
 query("agg_velocity", lambda c: op.velocity(c.items.where("status = 'F'").select("priority", F.col("created_at").alias("completed_at")), "1996-01-01"), """SELECT w AS window, count(p) AS completed, count(*) FILTER (p = 'P0') AS p0, count(*) FILTER (p = 'P1') AS p1 FROM range(6) g(w) LEFT
     JOIN (SELECT priority AS p, (epoch_us(TIMESTAMP '1996-01-01') - epoch_us(created_at) - 1) // (14 * 86400000000) AS k FROM items WHERE status = 'F'
     AND created_at < TIMESTAMP '1996-01-01') ON k = w GROUP BY 1""")
@@ -196,12 +197,39 @@ query("agg_concept_coverage", lambda c: c.modules.select("module").distinct()
     "SELECT round(100.0::DOUBLE * count(DISTINCT CASE WHEN confidence > 0.97 THEN module END) / count(DISTINCT module), 2) AS pct FROM concepts")
 query("agg_cluster_hist", lambda c: op.size_histogram(c.commits.groupBy("author").agg(F.countDistinct("commit_id").alias("n"))), """SELECT CASE WHEN n <= 1 THEN '1' WHEN n = 2 THEN '2' WHEN n <= 5 THEN '3-5' WHEN n <= 10 THEN '6-10' WHEN n <= 25 THEN '11-25'
     ELSE '26+' END AS band, count(*) AS clusters FROM (SELECT author, count(DISTINCT commit_id) AS n FROM commits GROUP BY 1) GROUP BY 1""")
-query("agg_repo_profile", lambda c: c.files.groupBy(paths.extension(F.col("path")).alias("ext")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")),
-    "SELECT regexp_extract(path, '(\\.[^.]+)$', 1) AS ext, count(*) AS n, sum(size)::BIGINT AS bytes FROM files GROUP BY 1")
+query(
+    "agg_repo_profile",
+    lambda c: op.repository_profile(c.files.select("path")),
+    """WITH f AS (SELECT * FROM (SELECT path, regexp_extract(regexp_replace(path, '^.*/', ''), '(\\.[^.]+)$', 1) AS ext, CASE WHEN path LIKE 'tests/%' THEN 'tests' WHEN path LIKE '%.md' OR path LIKE 'docs/%' THEN 'docs'
+      WHEN regexp_matches(path, '[.](py|ts|tsx|rs)$') OR path LIKE 'src/%' OR path LIKE '%/lib/%' THEN 'code' ELSE 'other' END AS role FROM files WHERE len(string_split(path, '/')) <= 4) ORDER BY path LIMIT 5000),
+    l AS (SELECT ext, CASE ext WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' WHEN '.md' THEN 'markdown' WHEN '.rs' THEN 'rust' END AS language FROM f WHERE path NOT LIKE 'node_modules/%')
+    SELECT 'language' AS kind, language AS name, count(*)::DOUBLE AS value FROM l WHERE language IS NOT NULL GROUP BY 2 UNION ALL SELECT 'include', '**/*' || ext, count(*)::DOUBLE FROM l WHERE language IS NOT NULL GROUP BY ext
+    UNION ALL SELECT 'exclude', '**/node_modules/**', count(*)::DOUBLE FROM f WHERE path LIKE 'node_modules/%' GROUP BY 2 UNION ALL SELECT 'role', role, round(count(*) / sum(count(*)) OVER (), 6)::DOUBLE FROM f GROUP BY 2""".replace("\\\\", "\\"),
+)
 query("agg_rebuild_duration", lambda c: c.items.where("status = 'F'").groupBy("category").agg(F.max_by("value", F.struct("created_at", "id")).alias("last")).rollup("category").agg(F.round(F.sum("last"), 2).alias("seconds")), """SELECT category, round(sum(last), 2) AS seconds FROM (SELECT category, value AS last FROM (SELECT *, row_number() OVER (PARTITION BY category
     ORDER BY created_at DESC, id DESC) AS r FROM items WHERE status = 'F') WHERE r = 1) GROUP BY ROLLUP (category)""")
-query("agg_doc_score", lambda c: c.files.select("doc_id", F.round(op.document_score(F.col("doc_id") % 13, F.lit(12), F.col("path").endswith(".md"), F.when(F.col("path").startswith("docs/"), 0.7).otherwise(0.2), F.col("doc_id") % 11 == 0), 6).alias("score")), """SELECT doc_id, round(least(1.0::DOUBLE, 0.5 * (doc_id % 13) / 12.0::DOUBLE + CASE WHEN path LIKE '%.md' THEN 0.25::DOUBLE ELSE 0 END + CASE
-    WHEN path LIKE 'docs/%' THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN doc_id % 11 = 0 THEN 0.1::DOUBLE ELSE 0 END), 6) AS score FROM files""")
+#: Every file names the largest file of its source in backticks; what names a file is a link to it.
+LINKED_SQL = """big AS (SELECT source, max_by(path, (size, path)) AS target FROM files GROUP BY 1), i AS (SELECT target AS path, count(*) AS links FROM files JOIN big USING (source) GROUP BY 1),
+    d AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, avg((path LIKE '%.md')::INT) AS ratio FROM files GROUP BY 1),
+    z AS (SELECT f.path, coalesce(links, 0) AS links, (SELECT max(links) FROM i) AS most, ratio FROM files f JOIN d ON d.dir = regexp_replace(f.path, '/[^/]*$', '') LEFT JOIN i USING (path)),
+    c AS (SELECT path, round(least(1.0::DOUBLE, 0.5::DOUBLE * links / most + CASE WHEN regexp_matches(path, '/(test_)?doc_[0-9]*0[.]') THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN ratio >= 0.6 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END
+      + CASE WHEN path LIKE 'docs/%' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END), 6) AS score FROM z)"""
+
+
+def scored_docs(c):
+    """score of every file: links to it found in the texts, the share of markdown in its folder, its name and place."""
+    big = c.files.groupBy("source").agg(F.max_by("path", F.struct("size", "path")).alias("target"))
+    texts = c.files.join(big, "source").select("path", F.concat("text", F.lit("\nSee `"), "target", F.lit("`.")).alias("text"))
+    links = markdown.mentions(texts, c.files).groupBy("path").agg(F.count("*").alias("links"))
+    folder = paths.directory(F.col("path"))
+    ratio = c.files.groupBy(folder.alias("folder")).agg(F.avg(F.col("path").endswith(".md").cast("int")).alias("ratio"))
+    most = links.agg(F.max("links").alias("most"))
+    rows = c.files.select("path").withColumn("folder", folder).join(ratio, "folder").join(links, "path", "left").join(F.broadcast(most))  # one row
+    named = F.col("path").rlike("/(?:test_)?doc_[0-9]*0[.]")
+    return rows.select("path", F.round(op.document_score(F.coalesce("links", F.lit(0)), F.col("most"), named, F.col("ratio"), F.col("path").startswith("docs/")), 6).alias("score"))
+
+
+query("agg_doc_score", scored_docs, f"WITH {LINKED_SQL} SELECT path, score FROM c")
 query(
     "agg_role_overlap",
     lambda c: op.overlaps(c.commits.select(F.concat(F.lit("r"), F.col("author") % 12).alias("role"), "path"), "role", "path", 0.01),

@@ -43,15 +43,17 @@ query("gen_chunk_code", lambda c: content.chunks(c.files).select("path", "chunk_
       SELECT path, (s // 1800)::INT AS chunk_index, substr(sha256(path || ':' || (s // 1800)::VARCHAR), 1, 16) AS chunk_id, md5(substr(text, s + 1, 2000)) AS digest,
       (length(substr(text, 1, s)) - length(replace(substr(text, 1, s), chr(10), '')) + 1)::INT AS start_line,
       greatest(length(substr(text, 1, s + 2000)) - length(replace(substr(text, 1, s + 2000), chr(10), '')) + 1 - CASE WHEN substr(text, least(s + 2000, length(text)), 1) = chr(10) THEN 1 ELSE 0 END, 1)::INT AS end_line FROM k""")
-query("gen_rust_chunk_code", lambda c: content.chunks(c.files, 1000, 100).groupBy("path").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars")), """SELECT path, count(*) AS n, sum(length(substr(text, s + 1, 1000)))::BIGINT AS chars FROM (SELECT path, text, unnest(CASE
-    WHEN length(text) <= 1000 THEN [0] ELSE range(0, length(text), 900) END) AS s FROM files) GROUP BY 1""")
+query("gen_rust_chunk_code", lambda c: content.chunks(c.files, 1000, 100).select("path", "chunk_index", "chunk_id", F.md5("content").alias("digest"), "start_line"),
+      """WITH k AS (SELECT path, text, unnest(CASE WHEN length(text) <= 1000 THEN [0] ELSE range(0, length(text), 900) END) AS s FROM files)
+      SELECT path, (s // 900)::INT AS chunk_index, substr(sha256(path || ':' || (s // 900)::VARCHAR), 1, 16) AS chunk_id, md5(substr(text, s + 1, 1000)) AS digest,
+      (length(substr(text, 1, s)) - length(replace(substr(text, 1, s), chr(10), '')) + 1)::INT AS start_line FROM k""")
 query("gen_sentences", lambda c: content.sentences(c.documents),
     r"""WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|' || chr(10) || chr(10) || '+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')) AS sentence, generate_subscripts(list_filter(list_transform(string_split_regex(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|' || chr(10) || chr(10) || '+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''), 1) - 1 AS i FROM documents) SELECT doc_id, i::INT AS i, sentence FROM p""")
 query("gen_split_long", lambda c: content.packed_paragraphs(c.documents.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text")), 900)
     .select("doc_id", "i", F.length("part").alias("chars")))
 query("gen_md_sections", lambda c: content.markdown_sections(md(c)).select("doc_id", "i", "section", "start_line", F.md5("text").alias("digest")))
 query("gen_chunk_md", lambda c: content.markdown_chunks(md(c)).select("doc_id", "i", "section", "start_line", "end_line", F.length("content").alias("chars")))
-query("gen_rust_chunk_md", lambda c: content.markdown_chunks(md(c), 1000, 200).groupBy("doc_id").agg(F.count("*").alias("n")))
+query("gen_rust_chunk_md", lambda c: content.markdown_chunks(md(c), 1000, 200).select("doc_id", "i", "section", "start_line", "end_line", F.md5("content").alias("digest")))
 query("gen_semantic_split", lambda c: content.semantic_parts(c.documents).select("doc_id", "i", F.length("part").alias("chars"), F.md5("part").alias("digest")))
 query(
     "gen_parse_python",
@@ -106,17 +108,19 @@ query("vec_mmr", lambda c: vf.diverse(NEAR(c).orderBy(F.desc("score"), "vec_id")
     .select(F.lit(0).alias("q"), F.col("vec_id").alias("id"), "score", F.col("embedding").alias("vec")), "q", 10, 0.7))
 SC = """WITH s AS (SELECT v.vec_id, v.label, list_inner_product(list_transform(v.embedding, lambda x: x::DOUBLE), list_transform(q.embedding,
     lambda x: x::DOUBLE)) AS score FROM vectors v, vectors q WHERE q.vec_id = 0 AND v.vec_id <> 0)"""
+#: Neighbours of a file: those of its source and language.
 query(
     "vec_trace_expand",
     lambda c: vf.within_budget(
         vf.expanded(NEAR(c).orderBy(F.desc("score"), "vec_id").limit(10).select(F.col("vec_id").alias("id"), "score"),
-            c.files.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")))
-        .join(c.files.select(F.col("doc_id").alias("id"), "size"), "id").withColumn("q", F.lit(0)), "q", [F.desc("score"), "id"], "size", 12_000)
+            c.files.select(F.col("doc_id").alias("a"), "source", "lang").join(c.files.select(F.col("doc_id").alias("b"), "source", "lang"), ["source", "lang"]).where("a != b").select("a", "b"))
+        .join(c.files.select(F.col("doc_id").alias("id"), "size"), "id").withColumn("q", F.lit(0)), "q", [F.desc("score"), "id"], "size", 60_000)
             .select("id", "why", F.round("score", 6).alias("score"), "taken"),
     f"""{SC}, t AS (SELECT vec_id AS id, score FROM s ORDER BY score DESC, vec_id LIMIT 10),
-    n AS (SELECT f.doc_id + 1 AS id, max(score) * 0.5::DOUBLE AS score FROM t JOIN files f ON f.doc_id = t.id WHERE f.doc_id + 1 NOT IN (SELECT id FROM t) GROUP BY 1),
+    n AS (SELECT g.doc_id AS id, max(score) * 0.5::DOUBLE AS score FROM t JOIN files f ON f.doc_id = t.id JOIN files g ON g.source = f.source AND g.lang = f.lang AND g.doc_id <> f.doc_id
+      WHERE g.doc_id NOT IN (SELECT id FROM t) GROUP BY 1),
     a AS (SELECT id, score, 'found' AS why FROM t UNION ALL SELECT id, score, 'neighbour' FROM n), z AS (SELECT a.*, size, sum(size) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS e FROM a JOIN files ON doc_id = id)
-    SELECT id, why, round(score, 6) AS score, CASE WHEN e <= 12000 THEN size ELSE 12000 - (e - size) END::BIGINT AS taken FROM z WHERE e <= 12000 OR 12000 - (e - size) > 200""",
+    SELECT id, why, round(score, 6) AS score, CASE WHEN e <= 60000 THEN size ELSE 60000 - (e - size) END::BIGINT AS taken FROM z WHERE e <= 60000 OR 60000 - (e - size) > 200""",
 )
 query("vec_budget", lambda c: vf.within_budget(c.files.select("source", "doc_id", "size"), "source", [F.desc("size"), "doc_id"], "size", 6000).select("source", "doc_id", "taken"), """SELECT source, doc_id, CASE WHEN e <= 6000 THEN size ELSE 6000 - (e - size) END::BIGINT AS taken
     FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY size DESC, doc_id ROWS UNBOUNDED PRECEDING) AS e FROM files)

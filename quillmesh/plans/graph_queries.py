@@ -57,9 +57,8 @@ query(
 )
 query("gr_union_find", lambda c: op.components(imports(c)), f"{JOINED} SELECT node, min(node) OVER (PARTITION BY c) AS root FROM t")
 PAIRS = "p AS (SELECT x.id AS a, y.id AS b FROM concepts x JOIN concepts y ON x.a1 = y.a1 AND x.kind = y.kind AND x.id < y.id)"
-pairs = lambda c: c.concepts.select(F.col("id").alias("a"), "a1", "kind").join(c.concepts.select(F.col("id").alias("b"), "a1", "kind"),
-    ["a1", "kind"]).where("a < b")
-query("gr_clusters", lambda c: op.clusters(c.concepts.select("id", "confidence"), pairs(c)), f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r
+stars = lambda rows, keys: rows.join(rows.groupBy(*keys).agg(F.min("id").alias("b")), keys).where("id != b").select(F.col("id").alias("a"), "b")
+query("gr_clusters", lambda c: op.clusters(c.concepts.select("id", "confidence"), stars(c.concepts.select("id", "a1", "kind"), ["a1", "kind"])), f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r
     JOIN e ON r.b = e.a), m AS (SELECT a AS id, min(b) AS root FROM r GROUP BY a), f AS (SELECT id, first_value(id) OVER (PARTITION BY root
     ORDER BY confidence DESC, id) AS representative, count(*) OVER (PARTITION BY root) AS size FROM m JOIN concepts USING (id))
     SELECT id, representative, size FROM f""")
@@ -68,9 +67,9 @@ SHARED = """e AS (SELECT x.id AS a, y.id AS b FROM concepts x JOIN concepts y ON
 
 
 def shared(c):
-    """Pairs of concepts of one kind that share an anchor."""
-    rows = c.concepts.select("id", "kind", F.explode(F.array("a1", "a2")).alias("anchor"))
-    return rows.withColumnRenamed("id", "a").join(rows.withColumnRenamed("id", "b"), ["kind", "anchor"]).where("a < b").select("a", "b").distinct()
+    """Concepts of one kind that share an anchor, each with the first of them: the same components as all pairs, in linear rows."""
+    one = [stars(c.concepts.select("id", "kind", a), ["kind", a]) for a in ("a1", "a2")]
+    return one[0].unionByName(one[1]).distinct()
 
 
 query(
@@ -99,10 +98,14 @@ query(
     h2 AS (SELECT DISTINCT b AS id FROM k WHERE a IN (SELECT id FROM h1) AND b NOT IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h1))
     SELECT id, 0.0::DOUBLE AS score FROM h0 UNION ALL SELECT id, 0.76::DOUBLE FROM h1 UNION ALL SELECT id, 0.76::DOUBLE FROM h2""",
 )
-query("gr_proximity", lambda c: op.proximity(c.files.select(F.concat(paths.directory(F.col("path")), F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string")).alias("folder"), "path"), c.files.where("doc_id < 0").select(F.col("path").alias("a"), F.col("path").alias("b"))), """WITH d AS (SELECT regexp_replace(path, '/[^/]*$', '') || '/' || (doc_id // 100)::VARCHAR AS folder, path
-    FROM files), f AS (SELECT *, count(*) OVER (PARTITION BY folder) AS n FROM d)
-    SELECT x.path AS a, y.path AS b, round(greatest(0.3::DOUBLE, 0.7::DOUBLE - 0.04::DOUBLE * x.n), 6) AS confidence FROM f x
-    JOIN f y ON x.folder = y.folder AND x.path < y.path WHERE x.n BETWEEN 2 AND 20""")
+query(
+    "gr_proximity",
+    lambda c: op.proximity(c.part_paths.select(F.concat("p_brand", F.lit("/"), F.floor(F.col("p_partkey") / 200)).alias("folder"), "path"), file_links(c).withColumnsRenamed({"source": "a", "target": "b"})),
+    """WITH d AS (SELECT p_brand || '/' || (p_partkey // 200) AS folder, path FROM part_paths), f AS (SELECT *, count(*) OVER (PARTITION BY folder) AS n FROM d),
+    k AS (SELECT DISTINCT a.file_path AS a, b.file_path AS b FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE e.kind <> 'contains')
+    SELECT x.path AS a, y.path AS b, round(greatest(0.3::DOUBLE, 0.7::DOUBLE - 0.04::DOUBLE * x.n), 6) AS confidence FROM f x JOIN f y ON x.folder = y.folder AND x.path < y.path WHERE x.n BETWEEN 2 AND 20
+    AND NOT EXISTS (SELECT 1 FROM k WHERE (k.a = x.path AND k.b = y.path) OR (k.a = y.path AND k.b = x.path))""",
+)
 query("gr_cochange", lambda c: op.cochange(c.commits.groupBy(F.floor(F.col("commit_id") / 8).alias("commit_id"), "path").agg(F.min("ts").alias("ts")), "1998-09-01", 2000.0, 1, 0.1), """WITH r AS (SELECT commit_id // 8 AS k, path, min(ts) AS ts FROM commits GROUP BY 1, 2), z AS (SELECT k FROM r GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30),
       w AS (SELECT r.k, path, exp(-ln(2.0::DOUBLE) * date_diff('day', ts::DATE, DATE '1998-09-01') / 2000.0::DOUBLE) AS w FROM r JOIN z ON z.k = r.k), t AS (SELECT path, sum(w) AS t FROM w GROUP BY 1),
       b AS (SELECT x.path AS a, y.path AS b, sum(x.w) AS s FROM w x JOIN w y ON x.k = y.k AND x.path < y.path GROUP BY 1, 2)

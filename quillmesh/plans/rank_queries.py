@@ -8,6 +8,7 @@ from ..operators import joins as jo
 from ..operators import rank as op
 from ..operators import sinks
 from ..sources.scratch import scratch_path
+from .aggregate_queries import LINKED_SQL, scored_docs
 from .registry import query
 
 APR = """CASE WHEN count(*) OVER () = 1 THEN 0.5::DOUBLE
@@ -92,8 +93,8 @@ query("top_alerts", lambda c: op.alerts(c.events.selectExpr("user_id AS session"
           FROM (SELECT DISTINCT user_id AS session, event_type AS rule, 'f' || (event_id % 5)::VARCHAR AS path FROM events))""")
 query("top_hotspots", lambda c: c.part_paths.join(c.commits.groupBy("path").agg(F.countDistinct("author").alias("imports")), "path", "left").where("p_size * 20 > 900 OR imports > 32").select("path", "p_size", "imports"), """SELECT path, p_size, imports FROM part_paths LEFT JOIN (SELECT path, count(DISTINCT author) AS imports FROM commits GROUP BY 1) USING (path)
     WHERE p_size * 20 > 900 OR imports > 32""")
-query("top_planning_docs", lambda c: c.files.where("path LIKE '%.md'").select("path", F.round(0.5 * (F.col("doc_id") % 13) / 12.0 + F.when(F.col("path").startswith("docs/"), 0.15).otherwise(0.0), 6).alias("score")).orderBy(F.desc("score"), "path").limit(30), """SELECT path, round(0.5::DOUBLE * (doc_id % 13) / 12.0::DOUBLE + CASE WHEN path LIKE 'docs/%' THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END, 6) AS score
-    FROM files WHERE path LIKE '%.md' ORDER BY score DESC, path LIMIT 30""")
+query("top_planning_docs", lambda c: scored_docs(c).where("path LIKE '%.md'").orderBy(F.desc("score"), "path").limit(30),
+    f"WITH {LINKED_SQL} SELECT path, score FROM c WHERE path LIKE '%.md' ORDER BY score DESC, path LIMIT 30")
 query("top_graph_sort", lambda c: op.numbered(c.nodes.select("id", "file_path", "name", F.when(F.col("kind") == "file", 0).when(F.col("kind") == "symbol", 1)
     .otherwise(2).alias("k")), [F.col(x) for x in ("k", "file_path", "name", "id")]).select("id", "place"),
     "SELECT id, (row_number() OVER (ORDER BY CASE kind WHEN 'file' THEN 0 WHEN 'symbol' THEN 1 ELSE 2 END, file_path, name, id))::INT AS place FROM nodes")

@@ -139,12 +139,14 @@ query("agg_naming", lambda c: c.nodes.where("kind = 'symbol'").select("name", tx
 query("txt_infer_layer", lambda c: c.files.select("path", paths.layer(F.col("path")).alias("layer")), """SELECT path, CASE split_part(path, '/', 1) WHEN 'tests' THEN 'testing' WHEN 'docs' THEN 'documentation' WHEN 'deploy' THEN 'infrastructure'
     WHEN 'config' THEN 'configuration' WHEN 'node_modules' THEN 'utility' ELSE CASE split_part(path, '/', 2) WHEN 'core' THEN 'business_logic'
     ELSE 'presentation' END END AS layer FROM files""")
-query("txt_infer_tags", lambda c: c.files.select("path", F.array_join(content.path_tags(F.col("path")), ",").alias("tags")), """SELECT path, array_to_string(list_concat(CASE WHEN path LIKE '%.test.tsx' THEN ['test', 'frontend'] WHEN path LIKE '%.py' THEN ['backend', 'python']
+#: Tags of the files' paths.
+TAGS_SQL = """SELECT path, array_to_string(list_concat(CASE WHEN path LIKE '%.test.tsx' THEN ['test', 'frontend'] WHEN path LIKE '%.py' THEN ['backend', 'python']
     WHEN path LIKE '%.ts' THEN ['backend', 'typescript'] WHEN path LIKE '%.md' THEN ['documentation'] WHEN path LIKE '%.rs' THEN ['backend', 'systems']
     WHEN path LIKE '%.json' THEN ['config', 'data'] ELSE [] END, CASE split_part(path, '/', 1) WHEN 'tests' THEN CASE WHEN path LIKE '%.test.tsx' THEN []
     ELSE ['test'] END WHEN 'docs' THEN CASE WHEN path LIKE '%.md' THEN [] ELSE ['documentation'] END WHEN 'deploy' THEN ['deploy'] WHEN 'config' THEN CASE
     WHEN path LIKE '%.json' THEN [] ELSE ['config'] END ELSE CASE split_part(path, '/', 2) WHEN 'core' THEN ['core'] WHEN 'api' THEN ['api']
-    WHEN 'ui' THEN ['ui'] ELSE [] END END), ',') AS tags FROM files""")
+    WHEN 'ui' THEN ['ui'] ELSE [] END END), ',') AS tags FROM files"""
+query("txt_infer_tags", lambda c: c.files.select("path", F.array_join(content.path_tags(F.col("path")), ",").alias("tags")), TAGS_SQL)
 #: Rules of the five kinds: kind, glob, pattern, most dependents.
 TRIGGERS = [
     ("file_modified", "src/core/**", "", 0), ("file_created", "docs/**", "", 0), ("import_added", "src/**", r"\bos\b", 0),

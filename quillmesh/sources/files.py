@@ -41,13 +41,12 @@ def planning_docs(files: DataFrame, agent_dirs: bool = True) -> DataFrame:
     return files.where(keep if agent_dirs else keep & ~F.col("path").rlike(r"(?:^|/)\.[^/]+/"))
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
-    """Rows of a JSON-lines file, malformed ones left out; with a key, the last line of each wins."""
+def json_lines(spark: SparkSession, path: str, schema: str, key: str | None = None, order: str | None = None) -> DataFrame:
+    """Rows of JSON-lines files, malformed ones left out; with a key, the row of each that is last in order (a column), whatever file and line it is on."""
     df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     if key is None:
         return df
-    at = df.withColumn("__at", F.monotonically_increasing_id())
-    return at.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(F.desc("__at")))).where("__r = 1").drop("__r", "__at")
+    return df.groupBy(key).agg(F.max_by(F.struct("*"), order).alias("row")).select("row.*")
 
 
 def numstat(log: DataFrame) -> DataFrame:
