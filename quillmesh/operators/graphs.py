@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import kept
+from ..sources.scratch import drop, kept
 from .joins import first_n
 
 
@@ -61,9 +61,54 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return now
 
 
+def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (a, b) with every chain as one edge; (node, head, tail) of the nodes inside of chains, which have one edge in and one out; and the nodes of rings of such nodes alone, with the least of each (node, root).
+
+    Ends are found by pointer doubling, so the rounds grow with the logarithm of the longest chain; what still points into a chain after that is on a ring.
+    """
+    edges = kept(edges.where("a != b").select("a", "b").distinct(), "chain-edges")
+    ins = edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("i"), F.first("a").alias("head"))
+    outs = edges.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("o"), F.first("b").alias("tail"))
+    inner = kept(ins.join(outs, "node").where("i = 1 AND o = 1").select("node", "head", "tail"), "chain-nodes")
+    n, now, old = inner.count(), inner, None
+    for _ in range(max(n, 1).bit_length() + 1 if n else 0):
+        ahead, behind = now.select(F.col("node").alias("tail"), F.col("tail").alias("t")), now.select(F.col("node").alias("head"), F.col("head").alias("h"))
+        new = kept(now.join(ahead, "tail", "left").join(behind, "head", "left").select("node", F.coalesce("h", "head").alias("head"), F.coalesce("t", "tail").alias("tail"),
+            (F.col("h").isNotNull() | F.col("t").isNotNull()).alias("moved")), "chain-nodes")
+        if old is not None and old is not inner:
+            drop(old)
+        old, now = now, new.select("node", "head", "tail")
+        now._scratch = new._scratch
+        if new.where("moved").isEmpty():
+            break
+    names = inner.select("node")
+    ring = kept(now.join(names.withColumnRenamed("node", "tail"), "tail", "left_semi").select("node"), "rings")
+    on_ring = edges.join(ring.withColumnRenamed("node", "a"), "a", "left_semi").join(ring.withColumnRenamed("node", "b"), "b", "left_semi")
+    done = now.join(ring, "node", "left_anti")
+    free = edges.join(names.withColumnRenamed("node", "a"), "a", "left_anti").join(names.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
+    short = done.where("head != tail").select(F.col("head").alias("a"), F.col("tail").alias("b"))
+    return free.unionByName(short).distinct(), kept(done, "chain-ends"), components(on_ring)
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, root) of strongly connected components of two nodes or more, root being the least member.
 
+    Chains are one edge each first, so the rounds don't grow with their length. A node inside of one is in its ends' component if both are in the same, and a chain that ends where it begins is one with its end.
+    """
+    short, inner, rings = chains(edges)
+    core = kept(short_components(short), "scc-core")
+    head, tail = (core.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in ("head", "tail"))
+    ends = inner.join(head, "head", "left").join(tail, "tail", "left").withColumn("root", F.when(F.col("head") == F.col("tail"), F.coalesce("head_root", "head"))
+        .when(F.col("head_root") == F.col("tail_root"), F.col("head_root"))).where("root IS NOT NULL")
+    bases = ends.where("head = tail AND head_root IS NULL").select(F.col("head").alias("node"), F.col("head").alias("root"))
+    every = kept(core.unionByName(ends.select("node", "root")).unionByName(bases).distinct(), "scc-all")
+    least = every.groupBy("root").agg(F.min("node").alias("least"))
+    return every.join(least, "root").select("node", F.col("least").alias("root")).unionByName(rings)
+
+
+def short_components(edges: DataFrame) -> DataFrame:
+    """strong_components without the shortening of chains.
+
     On the cyclic core, forward colours (the least node that reaches one) are spread to a fixed point; inside a colour, what reaches back to its root is that root's component. It is taken out and the rest goes on.
     """
     left, out = cyclic_core(edges), None

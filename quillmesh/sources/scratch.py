@@ -33,4 +33,14 @@ def kept(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     """Writes df once and reads it back, which cuts its lineage and survives lost executors; small: in few files."""
     path = scratch_path(df.sparkSession, tag)
     (few(df) if small else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Removes a kept table that nothing reads any more: the round before the last of an iteration."""
+    jvm, path = df.sparkSession._jvm, getattr(df, "_scratch", None)
+    if path:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import random
 import time
 
 import numpy as np
@@ -277,7 +278,7 @@ def test_components_of_chains_and_stars(spark):
     assert graphs.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_intents(spark):
+def test_intents_of_questions(spark):
     """One question for each rung of the ladder, and those that a word elsewhere takes off it."""
     want = {
         "Who imports the parser": ("trace", "high"), "why is it so": ("rationale", "high"), "they chose maps": ("rationale", "medium"),
@@ -400,3 +401,44 @@ def test_equal_sets_are_paired_apart(spark):
     assert {(r.a, r.b) for r in joins.jaccard_pairs(sets, 0.65).collect()} == {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)}
     assert {(r.a, r.b) for r in joins.jaccard_pairs(sets, 0.65, apart="folder").collect()} == {(1, 2), (2, 3), (1, 4), (2, 4), (3, 4)}
     assert [(r.a, r.b) for r in joins.jaccard_pairs(sets, 0.65, most=2).collect()] == [(1, 2), (1, 3)]
+
+
+def plain_strong(edges):
+    """Components by mutual reach, of two nodes or more."""
+    nodes = {x for e in edges for x in e}
+    reach = {n: {n} for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            more = reach[b] - reach[a]
+            if more:
+                reach[a] |= more
+                changed = True
+    out = {}
+    for n in nodes:
+        same = {m for m in reach[n] if n in reach[m]}
+        if len(same) > 1:
+            out[n] = min(same)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_strong_components_with_chains_and_rings(spark, seed):
+    r = random.Random(seed)
+    edges = [(r.randrange(12), r.randrange(12)) for _ in range(14)]
+    for k in range(6):  # chains between nodes, some back to where they begin
+        a, b, base = r.randrange(12), r.randrange(12), 100 * (k + 1)
+        way = [a, *range(base, base + r.randrange(1, 9)), b]
+        edges += list(zip(way, way[1:], strict=False))
+    ring = list(range(900, 907))
+    edges += list(zip(ring, [*ring[1:], ring[0]], strict=True))
+    got = {x.node: x.root for x in graphs.strong_components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == plain_strong([e for e in edges if e[0] != e[1]])
+
+
+def test_long_chains_cost_few_rounds(spark):
+    """A path of three thousand nodes and a ring of a thousand: neither takes a round a node."""
+    edges = [(i, i + 1) for i in range(3000)] + [(10_000 + i, 10_000 + (i + 1) % 1000) for i in range(1000)]
+    got = graphs.strong_components(spark.createDataFrame(edges, "a int, b int")).collect()
+    assert len(got) == 1000 and {x.root for x in got} == {10_000}
