@@ -51,8 +51,7 @@ class Corpus:
 
         doc_id, place, score, why (found or neighbour) and taken (characters). What is searched is every document; only the k * 5 best of each leg go on.
         """
-        legs = self.search(question, 5 * k).select("doc_id").withColumn("leg", F.lit("words")).withColumn("r",
-            F.row_number().over(W.orderBy(F.monotonically_increasing_id())))
+        legs = self.search(question, 5 * k).select("doc_id", F.lit("words").alias("leg"), F.row_number().over(W.orderBy(F.desc("score"), "doc_id")).alias("r"))
         near = self.similar(vector, 5 * k)
         ranked = near.select("doc_id", F.lit("vectors").alias("leg"), F.row_number().over(W.orderBy(F.desc("score"), "doc_id")).alias("r"))
         fused = legs.unionByName(ranked).groupBy("doc_id").agg(F.sum(1.0 / (60 + F.col("r"))).alias("score"))

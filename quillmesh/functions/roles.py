@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 # Weights of the role score, and words that mean much the same.
 ROLE_WEIGHTS = {"layer": 0.25, "tags": 0.30, "audience": 0.10, "centrality": 0.20, "confidence": 0.15}
 SYNONYMS = [
-    "ui presentation frontend component view layout widget".split(),
-    "api endpoint route handler controller rest graphql".split(),
-    "auth authentication authorization permission security token credential".split(),
-    "data database persistence storage model schema orm migration".split(),
-    "deploy infrastructure devops ci-cd docker kubernetes helm terraform".split(),
-    "test testing spec qa quality coverage e2e".split(),
-    "build compile bundle webpack vite toolchain packaging".split(),
-    "docs documentation readme guide reference wiki".split(),
-    "state state-management store context redux zustand".split(),
-    "style css theme design-system design-token styling sass".split(),
-    "monitoring observability logging metrics tracing telemetry".split(),
-    "ml machine-learning ai model-training inference embedding".split(),
+    ["ui", "presentation", "frontend", "component", "view", "layout", "widget"],
+    ["api", "endpoint", "route", "handler", "controller", "rest", "graphql"],
+    ["auth", "authentication", "authorization", "permission", "security", "token", "credential"],
+    ["data", "database", "persistence", "storage", "model", "schema", "orm", "migration"],
+    ["deploy", "infrastructure", "devops", "ci-cd", "docker", "kubernetes", "helm", "terraform"],
+    ["test", "testing", "spec", "qa", "quality", "coverage", "e2e"],
+    ["build", "compile", "bundle", "webpack", "vite", "toolchain", "packaging"],
+    ["docs", "documentation", "readme", "guide", "reference", "wiki"],
+    ["state", "state-management", "store", "context", "redux", "zustand"],
+    ["style", "css", "theme", "design-system", "design-token", "styling", "sass"],
+    ["monitoring", "observability", "logging", "metrics", "tracing", "telemetry"],
+    ["ml", "machine-learning", "ai", "model-training", "inference", "embedding"],
 ]
 # What is left of a score after an event.
 DECAY = {"source_changed": 0.0, "neighbor_enriched": 0.95, "doc_updated": 0.90, "trace_rebuilt": 0.80, "module_resynthesized": 0.97}

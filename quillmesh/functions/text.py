@@ -55,7 +55,11 @@ OPENINGS = {
 # Fixed value: the endings by which a word of a question is a file.
 SUFFIX = r"\.(?:py|ts|tsx|js|jsx|rs|go|java|kt|rb|c|cpp|h|hpp|cs|swift|scala|sh|yaml|yml|toml|json|md)"
 # Words that no search is about.
-QUERY_STOP = "the how does what where when why which this that with from for and not but can will just about into file files code function class method work works look explain show find get use uses handle handles module modules".split()
+QUERY_STOP = [
+    "the", "how", "does", "what", "where", "when", "why", "which", "this", "that", "with", "from", "for", "and",
+    "not", "but", "can", "will", "just", "about", "into", "file", "files", "code", "function", "class", "method", "work",
+    "works", "look", "explain", "show", "find", "get", "use", "uses", "handle", "handles", "module", "modules",
+]
 
 # Characters without a shape.
 INVISIBLE = r"[​-‏⁠-⁤⁦-⁯﻿￹-￻]|[\x{e0000}-\x{e007f}]"

@@ -61,7 +61,10 @@ LANGUAGES = {
 KINDS = {"fn": "function", "func": "function", "mod": "module", "namespace": "module"}
 #: Owners inside which a function is a method.
 TYPES = {"struct", "class", "interface", "trait", "enum", "impl", "protocol", "actor", "record", "union"}
-CONTROL = set("if for while switch match loop do try catch else return guard case unsafe with function finally synchronized new throw await sizeof".split())
+CONTROL = {
+    "if", "for", "while", "switch", "match", "loop", "do", "try", "catch", "else", "return", "guard", "case", "unsafe", "with", "function",
+    "finally", "synchronized", "new", "throw", "await", "sizeof",
+}
 CALL = re.compile(r"(?<![\w.:>])([A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*)!?\(")
 EDGE = re.compile(r"[{};()\[\]\n]")
 

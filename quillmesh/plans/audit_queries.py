@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..sources.catalog import Catalog
+from ..sources.scratch import kept
 from . import registry
 from .registry import query
 
@@ -58,43 +60,55 @@ query(
     f"SELECT analyzer, category, severity, count(*) AS n, sum({COST})::BIGINT AS cost FROM ({findings_sql()}) GROUP BY 1, 2, 3",
 )
 
-#: Security checks: a query, which of its rows count against it, and how many of them may be.
+SECRET = "|".join(p for n, p in tx.SECRETS.items() if n not in ("generic", "aws_secret"))
+PLANTED = "|".join(tx.SUSPICIOUS[n] for n in ("ignore_previous", "disregard", "you_are_now", "new_instructions", "system_role"))
+#: Security checks: of which table, which rows are against it (as Spark and DuckDB both read it; {match} is either's regular expression function), what share of the rows may be, and its weight.
 CHECKS = {
-    "secrets_in_texts": ("txt_detect_secrets", "aws OR slack", 0),
-    "invisible_characters": ("txt_detect_invisible", "hidden", 0),
-    "injected_instructions": ("txt_injection", "true", 0),
-    "repetition_attacks": ("txt_repeat_attack", "true", 0),
-    "leaked_prompts": ("txt_prompt_leak", "leak", 0),
-    "private_paths_indexed": ("flt_dlp", "true", 0),
-    "vendored_files_indexed": ("scan_source_files", "path LIKE 'node_modules/%'", 0),
-    "edges_without_origin": ("join_validate_edges", "origin = 'external'", 0),
-    "orphans_in_index": ("agg_staleness", "kind = 'orphan'", 0),
-    "stale_knowledge": ("agg_obs_stats", "stale > fresh", 0),
-    "shrunken_files": ("agg_integrity", "state IN ('catastrophic', 'major_shrink') AND n > 0", 0),
-    "links_in_output": ("txt_strip_urls", "contains(text, 'https://')", 0),
-    "unlinked_references": ("join_missing_refs", "missing > 5", 0),
-    "rejected_links": ("gr_inferred", "verdict = 'rejected'", 0),
-    "conflicting_rules": ("join_conflicts", "true", 100),
-    "agents_in_conflict": ("join_agent_conflicts", "a = b", 0),
+    "secrets_in_texts": ("documents", f"{{match}}(text, '{SECRET}')", 0.0, 3),
+    "passwords_in_texts": ("documents", "{match}(lower(text), 'password[ ]*[:=]')", 0.0, 2),
+    "invisible_characters": ("documents", f"{{match}}(text, '{tx.INVISIBLE}')", 0.0, 2),
+    "planted_instructions": ("documents", f"{{match}}(text, '{PLANTED}')", 0.0, 3),
+    "shell_commands": ("documents", f"{{match}}(text, '{tx.SUSPICIOUS['code_call']}')", 0.0, 2),
+    "addresses_in_texts": ("documents", "{match}(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][a-z]+')", 0.05, 1),
+    "texts_of_one_line_again_and_again": ("documents", "length(text) > 2000 AND length(replace(text, substring(text, 1, 40), '')) * 2 < length(text)", 0.01, 1),
+    "vendored_files_indexed": ("files", "path LIKE 'node_modules/%'", 0.0, 2),
+    "generated_files_indexed": ("files", "path LIKE '%.lock'", 0.1, 1),
+    "files_too_large": ("files", "size > 100000", 0.01, 1),
+    "edges_from_outside": ("edges", "origin = 'external'", 0.2, 1),
+    "unsure_edges": ("edges", "origin = 'inferred' AND confidence < 0.3", 0.1, 1),
+    "stale_knowledge": ("observations", "stale", 0.5, 1),
+    "stale_knowledge_still_valid": ("observations", "stale AND valid_to IS NULL", 0.1, 2),
+    "critical_items_open": ("items", "severity = 'critical' AND NOT dismissed", 0.2, 2),
+    "unreviewed_concepts": ("concepts", "status = 'seed' AND confidence < 0.2", 0.1, 1),
 }
 
 
 def checks(c: Catalog) -> DataFrame:
-    """name, found and passed of each check: one count a query."""
+    """name, found, rows, passed and weight of each check: each table is read once for all of its checks."""
+    out = []
+    for t in sorted({t for t, *_ in CHECKS.values()}):
+        own = {n: x for n, x in CHECKS.items() if x[0] == t}
+        counts = getattr(c, t).agg(F.count("*").alias("rows"), *(F.count_if(F.expr(x[1].replace("{match}", "regexp_like").replace("\\", "\\\\"))).alias(n) for n, x in own.items()))
+        one = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("found"), F.lit(x[2]).alias("share"), F.lit(x[3]).alias("weight")) for n, x in own.items()))
+        out.append(counts.select("rows", F.explode(one).alias("k")).select("k.name", "k.found", "rows", (F.col("k.found") <= F.col("k.share") * F.col("rows")).alias("passed"), "k.weight"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def security_score(c: Catalog) -> DataFrame:
+    """The checks and, as one more row, the weighted share of those that passed, of 100; 70 are wanted."""
+    found = kept(checks(c), "security", small=True)  # a row a check
+    score = found.agg(F.round(100.0 * F.sum(F.when(F.col("passed"), F.col("weight"))) / F.sum("weight")).cast("long").alias("found"))
+    return found.unionByName(score.select(F.lit("score").alias("name"), "found", F.lit(None).cast("long").alias("rows"), (F.col("found") >= 70).alias("passed"), F.lit(None).cast("int").alias("weight")))
 
-    def one(name: str) -> DataFrame:
-        source, against, most = CHECKS[name]
-        bad: Column = F.count_if(F.expr(against))
-        return registry.QUERIES[source](c.spark, c.dir).agg(bad.alias("found")).select(F.lit(name).alias("name"), "found",
-            (F.col("found") <= most).alias("passed"))
 
-    return reduce(DataFrame.unionByName, map(one, sorted(CHECKS)))
+def checks_sql() -> str:
+    one = lambda n, t, against, share, weight: (f"SELECT '{n}' AS name, count(*) FILTER ({against.replace("{match}", "regexp_matches")}) AS found, count(*) AS rows, "
+        f"count(*) FILTER ({against.replace("{match}", "regexp_matches")}) <= {share}::DOUBLE * count(*) AS passed, {weight} AS weight FROM {t}")
+    return " UNION ALL ".join(one(n, *x) for n, x in CHECKS.items())
 
 
-CHECKS_SQL = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) FILTER ({against}) AS found, count(*) FILTER ({against}) <= {most} AS passed FROM ({registry.ORACLE_SQL[source]})" for n, (source, against, most) in sorted(CHECKS.items()))
 query(
     "agg_security_score",
-    lambda c: checks(c).unionByName(checks(c).agg(F.round(100.0 * F.avg(F.col("passed").cast("double"))).cast("long").alias("found"))
-        .select(F.lit("score").alias("name"), "found", (F.col("found") >= 70).alias("passed"))),
-    f"WITH k AS ({CHECKS_SQL}) SELECT * FROM k UNION ALL SELECT 'score', round(100.0 * avg(passed::INT))::BIGINT, round(100.0 * avg(passed::INT)) >= 70 FROM k",
+    security_score,
+    f"WITH k AS ({checks_sql()}) SELECT * FROM k UNION ALL SELECT 'score', round(100.0 * sum(weight) FILTER (passed) / sum(weight))::BIGINT, NULL, round(100.0 * sum(weight) FILTER (passed) / sum(weight)) >= 70, NULL FROM k",
 )

@@ -154,9 +154,24 @@ query("arr_audience", lambda c: c.files.select("path", F.round(roles.audience(co
     .where("share > 0").select("path"), "SELECT path FROM files WHERE path LIKE 'src/api/%'")
 query("arr_tag_affinity", lambda c: c.files.select("path", roles.affinity(content.path_tags(F.col("path")), F.array(F.lit("testing"), F.lit("doc"))).alias("a")), """SELECT path, CASE WHEN path LIKE '%.md' OR path LIKE 'docs/%' OR path LIKE 'tests/%' OR path LIKE '%.test.tsx' THEN 0.7::DOUBLE
     ELSE 0.0::DOUBLE END AS a FROM files""")
-query("arr_synonyms", lambda c: c.spark.createDataFrame([("ui", "view"), ("api", "rest"), ("api", "ui"), ("zzz", "zzz")], "a string, b string")
-    .select("a", "b", roles.synonyms(F.col("a"), F.col("b")).alias("same")),
-    "SELECT * FROM (VALUES ('ui', 'view', true), ('api', 'rest', true), ('api', 'ui', false), ('zzz', 'zzz', false)) v(a, b, same)")
+
+
+def path_words(c, name: str):
+    """The few words that folders are called by."""
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    return c.files.select(F.explode(F.regexp_extract_all(folder, F.lit("([a-z]+)"), F.lit(1))).alias(name)).where(F.length(name) > 1).distinct()
+
+
+WORDS_OF = [(w, i) for i, words in enumerate(roles.SYNONYMS) for w in words]
+#: What the words of folders' names also mean.
+query(
+    "arr_synonyms",
+    lambda c: path_words(c, "a").join(c.spark.createDataFrame(WORDS_OF, "a string, i int"), "a").join(c.spark.createDataFrame(WORDS_OF, "b string, i int"), "i").where("a != b")
+        .select("a", "b", roles.synonyms(F.col("a"), F.col("b")).alias("same")),
+    f"""WITH g AS (SELECT * FROM (VALUES {", ".join(map(str, WORDS_OF))}) v(w, i)), k AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY w ORDER BY i DESC) = 1),
+    p AS (SELECT DISTINCT unnest(regexp_extract_all(regexp_replace(path, '/[^/]*$', ''), '[a-z]+')) AS w FROM files)
+    SELECT p.w AS a, y.w AS b, m.i = n.i AS same FROM p JOIN g x USING (w) JOIN g y ON y.i = x.i AND y.w <> p.w JOIN k m ON m.w = p.w JOIN k n ON n.w = y.w""",
+)
 query("arr_blend", lambda c: roles.blended(c.concepts.select(F.col("category").alias("role"), F.when(F.col("category") == "technical", 2.0).otherwise(1.0).alias("share"), F.col("module").alias("layer"), "confidence").groupBy("role", "share", "layer").agg(F.max("confidence").alias("weight"))), """WITH w AS (SELECT category AS role, CASE WHEN category = 'technical' THEN 2.0::DOUBLE
     ELSE 1.0::DOUBLE END AS share, module AS layer, max(confidence::DOUBLE) AS weight FROM concepts GROUP BY 1, 2, 3)
     SELECT layer, round(sum(share * weight) / (SELECT sum(share) FROM (SELECT DISTINCT role, share FROM w)), 6) AS weight FROM w GROUP BY layer""")
