@@ -143,3 +143,25 @@ def merge_kept_state(old: DataFrame, new: DataFrame, key: str, state: str) -> Da
     """new rows over old ones by key, keeping what users set; old rows that are gone stay."""
     o, n = old.select(key, F.col(state).alias("__old"), F.col("value").alias("__v")), new.select(key, "value")
     return o.join(n, key, "full_outer").select(key, F.coalesce("value", "__v").alias("value"), F.coalesce("__old", F.lit(False)).alias(state))
+
+
+# The categories of concepts by axis.
+AXES = {
+    "intent": ["architecture", "domain", "product"],
+    "rules": ["security", "constraint", "decision", "tradeoff"],
+    "implementation": ["technical", "pattern", "process", "epistemic", "brand"],
+}
+
+
+def worker_scopes(size: int) -> list[tuple[str, str]]:
+    """(worker, category) for a crew: one worker for all, one for each axis (3), or one for each category (10)."""
+    if size not in (1, 3, 10):
+        raise ValueError(f"a crew is of 1, 3 or 10, not of {size}")
+    return [("all" if size == 1 else axis if size == 3 else c, c) for axis, own in AXES.items() for c in own]
+
+
+def scoped(concepts: DataFrame, sizes: list[int]) -> DataFrame:
+    """size, worker, category, concepts: how many concepts (id, category) each worker of each crew takes on."""
+    table = concepts.sparkSession.createDataFrame([(s, *x) for s in sizes for x in worker_scopes(s)], "size int, worker string, category string")
+    many = concepts.groupBy("category").agg(F.count("id").alias("concepts"))
+    return table.join(many, "category", "left").select("size", "worker", "category", F.coalesce("concepts", F.lit(0)).alias("concepts"))

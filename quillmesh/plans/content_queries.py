@@ -98,8 +98,20 @@ query("lod_skeleton", lambda c: c.nodes.where("kind = 'symbol'").groupBy("file_p
     .agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 20), "\n").alias("skeleton")),
     "SELECT file_path, string_agg(DISTINCT name, chr(10) ORDER BY name) AS skeleton FROM nodes WHERE kind = 'symbol' GROUP BY 1")
 query("vec_embed_fake", lambda c: c.documents.select("doc_id", vf.fake(F.col("text")).alias("embedding")))
-query("vec_embed_native", lambda c: c.benchmark.select("item_id", F.size(vf.hashed(F.col("text"), 32)).alias("dims")),
-    "SELECT item_id, 32 AS dims FROM benchmark")
+
+
+def embedded_sql(dims: int) -> str:
+    """Signed counts of words by their CRC-32, at unit length, component by component."""
+    return f"""WITH t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark), b AS (SELECT item_id, list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM w),
+    h AS (SELECT item_id, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS h FROM b, t),
+    v AS (SELECT item_id, h % {dims} AS i, sum(CASE WHEN (h >> 20) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM h GROUP BY 1, 2),
+    n AS (SELECT item_id, sqrt(sum(v * v)) AS n FROM v GROUP BY 1)
+    SELECT b.item_id, g.i::INT AS i, round(coalesce(v / nullif(n, 0), 0.0::DOUBLE), 6) + 0.0::DOUBLE AS value FROM benchmark b CROSS JOIN range({dims}) g(i) LEFT JOIN v ON v.item_id = b.item_id AND v.i = g.i LEFT JOIN n ON n.item_id = b.item_id"""
+
+
+embedded = lambda c, embed: c.benchmark.select("item_id", F.posexplode(embed(F.col("text"))).alias("i", "value")).withColumn("value", F.round("value", 6) + 0.0)
+query("vec_embed_native", lambda c: embedded(c, lambda t: vf.hashed(t, 32)), embedded_sql(32))
 query("vec_matryoshka", lambda c: c.vectors.select("vec_id", F.round(vf.norm(vf.shortened(F.col("embedding"), 16)), 6).alias("n"), F.round(F.element_at(vf.shortened(F.col("embedding"), 16), 1), 6).alias("x")), """WITH h AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: x::DOUBLE) AS h FROM vectors)
     SELECT vec_id, 1.0::DOUBLE AS n, round(h[1] / sqrt(list_inner_product(h, h)), 6) AS x FROM h""")
 NEAR = lambda c: c.vectors.join(F.broadcast(c.vectors.where("vec_id = 0").select(F.col("embedding").alias("q")))).where("vec_id != 0").select("vec_id",

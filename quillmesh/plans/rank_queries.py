@@ -125,9 +125,14 @@ query("set_merge_opportunities", lambda c: op.merge_kept_state(c.items.where("id
     WHERE id % 2 = 0 OR id % 3 = 0""")
 query("set_rationale_scope", lambda c: c.concepts.where(F.col("category").isin("constraint", "technical")).select("id", "category"),
     "SELECT id, category FROM concepts WHERE category IN ('constraint', 'technical')")
-query("set_worker_scopes", lambda c: c.items.select("category").distinct()
-    .join(c.spark.createDataFrame([("quality", 0), ("debt", 0), ("security", 1), ("structure", 2)], "category string, worker int"), "category"),
-    "SELECT DISTINCT category, CASE category WHEN 'security' THEN 1 WHEN 'structure' THEN 2 ELSE 0 END AS worker FROM items")
+query(
+    "set_worker_scopes",
+    lambda c: op.scoped(c.concepts.select("id", "category"), [1, 3, 10]),
+    """WITH s AS (SELECT * FROM (VALUES ('intent', 'architecture'), ('intent', 'domain'), ('intent', 'product'), ('rules', 'security'), ('rules', 'constraint'), ('rules', 'decision'), ('rules', 'tradeoff'),
+      ('implementation', 'technical'), ('implementation', 'pattern'), ('implementation', 'process'), ('implementation', 'epistemic'), ('implementation', 'brand')) v(axis, category)),
+    w AS (SELECT 1 AS size, 'all' AS worker, category FROM s UNION ALL SELECT 3, axis, category FROM s UNION ALL SELECT 10, category, category FROM s)
+    SELECT size, worker, w.category, count(k.id) AS concepts FROM w LEFT JOIN concepts k ON k.category = w.category GROUP BY 1, 2, 3""",
+)
 query("set_upsert_antibody", lambda c: sinks.upsert(c.concepts.where("id % 2 = 0").select("id", F.col("title").alias("rule")), c.concepts.where("id % 3 = 0")
     .select("id", F.upper("title").alias("rule")), "id"),
     "SELECT id, CASE WHEN id % 3 = 0 THEN upper(title) ELSE title END AS rule FROM concepts WHERE id % 2 = 0 OR id % 3 = 0")

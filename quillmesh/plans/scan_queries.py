@@ -16,6 +16,7 @@ from ..sources import ignore
 from ..sources.paged import issues
 from ..sources.scratch import scratch_path
 from ..streaming import flows
+from .content_queries import embedded, embedded_sql
 from .parse_queries import coded, rows_sql
 from .registry import query
 
@@ -135,8 +136,7 @@ COMPRESSORS = Registry(codes=content.compressed)
 SARIF_ADAPTERS = Registry(default=content.sarif_findings)
 PARSERS = Registry(**{name: (lambda df, n=name: braces.graph(df.where(F.col("language") == n))) for name in braces.LANGUAGES})
 WORKERS = Registry(embed=lambda now, before: flows.reuse_plan(now, before).where("action = 'embed'"))
-query("udf_embedder", lambda c: c.benchmark.select("item_id", F.size(EMBEDDERS.get("hashed")(F.col("text"))).alias("dims")),
-    "SELECT item_id, 16 AS dims FROM benchmark")
+query("udf_embedder", lambda c: embedded(c, EMBEDDERS.get("hashed")), embedded_sql(16))
 query(
     "udf_compressor",
     lambda c: COMPRESSORS.get("codes")(c.files.select("doc_id", F.concat("text", F.lit(" in "), "path").alias("text")), c.files.select("path"))

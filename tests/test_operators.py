@@ -442,3 +442,9 @@ def test_long_chains_cost_few_rounds(spark):
     edges = [(i, i + 1) for i in range(3000)] + [(10_000 + i, 10_000 + (i + 1) % 1000) for i in range(1000)]
     got = graphs.strong_components(spark.createDataFrame(edges, "a int, b int")).collect()
     assert len(got) == 1000 and {x.root for x in got} == {10_000}
+
+
+def test_crews_of_other_sizes_are_refused():
+    assert len({c for _, c in rank.worker_scopes(10)}) == len(rank.worker_scopes(3)) == 12 and {w for w, _ in rank.worker_scopes(1)} == {"all"}
+    with pytest.raises(ValueError, match="not of 4"):
+        rank.worker_scopes(4)
