@@ -61,23 +61,24 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return now
 
 
-def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Edges (a, b) with every chain as one edge; (node, head, tail) of the nodes inside of chains, which have one edge in and one out; and the nodes of rings of such nodes alone, with the least of each (node, root).
+def chains(edges: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (a, b) with every chain as one edge, and how long it is (steps); (node, head, tail, steps) of the nodes inside of chains, which have one edge in and one out, and aren't in keep (node), steps being those to the tail; and the nodes of rings of such nodes alone, with the least of each (node, root).
 
     Ends are found by pointer doubling, so the rounds grow with the logarithm of the longest chain; what still points into a chain after that is on a ring.
     """
     edges = kept(edges.where("a != b").select("a", "b").distinct(), "chain-edges")
     ins = edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("i"), F.first("a").alias("head"))
     outs = edges.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("o"), F.first("b").alias("tail"))
-    inner = kept(ins.join(outs, "node").where("i = 1 AND o = 1").select("node", "head", "tail"), "chain-nodes")
+    one = ins.join(outs, "node").where("i = 1 AND o = 1").select("node", "head", "tail", F.lit(1).cast("long").alias("steps"))
+    inner = kept(one if keep is None else one.join(keep, "node", "left_anti"), "chain-nodes")
     n, now, old = inner.count(), inner, None
     for _ in range(max(n, 1).bit_length() + 1 if n else 0):
-        ahead, behind = now.select(F.col("node").alias("tail"), F.col("tail").alias("t")), now.select(F.col("node").alias("head"), F.col("head").alias("h"))
+        ahead, behind = now.select(F.col("node").alias("tail"), F.col("tail").alias("t"), F.col("steps").alias("more")), now.select(F.col("node").alias("head"), F.col("head").alias("h"))
         new = kept(now.join(ahead, "tail", "left").join(behind, "head", "left").select("node", F.coalesce("h", "head").alias("head"), F.coalesce("t", "tail").alias("tail"),
-            (F.col("h").isNotNull() | F.col("t").isNotNull()).alias("moved")), "chain-nodes")
+            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("h").isNotNull() | F.col("t").isNotNull()).alias("moved")), "chain-nodes")
         if old is not None and old is not inner:
             drop(old)
-        old, now = now, new.select("node", "head", "tail")
+        old, now = now, new.select("node", "head", "tail", "steps")
         now._scratch = new._scratch
         if new.where("moved").isEmpty():
             break
@@ -85,9 +86,9 @@ def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ring = kept(now.join(names.withColumnRenamed("node", "tail"), "tail", "left_semi").select("node"), "rings")
     on_ring = edges.join(ring.withColumnRenamed("node", "a"), "a", "left_semi").join(ring.withColumnRenamed("node", "b"), "b", "left_semi")
     done = now.join(ring, "node", "left_anti")
-    free = edges.join(names.withColumnRenamed("node", "a"), "a", "left_anti").join(names.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
-    short = done.where("head != tail").select(F.col("head").alias("a"), F.col("tail").alias("b"))
-    return free.unionByName(short).distinct(), kept(done, "chain-ends"), components(on_ring)
+    free = edges.join(names.withColumnRenamed("node", "a"), "a", "left_anti").join(names.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b", F.lit(1).cast("long").alias("steps"))
+    short = done.where("head != tail").select(F.col("head").alias("a"), F.col("tail").alias("b"), (F.col("steps") + 1).alias("steps"))
+    return free.unionByName(short).groupBy("a", "b").agg(F.max("steps").alias("steps")), kept(done, "chain-ends"), components(on_ring)
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Chains are one edge each first, so the rounds don't grow with their length. A node inside of one is in its ends' component if both are in the same, and a chain that ends where it begins is one with its end.
     """
     short, inner, rings = chains(edges)
-    core = kept(short_components(short), "scc-core")
+    core = kept(short_components(short.select("a", "b")), "scc-core")
     head, tail = (core.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in ("head", "tail"))
     ends = inner.join(head, "head", "left").join(tail, "tail", "left").withColumn("root", F.when(F.col("head") == F.col("tail"), F.coalesce("head_root", "head"))
         .when(F.col("head_root") == F.col("tail_root"), F.col("head_root"))).where("root IS NOT NULL")
@@ -142,21 +143,41 @@ def short_components(edges: DataFrame) -> DataFrame:
 
 
 def tiers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, tier): 0 without dependencies, else one more than the highest of them; nodes of cycles and behind them come last, together."""
-    waiting = kept(nodes.select("id").distinct(), "topo")
-    deps = kept(edges.select("a", "b").where("a != b").distinct(), "topo")
-    done, tier = None, 0
-    while not waiting.isEmpty():
+    """(id, tier): 0 without dependencies, else one more than the highest of them; nodes of cycles and behind them come last, together.
+
+    Chains are one edge of their length each, so a round settles all nodes whose dependencies are settled, however long the ways between them.
+    """
+    ids = kept(nodes.select("id").distinct(), "topo")
+    all_ = edges.select("a", "b").where("a != b").distinct()
+    known = all_.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    lost = all_.join(ids.withColumnRenamed("id", "b"), "b", "left_anti").select(F.col("a").alias("node")).distinct()  # what depends on something that isn't there
+    short, inner, rings = chains(known, lost)
+    inside = inner.select(F.col("node").alias("id")).unionByName(rings.select(F.col("node").alias("id")))
+    waiting = kept(ids.join(inside, "id", "left_anti").withColumn("tier", F.lit(0).cast("long")), "topo")
+    looped = inner.where("head = tail").select(F.col("head").alias("node")).distinct()  # a chain that ends where it begins
+    deps = kept(short.unionByName(lost.union(looped).distinct().select(F.col("node").alias("a"), F.lit(None).cast(dict(short.dtypes)["b"]).alias("b"), F.lit(1).cast("long").alias("steps"))), "topo")
+    done, before = None, None
+    while True:
         ready = kept(waiting.join(deps.select(F.col("a").alias("id")), "id", "left_anti"), "topo")
-        last = ready.isEmpty()
-        now = (waiting if last else ready).withColumn("tier", F.lit(tier))
-        done = now if done is None else kept(done.unionByName(now), "topo")
-        if last:
+        if ready.isEmpty():
             break
-        waiting = kept(waiting.join(ready, "id", "left_anti"), "topo")
-        deps = kept(deps.join(ready.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"), "topo")
-        tier += 1
-    return done
+        done = ready if done is None else kept(done.unionByName(ready), "topo")
+        met = deps.join(ready.select(F.col("id").alias("b"), "tier"), "b")
+        best = met.groupBy(F.col("a").alias("id")).agg(F.max(F.col("tier") + F.col("steps")).alias("best"))
+        rest = waiting.join(ready.select("id"), "id", "left_anti").join(best, "id", "left")
+        new = kept(rest.select("id", F.greatest("tier", F.coalesce("best", F.lit(0))).alias("tier")), "topo"), kept(deps.join(ready.select(F.col("id").alias("b")), "b",
+            "left_anti").select("a", "b", "steps"), "topo")
+        for df in before or ():
+            drop(df)
+        before = waiting, deps, ready if done is not ready else None
+        before = tuple(x for x in before if x is not None)
+        waiting, deps = new
+    settled = waiting.limit(0) if done is None else done
+    along = inner.join(settled.select(F.col("id").alias("tail"), "tier"), "tail").select(F.col("node").alias("id"), (F.col("tier") + F.col("steps")).alias("tier"))
+    placed = kept(settled.select("id", "tier").unionByName(along), "topo")
+    last = placed.agg((F.coalesce(F.max("tier"), F.lit(-1)) + 1).alias("last"))
+    behind = ids.join(placed.select("id"), "id", "left_anti").join(F.broadcast(last)).select("id", F.col("last").alias("tier"))  # one row
+    return placed.unionByName(behind).select("id", F.col("tier").cast("int").alias("tier"))
 
 
 def decay(edges: DataFrame, scores: DataFrame, stale: DataFrame, hops: int = 3, factor: float = 0.95) -> DataFrame:

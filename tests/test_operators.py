@@ -448,3 +448,25 @@ def test_crews_of_other_sizes_are_refused():
     assert len({c for _, c in rank.worker_scopes(10)}) == len(rank.worker_scopes(3)) == 12 and {w for w, _ in rank.worker_scopes(1)} == {"all"}
     with pytest.raises(ValueError, match="not of 4"):
         rank.worker_scopes(4)
+
+
+def plain_tiers(nodes, edges):
+    deps = {n: {b for a, b in edges if a == n and b != n} for n in nodes}
+    out = {}
+    while ready := [n for n in nodes if n not in out and all(b in out for b in deps[n])]:
+        out |= {n: max((out[b] + 1 for b in deps[n]), default=0) for n in ready}
+    last = max(out.values(), default=-1) + 1
+    return {n: out.get(n, last) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_tiers_with_chains_cycles_and_missing_nodes(spark, seed):
+    r = random.Random(seed)
+    edges = [(a, b) for a, b in ((r.randrange(30), r.randrange(30)) for _ in range(26)) if a < b]
+    for k in range(5):
+        way = [r.randrange(15), *range(100 * (k + 1), 100 * (k + 1) + r.randrange(1, 8)), 15 + r.randrange(15)]
+        edges += list(zip(way, way[1:], strict=False))
+    edges += [(31, 32), (32, 33), (33, 31), (34, 31), (35, 999), (36, 35), (37, 36), (3, 3)]
+    nodes = sorted({x for e in edges for x in e} - {999} | {40})
+    got = graphs.tiers(spark.createDataFrame([(n,) for n in nodes], "id int"), spark.createDataFrame(edges, "a int, b int")).collect()
+    assert {x.id: x.tier for x in got} == plain_tiers(nodes, edges) and len(got) == len(nodes)
