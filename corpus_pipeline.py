@@ -23,18 +23,22 @@ LEAST_COSINE = 0.08
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a known language; null, empty and letterless texts go."""
     return hyperlang.keep_identified(docs, hyperlang.fit_profiles(docs), LEAST_COSINE)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels of those that came this far, scores below its threshold."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of copies and near copies; decided by row, so repeated and null ids lose no other text."""
     return ngram_join.deduplicated(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; a null source is one of its own."""
     return mixing.mixed(docs)
 
 
