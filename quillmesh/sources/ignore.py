@@ -88,9 +88,9 @@ def visible(files: DataFrame) -> DataFrame:
     return files.join(under.unionByName(own).distinct(), "path", "left_anti")
 
 
-def walked(files: DataFrame, include: list[str], exclude: list[str], most_bytes: int, most_files: int, respect: bool = True) -> DataFrame:
-    """path, size, hash of files (path, size, text): those that no ignore file hides, included and not excluded, of at most most_bytes, the first most_files of them in path order."""
+def walked(files: DataFrame, include: list[str], exclude: list[str], most_bytes: int, most_files: int | None = None, respect: bool = True) -> DataFrame:
+    """path, size, hash of files (path, size, text): those that no ignore file hides, included and not excluded, of at most most_bytes; with most_files, the first so many of them in path order."""
     seen = visible(files) if respect else files
     kept = seen.where(paths.included(F.col("path"), include, exclude) & (F.col("size") <= most_bytes))
     rows = kept.select("path", "size", F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 32).alias("hash"))
-    return running_sums(rows, [F.col("path")], {"place": F.lit(1)}).where(F.col("place") < most_files).drop("place")
+    return rows if most_files is None else running_sums(rows, [F.col("path")], {"place": F.lit(1)}).where(F.col("place") < most_files).drop("place")

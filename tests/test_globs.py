@@ -72,3 +72,8 @@ def test_walk_stops_in_path_order(spark):
     got = ignore.walked(files, ["f0*"], ["*9"], 50, 30)
     assert sorted(r.path for r in got.collect()) == sorted(p for p in [*(f"f{i:03}" for i in range(51)), "f0001"] if not p.endswith("9"))[:30]
     assert ignore.walked(files.limit(0), [], [], 1, 1).count() == 0
+
+
+def test_walk_without_a_limit_keeps_every_file(spark):
+    files = spark.range(300).selectExpr("concat('f', id) AS path", "id AS size", "cast(id AS string) AS text")
+    assert ignore.walked(files, [], [], 1000).count() == 300
