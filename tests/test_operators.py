@@ -350,6 +350,16 @@ def test_watch_debounces_spaces_and_backs_off():
     assert [flows.backoff(n) for n in (1, 2, 5, 20)] == [1.0, 2.0, 16.0, 300.0]
 
 
+def test_watch_tries_again_without_waiting_for_new_changes():
+    w = flows.Watch(None, 100.0, 2.0, 300.0)
+    w.saw(0, "a", True)
+    fired = [*w.until(101)]
+    w.saw(101, "b", False)  # between the failure and its repetition at 102
+    w = flows.Watch(w.state(), 100.0, 2.0, 300.0)
+    fired += w.until(1000)
+    assert fired == [(100.0, 1, True), (102.0, 1, False), (201.0, 1, False)] and w.due() is None
+
+
 @pytest.mark.parametrize(("reply", "want"), [
     ('{"results": [{"a": 1}, {"a": 2}]}', [1, 2]), ('[{"a": 1}]', [1]), ('{"a": 1}\n{"a": 2}', [1, 2]), ('Sure: {"a": 1} or {"a": 2}.', [1, 2]),
         ('```json\n[{"a": 3}]\n```', [3]),
