@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date, datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,59 @@ def test_ledger_takes_each_row_once_and_drops_old_days(spark, tmp_path):
 @pytest.mark.parametrize(("path", "keys"), [("a/b/c", ["a/b/c", "a/", "a/b/"]), ("a", ["a"])])
 def test_claim_keys(spark, path, keys):
     assert spark.createDataFrame([(path,)], "p string").select(co.claim_keys(F.col("p"))).first()[0] == keys
+
+
+def test_holders_equal_a_plain_list():
+    r = random.Random(3)
+    for _ in range(50):
+        now, plain, at = co.Holders({"old": ("a", 9)}), {"old": ("a", 9)}, 0
+        for i in range(200):
+            at, agent = at + r.randint(0, 2), r.choice("abc")
+            what = r.random()
+            if what < 0.4:
+                id_, until = r.choice([f"c{i}", f"c{r.randint(0, i)}"]), at + r.randint(0, 40)
+                now.claim(id_, agent, until)
+                plain[id_] = agent, until
+            elif what < 0.6:
+                id_ = f"c{r.randint(0, i)}"
+                now.release(id_, agent)
+                plain = {k: v for k, v in plain.items() if k != id_ and v[0] != agent}
+            else:
+                assert now.held(at, agent) == any(until > at and whose != agent for whose, until in plain.values())
+            assert now.claims == plain
+
+
+def test_claims_of_one_path_don_t_read_the_state_for_each_row():
+    class Handle:
+        def __init__(self):
+            self.reads, self.timers, self.map = 0, set(), {}
+
+        def getMapState(self, *_):
+            return self
+
+        def iterator(self):
+            self.reads += 1
+            return iter(list(self.map.items()))
+
+        def updateValue(self, k, v):
+            self.map[k] = v
+
+        def removeKey(self, k):
+            del self.map[k]
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def deleteTimer(self, t):
+            self.timers.discard(t)
+
+        def registerTimer(self, t):
+            self.timers.add(t)
+
+    claims, handle = co.Claims(), Handle()
+    claims.init(handle)
+    rows = [(at(i), "claim" if i % 2 else "ask", str(i), "ab"[i % 4 // 2], 3600.0) for i in range(500)]
+    frame = pd.DataFrame(rows, columns=["ts", "kind", "id", "agent", "seconds"])
+    frame["ts"] = frame["ts"].dt.tz_localize(None)
+    out = pd.concat(claims.handleInputRows(("p", "src/"), iter([frame]), None))
+    assert len(out) == 250 and handle.reads == 1 and len(handle.timers) == 1 and len(handle.map) == 250
