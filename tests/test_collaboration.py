@@ -171,3 +171,35 @@ def test_claims_of_one_path_don_t_read_the_state_for_each_row():
     frame["ts"] = frame["ts"].dt.tz_localize(None)
     out = pd.concat(claims.handleInputRows(("p", "src/"), iter([frame]), None))
     assert len(out) == 250 and handle.reads == 1 and len(handle.timers) == 1 and len(handle.map) == 250
+
+
+def test_coverage_reads_the_state_of_a_file_once_a_batch():
+    class Handle:
+        def __init__(self):
+            self.calls, self.map = 0, {}
+
+        def getMapState(self, *_):
+            return self
+
+        def getValueState(self, *_):
+            return type("Checks", (), {"exists": lambda _: False, "update": lambda _, x: None})()
+
+        def containsKey(self, k):
+            self.calls += 1
+            return k in self.map
+
+        def updateValue(self, k, v):
+            self.calls += 1
+            self.map[k] = v
+
+        def listTimers(self):
+            return iter(())
+
+        def registerTimer(self, t):
+            pass
+
+    coverage, handle = co.Coverage(), Handle()
+    coverage.init(handle)
+    frame = pd.DataFrame({"ts": pd.date_range("2024-01-01", periods=700, freq="s"), "kind": ["seen", "traced"] * 350, "path": [f"f{i % 7}" for i in range(700)], "digest": [5] * 700})
+    list(coverage.handleInputRows(("p",), iter([frame]), None))
+    assert handle.calls == 14 and set(handle.map) == {(f"f{i}",) for i in range(7)}
