@@ -480,3 +480,13 @@ def test_tiers_with_chains_cycles_and_missing_nodes(spark, seed):
     nodes = sorted({x for e in edges for x in e} - {999} | {40})
     got = graphs.tiers(spark.createDataFrame([(n,) for n in nodes], "id int"), spark.createDataFrame(edges, "a int, b int")).collect()
     assert {x.id: x.tier for x in got} == plain_tiers(nodes, edges) and len(got) == len(nodes)
+
+
+def test_bitmaps_drop_pairs_before_they_are_counted(spark):
+    sets = [(1, [1, 2, 3, 4]), (2, [3, 4, 5]), (3, list(range(900))), (4, list(range(500, 1400))), (5, [])]
+    made = rows(spark, sets, "id int, x array<int>").select("id", "x", *(c.alias(m) for m, c in joins.bitmap(F.col("x")).items())).collect()
+    for a in made:
+        for b in made:
+            bits = sum(((a[f"m{i}"] ^ b[f"m{i}"]) & (2**64 - 1)).bit_count() for i in range(joins.BITS // 64))
+            assert bits <= len(set(a.x) ^ set(b.x)) and (bits > 0) == (a.id != b.id)
+    assert [sum((r[f"m{i}"] & (2**64 - 1)).bit_count() for i in range(8)) for r in made if r.id in (1, 5)] == [4, 0]
