@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,19 +137,32 @@ def query_symbols(q: Column) -> Column:
     return F.concat(camel, snake)
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), where x is worked out once a row: a function inside of another would do so for each of its elements."""
+    return F.transform(F.array(x), use)[0]
+
+
 def query_signals(q: Column) -> Column:
-    """paths, names, symbols and keywords of a question; what is a path, a name or a symbol is no keyword."""
-    found = F.regexp_extract_all(q, F.lit(rf"(?:^|\s)((?:[\w.@-]+/)+[\w.-]+{SUFFIX})(?:\s|$)"), F.lit(1))
+    """paths, names, symbols and keywords of a question; what is a path, a name or a symbol is no keyword. Each part is worked out once from those before it."""
+    all_paths = F.regexp_extract_all(q, F.lit(rf"(?:^|\s)((?:[\w.@-]+/)+[\w.-]+{SUFFIX})(?:\s|$)"), F.lit(1))
     bare = F.regexp_extract_all(q, F.lit(rf"(?:^|\s)([\w.-]+{SUFFIX})(?:\s|$)"), F.lit(1))
-    names = F.filter(bare, lambda n: ~F.exists(found, lambda p: F.endswith(p, n)))
-    files = F.concat(found, names)
-    parts = F.flatten(F.transform(files, lambda p: F.split(p, "[/.]")))
-    symbols = F.filter(query_symbols(q), lambda x: ~F.array_contains(parts, x))
-    humps = F.flatten(F.transform(symbols, lambda x: F.split(F.trim(F.lower(F.regexp_replace(x, "([A-Z])", " $1"))), r"\s+")))
-    pieces = F.flatten(F.transform(symbols, lambda x: F.split(F.lower(x), "_")))
-    captured = F.concat(F.flatten(F.transform(files, lambda p: F.split(p, "[/._-]"))), humps, pieces)
-    keywords = F.filter(query_keywords(q), lambda w: ~F.array_contains(captured, w))
-    return F.struct(found.alias("paths"), names.alias("names"), symbols.alias("symbols"), keywords.alias("keywords"))
+
+    def with_files(s: Column) -> Column:
+        files = F.concat(s["paths"], s["names"])
+        parts = F.flatten(F.transform(files, lambda p: F.split(p, "[/.]")))
+        symbols = once(F.struct(parts.alias("parts"), query_symbols(q).alias("found")), lambda t: F.filter(t["found"], lambda x: ~F.array_contains(t["parts"], x)))
+        return once(symbols, lambda found: with_symbols(s, files, found))
+
+    def with_symbols(s: Column, files: Column, symbols: Column) -> Column:
+        humps = F.flatten(F.transform(symbols, lambda x: F.split(F.trim(F.lower(F.regexp_replace(x, "([A-Z])", " $1"))), r"\s+")))
+        pieces = F.flatten(F.transform(symbols, lambda x: F.split(F.lower(x), "_")))
+        captured = F.concat(F.flatten(F.transform(files, lambda p: F.split(p, "[/._-]"))), humps, pieces)
+        keywords = once(F.struct(captured.alias("captured"), query_keywords(q).alias("words")), lambda t: F.filter(t["words"], lambda w: ~F.array_contains(t["captured"], w)))
+        return F.struct(s["paths"].alias("paths"), s["names"].alias("names"), symbols.alias("symbols"), keywords.alias("keywords"))
+
+    found = F.struct(all_paths.alias("paths"), bare.alias("bare"))
+    named = once(found, lambda s: F.struct(s["paths"].alias("paths"), F.filter(s["bare"], lambda n: ~F.exists(s["paths"], lambda p: F.endswith(p, n))).alias("names")))
+    return once(named, with_files)
 
 
 def query_keywords(q: Column) -> Column:

@@ -490,3 +490,12 @@ def test_bitmaps_drop_pairs_before_they_are_counted(spark):
             bits = sum(((a[f"m{i}"] ^ b[f"m{i}"]) & (2**64 - 1)).bit_count() for i in range(joins.BITS // 64))
             assert bits <= len(set(a.x) ^ set(b.x)) and (bits > 0) == (a.id != b.id)
     assert [sum((r[f"m{i}"] & (2**64 - 1)).bit_count() for i in range(8)) for r in made if r.id in (1, 5)] == [4, 0]
+
+
+def test_signals_of_a_question_are_worked_out_once(spark):
+    from quillmesh.functions import text as tx
+
+    df = rows(spark, [("see src/a/b.py and util.py where fooBar FooBar snake_case is parsed",)], "q string").select(tx.query_signals(F.col("q")).alias("s"))
+    s = df.first().s
+    assert (s.paths, s.names, s.symbols, s.keywords[-1]) == (["src/a/b.py"], ["util.py"], ["FooBar", "snake_case"], "parsed")
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 5  # paths, names, two kinds of symbols, words
