@@ -499,3 +499,11 @@ def test_signals_of_a_question_are_worked_out_once(spark):
     s = df.first().s
     assert (s.paths, s.names, s.symbols, s.keywords[-1]) == (["src/a/b.py"], ["util.py"], ["FooBar", "snake_case"], "parsed")
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 5  # paths, names, two kinds of symbols, words
+
+
+def test_cochange_shuffles_numbers_in_place_of_paths(spark):
+    commits = rows(spark, [(c, f"p{i}", "1998-08-01") for c in range(3) for i in range(3 + c)], "commit_id int, path string, ts string")
+    got = graphs.cochange(commits, "1998-09-01", 2000.0, 1, 0.1)
+    assert {(r.a, r.b) for r in got.collect()} == {(f"p{i}", f"p{j}") for j in range(5) for i in range(j)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(na" in plan and "hashpartitioning(a#" not in plan
