@@ -77,3 +77,13 @@ def test_walk_stops_in_path_order(spark):
 def test_walk_without_a_limit_keeps_every_file(spark):
     files = spark.range(300).selectExpr("concat('f', id) AS path", "id AS size", "cast(id AS string) AS text")
     assert ignore.walked(files, [], [], 1000).count() == 300
+
+
+def test_a_target_of_many_rules_is_compared_once(spark):
+    changed = spark.createDataFrame([("a/src1/x.rs",), ("a/src2/x.rs",)], "path string")
+    rules = spark.range(5000).selectExpr("id AS rule", "concat('*/src', id % 2 + 1, '/*') AS target")
+    met = globs.met_targets(changed, rules)
+    assert sorted((r.path, r.target) for r in met.collect()) == [("a/src1/x.rs", "*/src1/*"), ("a/src2/x.rs", "*/src2/*")]
+    got = globs.matched(changed, rules)
+    assert got.columns == ["path", "rule", "target"] and got.count() == 5000 and got.select("rule").distinct().count() == 5000
+    assert got.where("path LIKE concat('%src', rule % 2 + 1, '%')").count() == 5000
