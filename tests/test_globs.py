@@ -87,3 +87,11 @@ def test_a_target_of_many_rules_is_compared_once(spark):
     got = globs.matched(changed, rules)
     assert got.columns == ["path", "rule", "target"] and got.count() == 5000 and got.select("rule").distinct().count() == 5000
     assert got.where("path LIKE concat('%src', rule % 2 + 1, '%')").count() == 5000
+
+
+def test_a_text_is_read_once_for_each_pattern(spark):
+    changed = spark.createDataFrame([("a/x.rs", "key = 1\nimport b", 2), ("a/y.rs", "none", 2)], "path string, text string, dependents long")
+    rules = spark.range(400).selectExpr("id AS rule", "if(id % 2 = 0, 'pattern_match', 'import_added') AS kind", "if(id % 4 < 2, 'a/*', '*.rs') AS target", "if(id % 2 = 0, 'key', 'b$') AS pattern",
+        "0 AS max_dependents", "'warn' AS severity", "'active' AS status")
+    got = globs.hits(changed, rules)
+    assert sorted((r.path, r.rule) for r in got.collect()) == [("a/x.rs", i) for i in range(400)]
