@@ -507,3 +507,29 @@ def test_cochange_shuffles_numbers_in_place_of_paths(spark):
     assert {(r.a, r.b) for r in got.collect()} == {(f"p{i}", f"p{j}") for j in range(5) for i in range(j)}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(na" in plan and "hashpartitioning(a#" not in plan
+
+
+def test_anchor_pairs_equal_brute_force(spark):
+    r = random.Random(7)
+    have = {i: {r.choice("pqrstuvw") for _ in range(r.randint(1, 5))} for i in range(150)}
+    words = {i: sorted({r.choice(["ab1", "cd2", "ef3", "gh4", "ij5", "kl6"]) for _ in range(r.randint(0, 5))}, key=lambda _: r.random()) for i in range(150)}
+    words[3] = None
+    anchors = spark.createDataFrame([(i, a) for i, x in have.items() for a in x] * 2, "id long, anchor string")
+    titles = spark.createDataFrame(list(words.items()), "id long, tokens array<string>")
+    for shared, least in [(2, 0.6), (3, 0.5), (1, 0.6), (2, 0.0), (2, 1.0)]:
+        want = {}
+        for a in have:
+            for b in have:
+                n, x, y = len(have[a] & have[b]), set(words[a] or []), set(words[b] or [])
+                j = len(x & y) / len(x | y) if words[a] is not None and words[b] is not None and x | y else 0.0
+                if a < b and n and (n >= shared or j >= least):
+                    want[a, b] = n, round(j, 6)
+        rows = joins.anchor_pairs(anchors, titles, shared, least).collect()
+        assert len(rows) == len(want) and {(x.a, x.b): (x.shared, x.title_jaccard) for x in rows} == want
+
+
+def test_anchor_of_many_concepts_makes_no_pairs_of_its_own(spark):
+    anchors = spark.range(60_000).selectExpr("id", "'hub' AS anchor").union(spark.range(60_000).selectExpr("id", "concat('x', id div 2)"))
+    titles = spark.range(60_000).selectExpr("id", "array(concat('w', id), concat('v', id)) AS tokens")
+    got = joins.anchor_pairs(anchors, titles)  # 1.8 billion pairs share the hub, 30,000 another anchor too
+    assert got.count() == 30_000 and got.where("b = a + 1 AND shared = 2 AND title_jaccard = 0").count() == 30_000
