@@ -533,3 +533,12 @@ def test_anchor_of_many_concepts_makes_no_pairs_of_its_own(spark):
     titles = spark.range(60_000).selectExpr("id", "array(concat('w', id), concat('v', id)) AS tokens")
     got = joins.anchor_pairs(anchors, titles)  # 1.8 billion pairs share the hub, 30,000 another anchor too
     assert got.count() == 30_000 and got.where("b = a + 1 AND shared = 2 AND title_jaccard = 0").count() == 30_000
+
+
+def test_rounds_of_communities_move_numbers_not_ids(spark, monkeypatch):
+    seen, inner = [], graphs.moved_labels
+    monkeypatch.setattr(graphs, "moved_labels", lambda near, *rest: (seen.append(dict(near.dtypes)), inner(near, *rest))[1])
+    edges = rows(spark, [("b", "a", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("z", "y", 2.0), (None, "y", 1.0), ("y", "q", 0.0)], "a string, b string, w double")
+    got = {r.id: r.community for r in graphs.communities(edges, rounds=4, levels=1).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
+    assert seen and all(d["a"] == d["b"] == "bigint" for d in seen)
