@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..functions.batches import parts
 
 GRAPH = "path string, part string, kind string, name string, target string, start_line int, end_line int"
 DEFINED = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
@@ -62,7 +63,7 @@ def python_graph(files: DataFrame) -> DataFrame:
     """Nodes and edges of Python files (path, text); an edge's name is its source, empty for the file itself."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows = [(p, *r) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in python_rows(t)]
             types = [pa.string()] * 5 + [pa.int32()] * 2
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql.types import StructType
 
-from quillmesh.operators import content
+from quillmesh.operators import content, parsing
 
 
 class Docs:
@@ -43,3 +43,8 @@ def test_long_texts_are_parts_of_their_own():
     got = list(parts([batch, batch.slice(0, 0), batch.slice(2, 3)]))
     assert [b.num_rows for b in got] == [1, 1, 4, 1, 3]
     assert [t for b in got for t in b.column(1).to_pylist()] == texts + texts[2:5]
+
+
+def test_python_files_in_parts():
+    files = [f"class A{i}:\n    pass" for i in range(600)]
+    assert sizes(parsing.python_graph(Docs()), files, [f"{i}.py" for i in range(600)]) == [512, 512, 176]
