@@ -48,3 +48,9 @@ def test_long_texts_are_parts_of_their_own():
 def test_python_files_in_parts():
     files = [f"class A{i}:\n    pass" for i in range(600)]
     assert sizes(parsing.python_graph(Docs()), files, [f"{i}.py" for i in range(600)]) == [512, 512, 176]
+
+
+@pytest.mark.parametrize("level", ["2", "2.5", "3", "4"])
+def test_skeletons_in_parts(level):
+    files = [f"class A{i}:\n    pass" for i in range(600)]
+    assert sizes(parsing.skeletons(Docs(), level), files, [f"{i}.py" for i in range(600)]) == [256, 256, 88]
