@@ -30,7 +30,7 @@ def plain(n):
     return [f"# a\nbody {i}" for i in range(n)]
 
 
-@pytest.mark.parametrize("step", [content.markdown_sections, content.markdown_chunks])
+@pytest.mark.parametrize("step", [content.markdown_sections, content.markdown_chunks, content.semantic_parts])
 def test_markdown_in_parts(step):
     assert sizes(step(Docs()), plain(600)) == [256, 256, 88]
 
