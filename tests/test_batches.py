@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import pyarrow as pa
 import pytest
 from pyspark.sql.types import StructType
 
+from quillmesh.functions import vectors
 from quillmesh.operators import content, parsing
 
 
@@ -54,3 +57,13 @@ def test_python_files_in_parts():
 def test_skeletons_in_parts(level):
     files = [f"class A{i}:\n    pass" for i in range(600)]
     assert sizes(parsing.skeletons(Docs(), level), files, [f"{i}.py" for i in range(600)]) == [256, 256, 88]
+
+
+def test_fake_vectors_take_their_own_room_alone():
+    texts = pa.array(["a" * 20_000 + str(i) for i in range(500)] + [None])
+    tracemalloc.start()
+    got = vectors.fake_rows(texts, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [vectors.fake_row(t, 64).tolist() for t in texts.to_pylist()]
+    assert peak < 2_000_000  # the texts are 10 MB
