@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.batches import parts as parts_of
+
 #: Characters of the patterns that one pass takes along.
 PART = 4_000_000
 WORD = re.compile(r"\w")
@@ -64,7 +66,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id", te
         sent, token = docs.sparkSession.sparkContext.broadcast(taken), id(own)
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in parts_of(batches):
                 if not sent.value:
                     return
                 found = automaton(token, sent.value)

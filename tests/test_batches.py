@@ -67,3 +67,13 @@ def test_fake_vectors_take_their_own_room_alone():
     tracemalloc.stop()
     assert got.to_pylist() == [vectors.fake_row(t, 64).tolist() for t in texts.to_pylist()]
     assert peak < 2_000_000  # the texts are 10 MB
+
+
+def test_patterns_in_parts(spark):
+    from quillmesh.operators import patterns
+
+    class Here(Docs):
+        sparkSession = spark  # noqa: N815
+
+    table = spark.createDataFrame([(1, "body")], "pattern long, words string")
+    assert sizes(patterns.occurrences(Here(), table), plain(600)) == [256, 256, 88]
