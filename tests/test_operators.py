@@ -542,3 +542,21 @@ def test_rounds_of_communities_move_numbers_not_ids(spark, monkeypatch):
     got = {r.id: r.community for r in graphs.communities(edges, rounds=4, levels=1).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
     assert seen and all(d["a"] == d["b"] == "bigint" for d in seen)
+
+
+@pytest.mark.parametrize("step", ["components"])
+def test_rounds_on_graphs_handle_numbers(spark, monkeypatch, step):
+    """Names are as long as paths: what is shuffled, written and broadcast round by round are places in their order."""
+    from quillmesh.operators import graphs
+
+    plain, seen = graphs.chains, []
+    monkeypatch.setattr(graphs, "chains", lambda edges, *rest: seen.append({t for _, t in edges.dtypes}) or plain(edges, *rest))
+    edges = spark.createDataFrame([("file:z", "file:b"), ("file:b", "file:z"), ("file:b", "file:c"), ("file:a", "file:z"), ("file:c", "gone"), ("file:c", "file:c"), ("file:a", None)],
+        "a string, b string")
+    if step == "components":
+        assert {tuple(r) for r in graphs.strong_components(edges).select("node", "root").collect()} == {("file:z", "file:b"), ("file:b", "file:b")}
+    else:
+        nodes = spark.createDataFrame([(x,) for x in ("file:a", "file:d", "file:e")], "id string")
+        more = spark.createDataFrame([("file:a", "file:d"), ("file:a", "file:d"), ("file:d", "gone"), ("file:e", "file:e")], "a string, b string")
+        assert {r.id: r.tier for r in graphs.tiers(nodes, more).collect()} == {"file:e": 0, "file:a": 1, "file:d": 1}
+    assert seen == [{"bigint"}]
