@@ -544,7 +544,7 @@ def test_rounds_of_communities_move_numbers_not_ids(spark, monkeypatch):
     assert seen and all(d["a"] == d["b"] == "bigint" for d in seen)
 
 
-@pytest.mark.parametrize("step", ["components"])
+@pytest.mark.parametrize("step", ["components", "tiers"])
 def test_rounds_on_graphs_handle_numbers(spark, monkeypatch, step):
     """Names are as long as paths: what is shuffled, written and broadcast round by round are places in their order."""
     from quillmesh.operators import graphs
