@@ -560,3 +560,16 @@ def test_rounds_on_graphs_handle_numbers(spark, monkeypatch, step):
         more = spark.createDataFrame([("file:a", "file:d"), ("file:a", "file:d"), ("file:d", "gone"), ("file:e", "file:e")], "a string, b string")
         assert {r.id: r.tier for r in graphs.tiers(nodes, more).collect()} == {"file:e": 0, "file:a": 1, "file:d": 1}
     assert seen == [{"bigint"}]
+
+
+def test_layers_are_counted_by_side_before_they_are_spread(spark):
+    """Edges of one path to one member of the common folder are one row before the rows of the layers are made of them."""
+    from quillmesh.operators import graphs
+
+    edges = [("s/1.ts", f"p/b{i % 2}/{i}.py") for i in range(6)] + [("p/b0/x/y.py", "p/b0/0.py"), ("p/b0", "p/b0/0.py"), ("z", "z"), (None, "z")]
+    found = graphs.architecture(spark.createDataFrame(edges, "source string, target string"))
+    got = {(r.layer, r.way, r.source, r.target): r.n for r in found.collect()}
+    assert got[("", "inside", "s", "p")] == got[("s", "leaves", "s/1.ts", "p")] == got[("p", "enters", "s", "p/b0")] * 2 == 6
+    assert got[("p/b0", "enters", "s", "p/b0/2.py")] == 1 and got[("p/b0", "inside", "p/b0/x", "p/b0/0.py")] == 1
+    assert got[("p/b0/x", "leaves", "p/b0/x/y.py", "p/b0/0.py")] == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
