@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import parts
+
 
 class Language(NamedTuple):
     """What is skipped whole (comments, plain strings), which comments nest, which strings hold code, and how declarations and imports are written."""
@@ -69,18 +71,28 @@ CALL = re.compile(r"(?<![\w.:>])([A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*
 EDGE = re.compile(r"[{};()\[\]\n]")
 
 
-def masked(text: str, lang: Language, strings: bool = False) -> str:
-    """The text without comments and, unless they are asked for, strings; line ends kept."""
+def masked(text: str, lang: Language) -> str:
+    """The text without comments and strings; line ends kept."""
+    return both_masked(text, lang)[0]
+
+
+def both_masked(text: str, lang: Language) -> tuple[str, str]:
+    """The text without comments and strings, and that without comments alone, from one reading; line ends kept."""
     quote, opens, pair = lang.template or ("\0", "\0", "\0\0")
     start = "|".join(["(?P<nest>/\\*)"] * lang.nested + ["(?P<text>" + re.escape(quote) + ")"] * bool(lang.template))
     special = re.compile("(?m)" + "|".join(["(?P<skip>" + lang.skip + ")", *([start] if start else []), "(?P<code>[" + re.escape(pair) + "])"]))
     inside = re.compile(r"\\[^(]|" + re.escape(opens) + "|" + re.escape(quote))
-    out, at, open_, in_text = [], 0, [], False
+    out, bare, at, open_, in_text = [], [], 0, [], False
+
+    def add(code: str, with_strings: str) -> None:
+        out.append(code)
+        bare.append(with_strings)
+
     while at < len(text):
         if in_text:  # to the string's end, or to code in it
             m = inside.search(text, at)
             end = m.end() if m else len(text)
-            out.append(text[at:end] if strings else "\n" * text.count("\n", at, end))
+            add("\n" * text.count("\n", at, end), text[at:end])
             at = end
             if m and m[0] == opens:
                 open_.append(0)
@@ -90,13 +102,13 @@ def masked(text: str, lang: Language, strings: bool = False) -> str:
             continue
         m = special.search(text, at)
         if not m:
-            out.append(text[at:])
+            add(text[at:], text[at:])
             break
-        out.append(text[at : m.start()])
+        add(text[at : m.start()], text[at : m.start()])
         at = m.end()
         if m["skip"] is not None:
-            comment = m[0].lstrip()[:2] in ("//", "/*")
-            out.append(m[0] if strings and not comment else " " + "\n" * m[0].count("\n"))
+            gap = " " + "\n" * m[0].count("\n")
+            add(gap, gap if m[0].lstrip()[:2] in ("//", "/*") else m[0])
         elif lang.nested and m["nest"]:
             depth = 1
             for n in re.compile(r"/\*|\*/").finditer(text, at):
@@ -105,7 +117,7 @@ def masked(text: str, lang: Language, strings: bool = False) -> str:
                 if not depth:
                     break
             at = at if not depth else len(text)
-            out.append("\n" * text.count("\n", m.start(), at))
+            add("\n" * text.count("\n", m.start(), at), "\n" * text.count("\n", m.start(), at))
         elif lang.template and m["text"]:
             in_text = True
         elif open_ and m[0] == pair[1] and not open_[-1]:  # the code in a string ends
@@ -114,13 +126,13 @@ def masked(text: str, lang: Language, strings: bool = False) -> str:
         else:
             if open_:
                 open_[-1] += 1 if m[0] == pair[0] else -1
-            out.append(m[0])
-    return "".join(out)
+            add(m[0], m[0])
+    return "".join(out), "".join(bare)
 
 
 def statements(code: str, lang: Language) -> Iterator[tuple[str, int, int, tuple[int, int]]]:
     """(mark, start, end, its last round brackets) of each stretch of code up to a brace, or to the end of a statement outside of brackets."""
-    start, depth, round_ = 0, [0], (0, 0)
+    start, blank, depth, round_ = 0, 0, [0], (0, 0)  # blank: the stretch is known to be so up to there, and isn't read again at each line's end
     for m in EDGE.finditer(code):
         c, at = m[0], m.start()
         if c in "([":
@@ -129,13 +141,15 @@ def statements(code: str, lang: Language) -> Iterator[tuple[str, int, int, tuple
         elif c in ")]":
             depth[-1] = max(0, depth[-1] - 1)
             round_ = (round_[0], at) if c == ")" and not depth[-1] else round_
-        elif c in "{}" or depth[-1] == 0 and (c == ";" or c == "\n" and lang.lines and code[start:at].strip()):
+        elif c in "{}" or depth[-1] == 0 and (c == ";" or c == "\n" and lang.lines and code[blank:at].strip()):
             yield c, start, at, round_
-            start, round_ = at + 1, (0, 0)
+            start, blank, round_ = at + 1, at + 1, (0, 0)
             if c == "{":
                 depth.append(0)
             elif c == "}" and len(depth) > 1:
                 depth.pop()
+        elif depth[-1] == 0 and lang.lines:
+            blank = at
     yield ";", start, len(code), round_
 
 
@@ -186,8 +200,8 @@ def headed(head: str, mark: str, scope: str, brackets: tuple[int, int], lang: La
 
 def declared(text: str | None, lang: Language) -> list[list]:
     """Rows (part, kind, name, target, start_line, end_line, body_line, public) of a file, in order of their lines."""
-    code, bare = masked(text or "", lang), masked(text or "", lang, strings=True)
-    breaks = [i for i, c in enumerate(code) if c == "\n"]
+    code, bare = both_masked(text or "", lang)
+    breaks = [m.start() for m in re.finditer("\n", code)]
     line = lambda at: bisect.bisect_left(breaks, at) + 1
     pattern, rows = re.compile("(?m)" + lang.declared), []
     for m in re.finditer("(?m)" + lang.imported, bare):
@@ -195,8 +209,9 @@ def declared(text: str | None, lang: Language) -> list[list]:
     scopes, waiting = [["file", "", None]], None  # a scope: kind of owner, its name, its row; waiting: a declaration whose block may open on the next line
     for mark, start, end, brackets in statements(code, lang):
         head, (kind, name, _) = code[start:end], scopes[-1]
-        own = worded(head, mark, kind, pattern)
-        if not own and lang.headed:
+        some = bool(head.strip())
+        own = worded(head, mark, kind, pattern) if some else None
+        if some and not own and lang.headed:
             own = headed(head, mark, kind, (brackets[0] - start, brackets[1] - start), lang)
         if own and own.kind == "impl":
             waiting = ["impl", own.name, None]
@@ -206,7 +221,7 @@ def declared(text: str | None, lang: Language) -> list[list]:
             rows.append(["node", own.kind, full, None, at, line(end), None, own.public])
             waiting = [own.kind, full, rows[-1]]
             rows.append(["edge", "contains", name, full, at, None, None, None])
-        for c in CALL.finditer(head):
+        for c in CALL.finditer(head) if some else ():
             if re.split(r"\.|::|->", c[1])[0] not in CONTROL and not (own and own.at <= c.start() < own.end):
                 rows.append(["edge", "calls", waiting[1] if own else name, c[1], line(start + c.start()), None, None, None])
         if mark == "{":
@@ -229,11 +244,10 @@ def graph(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string()] * 6 + [pa.int32()] * 3 + [pa.bool_()]
-        for b in batches:
-            for path, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if rows := declared(text, LANGUAGES[lang]):
-                    columns = zip(*([path, lang, *r] for r in rows), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in GRAPH.split(", ")])
+        for b in parts(batches, text=2):
+            rows = [(path, lang, *r) for path, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in declared(text, LANGUAGES[lang])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in GRAPH.split(", ")])
 
     return files.where(F.col("language").isin(list(LANGUAGES))).select("path", "language", "text").mapInArrow(run, GRAPH)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import braces, markdown, parsing
 from ..operators import joins as jo
+from ..sources.scratch import kept
 from .content_queries import MODULE_ROWS, modules
 from .registry import query
 
@@ -151,7 +152,7 @@ CALLED = "path, name, target, start_line, CASE WHEN definition IS NOT NULL THEN
 
 def parallel(c) -> DataFrame:
     """Nodes of Python and six other languages with their ids, and the calls of those with what they mean."""
-    rows = braces.graph(coded(c, ORDER))
+    rows = kept(braces.graph(coded(c, ORDER)), "parsed")  # read four times below, parsed once
     python = parsing.python_graph(modules(c).where("path LIKE '%.py'")).withColumn("language", F.lit("python"))
     nodes = braces.identified(rows.select("path", "language", "part", "kind", "name", "start_line").unionByName(python.select("path", "language", "part", "kind",
         "name", "start_line")))
@@ -178,7 +179,7 @@ def shown(lang: str, lines: list[int]) -> str:
 
 def levels(c) -> DataFrame:
     files = coded(c, ["rust", "go"])
-    rows = braces.graph(files)
+    rows = kept(braces.graph(files), "parsed")
     one = [braces.details(files, rows, k).select("path", F.lit(k).alias("level"), F.md5("skeleton").alias("digest")) for k in (2, 3, 4)]
     return one[0].unionByName(one[1]).unionByName(one[2])
 

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql.types import StructType
 
 from quillmesh.functions import vectors
-from quillmesh.operators import content, parsing
+from quillmesh.operators import braces, content, parsing
+from quillmesh.plans import registry
 
 
 class Docs:
@@ -77,3 +78,22 @@ def test_patterns_in_parts(spark):
 
     table = spark.createDataFrame([(1, "body")], "pattern long, words string")
     assert sizes(patterns.occurrences(Here(), table), plain(600)) == [256, 256, 88]
+
+
+class Files(Docs):
+    """The same for files with a language; all of them have one that is parsed."""
+
+    def where(self, *_):
+        return self
+
+
+def test_brace_files_in_parts(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i}.rs" for i in range(600)]), pa.array(["rust"] * 600), pa.array([f"fn f{i}() {{ g(); }}" for i in range(600)])], ["path", "language", "text"])
+    assert [b.num_rows for b in braces.graph(Files())(iter([batch]))] == [768, 768, 264]
+
+
+@pytest.mark.parametrize("name, parsed_again", [("gen_parse_parallel", 1), ("lod_rust", 0)])
+def test_brace_files_are_parsed_once(spark, name, parsed_again):
+    """What is read several times is stored; only the Python files, which are read once, are parsed as they are read."""
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == parsed_again
