@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..sources.files import INSTALL_DIRS
-from ..sources.scratch import kept
+from ..sources.scratch import kept, spread
 from .joins import first_n
 from .rank import running_sums, with_share_below
 
@@ -52,7 +52,8 @@ def churn(commits: DataFrame, since: str) -> DataFrame:
 def hot_zones(commits: DataFrame, depth: int = 3, least: int = 10, groups: int = 3, top: int = 5) -> DataFrame:
     """The folders with most commits; none at all when fewer than groups folders have least commits."""
     folder = F.array_join(F.slice(F.split(paths.directory(F.col("path")), "/"), 1, depth), "/")
-    zones = commits.groupBy(folder.alias("zone")).agg(F.countDistinct("commit_id").alias("commits")).where(F.col("commits") >= least)
+    pairs = spread(commits.select(folder.alias("zone"), "commit_id"), "zone", "commit_id").distinct()
+    zones = pairs.groupBy("zone").agg(F.count("commit_id").alias("commits")).where(F.col("commits") >= least)
     enough = zones.withColumn("__n", F.count("*").over(W.partitionBy()))
     return enough.where(F.col("__n") >= groups).orderBy(F.desc("commits"), "zone").limit(top).drop("__n")
 
