@@ -44,9 +44,21 @@ def hub_files(nodes: DataFrame, edges: DataFrame, k: int = 10, scope: str | None
 
 
 def churn(commits: DataFrame, since: str) -> DataFrame:
-    return commits.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz")).groupBy("path").agg(F.countDistinct("commit_id").alias("commits"),
-        F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-        F.countDistinct("author").alias("authors"))
+    """Commits, lines, first and last day and authors of each path since a day.
+
+    A path's rows are shuffled once, as they are. What is counted distinct becomes rows of its own (a commit's with its lines, an author's) behind
+    that shuffle, and both groupings stay in its partitions.
+    """
+    rows = commits.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz")).select("path", "commit_id", "author", "ts", "added", "removed")
+    rows = spread(rows, "path")
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    own = lambda *names: F.struct(*((F.col(k) if k in names else F.lit(None).cast(types[k])).alias(k) for k in rows.columns[1:]),
+        F.lit("author" not in names).alias("of_commit"))
+    each = rows.select("path", F.explode(F.array(own("commit_id", "ts", "added", "removed"), own("author"))).alias("r")).select("path", "r.*")
+    once = each.groupBy("path", "of_commit", "commit_id", "author").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"),
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    return once.groupBy("path").agg(F.count("commit_id").alias("commits"), F.sum("added").alias("added"), F.sum("removed").alias("removed"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.count("author").alias("authors"))
 
 
 def hot_zones(commits: DataFrame, depth: int = 3, least: int = 10, groups: int = 3, top: int = 5) -> DataFrame:

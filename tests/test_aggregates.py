@@ -19,3 +19,12 @@ def test_hot_zones_count_commits_in_all_partitions(spark):
     got = op.hot_zones(spark.createDataFrame(rows, "path string, commit_id int").join(orders, "commit_id"))
     assert [tuple(r) for r in got.collect()] == [("a/b1", 13), ("a/b0", 12), ("a/b2", 12)]
     assert "REPARTITION_BY_NUM" in plan(got)  # not in the few partitions that the join's small rows are put in
+
+
+def test_churn_shuffles_a_row_once(spark):
+    rows = [("p", 1, "x", DAY[1], 3, 1), ("p", 1, "y", DAY[2], 4, 1), ("p", 2, "x", DAY[3], None, 1), ("p", None, None, DAY[4], 5, None), ("p", 1, "x", DAY[1], 3, 1),
+        (None, 1, "x", DAY[5], 1, 1), (None, 2, "x", DAY[6], 1, 1), ("p", 9, "z", DAY[0], 1, 1), ("q", None, None, DAY[7], None, None), ("p", 7, "w", None, 1, 1)]
+    got = op.churn(spark.createDataFrame(rows, "path string, commit_id long, author string, ts timestamp_ntz, added long, removed long"), "2024-01-02")
+    want = {("p", 2, 15, 4, DAY[1], DAY[4], 2), (None, 2, 2, 2, DAY[5], DAY[6], 1), ("q", 0, None, None, DAY[7], DAY[7], 0)}
+    assert {tuple(r) for r in got.select("path", "commits", "added", "removed", "first_seen", "last_seen", "authors").collect()} == want
+    assert plan(got).count("Exchange") == 1 and "Expand" not in plan(got)
