@@ -178,8 +178,9 @@ def by_root_file(items: DataFrame) -> DataFrame:
 
 def node_scores(nodes: DataFrame, edges: DataFrame, enriched: DataFrame) -> DataFrame:
     """Composite of five components for nodes (id, confidence, validated, refs); enriched has id and depth."""
-    both = edges.select("source", "target").union(edges.select("target", "source")).distinct().where(F.col("target").startswith("file:"))
-    near = both.join(enriched.select(F.col("id").alias("target"), F.lit(1).alias("hit")), "target",
+    each = F.explode(F.array(F.struct("source", "target"), F.struct(F.col("target").alias("source"), F.col("source").alias("target"))))
+    both = edges.select(each.alias("e")).select("e.*").where(F.col("target").startswith("file:"))  # the edges are made once for both directions
+    near = spread(both, "target").distinct().join(enriched.select(F.col("id").alias("target"), F.lit(1).alias("hit")), "target",
         "left").groupBy(F.col("source").alias("id")).agg((F.count("hit") / F.count("*")).alias("c3"))
     joined = nodes.join(near, "id", "left").join(enriched, "id", "left")
     c2 = F.when(F.col("depth").isNotNull(), 1.0).when(F.col("validated"), 0.6).otherwise(0.0)

@@ -28,3 +28,13 @@ def test_churn_shuffles_a_row_once(spark):
     want = {("p", 2, 15, 4, DAY[1], DAY[4], 2), (None, 2, 2, 2, DAY[5], DAY[6], 1), ("q", 0, None, None, DAY[7], DAY[7], 0)}
     assert {tuple(r) for r in got.select("path", "commits", "added", "removed", "first_seen", "last_seen", "authors").collect()} == want
     assert plan(got).count("Exchange") == 1 and "Expand" not in plan(got)
+
+
+def test_node_scores_make_edges_once(spark):
+    nodes = spark.createDataFrame([("file:a", 0.0, False, 0), ("file:b", 0.0, False, 0), ("file:c", 0.0, False, 0)], "id string, confidence double, validated boolean, refs int")
+    edges = [("file:a", "file:b"), ("file:a", "file:b"), ("file:b", "file:a"), ("sym:s", "file:a"), ("file:c", "ext:n"), ("file:a", "file:a"), ("file:a", "file:c")]
+    enriched = spark.createDataFrame([("file:b", 2)], "id string, depth int")
+    got = op.node_scores(nodes, spark.createDataFrame(edges, "source string, target string"), enriched)
+    # a: one of a, b, c is enriched; b and c: not a
+    assert {r.id: r.composite for r in got.collect()} == {"file:a": round(0.2353 / 3, 3), "file:b": round(0.1765 + 0.1764 / 2, 3), "file:c": 0.0}
+    assert "Union" not in plan(got)
