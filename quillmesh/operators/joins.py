@@ -13,6 +13,7 @@ from pyspark.sql.types import NumericType
 
 from ..functions import paths
 from ..sources.scratch import kept
+from . import overlaps
 from .rank import numbered
 
 
@@ -98,10 +99,6 @@ def tested_sources(files: DataFrame) -> DataFrame:
     return tests.join(sources, "stem").select("test", "source")
 
 
-#: Tokens that the prefixes of a similar pair must share.
-SHARED = 3
-
-
 #: Bits of the bitmap of a set: two sets differ in as many tokens at least as their bitmaps in bits.
 BITS = 512
 
@@ -120,30 +117,18 @@ def bitmap(x: Column) -> dict[str, Column]:
 def jaccard_pairs(sets: DataFrame, least: float, strict: bool = False, apart: str | None = None, most: int | None = None) -> DataFrame:
     """a, b, jaccard of pairs of rows (id, tokens) by prefix filtering; apart: a column in which both must differ; most: that many of the surest pairs only.
 
-    Equal sets are one, compared once. Tokens are numbered rarest first, so a set is a sorted array of integers. A pair at the
-    threshold shares SHARED of its first size - ceil(least * size) + SHARED tokens (all it must share, if that is less), its sizes
-    differ by the threshold at most, around each shared token enough tokens are left, and their bitmaps of BITS differ in no more places than
-    the sets may; what fails is dropped where the tokens meet, before pairs are counted, and only the rest is compared whole. With
-    most, each class of equal sets sends its first most + 1 members only: a pair with a later one comes behind most others.
+    Equal sets are one, compared once. Tokens are numbered rarest first, so a set is a sorted array of integers; different sets meet in blocks (``overlaps``),
+    and no pair leaves a block that isn't similar. With most, each class of equal sets sends its first most + 1 members only: a pair with a later one comes
+    behind most others.
     """
     sets = kept(sets.select("id", F.array_distinct("tokens").alias("tokens"), *([apart] if apart else [])), "sets")  # texts are cut into tokens once
     one = sets.select("id", F.explode("tokens").alias("t"))
     number = numbered(one.groupBy("t").agg(F.count("*").alias("df")), [F.col("df"), F.col("t")], "r").select("t", "r")
     rows = one.join(number, "t").groupBy("id").agg(F.sort_array(F.collect_list("r")).alias("x"))
     rows = kept(rows.withColumn("set", F.md5(F.array_join("x", ",").cast("binary"))), "jaccard")
-    distinct = kept(rows.groupBy("set").agg(F.first("x").alias("x")).withColumn("n", F.size("x")).withColumns(bitmap(F.col("x"))), "jaccard")
-    words = [f"m{i}" for i in range(BITS // 64)]
-    heads = distinct.select("set", "n", *words, F.posexplode(F.slice("x", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + SHARED)).alias("at", "r"))
-    left, right = (heads.select("r", F.col("set").alias(k), F.col("n").alias(f"n{k}"), F.col("at").alias(f"p{k}"), *(F.col(m).alias(f"{m}{k}") for m in words)) for k in "uv")
-    need = F.ceil((F.col("nu") + F.col("nv")) * (least / (1 + least)) - 1e-9)
-    bound = F.least("pu", "pv") + F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv"))
-    apart_by = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{m}u").bitwiseXOR(F.col(f"{m}v"))) for m in words])
-    fits = (F.col("u") < F.col("v")) & (F.least("nu", "nv") >= F.greatest("nu", "nv") * least - 1e-9) & (bound >= need) & (apart_by <= F.col("nu") + F.col("nv") - 2 * need)
-    enough = F.least(F.ceil(need), F.lit(SHARED))
-    pairs = left.join(right, "r").where(fits).groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("k")).where(F.col("k") >= enough).select("u", "v")
-    both = pairs.join(distinct.select(F.col("set").alias("u"), "x"), "u").join(distinct.select(F.col("set").alias("v"), F.col("x").alias("y")), "v")
-    shared = F.size(F.array_intersect("x", "y"))
-    found = both.select("u", "v", (shared / (F.size("x") + F.size("y") - shared)).alias("jaccard")).where(F.col("jaccard") > least if strict else F.col("jaccard") >= least)
+    distinct = kept(rows.groupBy("set").agg(F.first("x").alias("x")).withColumn("n", F.size("x")), "jaccard")
+    near = overlaps.similar(distinct, least).select("u", "v", (F.col("shared") / (F.col("nu") + F.col("nv") - F.col("shared"))).alias("jaccard"))
+    found = kept(near.where(F.col("jaccard") > least if strict else F.col("jaccard") >= least), "similar")
     same = rows.groupBy("set").agg(F.count("*").alias("m")).where("m > 1").select(F.col("set").alias("u"), F.col("set").alias("v"), F.lit(1.0).alias("jaccard"))
     found = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"), "jaccard")).unionByName(same.where(F.lit(not strict or least < 1)))
     member = rows.select("id", "set") if apart is None else rows.select("id", "set").join(sets.select("id", F.col(apart).alias("side")), "id")
