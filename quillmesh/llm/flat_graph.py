@@ -2,18 +2,21 @@
 
 1. Equal vectors of a label are one node, its copies counted; nodes are numbered.
 2. Each label of more than ``SHARD`` nodes gets centroids (spherical k-means on a
-   bounded sample). A node's home is its nearest centroid; it also joins every
-   centroid within its home angle plus the link angle. Of two nodes within the
-   link angle, one then is in the other's home shard, whatever the data.
+   bounded sample), unless vectors are so scattered that the sample's shards would
+   overlap to more copies than blocks of the whole label make. A node's home is its
+   nearest centroid; it also joins every centroid within its home angle plus the
+   link angle. Of two nodes within the link angle, one then is in the other's home
+   shard, whatever the data.
 3. A shard's members are dealt to blocks of at most about ``BLOCK``. Each block
    finds its nodes' NEAR nearest, and keeps those that pruning for diversity
    leaves (a neighbour goes if a kept one is nearer to it by the factor ALPHA),
    in both directions, DEGREE at most, and besides all within the link angle,
    if they are fewer than NEAR. A node with more of them is crowded: its list
-   may have lost some. The lists of a node are united over its shards.
-4. The home nodes of each block meet each block of their shard once. A meeting
-   prunes the united lists in the same way, adds a few long links, and searches
-   for every home node: greedily with a beam from the medoids, then widening
+   may have lost some. A list holds places in its block, and goes with its node.
+4. Each block of a shard meets itself and each other one once; the home nodes of
+   either search the other. A meeting prunes the lists of both in the same way,
+   adds a few long links, and searches for every home node: greedily with a beam
+   from the medoids, then widening
    from all it found (and itself) through every neighbour within the link angle
    and some slack, until nothing new turns up. Links are what was searched and
    verified in double precision. A node that isn't crowded has every link of its
@@ -41,10 +44,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from ..operators.graphs import components
+from ..sources.scratch import kept, spread
 from .common import arrow_map, small_batches, stored
 from .ngram_join import roots_of, whole_groups
 from .vectors import bounded_sample, matrix, usable
@@ -239,21 +244,22 @@ def counted_rows(x: np.ndarray, q: np.ndarray, have: np.ndarray, least: float) -
 
 
 class Meeting:
-    """The home nodes of one block of a shard against another block of it (or its own)."""
+    """Two blocks of a shard, or one and itself: the home nodes of either search the other. Rows are sorted by block and node, so that lists lead to them."""
 
     def __init__(self, t: pa.Table):
         column = {c: t.column(c).combine_chunks() for c in ("v", "near", "shards")}
         x = matrix(column["v"], len(column["v"][0]))
         self.x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        self.node, self.home, self.n, asker = (t.column(c).to_numpy() for c in ("node", "home", "n", "asker"))
-        self.shard, own = (t.column(c)[0].as_py() for c in ("shard", "own"))
-        self.have = ~asker
-        self.asks = np.flatnonzero(asker | (own & (self.home == self.shard)))
-        self.open = asker | t.column("crowded").to_numpy()
-        near, size = column["near"].flatten().to_numpy(zero_copy_only=False), column["near"].value_lengths().to_numpy()
-        spot = np.minimum(np.searchsorted(self.node, near), len(self.node) - 1)  # rows are sorted by node
-        here = self.node[spot] == near
-        self.pairs = np.repeat(np.arange(len(self.node)), size)[here], spot[here]
+        self.node, self.home, self.n, block = (t.column(c).to_numpy() for c in ("node", "home", "n", "block"))
+        self.shard, one, two = (t.column(c)[0].as_py() for c in ("shard", "one", "two"))
+        later = (block == two) & (one != two)
+        mine = self.home == self.shard
+        every = np.ones(len(block), bool)
+        #: Of each search: who asks, what may be found, and whose finds are completed by a count.
+        self.sides = [(mine, every, t.column("crowded").to_numpy())] if one == two else [(mine & ~later, later, every), (mine & later, ~later, every)]
+        near, size = column["near"].flatten().to_numpy().astype(np.int64), column["near"].value_lengths().to_numpy()
+        owner = np.repeat(np.arange(len(block)), size)
+        self.pairs = owner, near + np.where(later[owner], int((~later).sum()), 0)
         self.shards = column["shards"].flatten().to_numpy(zero_copy_only=False)
         self.owner = np.repeat(np.arange(len(self.node)), column["shards"].value_lengths().to_numpy())
 
@@ -268,16 +274,18 @@ class Meeting:
         at = np.minimum(np.searchsorted(homes, self.shards), len(homes) - 1)
         joined[self.owner[homes[at] == self.shards], at[homes[at] == self.shards]] = True
         home_at = np.searchsorted(homes, self.home)
-        for lot, (a, b, n, audited) in enumerate(links(self.x, graph, self.asks, self.have, self.open, self.node % AUDIT == 0, least)):
-            count += np.bincount(a, self.n[b], m).astype(np.int64)
-            searched[self.asks[lot * LOT : lot * LOT + len(n)]] = n
-            there[self.asks[lot * LOT : lot * LOT + len(n)]] = audited
-            # a found row that searches elsewhere, where the asking one isn't, counts it here
-            blind = (self.home[b] != self.shard) & ~joined[a, home_at[b]]
-            count += np.bincount(b[blind], self.n[a[blind]], m).astype(np.int64)
-            root = roots_of(m, np.concatenate([star[0], a]), np.concatenate([star[1], b]))
-            used = np.union1d(star[0], np.union1d(a, b))
-            star = used, root[used]
+        for who, have, open_ in self.sides:
+            asks = np.flatnonzero(who)
+            for lot, (a, b, n, audited) in enumerate(links(self.x, graph, asks, have, open_, self.node % AUDIT == 0, least)):
+                count += np.bincount(a, self.n[b], m).astype(np.int64)
+                searched[asks[lot * LOT : lot * LOT + len(n)]] = n
+                there[asks[lot * LOT : lot * LOT + len(n)]] = audited
+                # a found row that searches elsewhere, where the asking one isn't, counts it here
+                blind = (self.home[b] != self.shard) & ~joined[a, home_at[b]]
+                count += np.bincount(b[blind], self.n[a[blind]], m).astype(np.int64)
+                root = roots_of(m, np.concatenate([star[0], a]), np.concatenate([star[1], b]))
+                used = np.union1d(star[0], np.union1d(a, b))
+                star = used, root[used]
         roots = np.arange(m)
         roots[star[0]] = star[1]
         used = np.union1d(star[0], np.flatnonzero(there >= 0))
@@ -293,14 +301,34 @@ def whole_parts(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[
             yield t.slice(int(at[0]), len(at))
 
 
+def vector_key() -> Column:
+    """Names a vector (v) of a label in rows that are joined, in place of its numbers."""
+    return F.unhex(F.sha2(F.to_json(F.struct("label", "v")), 256))
+
+
 def numbered_nodes(rows: DataFrame) -> DataFrame:
-    """node, label, v, rep (least id), n (copies) and group (label and dimension) of each distinct usable vector."""
-    per = rows.where("usable").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    """node, key, label, v, rep (least id), n (copies) and group (label and dimension) of each distinct usable vector."""
+    own = rows.where("usable").withColumn("key", vector_key())
+    per = own.groupBy("key").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("id").alias("rep"), F.count("*").alias("n"))
     return stored(per.withColumn("group", F.concat_ws("/", F.size("v"), "label")).withColumn("node", F.monotonically_increasing_id()), "flat-nodes")
 
 
-def fit_centroids(nodes: DataFrame) -> dict[str, np.ndarray]:
-    """For groups of more than a shard: MAX_CENTROIDS of them at most, however many labels there are."""
+def inside(x: np.ndarray, centroids: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each row, and of which shards it is a member."""
+    reach = float(np.arccos(np.clip(least, -1, 1))) + 1e-6
+    angle = np.arccos(np.clip(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) @ centroids.T, -1, 1))
+    home = angle.argmin(1)
+    return home, angle <= angle[np.arange(len(x)), home][:, None] + reach
+
+
+def worthwhile(x: np.ndarray, n: int, centroids: np.ndarray, least: float) -> bool:
+    """Whether shards make no more copies of the n nodes that x is a sample of than the blocks of one shard of all would: a member goes to each block of its shard."""
+    share = sum(inside(x[a : a + 4096], centroids, least)[1].sum(0) for a in range(0, len(x), 4096)) / len(x)
+    return bool((share * np.ceil(share * n / BLOCK)).sum() <= np.ceil(n / BLOCK))
+
+
+def fit_centroids(nodes: DataFrame, least: float) -> dict[str, np.ndarray]:
+    """For groups of more than a shard that they divide: MAX_CENTROIDS of them at most, however many labels there are."""
     share = max(SHARD, -(-nodes.count() // MAX_CENTROIDS))
     large = {r["group"]: (r["n"], r["d"]) for r in nodes.groupBy("group").agg(F.count("*").alias("n"), F.first(F.size("v")).alias("d"))
         .where(F.col("n") > share).collect()}
@@ -312,14 +340,13 @@ def fit_centroids(nodes: DataFrame) -> dict[str, np.ndarray]:
             x = matrix(sample.column("v").take(pa.array(np.flatnonzero(of == g))), d) if (of == g).any() else np.zeros((0, d))
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             k = min(round(n / share), len(x))
-            if k > 1:
-                out[g] = spherical_means(x, k)
+            if k > 1 and worthwhile(x, n, found := spherical_means(x, k), least):
+                out[g] = found
     return out
 
 
 def shard_members(nodes: DataFrame, centroids: dict[str, np.ndarray], least: float) -> DataFrame:
     """node, v, home, shards, n, group, shard, block and blocks: a row for each shard of each node."""
-    reach = float(np.arccos(np.clip(least, -1, 1))) + 1e-6
 
     def deal():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -327,11 +354,8 @@ def shard_members(nodes: DataFrame, centroids: dict[str, np.ndarray], least: flo
             home, also = np.zeros(len(groups), np.int64), [[0]] * len(groups)
             for g in set(groups) & set(centroids):
                 at = [i for i, y in enumerate(groups) if y == g]
-                x = matrix(lists.take(pa.array(at)), centroids[g].shape[1])
-                angle = np.arccos(np.clip(x / np.linalg.norm(x, axis=1, keepdims=True) @ centroids[g].T, -1, 1))
-                near = angle.argmin(1)
-                inside = angle <= angle[np.arange(len(at)), near][:, None] + reach
-                for i, h, row in zip(at, near, inside, strict=True):
+                near, member = inside(matrix(lists.take(pa.array(at)), centroids[g].shape[1]), centroids[g], least)
+                for i, h, row in zip(at, near, member, strict=True):
                     home[i] = h
                     also[i] = np.flatnonzero(row).tolist()
             return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(home), pa.array(also, pa.list_(pa.int64())), b.column(3), b.column(1)],
@@ -339,68 +363,66 @@ def shard_members(nodes: DataFrame, centroids: dict[str, np.ndarray], least: flo
 
         return one
 
-    dealt = arrow_map(nodes.select("node", "group", "v", "n"), deal, "node bigint, v array<double>, home bigint, shards array<bigint>, n bigint, group string")
-    members = stored(dealt.withColumn("shard", F.explode("shards")), "flat-members")
-    sizes = members.groupBy("group", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    if centroids:
+        numbers = nodes.schema["v"].dataType.simpleString()
+        dealt = stored(arrow_map(nodes.select("node", "group", "v", "n"), deal, f"node bigint, v {numbers}, home bigint, shards array<bigint>, n bigint, group string"), "flat-members")
+    else:
+        dealt = nodes.select("node", "v", F.lit(0).cast("long").alias("home"), F.array(F.lit(0).cast("long")).alias("shards"), "n", "group")
+    members = dealt.withColumn("shard", F.explode("shards"))
+    sizes = kept(members.groupBy("group", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "flat-sizes", small=True)
+    # a shard has a row; centroids are bounded, labels need not be
     return members.join(sizes, ["group", "shard"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
-def united_lists(members: DataFrame, least: float) -> DataFrame:
-    """node, near (its neighbours in the graphs of all its blocks) and crowded (in any of them)."""
+def listed(members: DataFrame, least: float) -> DataFrame:
+    """The members with near (the places of their neighbours in their block, whose nodes are in order) and crowded."""
+    columns = ["node", "v", "home", "shards", "n", "group", "shard", "block", "blocks"]
 
     def graphs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_parts(batches, ["group", "shard", "block"]):
             v = t.column("v").combine_chunks()
-            x, node = matrix(v, len(v[0])), t.column("node").to_numpy()
+            x = matrix(v, len(v[0]))
             near, crowded = build(x / np.linalg.norm(x, axis=1, keepdims=True), least)
-            flat = pa.array(node[near[near >= 0]])
             ends = np.concatenate([[0], (near >= 0).sum(1).cumsum()])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(crowded)],
-                ["node", "near", "crowded"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(near[near >= 0], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in columns), lists, pa.array(crowded)], [*columns, "near", "crowded"])
 
     blocks = ["group", "shard", "block"]
-    lists = members.select(*blocks, "node", "v").repartition(*blocks).sortWithinPartitions(*blocks, "node").mapInArrow(graphs,
-        "node bigint, near array<bigint>, crowded boolean")
-    return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.bool_or("crowded").alias("crowded"))
+    numbers = members.schema["v"].dataType.simpleString()
+    return spread(members.select(*columns), *blocks).sortWithinPartitions(*blocks, "node").mapInArrow(graphs,
+        f"node bigint, v {numbers}, home bigint, shards array<bigint>, n bigint, group string, shard bigint, block int, blocks int, near array<int>, crowded boolean")
 
 
 def link_table(nodes: DataFrame, least: float) -> DataFrame:
     """node, links, searched, root and audited, several rows a node; the sums of searched and links tell what the search found, those of audited rows its recall."""
-    members = shard_members(nodes, fit_centroids(nodes), least)
-    full = members.join(united_lists(members, least), "node")
-    each = F.sequence(F.lit(0), F.col("blocks") - 1)
-    columns = ["group", "shard", "ask", "have", "node", "v", "home", "shards", "n", "near", "crowded", "asker", (F.col("ask") == F.col("have")).alias("own")]
-    offered = full.select("*", F.explode(each).alias("ask"), F.col("block").alias("have"), F.lit(False).alias("asker")).select(*columns)
-    asking = full.where("home = shard and blocks > 1").select("*", F.col("block").alias("ask"), F.explode(each).alias("have"),
-        F.lit(True).alias("asker")).where("ask != have").select(*columns)
+    full = listed(shard_members(nodes, fit_centroids(nodes, least), least), least)
+    met = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_parts(batches, ["group", "shard", "ask", "have"]):
-            m = Meeting(t)
-            if len(m.asks):
-                yield m.counted(least)
+        for t in whole_parts(batches, ["group", "shard", "one", "two"]):
+            yield Meeting(t).counted(least)
 
-    keys = ["group", "shard", "ask", "have"]
-    met = offered.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(meet,
+    keys = ["group", "shard", "one", "two"]
+    found = spread(met.drop("other", "blocks"), *keys).sortWithinPartitions(*keys, "block", "node").mapInArrow(meet,
         "node bigint, links bigint, searched bigint, root bigint, audited bigint")
-    return stored(met, "flat-links")
+    return stored(found, "flat-links")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     small_batches(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"),
-        F.col(label_col).cast("string").alias("label"))
+    kind = vectors.schema[vec_col].dataType.elementType
+    numbers = F.col(vec_col) if isinstance(kind, FloatType | DoubleType) else F.transform(vec_col, lambda x: x.cast("double"))  # floats take half the room, and become doubles where they are multiplied
+    rows = vectors.select(F.col(id_col).alias("id"), numbers.alias("v"), F.col(label_col).cast("string").alias("label"))
     rows = rows.withColumn("usable", usable(F.col("v")) & F.col("label").isNotNull())
     nodes = numbered_nodes(rows)
     found = link_table(nodes, least)
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    per = nodes.select("node", "rep", "n").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(roots, "node", "left")
-    named = per.select("node", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    per = nodes.select("node", "key", "rep", "n").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(roots, "node", "left")
+    named = per.select("key", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     least_id = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    done = named.join(least_id, "root").select("node", F.coalesce("component_id", "rep").alias("component_id"), "n_links")
-    per_vector = nodes.select("node", "label", "v").join(done, "node").select(F.xxhash64("label", "v").alias("key"), "label", "v", "component_id", "n_links")
-    linked = rows.where("usable").withColumn("key", F.xxhash64("label", "v")).join(per_vector, ["key", "label", "v"])
+    done = named.join(least_id, "root").select("key", F.coalesce("component_id", "rep").alias("component_id"), "n_links")
+    linked = rows.where("usable").select("id", vector_key().alias("key")).join(done, "key")
     alone = rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.select("id", "n_links", "component_id").unionByName(alone)
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
